@@ -135,9 +135,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", name: str =
         if current.isEmpty():
             break
         both = current.union(current.select("b", "a"))
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(step)), c)  # noqa: B023, E731
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), c.alias("v"))  # noqa: B023, E731
         hook = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
-        hook = hook.select(F.col("a").alias("id"), F.least(F.col("m"), order(F.col("a"))).getField("col2").alias("up"))
+        hook = hook.select(F.col("a").alias("id"), F.least(F.col("m"), order(F.col("a"))).getField("v").alias("up"))
         hook = stage_table(_jump(hook), "hooks")
         nodes = hook if nodes is None else stage_table(
             nodes.join(hook.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up")), "nodes")

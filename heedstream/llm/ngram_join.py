@@ -1 +1,220 @@
-"""To be written."""
+"""N-gram Jaccard join: which texts share enough of their word shingles.
+
+Texts are lower-cased (A-Z); words are runs without white space; a text's
+set is its distinct five-word shingles (with fewer words the whole sequence
+is the only one). Texts link when 100 * |A & B| >= percent * |A | B|.
+
+1. Texts with equal sets form one class, represented by its smallest id.
+2. Each class meets the first class of the tiles of its eight least shingle
+   hashes; the met pair is compared exactly. Links join classes, so that a
+   group of copies that all resemble its first member is settled in a number
+   of comparisons that grows with its size and not with its square.
+3. Nothing may be missed: two sets that link share one of the least
+   n - ceil(percent * n / 100) + 1 hashes of each. Tiles of these prefixes
+   that hold classes not yet joined are ordered by set size, which bands
+   them: a class meets only classes of a size that can link. Of each met
+   pair, the bits in which two hashed bitmap signatures differ bound the
+   overlap from above; what may still link is compared exactly, by
+   intersecting the sorted hash arrays of the whole texts.
+
+Sets are kept as 64-bit hashes of their shingles. Null or empty texts have
+empty sets, link with nothing and are their own component. Repeated ids are
+rows of their own. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from heedstream.llm._common import components, mix, stage_table, text_chunks
+from heedstream.llm.shingles import shingle_sets
+
+#: Words of a shingle, least similarity in percent, bits of a signature, hashes of the first meeting.
+WIDTH, PERCENT, BITS, HEAD = 5, 80, 512, 8
+#: Rows of a tile that are compared in one task; larger tiles are cut into blocks, and block meets block.
+TILE_ROWS = 16_384
+
+
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - -(-percent * n // 100) + 1
+
+
+def describe(data: np.ndarray, offsets: np.ndarray, width: int, percent: int) -> tuple:
+    """For each text: set size, two set keys, prefix hashes (values, offsets), signature bytes."""
+    value, ends = shingle_sets(data, offsets, width)
+    n = np.diff(ends)
+    some = np.flatnonzero(n)
+    keys = np.zeros((2, len(n)), dtype=np.uint64)
+    signature = np.zeros((len(n), BITS // 8), dtype=np.uint8)
+    if len(some):
+        begin = ends[:-1][some]
+        for k in range(2):
+            keys[k, some] = np.add.reduceat(mix(value ^ np.uint64(0xABCD0001 + k)), begin)
+        bit = (value & np.uint64(BITS - 1)).astype(np.int64)
+        flags = np.zeros((len(n), BITS), dtype=bool)
+        flags[np.repeat(np.arange(len(n)), n), bit] = True
+        signature = np.packbits(flags, axis=1)
+    take = np.where(n > 0, prefix_length(n, percent), 0)
+    upto = np.concatenate([[0], np.cumsum(take)])
+    at = np.arange(upto[-1]) - np.repeat(upto[:-1] - ends[:-1], take)
+    return n, keys, value[at], upto, signature
+
+
+def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch, "text", 1 << 21):
+                n, keys, value, upto, signature = describe(data, offsets, width, percent)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id")[first:end], pa.array(n, pa.int32()), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(value.view(np.int64))), pa.array([s.tobytes() for s in signature], pa.binary()),
+                ], ["doc_id", "n", "k1", "k2", "prefix", "signature"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, prefix array<long>, signature binary")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose whole texts link."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                sides = []
+                for c in ("x", "y"):
+                    sides.append([value[ends[k] : ends[k + 1]] for _, _, data, offsets in text_chunks(batch, c, 1 << 21) for value, ends in [shingle_sets(data, offsets, width)] for k in range(len(ends) - 1)])
+                keep = []
+                for p, q in zip(*sides, strict=True):
+                    place = np.searchsorted(q, p)
+                    place[place == len(q)] = 0
+                    common = int((q[place] == p).sum()) if len(q) else 0
+                    keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # a repeated id has its texts checked in every combination, so links are made distinct
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+_POPULATION = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
+
+
+def _tile_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of row pairs of one tile each that may link; rows ordered by tile and size."""
+    tok, i, j, own = (table.column(c).to_numpy() for c in ("tok", "i", "j", "block"))
+    n, label, rank = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "label", "rank"))
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint16).reshape(len(n), -1)
+    out_a, out_b = [], []
+    live = np.arange(len(n))
+    lag = 0
+    while len(live):
+        lag += 1
+        live = live[live + lag < len(n)]
+        far = live + lag
+        same = (tok[live] == tok[far]) & (i[live] == i[far]) & (j[live] == j[far]) & (percent * n[far] <= 100 * n[live])
+        live = live[same]
+        far = live + lag
+        # symmetric difference that two linked sets of these sizes have at most
+        most = (100 - percent) * (n[live] + n[far]) // (100 + percent)
+        may = (label[live] != label[far]) & (rank[live] + rank[far] <= most) & np.where(i[live] == j[live], True, own[live] != own[far])
+        a, b, most = live[may], far[may], most[may]
+        for at in range(0, len(a), 1 << 15):
+            p, q = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+            differ = _POPULATION[signature[p] ^ signature[q]].sum(axis=1, dtype=np.int64)
+            good = differ <= most[at : at + (1 << 15)]
+            out_a.append(p[good])
+            out_b.append(q[good])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+def _candidates(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the sizes, ranks and signatures allow, from rows sorted by tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        seen: set[tuple[int, int]] = set()
+
+        def pairs(part: pa.Table) -> pa.RecordBatch:
+            a, b = _tile_pairs(part, percent)
+            rep = part.column("rep").to_numpy()
+            x = np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], axis=1) if len(a) else np.zeros((0, 2), np.int64)
+            x = np.unique(x, axis=0)
+            new = [p for p in map(tuple, x.tolist()) if p not in seen]
+            if len(seen) < 1_000_000:  # what is forgotten is made distinct later
+                seen.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            part = pa.table(batch) if not isinstance(batch, pa.RecordBatch) else pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows < 4096:
+                continue
+            key = [held.column(c).to_numpy() for c in ("tok", "i", "j")]
+            last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
+            if len(last):
+                cut = int(last[-1]) + 1
+                yield pairs(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs(held.combine_chunks())
+
+    return tiles.mapInArrow(run, "a long, b long").distinct()
+
+
+def _first_meeting(heads: DataFrame) -> DataFrame:
+    """For each class the class of another label that it meets in most tiles, as first or last of the tile."""
+    ends = heads.groupBy("tok").agg(F.min(F.struct("label", "rep")).alias("lo"), F.max(F.struct("label", "rep")).alias("hi")).where("lo.label <> hi.label")
+    met = heads.join(ends, "tok")
+    met = met.select("rep", F.when(F.col("lo.label") != F.col("label"), F.col("lo.rep")).otherwise(F.col("hi.rep")).alias("other"))
+    most = met.groupBy("rep", "other").agg(F.count("*").alias("times")).groupBy("rep").agg(F.max(F.struct("times", (-F.col("other")).alias("other"))).alias("m"))
+    return most.select(F.least("rep", -F.col("m.other")).alias("a"), F.greatest("rep", -F.col("m.other")).alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each document."""
+    sets = stage_table(_sets(docs, width, percent), "sets")
+    thin = sets.select("doc_id", "n", "k1", "k2")
+    classes = thin.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    member = stage_table(thin.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "members")
+    reps = member.where("doc_id = rep and n_shingles > 0").select("rep").distinct()
+    links = None
+
+    def labels() -> DataFrame:
+        if links is None:
+            return reps.withColumn("label", F.col("rep"))
+        found = components(links, name="label").withColumnRenamed("id", "rep")
+        return stage_table(reps.join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "labels")
+
+    for _ in range(rounds):
+        own = labels()
+        heads = sets.select(F.col("doc_id").alias("rep"), F.slice("prefix", 1, HEAD).alias("head")).join(own, "rep").select("rep", "label", F.explode("head").alias("tok"))
+        new = stage_table(_linked(stage_table(_first_meeting(heads), "met"), docs, width, percent), "links")
+        links = new if links is None else links.union(new)
+
+    own = labels()
+    each = sets.select(F.col("doc_id").alias("rep"), "n", "prefix").join(own, "rep").select("rep", "label", "n", F.posexplode("prefix").alias("rank", "tok"))
+    open_tiles = each.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    rows = each.join(open_tiles.select("tok", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks")), "tok")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tok", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "n", "rank")
+    rows = stage_table(rows, "tiles")
+    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "signature"), "rep")
+    tiles = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n")
+    last = stage_table(_linked(stage_table(_candidates(tiles, percent), "candidates"), docs, width, percent), "links")
+    found = components(links.union(last), name="component").withColumnRenamed("id", "rep")
+    return member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents whose id is the smallest of their component, with all their columns."""
+    kept = jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi")
