@@ -134,15 +134,20 @@ def _regions(starts: list[int], size: int, budget: int) -> Iterator[tuple[int, i
         yield a, b
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (doc_id, item_id, distance, budget) of texts that hold an item within its budget."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_chars`` characters; one block is on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
+    for block in range(blocks):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows (doc_id, item_id, distance, budget) of texts that hold an item within its budget."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     out = None
-    for block in range(blocks):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+    for own in _blocks(benchmark, block_chars):
         part = source.mapInArrow(_scan(own, rate), "doc_id long, item_id long, distance int, budget int")
         out = part if out is None else out.union(part)
     return out
@@ -160,7 +165,18 @@ def _scan(items: list[tuple[int, str]], rate: float):  # noqa: ANN202
     return run
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no item within its budget, whole and unchanged."""
-    hit = matches(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no item within its budget, whole and with all their columns; nothing is shuffled."""
+    out = docs
+    for own in _blocks(benchmark, block_chars):
+        out = out.mapInArrow(_clean(own, rate), docs.schema)
+    return out
+
+
+def _clean(items: list[tuple[int, str]], rate: float):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.match(t.as_py()) for t in batch.column("text")], pa.bool_()))
+
+    return run

@@ -267,7 +267,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove the ranges of each text."""
     for batch in batches:
         rows = []
-        for doc, tx, text, ranges in zip(*(batch.column(c) for c in ("doc_id", "tx", "text", "ranges")), strict=True):
+        for text, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
             data = (text.as_py() or "").encode()
             spans: list[list[int]] = []
             if ranges.is_valid:
@@ -287,22 +287,26 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = b"".join(kept)
             # a range can begin or end inside a character: characters that lost a byte are left out of the text
             clean = b"".join(k.decode("utf-8", "ignore").encode() for k in kept) if spans else left
-            rows.append((doc.as_py(), tx.as_py(), len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"lo": a, "hi": b} for a, b in spans], clean.decode() if text.is_valid else None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.string())
-        columns = list(zip(*rows, strict=True)) or [[]] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "tx", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
+            rows.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"lo": a, "hi": b} for a, b in spans], clean.decode() if text.is_valid else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.string())
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tx", "carried")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "tx", "carried", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """Rows (doc_id, tx, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text), one for each row of docs.
+    """Rows (doc_id, tx, carried, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text), one for each row of docs.
 
-    Spans are bytes, from 0, end exclusive. ``tx`` is 0, or a hash of the
+    ``carried`` is a struct of the other columns of docs, whatever their
+    names. Spans are bytes, from 0, end exclusive. ``tx`` is 0, or a hash of the
     text where an id occurs in several rows.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))).alias("carried"))
+    own = full.select("doc_id", "text")
     twice = not own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    own = own.select("doc_id", (F.xxhash64("text") if twice else F.lit(0)).cast("long").alias("tx"), "text")
+    tx = (F.xxhash64("text") if twice else F.lit(0)).cast("long").alias("tx")
+    own, full = own.select("doc_id", tx, "text"), full.select("doc_id", tx, "text", "carried")
     found = repeated_ranges(own.where("text is not null").dropDuplicates(["doc_id", "tx"]) if twice else own.where("text is not null"), width, gram)
     ranges = found.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    schema = "doc_id long, tx long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:bigint,hi:bigint>>, kept_text string"
-    return own.join(ranges, ["doc_id", "tx"], "left").select("doc_id", "tx", "text", "ranges").mapInArrow(_apply, schema)
+    schema = f"doc_id long, tx long, carried {full.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:bigint,hi:bigint>>, kept_text string"
+    return full.join(ranges, ["doc_id", "tx"], "left").select("doc_id", "tx", "text", "ranges", "carried").mapInArrow(_apply, schema)
