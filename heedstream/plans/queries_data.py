@@ -1,0 +1,3 @@
+from heedstream.plans._book import Book
+book = Book()
+QUERIES, ORACLES = book.queries, book.oracles
