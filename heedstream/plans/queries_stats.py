@@ -1,3 +1,351 @@
-from heedstream.plans._book import Book
+"""Registered queries: summaries, tests, correlations, coverage and status."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heedstream.functions import exprs as ex
+from heedstream.operators import coverage as cv
+from heedstream.operators import returns as rt
+from heedstream.operators import stats as st
+from heedstream.plans import frames as fr
+from heedstream.plans import queries_returns as qr
+from heedstream.plans._book import Book, r6, rounded
+from heedstream.sources import adapters as ad
+
 book = Book()
+NOW = "timestamp '1998-08-03 20:00:00'"
+
+
+def now():  # noqa: ANN201
+    return F.expr(NOW)
+
+
+LABEL = "keyword || '（' || strftime(date, '%Y-%m-%d') || '）'"
+SUMMARY = f"""sm AS (SELECT theme_name, count(*) AS event_count, avg(CASE WHEN return_10d > 0 THEN 1.0 WHEN return_10d IS NOT NULL THEN 0.0 END) * 100 AS positive_pct, avg(CASE WHEN return_10d < 0 THEN 1.0 WHEN return_10d IS NOT NULL THEN 0.0 END) * 100 AS negative_pct,
+  avg(CASE WHEN reaction_days BETWEEN 0 AND 30 THEN reaction_days END) AS avg_reaction_days, {', '.join(f'avg(return_{n}d) * 100 AS avg_return_{n}d_pct' for n in (1, 3, 5, 10))}, avg(excess_5d) * 100 AS avg_excess_5d_pct, avg(excess_10d) * 100 AS avg_excess_10d_pct, avg(excess_10d - normal_10d) * 100 AS avg_abnormal_10d_pct
+  FROM events_perf WHERE link_type = 'direct' GROUP BY 1),
+best AS (SELECT theme_name, {LABEL} AS best_event FROM (SELECT *, row_number() OVER (PARTITION BY theme_name ORDER BY -return_10d, date, keyword) AS k FROM events_perf WHERE link_type = 'direct' AND return_10d IS NOT NULL) WHERE k = 1),
+worst AS (SELECT theme_name, {LABEL} AS worst_event FROM (SELECT *, row_number() OVER (PARTITION BY theme_name ORDER BY return_10d, date, keyword) AS k FROM events_perf WHERE link_type = 'direct' AND return_10d IS NOT NULL) WHERE k = 1)"""
+NUMBERS = ["positive_pct", "negative_pct", "avg_reaction_days", "avg_return_1d_pct", "avg_return_3d_pct", "avg_return_5d_pct", "avg_return_10d_pct", "avg_excess_5d_pct", "avg_excess_10d_pct", "avg_abnormal_10d_pct"]
+
+
+@book.add(ad.sql(fr.ALL, f"{fr.BASE_SQL}, {SUMMARY} SELECT theme_name, event_count, {', '.join(map(r6, NUMBERS))}, best_event, worst_event FROM sm LEFT JOIN best USING (theme_name) LEFT JOIN worst USING (theme_name)"))
+def g2_research_summary(s: SparkSession, d: str) -> DataFrame:
+    return rounded(st.research_summary(fr.performance(s, d), ["theme_name"]), *NUMBERS)
+
+
+H = """h AS (SELECT theme_name, count(excess_10d - normal_10d) AS n, avg(excess_10d - normal_10d) AS mean, avg(excess_10d - normal_10d) / (stddev_samp(excess_10d - normal_10d) / sqrt(count(excess_10d - normal_10d))) AS t,
+  count(*) FILTER (news_sentiment = 'Positive') AS n_pos, count(*) FILTER (news_sentiment = 'Negative') AS n_neg, avg(excess_10d) FILTER (news_sentiment = 'Positive') AS pos_mean, avg(excess_10d) FILTER (news_sentiment = 'Negative') AS neg_mean FROM events_perf WHERE link_type = 'direct' GROUP BY 1)"""
+
+
+@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, {H} SELECT theme_name, n, {r6('mean')}, {r6('t')}, n_pos, n_neg, {r6('pos_mean')}, {r6('neg_mean')},
+CASE WHEN n < 10 THEN '資料不足' WHEN mean > 0 AND t >= 2 THEN '成立' WHEN mean > 0 AND t >= 1 THEN '部分成立' ELSE '不成立' END AS h1,
+CASE WHEN n_pos < 5 AND n_neg < 5 THEN '資料不足' WHEN pos_mean IS NULL OR neg_mean IS NULL THEN '資料不足' WHEN pos_mean > neg_mean THEN '成立' ELSE '不成立' END AS h2 FROM h"""))
+def g4_hypotheses(s: SparkSession, d: str) -> DataFrame:
+    return rounded(st.hypotheses(fr.performance(s, d), ["theme_name"]), "mean", "t", "pos_mean", "neg_mean")
+
+
+@book.add(ad.sql(fr.ALL, f"{fr.BASE_SQL} SELECT theme_name, {r6('avg(reaction_days)', 'days')} FROM events_perf WHERE link_type = 'direct' AND reaction_days BETWEEN 0 AND 30 GROUP BY 1"))
+def g4_reaction_by_theme(s: SparkSession, d: str) -> DataFrame:
+    return rounded(st.reaction_by_theme(fr.performance(s, d)), "days")
+
+
+@book.add()
+def g5_overview_text(s: SparkSession, d: str) -> DataFrame:
+    return st.overview_text(st.research_summary(fr.performance(s, d), ["theme_name"]), "theme_name", F.lit("1995-01-01"), F.lit("1998-08-02"))
+
+
+@book.add()
+def g5_event_text(s: SparkSession, d: str) -> DataFrame:
+    return st.event_text(fr.performance(s, d)).select("keyword", "stock_id", "date", "text")
+
+
+XT = "CASE WHEN count({c}) >= 3 AND stddev_samp({c}) >= 1e-12 THEN avg({c}) / (stddev_samp({c}) / sqrt(count({c}))) END"
+
+
+@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, u AS (SELECT link_type, unnest([{{'n': 5, 'x': excess_5d, 'm': normal_5d}}, {{'n': 10, 'x': excess_10d, 'm': normal_10d}}]) AS q FROM events_perf),
+v AS (SELECT link_type AS kind, q.n AS n, q.x AS excess, q.m AS normal, q.x - q.m AS dd FROM u WHERE q.x - q.m IS NOT NULL)
+SELECT kind, n, {r6('avg(excess)', 'event_mean')}, {r6('avg(normal)', 'normal_mean')}, {r6('avg(dd)', 'excess_over_normal')}, {r6(XT.format(c='dd'), 't')}, {r6('avg(CASE WHEN dd > 0 THEN 1.0 ELSE 0.0 END)', 'share_up')}, count(*) AS units FROM v GROUP BY 1, 2"""))
+def g6_excess_table(s: SparkSession, d: str) -> DataFrame:
+    """By link type and window; p values are covered by tests (DuckDB has no erfc)."""
+    return rounded(st.excess_table(_units(s, d), ["kind", "n"]).drop("p"), "event_mean", "normal_mean", "excess_over_normal", "t", "share_up")
+
+
+def _units(s: SparkSession, d: str) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"excess_{n}d").alias("excess"), F.col(f"normal_{n}d").alias("normal")) for n in (5, 10)]))
+    return fr.performance(s, d, None).select(F.col("link_type").alias("kind"), each.alias("q")).select("kind", "q.*")
+
+
+@book.add()
+def g3_p_values(s: SparkSession, d: str) -> DataFrame:
+    """Two-sided normal p of each table row's t."""
+    return st.excess_table(_units(s, d), ["kind", "n"]).select("kind", "n", F.round("t", 6).alias("t"), F.round("p", 9).alias("p"))
+
+
+@book.add(ad.sql(fr.ALL, f"""{fr.ROWS_SQL}, bs AS (SELECT DISTINCT theme_name, stock_id FROM links WHERE link_type = 'theme'), dy AS (SELECT theme_name, date, avg(excess_10d) AS x FROM bs JOIN perf USING (stock_id) WHERE excess_10d IS NOT NULL GROUP BY 1, 2)
+SELECT theme_name, {r6('avg(x)', 'baseline')}, count(*) AS days FROM dy GROUP BY 1"""))
+def g7_basket_baseline(s: SparkSession, d: str) -> DataFrame:
+    """Mean over days of the day's mean over the basket."""
+    rows = rt.with_performance(ad.prices(s, d), ad.BENCHMARK).where("excess_10d is not null")
+    b = ad.links(s, d).where("link_type = 'theme'").select("theme_name", "stock_id").distinct()
+    out = rows.join(F.broadcast(b), "stock_id").groupBy("theme_name", "date").agg(F.avg("excess_10d").alias("x")).groupBy("theme_name").agg(F.avg("x").alias("baseline"), F.count("*").alias("days"))
+    return rounded(out, "baseline")
+
+
+@book.add(ad.sql(fr.ALL, f"""{qr.FLAGS} SELECT {r6('avg(abs(ar)) FILTER (flag)', 'event_move')}, {r6('avg(abs(ar))', 'usual_move')}, count(ar) FILTER (flag) AS n FROM pnl"""))
+def g8_attention_size(s: SparkSession, d: str) -> DataFrame:
+    """Mean absolute abnormal return of event days against all days."""
+    out = qr.flagged_panel(s, d).agg(F.avg(F.when(F.col("flag"), F.abs("ar"))).alias("event_move"), F.avg(F.abs("ar")).alias("usual_move"), F.count(F.when(F.col("flag"), F.col("ar"))).alias("n"))
+    return rounded(out, "event_move", "usual_move")
+
+
+@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, g AS (SELECT sign(tone) AS tone, excess_5d AS a, excess_10d AS b FROM events_perf WHERE link_type = 'direct')
+SELECT CAST(tone AS INTEGER) AS tone, count(*) AS n, {r6('avg(a)', 'mean_5')}, {r6(XT.format(c='a'), 't_5')}, {r6('avg(b)', 'mean_10')}, {r6(XT.format(c='b'), 't_10')} FROM g GROUP BY 1 HAVING count(*) >= 3"""))
+def g9_tone_split(s: SparkSession, d: str) -> DataFrame:
+    p = fr.performance(s, d).withColumn("tone", F.signum("tone").cast("int"))
+    out = p.groupBy("tone").agg(F.count("*").alias("n"), F.avg("excess_5d").alias("mean_5"), st.t_stat("excess_5d", 3).alias("t_5"), F.avg("excess_10d").alias("mean_10"), st.t_stat("excess_10d", 3).alias("t_10")).where("n >= 3")
+    return rounded(out, "mean_5", "t_5", "mean_10", "t_10")
+
+
+HP = """rr AS (SELECT stock_id, date, close / lag(close) OVER (PARTITION BY stock_id ORDER BY date) - 1 AS r FROM prices), hp AS (SELECT stock_id, keyword, date, heat, r FROM heat_px JOIN rr USING (date) WHERE r IS NOT NULL AND length(stock_id) = 4 AND stock_id < '1050' AND stock_id <> '0050')"""
+
+
+def _heat_returns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = rt.price_features(ad.prices(s, d)).select("stock_id", "date", F.col("return_1d").alias("r")).where("stock_id < '1050' and stock_id <> '0050' and length(stock_id) = 4")
+    return ad.heat_px(s, d), p
+
+
+COR = "covar_samp(heat, r) / nullif(stddev_samp(heat) * stddev_samp(r), 0)"
+
+
+@book.add(ad.sql("heat_px prices", f"{HP} SELECT stock_id, keyword, count(*) AS n, {r6(COR, 'r')} FROM hp GROUP BY 1, 2 HAVING count(*) >= 5"))
+def g10_heat_price(s: SparkSession, d: str) -> DataFrame:
+    return rounded(st.heat_price(*_heat_returns(s, d)), "r")
+
+
+CROSS = f"""{HP}, od AS (SELECT *, row_number() OVER (PARTITION BY stock_id, keyword ORDER BY date) AS k FROM hp), lg AS (SELECT a.stock_id, a.keyword, l.l AS lag, count(*) AS n, {r6(COR.replace('heat', 'a.heat').replace(', r)', ', b.r)').replace('(r)', '(b.r)'), 'c')} FROM od a CROSS JOIN (SELECT unnest(range(-10, 11)) AS l) l JOIN od b ON a.stock_id = b.stock_id AND a.keyword = b.keyword AND b.k = a.k + l.l GROUP BY 1, 2, 3),
+bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id, keyword ORDER BY -abs(c), abs(lag), lag) AS q FROM lg WHERE n >= 30 AND c IS NOT NULL) WHERE q = 1)"""
+
+
+@book.add(ad.sql("heat_px prices", f"{CROSS} SELECT stock_id, keyword, lag AS best_lag, c AS r, n FROM bst"))
+def g11_cross_correlation(s: SparkSession, d: str) -> DataFrame:
+    return st.cross_correlation(*_heat_returns(s, d))
+
+
+@book.add(ad.sql("heat_px prices", f"""{CROSS}, sd AS (SELECT stock_id, keyword, {r6(COR, 'same_day')} FROM hp GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT b.stock_id, b.keyword, lag AS best_lag, c AS r, n, same_day, CASE WHEN n >= 90 AND abs(c) >= .6 THEN 'A' WHEN n >= 60 AND abs(c) >= .4 THEN 'B' WHEN n >= 30 AND abs(c) >= .3 THEN 'C' END AS grade FROM bst b LEFT JOIN sd USING (stock_id, keyword)"""))
+def g12_theme_cross(s: SparkSession, d: str) -> DataFrame:
+    return rounded(st.theme_cross(*_heat_returns(s, d)), "same_day")
+
+
+DAYS = "td AS (SELECT t.*, CAST(published_at AS DATE) AS date, l.theme_name FROM trends t JOIN (SELECT DISTINCT keyword, theme_name FROM links WHERE link_type = 'direct') l USING (keyword)), nd AS (SELECT n.*, td.date, td.theme_name, td.keyword FROM news n JOIN td USING (trend_id))"
+
+
+def themed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trends and news with their day and theme, and links."""
+    links = ad.links(s, d)
+    t = ad.trends(s, d).join(links.where("link_type = 'direct'").select("keyword", "theme_name").distinct(), "keyword").withColumn("date", F.to_date("published_at"))
+    return t, ad.news(s, d).join(t.select("trend_id", "keyword", "date", "theme_name"), "trend_id"), links
+
+
+@book.add(ad.sql("trends links news heat_px", f"""{DAYS}, a AS (SELECT date, theme_name, count(DISTINCT keyword) AS keywords, count(DISTINCT trend_id) AS trends FROM td GROUP BY 1, 2), b AS (SELECT date, theme_name, count(DISTINCT news_id) AS news FROM nd GROUP BY 1, 2),
+c AS (SELECT date, keyword AS theme_name, avg(heat) AS avg_score, max(heat) AS max_score FROM heat_px GROUP BY 1, 2), s AS (SELECT theme_name, count(DISTINCT stock_id) AS stocks FROM links GROUP BY 1), k AS (SELECT date, theme_name FROM a UNION SELECT date, theme_name FROM b UNION SELECT date, theme_name FROM c)
+SELECT k.date, k.theme_name, coalesce(keywords, 0) AS keywords, coalesce(trends, 0) AS trends, coalesce(news, 0) AS news, coalesce(stocks, 0) AS stocks, coalesce({r6('avg_score').split(' AS ')[0]}, 0) AS avg_score, coalesce(max_score, 0) AS max_score
+FROM k LEFT JOIN a ON a.date = k.date AND a.theme_name = k.theme_name LEFT JOIN b ON b.date = k.date AND b.theme_name = k.theme_name LEFT JOIN c ON c.date = k.date AND c.theme_name = k.theme_name LEFT JOIN s ON s.theme_name = k.theme_name"""))
+def g13_theme_daily_stats(s: SparkSession, d: str) -> DataFrame:
+    t, n, links = themed(s, d)
+    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("trend_score"))
+    return rounded(cv.theme_daily_stats(t, n, heat, links), "avg_score")
+
+
+@book.add(ad.sql("trends links news", f"""{DAYS}, th AS (SELECT DISTINCT theme_name FROM links UNION SELECT 'none') SELECT th.theme_name, (SELECT count(DISTINCT trend_id) FROM td WHERE td.theme_name = th.theme_name) AS trends, (SELECT count(DISTINCT news_id) FROM nd WHERE nd.theme_name = th.theme_name) AS news FROM th"""))
+def g14_theme_coverage(s: SparkSession, d: str) -> DataFrame:
+    t, n, links = themed(s, d)
+    themes = links.select("theme_name").union(s.range(1).select(F.lit("none")))
+    return cv.theme_coverage(themes, t, n)
+
+
+CLASS = "cl AS (SELECT c_name AS keyword, CASE WHEN c_custkey % 4 = 0 THEN '其他' ELSE c_mktsegment END AS theme_name, CASE WHEN c_custkey % 4 = 0 THEN 'fallback' ELSE 'rule' END AS source, CAST(c_custkey % 7 = 0 AS INTEGER) AS need_review, c_acctbal / 10000 AS confidence_score, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) END AS canonical_keyword FROM customer WHERE c_custkey % 5 <> 0)"
+
+
+def classes(s: SparkSession, d: str) -> DataFrame:
+    """Keyword classes: a fifth of the keywords has none, a quarter of the rest is a fallback."""
+    k = F.col("c_custkey")
+    other = k % 4 == 0
+    return ad.table(s, d, "customer").where(k % 5 != 0).select(F.col("c_name").alias("keyword"), F.when(other, "其他").otherwise(F.col("c_mktsegment")).alias("theme_name"), F.when(other, "fallback").otherwise("rule").alias("source"), (k % 7 == 0).cast("int").alias("need_review"), (F.col("c_acctbal") / 10000).alias("confidence_score"), F.when(k % 3 == 0, F.upper("c_name")).alias("canonical_keyword"))
+
+
+@book.add(ad.sql("trends", f"{CLASS} SELECT t.keyword, count(DISTINCT trend_id) AS trends FROM trends t WHERE t.keyword NOT IN (SELECT keyword FROM cl WHERE theme_name <> '其他') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"))
+def g15_top_unclassified(s: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    from heedstream.operators.resolve import pending
+
+    return pending(ad.trends(s, d), classes(s, d), 50)
+
+
+@book.add(ad.sql("trends", f"{CLASS}, en AS (SELECT DISTINCT keyword FROM cl WHERE need_review = 0), k AS (SELECT DISTINCT keyword FROM trends) SELECT count(*) AS keywords, count(en.keyword) AS resolved, count(*) - count(en.keyword) AS unresolved FROM k LEFT JOIN en USING (keyword)"))
+def g16_entity_coverage(s: SparkSession, d: str) -> DataFrame:
+    e = classes(s, d).select(F.col("keyword").alias("entity_name"), F.when(F.col("need_review") == 0, "上市公司").otherwise("其他").alias("entity_type"))
+    return cv.entity_coverage(ad.trends(s, d), e)
+
+
+@book.add(ad.sql("trends", f"{CLASS}, k AS (SELECT DISTINCT keyword FROM trends) SELECT count(*) AS total, count(*) FILTER (theme_name <> '其他') AS classified, {r6('count(*) FILTER (theme_name <> $$其他$$) * 100.0 / count(*)', 'coverage_pct')}, count(*) FILTER (need_review = 1) AS need_review FROM k LEFT JOIN cl USING (keyword)"))
+def g17_quality_summary(s: SparkSession, d: str) -> DataFrame:
+    return rounded(cv.quality_summary(ad.trends(s, d), classes(s, d)), "coverage_pct")
+
+
+SHARES = ", ".join(f"count(*) FILTER (news_sentiment = '{t}') AS {t.lower()}_n, {r6(f'count(*) FILTER (news_sentiment = $${t}$$) * 100.0 / nullif(count(news_sentiment), 0)', f'{t.lower()}_pct')}" for t in ex.SENTIMENTS)
+
+
+@book.add(ad.sql("news", f"SELECT news_source, count(*) AS total, count(news_sentiment) AS analyzed, count(*) - count(news_sentiment) AS unanalyzed, {SHARES}, {r6('count(news_sentiment) * 100.0 / count(*)', 'coverage_pct')}, count(news_sentiment) * 100.0 / count(*) < 20 AS low_coverage FROM news GROUP BY 1"))
+def g18_sentiment_shares(s: SparkSession, d: str) -> DataFrame:
+    return rounded(st.sentiment_shares(ad.news(s, d), ["news_source"]), "positive_pct", "neutral_pct", "negative_pct", "coverage_pct")
+
+
+@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, e AS (SELECT * FROM events_perf WHERE link_type = 'direct'), m20 AS (SELECT theme_name, max(n) / sum(n) AS x FROM (SELECT theme_name, ma20_breakout_day, count(*) AS n FROM e WHERE ma20_breakout_day IS NOT NULL GROUP BY 1, 2) GROUP BY 1), m60 AS (SELECT theme_name, max(n) / sum(n) AS x FROM (SELECT theme_name, ma60_breakout_day, count(*) AS n FROM e WHERE ma60_breakout_day IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+v AS (SELECT theme_name, avg(CASE WHEN reaction_days BETWEEN 0 AND 30 THEN 1.0 ELSE 0.0 END) * 100 AS ok FROM e WHERE reaction_days IS NOT NULL GROUP BY 1)
+SELECT theme_name, {r6('ok', 'reaction_days_valid_pct')}, {r6('m20.x', 'ma20_share')}, m20.x > 0.35 AS ma20_warning, {r6('m60.x', 'ma60_share')}, m60.x > 0.35 AS ma60_warning FROM v JOIN m20 USING (theme_name) JOIN m60 USING (theme_name)"""))
+def g19_quality_check(s: SparkSession, d: str) -> DataFrame:
+    p = fr.performance(s, d)
+    v = p.where("reaction_days is not null").groupBy("theme_name").agg((F.avg(F.col("reaction_days").between(0, 30).cast("double")) * 100).alias("reaction_days_valid_pct"))
+    for n in (20, 60):
+        m = st.modal_share(p, f"ma{n}_breakout_day", ["theme_name"]).withColumnRenamed(f"ma{n}_breakout_day_modal_share", f"ma{n}_share")
+        v = v.join(m, "theme_name").withColumn(f"ma{n}_warning", F.col(f"ma{n}_share") > 0.35)
+    return rounded(v, "reaction_days_valid_pct", "ma20_share", "ma60_share")
+
+
+@book.add(ad.sql("news", "SELECT news_title AS title, news_title AS summary, news_source AS source, news_sentiment AS sentiment FROM news WHERE news_sentiment IS NOT NULL ORDER BY news_id LIMIT 20"))
+def g20_verification_sample(s: SparkSession, d: str) -> DataFrame:
+    return cv.verification_sample(ad.news(s, d))
+
+
+@book.add(ad.sql("trends links news", f"{DAYS} SELECT theme_name, date, {', '.join(f'count(*) FILTER (news_sentiment = $${t}$$) AS {t.lower()}' for t in ex.SENTIMENTS)}, count(*) FILTER (news_sentiment IS NULL) AS unanalyzed FROM nd GROUP BY 1, 2"))
+def g21_daily_tone(s: SparkSession, d: str) -> DataFrame:
+    return cv.daily_tone(themed(s, d)[1], ["theme_name", "date"])
+
+
+@book.add(ad.sql("links prices", "SELECT stock_id, count(DISTINCT keyword) FILTER (link_type = 'direct') AS direct, count(DISTINCT keyword) FILTER (link_type = 'theme') AS theme, count(DISTINCT keyword) FILTER (link_type = 'direct') + count(DISTINCT keyword) FILTER (link_type = 'theme') AS total FROM links WHERE active = 1 AND stock_id <> '0050' AND stock_id IN (SELECT stock_id FROM prices) GROUP BY 1"))
+def g22_stock_options(s: SparkSession, d: str) -> DataFrame:
+    return cv.stock_options(ad.links(s, d), ad.prices(s, d), ad.BENCHMARK)
+
+
+@book.add(ad.sql("trends links news heat_px prices", f"""{DAYS}, hd AS (SELECT max(date) AS x FROM heat_px), h AS (SELECT keyword AS theme_name, avg(heat) FILTER (x - date < 7) AS a, avg(heat) FILTER (x - date BETWEEN 7 AND 13) AS b FROM heat_px, hd GROUP BY 1),
+nx AS (SELECT max(date) AS x FROM nd), n AS (SELECT theme_name, sum(CASE news_sentiment WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END) AS tone FROM nd, nx WHERE x - date < 7 GROUP BY 1),
+l AS (SELECT stock_id, max(close) FILTER (k = 1) / max(close) FILTER (k = 11) - 1 AS mv FROM (SELECT stock_id, close, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS k FROM prices) GROUP BY 1), b AS (SELECT theme_name, avg(mv) AS basket FROM (SELECT DISTINCT theme_name, stock_id FROM links WHERE link_type = 'theme') JOIN l USING (stock_id) WHERE mv IS NOT NULL GROUP BY 1)
+SELECT theme_name, {r6('a', 'heat_now')}, {r6('h.b', 'heat_before')}, CAST(coalesce(tone, 0) AS BIGINT) AS tone, {r6('basket', 'basket_10d')} FROM h FULL JOIN n USING (theme_name) FULL JOIN b USING (theme_name)"""))
+def g23_market_radar(s: SparkSession, d: str) -> DataFrame:
+    _, n, links = themed(s, d)
+    baskets = links.where("link_type = 'theme'").groupBy("theme_name").agg(F.collect_set("stock_id").alias("stock_ids"))
+    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("trend_score"))
+    return rounded(cv.market_radar(heat, n, ad.prices(s, d), baskets), "heat_now", "heat_before", "basket_10d")
+
+
+@book.add(ad.sql("trends links news", f"{DAYS} SELECT date, theme_name, keyword, news_id, news_title, coalesce(news_source, 'unknown') AS news_source, coalesce(news_sentiment, 'Unanalyzed') AS news_sentiment FROM nd WHERE trim(news_title) <> ''"))
+def g24_timeline(s: SparkSession, d: str) -> DataFrame:
+    _, n, links = themed(s, d)
+    return cv.timeline(n.drop("theme_name"), links.where("link_type = 'direct'").select("keyword", "theme_name").distinct())
+
+
+@book.add(ad.sql("trends links news prices", f"""fe AS (SELECT stock_id, date, CAST(volume AS DOUBLE) / lag(volume) OVER w - 1 AS vc, lead(close, 5) OVER w / close - 1 AS fr FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)), tn AS (SELECT trend_id, arg_min(news_sentiment, news_id) AS sentiment FROM news GROUP BY 1),
+ev AS (SELECT t.trend_id AS event_id, l.stock_id, CAST(t.published_at AS DATE) AS date, t.approx_traffic, tn.sentiment FROM trends t JOIN links l USING (keyword) LEFT JOIN tn USING (trend_id) WHERE l.link_type = 'direct'),
+al AS (SELECT ev.*, f.vc, f.fr, CAST(regexp_extract(approx_traffic, '([\\d.]+)', 1) AS DOUBLE) * 1000 AS tr FROM ev ASOF JOIN fe f ON ev.stock_id = f.stock_id AND ev.date <= f.date),
+rk AS (SELECT *, (rank() OVER (ORDER BY tr) + (count(*) OVER (PARTITION BY tr) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100 AS heat, coalesce(avg(CASE WHEN fr IS NOT NULL THEN CAST(fr > 0 AS DOUBLE) END) OVER (PARTITION BY stock_id ORDER BY date, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) * 100 AS win FROM al),
+sc AS (SELECT *, heat * 0.35::DOUBLE + (greatest(-1, least(3, coalesce(vc, 0))) + 1) / 4 * 100 * 0.25::DOUBLE + CASE sentiment WHEN 'Positive' THEN 100.0::DOUBLE WHEN 'Negative' THEN 0 ELSE 50 END * 0.15::DOUBLE + win * 0.25::DOUBLE AS x FROM rk)
+SELECT event_id, stock_id, {r6('win', 'historical_win_rate')}, floor(x * 10 + 0.500001) / 10 AS signal_score FROM sc"""))
+def g25_signal_scores(s: SparkSession, d: str) -> DataFrame:
+    t = ad.trends(s, d).join(ad.links(s, d).where("link_type = 'direct'"), "keyword")
+    tone = ad.news(s, d).where("news_sentiment is not null").groupBy("trend_id").agg(F.min_by("news_sentiment", "news_id").alias("news_sentiment"))
+    e = t.join(tone, "trend_id", "left").select(F.col("trend_id").alias("event_id"), "stock_id", F.to_date("published_at").alias("date"), "approx_traffic", "news_sentiment")
+    features = rt.price_features(ad.prices(s, d)).select("stock_id", "date", "volume_change", "future_return_5d")
+    met = rt.align(e, features).where("day0 is not null").select(*e.columns, "day0.volume_change", "day0.future_return_5d")
+    return rounded(st.signal_scores(met).select("event_id", "stock_id", "historical_win_rate", "signal_score"), "historical_win_rate")
+
+
+@book.add(ad.sql("trends links news prices", f"""{CLASS}, k AS (SELECT DISTINCT t.keyword, source, theme_name FROM trends t LEFT JOIN cl USING (keyword)), r AS (SELECT (SELECT count(*) FROM k) AS total_keywords, (SELECT count(source) FROM k) AS classified_keywords, (SELECT count(*) FROM k WHERE source IS NULL OR source = 'fallback') AS unclassified_keywords, (SELECT count(*) FROM trends) AS event_count,
+(SELECT max(published_at) FROM trends) AS latest_trend_at, (SELECT min(published_at) FROM trends) AS earliest_trend_at, (SELECT count(*) FROM news) AS total_news, (SELECT count(news_sentiment) FROM news) AS analyzed_news, (SELECT count(*) FROM prices) AS stock_rows, (SELECT max(date) FROM prices) AS latest_stock_date, (SELECT count(DISTINCT theme_name) FROM links) AS theme_count, (SELECT count(DISTINCT stock_id) FROM links) AS tracked_stock_count)
+SELECT *, CASE WHEN latest_trend_at < {NOW} - INTERVAL 24 HOUR THEN 'stale' ELSE 'pending' END AS health FROM r"""))
+def g32_system_status(s: SparkSession, d: str) -> DataFrame:
+    t = ad.trends(s, d).withColumn("fetched_at", F.col("published_at"))
+    return cv.system_status(t, ad.news(s, d), classes(s, d), ad.prices(s, d), ad.links(s, d), now())
+
+
+LIGHT = "CASE WHEN max({c}) < TIMESTAMP '1999-06-01' - INTERVAL 24 HOUR THEN 'red' WHEN max({c}) >= TIMESTAMP '1999-06-01' - INTERVAL 1 HOUR THEN 'green' ELSE 'yellow' END AS light"
+
+
+@book.add(f"""SELECT 'orders' AS table_name, count(*) AS rows, {LIGHT.format(c='o_orderdate')} FROM orders UNION ALL SELECT 'lineitem', count(*), {LIGHT.format(c='l_shipdate')} FROM lineitem UNION ALL SELECT 'events', count(*), {LIGHT.format(c='ts')} FROM events""")
+def g33_table_counts(s: SparkSession, d: str) -> DataFrame:
+    """Row counts, and a light by the age of the newest row at a fixed time."""
+    tables = {n: ad.table(s, d, n) for n in ("orders", "lineitem", "events")}
+    counts = cv.table_counts(tables)
+    newest = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+    ages = None
+    for n, c in newest.items():
+        one = tables[n].agg(F.lit(n).alias("table_name"), (F.lit(F.unix_timestamp(F.expr("timestamp '1999-06-01'"))) - F.unix_timestamp(F.max(F.col(c).cast("timestamp")))).alias("age"))
+        ages = one if ages is None else ages.union(one)
+    return counts.join(ages, "table_name").select("table_name", "rows", cv.live_light(F.col("age") / 60, 60, 24 * 60).alias("light"))
+
+
+@book.add(ad.sql("trends", """SELECT 'trends' AS table_name, count(*) AS rows FROM trends WHERE published_at >= TIMESTAMP '1997-03-04 16:00:00' AND published_at < TIMESTAMP '1997-03-05 16:00:00' UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-04 16:00:00' AND l_shipdate < TIMESTAMP '1997-03-05 16:00:00'"""))
+def g34_new_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows of one Taipei day by pushable UTC ranges."""
+    start = ex.day_start_utc(F.lit("1997-03-05").cast("date")).cast("timestamp_ntz")
+    end = ex.day_start_utc(F.lit("1997-03-06").cast("date")).cast("timestamp_ntz")
+    return cv.new_rows({"trends": (ad.trends(s, d), "published_at"), "lines": (ad.table(s, d, "lineitem"), "l_shipdate")}, start, end)
+
+
+@book.add(ad.sql("links heat_px", """p AS (SELECT theme_name, keyword, max(CAST(link_type = 'direct' AS INTEGER)) AS direct FROM links GROUP BY 1, 2), f AS (SELECT DISTINCT o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-07-28'), g AS (SELECT DISTINCT c_name AS keyword FROM f JOIN customer ON c_custkey = o_custkey)
+SELECT count(*) AS active, count(g.keyword) AS fresh, count(*) FILTER (direct = 1) AS direct, count(g.keyword) FILTER (direct = 1) AS direct_fresh FROM p LEFT JOIN g USING (keyword)"""))
+def g34_heat_coverage(s: SparkSession, d: str) -> DataFrame:
+    heat = ad.trends(s, d).select("keyword", F.to_date("published_at").alias("date"))
+    return cv.heat_coverage(ad.links(s, d), heat, F.lit("1998-07-31").cast("date"))
+
+
+@book.add()
+def g35_component_health(s: SparkSession, d: str) -> DataFrame:
+    """G35 at several moments of the data's last days."""
+    newest = ad.trends(s, d).agg(F.max("published_at").cast("timestamp").alias("t"))
+    stock = ad.prices(s, d).agg(F.max("date").alias("stock_day"))
+    cover = g34_heat_coverage(s, d).select("fresh", "active")
+    facts = newest.crossJoin(stock).crossJoin(cover).select(F.explode(F.array(*[F.col("t") + F.make_interval(mins=F.lit(m)) for m in (10, 90, 600, 3000)])).alias("now"), "t", "stock_day", "fresh", "active")
+    facts = facts.select("now", ((F.unix_timestamp("now") - F.unix_timestamp("t")) / 60).alias("rss_minutes"), F.lit(0).alias("warnings"), "stock_day", F.to_date("t").alias("heat_day"), "fresh", "active", ((F.unix_timestamp("now") - F.unix_timestamp("t")) / 3600).alias("etl_hours"), F.lit(0).alias("etl_exit"))
+    return cv.component_health(facts).select("now", "rss", "stocks", "trends", "etl", "score")
+
+
+@book.add(ad.sql(fr.ALL, f"{qr.VOL}, {fr.QUIET_SQL}, ed AS (SELECT q.keyword, l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 AS INTEGER) AS date FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct') SELECT ed.keyword, ed.stock_id, ed.date, {r6('before')}, {r6('after5')} FROM ed LEFT JOIN vt ON vt.stock_id = ed.stock_id AND vt.date = ed.date"))
+def g36_volatility_at_events(s: SparkSession, d: str) -> DataFrame:
+    v = rt.volatility(qr.dense(s, d), ad.BENCHMARK)
+    return rounded(cv.volatility_at(qr.dense_events(s, d).drop("tone"), v).select("keyword", "stock_id", "date", "before", "after5"), "before", "after5")
+
+
+@book.add(ad.sql("prices", f"{qr.VOL} SELECT stock_id, {r6('arg_max(ratio, date)', 'ratio')}, max(date) AS date, CASE WHEN arg_max(ratio, date) >= 1.5 THEN 'high' WHEN arg_max(ratio, date) >= 1.2 THEN 'raised' WHEN arg_max(ratio, date) > 0.8 THEN 'normal' ELSE 'calm' END AS level FROM vt WHERE ratio IS NOT NULL GROUP BY 1"))
+def g36_latest_ratio(s: SparkSession, d: str) -> DataFrame:
+    """G36 and F16."""
+    out = cv.latest_ratio(rt.volatility(qr.dense(s, d), ad.BENCHMARK)).withColumn("level", ex.volatility_level(F.col("ratio")))
+    return rounded(out, "ratio")
+
+
+@book.add(ad.sql("heat_px links", "x AS (SELECT l.stock_id, h.keyword || (l.active + 0) AS k, h.keyword, max(heat) AS peak FROM heat_px h JOIN (SELECT DISTINCT theme_name, stock_id, active FROM links) l ON l.theme_name = h.keyword GROUP BY 1, 2, 3), r AS (SELECT stock_id, keyword, peak, row_number() OVER (PARTITION BY stock_id ORDER BY peak DESC, keyword) AS rank FROM x) SELECT * FROM r WHERE rank <= 5"))
+def g42_top_keywords(s: SparkSession, d: str) -> DataFrame:
+    heat = ad.heat_px(s, d).join(ad.links(s, d).select(F.col("theme_name").alias("keyword"), "stock_id").distinct(), "keyword")
+    return cv.top_keywords(heat).select("stock_id", "keyword", "peak", "rank")
+
+
+@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL} SELECT stock_id, count(*) AS events, {r6('avg(excess_10d)', 'mean_excess')}, {r6('any_value(normal_10d)', 'normal')}, {r6('avg(excess_10d) - any_value(normal_10d)', 'difference')}, {r6('avg(return_10d)', 'mean_return')},
+CASE WHEN avg(excess_10d) - any_value(normal_10d) > 0.01 THEN 'better' WHEN avg(excess_10d) - any_value(normal_10d) < -0.01 THEN 'worse' WHEN avg(excess_10d) IS NOT NULL THEN 'same' END AS verdict FROM events_perf WHERE link_type = 'direct' AND date >= DATE '1996-01-01' GROUP BY 1"""))
+def g43_stock_headlines(s: SparkSession, d: str) -> DataFrame:
+    """Events of a period by stock against its normal level."""
+    p = fr.performance(s, d).where("date >= date '1996-01-01'")
+    out = p.groupBy("stock_id").agg(F.count("*").alias("events"), F.avg("excess_10d").alias("mean_excess"), F.first("normal_10d").alias("normal"), F.avg("return_10d").alias("mean_return"))
+    out = out.withColumn("difference", F.col("mean_excess") - F.col("normal")).withColumn("verdict", ex.against_normal(F.col("mean_excess"), F.col("normal")))
+    return rounded(out, "mean_excess", "normal", "difference", "mean_return")
+
+
+@book.add(ad.sql("trends news", "n AS (SELECT n.*, t.published_at FROM news n JOIN trends t USING (trend_id)) SELECT 'news' AS measure, 'total' AS label, count(*) AS value FROM n UNION ALL SELECT 'news', 'last_day', count(*) FROM n WHERE published_at >= TIMESTAMP '1998-07-01 12:00:00' UNION ALL SELECT 'sentiment', coalesce(news_sentiment, 'Unanalyzed'), count(*) FROM n GROUP BY 2"))
+def l5_snapshot(s: SparkSession, d: str) -> DataFrame:
+    n = ad.news(s, d).join(ad.trends(s, d).select("trend_id", "published_at"), "trend_id")
+    return cv.snapshot(n, F.expr("timestamp '1998-07-02 12:00:00'"))
+
+
 QUERIES, ORACLES = book.queries, book.oracles
