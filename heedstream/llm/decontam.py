@@ -1,11 +1,15 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are lower-cased and every run of characters other
-than letters and digits becomes one space. An item of n characters has an
+Texts and test items are lower-cased and every run of ASCII characters
+other than letters and digits becomes one space; other characters stay. An item of n characters has an
 error budget e = floor(rate * n) and is split into e + 1 pieces: if some
 stretch of a text is within e edits of the item, at least one piece occurs
-in it unchanged. An automaton finds all piece hits in whole texts, and each
-hit's surroundings are verified with Myers' bit-parallel edit distance.
+in it unchanged. An automaton finds all piece hits in whole texts. A hit is
+verified with Myers' bit-parallel edit distance, first together with its
+neighbour pieces and then in ever larger parts of the item: j pieces with at
+most j - 1 edits always have a half of which the same holds, so a hit whose
+surroundings fail on the way up belongs to no match. The whole item's
+distance decides.
 
 Null and empty texts match nothing, as do items without letters or digits.
 Items with equal ids are separate rows that are reported under their id
@@ -15,7 +19,6 @@ with the least distance. Repeated documents are reported once each id.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,11 +29,13 @@ from pyspark.sql import functions as F
 RATE = 0.1
 #: Characters of items that one pass holds in memory; more items take more passes.
 BLOCK_CHARS = 4_000_000
-_gaps = re.compile(r"[\W_]+").sub
+
+
+_BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def normalise(text: str | None) -> str:
-    return _gaps(" ", text.lower()).strip() if text else ""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).split()).decode("utf-8", "surrogatepass") if text else ""
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -71,20 +76,61 @@ class Pattern:
         return best
 
 
+def climb(first: int, end: int) -> dict[int, list[tuple[int, int]]]:
+    """For each piece the runs of pieces that hold it, from the smallest up to [first, end)."""
+    if end - first == 1:
+        return {first: []}
+    middle = (first + end) // 2
+    return {k: [*runs, (first, end)] for half in (climb(first, middle), climb(middle, end)) for k, runs in half.items()}
+
+
+class Item:
+    """A test item: its pieces, its budget and the parts that a hit is verified with."""
+
+    def __init__(self, item_id: int, text: str, rate: float) -> None:
+        self.item_id, self.text = item_id, text
+        self.budget = math.floor(rate * len(text))
+        self.pieces = pieces(text, self.budget)
+        self.whole = Pattern(text)
+        self.parts: dict[tuple[int, int], Pattern] = {}
+        ends = [*(offset for offset, _ in self.pieces), len(text)]
+        self.ways = {k: [(ends[a], ends[b], b - a - 1, (a, b)) for a, b in runs[:-1]] for k, runs in climb(0, len(self.pieces)).items()}
+        # what surrounds a piece in its smallest part has at most the part's edits: one of so many and one stretches is unchanged
+        self.near = {k: [x for lo, hi in ((way[0][0], ends[k]), (ends[k + 1], way[0][1])) if hi > lo for _, x in pieces(text[lo:hi], way[0][2])] for k, way in self.ways.items() if way}
+
+    def part(self, key: tuple[int, int], a: int, b: int) -> Pattern:
+        if key not in self.parts:
+            self.parts[key] = Pattern(self.text[a:b])
+        return self.parts[key]
+
+    def passes(self, text: str, start: int, k: int) -> bool:
+        """Whether the parts around piece k, hit where the item would begin at ``start``, keep to their budgets."""
+        if way := self.ways[k]:
+            a, b, budget, _ = way[0]
+            stretch = text[max(0, start + a - budget) : start + b + budget]
+            for x in self.near[k]:
+                if x in stretch:
+                    break
+            else:
+                return False
+        for a, b, budget, key in self.ways[k]:
+            if self.part(key, a, b).least(text[max(0, start + a - budget) : start + b + budget], budget) > budget:
+                return False
+        return True
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str | None]], rate: float) -> None:
         import ahocorasick
 
-        self.items, self.rate = [], rate
-        found: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            item = normalise(text)
-            if not item:
-                continue
-            budget = math.floor(rate * len(item))
-            for offset, piece in pieces(item, budget):
-                found.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, item, budget, Pattern(item)))
+        self.items: list[Item] = []
+        found: dict[str, list[tuple[int, int, int]]] = {}
+        for item_id, raw in items:
+            if form := normalise(raw):
+                item = Item(item_id, form, rate)
+                for k, (offset, piece) in enumerate(item.pieces):
+                    found.setdefault(piece, []).append((len(self.items), offset, k))
+                self.items.append(item)
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -92,48 +138,38 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not found
 
-    def match(self, raw: str | None) -> dict[int, tuple[int, int]]:
-        """item id -> (least distance, budget) within one text."""
-        text = normalise(raw)
+    def match(self, text: str | None) -> dict[int, tuple[int, int]]:
+        """item id -> (least distance, budget) within one normalised text."""
         out: dict[int, tuple[int, int]] = {}
         if self.empty or not text:
             return out
-        places: dict[int, set[int]] = {}
+        seen: dict[int, list[int]] = {}
+        best: dict[int, int] = {}
         for end, (size, owners) in self.automaton.iter(text):
-            for k, offset in owners:
-                places.setdefault(k, set()).add(end + 1 - size - offset)
-        for k, starts in places.items():
-            item_id, item, budget, pattern = self.items[k]
-            best, limit = budget + 1, out.get(item_id, (budget + 1, 0))[0]
-            for a, b in _regions(sorted(starts), len(item), budget):
-                stretch = text[max(0, a) : b]
-                if item in stretch:
-                    best = 0
-                else:
-                    best = min(best, pattern.least(stretch))
-                if best == 0:
-                    break
-            if best <= budget and best < limit:
-                out[item_id] = (best, budget)
+            for n, offset, k in owners:
+                if best.get(n) == 0:
+                    continue
+                item, start = self.items[n], end + 1 - size - offset
+                budget = item.budget
+                if any(-budget <= start - s <= budget for s in seen.get(n, ())):
+                    continue
+                if text.startswith(item.text, start) if start >= 0 else False:
+                    best[n] = 0
+                    continue
+                if not item.passes(text, start, k):
+                    continue
+                # wide enough for every hit within the budget of this one
+                seen.setdefault(n, []).append(start)
+                distance = item.whole.least(text[max(0, start - 2 * budget) : start + len(item.text) + 2 * budget])
+                if distance <= budget:
+                    best[n] = min(distance, best.get(n, distance))
+        for n, distance in best.items():
+            item = self.items[n]
+            if distance < out.get(item.item_id, (distance + 1, 0))[0]:
+                out[item.item_id] = (distance, item.budget)
         return out
 
 
-def _regions(starts: list[int], size: int, budget: int) -> Iterator[tuple[int, int]]:
-    """Joined stretches that hold every match of ``size`` at about ``starts``."""
-    a = b = None
-    for s in starts:
-        x, y = s - budget, s + size + budget
-        if a is None:
-            a, b = x, y
-        elif x <= b - size:
-            b = max(b, y)
-        else:
-            yield a, b
-            a, b = x, y
-    if a is not None:
-        yield a, b
-
-
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``block_chars`` characters; one block is on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
@@ -153,11 +189,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
     return out
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str]:
+    for x in batch.column("text"):
+        yield normalise(x.as_py())
+
+
 def _scan(items: list[tuple[int, str]], rate: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, rate)
         for batch in batches:
-            rows = [(d, i, *found) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for i, found in matcher.match(t.as_py()).items()]
+            rows = [(d, i, *found) for d, t in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True) for i, found in matcher.match(t).items()]
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "budget"])
@@ -177,6 +218,6 @@ def _clean(items: list[tuple[int, str]], rate: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, rate)
         for batch in batches:
-            yield batch.filter(pa.array([not matcher.match(t.as_py()) for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([not matcher.match(t) for t in _texts(batch)], pa.bool_()))
 
     return run
