@@ -5,9 +5,11 @@ best score first and leftmost first among equals, names the next pair to
 merge; each merge puts at most two new pairs on the agenda. Characters
 outside the vocabulary fall back to byte pieces. The vocabulary holds no
 piece with a word mark behind another character, so words are independent
-of each other: each worker keeps the pieces of words it has met. In every
-Arrow batch the words new to the worker are also given to the sentencepiece
-library, and a difference raises an error.
+of each other: each worker keeps the pieces of words it has met, in two
+generations so that frequent words stay. Short words keep their agenda as a
+list of pair scores, long ones as a heap. In every Arrow batch the words new
+to the worker are also given to the sentencepiece library, and a difference
+raises an error.
 
 Nulls are empty texts; an empty text has no pieces and decodes to nothing.
 Texts are taken whole. Rows repeat in the output as in the input, other
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,8 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words a worker keeps before it starts anew; bounds memory only.
-KEPT_WORDS = 150_000
+#: Words of a generation that a worker keeps; bounds memory only. Symbols up to which the agenda is a list.
+KEPT_WORDS, SHORT = 300_000, 24
+
+
+NEVER = float("inf")
 
 
 class Model:
@@ -44,6 +50,7 @@ class Model:
         self.bytes = {i: int(names[i][3:5], 16) for i in range(size) if self.library.is_byte(i)}
         self.byte_id = {v: k for k, v in self.bytes.items()}
         self.rank = {n: (-self.library.get_score(i), i) for i, n in enumerate(names) if i not in self.special and i not in self.bytes}
+        self.score = {n: r[0] for n, r in self.rank.items()}.get
         many = {c for n in self.rank if len(n) > 1 for c in n}
         if any(MARK in n.lstrip(MARK) for n in self.rank):
             raise ValueError("pieces that hold a word mark behind other characters aren't supported")
@@ -51,11 +58,29 @@ class Model:
         gap = re.escape(alone)
         self.split = re.compile(f"[{gap}]|{MARK}*[^{MARK}{gap}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.kept: dict[str, str] = {}
-        self.back: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def merge(self, segment: str) -> list[int]:
         """Piece ids of one segment by the agenda."""
-        symbols = list(segment)
+        return self._ids(self._merge_short(list(segment)) if len(segment) <= SHORT else self._merge_long(list(segment)))
+
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        """The agenda as a list of scores: the least is the next pair, the leftmost of equal ones first."""
+        score, never = self.score, NEVER
+        agenda = [score(a + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := min(agenda)) < never:
+            i = agenda.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + symbols[i], never)
+            if i < len(agenda):
+                agenda[i] = score(symbols[i] + symbols[i + 1], never)
+        return symbols
+
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The agenda as a heap over a linked list of symbols."""
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         rank, agenda = self.rank, []
@@ -82,13 +107,15 @@ class Model:
                 offer(i, after[j])
             if before[i] >= 0:
                 offer(before[i], i)
+        return [s for s in symbols if s]
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         for s in symbols:
-            if s:
-                if s in rank:
-                    out.append(rank[s][1])
-                else:
-                    out.extend(self.byte_id[b] for b in s.encode())
+            if s in self.rank:
+                out.append(self.rank[s][1])
+            else:
+                out.extend(self.byte_id[b] for b in s.encode())
         return out
 
     def pieces_to_text(self, ids: list[int]) -> str:
@@ -110,35 +137,37 @@ class Model:
     def segments(self, text: str) -> list[str]:
         return self.split(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, new: set[str]) -> None:
-        """Merge the words of a batch that are new, and hold them against the library."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-            self.back.clear()
-            return
-        new = [s for s in new if s not in self.kept]
-        want = self.library.encode([s[1:].replace(MARK, " ") if s[0] == MARK and len(s) > 1 else "\n" + s.replace(MARK, " ") for s in new], num_threads=1)
-        for s, theirs in zip(new, want, strict=True):
+    def learn(self, new: list[str]) -> None:
+        """Merge words that are new, and hold them against the library."""
+        marked = [s[0] == MARK and len(s) > 1 for s in new]
+        want = self.library.encode([s[1:].replace(MARK, " ") if m else "\n" + s.replace(MARK, " ") for s, m in zip(new, marked, strict=True)], num_threads=1)
+        for s, m, theirs in zip(new, marked, want, strict=True):
             ids = self.merge(s)
-            if ids != (theirs if s[0] == MARK and len(s) > 1 else theirs[2:]):
+            if ids != (theirs if m else theirs[2:]):
                 raise ValueError(f"pieces of {s!r} differ from the library's: {ids}, {theirs}")
             self.kept[s] = ",".join(map(str, ids))
-            self.back[s] = self.pieces_to_text(ids)
+            if (back := self.pieces_to_text(ids)) != s.replace(MARK, " "):
+                self.odd[s] = back
 
     def batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by commas, decoded text) of each text."""
-        for text in texts:
-            parts = self.segments(text)
-            try:
-                ids = ",".join([self.kept[s] for s in parts])
-            except KeyError:
-                if len(self.kept) > KEPT_WORDS:
-                    self.kept.clear()
-                    self.back.clear()
-                self.learn(set(parts))
-                ids = ",".join([self.kept[s] for s in parts])
-            back = "".join([self.back[s] for s in parts])
-            yield ids, back[1:] if back[:1] == " " else back
+        parts = [self.segments(t) for t in texts]
+        if len(self.kept) > KEPT_WORDS:
+            self.older, self.kept = self.kept, {}
+        new = []
+        for s in set(itertools.chain.from_iterable(parts)).difference(self.kept):
+            if (known := self.older.get(s)) is None:
+                new.append(s)
+            else:
+                self.kept[s] = known
+        self.learn(new)
+        pick = self.kept.__getitem__
+        for text, own in zip(texts, parts, strict=True):
+            if self.odd and not self.odd.keys().isdisjoint(own):
+                back = "".join([self.odd.get(s, s.replace(MARK, " ")) for s in own])
+            else:  # every word decodes to itself
+                back = " " + text.replace(MARK, " ") if text else ""
+            yield ",".join(map(pick, own)), back[1:] if back[:1] == " " else back
 
     def encode(self, text: str) -> list[int]:
         ids = next(iter(self.batch([text])))[0]
