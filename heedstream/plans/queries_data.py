@@ -1,3 +1,561 @@
-from heedstream.plans._book import Book
+"""Registered queries: sources and upserts, scalar forms, resolution, repair and logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heedstream.functions import exprs as ex
+from heedstream.operators import logs as lg
+from heedstream.operators import repair as rp
+from heedstream.operators import resolve as rs
+from heedstream.operators import upsert as up
+from heedstream.plans._book import Book, r6, rounded
+from heedstream.plans.queries_stats import CLASS, classes
+from heedstream.sources import adapters as ad
+from heedstream.sources import feeds as fd
+
 book = Book()
+NTZ = "timestamp_ntz"
+
+
+# ---- sources and upserts ----
+
+def snapshots(s: SparkSession, d: str) -> DataFrame:
+    """Orders as feed snapshots, one a month, with their lines' parts as news; every eleventh item has no date, every thirteenth no keyword."""
+    o = ad.trends(s, d)
+    n = ad.news(s, d).groupBy("trend_id").agg(F.sort_array(F.collect_list(F.struct("news_id", "news_title"))).alias("n"))
+    day = F.date_format("published_at", "d MMM yyyy HH:mm:ss")
+    tag = lambda t, c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))
+    news = F.array_join(F.transform(F.coalesce("n", F.array().cast("array<struct<news_id:bigint,news_title:string>>")), lambda x: tag("news_item", F.concat(tag("news_item_title", x["news_title"]), tag("news_item_url", F.concat(F.lit("http://n/"), x["news_id"].cast("string")))))), "")
+    item = tag("item", F.concat(tag("title", F.when(F.col("trend_id") % 13 == 0, F.lit("")).otherwise(F.col("keyword"))), tag("approx_traffic", F.col("approx_traffic")), F.when(F.col("trend_id") % 11 == 0, F.lit("")).otherwise(tag("pubDate", F.concat(F.lit("Mon, "), day, F.lit(" -0800")))), news))
+    rows = o.join(n, "trend_id", "left").select(F.date_format("published_at", "yyyyMM").alias("batch"), item.alias("item"))
+    return rows.groupBy("batch").agg(F.concat(F.lit("<channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel>")).alias("xml")).withColumn("fetched_at", F.to_timestamp("batch", "yyyyMM"))
+
+
+@book.add(ad.sql("trends", "SELECT strftime(published_at, '%Y%m') AS batch, count(*) AS items, count(*) FILTER (trend_id % 13 = 0 OR trend_id % 11 = 0) AS skipped, count(DISTINCT CASE WHEN trend_id % 13 <> 0 AND trend_id % 11 <> 0 THEN keyword END) AS keywords, min(CASE WHEN trend_id % 13 <> 0 AND trend_id % 11 <> 0 THEN published_at + INTERVAL 8 HOUR END) AS first_published FROM trends GROUP BY 1"))
+def s1_feed_items(s: SparkSession, d: str) -> DataFrame:
+    items = fd.parse_feed(snapshots(s, d))
+    ok = lambda c: F.when(F.col("usable"), F.col(c))
+    return items.groupBy("batch").agg(F.count("*").alias("items"), F.count_if(~F.col("usable")).alias("skipped"), F.count_distinct(ok("keyword")).alias("keywords"), F.min(ok("published_at")).cast(NTZ).alias("first_published"))
+
+
+@book.add(ad.sql("trends news", "SELECT strftime(t.published_at, '%Y%m') AS batch, count(*) AS news, count(DISTINCT n.news_title) AS titles FROM news n JOIN trends t USING (trend_id) WHERE trend_id % 13 <> 0 AND trend_id % 11 <> 0 GROUP BY 1"))
+def s1_feed_news(s: SparkSession, d: str) -> DataFrame:
+    return fd.feed_news(fd.parse_feed(snapshots(s, d))).groupBy("batch").agg(F.count("*").alias("news"), F.count_distinct("news_title").alias("titles"))
+
+
+def polls(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two polls of keyword and segment: events of even days as the table, all of them again and newer as the batch."""
+    e = ad.table(s, d, "events").select(F.col("user_id").cast("string").alias("keyword"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("published_at"), F.col("ts").cast("timestamp").alias("fetched_at"), F.concat(F.floor("value").cast("string"), F.lit("+")).alias("approx_traffic"))
+    return e.where("day(published_at) % 2 = 0"), e.where("day(published_at) % 3 = 0")
+
+
+POLLS = "e AS (SELECT CAST(user_id AS VARCHAR) AS keyword, date_trunc('day', ts)::TIMESTAMP AS published_at, ts AS fetched_at, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '+' AS approx_traffic FROM events), o AS (SELECT * FROM e WHERE day(published_at) % 2 = 0), n AS (SELECT * FROM e WHERE day(published_at) % 3 = 0)"
+
+
+@book.add(f"WITH {POLLS} SELECT keyword, published_at, min(fetched_at) AS fetched_at, arg_max(approx_traffic, row(fetched_at, approx_traffic)) AS approx_traffic FROM (SELECT * FROM o UNION ALL SELECT * FROM n) GROUP BY 1, 2")
+def s2_trend_upsert(s: SparkSession, d: str) -> DataFrame:
+    out = up.upsert_trends(*polls(s, d))
+    return out.select("keyword", F.col("published_at").cast(NTZ).alias("published_at"), F.col("fetched_at").cast(NTZ).alias("fetched_at"), "approx_traffic")
+
+
+@book.add(ad.sql("news", """x AS (SELECT *, row_number() OVER (PARTITION BY trend_id, news_title ORDER BY news_id) AS k FROM news_raw WHERE news_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM news o WHERE o.news_id % 2 = 0 AND o.trend_id = news_raw.trend_id AND o.news_title = news_raw.news_title))
+SELECT trend_id, news_title, news_id FROM news WHERE news_id % 2 = 0 UNION ALL SELECT trend_id, news_title, news_id FROM x WHERE k = 1"""))
+def s3_news_insert(s: SparkSession, d: str) -> DataFrame:
+    old = ad.news(s, d).where("news_id % 2 = 0").select("trend_id", "news_title", "news_id")
+    new = ad.news_raw(s, d).where("news_id % 2 = 1").select("trend_id", "news_title", "news_id")
+    return up.insert_or_ignore(old, new, ["trend_id", "news_title"], [F.col("news_id")])
+
+
+@book.add(ad.sql("observations", "SELECT DISTINCT trend_id, date_trunc('hour', observed_at) AS observed_at FROM observations"))
+def s4_observation_log(s: SparkSession, d: str) -> DataFrame:
+    rows = ad.observations(s, d).select("trend_id", F.date_trunc("hour", "observed_at").cast(NTZ).alias("observed_at"))
+    return up.insert_or_ignore(rows.limit(0), rows, ["trend_id", "observed_at"], [F.col("observed_at")])
+
+
+@book.add(f"WITH {POLLS}, b AS (SELECT DISTINCT strftime(fetched_at, '%Y%m%d') AS batch, keyword, published_at FROM n), f AS (SELECT b.*, o.keyword IS NULL AND row_number() OVER (PARTITION BY b.keyword, b.published_at ORDER BY batch) = 1 AS fresh FROM b LEFT JOIN (SELECT DISTINCT keyword, published_at FROM o) o ON o.keyword = b.keyword AND o.published_at = b.published_at) SELECT batch, count(*) FILTER (fresh) AS new, count(*) FILTER (NOT fresh) AS updated FROM f GROUP BY 1")
+def s5_collect_counts(s: SparkSession, d: str) -> DataFrame:
+    old, new = polls(s, d)
+    return up.collect_counts(old, new.withColumn("batch", F.date_format("fetched_at", "yyyyMMdd")), ["keyword", "published_at"])
+
+
+@book.add(ad.sql("prices", f"SELECT date, stock_id || 'A' AS stock_id, {r6('open')}, {r6('high')}, {r6('low')}, {r6('close')}, {r6('CASE WHEN day(date) % 2 = 0 THEN adj_close ELSE close END', 'adj_close')}, volume FROM prices"))
+def s6_normalise_prices(s: SparkSession, d: str) -> DataFrame:
+    p = ad.prices(s, d)
+    raw = p.select(F.col("date").cast("timestamp").alias("Date"), F.concat(F.lit(" "), "stock_id", F.lit("a ")).alias("Stock ID"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.when(F.day("date") % 2 == 0, F.col("adj_close")).alias("Adj Close"), F.col("volume").alias("Volume"))
+    return rounded(up.normalise_prices(raw), "open", "high", "low", "close", "adj_close")
+
+
+@book.add(ad.sql("prices", f"SELECT date, stock_id, {r6('CASE WHEN year(date) >= 1997 THEN close * 2 ELSE close END', 'close')} FROM prices WHERE year(date) >= 1997 OR month(date) <> 3"))
+def s7_price_upsert(s: SparkSession, d: str) -> DataFrame:
+    p = ad.prices(s, d).select("date", "stock_id", "close")
+    old, new = p.where("month(date) <> 3"), p.where("year(date) >= 1997").withColumn("close", F.col("close") * 2)
+    once = up.upsert(old, new, ["date", "stock_id"])
+    return rounded(up.upsert(once, new, ["date", "stock_id"]), "close")
+
+
+@book.add(ad.sql("prices", "p AS (SELECT CAST(s_suppkey + 1000 AS VARCHAR) AS stock_id FROM supplier UNION SELECT 'NEW') SELECT p.stock_id, max(date) - 14 AS fetch_from FROM p LEFT JOIN prices USING (stock_id) GROUP BY 1"))
+def s8_low_watermark(s: SparkSession, d: str) -> DataFrame:
+    pool = ad.table(s, d, "supplier").select(ad.stock_code(F.col("s_suppkey")).alias("stock_id")).union(s.range(1).select(F.lit("NEW")))
+    return up.low_watermark(pool, ad.prices(s, d))
+
+
+@book.add(ad.sql("links", "SELECT DISTINCT stock_id, CASE WHEN stock_id LIKE '1%' THEN stock_id || '.TW' ELSE stock_id END AS ticker FROM (SELECT stock_id FROM links UNION SELECT 'S' || CAST(s_suppkey AS VARCHAR) FROM supplier)"))
+def s9_stock_pool(s: SparkSession, d: str) -> DataFrame:
+    """S9, S10."""
+    csv = ad.table(s, d, "supplier").select(F.concat(F.lit(" s"), F.col("s_suppkey").cast("string"), F.lit(" ")).alias("stock_id"))
+    return up.stock_pool(csv, ad.links(s, d)).select("stock_id", ex.ticker(F.col("stock_id")).alias("ticker"))
+
+
+@book.add(ad.sql("heat", "SELECT keyword, theme_name, date AS trend_date, CASE WHEN trend_score = 40 THEN 0 ELSE trend_score END AS trend_score FROM heat WHERE day(date) <> 5"))
+def s11_heat_rows(s: SparkSession, d: str) -> DataFrame:
+    h = ad.heat(s, d).select("keyword", "theme_name", F.col("date").alias("trend_date"), F.when(F.col("trend_score") == 40, "bad").otherwise(F.col("trend_score").cast("string")).alias("trend_score"), (F.day("date") == 5).alias("is_partial"))
+    rows = up.heat_rows(h)
+    return up.upsert(rows, rows, ["keyword", "theme_name", "trend_date"])
+
+
+@book.add(ad.sql("links trends", "p AS (SELECT theme_name, keyword, max(CASE WHEN link_type = 'direct' THEN 2 ELSE 1 END) AS rank FROM links GROUP BY 1, 2), l AS (SELECT keyword, max(CAST(published_at AS DATE)) AS last FROM trends GROUP BY 1) SELECT theme_name, keyword, rank, last FROM p LEFT JOIN l USING (keyword) WHERE last IS NULL OR last < DATE '1998-06-14'"))
+def s12_heat_queue(s: SparkSession, d: str) -> DataFrame:
+    links = ad.links(s, d)
+    history = ad.trends(s, d).join(links.select("keyword", "theme_name").distinct(), "keyword").select("theme_name", "keyword", F.to_date("published_at").alias("trend_date"))
+    return up.heat_queue(links, history, F.lit("1998-06-15").cast("date"))
+
+
+@book.add("""SELECT DISTINCT replace(p_type, ' ', '') AS theme_name, CASE WHEN p_size % 3 = 0 THEN 'own' WHEN p_brand LIKE '%1' THEN 'dictionary' ELSE '其他' END AS sub_theme, p_brand AS keyword, '' AS stock_id, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS active, replace(p_type, ' ', '') AS category FROM part""")
+def s13_theme_rows(s: SparkSession, d: str) -> DataFrame:
+    p = ad.table(s, d, "part")
+    raw = p.select(F.concat(F.lit(" "), "p_type").alias("theme_name"), F.when(F.col("p_size") % 3 == 0, " own ").alias("sub_theme"), F.concat("p_brand", F.lit(" ")).alias("keyword"), F.lit(None).cast("string").alias("stock_id"), F.when(F.col("p_size") % 2 == 0, "0").otherwise("").alias("active"), F.lit("").alias("category"))
+    sub = p.where("p_brand like '%1'").select(ex.theme_form(F.col("p_type")).alias("theme_name"), F.col("p_brand").alias("keyword"), F.lit("dictionary").alias("sub")).distinct()
+    return fd.theme_rows(raw, sub)
+
+
+@book.add("SELECT DISTINCT c_name AS keyword, CASE c_custkey % 3 WHEN 0 THEN 'company' ELSE 'industry' END AS type, 'X' || CAST(c_nationkey AS VARCHAR) AS stock_id FROM customer WHERE c_custkey % 3 < 2")
+def s14_alias_rows(s: SparkSession, d: str) -> DataFrame:
+    raw = ad.table(s, d, "customer").select(F.concat("c_name", F.lit(" ")).alias("keyword"), F.element_at(F.array(F.lit("Company"), F.lit(" INDUSTRY "), F.lit("other")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("type"), F.concat(F.lit("x"), F.col("c_nationkey").cast("string")).alias("stock_id"))
+    return fd.alias_rows(raw)
+
+
+@book.add("WITH r AS (SELECT s_suppkey AS o, s_name AS n, s_name || '|' || 'N' || CAST(s_nationkey AS VARCHAR) AS a, CAST(s_suppkey AS VARCHAR) AS c FROM supplier), x AS (SELECT o, n, c, unnest(string_split(a, '|')) AS alias FROM r) SELECT alias, arg_max(n, o) AS entity_name, arg_max(c, o) AS stock_id FROM x GROUP BY 1")
+def s15_seed_aliases(s: SparkSession, d: str) -> DataFrame:
+    raw = ad.table(s, d, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("entity_name"), F.col("s_suppkey").cast("string").alias("stock_id"), F.concat(F.lit(" N"), F.col("s_nationkey").cast("string"), F.lit(" |")).alias("aliases"))
+    return fd.seed_aliases(raw)
+
+
+@book.add("""WITH t AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN '綠能環保類' ELSE p_type END AS theme_name, p_brand AS keyword, CAST(p_size % 5 AS VARCHAR) AS stock_id, replace(p_type, ' ', '') AS category FROM part WHERE p_size % 3 = 0),
+o AS (SELECT CASE WHEN theme_name = '綠能環保類' THEN theme_name ELSE replace(theme_name, ' ', '') END AS theme_name, keyword, stock_id, category FROM t), n AS (SELECT DISTINCT '綠能環保類' AS theme_name, p_brand AS keyword, CAST(p_size % 5 AS VARCHAR) AS stock_id, replace(p_type, ' ', '') AS category FROM part)
+SELECT *, CAST(NULL AS VARCHAR) AS link_type FROM o UNION ALL SELECT *, 'theme' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)""")
+def s16_sync_themes(s: SparkSession, d: str) -> DataFrame:
+    p = ad.table(s, d, "part")
+    code = (F.col("p_size") % 5).cast("string").alias("stock_id")
+    old = p.where("p_size % 3 = 0").select(F.when(F.col("p_size") % 2 == 0, "綠能環保").otherwise(F.col("p_type")).alias("theme_name"), F.col("p_brand").alias("keyword"), code, F.col("p_type").alias("category")).distinct()
+    csv = p.select(F.lit("綠能環保類").alias("theme_name"), F.col("p_brand").alias("keyword"), code, ex.theme_form(F.col("p_type")).alias("category")).distinct()
+    return up.sync_themes(old, csv)
+
+
+@book.add(ad.sql("links", "SELECT keyword, stock_id, theme_name, CASE WHEN n THEN 'theme' ELSE link_type END AS link_type, CASE WHEN n OR keyword >= 'Customer#000000050' THEN 1 ELSE 0 END AS active FROM (SELECT *, keyword LIKE '%7' AS n FROM (SELECT DISTINCT keyword, stock_id, theme_name, link_type FROM links WHERE link_type = 'direct'))"))
+def s17_reactivate(s: SparkSession, d: str) -> DataFrame:
+    l = ad.links(s, d).where("link_type = 'direct'").select("keyword", "stock_id", "theme_name", "link_type", (F.col("keyword") >= "Customer#000000050").cast("int").alias("active"))
+    new = l.where("keyword like '%7'").withColumn("link_type", F.lit("theme")).withColumn("active", F.lit(1))
+    return up.upsert(l, new, ["keyword", "stock_id", "theme_name"])
+
+
+@book.add(f"WITH {CLASS}, n AS (SELECT c_name AS keyword, 'new' AS theme_name, 'model' AS source FROM customer WHERE c_custkey % 2 = 0) SELECT keyword, CASE WHEN c.keyword IS NULL OR (c.source = 'fallback' AND n.keyword IS NOT NULL) THEN n.theme_name ELSE c.theme_name END AS theme_name, CASE WHEN c.keyword IS NULL OR (c.source = 'fallback' AND n.keyword IS NOT NULL) THEN n.source ELSE c.source END AS source FROM cl c FULL JOIN n USING (keyword)")
+def s18_guarded_upsert(s: SparkSession, d: str) -> DataFrame:
+    new = ad.table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("keyword"), F.lit("new").alias("theme_name"), F.lit("model").alias("source"))
+    return up.guarded_classification(classes(s, d), new)
+
+
+@book.add("""SELECT c_name AS keyword, '{"nation":' || CAST(c_nationkey AS VARCHAR) || ',"segment":"' || c_mktsegment || '"}' AS result FROM customer""")
+def s19_classification_log(s: SparkSession, d: str) -> DataFrame:
+    return up.classification_log(ad.table(s, d, "customer").select(F.col("c_name").alias("keyword"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")))
+
+
+@book.add(ad.sql("news", "SELECT news_id, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN 'Neutral' ELSE news_sentiment END AS news_sentiment, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN 0.25 WHEN news_sentiment IS NOT NULL THEN 0.5 END AS sentiment_score, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN 'model' WHEN news_sentiment IS NOT NULL THEN 'kept' END AS event_type FROM news"))
+def s20_enrich_news(s: SparkSession, d: str) -> DataFrame:
+    n = ad.news(s, d).select("news_id", "news_sentiment", F.when(F.col("news_sentiment").isNotNull(), 0.5).alias("sentiment_score"), F.when(F.col("news_sentiment").isNotNull(), "kept").alias("event_type"))
+    p = n.where("news_id % 3 = 0").select("news_id", F.lit("Neutral").alias("news_sentiment"), F.lit(0.25).alias("sentiment_score"), F.lit("model").alias("event_type"))
+    return up.enrich_news(n, p)
+
+
+@book.add(ad.sql("prices", f"k AS (SELECT DISTINCT CAST(s_suppkey + 1000 AS VARCHAR) AS stock_id FROM supplier WHERE s_nationkey < 5) SELECT stock_id, date, {r6('close')} FROM prices JOIN k USING (stock_id) WHERE date >= DATE '1997-06-01'"))
+def s23_filtered_prices(s: SparkSession, d: str) -> DataFrame:
+    wanted = ad.table(s, d, "supplier").where("s_nationkey < 5").select(ad.stock_code(F.col("s_suppkey")).alias("stock_id"))
+    return rounded(ad.prices(s, d).where("date >= date '1997-06-01'").join(wanted, "stock_id", "left_semi").select("stock_id", "date", "close"), "close")
+
+
+@book.add("""SELECT 'M.' || CAST(epoch(o_orderdate)::BIGINT + o_orderkey % 1000 AS VARCHAR) || '.A.X' || CAST(o_orderkey AS VARCHAR) AS post_id, CASE WHEN o_orderkey % 3 = 0 THEN '標的' END AS category, CASE o_orderkey % 4 WHEN 0 THEN 100 WHEN 1 THEN -30 WHEN 2 THEN 17 ELSE 0 END AS push_score, (o_orderdate + to_seconds(CAST(o_orderkey % 1000 AS BIGINT))) AS posted_at FROM orders WHERE o_orderkey % 7 <> 0""")
+def s24_posts(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    secs = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + k % 1000
+    rows = ad.table(s, d, "orders").select(F.when(k % 7 != 0, F.concat(F.lit("/bbs/M."), secs.cast("string"), F.lit(".A.X"), k.cast("string"), F.lit(".html"))).alias("href"), F.when(k % 3 == 0, F.concat(F.lit("Re: [標的] "), k.cast("string"))).otherwise("plain").alias("title"), F.element_at(F.array(F.lit("爆"), F.lit("X3"), F.lit("17"), F.lit("")), (k % 4 + 1).cast("int")).alias("label"), F.lit("a").alias("author"))
+    return fd.posts(rows).select("post_id", "category", "push_score", F.col("posted_at").cast(NTZ).alias("posted_at"))
+
+
+@book.add("""WITH c AS (SELECT conv_id, turn, text, TIMESTAMP '2026-11-20 03:00:00' + to_days(CAST(conv_id % 60 AS INTEGER)) AS posted, (conv_id + turn) % 12 + 1 AS mo FROM conversations), l AS (SELECT *, posted + INTERVAL 8 HOUR AS loc FROM c)
+SELECT conv_id AS post_id, turn AS seq, make_timestamp(year(loc) + CASE WHEN mo < month(loc) - 6 THEN 1 ELSE 0 END, mo, 15, 9, 30, 0) - INTERVAL 8 HOUR AS commented_at, length(text) AS chars FROM l""")
+def s24_comments(s: SparkSession, d: str) -> DataFrame:
+    c = ad.table(s, d, "conversations")
+    month = (F.col("conv_id") + F.col("turn")) % 12 + 1
+    rows = c.select(F.col("conv_id").alias("post_id"), F.col("turn").alias("seq"), F.expr("timestamp '2026-11-20 03:00:00' + make_dt_interval(cast(conv_id % 60 as int))").alias("posted_at"), F.concat(F.lpad(month.cast("string"), 2, "0"), F.lit("/15 09:30")).alias("stamp"), F.lit("u").alias("user"), F.concat(F.lit(": "), "text").alias("text"))
+    return fd.comments(rows).select("post_id", "seq", F.col("commented_at").cast(NTZ).alias("commented_at"), F.length("text").alias("chars"))
+
+
+@book.add("SELECT conv_id AS post_id, turn AS seq, CASE WHEN conv_id % 2 = 0 THEN role || '!' ELSE role END AS label, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS score FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role) = 1")
+def s25_post_upsert(s: SparkSession, d: str) -> DataFrame:
+    c = ad.table(s, d, "conversations").select(F.col("conv_id").alias("post_id"), F.col("turn").alias("seq"), F.col("role").alias("label"), F.lit(0).alias("score")).distinct()
+    new = c.where("post_id % 2 = 0").withColumn("label", F.concat("label", F.lit("!"))).withColumn("score", F.lit(1))
+    return up.upsert(c, new, ["post_id", "seq"], [F.col("label")])
+
+
+@book.add("""WITH a AS (SELECT p_partkey AS article_id, p_name AS title, CASE p_size % 4 WHEN 0 THEN 100 WHEN 1 THEN -10 WHEN 2 THEN p_size ELSE 0 END AS engagement FROM part WHERE p_size % 6 <> 0), k AS (SELECT DISTINCT 'k' || CAST(l_suppkey AS VARCHAR) AS keyword, l_partkey FROM lineitem) SELECT keyword, article_id, title, engagement FROM k JOIN a ON article_id = l_partkey""")
+def s26_board_keywords(s: SparkSession, d: str) -> DataFrame:
+    z = F.col("p_size")
+    rows = ad.table(s, d, "part").select(F.col("p_partkey").alias("article_id"), F.when(z % 6 == 0, F.concat(F.lit("[公告] "), "p_name")).otherwise(F.col("p_name")).alias("title"), F.when(z % 4 == 0, "爆").when(z % 4 == 1, "X2").when(z % 4 == 2, z.cast("string")).otherwise("").alias("label"))
+    k = ad.table(s, d, "lineitem").groupBy(F.concat(F.lit("k"), F.col("l_suppkey").cast("string")).alias("keyword")).agg(F.collect_set("l_partkey").alias("matched_ids"))
+    return fd.keyword_articles(k, fd.board_articles(rows))
+
+
+@book.add("""SELECT c_custkey AS id, c_name AS title, CASE WHEN c_custkey % 4 = 0 THEN '匿名' ELSE c_mktsegment END AS author, c_nationkey + CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 2 END AS engagement, TIMESTAMP '2024-05-01 10:20:30' AS created_at, '["' || c_mktsegment || '"]' AS topics FROM customer""")
+def s27_social_posts(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    value = F.to_json(F.struct(k.alias("id"), F.col("c_name").alias("title"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("author"), F.col("c_nationkey").alias("likes"), F.when(k % 3 != 0, 2).alias("comments"), F.lit("2024-05-01T10:20:30").alias("created_at"), F.array("c_mktsegment").alias("topics")))
+    rows = fd.social_posts(ad.table(s, d, "customer").select(value.alias("value")))
+    return up.upsert(rows, rows, ["id"]).withColumn("created_at", F.col("created_at").cast(NTZ))
+
+
+@book.add(ad.sql("prices", f"SELECT stock_id AS ticker, date, {r6('close')}, volume, month(date) AS month, quarter(date) AS quarter FROM prices"))
+def s28_star_prices(s: SparkSession, d: str) -> DataFrame:
+    rows = fd.star_prices(ad.prices(s, d))
+    return rounded(up.upsert(rows, rows, ["ticker", "date"]), "close")
+
+
+@book.add("SELECT stock_id, arg_min(name, row(p, name)) AS name FROM (SELECT CAST(s_suppkey AS VARCHAR) AS stock_id, s_name AS name, 0 AS p FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 1 FROM customer WHERE c_custkey % 5 <> 0) GROUP BY 1")
+def s29_official_codes(s: SparkSession, d: str) -> DataFrame:
+    a = ad.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias("code"), F.concat("s_name", F.lit(" ")).alias("name"))
+    b = ad.table(s, d, "customer").select(F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.col("c_custkey").cast("string")).alias("code"), F.col("c_name").alias("name"))
+    return fd.official_codes(a, b)
+
+
+# ---- scalar forms ----
+
+@book.add("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN k * 1000 WHEN 1 THEN (k + 0.5) * 1000000 WHEN 2 THEN k ELSE 0 END AS f1, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(k AS DOUBLE) END AS f2 FROM (SELECT *, floor(o_totalprice / 1000) AS k FROM orders)")
+def f1_traffic(s: SparkSession, d: str) -> DataFrame:
+    """F1, F2."""
+    k = F.floor(F.col("o_totalprice") / 1000).cast("string")
+    text = F.element_at(F.array(F.concat(k, F.lit("k+")), F.concat(k, F.lit(".5M")), F.concat(k, F.lit("+")), F.lit("none")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return ad.table(s, d, "orders").select("o_orderkey", ex.traffic_number(text).alias("f1"), ex.traffic_digits(text).alias("f2"))
+
+
+@book.add(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2330 ' || p_name || '股價' WHEN 1 THEN '飆股' || upper(p_name) || '股票走勢' ELSE p_brand || '_' || p_type END AS x, CASE WHEN p_size % 2 = 0 THEN p_type || ' 電子' ELSE p_type || '銀行' END AS ind FROM part)
+SELECT p_partkey, regexp_replace(lower(x), '[^\pL\pN\pM]+', '', 'g') AS f3, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(x, '^\d{4,6}\s*', ''), '^飆股', ''), '(股價分析|股票走勢|股價|股票|股市)$', '')), '[^\pL\pN\pM]+', '', 'g') AS f4, CASE WHEN ind LIKE '%銀行' THEN '金融類' ELSE '科技類' END AS f6 FROM t""")
+def f3_forms(s: SparkSession, d: str) -> DataFrame:
+    """F3-F6."""
+    k = F.col("p_partkey")
+    x = F.when(k % 3 == 0, F.concat(F.lit("2330 "), "p_name", F.lit("股價"))).when(k % 3 == 1, F.concat(F.lit("飆股"), F.upper("p_name"), F.lit("股票走勢"))).otherwise(F.concat("p_brand", F.lit("_"), "p_type"))
+    ind = F.when(F.col("p_size") % 2 == 0, F.concat("p_type", F.lit(" 電子"))).otherwise(F.concat("p_type", F.lit("銀行")))
+    return ad.table(s, d, "part").select("p_partkey", ex.keyword_form(x).alias("f3"), ex.entity_form(x).alias("f4"), ex.industry_theme(ind).alias("f6"))
+
+
+@book.add("SELECT o_orderkey, CAST(o_orderdate + to_seconds(CAST(o_orderkey * 977 % 86400 AS BIGINT)) + INTERVAL 8 HOUR AS DATE) AS f9, CAST(o_orderdate AS TIMESTAMP) - INTERVAL 8 HOUR AS f10, o_orderdate + to_seconds(CAST(o_orderkey * 977 % 86400 AS BIGINT)) AS f12 FROM orders")
+def f9_times(s: SparkSession, d: str) -> DataFrame:
+    """UTC to Taipei days and back, and the strict layouts."""
+    t = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") * 977 % 86400)
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return ad.table(s, d, "orders").select("o_orderkey", ex.taipei_day(t).alias("f9"), ex.day_start_utc(F.to_date("o_orderdate")).cast(NTZ).alias("f10"), ex.strict_time(text).cast(NTZ).alias("f12"))
+
+
+@book.add("""WITH t AS (SELECT event_id, ts, CAST(strftime(ts, '%w') AS INTEGER) AS w, hour(ts) * 60 + minute(ts) AS m FROM events), x AS (SELECT *, CAST(ts AS DATE) - CASE WHEN m >= 1110 THEN 0 ELSE 1 END AS e FROM t)
+SELECT event_id, e - greatest(CAST((isodow(e) - 5) AS INTEGER), 0) AS expected, CAST(ts AS DATE) + CASE WHEN w BETWEEN 1 AND 5 AND m < 810 THEN 0 ELSE 1 END AS effective, CASE WHEN w IN (0, 6) THEN 'weekend' WHEN m < 540 THEN 'pre' WHEN m < 810 THEN 'in' ELSE 'after' END AS session, CAST(ts - INTERVAL 8 HOUR AS DATE) AS quota FROM x""")
+def f18_days(s: SparkSession, d: str) -> DataFrame:
+    """F18-F20."""
+    t = F.col("ts").cast("timestamp")
+    return ad.table(s, d, "events").select("event_id", ex.expected_trading_day(t).alias("expected"), ex.effective_day(t).alias("effective"), ex.market_session(t).alias("session"), ex.quota_day(t, 8).alias("quota"))
+
+
+@book.add("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' ELSE 'Unanalyzed' END AS tone, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, c_acctbal / 5000)) END AS confidence, CASE WHEN c_nationkey = 0 THEN 'Day0' WHEN c_nationkey < 5 THEN 'N/A' ELSE CAST(c_nationkey AS VARCHAR) END AS breakout, CASE WHEN c_custkey % 3 = 0 THEN 'short' WHEN c_custkey % 3 = 1 THEN 'long' ELSE 'other' END AS side, c_custkey % 2 = 0 AS same_name FROM customer")
+def f13_labels(s: SparkSession, d: str) -> DataFrame:
+    """F8, F13, F14, F17, F21."""
+    k = F.col("c_custkey")
+    tone = F.element_at(F.array(F.lit(" positive "), F.lit("NEGATIVE"), F.lit("mixed"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
+    side = F.element_at(F.array(F.lit("看空"), F.lit("做多"), F.lit("盤整")), (k % 3 + 1).cast("int"))
+    name = F.when(k % 2 == 0, "中信金").otherwise("台積電")
+    return ad.table(s, d, "customer").select("c_custkey", ex.sentiment_form(tone).alias("tone"), ex.clamp_confidence(F.when(k % 5 == 0, "x").otherwise((F.col("c_acctbal") / 5000).cast("string"))).alias("confidence"), ex.breakout_label(F.when(F.col("c_nationkey") == 0, 0).when(F.col("c_nationkey") >= 5, F.col("c_nationkey"))).alias("breakout"), ex.post_side(side).alias("side"), ex.names_match(name, F.lit("中國信託金融控股股份有限公司")).alias("same_name"))
+
+
+# ---- resolution ----
+
+def dictionary(s: SparkSession, d: str) -> DataFrame:
+    """Supplier names as companies, nations as industries."""
+    a = ad.table(s, d, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("keyword"), F.lit("company").alias("type"), ad.stock_code(F.col("s_suppkey")).alias("stock_id"))
+    n = ad.table(s, d, "nation").join(ad.table(s, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).select((F.col("s_suppkey") + 1_000_000).alias("ordinal"), F.col("n_name").alias("keyword"), F.lit("industry").alias("type"), ad.stock_code(F.col("s_suppkey")).alias("stock_id"))
+    return a.union(n)
+
+
+def asked(s: SparkSession, d: str) -> DataFrame:
+    """Part brands and types, supplier names with small changes, bare codes and nations as keywords."""
+    sup = ad.table(s, d, "supplier")
+    return (sup.select(F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).when(F.col("s_suppkey") % 3 == 1, F.concat(F.upper("s_name"), F.lit("x"))).otherwise(ad.stock_code(F.col("s_suppkey"))).alias("keyword"))
+            .union(ad.table(s, d, "nation").select("n_name")).union(ad.table(s, d, "part").select("p_brand")).distinct())
+
+
+@book.add()
+def j3_fuzzy_match(s: SparkSession, d: str) -> DataFrame:
+    return rs.fuzzy_match(asked(s, d), dictionary(s, d)).withColumn("stock_ids", F.array_join("stock_ids", ","))
+
+
+def _entity(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    seeds = ad.table(s, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("alias"), F.concat(F.lit("Seed "), "s_name").alias("entity_name"), F.lit("上市公司").alias("entity_type"), ad.stock_code(F.col("s_suppkey")).alias("stock_id"), F.lit("半導體").alias("industry"), F.lit("科技類").alias("theme_name"))
+    official = ad.table(s, d, "supplier").select(ad.stock_code(F.col("s_suppkey")).alias("stock_id"), F.concat(F.lit("Official "), F.col("s_suppkey").cast("string")).alias("name"))
+    return rs.known_companies(dictionary(s, d), seeds), official, ad.table(s, d, "nation").select(F.col("n_name").alias("keyword"))
+
+
+FORM = "regexp_replace(lower({x}), '[^\\pL\\pN]+', '', 'g')"
+ENT = rf"""sup AS (SELECT s_suppkey AS k, s_name AS nm, CAST(s_suppkey + 1000 AS VARCHAR) AS code, s_nationkey FROM supplier), ak AS (SELECT DISTINCT kw FROM (SELECT CASE k % 3 WHEN 0 THEN nm WHEN 1 THEN upper(nm) || 'x' ELSE code END AS kw FROM sup UNION ALL SELECT n_name FROM nation UNION ALL SELECT p_brand FROM part)),
+sf AS (SELECT {FORM.format(x='nm')} AS form, * FROM sup), ind AS (SELECT k, n_name AS industry FROM sup JOIN nation ON n_nationkey = s_nationkey),
+r AS (SELECT kw AS keyword, CASE WHEN c.k % 9 = 0 THEN 'Seed ' || c.nm WHEN c.k IS NOT NULL THEN c.nm WHEN o.k IS NOT NULL AND NOT regexp_matches(kw, '^20[23]\d$') THEN 'Official ' || o.k WHEN n.n_name IS NOT NULL THEN n.n_name END AS canonical,
+  CASE WHEN c.k IS NOT NULL OR (o.k IS NOT NULL AND NOT regexp_matches(kw, '^20[23]\d$')) THEN '上市公司' WHEN n.n_name IS NOT NULL THEN '產業' END AS entity_type, CASE WHEN c.k IS NOT NULL THEN c.code WHEN o.k IS NOT NULL AND NOT regexp_matches(kw, '^20[23]\d$') THEN o.code WHEN n.n_name IS NOT NULL THEN '' END AS stock_id,
+  CASE WHEN c.k % 9 = 0 THEN 'seed' WHEN c.k IS NOT NULL THEN 'alias' WHEN o.k IS NOT NULL AND NOT regexp_matches(kw, '^20[23]\d$') THEN 'code' WHEN n.n_name IS NOT NULL THEN 'industry' END AS source
+  FROM ak LEFT JOIN sf c ON c.form = {FORM.format(x='kw')} LEFT JOIN sup o ON o.code = kw LEFT JOIN nation n ON n.n_name = kw)"""
+
+
+@book.add(f"WITH {ENT} SELECT * FROM r")
+def j7_resolution_cascade(s: SparkSession, d: str) -> DataFrame:
+    """Seed, alias, code and industry in turn."""
+    known, official, industries = _entity(s, d)
+    return rs.resolve(asked(s, d), known, official, industries).select("keyword", "canonical", "entity_type", "stock_id", "source")
+
+
+@book.add("""SELECT s_name AS keyword, 'Official' AS canonical, CASE WHEN s_suppkey % 4 = 3 THEN '產業' ELSE '上市公司' END AS entity_type, CASE WHEN s_suppkey % 4 = 3 THEN '' ELSE CAST(s_suppkey + 1000 AS VARCHAR) END AS stock_id, CASE WHEN s_suppkey % 4 = 3 THEN '金融類' ELSE '科技類' END AS theme_name, 0.75 AS confidence_score FROM supplier WHERE s_suppkey % 4 IN (0, 3)""")
+def j8_prediction_gate(s: SparkSession, d: str) -> DataFrame:
+    """Predictions with low confidence, without a code, or with another company's code are refused."""
+    k = F.col("s_suppkey")
+    p = ad.table(s, d, "supplier").select(F.col("s_name").alias("keyword"), F.when(k % 4 == 1, "Stranger").otherwise("Official").alias("canonical_entity"), F.when(k % 4 == 3, "產業").otherwise("上市公司").alias("entity_type"), ad.stock_code(k).alias("stock_id"), F.lit("電子").alias("industry"), F.lit("金融類").alias("theme_name"), F.when(k % 4 == 2, "0.3").otherwise("0.75").alias("confidence_score"))
+    return rs.gate_predictions(p, _entity(s, d)[1], ["上市公司", "ETF", "產業"], ["金融類", "科技類"]).drop("industry")
+
+
+@book.add(f"WITH {ENT}, l AS (SELECT DISTINCT '其他' AS theme_name, kw AS keyword, 'old' AS stock_id FROM ak), e AS (SELECT '其他' AS theme_name, keyword, stock_id FROM r WHERE source IS NOT NULL AND stock_id <> '') SELECT l.theme_name, l.keyword, l.stock_id, CAST(NULL AS VARCHAR) AS link_type, CASE WHEN e.keyword IS NOT NULL THEN 0 ELSE 1 END AS active FROM l LEFT JOIN e USING (keyword) UNION ALL SELECT theme_name, keyword, stock_id, 'direct', 1 FROM e")
+def j9_entity_save(s: SparkSession, d: str) -> DataFrame:
+    known, official, industries = _entity(s, d)
+    resolved = rs.resolve(asked(s, d), known, official, industries).withColumn("theme_name", F.lit("其他"))
+    links = asked(s, d).select(F.lit("其他").alias("theme_name"), "keyword", F.lit("old").alias("stock_id"), F.lit(None).cast("string").alias("link_type"), F.lit(1).alias("active"))
+    return rs.entity_save(resolved, links)[2]
+
+
+@book.add()
+def j10_rule_classify(s: SparkSession, d: str) -> DataFrame:
+    themes = ad.table(s, d, "part").groupBy(F.col("p_brand").alias("keyword")).agg(F.min("p_partkey").alias("ordinal"), F.first(F.lit("科技類")).alias("theme_name"), F.first(F.lit("零件")).alias("sub_theme"), F.first(F.lit("1001")).alias("stock_id"))
+    words = asked(s, d).union(ad.table(s, d, "part").select(F.concat(F.lit("best "), "p_brand", F.lit(" parts"))).distinct())
+    return rs.rule_classify(words, themes, dictionary(s, d))
+
+
+@book.add("""SELECT c_name AS keyword, CASE WHEN c_custkey % 3 = 0 THEN '科技類' ELSE '其他' END AS theme_name, CASE WHEN c_custkey % 5 = 0 THEN 'company' WHEN c_custkey % 3 = 0 THEN 'industry' ELSE 'none' END AS link_type, CAST(c_custkey % 5 = 0 OR c_custkey % 3 = 0 AS INTEGER) AS stock_related FROM customer""")
+def j11_validate(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    p = ad.table(s, d, "customer").select(F.col("c_name").alias("keyword"), F.col("c_name").alias("canonical_keyword"), F.when(k % 3 == 0, " 科技 類").otherwise("unknown").alias("theme_name"), F.lit(" Industry ").alias("link_type"), F.when(k % 5 == 0, F.array(F.lit("1001"))).alias("stock_ids"), F.lit("0.5").alias("confidence_score"))
+    return up.classification_rows(p, ["科技類"]).select("keyword", "theme_name", "link_type", "stock_related")
+
+
+@book.add(ad.sql("links", """b AS (SELECT DISTINCT theme_name, stock_id FROM links WHERE link_type = 'theme'), c AS (SELECT c_custkey AS k, c_name AS keyword, c_mktsegment AS theme_name FROM customer)
+SELECT keyword, theme_name, CAST((k + 1000) AS VARCHAR) AS stock_id, 'direct' AS link_type FROM c WHERE k % 3 = 0 UNION ALL SELECT c.keyword, c.theme_name, b.stock_id, 'theme' FROM c JOIN b USING (theme_name) WHERE k % 3 = 1 UNION ALL SELECT keyword, theme_name, NULL, NULL FROM c WHERE k % 3 = 2"""))
+def j12_generate_links(s: SparkSession, d: str) -> DataFrame:
+    """J12, J13."""
+    k = F.col("c_custkey")
+    c = ad.table(s, d, "customer").select(k.alias("k"), F.col("c_name").alias("keyword"), F.col("c_mktsegment").alias("theme_name"), F.element_at(F.array(F.lit("company"), F.lit("industry"), F.lit("none")), (k % 3 + 1).cast("int")).alias("link_type"))
+    own = c.select("keyword", F.array((F.col("k") + 1000).cast("string")).alias("stock_ids"))
+    themes = ad.links(s, d).where("link_type = 'theme'").select("theme_name", "stock_id", "active", F.col("stock_id").cast("long").alias("ordinal"))
+    return rs.generate_links(c.drop("k"), own, rs.basket(themes)).drop("active")
+
+
+@book.add(ad.sql("links", "t AS (SELECT theme_name, list_sort(list(DISTINCT keyword)) AS k, list_sort(list(DISTINCT stock_id)) AS s FROM links WHERE link_type = 'theme' GROUP BY 1) SELECT theme_name, len(list_distinct(list_concat(k, ['legacy']))) AS keywords, array_to_string(list_sort(list_distinct(list_concat(s, ['9999']))), ',') AS stock_ids FROM t"))
+def j14_definitions(s: SparkSession, d: str) -> DataFrame:
+    themes = ad.links(s, d).where("link_type = 'theme'")
+    legacy = themes.select("theme_name").distinct().select("theme_name", F.array(F.lit("legacy")).alias("keywords"), F.array(F.lit("9999")).alias("stock_ids"))
+    return rs.definitions(themes, legacy).select("theme_name", F.size("keywords").alias("keywords"), F.array_join("stock_ids", ",").alias("stock_ids"))
+
+
+@book.add(ad.sql("trends news", f"{CLASS} SELECT n.news_id, t.keyword, coalesce(theme_name, '其他') AS theme_name, coalesce(news_sentiment, 'Neutral') AS sentiment, greatest(0, least(1, coalesce(confidence_score, 0))) AS confidence FROM news n JOIN trends t USING (trend_id) LEFT JOIN cl USING (keyword) WHERE n.news_id % 4 <> 0"))
+def j16_news_rolldown(s: SparkSession, d: str) -> DataFrame:
+    n = ad.news(s, d)
+    return rs.news_rolldown(n, ad.trends(s, d), classes(s, d), n.where("news_id % 4 = 0"))
+
+
+@book.add(ad.sql("trends", f"{CLASS}, o AS (SELECT t.trend_id, t.keyword, coalesce(c.canonical_keyword, t.keyword) AS canonical FROM trends t LEFT JOIN cl c USING (keyword)), nm AS (SELECT DISTINCT c_name AS k FROM customer WHERE c_custkey % 2 = 0 UNION SELECT upper(c_name) FROM customer WHERE c_custkey % 4 = 1) SELECT trend_id, keyword, canonical, CASE WHEN canonical IN (SELECT k FROM nm) THEN canonical ELSE keyword END AS matched FROM o WHERE canonical IN (SELECT k FROM nm) OR keyword IN (SELECT k FROM nm)"))
+def j17_match_canonical(s: SparkSession, d: str) -> DataFrame:
+    """J2, J17, J22."""
+    t = ad.trends(s, d).select("trend_id", "keyword")
+    c = rs.canonical(t, classes(s, d)).withColumnRenamed("keyword", "canonical")
+    c0 = ad.table(s, d, "customer")
+    names = c0.where("c_custkey % 2 = 0").select(F.col("c_name").alias("keyword")).union(c0.where("c_custkey % 4 = 1").select(F.upper("c_name"))).distinct()
+    return rs.match_canonical(t.join(c, "trend_id"), names).select("trend_id", "keyword", "canonical", "matched")
+
+
+ALIASES = ("tion", "ent", "stand", "ung")
+
+
+@book.add(" UNION ALL ".join(f"SELECT doc_id AS id, '{w}' AS stock_id FROM documents WHERE text IS NOT NULL AND list_contains(regexp_extract_all(text, '(stand|tion|ent|ung)', 1), '{w}')" for w in ALIASES))
+def j18_mentions(s: SparkSession, d: str) -> DataFrame:
+    aliases = s.createDataFrame([(w, w) for w in ALIASES], "alias string, stock_id string")
+    return rs.mentions(ad.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), aliases)
+
+
+@book.add(ad.sql("links", "l AS (SELECT DISTINCT keyword, stock_id FROM links), c AS (SELECT DISTINCT keyword, stock_id FROM links WHERE link_type = 'theme'), e AS (SELECT DISTINCT keyword, stock_id FROM links WHERE link_type = 'direct' AND keyword NOT LIKE '%3') SELECT l.keyword, l.stock_id, CASE WHEN c.keyword IS NOT NULL THEN 'theme' WHEN e.keyword IS NOT NULL THEN 'direct' END AS link_type, CASE WHEN c.keyword IS NULL AND e.keyword IS NULL THEN 0 ELSE 1 END AS active FROM l LEFT JOIN c ON c.keyword = l.keyword AND c.stock_id = l.stock_id LEFT JOIN e ON e.keyword = l.keyword AND e.stock_id = l.stock_id"))
+def j19_type_links(s: SparkSession, d: str) -> DataFrame:
+    l = ad.links(s, d)
+    e = l.where("link_type = 'direct'").select(F.col("keyword").alias("entity_name"), "stock_id", F.col("keyword").like("%3").alias("retired"))
+    pairs = l.select("keyword", "stock_id").distinct().withColumn("link_type", F.lit(None).cast("string")).withColumn("active", F.lit(1))
+    return rs.type_links(pairs, l.where("link_type = 'theme'"), e)
+
+
+@book.add("""WITH a AS (SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS stock_id, CAST(ts AS DATE) AS event FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS stock_id, CAST(ts AS DATE) AS other FROM events WHERE event_type = 'purchase'),
+p AS (SELECT a.stock_id, event, other - event AS lag, row_number() OVER (PARTITION BY a.stock_id, event ORDER BY abs(other - event), other) AS k FROM a JOIN b ON a.stock_id = b.stock_id AND abs(other - event) <= 7) SELECT stock_id, event, lag FROM p WHERE k = 1""")
+def j20_nearest_pairs(s: SparkSession, d: str) -> DataFrame:
+    e = ad.table(s, d, "events").select((F.col("user_id") % 40).cast("string").alias("stock_id"), F.to_date("ts").alias("date"), "event_type")
+    return rs.nearest_pairs(e.where("event_type = 'signup'").drop("event_type").distinct(), e.where("event_type = 'purchase'").drop("event_type").distinct())
+
+
+@book.add(ad.sql("listed prices", "e AS (SELECT keyword, CAST(CAST(keyword AS BIGINT) % (SELECT count(*) FROM supplier) + 1000 AS VARCHAR) AS stock_id, date - 9862 AS date FROM listed) SELECT e.keyword, e.stock_id, e.date, p.date AS day0 FROM e ASOF LEFT JOIN prices p ON e.stock_id = p.stock_id AND e.date <= p.date"))
+def j21_align(s: SparkSession, d: str) -> DataFrame:
+    from heedstream.operators.returns import align
+
+    n = ad.table(s, d, "supplier").agg(F.count("*").alias("n"))
+    e = ad.listed(s, d).crossJoin(F.broadcast(n)).select("keyword", ad.stock_code(F.col("keyword").cast("long") % F.col("n")).alias("stock_id"), F.date_sub("date", 9862).alias("date"))
+    return align(e, ad.prices(s, d).select("stock_id", "date")).select("keyword", "stock_id", "date", F.col("day0.date").alias("day0"))
+
+
+@book.add(ad.sql("links", "d AS (SELECT stock_id, arg_min(keyword, row(length(keyword), keyword)) AS short FROM links WHERE link_type = 'direct' GROUP BY 1), o AS (SELECT CAST(s_suppkey + 1000 AS VARCHAR) AS stock_id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0) SELECT stock_id, coalesce(name, short) AS name FROM d FULL JOIN o USING (stock_id)"))
+def j23_display_names(s: SparkSession, d: str) -> DataFrame:
+    official = ad.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(ad.stock_code(F.col("s_suppkey")).alias("stock_id"), F.col("s_name").alias("name"))
+    return rs.display_names(ad.links(s, d), official)
+
+
+# ---- repair ----
+
+DUP = "tr AS (SELECT event_id AS trend_id, CAST(user_id % 100 AS VARCHAR) AS keyword, CAST(ts AS DATE) AS published_at, ts AS fetched_at, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS approx_traffic FROM events)"
+
+
+def repeated(s: SparkSession, d: str) -> DataFrame:
+    return ad.table(s, d, "events").select(F.col("event_id").alias("trend_id"), (F.col("user_id") % 100).cast("string").alias("keyword"), F.to_date("ts").alias("published_at"), F.col("ts").alias("fetched_at"), F.floor("value").cast("string").alias("approx_traffic"))
+
+
+@book.add(f"WITH {DUP} SELECT keyword, published_at, min(trend_id) AS trend_id, arg_max(approx_traffic, trend_id) AS approx_traffic, count(*) AS rows, min(fetched_at) = arg_min(fetched_at, trend_id) AS earliest FROM tr GROUP BY 1, 2")
+def d1_dedupe_trends(s: SparkSession, d: str) -> DataFrame:
+    return rp.dedupe_trends(repeated(s, d)).drop("fetched_at")
+
+
+NEWS_DUP = f"{DUP}, sv AS (SELECT trend_id, min(trend_id) OVER (PARTITION BY keyword, published_at) AS survivor FROM tr), nw AS (SELECT event_id AS news_id, event_id AS trend_id, event_type AS news_url, CASE event_id % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' END AS news_sentiment FROM events), mv AS (SELECT nw.news_id, survivor AS trend_id, news_url, news_sentiment FROM nw JOIN sv USING (trend_id)), dd AS (SELECT min(news_id) AS news_id, trend_id, news_url, arg_min(news_sentiment, news_id) AS news_sentiment, count(*) AS rows, count(DISTINCT news_sentiment) > 1 AS conflict FROM mv GROUP BY 2, 3)"
+
+
+def repeated_news(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    return ad.table(s, d, "events").select(k.alias("news_id"), k.alias("trend_id"), F.col("event_type").alias("news_url"), F.when(k % 4 == 0, "Positive").when(k % 4 == 1, "Negative").alias("news_sentiment"), F.lit(1.0).alias("sentiment_score"), F.lit("x").alias("event_type"))
+
+
+@book.add(f"WITH {NEWS_DUP} SELECT news_id, trend_id, news_url, news_sentiment, rows, conflict FROM dd")
+def d2_dedupe_news(s: SparkSession, d: str) -> DataFrame:
+    out = rp.dedupe_news(repeated_news(s, d), rp.survivor_map(repeated(s, d)))
+    return out.drop("sentiment_score", "event_type")
+
+
+@book.add(f"WITH {NEWS_DUP} SELECT 'trends_before' AS \"check\", count(*) AS value FROM tr UNION ALL SELECT 'trends_after', count(DISTINCT survivor) FROM sv UNION ALL SELECT 'news_before', count(*) FROM nw UNION ALL SELECT 'news_after', count(*) FROM dd UNION ALL SELECT 'repeating_keys', 0 UNION ALL SELECT 'orphans', 0")
+def d3_dedupe_report(s: SparkSession, d: str) -> DataFrame:
+    t, n = repeated(s, d), repeated_news(s, d)
+    return rp.dedupe_report(t, rp.dedupe_trends(t), n, rp.dedupe_news(n, rp.survivor_map(t)))
+
+
+@book.add("""WITH e AS (SELECT event_id, event_id % 2 = 0 AS old, event_id % 5 = 0 AS bad, ts FROM events), x AS (SELECT event_id, CASE WHEN bad THEN NULL WHEN old THEN 'local' ELSE 'utc' END AS era, CASE WHEN NOT bad THEN date_trunc('second', ts) END AS fetched_utc FROM e) SELECT event_id, era, fetched_utc, CASE WHEN era IS NULL THEN 'layout' END AS problem FROM x""")
+def d4_repair_times(s: SparkSession, d: str) -> DataFrame:
+    t, k = F.col("ts").cast("timestamp"), F.col("event_id")
+    local = F.from_utc_timestamp(t, "Asia/Taipei")
+    text = F.when(k % 5 == 0, F.lit("2024-01-01")).when(k % 2 == 0, F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(".000000"))).otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+    rows = ad.table(s, d, "events").select("event_id", text.alias("fetched_at"), text.alias("published_at"))
+    return rp.repair_times(rows, "Asia/Taipei", "Asia/Tokyo").select("event_id", "era", F.col("fetched_utc").cast(NTZ).alias("fetched_utc"), "problem")
+
+
+@book.add("WITH x AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'local' ELSE 'utc' END AS era, 3600 * (1 + event_id % 7) AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY era ORDER BY v) AS k, count(*) OVER (PARTITION BY era) AS n FROM x) SELECT era, count(*) AS rows, min(v) AS least, max(v) AS most, max(v) FILTER (k = n // 2 + 1) AS median FROM r GROUP BY 1")
+def d4_lag_stats(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    rows = ad.table(s, d, "events").select(F.when(k % 2 == 0, "local").otherwise("utc").alias("era"), (3600 * (1 + k % 7)).alias("lag_seconds"))
+    return rp.lag_stats(rows)
+
+
+@book.add("SELECT count(*) AS rows, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 = 0) AS long_layout, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 = 1) AS short_layout, count(*) FILTER (event_id % 5 = 0) AS other_layout, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 = 0) + count(*) FILTER (event_id % 5 = 0) AS disagree FROM events")
+def d5_preconditions(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    short = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    rows = ad.table(s, d, "events").select(F.when(k % 5 == 0, F.lit("2024-01-01")).when(k % 2 == 0, F.concat(short, F.lit(".000000"))).otherwise(short).alias("fetched_at"), short.alias("published_at"))
+    return rp.precondition_counts(rows)
+
+
+# ---- logs ----
+
+def log_lines(s: SparkSession, d: str) -> DataFrame:
+    """Orders as runs of five jobs: a start, a stats block, an error in every seventh and an exit of most."""
+    k = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy/MM/dd")
+    job = F.concat(F.lit("job"), (k % 5).cast("string"))
+    lines = F.array(
+        F.concat(F.lit("["), day, F.lit("  8:00:00.12] "), job, F.lit(" start")), F.lit("Gemini Stats"), F.concat(F.lit("Requests: "), (k % 9).cast("string")), F.concat(F.lit("Processed: "), (k % 4).cast("string"), F.lit(" items")),
+        F.when(k % 7 == 0, F.concat(F.lit("ERROR code "), (k % 21).cast("string"))).otherwise("fine"), F.concat(F.lit("Theme ETL completed: {'rows': "), (k % 13).cast("string"), F.lit(", 'themes': 3}")),
+        F.when(k % 3 != 0, F.concat(F.lit("["), day, F.lit("  9:00:00.00] "), job, F.lit(" exit "), (k % 2).cast("string"))))
+    each = ad.table(s, d, "orders").select(job.alias("job"), k.alias("k"), F.posexplode(lines).alias("p", "value")).where("value is not null")
+    return each.select("job", (F.col("k") * 10 + F.col("p")).alias("line"), "value")
+
+
+RUNS = "rn AS (SELECT 'job' || CAST(o_orderkey % 5 AS VARCHAR) AS job, o_orderkey AS k, o_orderdate + INTERVAL 8 HOUR AS started_at, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 2 END AS exit_code, row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) AS run FROM orders)"
+
+
+@book.add(f"WITH {RUNS} SELECT job, run, started_at, exit_code, 5 AS lines FROM rn")
+def l1_runs(s: SparkSession, d: str) -> DataFrame:
+    return lg.runs(log_lines(s, d)).withColumn("started_at", F.col("started_at").cast(NTZ))
+
+
+@book.add(f"WITH {RUNS} SELECT job, run, 'gemini' AS block, 'Requests' AS key, CAST(k % 9 AS VARCHAR) AS value, CAST(k % 9 AS DOUBLE) AS number FROM rn UNION ALL SELECT job, run, 'gemini', 'Processed', CAST(k % 4 AS VARCHAR) || ' items', CAST(k % 4 AS DOUBLE) FROM rn")
+def l2_blocks(s: SparkSession, d: str) -> DataFrame:
+    out = lg.blocks(log_lines(s, d))
+    return out.withColumn("number", lg.leading_number(F.col("value")))
+
+
+@book.add(f"WITH {RUNS} SELECT job, run, CAST(k % 13 AS VARCHAR) AS rows, '3' AS themes FROM rn")
+def l2_results(s: SparkSession, d: str) -> DataFrame:
+    return lg.result_values(log_lines(s, d), "Theme ETL completed: ").select("job", "run", F.col("result")["rows"].alias("rows"), F.col("result")["themes"].alias("themes"))
+
+
+@book.add("WITH x AS (SELECT 'job' || CAST(o_orderkey % 5 AS VARCHAR) AS job, min(o_orderkey * 10 + 4) AS line, 'ERROR code ' || CAST(o_orderkey % 21 AS VARCHAR) AS text FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 3), r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY line DESC) AS k FROM x) SELECT job, line, text FROM r WHERE k <= 5")
+def l3_last_errors(s: SparkSession, d: str) -> DataFrame:
+    return lg.last_errors(log_lines(s, d))
+
+
+@book.add("SELECT event_type AS job, count(*) FILTER (event_id % 6 IN (0, 1)) AS warnings, count(*) FILTER (event_id % 6 > 1) AS runs, coalesce(sum(CASE WHEN event_id % 6 > 1 THEN event_id % 4 END), 0) AS failed_items FROM events WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 240 HOUR GROUP BY 1")
+def l3_recent_counts(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(k % 6 == 0, " ERROR broken").when(k % 6 == 1, " WARNING slow").otherwise(F.concat(F.lit(" INFO RSS collected: new=1 failed="), (k % 4).cast("string"))))
+    rows = ad.table(s, d, "events").select(F.col("event_type").alias("job"), k.alias("line"), text.alias("value"))
+    return lg.recent_counts(rows, F.expr("timestamp '2024-01-20 00:00:00'"), 240)
+
+
+CUT = "am AS (SELECT CAST(ts AS DATE) AS dy, count(*) FILTER (event_type = 'purchase') AS items, count(*) FILTER (event_type <> 'view') AS requests, count(*) FILTER (event_type = 'error') AS unavailable, count(DISTINCT user_id) AS backlog FROM events GROUP BY 1), sm AS (SELECT CASE WHEN dy < DATE '2024-01-15' THEN 'before' ELSE 'after' END AS period, count(*) AS runs, sum(items) / sum(requests) AS ipr, sum(unavailable) / sum(requests) AS us, avg(CASE WHEN items = 0 THEN 1.0 ELSE 0.0 END) AS es, (arg_max(backlog, dy) - arg_min(backlog, dy)) / nullif(max(dy) - min(dy), 0) AS bpd FROM am GROUP BY 1)"
+
+
+def attempts(s: SparkSession, d: str) -> DataFrame:
+    is_ = lambda t: F.count_if(F.col("event_type") == t)
+    return ad.table(s, d, "events").groupBy(F.to_date("ts").alias("at")).agg(is_("purchase").alias("items"), F.count_if(F.col("event_type") != "view").alias("requests"), is_("error").alias("unavailable"), F.count_distinct("user_id").alias("backlog"))
+
+
+@book.add(f"WITH {CUT} SELECT period, runs, {r6('ipr', 'items_per_request')}, {r6('us', 'unavailable_share')}, {r6('es', 'empty_share')}, {r6('bpd', 'backlog_per_day')} FROM sm")
+def l4_cutover(s: SparkSession, d: str) -> DataFrame:
+    return rounded(lg.cutover_summary(attempts(s, d), F.lit("2024-01-15").cast("date")), "items_per_request", "unavailable_share", "empty_share", "backlog_per_day")
+
+
+@book.add(f"WITH {CUT} SELECT CASE WHEN runs < 5 THEN 'too early' WHEN ipr >= 0.1 AND us <= 0.2 THEN 'pass' WHEN ipr >= 0.1 THEN 'short of target' ELSE 'fail' END AS verdict, runs, {r6('ipr', 'items_per_request')}, {r6('us', 'unavailable_share')} FROM sm WHERE period = 'after'")
+def l7_acceptance(s: SparkSession, d: str) -> DataFrame:
+    return rounded(lg.acceptance(lg.cutover_summary(attempts(s, d), F.lit("2024-01-15").cast("date")), 0.1, 0.2, 5), "items_per_request", "unavailable_share")
+
+
+@book.add(f"WITH {RUNS} SELECT job, max(started_at) AS last_run, CASE WHEN hour(max(started_at)) < 12 THEN date_trunc('day', max(started_at)) + INTERVAL 12 HOUR END AS next_run FROM rn WHERE exit_code = 0 GROUP BY 1")
+def l6_last_finished(s: SparkSession, d: str) -> DataFrame:
+    out = lg.last_finished(log_lines(s, d))
+    return out.select("job", F.col("last_run").cast(NTZ).alias("last_run"), lg.next_slot(F.col("last_run"), [0, 6, 12, 18]).cast(NTZ).alias("next_run"))
+
+
 QUERIES, ORACLES = book.queries, book.oracles

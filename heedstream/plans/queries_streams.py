@@ -1,3 +1,118 @@
-from heedstream.plans._book import Book
+"""Registered queries: streaming operators, drained over what has landed, and the composed jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heedstream.operators import stats as st
+from heedstream.plans import frames as fr
+from heedstream.plans import jobs
+from heedstream.plans import queries_returns as qr
+from heedstream.plans._book import Book, r6, rounded
+from heedstream.plans.queries_stats import classes
+from heedstream.sources import adapters as ad
+from heedstream.streaming import streams as sm
+
 book = Book()
+NTZ = "timestamp_ntz"
+
+
+def observed(s: SparkSession, d: str) -> DataFrame:
+    """The events table as a stream."""
+    path = f"{d}/events.parquet"
+    rows = sm.read_files(s, f"{d}/events.parque[t]", s.read.parquet(path).schema)  # a pattern: the source takes a folder or a single file
+    return rows.select(F.col("user_id").alias("trend_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.floor("value").cast("long").alias("traffic"), "event_type", "event_id")
+
+
+@book.add("SELECT CAST(user_id AS VARCHAR) AS keyword, CAST(ts AS DATE) AS day, min(ts) AS fetched_at, arg_max(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '+', row(ts, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '+')) AS approx_traffic FROM events GROUP BY 1, 2")
+def t1_collect(s: SparkSession, d: str) -> DataFrame:
+    polls = observed(s, d).select(F.col("trend_id").cast("string").alias("keyword"), F.date_trunc("day", "observed_at").alias("published_at"), F.col("observed_at").alias("fetched_at"), F.concat(F.col("traffic").cast("string"), F.lit("+")).alias("approx_traffic"))
+    trends, _ = sm.collect(polls, sm.work_folder(s))
+    return trends.select("keyword", F.to_date("published_at").alias("day"), F.col("fetched_at").cast(NTZ).alias("fetched_at"), "approx_traffic")
+
+
+@book.add("SELECT user_id AS trend_id, event_type FROM events GROUP BY 1, 2")
+def t2_dedupe(s: SparkSession, d: str) -> DataFrame:
+    return sm.drain(sm.dedupe(observed(s, d), ["trend_id", "event_type"], "observed_at"), sm.work_folder(s)).select("trend_id", "event_type")
+
+
+CLOSED = "WITH x AS (SELECT user_id, ts, floor(value) AS v, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 60 MINUTE AS gap FROM events), g AS (SELECT *, sum(CAST(coalesce(gap, true) AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x) SELECT user_id AS trend_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS polls FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+
+
+@book.add(CLOSED)
+def t3_list_sessions(s: SparkSession, d: str) -> DataFrame:
+    out = sm.drain(sm.list_sessions(observed(s, d)), sm.work_folder(s))
+    return out.select("trend_id", F.col("first_seen").cast(NTZ).alias("first_seen"), F.col("last_seen").cast(NTZ).alias("last_seen"), "polls")
+
+
+@book.add("SELECT user_id AS trend_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, count(*) AS polls FROM events GROUP BY 1, 2 HAVING CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) + 1 AS TIMESTAMP) - INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR")
+def t4_daily_counts(s: SparkSession, d: str) -> DataFrame:
+    return sm.drain(sm.daily_counts(observed(s, d)), sm.work_folder(s))
+
+
+@book.add("SELECT event_type AS source, max(ts) AS newest FROM events GROUP BY 1")
+def t5_freshness(s: SparkSession, d: str) -> DataFrame:
+    out = sm.freshness(observed(s, d).withColumnRenamed("event_type", "source"), sm.work_folder(s))
+    return out.select("source", F.col("newest").cast(NTZ).alias("newest"))
+
+
+@book.add("WITH l AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS keyword, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'signup'), q AS (SELECT *, lag(day) OVER (PARTITION BY keyword ORDER BY day) AS prev FROM l) SELECT keyword, day FROM q WHERE prev IS NULL OR day - prev > 3")
+def t6_new_listings(s: SparkSession, d: str) -> DataFrame:
+    rows = observed(s, d).where("event_type = 'signup'").select(F.col("trend_id").cast("string").alias("keyword"), "observed_at")
+    return sm.drain(sm.new_listings(rows), sm.work_folder(s))
+
+
+# ---- composed jobs ----
+
+@book.add(ad.sql(fr.ALL, f"{fr.BASE_SQL} SELECT stock_id, count(*) AS events, {r6('avg(return_5d)', 'mean_5d')}, {r6('avg(excess_10d)', 'mean_excess')}, {r6('any_value(normal_10d)', 'normal_10d')}, count(DISTINCT day0_date) AS days FROM events_perf GROUP BY 1"))
+def g37_stock_dataset(s: SparkSession, d: str) -> DataFrame:
+    """The pieces of every stock's dataset in one job, summed up by stock."""
+    data = jobs.stock_datasets(ad.prices(s, d), fr.linked(s, d, None), ad.BENCHMARK)
+    out = data["performance"].groupBy("stock_id").agg(F.count("*").alias("events"), F.avg("return_5d").alias("mean_5d"), F.avg("excess_10d").alias("mean_excess"))
+    days = data["event_days"].groupBy("stock_id").agg(F.count("*").alias("days"))
+    return rounded(out.join(data["normal"].select("stock_id", "normal_10d"), "stock_id").join(days, "stock_id"), "mean_5d", "mean_excess", "normal_10d")
+
+
+@book.add(ad.sql(fr.ALL, f"{qr.PATHS} SELECT 'paths' AS part, CAST(off AS VARCHAR) AS label, {r6('ap', 'value')}, n FROM ag UNION ALL SELECT 'events', 'quiet', NULL, count(*) FROM quiet"))
+def g38_study(s: SparkSession, d: str) -> DataFrame:
+    """Events, units and paths of the whole study."""
+    p = qr.paths(s, d).select(F.lit("paths").alias("part"), F.col("offset").cast("string").alias("label"), F.col("adjusted_path").alias("value"), "n")
+    e = fr.quiet(s, d).agg(F.lit("events").alias("part"), F.lit("quiet").alias("label"), F.lit(None).cast("double").alias("value"), F.count("*").alias("n"))
+    return rounded(p.union(e), "value")
+
+
+@book.add(ad.sql("trends news links prices", f"""fe AS (SELECT stock_id, date, lead(close, 1) OVER w / close - 1 AS r1, lead(close, 3) OVER w / close - 1 AS r3, lead(close, 5) OVER w / close - 1 AS r5, lead(close, 10) OVER w / close - 1 AS r10 FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
+ev AS (SELECT DISTINCT t.trend_id, n.news_id, l.stock_id, CAST(t.published_at AS DATE) AS date FROM trends t JOIN news n USING (trend_id) JOIN links l USING (keyword) WHERE l.link_type = 'direct'), al AS (SELECT f.* FROM ev ASOF JOIN fe f ON ev.stock_id = f.stock_id AND ev.date <= f.date),
+long AS (SELECT unnest([{{'h': 1, 'r': r1}}, {{'h': 3, 'r': r3}}, {{'h': 5, 'r': r5}}, {{'h': 10, 'r': r10}}]) AS x FROM al)
+SELECT x.h AS holding_days, count(*) AS events, {r6('avg(x.r) * 100', 'mean_pct')}, {r6('avg(CASE WHEN x.r > 0 THEN 1.0 ELSE 0.0 END) * 100', 'win_rate_pct')}, {r6('max(x.r) * 100', 'max_gain_pct')}, {r6('min(x.r) * 100', 'max_loss_pct')} FROM long WHERE x.r IS NOT NULL GROUP BY 1"""))
+def g40_event_study(s: SparkSession, d: str) -> DataFrame:
+    """The event frame written as the analysis table (S21), read back and summarised (G1)."""
+    rows = ad.trends(s, d).join(ad.news(s, d), "trend_id").join(ad.links(s, d).where("link_type = 'direct'"), "keyword").select("trend_id", "news_id", "keyword", "stock_id", F.to_date("published_at").alias("date"), "news_sentiment")
+    table = jobs.event_analysis(rows, ad.prices(s, d), f"{sm.work_folder(s)}/event_analysis")
+    return rounded(st.holding_summary(table, "future_return"), "mean_pct", "win_rate_pct", "max_gain_pct", "max_loss_pct")
+
+
+@book.add()
+def g41_daily_update(s: SparkSession, d: str) -> DataFrame:
+    """The daily update's data part in order, with row counts by step and the daily statistics written by day."""
+    links = ad.links(s, d)
+    t = ad.trends(s, d)
+    known = ad.table(s, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_name").alias("keyword"), F.col("c_mktsegment").alias("theme_name"))
+    return jobs.daily_update(t, ad.news(s, d), links, classes(s, d), known, ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("trend_score")), f"{sm.work_folder(s)}/theme_daily_stats")
+
+
+@book.add()
+def s22_daily_stats_table(s: SparkSession, d: str) -> DataFrame:
+    """Daily statistics written by partition twice; the second writing replaces only its own days."""
+    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("trend_score"))
+    rows = heat.groupBy("date", "theme_name").agg(F.avg("trend_score").alias("avg_score"))
+    path = f"{sm.work_folder(s)}/stats"
+    jobs.write_months(rows, path)
+    jobs.write_months(rows.where("month(date) = 3").withColumn("avg_score", F.col("avg_score") + 1), path)
+    return s.read.parquet(path).select("date", "theme_name", "avg_score")
+
+
+book.oracles["s22_daily_stats_table"] = ad.sql("heat_px", "SELECT date, keyword AS theme_name, heat + CASE WHEN month(date) = 3 THEN 1 ELSE 0 END AS avg_score FROM heat_px")
+
 QUERIES, ORACLES = book.queries, book.oracles
