@@ -7,15 +7,18 @@ serves a whole chain, or joins small per-date tables of the benchmark.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HORIZONS = (1, 3, 5, 10)
-BY_STOCK = Window.partitionBy("stock_id").orderBy("date")
 
 
-def _rows(a: int, b: int) -> Window:
-    return BY_STOCK.rowsBetween(a, b)
+def by_stock() -> WindowSpec:
+    return Window.partitionBy("stock_id").orderBy("date")
+
+
+def _rows(a: int, b: int) -> WindowSpec:
+    return by_stock().rowsBetween(a, b)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -27,14 +30,14 @@ def price_features(prices: DataFrame) -> DataFrame:
     """Past and future returns over 1, 3, 5, 10 rows and the change of volume."""
     out = prices
     for n in HORIZONS:
-        out = out.withColumn(f"return_{n}d", ratio(F.col("close"), F.lag("close", n).over(BY_STOCK)))
-        out = out.withColumn(f"future_return_{n}d", ratio(F.lead("close", n).over(BY_STOCK), F.col("close")))
-    return out.withColumn("volume_change", ratio(F.col("volume").cast("double"), F.lag("volume").over(BY_STOCK).cast("double")))
+        out = out.withColumn(f"return_{n}d", ratio(F.col("close"), F.lag("close", n).over(by_stock())))
+        out = out.withColumn(f"future_return_{n}d", ratio(F.lead("close", n).over(by_stock()), F.col("close")))
+    return out.withColumn("volume_change", ratio(F.col("volume").cast("double"), F.lag("volume").over(by_stock()).cast("double")))
 
 
 def numbered(prices: DataFrame) -> DataFrame:
     """Row number of each trading day within its stock, from 1."""
-    return prices.withColumn("ordinal", F.row_number().over(BY_STOCK))
+    return prices.withColumn("ordinal", F.row_number().over(by_stock()))
 
 
 def align(events: DataFrame, trading: DataFrame, side: str = "left", date: str = "date") -> DataFrame:
@@ -60,13 +63,13 @@ def with_performance(prices: DataFrame, benchmark: str) -> DataFrame:
     bench = prices.where(F.col("stock_id") == benchmark).select(F.col("date").alias("_bd"), F.col("close").alias("_bc"))
     out = numbered(prices)
     for n in HORIZONS:
-        out = out.withColumn(f"return_{n}d", F.when(F.col("close") != 0, ratio(F.lead("close", n).over(BY_STOCK), F.col("close"))))
-        out = out.withColumn(f"_to_{n}", F.lead("date", n).over(BY_STOCK))
+        out = out.withColumn(f"return_{n}d", F.when(F.col("close") != 0, ratio(F.lead("close", n).over(by_stock()), F.col("close"))))
+        out = out.withColumn(f"_to_{n}", F.lead("date", n).over(by_stock()))
     out = out.withColumn("max_gain_10d", ratio(F.max("high").over(_rows(1, 10)), F.col("close"))).withColumn("max_loss_10d", ratio(F.min("low").over(_rows(1, 10)), F.col("close")))
     for n in (20, 60):
         ma = F.avg("close").over(_rows(1 - n, 0))
         out = out.withColumn(f"ma{n}", ma)
-        cross = (F.col("close") > F.col(f"ma{n}")) & (F.lag("close").over(BY_STOCK) <= F.lag(f"ma{n}").over(BY_STOCK))
+        cross = (F.col("close") > F.col(f"ma{n}")) & (F.lag("close").over(by_stock()) <= F.lag(f"ma{n}").over(by_stock()))
         out = out.withColumn(f"_x{n}", F.when(cross, F.col("ordinal")))
         out = out.withColumn(f"ma{n}_breakout_day", F.min(f"_x{n}").over(_rows(0, 30)) - F.col("ordinal"))
     after = F.collect_list(F.struct("ordinal", "close")).over(_rows(1, 30))
@@ -94,7 +97,7 @@ def aligned_returns(clusters: DataFrame, prices: DataFrame, offsets: tuple[int,
     """Clusters (cluster, date, stock_ids) to returns from day 0 at each offset; a zero base is skipped."""
     rows = prices
     for n in offsets:
-        rows = rows.withColumn(f"_c{n}", F.lead("close", n).over(BY_STOCK))
+        rows = rows.withColumn(f"_c{n}", F.lead("close", n).over(by_stock()))
     each = clusters.withColumn("stock_id", F.explode("stock_ids")).drop("stock_ids")
     met = align(each, rows.select("stock_id", "date", "close", *[f"_c{n}" for n in offsets])).where("day0.close <> 0")
     paths = F.explode(F.array(*[F.struct(F.lit(n).alias("offset"), F.col(f"day0._c{n}").alias("price")) for n in offsets]))
@@ -110,7 +113,7 @@ def return_comparison(aligned: DataFrame, keys: list[str]) -> DataFrame:
 def relative(prices: DataFrame) -> DataFrame:
     """Adjusted close (else close) with the stock's first value as 100."""
     price = F.coalesce("adj_close", "close")
-    return prices.dropDuplicates(["stock_id", "date"]).withColumn("price", price).where("price is not null").withColumn("base_100", F.col("price") / F.first("price").over(BY_STOCK) * 100)
+    return prices.dropDuplicates(["stock_id", "date"]).withColumn("price", price).where("price is not null").withColumn("base_100", F.col("price") / F.first("price").over(by_stock()) * 100)
 
 
 def technicals(prices: DataFrame) -> DataFrame:
@@ -120,13 +123,13 @@ def technicals(prices: DataFrame) -> DataFrame:
     history is bounded by its trading days.
     """
     out = relative(prices).select("stock_id", "date", "price", "base_100")
-    first = F.first("price").over(BY_STOCK)
+    first = F.first("price").over(by_stock())
     for n in (5, 20, 60):
         frame = _rows(1 - n, 0)
         out = out.withColumn(f"ma{n}", F.when(F.count("price").over(frame) >= n, F.avg("price").over(frame) / first * 100))
-    change = F.col("price") - F.lag("price").over(BY_STOCK)
+    change = F.col("price") - F.lag("price").over(by_stock())
     out = out.withColumn("_up", F.greatest(change, F.lit(0.0))).withColumn("_down", F.greatest(-change, F.lit(0.0)))
-    out = out.withColumn("_up", F.when(F.row_number().over(BY_STOCK) > 1, F.col("_up"))).withColumn("_down", F.when(F.row_number().over(BY_STOCK) > 1, F.col("_down")))
+    out = out.withColumn("_up", F.when(F.row_number().over(by_stock()) > 1, F.col("_up"))).withColumn("_down", F.when(F.row_number().over(by_stock()) > 1, F.col("_down")))
     frame = _rows(-13, 0)
     gain, loss = F.avg("_up").over(frame), F.avg("_down").over(frame)
     rsi = F.when((loss == 0) & (gain > 0), 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
@@ -149,7 +152,7 @@ def technicals(prices: DataFrame) -> DataFrame:
 
 def post_news(articles: DataFrame, prices: DataFrame, rows: int = 5) -> DataFrame:
     """Articles (news_id, stock_id, date): mean return from the first day after to ``rows`` rows on."""
-    ahead = prices.select("stock_id", "date", "close", F.lead("close", rows).over(BY_STOCK).alias("exit"))
+    ahead = prices.select("stock_id", "date", "close", F.lead("close", rows).over(by_stock()).alias("exit"))
     met = align(articles, ahead, "right").where("day0.close <> 0 and day0.exit is not null")
     return met.groupBy("news_id").agg(F.avg(ratio(F.col("day0.exit"), F.col("day0.close"))).alias("return_after"), F.count("*").alias("stocks"))
 
@@ -162,7 +165,7 @@ def daily_abnormal(prices: DataFrame, benchmark: str, price: str = "close") -> D
     stocks = prices.where(F.col("stock_id") != benchmark).select("stock_id").distinct()
     spine = stocks.crossJoin(F.broadcast(calendar.select("date", "day", "bench_return")))
     full = spine.join(prices.select("stock_id", "date", F.col(price).alias("price")), ["stock_id", "date"], "left")
-    return full.withColumn("ar", ratio(F.col("price"), F.lag("price").over(BY_STOCK)) - F.col("bench_return"))
+    return full.withColumn("ar", ratio(F.col("price"), F.lag("price").over(by_stock())) - F.col("bench_return"))
 
 
 def volatility(prices: DataFrame, benchmark: str) -> DataFrame:
@@ -172,9 +175,9 @@ def volatility(prices: DataFrame, benchmark: str) -> DataFrame:
     out = out.withColumn("recent", F.when(F.count("move").over(recent) >= 15, F.avg("move").over(recent)))
     out = out.withColumn("usual", F.when(F.count("move").over(usual) >= 25, F.avg("move").over(usual)))
     out = out.withColumn("ratio", F.try_divide("recent", "usual"))
-    out = out.withColumn("before", F.lag("ratio").over(BY_STOCK))
+    out = out.withColumn("before", F.lag("ratio").over(by_stock()))
     five = F.when(F.count("move").over(after) >= 5, F.avg("move").over(after))
-    return out.withColumn("after5", F.try_divide(five, F.lag("usual").over(BY_STOCK)))
+    return out.withColumn("after5", F.try_divide(five, F.lag("usual").over(by_stock())))
 
 
 def volatility_panel(prices: DataFrame, benchmark: str) -> DataFrame:
@@ -194,9 +197,9 @@ def forward_abnormal(prices: DataFrame, benchmark: str, rows: int, mode: str = "
     calendar = daily_abnormal(prices, benchmark)
     bench = prices.where(F.col("stock_id") == benchmark).select("date", F.col("close").alias("bench"))
     full = calendar.join(F.broadcast(bench), "date")
-    own, base = (F.col("price"), F.col("bench")) if mode == "after" else (F.lag("price").over(BY_STOCK), F.lag("bench").over(BY_STOCK))
+    own, base = (F.col("price"), F.col("bench")) if mode == "after" else (F.lag("price").over(by_stock()), F.lag("bench").over(by_stock()))
     ahead = rows if mode == "after" else rows - 1
-    return full.withColumn("forward_ar", ratio(F.lead("price", ahead).over(BY_STOCK) if ahead else F.col("price"), own) - ratio(F.lead("bench", ahead).over(BY_STOCK) if ahead else F.col("bench"), base))
+    return full.withColumn("forward_ar", ratio(F.lead("price", ahead).over(by_stock()) if ahead else F.col("price"), own) - ratio(F.lead("bench", ahead).over(by_stock()) if ahead else F.col("bench"), base))
 
 
 def event_units(events: DataFrame, trading_days: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,0 +1,188 @@
+"""Hand-computed cases: windows and their edges, names, zones, rules, repair and logs."""
+
+import datetime as dt
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heedstream.functions import exprs as ex
+from heedstream.operators import events as ev
+from heedstream.operators import logs as lg
+from heedstream.operators import repair as rp
+from heedstream.operators import resolve as rs
+from heedstream.operators import returns as rt
+from heedstream.operators import stats as st
+from heedstream.operators import upsert as up
+
+
+def one(spark, column, **values):
+    kinds = {str: "string", int: "int", float: "double", dt.datetime: "timestamp", dt.date: "date"}
+    schema = ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items())
+    return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(("text", "full", "digits"), [("2,000+", 2000, 2000), ("2K+", 2000, 2), ("1.5M", 1.5e6, 1), ("", 0, None), ("x", 0, None)])
+def test_traffic(spark, text, full, digits):
+    assert one(spark, ex.traffic_number(F.col("t")), t=text) == full
+    assert one(spark, ex.traffic_digits(F.col("t")), t=text) == digits
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("中信金", "中國信託金融控股", True), ("網家", "網路家庭", True), ("台積電", "聯電", False), ("", "聯電", False), ("ABC公司", "abc", True)])
+def test_names(spark, a, b, want):
+    assert one(spark, ex.names_match(F.col("a"), F.col("b")), a=a, b=b) is want
+
+
+@pytest.mark.parametrize(("text", "want"), [("2330 台積電股價", "台積電"), ("妖股ABC_股票走勢", "abc"), ("Straße!", "strasse")])
+def test_entity_form(spark, text, want):
+    assert one(spark, ex.entity_form(F.col("t")), t=text) == want
+
+
+def test_local_times(spark):
+    zone = "America/Los_Angeles"
+    got = [one(spark, ex.local_to_utc(F.col("t"), zone), t=t) for t in (dt.datetime(2026, 3, 8, 2, 30), dt.datetime(2026, 11, 1, 1, 30), dt.datetime(2026, 7, 1, 0, 0))]
+    assert [g["problem"] for g in got] == ["nonexistent", "ambiguous", None]
+    assert got[2]["utc"] == dt.datetime(2026, 7, 1, 7, 0)
+
+
+def test_market_days(spark):
+    friday, sunday = dt.datetime(2026, 11, 6, 19, 0), dt.datetime(2026, 11, 8, 10, 0)
+    assert one(spark, ex.expected_trading_day(F.col("t")), t=friday) == dt.date(2026, 11, 6)
+    assert one(spark, ex.expected_trading_day(F.col("t")), t=sunday) == dt.date(2026, 11, 6)
+    assert one(spark, ex.effective_day(F.col("t")), t=friday) == dt.date(2026, 11, 7)
+    assert one(spark, ex.previous_weekday(F.col("t")), t=dt.date(2026, 11, 9)) == dt.date(2026, 11, 6)
+
+
+def days(n, start=dt.date(2026, 1, 1)):
+    return [start + dt.timedelta(days=i) for i in range(n)]
+
+
+def test_performance(spark):
+    d = days(12)
+    closes = [100.0 + i for i in range(12)]
+    rows = [(x, "1", c, 120.0 if i == 4 else c, 91.0 if i == 6 else c) for i, (x, c) in enumerate(zip(d, closes, strict=True))]
+    rows += [(x, "0050", 100.0, 100.0, 100.0) for x in d]
+    p = spark.createDataFrame(rows, "date date, stock_id string, close double, high double, low double")
+    r = rt.with_performance(p, "0050").where(F.col("stock_id") == "1").orderBy("date").first()
+    assert (round(r["return_1d"], 9), round(r["return_3d"], 9), round(r["max_gain_10d"], 9), round(r["max_loss_10d"], 9)) == (0.01, 0.03, 0.2, -0.09)
+    assert round(r["excess_5d"], 9) == 0.05 and r["reaction_days"] == 1 and r["ma20_breakout_day"] is None or r["ma20_breakout_day"] >= 0
+
+
+def test_align_sides(spark):
+    d = days(5)
+    p = spark.createDataFrame([(d[0], "1"), (d[2], "1"), (d[4], "1")], "date date, stock_id string")
+    e = spark.createDataFrame([(d[1], "1"), (d[2], "1"), (d[4], "1"), (d[0], "2")], "date date, stock_id string")
+    at = lambda side: {(r["date"], r["stock_id"]): r["day0"]["date"] if r["day0"] else None for r in rt.align(e, p, side).collect()}
+    assert at("left") == {(d[1], "1"): d[2], (d[2], "1"): d[2], (d[4], "1"): d[4], (d[0], "2"): None}
+    assert at("right") == {(d[1], "1"): d[2], (d[2], "1"): d[4], (d[4], "1"): None, (d[0], "2"): None}
+
+
+def test_rising_stock_is_no_success(spark):
+    rows = [(x, s, v) for i, x in enumerate(days(80)) for s, v in (("1", 1.01**i), ("0050", 100.0))]
+    p = spark.createDataFrame([(x, s, v, v, v) for x, s, v in rows], "date date, stock_id string, close double, high double, low double")
+    perf = rt.with_performance(p, "0050").where(F.col("stock_id") == "1")
+    h = st.hypotheses(perf.join(rt.normal_excess(perf), "stock_id").withColumn("news_sentiment", F.lit("Positive")), ["stock_id"]).first()
+    assert h["h1"] == "不成立" and abs(h["mean"]) < 1e-9
+
+
+def test_detection(spark):
+    d = days(10, dt.date(2026, 9, 1))
+    heat = spark.createDataFrame([(d[i], "k", 40.0 if i == 8 else 20.0) for i in range(9)], "date date, keyword string, heat double")
+    news = spark.createDataFrame([(d[i], "k", i) for i in range(7)] + [(d[7], "k", 100 + i) for i in range(3)], "date date, keyword string, news_id int")
+    rss = spark.createDataFrame([(d[0], "r", "200+"), (d[1], "r", "2,000+"), (d[9], "r", "1000+")], "date date, keyword string, approx_traffic string")
+    got = {(r["keyword"], r["date"]): (r["triggers"], r["traffic"]) for r in ev.detect(heat, news, rss).collect()}
+    assert got == {("k", d[8]): ("heat", None), ("k", d[7]): ("news", None), ("r", d[0]): ("listing", 200.0), ("r", d[9]): ("listing", 1000.0)}
+
+
+def test_volatility(spark):
+    rng = np.random.default_rng(1)
+    closes, c = [], 100.0
+    for i in range(81):
+        closes.append(c)
+        c *= 1 + (0.01 if i < 60 else 0.02) * (1 if rng.random() < 0.5 else -1)
+    rows = [(x, s, v) for x, y in zip(days(81), closes, strict=True) for s, v in (("1", y), ("0050", 100.0))]
+    p = spark.createDataFrame([(x, s, v, v) for x, s, v in rows], "date date, stock_id string, close double, adj_close double")
+    last = rt.volatility(p, "0050").orderBy(F.col("date").desc()).first()
+    assert round(last["ratio"], 2) == 2.0
+
+
+def test_macd_and_rsi(spark):
+    p = spark.createDataFrame([(x, "1", float(10 + i), float(10 + i)) for i, x in enumerate(days(20))], "date date, stock_id string, close double, adj_close double")
+    rows = rt.technicals(p).orderBy("date").collect()
+    e12 = e26 = 10.0
+    for i in range(1, 20):
+        e12, e26 = e12 + (10 + i - e12) * 2 / 13, e26 + (10 + i - e26) * 2 / 27
+    assert abs(rows[-1]["macd"] - (e12 - e26)) < 1e-9 and rows[-1]["rsi14"] == 100.0 and rows[13]["rsi14"] is None
+
+
+def test_planted_lag(spark):
+    rng = np.random.default_rng(11)
+    h = rng.normal(size=140)
+    heat = spark.createDataFrame([(x, "k", float(v)) for x, v in zip(days(140), h, strict=True)], "date date, keyword string, heat double")
+    r = spark.createDataFrame([(x, "1", float(h[i - 3]) if i >= 3 else 0.0) for i, x in enumerate(days(140))], "date date, stock_id string, r double")
+    best = st.theme_cross(heat, r).first()
+    assert (best["best_lag"], best["grade"]) == (3, "A")
+
+
+def test_normal_p(spark):
+    for t in (0.0, 0.5, 1.96, 3.3, 3.96, 4.5, 8.0):
+        assert one(spark, st.normal_p(F.col("t")), t=t) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-9, abs=1e-15)
+
+
+def test_clustered_ols(spark):
+    rng = np.random.default_rng(3)
+    x, g = rng.normal(size=(200, 2)), rng.integers(0, 20, 200)
+    y = 1 + x @ [0.5, -2] + rng.normal(size=200)
+    got = st.clustered_ols(spark.createDataFrame([(float(a), float(b), float(c), int(k)) for a, (b, c), k in zip(y, x, g, strict=True)], "y double, a double, b double, g int"), "y", ["a", "b"], "g").collect()
+    full = np.column_stack([np.ones(200), x])
+    beta, *_ = np.linalg.lstsq(full, y, rcond=None)
+    e, inv = y - full @ beta, np.linalg.inv(full.T @ full)
+    s = np.array([full[g == k].T @ e[g == k] for k in np.unique(g)])
+    se = np.sqrt(np.diag(inv @ (s.T @ s) @ inv) * (20 / 19 * 199 / 197))
+    assert np.allclose([r["beta"] for r in got], beta) and np.allclose([r["se"] for r in got], se)
+
+
+def test_likeness():
+    def lcs(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    for a, b in (("taiwan", "twan"), ("abc", "xbyc"), ("", "a"), ("台積電股", "台積電"), ("kitten", "sitting")):
+        assert rs.common_length(a, b) == lcs(a, b)
+    assert rs.window_likeness("abc", "xxabcxx") == 100.0
+
+
+def test_upserts_are_idempotent(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
+    once = up.upsert(old, new, ["k"])
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, up.upsert(once, new, ["k"]).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_repair(spark):
+    rows = spark.createDataFrame([("2026-09-01 20:00:00.000000", "2026-09-01 04:00:00.000000"), ("2026-09-01 12:00:00", "2026-09-01 11:00:00"), ("2026-09-01", "2026-09-01"), ("2026-11-01 20:00:00.000000", "2026-11-01 01:30:00.000000")], "fetched_at string, published_at string")
+    got = rp.repair_times(rows).collect()
+    assert [r["problem"] for r in got] == [None, None, "layout", "ambiguous"] and [r["lag_seconds"] for r in got][:2] == [3600, 3600]
+
+
+def test_log_runs(spark):
+    lines = ["noise", "[2026/09/01  8:00:00.10] etl start", "Gemini Stats", "Requests: 5", "Processed: 3 items", "other", "Requests: 9", "[2026/09/01  8:10:00.10] etl exit 3", "[2026/09/01  9:00:00.10] etl start"]
+    df = spark.createDataFrame([("etl", i, v) for i, v in enumerate(lines)], "job string, line int, value string")
+    runs = lg.runs(df).orderBy("run").collect()
+    assert [(r["run"], r["exit_code"]) for r in runs] == [(1, 3), (2, None)]
+    assert {r["key"]: r["value"] for r in lg.blocks(df).collect()} == {"Requests": "5", "Processed": "3 items"}
+
+
+def test_quiet_rules_agree(spark, sf_dir):
+    """The listing trigger (three empty days) and the quiet-period rule say the same."""
+    from heedstream.sources import adapters as ad
+
+    listed = ad.listed(spark, sf_dir)
+    quiet = ev.quiet_starts(listed, ["keyword"]).select("keyword", "date")
+    none = lambda c: listed.limit(0).select("keyword", "date", F.lit(None).cast("double").alias(c))
+    found = ev.detect(none("heat"), none("news_id"), listed.withColumn("approx_traffic", F.lit("1+"))).select("keyword", "date")
+    assert quiet.exceptAll(found).isEmpty() and found.exceptAll(quiet).isEmpty()
