@@ -8,7 +8,8 @@ ranges in all dimensions at once and can be pruned by any of them.
 
 No row order is ever built in one task: rows are counted by (curve index,
 hash slice), the small table of counts gives every slice its first
-position, and rows are numbered inside their slice only. A cell that holds
+position, and rows are numbered inside their slice only, in the same
+partitioning that brings the first positions to them. A cell that holds
 a third of all rows is spread over ``SLICES`` hash slices.
 
 Null dimensions take cell 0. Repeated rows and ties are ordered by hash,
@@ -83,7 +84,7 @@ def shard(rows: DataFrame, dims: list[Column], bits: int, shards: int, order: li
     cells = cells.select("_cell", (F.sum("m").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))).alias("before"), F.sum("m").over(line).alias("total"))
     inside = Window.partitionBy("_cell").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(cells), "_cell").select("_cell", "_slice", (F.coalesce("before", F.lit(0)) + F.col("within")).alias("_first"), "total")
-    numbered = at.join(F.broadcast(first), ["_cell", "_slice"]).withColumn("_n", F.row_number().over(Window.partitionBy("_cell", "_slice").orderBy("_rank", *order)) - 1)
+    numbered = at.join(first, ["_cell", "_slice"]).withColumn("_n", F.row_number().over(Window.partitionBy("_cell", "_slice").orderBy("_rank", *order)) - 1)
     place = numbered.withColumn("_at", F.col("_first") + F.col("_n"))
     # whole-number arithmetic: shard s takes positions from ceil(s * total / shards)
     put = place.withColumn("shard", F.expr(f"cast((_at * {shards}) div total as int)"))
