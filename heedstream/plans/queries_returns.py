@@ -197,13 +197,13 @@ COMP = f"""{fr.QUIET_SQL}, {DENSE}, {AR_DENSE.replace('adj_close', 'close')}, nm
 mx AS (SELECT max(day) AS last_day FROM cal), xs AS (SELECT a.stock_id, a.date, a.day, a.ar - n.normal AS x FROM ar a JOIN nm n USING (stock_id)),
 cs AS (SELECT *, coalesce(sum(x) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS pre, x AS day0_ar, coalesce(sum(x) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) AS post5,
   coalesce(sum(x) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), 0) AS post10 FROM xs),
-ed AS (SELECT q.keyword, l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 AS INTEGER) AS date, q.tone FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct'),
+ed AS (SELECT q.keyword, l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 + 1 AS INTEGER) AS date, q.tone FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct'),
 cp AS (SELECT ed.keyword, ed.stock_id, c.date AS day0, ed.tone, c.pre, c.day0_ar, c.post5, c.post10 FROM ed JOIN cal k ON k.date = ed.date JOIN cs c ON c.stock_id = ed.stock_id AND c.date = ed.date WHERE c.day > 5 AND c.day + 10 <= (SELECT last_day FROM mx))"""
 
 
 def dense_events(s: SparkSession, d: str) -> DataFrame:
     """Direct quiet events, their days folded onto the consecutive days of ``dense``."""
-    day = F.expr("date_add(date '2000-01-03', cast(datediff(date, date '1994-12-31') % 400 as int))")
+    day = F.expr("date_add(date '2000-01-03', cast(datediff(date, date '1994-12-31') % 400 + 1 as int))")
     return fr.linked(s, d).select("keyword", "stock_id", "tone", day.alias("date"))
 
 
@@ -340,14 +340,14 @@ def e11_merge_days(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("stock_id", "date", text("keywords"), text("link_types"), text("triggers", "、"), "traffic", "return_10d", "positive", "neutral", "negative", text("headlines"), "number"), "return_10d")
 
 
-FLAGS = f"{PANEL}, {fr.QUIET_SQL}, ed AS (SELECT DISTINCT l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 AS INTEGER) AS date FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct' AND hash_key(q.keyword)), ud AS (SELECT DISTINCT ed.stock_id, c.day + 1 AS day FROM ed JOIN cal c ON c.date = ed.date), pf AS (SELECT p.*, ud.day IS NOT NULL AS flag FROM pn0 p LEFT JOIN ud ON p.stock_id = ud.stock_id AND p.day = ud.day), pnl AS (SELECT *, max(flag) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_event FROM pf)".replace("hash_key(q.keyword)", "q.date < DATE '1996-06-01'")
+FLAGS = f"{PANEL}, {fr.QUIET_SQL}, ed AS (SELECT DISTINCT l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 + 1 AS INTEGER) AS date FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct' AND hash_key(q.keyword)), ud AS (SELECT DISTINCT ed.stock_id, c.day + 1 AS day FROM ed JOIN cal c ON c.date = ed.date), pf AS (SELECT p.*, ud.day IS NOT NULL AS flag FROM pn0 p LEFT JOIN ud ON p.stock_id = ud.stock_id AND p.day = ud.day), pnl AS (SELECT *, max(flag) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_event FROM pf)".replace("hash_key(q.keyword)", "q.date < DATE '1996-06-01'")
 
 
 def flagged_panel(s: SparkSession, d: str) -> DataFrame:
     """The volatility panel with usable event days and their surroundings."""
     panel = rt.volatility_panel(dense(s, d), ad.BENCHMARK)
     events = fr.linked(s, d).where("date < date '1996-06-01'")
-    day = F.expr("date_add(date '2000-01-03', cast(datediff(date, date '1994-12-31') % 400 as int))")
+    day = F.expr("date_add(date '2000-01-03', cast(datediff(date, date '1994-12-31') % 400 + 1 as int))")
     usable = ev.usable_days(events.select("stock_id", day.alias("date")).distinct(), panel.select("stock_id", "date", "day"), lag=1)
     return ev.near(ev.flag_days(panel, usable, "flag"), "flag")
 

@@ -253,7 +253,7 @@ ev AS (SELECT t.trend_id AS event_id, l.stock_id, CAST(t.published_at AS DATE) A
 al AS (SELECT ev.*, f.vc, f.fr, CAST(regexp_extract(approx_traffic, '([\\d.]+)', 1) AS DOUBLE) * 1000 AS tr FROM ev ASOF JOIN fe f ON ev.stock_id = f.stock_id AND ev.date <= f.date),
 rk AS (SELECT *, (rank() OVER (ORDER BY tr) + (count(*) OVER (PARTITION BY tr) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100 AS heat, coalesce(avg(CASE WHEN fr IS NOT NULL THEN CAST(fr > 0 AS DOUBLE) END) OVER (PARTITION BY stock_id ORDER BY date, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) * 100 AS win FROM al),
 sc AS (SELECT *, heat * 0.35::DOUBLE + (greatest(-1, least(3, coalesce(vc, 0))) + 1) / 4 * 100 * 0.25::DOUBLE + CASE sentiment WHEN 'Positive' THEN 100.0::DOUBLE WHEN 'Negative' THEN 0 ELSE 50 END * 0.15::DOUBLE + win * 0.25::DOUBLE AS x FROM rk)
-SELECT event_id, stock_id, {r6('win', 'historical_win_rate')}, floor(x * 10 + 0.500001) / 10 AS signal_score FROM sc"""))
+SELECT event_id, stock_id, {r6('win', 'historical_win_rate')}, round_even(x, 1) AS signal_score FROM sc"""))
 def g25_signal_scores(s: SparkSession, d: str) -> DataFrame:
     t = ad.trends(s, d).join(ad.links(s, d).where("link_type = 'direct'"), "keyword")
     tone = ad.news(s, d).where("news_sentiment is not null").groupBy("trend_id").agg(F.min_by("news_sentiment", "news_id").alias("news_sentiment"))
@@ -313,7 +313,7 @@ def g35_component_health(s: SparkSession, d: str) -> DataFrame:
     return cv.component_health(facts).select("now", "rss", "stocks", "trends", "etl", "score")
 
 
-@book.add(ad.sql(fr.ALL, f"{qr.VOL}, {fr.QUIET_SQL}, ed AS (SELECT q.keyword, l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 AS INTEGER) AS date FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct') SELECT ed.keyword, ed.stock_id, ed.date, {r6('before')}, {r6('after5')} FROM ed LEFT JOIN vt ON vt.stock_id = ed.stock_id AND vt.date = ed.date"))
+@book.add(ad.sql(fr.ALL, f"{qr.VOL}, {fr.QUIET_SQL}, ed AS (SELECT q.keyword, l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 + 1 AS INTEGER) AS date FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct') SELECT ed.keyword, ed.stock_id, ed.date, {r6('before')}, {r6('after5')} FROM ed LEFT JOIN vt ON vt.stock_id = ed.stock_id AND vt.date = ed.date"))
 def g36_volatility_at_events(s: SparkSession, d: str) -> DataFrame:
     v = rt.volatility(qr.dense(s, d), ad.BENCHMARK)
     return rounded(cv.volatility_at(qr.dense_events(s, d).drop("tone"), v).select("keyword", "stock_id", "date", "before", "after5"), "before", "after5")
