@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,7 +52,20 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def lean(run):  # noqa: ANN001, ANN201
+    """A task's generator that gives freed memory back to the system at its end, as its worker goes on to other tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):  # noqa: ANN001, ANN202
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into row ranges of about ``limit`` bytes of text.
 
     Yields (first row, end row, bytes, offsets); offsets has one entry more
@@ -121,8 +137,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", name: str =
     """Connected components of an edge list: rows (id, ``name``).
 
     ``name`` is the smallest id of the component; ids without an edge to
-    another id have no row. Each round hooks every node to its neighbour
-    of least hash (another hash each round, so that chains shrink too),
+    another id have no row. Each round hooks every node to its least
+    neighbour, by id in even rounds (stars around a first member collapse at
+    once) and by another hash in each odd round (so that chains shrink too),
     contracts the edges and writes them to the shared folder. No node's
     neighbours are gathered: every step is an aggregation or an equi-join
     with a unique right side. Null ids and loops are left out.
@@ -135,7 +152,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", name: str =
         if current.isEmpty():
             break
         both = current.union(current.select("b", "a"))
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), c.alias("v"))  # noqa: B023, E731
+        order = lambda c: F.struct((F.xxhash64(c, F.lit(step)) if step % 2 else c).alias("h"), c.alias("v"))  # noqa: B023, E731
         hook = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
         hook = hook.select(F.col("a").alias("id"), F.least(F.col("m"), order(F.col("a"))).getField("v").alias("up"))
         hook = stage_table(_jump(hook), "hooks")

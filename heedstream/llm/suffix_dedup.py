@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heedstream.llm._common import mix, prefix_sums, range_hash, stage_table, text_chunks
+from heedstream.llm._common import lean, mix, prefix_sums, range_hash, stage_table, text_chunks
 
 WIDTH, GRAM = 100, 32
 #: Rows, and windows, that a task works on at a time.
-SCAN_ROWS, SORT_WINDOWS = 200_000, 200_000
+SCAN_ROWS, SORT_WINDOWS = 200_000, 100_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -171,8 +171,8 @@ def _runs(doc: np.ndarray, tx: np.ndarray, p: np.ndarray, width: int) -> tuple[n
     new = np.ones(len(p), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (tx[1:] != tx[:-1]) | (p[1:] > p[:-1] + width)
     at = np.flatnonzero(new)
-    end = np.append(at[1:], len(p)) - 1
-    return doc[at], tx[at], p[at], p[np.maximum(end, 0)] + width
+    end = np.append(at, len(p))[1:] - 1
+    return doc[at], tx[at], p[at], p[end] + width
 
 
 def _sort_windows(width: int):  # noqa: ANN202
@@ -199,7 +199,7 @@ def _sort_windows(width: int):  # noqa: ANN202
             place = np.lexsort((p, tx, doc))
             row, step, doc, tx, p = row[place], step[place], doc[place], tx[place], p[place]
             words = -(-width // 8)
-            grid = flat[(offsets[row] + step)[:, None] + np.arange(words * 8)[None, :]]
+            grid = np.lib.stride_tricks.sliding_window_view(flat, words * 8)[offsets[row] + step]
             grid[:, width:] = 0
             order, same = multikey_sort(np.ascontiguousarray(grid).view(">u8").astype(np.uint64))
             repeats = order[same]
@@ -219,6 +219,7 @@ def _cut_segments(width: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # a batch out for each text: its segments are about as long as the text
             for doc, tx, text, places in zip(*(batch.column(c) for c in ("doc_id", "tx", "text", "places")), strict=True):
                 data = text.as_py().encode()
                 flat = places.values
@@ -241,21 +242,21 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, txs = batch.column("doc_id"), batch.column("tx")
-            for first, _, data, offsets in text_chunks(batch, "text", 1 << 21):
+            for first, _, data, offsets in text_chunks(batch, "text"):
                 text, s, n, o, h, g = segments(data, offsets, width, gram)
                 rows = pa.array(text + first)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), ids.take(rows), txs.take(rows), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(o.astype(np.int16))], ["h", "g", "doc_id", "tx", "s", "n", "o"])
 
-    anchored = stage_table(docs.mapInArrow(cut, "h long, g int, doc_id long, tx long, s int, n short, o short"), "segments")
+    anchored = stage_table(docs.mapInArrow(lean(cut), "h long, g int, doc_id long, tx long, s int, n short, o short"), "segments")
     ordered = anchored.repartitionByRange("h", "g", "doc_id", "tx", "s").sortWithinPartitions("h", "g", "doc_id", "tx", "s")
-    decided = stage_table(ordered.mapInArrow(_collapse, "doc_id long, tx long, s int, n short, o short, h long, kind int"), "decided")
+    decided = stage_table(ordered.mapInArrow(lean(_collapse), "doc_id long, tx long, s int, n short, o short, h long, kind int"), "decided")
     whole = decided.where("kind = 0").select("doc_id", "tx", F.col("s").cast("long").alias("lo"), (F.col("s") + F.col("n") + (width - 1)).cast("long").alias("hi"))
 
     places = decided.where("kind = 1").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("s", "n", "o", "h")).alias("places"))
-    rest = stage_table(docs.join(places, ["doc_id", "tx"]).select("doc_id", "tx", "text", "places").mapInArrow(_cut_segments(width), "t0 long, t1 long, h long, doc_id long, tx long, s int, n int, segment binary"), "suffixes")
+    rest = stage_table(docs.join(places, ["doc_id", "tx"]).select("doc_id", "tx", "text", "places").mapInArrow(lean(_cut_segments(width)), "t0 long, t1 long, h long, doc_id long, tx long, s int, n int, segment binary"), "suffixes")
     key = ["t0", "t1", "h", "doc_id", "tx", "s"]
     ordered = rest.repartitionByRange(*key).sortWithinPartitions(*key)
-    compared = stage_table(ordered.mapInArrow(_sort_windows(width), "doc_id long, tx long, lo long, hi long, w binary"), "compared")
+    compared = stage_table(ordered.mapInArrow(lean(_sort_windows(width)), "doc_id long, tx long, lo long, hi long, w binary"), "compared")
     inside = compared.where("w is null").drop("w")
     across = compared.where("w is not null")
     first = across.groupBy("w").agg(F.min(F.struct("doc_id", "tx", "lo")).alias("first"), F.count("*").alias("times")).where("times > 1")
@@ -265,7 +266,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove the ranges of each text."""
-    for batch in batches:
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         rows = []
         for text, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
             data = (text.as_py() or "").encode()
@@ -309,4 +310,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     found = repeated_ranges(own.where("text is not null").dropDuplicates(["doc_id", "tx"]) if twice else own.where("text is not null"), width, gram)
     ranges = found.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     schema = f"doc_id long, tx long, carried {full.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:bigint,hi:bigint>>, kept_text string"
-    return full.join(ranges, ["doc_id", "tx"], "left").select("doc_id", "tx", "text", "ranges", "carried").mapInArrow(_apply, schema)
+    return full.join(ranges, ["doc_id", "tx"], "left").select("doc_id", "tx", "text", "ranges", "carried").mapInArrow(lean(_apply), schema)
