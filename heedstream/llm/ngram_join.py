@@ -12,10 +12,14 @@ is the only one). Texts link when 100 * |A & B| >= percent * |A | B|.
 3. Nothing may be missed: two sets that link share one of the least
    n - ceil(percent * n / 100) + 1 hashes of each. Tiles of these prefixes
    that hold classes not yet joined are ordered by set size, which bands
-   them: a class meets only classes of a size that can link. Of each met
-   pair, the bits in which two hashed bitmap signatures differ bound the
-   overlap from above; what may still link is compared exactly, by
-   intersecting the sorted hash arrays of the whole texts.
+   them: a class meets only classes of a size that can link. A signature
+   has a bit for each of its places, flipped by every shingle hashed there;
+   the bits in which two signatures differ are at most the shingles of one
+   set alone, so their count bounds the overlap from above. Tiles carry
+   1024 bits; large sets have longer signatures (at least a bit for two
+   shingles) that are compared next, folded to one length. What may still
+   link is compared exactly, by intersecting the sorted hash arrays of the
+   whole texts.
 
 Sets are kept as 64-bit hashes of their shingles. Null or empty texts have
 empty sets, link with nothing and are their own component. Repeated ids are
@@ -31,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heedstream.llm._common import components, mix, stage_table, text_chunks
+from heedstream.llm._common import components, lean, mix, stage_table, text_chunks
 from heedstream.llm.shingles import shingle_sets
 
-#: Words of a shingle, least similarity in percent, bits of a signature, hashes of the first meeting.
-WIDTH, PERCENT, BITS, HEAD = 5, 80, 512, 8
+#: Words of a shingle, least similarity in percent, bits of a tile's signature, hashes of the first meeting.
+WIDTH, PERCENT, BITS, HEAD = 5, 80, 1024, 8
 #: Rows of a tile that are compared in one task; larger tiles are cut into blocks, and block meets block.
 TILE_ROWS = 16_384
 
@@ -45,38 +49,70 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def describe(data: np.ndarray, offsets: np.ndarray, width: int, percent: int) -> tuple:
-    """For each text: set size, two set keys, prefix hashes (values, offsets), signature bytes."""
+    """For each text: set size, two set keys, prefix hashes (values, offsets), signature bytes, longer signature or None."""
     value, ends = shingle_sets(data, offsets, width)
     n = np.diff(ends)
     some = np.flatnonzero(n)
     keys = np.zeros((2, len(n)), dtype=np.uint64)
-    signature = np.zeros((len(n), BITS // 8), dtype=np.uint8)
     if len(some):
         begin = ends[:-1][some]
         for k in range(2):
             keys[k, some] = np.add.reduceat(mix(value ^ np.uint64(0xABCD0001 + k)), begin)
-        bit = (value & np.uint64(BITS - 1)).astype(np.int64)
-        flags = np.zeros((len(n), BITS), dtype=bool)
-        flags[np.repeat(np.arange(len(n)), n), bit] = True
-        signature = np.packbits(flags, axis=1)
+    owner = np.repeat(np.arange(len(n)), n)
+    small = _parities(value, owner, np.full(len(n), BITS))
+    bits = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) >> 1)
+    large = _parities(value, owner, bits)
     take = np.where(n > 0, prefix_length(n, percent), 0)
     upto = np.concatenate([[0], np.cumsum(take)])
     at = np.arange(upto[-1]) - np.repeat(upto[:-1] - ends[:-1], take)
-    return n, keys, value[at], upto, signature
+    return n, keys, value[at], upto, small, [x if b > BITS else None for x, b in zip(large, bits.tolist(), strict=True)]
+
+
+def _parities(value: np.ndarray, owner: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """Parity bitmaps of each owner's values; ``bits`` are powers of two."""
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    place = begin[owner] + (value & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(begin[-1])) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a // 8 : b // 8].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two signatures differ, the longer one folded to the shorter one's length."""
+    short, full = (a, b) if len(a) <= len(b) else (b, a)
+    x, size = int.from_bytes(full, "little"), len(full) * 8
+    while size > len(short) * 8:
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return (x ^ int.from_bytes(short, "little")).bit_count()
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch, "text", 1 << 21):
-                n, keys, value, upto, signature = describe(data, offsets, width, percent)
+            for first, end, data, offsets in text_chunks(batch, "text"):
+                n, keys, value, upto, small, large = describe(data, offsets, width, percent)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id")[first:end], pa.array(n, pa.int32()), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(value.view(np.int64))), pa.array([s.tobytes() for s in signature], pa.binary()),
-                ], ["doc_id", "n", "k1", "k2", "prefix", "signature"])
+                    pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(value.view(np.int64))), pa.array(small, pa.binary()), pa.array(large, pa.binary()),
+                ], ["doc_id", "n", "k1", "k2", "prefix", "signature", "long_signature"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, prefix array<long>, signature binary")
+    return source.mapInArrow(lean(run), "doc_id long, n int, k1 long, k2 long, prefix array<long>, signature binary, long_signature binary")
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and full signatures allow."""
+    side = sets.select("doc_id", "n", F.coalesce("long_signature", "signature").alias("s")).join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    left = pairs.select("a", "b").join(side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+    both = left.join(side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b").where(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (100 - percent) * (batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()) // (100 + percent)
+            keep = [differing_bits(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column("sa"), batch.column("sb"), most.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -91,7 +127,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 batch = whole.slice(at, 64)
                 sides = []
                 for c in ("x", "y"):
-                    sides.append([value[ends[k] : ends[k + 1]] for _, _, data, offsets in text_chunks(batch, c, 1 << 21) for value, ends in [shingle_sets(data, offsets, width)] for k in range(len(ends) - 1)])
+                    sides.append([value[ends[k] : ends[k + 1]] for _, _, data, offsets in text_chunks(batch, c) for value, ends in [shingle_sets(data, offsets, width)] for k in range(len(ends) - 1)])
                 keep = []
                 for p, q in zip(*sides, strict=True):
                     place = np.searchsorted(q, p)
@@ -101,7 +137,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # a repeated id has its texts checked in every combination, so links are made distinct
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 _POPULATION = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
@@ -167,7 +203,7 @@ def _candidates(tiles: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield pairs(held.combine_chunks())
 
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    return tiles.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _first_meeting(heads: DataFrame) -> DataFrame:
@@ -179,7 +215,7 @@ def _first_meeting(heads: DataFrame) -> DataFrame:
     return most.select(F.least("rep", -F.col("m.other")).alias("a"), F.greatest("rep", -F.col("m.other")).alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = 1) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each document."""
     sets = stage_table(_sets(docs, width, percent), "sets")
     thin = sets.select("doc_id", "n", "k1", "k2")
@@ -197,7 +233,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     for _ in range(rounds):
         own = labels()
         heads = sets.select(F.col("doc_id").alias("rep"), F.slice("prefix", 1, HEAD).alias("head")).join(own, "rep").select("rep", "label", F.explode("head").alias("tok"))
-        new = stage_table(_linked(stage_table(_first_meeting(heads), "met"), docs, width, percent), "links")
+        met = stage_table(_may_link(_first_meeting(heads), sets, percent), "met")
+        new = stage_table(_linked(met, docs, width, percent), "links")
         links = new if links is None else links.union(new)
 
     own = labels()
@@ -209,7 +246,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rows = stage_table(rows, "tiles")
     rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "signature"), "rep")
     tiles = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n")
-    last = stage_table(_linked(stage_table(_candidates(tiles, percent), "candidates"), docs, width, percent), "links")
+    near = stage_table(_may_link(stage_table(_candidates(tiles, percent), "candidates"), sets, percent), "met")
+    last = stage_table(_linked(near, docs, width, percent), "links")
     found = components(links.union(last), name="component").withColumnRenamed("id", "rep")
     return member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
