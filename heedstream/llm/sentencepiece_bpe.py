@@ -5,8 +5,9 @@ best score first and leftmost first among equals, names the next pair to
 merge; each merge puts at most two new pairs on the agenda. Characters
 outside the vocabulary fall back to byte pieces. The vocabulary holds no
 piece with a word mark behind another character, so words are independent
-of each other: each worker keeps the pieces of words it has met, in two
-generations so that frequent words stay. Short words keep their agenda as a
+of each other: a task keeps the pieces of words it has met, in two
+generations so that frequent words stay, and leaves the first ones, which
+tend to be the frequent ones, to the worker's next task. Short words keep their agenda as a
 list of pair scores, long ones as a heap. In every Arrow batch the words new
 to the worker are also given to the sentencepiece library, and a difference
 raises an error.
@@ -28,9 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heedstream.llm._common import lean
+
 MARK = "▁"
-#: Words of a generation that a worker keeps; bounds memory only. Symbols up to which the agenda is a list.
-KEPT_WORDS, SHORT = 300_000, 24
+#: Words of a generation that a task keeps, and of those left to the next task; they bound memory only.
+KEPT_WORDS, CORE_WORDS = 250_000, 60_000
+#: Symbols up to which the agenda is a list.
+SHORT = 24
 
 
 NEVER = float("inf")
@@ -149,11 +154,17 @@ class Model:
             if (back := self.pieces_to_text(ids)) != s.replace(MARK, " "):
                 self.odd[s] = back
 
+    def rest(self) -> None:
+        """At the end of a task: keep the words learnt first."""
+        self.older = {}
+        self.kept = dict(itertools.islice(self.kept.items(), CORE_WORDS))
+        self.odd = {s: t for s, t in self.odd.items() if s in self.kept}
+
     def batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by commas, decoded text) of each text."""
         parts = [self.segments(t) for t in texts]
         if len(self.kept) > KEPT_WORDS:
-            self.older, self.kept = self.kept, {}
+            self.older, self.kept = self.kept, dict(itertools.islice(self.kept.items(), CORE_WORDS))
         new = []
         for s in set(itertools.chain.from_iterable(parts)).difference(self.kept):
             if (known := self.older.get(s)) is None:
@@ -220,5 +231,6 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
                     columns.append(pa.array(text_out, pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        own.rest()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
