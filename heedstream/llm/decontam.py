@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heedstream.llm._common import lean
+
 #: Share of an item's characters that may be edited.
 RATE = 0.1
 #: Characters of items that one pass holds in memory; more items take more passes.
@@ -184,7 +186,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     out = None
     for own in _blocks(benchmark, block_chars):
-        part = source.mapInArrow(_scan(own, rate), "doc_id long, item_id long, distance int, budget int")
+        part = source.mapInArrow(lean(_scan(own, rate)), "doc_id long, item_id long, distance int, budget int")
         out = part if out is None else out.union(part)
     return out
 
@@ -210,7 +212,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RAT
     """The documents that hold no item within its budget, whole and with all their columns; nothing is shuffled."""
     out = docs
     for own in _blocks(benchmark, block_chars):
-        out = out.mapInArrow(_clean(own, rate), docs.schema)
+        out = out.mapInArrow(lean(_clean(own, rate)), docs.schema)
     return out
 
 

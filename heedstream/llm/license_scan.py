@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heedstream.llm._common import mix, text_chunks
+from heedstream.llm._common import lean, mix, text_chunks
 from heedstream.llm.shingles import shingle_hashes, words
 
 #: Short notices of widely used licenses.
@@ -133,7 +133,7 @@ def scan(docs: DataFrame, templates: DataFrame | list[tuple[str, str]] = TEMPLAT
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     out = None
     for block in blocks:
-        part = source.mapInArrow(_run(block, width, least, miss), "doc_id long, license string, first_byte long, end_byte long, containment double")
+        part = source.mapInArrow(lean(_run(block, width, least, miss)), "doc_id long, license string, first_byte long, end_byte long, containment double")
         out = part if out is None else out.union(part)
     return out.groupBy("doc_id", "license").agg(F.count_distinct("first_byte", "end_byte").alias("n_windows"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte"), F.max("containment").alias("containment"))
 
@@ -151,7 +151,7 @@ def _run(templates: list[tuple[str, str]], width: int, least: float, miss: float
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, _, data, offsets in text_chunks(batch, "text", 1 << 21):
+            for first, _, data, offsets in text_chunks(batch, "text"):
                 rows = [(ids[first + d].as_py(), *rest) for d, *rest in scanner.scan(data, offsets)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "license", "first_byte", "end_byte", "containment"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from heedstream.llm._common import text_chunks
+from heedstream.llm._common import lean, text_chunks
 from heedstream.llm.shingles import words
 
 #: Rated documents in the fit, feature bits, passes.
@@ -141,11 +141,11 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, grades: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch, "text", 1 << 21):
+            for first, end, data, offsets in text_chunks(batch, "text"):
                 pairs = list(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:end], batch.column("grade")[first:end], pa.array([i.tobytes() for i, _ in pairs], pa.binary()), pa.array([v.tobytes() for _, v in pairs], pa.binary())], ["doc_id", "grade", "i", "v"])
 
-    found = sorted(texts.mapInArrow(run, "doc_id long, grade int, i binary, v binary").toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["i"])))
+    found = sorted(texts.mapInArrow(lean(run), "doc_id long, grade int, i binary, v binary").toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["i"])))
     grade = np.array([r["grade"] for r in found], dtype=np.int64)
     if len(np.unique(grade)) < 2:
         return None
@@ -166,10 +166,10 @@ def classify(docs: DataFrame, model: Ordinal | None, select: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [scores(data, offsets, shared.value) for _, _, data, offsets in text_chunks(batch, "text", 1 << 21)]
+            parts = [scores(data, offsets, shared.value) for _, _, data, offsets in text_chunks(batch, "text")]
             score = np.concatenate(parts) if parts else np.zeros(0)
             tails = Ordinal(shared.value, thresholds).tails(score)
             more = [pa.array(score), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= select)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names, "selected"])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(lean(run), schema)
