@@ -100,9 +100,14 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return source.mapInArrow(lean(run), "doc_id long, n int, k1 long, k2 long, prefix array<long>, signature binary, long_signature binary")
 
 
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    """The distinct ids of pairs (a, b); each side is made distinct before the two are put together."""
+    return pairs.select(F.col("a").alias(name)).distinct().union(pairs.select("b").distinct()).distinct()
+
+
 def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and full signatures allow."""
-    side = sets.select("doc_id", "n", F.coalesce("long_signature", "signature").alias("s")).join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    side = sets.select("doc_id", "n", F.coalesce("long_signature", "signature").alias("s")).join(_ends(pairs, "doc_id"), "doc_id", "left_semi")
     left = pairs.select("a", "b").join(side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
     both = left.join(side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b").where(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
 
@@ -117,7 +122,7 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts link."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_ends(pairs, "id"), "id", "left_semi")
     left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
