@@ -17,12 +17,12 @@ follow each other and share an anchor make one segment.
    earliest repeat whole.
 2. The earliest segments of grams with several contents are the suffixes
    that remain. They are range-partitioned by the leading tokens of the
-   suffix at their anchor, again with sampled splitters, the id last, so
-   that a gram in a third of all texts is spread over buckets. Each bucket
-   sorts its windows by multikey quicksort over 8-byte tokens and compares
-   neighbours byte for byte.
-3. Only the first and last gram of a bucket can go on in another: what is
-   left of their windows is compared across the boundaries by its bytes.
+   suffix at their anchor, again with sampled splitters; a gram of more than
+   ``HOT_GRAM`` segments is first split into parts by id, so that it is
+   spread over buckets. Each bucket sorts its windows by multikey quicksort
+   over 8-byte tokens and compares neighbours byte for byte.
+3. Only the parts of a split gram go on in other buckets: what is left of
+   their windows is compared across the boundaries by its bytes.
 
 Null and empty texts have no bytes and lose none. Rows that repeat an id
 with another text are ordered by a hash of the text; rows equal in both are
@@ -45,6 +45,8 @@ from heedstream.llm._common import lean, mix, prefix_sums, range_hash, stage_tab
 WIDTH, GRAM = 100, 32
 #: Rows, and windows, that a task works on at a time.
 SCAN_ROWS, SORT_WINDOWS = 200_000, 100_000
+#: Segments of one gram from which on it is split.
+HOT_GRAM = 20_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -119,13 +121,14 @@ def multikey_sort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
-def _sorted_chunks(batches: Iterator[pa.RecordBatch], key: list[str], limit: int, weight: Callable[[pa.Table], int]) -> Iterator[tuple[pa.Table, bool, bool]]:
+def _sorted_chunks(batches: Iterator[pa.RecordBatch], key: list[str], limit: int, weight: Callable[[pa.Table], int], edges: bool = True) -> Iterator[tuple[pa.Table, bool, bool]]:
     """Chunks of a sorted partition, cut between keys where that is possible.
 
-    With each chunk: whether its first and its last key may go on elsewhere.
+    With each chunk: whether its first and its last key may go on elsewhere;
+    with ``edges`` those at the partition's ends may.
     """
     held: pa.Table | None = None
-    first = True
+    first = edges
     for batch in batches:
         part = pa.Table.from_batches([batch])
         held = part if held is None else pa.concat_tables([held, part])
@@ -142,7 +145,7 @@ def _sorted_chunks(batches: Iterator[pa.RecordBatch], key: list[str], limit: int
             yield held, True, True
             held, first = None, True
     if held is not None and held.num_rows:
-        yield held.combine_chunks(), first, True
+        yield held.combine_chunks(), first, edges
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +183,10 @@ def _sort_windows(width: int):  # noqa: ANN202
     names = ["doc_id", "tx", "lo", "hi", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, open_first, open_last in _sorted_chunks(batches, ["t0", "t1", "h"], SORT_WINDOWS, lambda t: int(np.sum(t.column("n").to_numpy()))):
+        for chunk, open_first, open_last in _sorted_chunks(batches, ["t0", "t1", "h", "part"], SORT_WINDOWS, lambda t: int(np.sum(t.column("n").to_numpy())), edges=False):
             n = chunk.column("n").to_numpy().astype(np.int64)
-            keys = [chunk.column(c).to_numpy() for c in ("t0", "t1", "h")]
-            opened = np.zeros(len(n), dtype=bool)
+            keys = [chunk.column(c).to_numpy() for c in ("t0", "t1", "h", "part")]
+            opened = keys[3] >= 0  # a part of a split gram
             if open_first:
                 opened |= np.logical_and.reduce([k == k[0] for k in keys])
             if open_last:
@@ -223,15 +226,15 @@ def _cut_segments(width: int):  # noqa: ANN202
             for doc, tx, text, places in zip(*(batch.column(c) for c in ("doc_id", "tx", "text", "places")), strict=True):
                 data = text.as_py().encode()
                 flat = places.values
-                s, n, o, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                s, n, o, h, part = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
                 lead = np.array([list(data[a : a + 16].ljust(16, b"\0")) for a in (s + o).tolist()], dtype=np.uint8).reshape(-1, 16).view(">u8").astype(np.uint64)
                 lead ^= np.uint64(1 << 63)  # signed order is byte order
                 cut = pa.array([data[a : a + k] for a, k in zip(s.tolist(), (n + (width - 1)).tolist(), strict=True)], pa.binary())
                 m = len(s)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(lead[:, 0].view(np.int64)), pa.array(lead[:, 1].view(np.int64)), pa.array(h), pa.array(np.full(m, doc.as_py(), np.int64)), pa.array(np.full(m, tx.as_py(), np.int64)),
+                    pa.array(lead[:, 0].view(np.int64)), pa.array(lead[:, 1].view(np.int64)), pa.array(h), pa.array(part), pa.array(np.full(m, doc.as_py(), np.int64)), pa.array(np.full(m, tx.as_py(), np.int64)),
                     pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), cut,
-                ], ["t0", "t1", "h", "doc_id", "tx", "s", "n", "segment"])
+                ], ["t0", "t1", "h", "part", "doc_id", "tx", "s", "n", "segment"])
 
     return run
 
@@ -252,10 +255,15 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     decided = stage_table(ordered.mapInArrow(lean(_collapse), "doc_id long, tx long, s int, n short, o short, h long, kind int"), "decided")
     whole = decided.where("kind = 0").select("doc_id", "tx", F.col("s").cast("long").alias("lo"), (F.col("s") + F.col("n") + (width - 1)).cast("long").alias("hi"))
 
-    places = decided.where("kind = 1").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("s", "n", "o", "h")).alias("places"))
-    rest = stage_table(docs.join(places, ["doc_id", "tx"]).select("doc_id", "tx", "text", "places").mapInArrow(lean(_cut_segments(width)), "t0 long, t1 long, h long, doc_id long, tx long, s int, n int, segment binary"), "suffixes")
-    key = ["t0", "t1", "h", "doc_id", "tx", "s"]
-    ordered = rest.repartitionByRange(*key).sortWithinPartitions(*key)
+    left = decided.where("kind = 1")
+    hot = left.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT_GRAM)
+    # -1: the gram is whole in one bucket
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / HOT_GRAM)), F.lit(-1)).cast("int").alias("part")
+    left = left.join(hot, "h", "left").select("doc_id", "tx", "s", "n", "o", "h", part)
+    places = left.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("s", "n", "o", "h", "part")).alias("places"))
+    rest = stage_table(docs.join(places, ["doc_id", "tx"]).select("doc_id", "tx", "text", "places").mapInArrow(lean(_cut_segments(width)), "t0 long, t1 long, h long, part int, doc_id long, tx long, s int, n int, segment binary"), "suffixes")
+    key = ["t0", "t1", "h", "part"]
+    ordered = rest.repartitionByRange(*key).sortWithinPartitions(*key, "doc_id", "tx", "s")
     compared = stage_table(ordered.mapInArrow(lean(_sort_windows(width)), "doc_id long, tx long, lo long, hi long, w binary"), "compared")
     inside = compared.where("w is null").drop("w")
     across = compared.where("w is not null")

@@ -131,6 +131,7 @@ def test_suffix_dedup(spark, monkeypatch):
     texts |= {100: "a" * 300, 101: "ab" * 200 + "é" * 60, 102: None, 103: "", 104: texts[3], 105: "é" * 61 + "x", 106: "a" * 39}
     monkeypatch.setattr(suffix_dedup, "SCAN_ROWS", 50)
     monkeypatch.setattr(suffix_dedup, "SORT_WINDOWS", 50)
+    monkeypatch.setattr(suffix_dedup, "HOT_GRAM", 3)
     got = suffix_dedup.remove_repeats(docs(spark, list(texts.values()), list(texts)), 40, 12).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(texts, 40)
     assert all(r["carried"]["tx"] == 2 for r in got)
