@@ -22,8 +22,16 @@ is the only one). Texts link when 100 * |A & B| >= percent * |A | B|.
    whole texts.
 
 Sets are kept as 64-bit hashes of their shingles. Null or empty texts have
-empty sets, link with nothing and are their own component. Repeated ids are
-rows of their own. An empty table gives no rows.
+empty sets, link with nothing and are their own component. An empty table
+gives no rows.
+
+The nodes of the graph are rows. Where every id is there once, the id is the
+row's key; where ids are null or repeated, it is a 64-bit hash of id and text.
+Rows that repeat an id with another text are judged by their own text. A
+component is named after its smallest id, and is null if none of its rows has
+an id. ``keep_first`` keeps of each component one row, that of the smallest id
+(null ids are last; of rows of one id the one of the smallest key, of rows equal
+in id and text any one), and every row without shingles.
 """
 
 from __future__ import annotations
@@ -141,7 +149,6 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                     keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # a repeated id has its texts checked in every combination, so links are made distinct
     return both.mapInArrow(lean(run), "a long, b long").distinct()
 
 
@@ -220,8 +227,33 @@ def _first_meeting(heads: DataFrame) -> DataFrame:
     return most.select(F.least("rep", -F.col("m.other")).alias("a"), F.greatest("rep", -F.col("m.other")).alias("b")).distinct()
 
 
+def _keyed(docs: DataFrame) -> DataFrame | None:
+    """Rows (row, doc_id, text, carried) with a key for each id and text, or None if ids are unique and not null."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[docs[c] for c in docs.columns]).alias("carried"))
+    if own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return None
+    return own.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "carried")
+
+
+def _first_rows(rows: DataFrame, width: int, percent: int, rounds: int = 1) -> DataFrame:
+    """Rows (row, n_shingles, first), one for each key; ``first`` has the id and key of its component's first row."""
+    unique = stage_table(rows.select("row", "doc_id", "text").dropDuplicates(["row"]), "rows")
+    found = stage_table(_components(unique.select(F.col("row").alias("doc_id"), "text"), width, percent, rounds).withColumnRenamed("doc_id", "row"), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    first = unique.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return found.join(first, "component_id").select("row", "n_shingles", "first")
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = 1) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each document."""
+    rows = _keyed(docs)
+    if rows is None:
+        return _components(docs, width, percent, rounds)
+    return rows.select("row", "doc_id").join(_first_rows(rows, width, percent, rounds), "row").select("doc_id", "n_shingles", F.col("first.id").alias("component_id"))
+
+
+def _components(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) of documents whose ids are unique and not null."""
     sets = stage_table(_sets(docs, width, percent), "sets")
     thin = sets.select("doc_id", "n", "k1", "k2")
     classes = thin.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
@@ -258,6 +290,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
-    kept = jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The first document of each component and all without shingles, with all their columns; see the module's text for null and repeated ids."""
+    rows = _keyed(docs)
+    if rows is None:
+        kept = _components(docs, width, percent, 1).where("doc_id = component_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi")
+    kept = rows.join(_first_rows(rows, width, percent).where("row = first.row").select("row", "n_shingles"), "row")
+    one = kept.where("n_shingles > 0").dropDuplicates(["row"])
+    return kept.where("n_shingles = 0").unionByName(one).select("carried.*")

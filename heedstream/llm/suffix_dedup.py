@@ -26,7 +26,9 @@ follow each other and share an anchor make one segment.
 
 Null and empty texts have no bytes and lose none. Rows that repeat an id
 with another text are ordered by a hash of the text; rows equal in both are
-one document and have the same result. Long texts are taken whole. An empty
+one document and have the same result. Rows without an id are documents of
+their own, even where their texts are equal, and come after all others in the
+order of a number that they are given. Long texts are taken whole. An empty
 table gives no rows.
 """
 
@@ -47,6 +49,8 @@ WIDTH, GRAM = 100, 32
 SCAN_ROWS, SORT_WINDOWS = 200_000, 100_000
 #: Segments of one gram from which on it is split.
 HOT_GRAM = 20_000
+#: Stands for the id of rows that have none; their ``tx`` tells them from a row of this id.
+LAST = (1 << 63) - 1
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -307,15 +311,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     ``carried`` is a struct of the other columns of docs, whatever their
     names. Spans are bytes, from 0, end exclusive. ``tx`` is 0, or a hash of the
-    text where an id occurs in several rows.
+    text where an id occurs in several rows, or the number of a row without id.
     """
     others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))).alias("carried"))
-    own = full.select("doc_id", "text")
-    twice = not own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    tx = (F.xxhash64("text") if twice else F.lit(0)).cast("long").alias("tx")
-    own, full = own.select("doc_id", tx, "text"), full.select("doc_id", tx, "text", "carried")
-    found = repeated_ranges(own.where("text is not null").dropDuplicates(["doc_id", "tx"]) if twice else own.where("text is not null"), width, gram)
-    ranges = found.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    odd = full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    twice, nameless = (bool(x) for x in odd.agg(F.max(F.expr("doc_id is not null")), F.max(F.expr("doc_id is null"))).first())
+    named = (full.where("doc_id is not null") if nameless else full).select("doc_id", (F.xxhash64("text") if twice or nameless else F.lit(0)).cast("long").alias("tx"), "text", "carried")
+    own = named.select("doc_id", "tx", "text").where("text is not null")
+    own = own.dropDuplicates(["doc_id", "tx"]) if twice else own
+    parts = [named]
+    if nameless:
+        # written once, so that the numbers stay
+        parts.append(stage_table(full.where("doc_id is null").select(F.lit(LAST).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tx"), "text", "carried"), "nameless"))
+        own = own.unionByName(parts[1].select("doc_id", "tx", "text").where("text is not null"))
+    ranges = repeated_ranges(own, width, gram).groupBy("doc_id", "tx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     schema = f"doc_id long, tx long, carried {full.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:bigint,hi:bigint>>, kept_text string"
-    return full.join(ranges, ["doc_id", "tx"], "left").select("doc_id", "tx", "text", "ranges", "carried").mapInArrow(lean(_apply), schema)
+    out = [part.join(ranges, ["doc_id", "tx"], "left").select("doc_id", "tx", "text", "ranges", "carried").mapInArrow(lean(_apply), schema) for part in parts]
+    return out[0].unionByName(out[1].withColumn("doc_id", F.lit(None).cast("long"))) if nameless else out[0]

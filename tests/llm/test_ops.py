@@ -145,6 +145,19 @@ def test_suffix_dedup_repeated_ids(spark):
     assert len(got) == 3 and all(r["n_removed"] == 0 for r in got)
 
 
+@pytest.mark.parametrize("named", [True, False])
+def test_suffix_dedup_null_ids(spark, monkeypatch, named):
+    """Rows without id are cut like all others, after those that have one."""
+    monkeypatch.setattr(suffix_dedup, "HOT_GRAM", 3)
+    rng = random.Random(8)
+    passage, text = words(rng, 30, 1000), words(rng, 60, 1000)
+    texts = [passage + " first", words(rng, 20, 1000) + passage, passage[5:] + words(rng, 20, 1000), text, text, None, "short"]
+    ids = [4 if named else None, *[None] * 6]
+    got = suffix_dedup.remove_repeats(docs(spark, texts, ids).coalesce(1), 40, 12).collect()
+    assert sorted((r["doc_id"] is None, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((ids[i] is None, *x) for i, x in brute_repeats(dict(enumerate(texts)), 40).items())
+    assert all(r["carried"]["tx"] == 2 for r in got)
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(1)
     t = rng.integers(0, 3, (500, 4)).astype(np.uint64)
@@ -184,6 +197,19 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.jaccard_components(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = (words(rng, 60, 5000) for _ in range(4))
+    rows = [(1, a), (5, a + " near"), (5, b), (7, c), (7, c), (None, d), (None, d), (None, b), (None, a[2:]), (None, None), (None, ""), (8, ""), (8, "")]
+    source = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = ngram_join.keep_first(source)
+    assert kept.columns == source.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (7, c), (None, d), (None, None), (None, ""), (8, ""), (8, "")], key=str)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(source).collect()), key=str)
+    top = [1, 1, 5, 7, 7, None, None, 5, 1, None, None, 8, 8]
+    assert got == sorted(((i, len(shingles(t)), k) for (i, t), k in zip(rows, top, strict=True)), key=str)
+
+
 def test_signatures_bound_the_overlap():
     rng = np.random.default_rng(2)
     a, b = (np.unique(rng.integers(0, 2000, n).astype(np.uint64)) for n in (900, 1500))
