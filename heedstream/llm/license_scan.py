@@ -5,8 +5,8 @@ separates words, and a text is its sequence of ``width``-word shingles. A
 template of s shingles is looked for in windows of 2s shingles that start
 every s shingles, so any s shingles in a row lie in one window whole. If at
 least ``least`` of the template's shingles stand together there, the
-Jaccard similarity of window and template is at least least * s / 2s; the
-number of one-row bands is set from that bound so that a window that holds
+Jaccard similarity of window and template is at least least / (3 - least),
+as both together have at most 2s + s - least * s shingles; the number of one-row bands is set from that bound so that a window that holds
 the template is missed with a probability under ``miss``. Retrieved windows
 are verified by the exact share of the template's shingles that they hold.
 
@@ -50,8 +50,8 @@ for _c in range(128):
 
 
 def bands_for(least: float, miss: float) -> int:
-    """One-row bands so that a window with Jaccard >= least / 2 is missed with probability under ``miss``."""
-    return math.ceil(math.log(miss) / math.log(1 - least / 2))
+    """One-row bands so that a window of 2s shingles with ``least`` * s of a template's s is missed with probability under ``miss``."""
+    return math.ceil(math.log(miss) / math.log(1 - least / (3 - least)))
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

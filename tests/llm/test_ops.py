@@ -379,6 +379,12 @@ def test_license_scan(spark):
     assert license_scan.scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_license_bands():
+    """A window of 2s shingles that holds 0.8 s of a template has Jaccard 0.8 / 2.2."""
+    assert license_scan.bands_for(0.8, 1e-5) == 26
+    assert (1 - 0.8 / 2.2) ** 26 <= 1e-5 < (1 - 0.8 / 2.2) ** 25
+
+
 # pipeline
 
 def test_pipeline(spark, sf_dir):
