@@ -6,9 +6,12 @@ template of s shingles is looked for in windows of 2s shingles that start
 every s shingles, so any s shingles in a row lie in one window whole. If at
 least ``least`` of the template's shingles stand together there, the
 Jaccard similarity of window and template is at least least / (3 - least),
-as both together have at most 2s + s - least * s shingles; the number of one-row bands is set from that bound so that a window that holds
-the template is missed with a probability under ``miss``. Retrieved windows
-are verified by the exact share of the template's shingles that they hold.
+as both together have at most 2s + s - least * s shingles; the number of
+one-row bands is set from that bound so that a window that holds the template
+is missed with a probability under ``miss``. Only windows with as many known
+shingles (of any template) as the smallest template of the size needs are
+banded; no other window can hold one. Retrieved windows are verified by the
+exact share of the template's shingles that they hold.
 
 Templates with fewer words than ``width`` have their whole word sequence as
 one shingle of that length. Null and empty texts and templates match
@@ -74,6 +77,7 @@ class Scanner:
                 s = np.unique(shingle_hashes(own, n))
                 self.kinds.setdefault((n, len(own) - n + 1), []).append((name, s))
         self.index = {kind: self._index(found) for kind, found in self.kinds.items()}
+        self.known = {n: np.unique(np.concatenate([s for (m, _), found in self.kinds.items() if m == n for _, s in found])) for n, _ in self.kinds}
 
     def _index(self, found: list[tuple[str, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -83,37 +87,50 @@ class Scanner:
             out.append((least[order], order))
         return out
 
+    def _shingles(self, word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of a chunk, which of them lie in one text, and running counts of those known from templates."""
+        every = shingle_hashes(word, n)
+        # shingles that reach over the end of a text hold no window's place: they are made unlike any other
+        alive = np.ones(len(every), dtype=bool)
+        for k in range(1, n):
+            cut = first[1:-1] - k
+            alive[cut[(cut >= 0) & (cut < len(every))]] = False
+        known = self.known[n]
+        met = alive & (known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every)
+        return every, alive, np.concatenate([[0], np.cumsum(met)])
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, int, int, float]]:
         """(text, license, start byte, end byte, containment) of verified windows of a chunk."""
         word, start, end, first = words(_BLANK[data], offsets)
         out: list[tuple[int, str, int, int, float]] = []
+        made = {n: self._shingles(word, first, n) for n in self.known}
+        most = np.iinfo(np.uint64).max
         for (n, s), found in self.kinds.items():
-            every = shingle_hashes(word, n)
+            every, alive, upto = made[n]
             if not len(every):
                 continue
-            # shingles that reach over the end of a text hold no window's place: they are made unlike any other
-            alive = np.ones(len(every), dtype=bool)
-            for k in range(1, n):
-                cut = first[1:-1] - k
-                alive[cut[(cut >= 0) & (cut < len(every))]] = False
-            blocks = -(-len(every) // s)
+            begin = np.arange(0, len(every), s)
+            some = upto[np.minimum(begin + 2 * s, len(every))] - upto[begin]
+            wins = np.flatnonzero(some >= self.least * min(len(own) for _, own in found))
             candidates: set[tuple[int, int]] = set()
-            padded = np.full(blocks * s, np.iinfo(np.uint64).max, dtype=np.uint64)
-            for seed, (values, order) in zip(self.seeds, self.index[n, s], strict=True):
-                padded[: len(every)] = mix(every ^ seed)
-                padded[: len(every)][~alive] = np.iinfo(np.uint64).max
-                low = padded.reshape(blocks, s).min(axis=1)
-                window = np.minimum(low, np.append(low[1:], np.iinfo(np.uint64).max))
-                a = np.searchsorted(values, window, "left")
-                hit = np.flatnonzero((a < len(values)) & (values[np.minimum(a, len(values) - 1)] == window))
-                for w in hit.tolist():
-                    b = int(a[w])
-                    while b < len(values) and values[b] == window[w]:
-                        candidates.add((w, int(order[b])))
-                        b += 1
+            step = max(1, (1 << 20) // (2 * s))
+            for part in (wins[at : at + step] for at in range(0, len(wins), step)):
+                place = part[:, None] * s + np.arange(2 * s)
+                inside = place < len(every)
+                place = np.minimum(place, len(every) - 1)
+                inside &= alive[place]
+                held = every[place]
+                for seed, (values, order) in zip(self.seeds, self.index[n, s], strict=True):
+                    window = np.where(inside, mix(held ^ seed), most).min(axis=1)
+                    a = np.searchsorted(values, window, "left")
+                    hit = np.flatnonzero((a < len(values)) & (values[np.minimum(a, len(values) - 1)] == window))
+                    for w in hit.tolist():
+                        b = int(a[w])
+                        while b < len(values) and values[b] == window[w]:
+                            candidates.add((int(part[w]), int(order[b])))
+                            b += 1
             for w, t in candidates:
                 name, own = found[t]
-                held = every[w * s : (w + 2) * s][alive[w * s : (w + 2) * s]]
                 place = np.flatnonzero(np.isin(every[w * s : (w + 2) * s], own) & alive[w * s : (w + 2) * s]) + w * s
                 if not len(place):
                     continue
@@ -123,7 +140,6 @@ class Scanner:
                     share = len(np.unique(every[p])) / len(own)
                     if share >= self.least:
                         out.append((int(d), name, int(start[p[0]] - offsets[d]), int(end[p[-1] + n - 1] - offsets[d]), share))
-                del held
         return out
 
 

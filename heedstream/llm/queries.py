@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heedstream.llm import chat, decontam, embed_dedup, hilbert, license_scan, ngram_join, quality, sentencepiece_bpe, suffix_dedup, warc
+from heedstream.llm import chat, decontam, embed_dedup, hilbert, license_scan, license_texts, ngram_join, quality, sentencepiece_bpe, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_texts.table())
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_suffix_dedup, op4_ngram_jaccard, op5_embedding_dedup, op6_sentencepiece, op7_decontamination, op8_hilbert_shards, op9_chat, op10_license_scan)}

@@ -385,6 +385,37 @@ def test_license_bands():
     assert (1 - 0.8 / 2.2) ** 26 <= 1e-5 < (1 - 0.8 / 2.2) ** 25
 
 
+def test_license_texts(spark, tmp_path):
+    """Edited and embedded full texts, headers and SPDX lines through the registered query; plain text is clean."""
+    from heedstream.llm import license_texts, queries
+
+    rng = random.Random(12)
+    whole = {n: t for n, t in license_texts.table() if len(t) > 3000}
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "Apache-2.0", "MPL-2.0", "CC0-1.0"} <= set(whole)
+
+    def edited(t, every):
+        w = t.split()
+        return words(rng, 50) + " " + " ".join(f"x{rng.randrange(99)}" if k % every == 7 else x for k, x in enumerate(w)) + " " + words(rng, 70)
+
+    texts = [(edited(t, 60), n) for n, t in whole.items()]
+    notices = dict((n, t) for n, t in license_texts.NOTICES if len(t) > 500)
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL", "LGPL", "AGPL"} <= set(notices)
+    texts += [(edited(t, 60), n) for n, t in notices.items()]
+    texts += [(words(rng, 20) + " // SPDX-License-Identifier: " + n + "\n" + words(rng, 20), n) for n in license_texts._SPDX]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    exact = [("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0")]
+    first = len(texts)
+    texts += [(gpl.format(kind, v), n) for kind, v, n in exact]
+    texts += [("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), (words(rng, 500), None)]
+    docs(spark, [t for t, _ in texts]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.op10_license_scan(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert [n for i, (_, n) in enumerate(texts) if n and n not in got.get(i, ())] == []
+    assert len(texts) - 1 not in got
+    assert [got[first + k] for k in range(len(exact))] == [{n} for _, _, n in exact]
+
+
 # pipeline
 
 def test_pipeline(spark, sf_dir):
