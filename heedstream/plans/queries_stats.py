@@ -113,7 +113,8 @@ HP = """rr AS (SELECT stock_id, date, close / lag(close) OVER (PARTITION BY stoc
 
 
 def _heat_returns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = rt.price_features(ad.prices(s, d)).select("stock_id", "date", F.col("return_1d").alias("r")).where("stock_id < '1050' and stock_id <> '0050' and length(stock_id) = 4")
+    """Heat, and returns of every stock; ``HP`` says the same for stocks below 1050 only."""
+    p = rt.price_features(ad.prices(s, d)).select("stock_id", "date", F.col("return_1d").alias("r")).where(F.col("stock_id") != ad.BENCHMARK)
     return ad.heat_px(s, d), p
 
 

@@ -186,3 +186,28 @@ def test_quiet_rules_agree(spark, sf_dir):
     none = lambda c: listed.limit(0).select("keyword", "date", F.lit(None).cast("double").alias(c))
     found = ev.detect(none("heat"), none("news_id"), listed.withColumn("approx_traffic", F.lit("1+"))).select("keyword", "date")
     assert quiet.exceptAll(found).isEmpty() and found.exceptAll(quiet).isEmpty()
+
+
+def test_heat_price_of_every_stock(spark, tmp_path):
+    """G10-G12 against brute force over stocks on both sides of 1050 and one of five digits."""
+    from heedstream import registry
+
+    rng = np.random.default_rng(3)
+    dates = days(60)
+    heat = rng.integers(1, 9, 60)
+    price = {k: rng.uniform(50, 150, 60) for k in (20, 60, 9500)}
+    at = lambda d: dt.datetime(d.year, d.month, d.day)
+    lines = [(k * 100 + i, 1, k, 1, 1.0, float(price[k][i]), 0.0, at(dates[i])) for k in price for i in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, at(dates[i])) for i in range(60) for _ in range(heat[i])], "o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "A")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    same, best = {}, {}
+    for k in price:
+        r, h = price[k][1:] / price[k][:-1] - 1, heat[1:].astype(float)
+        c = {lag: np.corrcoef(h[max(0, -lag) : 59 - max(0, lag)], r[max(0, lag) : 59 + min(0, lag)])[0, 1] for lag in range(-10, 11)}
+        lag = max(c, key=lambda x: (abs(c[x]), -abs(x), -x))
+        same[str(1000 + k)], best[str(1000 + k)] = (59, c[0]), (lag, c[lag], 59 - abs(lag))
+    rows = {n: {r["stock_id"]: r for r in registry.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("g10_heat_price", "g11_cross_correlation", "g12_theme_cross")}
+    assert {k: (r["n"], r["r"]) for k, r in rows["g10_heat_price"].items()} == {k: pytest.approx(v, abs=2e-6) for k, v in same.items()}
+    for n in ("g11_cross_correlation", "g12_theme_cross"):
+        assert {k: (r["best_lag"], r["r"], r["n"]) for k, r in rows[n].items()} == {k: pytest.approx(v, abs=2e-6) for k, v in best.items()}
