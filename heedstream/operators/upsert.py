@@ -13,12 +13,31 @@ from heedstream.functions.exprs import OTHER_THEME, clamp_confidence, theme_form
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """The incoming row wins on all columns; among incoming ones the first by ``order``."""
+    """S7, S11, S22, S25 (comments), S27, S28: the incoming row wins on all columns; among incoming ones the first by ``order``."""
     both = old.withColumn("_p", F.lit(1)).unionByName(new.withColumn("_p", F.lit(0)), allowMissingColumns=True)
     by = Window.partitionBy(*keys).orderBy("_p", *(order or []))
     return both.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_p", "_n")
 
 
+def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Unknown keys come in whole; of known ones only the named columns are set. Null keys are equal to no key."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    one = new.where(known).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)])))).where("_n = 1").drop("_n")
+    o = old.where(known).select(*keys, F.struct(*old.columns).alias("_o"))
+    both = o.join(one.select(*keys, F.struct(*one.columns).alias("_n")), keys, "full")
+    value = lambda c: F.when(F.col("_o").isNull(), F.col(f"_n.{c}")).when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}")) if c in columns else F.coalesce(f"_o.{c}", F.when(F.col("_o").isNull(), F.col(f"_n.{c}")))
+    here = lambda c: value(c) if c in new.columns else F.col(f"_o.{c}")
+    out = both.select(*[(F.col(c) if c in keys else here(c)).alias(c) for c in old.columns])
+    return out.unionByName(old.where(~known)).unionByName(new.where(~known), allowMissingColumns=True)
+
+
+def unloaded(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """The posts whose thread has no comments yet."""
+    return posts.join(comments.select("post_id").distinct(), "post_id", "left_anti")
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows of keys that the table has not; the first of each key by ``order``."""
     fresh = new.join(old.select(*keys).distinct(), keys, "left_anti")
@@ -26,9 +45,16 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: lis
     return old.unionByName(one, allowMissingColumns=True)
 
 
-def upsert_trends(old: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_bursts(old: DataFrame, new: DataFrame) -> DataFrame:
     """By (keyword, published_at) the first fetch time stays and traffic is that of the last fetch."""
-    return old.unionByName(new).groupBy("keyword", "published_at").agg(F.min("fetched_at").alias("fetched_at"), F.max_by("approx_traffic", F.struct("fetched_at", "approx_traffic")).alias("approx_traffic"))
+    both = old.unionByName(new).withColumn("last_fetched_at", F.col("fetched_at"))
+    return fold_bursts(both).drop("last_fetched_at")
+
+
+def fold_bursts(rows: DataFrame) -> DataFrame:
+    """S2 over rows of any number of batches with ``last_fetched_at``; folds fold on."""
+    return rows.groupBy("keyword", "published_at").agg(
+        F.min("fetched_at").alias("fetched_at"), F.max("last_fetched_at").alias("last_fetched_at"), F.max_by("approx_traffic", F.struct("last_fetched_at", "approx_traffic")).alias("approx_traffic"))
 
 
 def collect_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,15 +87,15 @@ def stock_pool(csv: DataFrame, links: DataFrame) -> DataFrame:
 
 def heat_rows(raw: DataFrame) -> DataFrame:
     """Partial days and rows without a date go, bad scores are 0."""
-    good = raw.where(F.col("trend_date").isNotNull() & ~F.coalesce("is_partial", F.lit(False)))
-    return good.select("keyword", "theme_name", "trend_date", F.coalesce(F.col("trend_score").try_cast("int"), F.lit(0)).alias("trend_score"))
+    good = raw.where(F.col("burst_date").isNotNull() & ~F.coalesce("is_partial", F.lit(False)))
+    return good.select("keyword", "theme_name", "burst_date", F.coalesce(F.col("burst_score").try_cast("int"), F.lit(0)).alias("burst_score"))
 
 
 def heat_queue(links: DataFrame, history: DataFrame, today: Column) -> DataFrame:
     """Keywords of themes that need fresh heat, direct ones first, then the stalest."""
     rank = F.when(F.col("link_type") == "direct", 2).when(F.col("stock_id").isNotNull(), 1).otherwise(0)
     pairs = links.where("active = 1").groupBy("theme_name", "keyword").agg(F.max(rank).alias("rank"))
-    last = history.groupBy("theme_name", "keyword").agg(F.max("trend_date").alias("last"))
+    last = history.groupBy("theme_name", "keyword").agg(F.max("burst_date").alias("last"))
     queue = pairs.join(last, ["theme_name", "keyword"], "left").where(F.col("last").isNull() | (F.col("last") < F.date_sub(today, 1)))
     return queue.orderBy(F.col("rank").desc(), F.col("last").asc_nulls_first(), "theme_name", "keyword")
 

@@ -8,7 +8,6 @@ end of what has landed (``availableNow``) or continuously.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,17 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heedstream.operators.events import QUIET_DAYS
-from heedstream.operators.upsert import insert_or_ignore, upsert_trends
+from heedstream.operators.upsert import fold_bursts
+from heedstream.sources.shared import fresh_path
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or under a temporary one where that is unset."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder in the shared one."""
+    return fresh_path(spark, "stream")
 
 
 def read_files(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:  # noqa: ANN001
@@ -46,35 +41,61 @@ def drain_batches(stream: DataFrame, folder: str, each: Callable[[DataFrame, int
     query.awaitTermination()
 
 
-class Versioned:
-    """A table kept as one folder for each batch: a batch that is run again writes the same version again."""
+class Folded:
+    """A table that each batch adds to, as folders ``delta/<batch>`` whose rows ``fold`` brings together.
+
+    ``fold`` gives the same table from the rows of all batches as from the
+    folds of some of them. A batch costs what it brings; every ``every``
+    batches the fold of all up to then is written as ``base/<batch>``, so that
+    reading stays cheap. What exists is looked up in the folder, so a
+    restarted query goes on from there; a batch that is run again replaces its
+    own folders, which it never reads.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema, fold: Callable[[DataFrame], DataFrame], every: int = 50) -> None:  # noqa: ANN001
+        self.spark, self.folder, self.schema, self.fold, self.every = spark, folder, schema, fold, every
+
+    def batches(self, kind: str) -> list[int]:
+        """The batches of which a whole folder exists."""
+        context = self.spark.sparkContext
+        pattern = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/*/_SUCCESS")
+        found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(int(f.getPath().getParent().getName()) for f in found or ())
 
-    def __init__(self, spark: SparkSession, folder: str, schema) -> None:  # noqa: ANN001
-        self.spark, self.folder, self.schema, self.last = spark, folder, schema, None
+    def _rows(self, base: int | None, upto: int | None) -> DataFrame:
+        deltas = [n for n in self.batches("delta") if n > (-1 if base is None else base) and (upto is None or n <= upto)]
+        paths = ([] if base is None else [f"{self.folder}/base/{base}"]) + [f"{self.folder}/delta/{n}" for n in deltas]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        if self.last is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.last}")
+        return self.fold(self._rows(max(self.batches("base"), default=None), None))
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.folder}/{version}")
-        self.last = version
+    def write(self, df: DataFrame, batch: int) -> None:
+        names = [f.name for f in self.schema.fields]
+        self.fold(df.select(*names)).select(*names).write.mode("overwrite").parquet(f"{self.folder}/delta/{batch}")
+        base = max((n for n in self.batches("base") if n < batch), default=None)
+        if batch - (-1 if base is None else base) >= self.every:
+            self.fold(self._rows(base, batch)).select(*names).write.mode("overwrite").parquet(f"{self.folder}/base/{batch}")
 
 
-def collect(stream: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Polls (keyword, published_at, fetched_at, approx_traffic) to the trend table and the observation log; polling again changes nothing but traffic."""
+def collect(stream: DataFrame, folder: str, every: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Polls (keyword, published_at, fetched_at, approx_traffic) to the table of bursts and the observation log.
+
+    Polling again changes nothing but traffic. Called again with the same
+    folder, the job goes on behind the last finished batch.
+    """
     spark = stream.sparkSession
-    trends = Versioned(spark, f"{folder}/trends", stream.select("keyword", "published_at", "fetched_at", "approx_traffic").schema)
-    log = Versioned(spark, f"{folder}/log", stream.select("keyword", "published_at", "fetched_at").schema)
+    key = ["keyword", "published_at", "fetched_at"]
+    rows = stream.select(*key, "approx_traffic").withColumn("last_fetched_at", F.col("fetched_at"))
+    bursts = Folded(spark, f"{folder}/bursts", rows.schema, fold_bursts, every)
+    log = Folded(spark, f"{folder}/log", stream.select(*key).schema, lambda df: df.distinct(), every)
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.select("keyword", "published_at", "fetched_at", "approx_traffic")
-        trends.write(upsert_trends(trends.read(), rows), number)
-        log.write(insert_or_ignore(log.read(), rows.drop("approx_traffic"), ["keyword", "published_at", "fetched_at"], [F.col("fetched_at")]), number)
+        bursts.write(batch, number)
+        log.write(batch, number)
 
-    drain_batches(stream, folder, each)
-    return trends.read(), log.read()
+    drain_batches(rows, folder, each)
+    return bursts.read().drop("last_fetched_at"), log.read()
 
 
 def dedupe(stream: DataFrame, keys: list[str], time: str, late: str = "40 days") -> DataFrame:
@@ -83,26 +104,22 @@ def dedupe(stream: DataFrame, keys: list[str], time: str, late: str = "40 days")
 
 
 def list_sessions(stream: DataFrame, gap: str = "60 minutes", late: str = "2 hours") -> DataFrame:
-    """Time on the list and growth of traffic of each trend; a session ends after an hour without the trend."""
-    out = stream.withWatermark("observed_at", late).groupBy("trend_id", F.session_window("observed_at", gap).alias("w")).agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.min_by("traffic", "observed_at").alias("first_traffic"), F.max_by("traffic", "observed_at").alias("last_traffic"), F.count("*").alias("polls"))
+    """Time on the list and growth of traffic of each burst; a session ends after an hour without the burst."""
+    out = stream.withWatermark("observed_at", late).groupBy("burst_id", F.session_window("observed_at", gap).alias("w")).agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.min_by("traffic", "observed_at").alias("first_traffic"), F.max_by("traffic", "observed_at").alias("last_traffic"), F.count("*").alias("polls"))
     return out.drop("w")
 
 
 def daily_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """T4: rows by trend and Taipei day (UTC days that begin at 16:00)."""
-    out = stream.withWatermark("observed_at", late).groupBy("trend_id", F.window("observed_at", "1 day", startTime="16 hours").alias("w")).agg(F.count("*").alias("polls"))
-    return out.select("trend_id", F.date_add(F.to_date("w.start"), 1).alias("day"), "polls")
+    """T4: rows by burst and Taipei day (UTC days that begin at 16:00)."""
+    out = stream.withWatermark("observed_at", late).groupBy("burst_id", F.window("observed_at", "1 day", startTime="16 hours").alias("w")).agg(F.count("*").alias("polls"))
+    return out.select("burst_id", F.date_add(F.to_date("w.start"), 1).alias("day"), "polls")
 
 
 def freshness(stream: DataFrame, folder: str) -> DataFrame:
     """T5: the newest row of each source, kept up to date batch by batch."""
     newest = stream.groupBy("source").agg(F.max("observed_at").alias("newest"))
-    table = Versioned(stream.sparkSession, f"{folder}/freshness", newest.schema)
-
-    def each(batch: DataFrame, number: int) -> None:
-        table.write(table.read().unionByName(batch).groupBy("source").agg(F.max("newest").alias("newest")), number)
-
-    drain_batches(newest, folder, each, "update")
+    table = Folded(stream.sparkSession, f"{folder}/freshness", newest.schema, lambda df: df.groupBy("source").agg(F.max("newest").alias("newest")))
+    drain_batches(newest, folder, table.write, "update")
     return table.read()
 
 
