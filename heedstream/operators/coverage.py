@@ -8,34 +8,34 @@ from pyspark.sql import functions as F
 from heedstream.functions.exprs import OTHER_THEME, SENTIMENTS, UNANALYZED, expected_trading_day, previous_weekday, sentiment_form
 
 
-def theme_daily_stats(trends: DataFrame, news: DataFrame, heat: DataFrame, links: DataFrame) -> DataFrame:
-    """By day and theme: distinct keywords, trends and news, scores, and the theme's active stocks; a theme of any input has a row."""
+def theme_daily_stats(bursts: DataFrame, news: DataFrame, heat: DataFrame, links: DataFrame) -> DataFrame:
+    """By day and theme: distinct keywords, bursts and news, scores, and the theme's active stocks; a theme of any input has a row."""
     key = ["date", "theme_name"]
-    t = trends.groupBy(*key).agg(F.count_distinct("keyword").alias("keywords"), F.count_distinct("trend_id").alias("trends"))
+    t = bursts.groupBy(*key).agg(F.count_distinct("keyword").alias("keywords"), F.count_distinct("burst_id").alias("bursts"))
     n = news.groupBy(*key).agg(F.count_distinct("news_id").alias("news"))
-    h = heat.groupBy(*key).agg(F.avg("trend_score").alias("avg_score"), F.max("trend_score").alias("max_score"))
+    h = heat.groupBy(*key).agg(F.avg("burst_score").alias("avg_score"), F.max("burst_score").alias("max_score"))
     s = links.where("active = 1 and stock_id is not null").groupBy("theme_name").agg(F.count_distinct("stock_id").alias("stocks"))
     out = t.join(n, key, "full").join(h, key, "full").join(s, "theme_name", "left")
-    return out.select(*key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keywords", "trends", "news", "stocks")], F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"), F.coalesce(F.col("max_score").cast("double"), F.lit(0.0)).alias("max_score"))
+    return out.select(*key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keywords", "bursts", "news", "stocks")], F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"), F.coalesce(F.col("max_score").cast("double"), F.lit(0.0)).alias("max_score"))
 
 
-def theme_coverage(themes: DataFrame, trends: DataFrame, news: DataFrame) -> DataFrame:
-    """Distinct trends and news of each theme, themes without any included."""
-    t = trends.groupBy("theme_name").agg(F.count_distinct("trend_id").alias("trends"))
+def theme_coverage(themes: DataFrame, bursts: DataFrame, news: DataFrame) -> DataFrame:
+    """Distinct bursts and news of each theme, themes without any included."""
+    t = bursts.groupBy("theme_name").agg(F.count_distinct("burst_id").alias("bursts"))
     n = news.groupBy("theme_name").agg(F.count_distinct("news_id").alias("news"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return themes.select("theme_name").distinct().join(t, "theme_name", "left").join(n, "theme_name", "left").select("theme_name", zero("trends"), zero("news"))
+    return themes.select("theme_name").distinct().join(t, "theme_name", "left").join(n, "theme_name", "left").select("theme_name", zero("bursts"), zero("news"))
 
 
-def entity_coverage(trends: DataFrame, entities: DataFrame) -> DataFrame:
+def entity_coverage(bursts: DataFrame, entities: DataFrame) -> DataFrame:
     """How many keywords have an entity."""
     hit = entities.where(F.coalesce("entity_type", F.lit(OTHER_THEME)) != OTHER_THEME).select(F.col("entity_name").alias("keyword"), F.lit(True).alias("_e")).distinct()
-    return trends.select("keyword").distinct().join(hit, "keyword", "left").agg(F.count("*").alias("keywords"), F.count_if("_e").alias("resolved"), (F.count("*") - F.count_if("_e")).alias("unresolved"))
+    return bursts.select("keyword").distinct().join(hit, "keyword", "left").agg(F.count("*").alias("keywords"), F.count_if("_e").alias("resolved"), (F.count("*") - F.count_if("_e")).alias("unresolved"))
 
 
-def quality_summary(trends: DataFrame, classified: DataFrame) -> DataFrame:
+def quality_summary(bursts: DataFrame, classified: DataFrame) -> DataFrame:
     """Keywords, how many are classified, their share and how many want review."""
-    rows = trends.select("keyword").distinct().join(classified, "keyword", "left")
+    rows = bursts.select("keyword").distinct().join(classified, "keyword", "left")
     done = F.count_if(F.coalesce("theme_name", F.lit(OTHER_THEME)) != OTHER_THEME)
     return rows.agg(F.count("*").alias("total"), done.alias("classified"), F.try_divide(done * 100.0, F.count("*")).alias("coverage_pct"), F.count_if(F.col("need_review") == 1).alias("need_review"))
 
@@ -63,7 +63,7 @@ def market_radar(heat: DataFrame, news: DataFrame, prices: DataFrame, baskets: D
     """By theme the mean heat of the last seven days and of the seven before, the news tone, and the basket's mean return over ten rows."""
     day = heat.agg(F.max("date").alias("_d"))
     back = F.datediff("_d", "date")
-    h = heat.crossJoin(F.broadcast(day)).groupBy("theme_name").agg(F.avg(F.when(back < 7, F.col("trend_score"))).alias("heat_now"), F.avg(F.when(back.between(7, 13), F.col("trend_score"))).alias("heat_before"))
+    h = heat.crossJoin(F.broadcast(day)).groupBy("theme_name").agg(F.avg(F.when(back < 7, F.col("burst_score"))).alias("heat_now"), F.avg(F.when(back.between(7, 13), F.col("burst_score"))).alias("heat_before"))
     news_day = news.agg(F.max("date").alias("_d"))
     tone = F.when(F.col("news_sentiment") == "Positive", 1).when(F.col("news_sentiment") == "Negative", -1).otherwise(0)
     n = news.crossJoin(F.broadcast(news_day)).where(F.datediff("_d", "date") < 7).groupBy("theme_name").agg(F.sum(tone).alias("tone"))
@@ -76,20 +76,20 @@ def market_radar(heat: DataFrame, news: DataFrame, prices: DataFrame, baskets: D
 
 def timeline(news: DataFrame, names: DataFrame) -> DataFrame:
     """Titled news of named keywords once each, newest first."""
-    rows = news.join(F.broadcast(names.select("keyword", "theme_name")), "keyword").where("trim(coalesce(news_title, '')) <> ''").dropDuplicates(["news_id"])
+    rows = news.join(names.select("keyword", "theme_name"), "keyword").where("trim(coalesce(news_title, '')) <> ''").dropDuplicates(["news_id"])
     return rows.select("date", "theme_name", "keyword", "news_id", "news_title", F.coalesce("news_source", F.lit("unknown")).alias("news_source"), sentiment_form(F.col("news_sentiment")).alias("news_sentiment")).orderBy(F.col("date").desc(), "news_id")
 
 
-def system_status(trends: DataFrame, news: DataFrame, classified: DataFrame, prices: DataFrame, links: DataFrame, now: Column) -> DataFrame:
+def system_status(bursts: DataFrame, news: DataFrame, classified: DataFrame, prices: DataFrame, links: DataFrame, now: Column) -> DataFrame:
     """One row of counts and extrema with the rule of stale, pending or healthy."""
-    keywords = trends.where("trim(keyword) <> ''").select("keyword").distinct().join(classified.select("keyword", "theme_name", "source"), "keyword", "left")
+    keywords = bursts.where("trim(keyword) <> ''").select("keyword").distinct().join(classified.select("keyword", "theme_name", "source"), "keyword", "left")
     k = keywords.agg(F.count("*").alias("total_keywords"), F.count("source").alias("classified_keywords"), F.count_if(F.col("source").isNull() | ((F.col("source") == "fallback") & (F.col("theme_name") == OTHER_THEME))).alias("unclassified_keywords"))
-    t = trends.agg(F.count("*").alias("event_count"), F.max(F.coalesce("fetched_at", "published_at")).alias("latest_trend_at"), F.min(F.coalesce("published_at", "fetched_at")).alias("earliest_trend_at"))
+    t = bursts.agg(F.count("*").alias("event_count"), F.max(F.coalesce("fetched_at", "published_at")).alias("latest_burst_at"), F.min(F.coalesce("published_at", "fetched_at")).alias("earliest_burst_at"))
     n = news.agg(F.count("*").alias("total_news"), F.count("news_sentiment").alias("analyzed_news"))
     p = prices.agg(F.count("*").alias("stock_rows"), F.max("date").alias("latest_stock_date"))
     x = links.where("active = 1").agg(F.count_distinct("theme_name").alias("theme_count"), F.count_distinct("stock_id").alias("tracked_stock_count"))
     row = k.crossJoin(t).crossJoin(n).crossJoin(p).crossJoin(x)
-    old = F.col("latest_trend_at").isNull() | (F.col("latest_trend_at").cast("timestamp") < now - F.expr("interval 24 hours"))
+    old = F.col("latest_burst_at").isNull() | (F.col("latest_burst_at").cast("timestamp") < now - F.expr("interval 24 hours"))
     behind = F.col("latest_stock_date").isNull() | (F.datediff(F.to_date(now), "latest_stock_date") > 3)
     open_ = (F.col("unclassified_keywords") > 0) | (F.col("analyzed_news") < F.col("total_news")) | behind
     return row.withColumn("health", F.when(old, "stale").when(open_, "pending").otherwise("healthy"))
@@ -135,9 +135,9 @@ def component_health(facts: DataFrame) -> DataFrame:
     stock = F.when(F.col("stock_day").isNull(), "FAIL").when(F.col("stock_day") >= expected, "OK").when(F.col("stock_day") >= previous_weekday(expected), "WARN").otherwise("FAIL")
     heat = F.when(F.col("heat_day").isNull() | (F.col("heat_day") < F.date_sub(day, 3)) | (ratio < 0.2), "FAIL").when((F.col("heat_day") >= F.date_sub(day, 1)) & (ratio >= 0.8), "OK").otherwise("WARN")
     etl = F.when(F.col("etl_hours").isNull() | (F.col("etl_hours") > 26), "FAIL").when(F.col("etl_exit").isin(0, 3), "OK").when(F.col("etl_exit").isNull(), "WARN").otherwise("FAIL")
-    out = facts.withColumns({"rss": rss, "stocks": stock, "trends": heat, "etl": etl})
+    out = facts.withColumns({"rss": rss, "stocks": stock, "bursts": heat, "etl": etl})
     points = lambda c: F.when(F.col(c) == "OK", 25).when(F.col(c) == "WARN", 15).otherwise(0)
-    return out.withColumn("score", points("rss") + points("stocks") + points("trends") + points("etl"))
+    return out.withColumn("score", points("rss") + points("stocks") + points("bursts") + points("etl"))
 
 
 def volatility_at(events: DataFrame, table: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ def quiet_starts(days: DataFrame, key: list[str], date: str = "date", quiet: int
     return days.withColumn("_last", last).where(F.col("_last").isNull() | (F.datediff(date, "_last") > quiet)).drop("_last")
 
 
-def quiet_events(trends: DataFrame, tone: DataFrame | None = None) -> DataFrame:
-    """Trends (keyword, date, traffic) to events with the day's highest traffic and, of ``tone`` (keyword, date, tone), its sum."""
-    days = trends.groupBy("keyword", "date").agg(F.max("traffic").alias("traffic"))
+def quiet_events(bursts: DataFrame, tone: DataFrame | None = None) -> DataFrame:
+    """Bursts (keyword, date, traffic) to events with the day's highest traffic and, of ``tone`` (keyword, date, tone), its sum."""
+    days = bursts.groupBy("keyword", "date").agg(F.max("traffic").alias("traffic"))
     if tone is not None:
         days = days.join(tone.groupBy("keyword", "date").agg(F.sum("tone").alias("tone")), ["keyword", "date"], "left").withColumn("tone", F.coalesce("tone", F.lit(0)))
     return quiet_starts(days, ["keyword"])
@@ -127,3 +127,17 @@ def flag_days(daily: DataFrame, usable: DataFrame, name: str) -> DataFrame:
 def near(daily: DataFrame, flag: str, rows: int = 5) -> DataFrame:
     """Any event within ``rows`` trading rows on either side."""
     return daily.withColumn("near_event", F.max(flag).over(Window.partitionBy("stock_id").orderBy("day").rowsBetween(-rows, rows)))
+
+
+def session_shares(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Shares of mentions (when) before, in and after the market's hours and at weekends."""
+    from heedstream.functions.exprs import market_session
+
+    session = market_session(F.col("when"))
+    share = lambda *k: F.avg(session.isin(*k).cast("double"))
+    return rows.groupBy(*(keys or [])).agg(F.count("*").alias("mentions"), *[share(k).alias(f"{k}_share") for k in ("pre", "in", "after", "weekend")])
+
+
+def most_mentioned(rows: DataFrame, most: int = 6) -> DataFrame:
+    """The stocks with most mentions; a top-k report."""
+    return rows.groupBy("stock_id").agg(F.count("*").alias("mentions")).orderBy(F.col("mentions").desc(), "stock_id").limit(most)

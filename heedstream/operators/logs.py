@@ -1,6 +1,9 @@
 """Log lines as tables: runs, blocks of key and value, errors, summaries.
 
-Lines are rows (job, line, value); all windows run within one job's log.
+Lines are rows (job, line, value). A job's log may be long, so runs are
+counted in two steps: the starts of every block of ``BLOCK`` lines first, then
+the lines of a block from what came before it. Windows run within a block or
+a run; over a whole job only one row for each block is put in order.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 # Fixed forms of the markers.
 RUN = r"^\[(\d{4}/\d{2}/\d{2})\s+(\d{1,2}:\d{2}:\d{2})[^\]]*\]\s+(\S+)\s+(start|exit)(?:\s+(-?\d+))?"
 KEY_VALUE = r"^([A-Za-z0-9][A-Za-z0-9 ]*):\s*(.*)$"
+#: Heads of blocks: (name, whole lines, beginnings of lines).
+HEADS = (("stats", ("Stats",), ()), ("history", ("Completed",), ("Stopped",)))
+BLOCK = 4096
 ERROR = r"(?i)\berror\b|exception|traceback|failed"
 
 
@@ -20,12 +26,16 @@ def sessions(lines: DataFrame) -> DataFrame:
     parts = [F.regexp_extract(text, RUN, k) for k in range(1, 6)]
     kind = parts[3]
     stamp = F.try_to_timestamp(F.concat_ws(" ", parts[0], F.lpad(parts[1], 8, "0")), F.lit("yyyy/MM/dd HH:mm:ss"))
-    by = Window.partitionBy("job").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     out = lines.withColumn("mark", kind).withColumn("_code", F.when(kind == "exit", parts[4].try_cast("int"))).withColumn("_start", F.when(kind == "start", stamp))
-    out = out.withColumn("run", F.sum((F.col("mark") == "start").cast("int")).over(by))
+    out = out.withColumn("_block", F.floor(F.col("line") / BLOCK))
+    blocks_ = out.groupBy("job", "_block").agg(F.count_if(F.col("mark") == "start").alias("_starts"))
+    before = F.sum("_starts").over(Window.partitionBy("job").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    out = out.join(blocks_.select("job", "_block", F.coalesce(before, F.lit(0)).alias("_before")), ["job", "_block"])
+    by = Window.partitionBy("job", "_block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("run", (F.col("_before") + F.sum((F.col("mark") == "start").cast("int")).over(by)).cast("long"))
     run = Window.partitionBy("job", "run")
     out = out.withColumn("started_at", F.max("_start").over(run)).withColumn("exit_code", F.max("_code").over(run))
-    return out.drop("_code", "_start")
+    return out.drop("_code", "_start", "_block", "_before")
 
 
 def runs(lines: DataFrame) -> DataFrame:
@@ -33,10 +43,15 @@ def runs(lines: DataFrame) -> DataFrame:
     return sessions(lines).where("run > 0").groupBy("job", "run").agg(F.max("started_at").alias("started_at"), F.max("exit_code").alias("exit_code"), F.count_if(F.col("mark") == "").alias("lines"))
 
 
-def blocks(lines: DataFrame) -> DataFrame:
+def blocks(lines: DataFrame, heads: tuple = HEADS) -> DataFrame:
     """L2: (job, run, block, key, value) of ``Key: value`` lines behind a block's head; another line ends the block, the last value of a key counts."""
     text = F.trim("value")
-    head = F.when(text == "Gemini Stats", "gemini").when((text == "Completed") | text.startswith("Stopped: Google Trends"), "history")
+    head = F.lit(None).cast("string")
+    for name, whole, begins in heads:
+        is_head = text.isin(*whole)
+        for b in begins:
+            is_head = is_head | text.startswith(b)
+        head = F.coalesce(head, F.when(is_head, name))
     pair = text.rlike(KEY_VALUE) & ~text.startswith("[") & head.isNull()
     by = Window.partitionBy("job", "run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = sessions(lines).where("run > 0").withColumn("_head", head).withColumn("_pair", pair).withColumn("_text", text)

@@ -8,34 +8,34 @@ from pyspark.sql import functions as F
 from heedstream.functions.exprs import local_to_utc, strict_time
 
 
-def dedupe_trends(trends: DataFrame) -> DataFrame:
+def dedupe_bursts(bursts: DataFrame) -> DataFrame:
     """One row for each (keyword, published_at): the smallest id, the traffic of the largest, and whether the survivor was fetched first."""
-    out = trends.groupBy("keyword", "published_at").agg(
-        F.min("trend_id").alias("trend_id"), F.max_by("approx_traffic", "trend_id").alias("approx_traffic"), F.count("*").alias("rows"),
-        F.min("fetched_at").alias("first_fetch"), F.min_by("fetched_at", "trend_id").alias("fetched_at"))
+    out = bursts.groupBy("keyword", "published_at").agg(
+        F.min("burst_id").alias("burst_id"), F.max_by("approx_traffic", "burst_id").alias("approx_traffic"), F.count("*").alias("rows"),
+        F.min("fetched_at").alias("first_fetch"), F.min_by("fetched_at", "burst_id").alias("fetched_at"))
     return out.withColumn("earliest", F.col("first_fetch") == F.col("fetched_at")).drop("first_fetch")
 
 
-def survivor_map(trends: DataFrame) -> DataFrame:
-    """(trend_id, survivor) for every trend."""
-    first = trends.groupBy("keyword", "published_at").agg(F.min("trend_id").alias("survivor"))
-    return trends.join(first, ["keyword", "published_at"]).select("trend_id", "survivor")
+def survivor_map(bursts: DataFrame) -> DataFrame:
+    """(burst_id, survivor) for every burst."""
+    first = bursts.groupBy("keyword", "published_at").agg(F.min("burst_id").alias("survivor"))
+    return bursts.join(first, ["keyword", "published_at"]).select("burst_id", "survivor")
 
 
 def dedupe_news(news: DataFrame, survivors: DataFrame) -> DataFrame:
-    """News under surviving trends; of each (trend, url) the smallest id stays, takes the first known sentiment, and conflicts are marked."""
-    moved = news.join(survivors, "trend_id", "left").withColumn("trend_id", F.coalesce("survivor", "trend_id"))
+    """News under surviving bursts; of each (burst, url) the smallest id stays, takes the first known sentiment, and conflicts are marked."""
+    moved = news.join(survivors, "burst_id", "left").withColumn("burst_id", F.coalesce("survivor", "burst_id"))
     known = F.col("news_sentiment").isNotNull()
     triple = F.struct("news_sentiment", "sentiment_score", "event_type")
-    out = moved.groupBy("trend_id", "news_url").agg(F.min("news_id").alias("news_id"), F.min_by(F.when(known, triple), F.when(known, F.col("news_id"))).alias("t"), F.count("*").alias("rows"), (F.count_distinct("news_sentiment") > 1).alias("conflict"))
-    return out.select("news_id", "trend_id", "news_url", "t.*", "rows", "conflict")
+    out = moved.groupBy("burst_id", "news_url").agg(F.min("news_id").alias("news_id"), F.min_by(F.when(known, triple), F.when(known, F.col("news_id"))).alias("t"), F.count("*").alias("rows"), (F.count_distinct("news_sentiment") > 1).alias("conflict"))
+    return out.select("news_id", "burst_id", "news_url", "t.*", "rows", "conflict")
 
 
-def dedupe_report(before_trends: DataFrame, after_trends: DataFrame, before_news: DataFrame, after_news: DataFrame) -> DataFrame:
-    """D3: row counts before and after, keys that still repeat, and news without a trend."""
-    again = after_trends.groupBy("keyword", "published_at").agg(F.count("*").alias("n")).where("n > 1")
-    orphans = after_news.join(after_trends.select("trend_id"), "trend_id", "left_anti")
-    counts = [("trends_before", before_trends), ("trends_after", after_trends), ("news_before", before_news), ("news_after", after_news), ("repeating_keys", again), ("orphans", orphans)]
+def dedupe_report(before_bursts: DataFrame, after_bursts: DataFrame, before_news: DataFrame, after_news: DataFrame) -> DataFrame:
+    """D3: row counts before and after, keys that still repeat, and news without a burst."""
+    again = after_bursts.groupBy("keyword", "published_at").agg(F.count("*").alias("n")).where("n > 1")
+    orphans = after_news.join(after_bursts.select("burst_id"), "burst_id", "left_anti")
+    counts = [("bursts_before", before_bursts), ("bursts_after", after_bursts), ("news_before", before_news), ("news_after", after_news), ("repeating_keys", again), ("orphans", orphans)]
     out = None
     for name, df in counts:
         one = df.agg(F.lit(name).alias("check"), F.count("*").alias("value"))

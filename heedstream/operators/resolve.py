@@ -54,41 +54,63 @@ def window_likeness(a: str, b: str) -> float:
     return best
 
 
+def _cut(n: int, threshold: int) -> int:
+    """Into how many pieces a form of n characters is cut: one more than the characters that can differ at this likeness."""
+    return int(n * (200 / threshold - 2)) + 1
+
+
+def _grams(form: Column, sizes: list[int]) -> Column:
+    """The distinct stretches of a text of the given lengths."""
+
+    def of(size: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(form) - size + 1), lambda i: F.substr(form, i, F.lit(size)))
+        return F.when(F.length(form) >= size, every).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(size) for size in sizes]))
+
+
+def _pieces(form: Column, threshold: int) -> Column:
+    """A form in pieces of nearly equal length, of which any text that is like it holds at least one unchanged."""
+    n = F.length(form)
+    m = F.floor(n * F.lit(200 / threshold - 2)).cast("int") + 1
+    at = lambda k: (n * k / m).cast("int")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), m - 1), lambda k: F.substr(form, at(k) + 1, at(k + 1) - at(k))))
+
+
 def fuzzy_match(keywords: DataFrame, dictionary: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Keywords (keyword) to (keyword, canonical, type, stock_ids, score); dictionary (ordinal, keyword, type, stock_id).
 
     The first exact normal form scores 100. Others of three letters or more
     take the best of whole and window likeness, ties to the longer term and
-    then the earlier row. Unmatched keywords come back trimmed with a null type.
+    then the earlier row. Unmatched keywords come back trimmed with a null type
+    and score 0: likeness under the threshold isn't worked out.
+
+    Only candidates are compared. At the threshold the shorter of two forms and
+    what it is like in the longer one differ by fewer inserted or deleted
+    characters than the shorter one has pieces, so one piece stands unchanged
+    in the longer form: an equi-join of pieces with stretches of text.
     """
-    terms = dictionary.groupBy(F.col("keyword").alias("term"), "type").agg(F.min("ordinal").alias("ordinal")).withColumn("form", keyword_form(F.col("term")))
+    terms = dictionary.groupBy(F.col("keyword").alias("term"), "type").agg(F.min("ordinal").alias("ordinal")).withColumn("term_form", keyword_form(F.col("term")))
     asked = keywords.select("keyword").distinct().withColumn("form", keyword_form(F.col("keyword")))
-    first = terms.groupBy("form").agg(F.min_by(F.struct("term", "type"), "ordinal").alias("hit"))
-    exact = asked.join(first, "form", "left").select("keyword", "form", "hit.term", "hit.type", F.when(F.col("hit").isNotNull(), 100).alias("score"))
+    first = terms.groupBy("term_form").agg(F.min_by(F.struct("term", "type"), "ordinal").alias("hit"))
+    exact = asked.join(first.withColumnRenamed("term_form", "form"), "form", "left").select("keyword", "form", "hit.term", "hit.type", F.when(F.col("hit").isNotNull(), 100).alias("score"))
     rest = exact.where("score is null and length(form) >= 3").select("keyword", "form")
-    count = terms.count()
-    best = None
-    for block in range(-(-count // DICTIONARY_BLOCK)):
-        own = [tuple(r) for r in terms.where(F.pmod("ordinal", F.lit(-(-count // DICTIONARY_BLOCK))) == block).select("ordinal", "term", "type", "form").collect()]
-
-        def run(batches: Iterator[pd.DataFrame], own: list = own) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for keyword, form in zip(pdf["keyword"], pdf["form"], strict=True):
-                    top = max(((max(likeness(form, f), window_likeness(form, f) if len(f) >= 3 else 0.0), len(f), -o, t, k) for o, t, k, f in own), default=None)
-                    if top:
-                        out.append((keyword, top[3], top[4], int(top[0]), top[0], top[1], -top[2]))
-                yield pd.DataFrame(out, columns=["keyword", "term", "type", "score", "exact", "size", "ordinal"])
-
-        part = rest.mapInPandas(run, "keyword string, term string, type string, score int, exact double, size int, ordinal long")
-        best = part if best is None else best.unionByName(part)
-    if best is not None:
-        near = best.groupBy("keyword").agg(F.max_by(F.struct("term", "type", "score"), F.struct("exact", "size", (-F.col("ordinal")).alias("o"))).alias("n"))
-        exact = exact.join(near, "keyword", "left")
-    else:
-        exact = exact.withColumn("n", F.lit(None).cast("struct<term:string,type:string,score:int>"))
-    good = F.col("n.score") >= threshold
-    out = exact.select("keyword", F.coalesce("term", F.when(good, F.col("n.term"))).alias("term"), F.coalesce("type", F.when(good, F.col("n.type"))).alias("type"), F.coalesce("score", "n.score", F.lit(0)).cast("int").alias("score"))
+    # a term of two letters is like none of three at more than 80
+    least = 3 if threshold > 80 else 1
+    sizes = sorted({size for n in range(least, 400) for m in [_cut(n, threshold)] for size in (n // m, -(-n // m)) if size})
+    shorter = rest.withColumn("piece", F.explode(_pieces(F.col("form"), threshold))).join(terms.withColumn("piece", F.explode(_grams(F.col("term_form"), sizes))), "piece").where("length(form) <= length(term_form)")
+    longer = rest.withColumn("piece", F.explode(_grams(F.col("form"), sizes))).join(terms.where(F.length("term_form") >= least).withColumn("piece", F.explode(_pieces(F.col("term_form"), threshold))), "piece").where("length(form) > length(term_form)")
+    columns = ["keyword", "form", "term", "type", "ordinal", "term_form"]
+    near = shorter.select(*columns).union(longer.select(*columns)).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["exact"] = [max(likeness(a, b), window_likeness(a, b) if len(b) >= 3 else 0.0) for a, b in zip(pdf["form"], pdf["term_form"], strict=True)]
+            yield pdf[pdf["exact"].astype(int) >= threshold]
+
+    scored = near.mapInPandas(run, "keyword string, form string, term string, type string, ordinal long, term_form string, exact double")
+    best = scored.groupBy("keyword").agg(F.max_by(F.struct("term", "type", F.col("exact").cast("int").alias("score")), F.struct("exact", F.length("term_form"), (-F.col("ordinal")).alias("o"))).alias("n"))
+    out = exact.join(best, "keyword", "left").select("keyword", F.coalesce("term", "n.term").alias("term"), F.coalesce("type", "n.type").alias("type"), F.coalesce("score", "n.score", F.lit(0)).cast("int").alias("score"))
     stocks = dictionary.where("stock_id <> ''").groupBy(F.col("keyword").alias("term"), "type").agg(F.sort_array(F.collect_set("stock_id")).alias("stock_ids"))
     out = out.join(stocks, ["term", "type"], "left")
     return out.select("keyword", F.coalesce("term", F.trim("keyword")).alias("canonical"), "type", F.coalesce("stock_ids", F.array().cast("array<string>")).alias("stock_ids"), "score")
@@ -174,8 +196,10 @@ def rule_classify(keywords: DataFrame, themes: DataFrame, companies: DataFrame)
     step = asked.join(first, "form", "left")
     company = fuzzy_match(step.where("e is null").select("keyword"), companies).where("type = 'company' and size(stock_ids) > 0").select("keyword", F.struct("canonical", "stock_ids").alias("c"))
     step = step.join(company, "keyword", "left")
-    inside = step.where("e is null and c is null").select("keyword", F.col("form").alias("whole")).join(F.broadcast(first.where("length(form) > 1")), F.col("whole").contains(F.col("form")))
-    inside = inside.join(terms.groupBy("form").agg(F.min("ordinal").alias("o")), "form").groupBy("keyword").agg(F.max_by("e", F.struct(F.length("form"), (-F.col("o")).alias("o"))).alias("i"))
+    # what stands inside a keyword is one of its stretches of a term's length: an equi-join, whose lengths are few
+    sizes = sorted(r["n"] for r in first.select(F.length("form").alias("n")).where("n > 1").distinct().collect())
+    whole = step.where("e is null and c is null").select("keyword", F.explode(_grams(F.col("form"), sizes) if sizes else F.array().cast("array<string>")).alias("form"))
+    inside = whole.join(first, "form").join(terms.groupBy("form").agg(F.min("ordinal").alias("o")), "form").groupBy("keyword").agg(F.max_by("e", F.struct(F.length("form"), (-F.col("o")).alias("o"))).alias("i"))
     step = step.join(inside, "keyword", "left")
     source = F.when(F.col("e").isNotNull(), "theme_mapping").when(F.col("c").isNotNull() | F.col("i").isNotNull(), "mapping_normalizer").otherwise("fallback")
     link = F.when(F.col("e").isNotNull(), F.when(F.col("e.stock_id") != "", "industry").otherwise("none")).when(F.col("c").isNotNull(), "company").when(F.col("i").isNotNull(), "industry").otherwise("none")
@@ -208,17 +232,51 @@ def generate_links(classified: DataFrame, company_stocks: DataFrame, baskets: Da
     return out.select("keyword", "theme_name", "stock_id", F.when(F.col("stock_id").isNull(), None).when(F.col("link_type") == "company", "direct").otherwise("theme").alias("link_type"), F.lit(1).alias("active"))
 
 
-def pending(trends: DataFrame, classified: DataFrame, limit: int | None = None) -> DataFrame:
+def retire_fallbacks(links: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """Links that a fallback class made are switched off once its keyword has been classified anew.
+
+    ``before`` are the classes that stood (keyword, canonical_keyword,
+    theme_name, source), ``now`` the keywords that have new ones.
+    """
+    was = before.where((F.col("source") == "fallback") & (F.col("theme_name") == OTHER_THEME)).join(now.select("keyword").distinct(), "keyword", "left_semi")
+    gone = was.select(F.coalesce("canonical_keyword", "keyword").alias("keyword"), F.lit(OTHER_THEME).alias("theme_name"), F.lit(True).alias("_gone")).distinct()
+    return links.join(gone, ["keyword", "theme_name"], "left").withColumn("active", F.when(F.col("_gone"), 0).otherwise(F.col("active"))).select(*links.columns)
+
+
+def pending(bursts: DataFrame, classified: DataFrame, limit: int | None = None) -> DataFrame:
     """Keywords without a class or with only the other theme, most frequent first."""
     done = classified.where(F.coalesce("theme_name", F.lit(OTHER_THEME)) != OTHER_THEME).select("keyword").distinct()
-    rows = trends.where("trim(keyword) <> ''").join(done, "keyword", "left_anti").groupBy("keyword").agg(F.count_distinct("trend_id").alias("trends"))
-    rows = rows.orderBy(F.col("trends").desc(), "keyword")
+    rows = bursts.where("trim(keyword) <> ''").join(done, "keyword", "left_anti").groupBy("keyword").agg(F.count_distinct("burst_id").alias("bursts"))
+    rows = rows.orderBy(F.col("bursts").desc(), "keyword")
     return rows.limit(limit) if limit else rows
 
 
-def news_rolldown(news: DataFrame, trends: DataFrame, classified: DataFrame, done: DataFrame) -> DataFrame:
+def pending_entities(bursts: DataFrame, classified: DataFrame, known: DataFrame, answered: DataFrame) -> DataFrame:
+    """Keywords under the other theme or without a class that neither a rule (``known``) settles nor a model has answered."""
+    done = classified.where(F.coalesce("theme_name", F.lit(OTHER_THEME)) != OTHER_THEME).select("keyword")
+    rows = bursts.where("trim(keyword) <> ''").select("keyword").distinct()
+    for other in (done, known.select("keyword"), answered.select("keyword")):
+        rows = rows.join(other.distinct(), "keyword", "left_anti")
+    return rows
+
+
+def pending_fallbacks(bursts: DataFrame, classified: DataFrame, answered: DataFrame) -> DataFrame:
+    """Keywords without a class or with a fallback one under the other theme, less those that a model has answered."""
+    settled = classified.where(~((F.col("source") == "fallback") & (F.coalesce("theme_name", F.lit(OTHER_THEME)) == OTHER_THEME))).select("keyword")
+    rows = bursts.where("keyword is not null").select("keyword").distinct()
+    return rows.join(settled.distinct(), "keyword", "left_anti").join(answered.select("keyword").distinct(), "keyword", "left_anti")
+
+
+def pending_news(news: DataFrame, limit: int | None = None) -> DataFrame:
+    """Titled news that lack sentiment, score or type, in the order of their ids."""
+    lacks = F.col("news_sentiment").isNull() | F.col("sentiment_score").isNull() | F.col("event_type").isNull()
+    rows = news.where(F.col("news_title").isNotNull() & lacks).select("news_id", "news_title", "news_source")
+    return rows.orderBy("news_id").limit(limit) if limit else rows
+
+
+def news_rolldown(news: DataFrame, bursts: DataFrame, classified: DataFrame, done: DataFrame) -> DataFrame:
     """Each news not done yet under its keyword's theme; no class is the other theme, no sentiment is neutral."""
-    rows = news.join(done.select("news_id"), "news_id", "left_anti").join(trends.select("trend_id", "keyword"), "trend_id").join(classified.select("keyword", "theme_name", "confidence_score"), "keyword", "left")
+    rows = news.join(done.select("news_id"), "news_id", "left_anti").join(bursts.select("burst_id", "keyword"), "burst_id").join(classified.select("keyword", "theme_name", "confidence_score"), "keyword", "left")
     return rows.select("news_id", "keyword", F.coalesce("theme_name", F.lit(OTHER_THEME)).alias("theme_name"), F.coalesce("news_sentiment", F.lit("Neutral")).alias("sentiment"), clamp_confidence(F.col("confidence_score")).alias("confidence"))
 
 
@@ -230,19 +288,57 @@ def match_canonical(observations: DataFrame, names: DataFrame) -> DataFrame:
     return met.withColumn("matched", F.when(F.col("_c"), F.col("canonical")).otherwise(F.col("keyword"))).drop("_c", "_r")
 
 
-def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Texts (id, text) to one row for each stock they name; longer names first, codes between non-digits.
+def mentions(texts: DataFrame, aliases: DataFrame, block: int = DICTIONARY_BLOCK) -> DataFrame:
+    """Texts (id, text) to one row for each stock they name; codes count between non-digits only.
 
-    The names make one pattern; ``aliases`` is a dictionary of listed names
-    (at most some tens of thousands) and the pattern is built from it.
+    Names are found from left to right, the longest first where several
+    begin; what a found name covers begins no other. ``aliases`` (alias,
+    stock_id) may be of any size: an automaton holds ``block`` names, each
+    block reads the texts once, and the places of all blocks meet again by text.
     """
-    names = [r["alias"] for r in aliases.select("alias").distinct().collect()]
-    if len(names) > DICTIONARY_BLOCK:
-        raise ValueError(f"more than {DICTIONARY_BLOCK} names")
-    quote = lambda n: "".join(c if c.isalnum() or c == "_" else "\\" + c for c in n)
-    pattern = "|".join(rf"(?<!\d){n}(?!\d)" if n.isdigit() else quote(n) for n in sorted(names, key=lambda n: (-len(n), n)))
-    found = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1))).alias("alias"))
-    return found.join(aliases, "alias").select("id", "stock_id").distinct()
+    names = aliases.select("alias").where("alias <> ''").distinct()
+    blocks = max(1, -(-names.count() // block))
+    rows = texts.select("id", "text", F.xxhash64("id", "text").alias("row")).where("text is not null")
+    hits = None
+    for k in range(blocks):
+        own = [r["alias"] for r in names.where(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == k).collect()]
+        part = rows.mapInPandas(_alias_places(own), f"row long, id {dict(texts.dtypes)['id']}, places array<struct<start:int,size:int,alias:string>>")
+        hits = part if hits is None else hits.unionByName(part)
+    if blocks > 1:
+        hits = hits.groupBy("row", "id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    order = F.array_sort("places", lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(y["size"] - x["size"]))
+    empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("found"))
+    taken = F.aggregate(order, empty, lambda a, p: F.when(p["start"] >= a["end"], F.struct((p["start"] + p["size"]).alias("end"), F.array_union(a["found"], F.array(p["alias"])).alias("found"))).otherwise(a))["found"]
+    found = hits.select("id", F.explode(taken).alias("alias"))
+    return found.join(aliases.select("alias", "stock_id").distinct(), "alias").select("id", "stock_id").distinct()
+
+
+def _alias_places(names: list[str]):  # noqa: ANN202
+    """Texts to the places of names, the longest for each start."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in names:
+            automaton.add_word(name, name)
+        if names:
+            automaton.make_automaton()
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                best: dict[int, str] = {}
+                for end, name in automaton.iter(text) if names else ():
+                    start = end + 1 - len(name)
+                    if name.isdigit() and (text[start - 1 : start].isdigit() or text[end + 1 : end + 2].isdigit()):
+                        continue
+                    if len(name) > len(best.get(start, "")):
+                        best[start] = name
+                out.append([{"start": a, "size": len(n), "alias": n} for a, n in sorted(best.items())])
+            pdf["places"] = out
+            yield pdf.loc[pdf["places"].str.len() > 0, ["row", "id", "places"]]
+
+    return run
 
 
 def type_links(links: DataFrame, curated: DataFrame, entities: DataFrame) -> DataFrame:

@@ -7,8 +7,13 @@ serves a whole chain, or joins small per-date tables of the benchmark.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from heedstream.functions.exprs import is_company_code
+from heedstream.sources.shared import stage
 
 HORIZONS = (1, 3, 5, 10)
 
@@ -59,12 +64,16 @@ def align(events: DataFrame, trading: DataFrame, side: str = "left", date: str =
 
 
 def with_performance(prices: DataFrame, benchmark: str) -> DataFrame:
-    """W5-W9 for every trading row: forward and excess returns, gain and loss, breakouts, first reaction."""
-    bench = prices.where(F.col("stock_id") == benchmark).select(F.col("date").alias("_bd"), F.col("close").alias("_bc"))
-    out = numbered(prices)
+    """W5-W9 for every trading row: forward and excess returns, gain and loss, breakouts, first reaction.
+
+    The benchmark's close of a row's day is joined once, from a broadcast
+    calendar (one row a day); that of a later row is carried back with the row,
+    so the rows keep their one exchange by stock.
+    """
+    bench = prices.where(F.col("stock_id") == benchmark).select("date", F.col("close").alias("_b"))
+    out = numbered(prices.join(F.broadcast(bench), "date", "left"))
     for n in HORIZONS:
         out = out.withColumn(f"return_{n}d", F.when(F.col("close") != 0, ratio(F.lead("close", n).over(by_stock()), F.col("close"))))
-        out = out.withColumn(f"_to_{n}", F.lead("date", n).over(by_stock()))
     out = out.withColumn("max_gain_10d", ratio(F.max("high").over(_rows(1, 10)), F.col("close"))).withColumn("max_loss_10d", ratio(F.min("low").over(_rows(1, 10)), F.col("close")))
     for n in (20, 60):
         ma = F.avg("close").over(_rows(1 - n, 0))
@@ -75,12 +84,9 @@ def with_performance(prices: DataFrame, benchmark: str) -> DataFrame:
     after = F.collect_list(F.struct("ordinal", "close")).over(_rows(1, 30))
     hit = F.filter(after, lambda x: F.abs(F.try_divide(x["close"], F.col("close")) - 1) >= 0.01)
     out = out.withColumn("reaction_days", F.when(F.size(hit) > 0, hit[0]["ordinal"] - F.col("ordinal")))
-    start = bench.select(F.col("_bd").alias("date"), F.col("_bc").alias("_b0"))
-    out = out.join(start, "date", "left")
     for n in (5, 10):
-        end = bench.select(F.col("_bd").alias(f"_to_{n}"), F.col("_bc").alias("_b1"))
-        out = out.join(end, f"_to_{n}", "left").withColumn(f"excess_{n}d", F.col(f"return_{n}d") - F.when(F.col("_b0") != 0, F.try_divide(F.col("_b1"), F.col("_b0")) - 1)).drop("_b1")
-    return out.drop("_b0", "_x20", "_x60", *[f"_to_{n}" for n in HORIZONS])
+        out = out.withColumn(f"excess_{n}d", F.col(f"return_{n}d") - F.when(F.col("_b") != 0, ratio(F.lead("_b", n).over(by_stock()), F.col("_b"))))
+    return out.drop("_b", "_x20", "_x60")
 
 
 def normal_excess(performance: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -119,8 +125,9 @@ def relative(prices: DataFrame) -> DataFrame:
 def technicals(prices: DataFrame) -> DataFrame:
     """Base 100, moving averages, RSI over 14 changes by simple means, MACD 12/26 and its signal over 9.
 
-    The recursive averages fold each stock's ordered closes once; a stock's
-    history is bounded by its trading days.
+    The recursive averages run once over each stock's ordered closes, in the
+    partitioning of the windows before them; a stock's history is bounded by
+    its trading days.
     """
     out = relative(prices).select("stock_id", "date", "price", "base_100")
     first = F.first("price").over(by_stock())
@@ -134,20 +141,16 @@ def technicals(prices: DataFrame) -> DataFrame:
     gain, loss = F.avg("_up").over(frame), F.avg("_down").over(frame)
     rsi = F.when((loss == 0) & (gain > 0), 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
     out = out.withColumn("rsi14", F.when(F.count("_up").over(frame) >= 14, rsi)).drop("_up", "_down")
-    path = out.groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("path"))
+    fields = out.schema.fields
 
-    def ema(values: Column, span: int, field: str) -> Column:
-        a = 2.0 / (span + 1)
-        fold = F.aggregate(
-            values, F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all")),
-            lambda acc, x: F.struct(F.coalesce(acc["last"] * (1 - a) + x[field] * a, x[field]).alias("last"), F.array_append(acc["all"], F.coalesce(acc["last"] * (1 - a) + x[field] * a, x[field])).alias("all")),
-        )
-        return fold["all"]
+    def macd(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", kind="stable")
+        fast, slow = (pdf["price"].ewm(span=n, adjust=False).mean() for n in (12, 26))
+        pdf["macd"] = fast - slow
+        pdf["macd_signal"] = pdf["macd"].ewm(span=9, adjust=False).mean()
+        return pdf
 
-    path = path.withColumn("e12", ema(F.col("path"), 12, "price")).withColumn("e26", ema(F.col("path"), 26, "price"))
-    path = path.withColumn("macd", F.zip_with("e12", "e26", lambda a, b: F.struct((a - b).alias("v")))).withColumn("signal", ema(F.col("macd"), 9, "v"))
-    lines = path.select("stock_id", F.explode(F.arrays_zip("path", "macd", "signal")).alias("z")).select("stock_id", F.col("z.path.date").alias("date"), F.col("z.macd.v").alias("macd"), F.col("z.signal").alias("macd_signal"))
-    return out.join(lines, ["stock_id", "date"])
+    return out.groupBy("stock_id").applyInPandas(macd, StructType([*fields, StructField("macd", DoubleType()), StructField("macd_signal", DoubleType())]))
 
 
 def post_news(articles: DataFrame, prices: DataFrame, rows: int = 5) -> DataFrame:
@@ -157,14 +160,24 @@ def post_news(articles: DataFrame, prices: DataFrame, rows: int = 5) -> DataFram
     return met.groupBy("news_id").agg(F.avg(ratio(F.col("day0.exit"), F.col("day0.close"))).alias("return_after"), F.count("*").alias("stocks"))
 
 
-def daily_abnormal(prices: DataFrame, benchmark: str, price: str = "close") -> DataFrame:
-    """Each stock on the benchmark's days, its return minus the benchmark's; missing days stay null."""
-    calendar = prices.where(F.col("stock_id") == benchmark).select("date", F.col(price).alias("_b"))
+def daily_abnormal(prices: DataFrame, benchmark: str, price: str = "adj_close") -> DataFrame:
+    """Each stock on the benchmark's days, its return minus the benchmark's; missing days stay null.
+
+    The calendar (one row a day) is broadcast to the stocks; calendar rows and
+    price rows then meet in one window by stock and day, so that one exchange
+    by stock serves this and all windows that follow. ``prices`` has one row
+    for each stock and day.
+    """
+    rows = stage(prices.select("stock_id", "date", F.col(price).alias("price")), "closes")
     line = Window.orderBy("date")
-    calendar = calendar.withColumn("day", F.row_number().over(line)).withColumn("bench_return", ratio(F.col("_b"), F.lag("_b").over(line)))
-    stocks = prices.where(F.col("stock_id") != benchmark).select("stock_id").distinct()
-    spine = stocks.crossJoin(F.broadcast(calendar.select("date", "day", "bench_return")))
-    full = spine.join(prices.select("stock_id", "date", F.col(price).alias("price")), ["stock_id", "date"], "left")
+    calendar = rows.where(F.col("stock_id") == benchmark).select("date", F.col("price").alias("bench"))
+    calendar = calendar.withColumn("day", F.row_number().over(line)).withColumn("bench_return", ratio(F.col("bench"), F.lag("bench").over(line)))
+    own = rows.where(F.col("stock_id") != benchmark)
+    spine = own.select("stock_id").distinct().crossJoin(F.broadcast(calendar)).withColumn("_s", F.lit(1))
+    both = spine.unionByName(own.withColumn("_s", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("stock_id").orderBy("date", "_s")
+    full = both.withColumn("_p", F.when(F.lag("date").over(order) == F.col("date"), F.lag("price").over(order))).where("_s = 1")
+    full = full.select("stock_id", "date", "day", "bench", "bench_return", F.col("_p").alias("price"))
     return full.withColumn("ar", ratio(F.col("price"), F.lag("price").over(by_stock())) - F.col("bench_return"))
 
 
@@ -192,21 +205,32 @@ def volatility_panel(prices: DataFrame, benchmark: str) -> DataFrame:
     return out.withColumn("big5", F.when(F.count("today").over(_rows(1, 5)) >= 5, F.max("today").over(_rows(1, 5)) >= 2).otherwise(F.lit(False)))
 
 
-def forward_abnormal(prices: DataFrame, benchmark: str, rows: int, mode: str = "after") -> DataFrame:
-    """Abnormal return over ``rows`` calendar rows from the day's close, or from the close before it (``same``)."""
-    calendar = daily_abnormal(prices, benchmark)
-    bench = prices.where(F.col("stock_id") == benchmark).select("date", F.col("close").alias("bench"))
-    full = calendar.join(F.broadcast(bench), "date")
+def forward_abnormal(calendar: DataFrame, rows: int, mode: str = "after", name: str = "forward_ar") -> DataFrame:
+    """Abnormal return over ``rows`` calendar rows from the day's close, or from the close before it (``same``); ``calendar`` is that of ``daily_abnormal``."""
     own, base = (F.col("price"), F.col("bench")) if mode == "after" else (F.lag("price").over(by_stock()), F.lag("bench").over(by_stock()))
     ahead = rows if mode == "after" else rows - 1
-    return full.withColumn("forward_ar", ratio(F.lead("price", ahead).over(by_stock()) if ahead else F.col("price"), own) - ratio(F.lead("bench", ahead).over(by_stock()) if ahead else F.col("bench"), base))
+    later = lambda c: F.lead(c, ahead).over(by_stock()) if ahead else F.col(c)
+    return calendar.withColumn(name, ratio(later("price"), own) - ratio(later("bench"), base))
 
 
-def event_units(events: DataFrame, trading_days: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events (keyword, stock_id, link_type, theme_name, date, traffic, tone) to direct and theme units by day 0."""
+def next_trading_days(dates: DataFrame, trading_days: DataFrame) -> DataFrame:
+    """(date, day0, day): the first trading day on or after each distinct date; one row a calendar day."""
     days = trading_days.select(F.lit("x").alias("stock_id"), "date", "day")
-    marked = align(events.withColumnRenamed("stock_id", "_stock").withColumn("stock_id", F.lit("x")), days).where("day0 is not null")
-    marked = marked.select("keyword", F.col("_stock").alias("stock_id"), "link_type", "theme_name", F.col("day0.date").alias("day0"), F.col("day0.day").alias("day"), "traffic", "tone")
+    found = align(dates.select("date").distinct().withColumn("stock_id", F.lit("x")), days).where("day0 is not null")
+    return found.select("date", F.col("day0.date").alias("day0"), F.col("day0.day").alias("day"))
+
+
+def event_units(events: DataFrame, trading_days: DataFrame, priced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events (keyword, stock_id, link_type, theme_name, date, traffic, tone) to direct and theme units by day 0.
+
+    Only company codes of the home market count (F7), and of these only the
+    stocks of ``priced``. Events meet a broadcast map from calendar days to trading days.
+    """
+    own = events.where(is_company_code(F.col("stock_id")))
+    if priced is not None:
+        own = own.join(priced.select("stock_id").distinct(), "stock_id", "left_semi")
+    marked = own.join(F.broadcast(next_trading_days(own, trading_days)), "date")
+    marked = marked.select("keyword", "stock_id", "link_type", "theme_name", "day0", "day", "traffic", "tone")
     direct = marked.where("link_type = 'direct'").select("stock_id", "day0", "day").distinct()
     theme = marked.where("link_type = 'theme'")
     tone = theme.select("theme_name", "day0", "keyword", "tone", "traffic").distinct().groupBy("theme_name", "day0").agg(F.sum("tone").alias("tone"))
@@ -243,7 +267,7 @@ def path_band(paths: DataFrame) -> DataFrame:
 
 def event_components(events: DataFrame, daily: DataFrame, normal: DataFrame) -> DataFrame:
     """Sums of AR minus the stock's normal level before, on and after day 0; needs 5 days before and 10 after."""
-    off = daily.join(F.broadcast(normal), "stock_id").withColumn("x", F.col("ar") - F.col("normal"))
+    off = daily.join(normal, "stock_id").withColumn("x", F.col("ar") - F.col("normal"))
     zero = F.lit(0.0)
     off = off.withColumn("pre", F.coalesce(F.sum("x").over(_rows(-5, -1)), zero)).withColumn("day0_ar", F.col("x")).withColumn("post5", F.coalesce(F.sum("x").over(_rows(1, 5)), zero)).withColumn("post10", F.coalesce(F.sum("x").over(_rows(1, 10)), zero))
     days = Window.partitionBy("stock_id")

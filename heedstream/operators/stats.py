@@ -7,8 +7,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heedstream.functions.exprs import UNANALYZED, correlation_grade, event_label, metric_text, sentiment_form, traffic_number
+from heedstream.operators.events import subtheme_heat
+from heedstream.sources.shared import small, stage
 
 HORIZONS = (1, 3, 5, 10)
+# The words of verdicts (G4) and the sentences of the summaries (G5), which results must repeat to the letter.
+HOLDS, PARTLY, FAILS, TOO_FEW = "成立", "部分成立", "不成立", "資料不足"
+CONCLUSIONS = {
+    "none": "目前資料不足，無法穩定判斷事件與股價後續關聯。",
+    "up": "熱門事件與股價存在輕度正向關聯，事件後 10 日平均表現呈現正值。",
+    "down": "熱門事件在本期間內未呈現明顯正向關聯，後續股價反應偏弱或負向。",
+    "flat": "熱門事件在本期間內的價格反應接近中性，表示事件影響較弱。",
+}
+OVERVIEW = {"title": "事件研究", "period": "研究期間：", "count": "事件數量：", "positive": "正報酬事件：", "negative": "負報酬事件：", "reaction": "平均首次反應天數：", "days": " 天", "mean": "平均{n}日報酬：", "conclusion": "AI結論："}
+EVENT = {
+    "at": "事件於", "unknown": "未知日期", "happened": "發生。", "no_move": "事件後3日股價變化資料尚不足。", "move": "事件後3日股價累積", "rise": "上漲", "fall": "下跌", "stop": "。",
+    "same_day": "事件當天突破MA{n}。", "after": "事件後第", "crossed": "日突破MA{n}。", "above": "事件後已突破MA{n}。", "never": "事件後未出現 MA{n} 突破訊號。",
+}
 
 
 def t_stat(c: str, least: int = 2) -> Column:
@@ -65,8 +80,9 @@ def hypotheses(performance: DataFrame, keys: list[str], least: int = 10) -> Data
         F.count_if(F.col("tone") == "Positive").alias("n_pos"), F.count_if(F.col("tone") == "Negative").alias("n_neg"),
         F.avg(F.when(F.col("tone") == "Positive", F.col("excess_10d"))).alias("pos_mean"), F.avg(F.when(F.col("tone") == "Negative", F.col("excess_10d"))).alias("neg_mean"),
     )
-    h1 = F.when(F.col("n") < least, "資料不足").when((F.col("mean") > 0) & (F.col("t") >= 2), "成立").when((F.col("mean") > 0) & (F.col("t") >= 1), "部分成立").otherwise("不成立")
-    h2 = F.when((F.col("n_pos") < 5) & (F.col("n_neg") < 5), "資料不足").when(F.col("pos_mean").isNull() | F.col("neg_mean").isNull(), "資料不足").when(F.col("pos_mean") > F.col("neg_mean"), "成立").otherwise("不成立")
+    h1 = F.when(F.col("n") < least, TOO_FEW).when((F.col("mean") > 0) & (F.col("t") >= 2), HOLDS).when((F.col("mean") > 0) & (F.col("t") >= 1), PARTLY).otherwise(FAILS)
+    few = ((F.col("n_pos") < 5) & (F.col("n_neg") < 5)) | F.col("pos_mean").isNull() | F.col("neg_mean").isNull()
+    h2 = F.when(few, TOO_FEW).when(F.col("pos_mean") > F.col("neg_mean"), HOLDS).otherwise(FAILS)
     return out.withColumn("h1", h1).withColumn("h2", h2)
 
 
@@ -79,29 +95,28 @@ def overview_text(summary: DataFrame, theme: str, start: Column, end: Column) ->
     """The overview of a theme's summary row as text."""
     ten = F.col("avg_return_10d_pct")
     name = F.col(theme)
-    conclusion = (
-        F.when(ten.isNull(), "目前資料不足，無法穩定判斷事件與股價後續關聯。")
-        .when(ten > 0, F.concat(name, F.lit("熱門事件與股價存在輕度正向關聯，事件後 10 日平均表現呈現正值。")))
-        .when(ten < 0, F.concat(name, F.lit("熱門事件在本期間內未呈現明顯正向關聯，後續股價反應偏弱或負向。")))
-        .otherwise(F.concat(name, F.lit("熱門事件在本期間內的價格反應接近中性，表示事件影響較弱。")))
-    )
+    about = lambda k: F.concat(name, F.lit(CONCLUSIONS[k]))
+    conclusion = F.when(ten.isNull(), CONCLUSIONS["none"]).when(ten > 0, about("up")).when(ten < 0, about("down")).otherwise(about("flat"))
+    o = {k: F.lit(v) for k, v in OVERVIEW.items()}
     lines = [
-        F.concat(name, F.lit("事件研究")), F.concat(F.lit("研究期間："), start, F.lit(" ~ "), end), F.concat(F.lit("事件數量："), F.col("event_count").cast("string")),
-        F.concat(F.lit("正報酬事件："), metric_text(F.col("positive_pct"), "%")), F.concat(F.lit("負報酬事件："), metric_text(F.col("negative_pct"), "%")), F.concat(F.lit("平均首次反應天數："), metric_text(F.col("avg_reaction_days"), " 天")),
-        *[F.concat(F.lit(f"平均{n}日報酬："), metric_text(F.col(f"avg_return_{n}d_pct"), "%")) for n in HORIZONS],
+        F.concat(name, o["title"]), F.concat(o["period"], start, F.lit(" ~ "), end), F.concat(o["count"], F.col("event_count").cast("string")),
+        F.concat(o["positive"], metric_text(F.col("positive_pct"), "%")), F.concat(o["negative"], metric_text(F.col("negative_pct"), "%")), F.concat(o["reaction"], metric_text(F.col("avg_reaction_days"), OVERVIEW["days"])),
+        *[F.concat(F.lit(OVERVIEW["mean"].format(n=n)), metric_text(F.col(f"avg_return_{n}d_pct"), "%")) for n in HORIZONS],
     ]
-    return summary.select(theme, F.concat(F.concat_ws("\n", *lines), F.lit("\n\nAI結論："), conclusion).alias("overview"))
+    return summary.select(theme, F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), o["conclusion"], conclusion).alias("overview"))
 
 
 def event_text(performance: DataFrame) -> DataFrame:
     """One sentence for each event: day, three-day move and breakouts."""
-    move = F.when(F.col("return_3d").isNull(), "事件後3日股價變化資料尚不足。").otherwise(F.concat(F.lit("事件後3日股價累積"), F.when(F.col("return_3d") > 0, "上漲").otherwise("下跌"), F.format_string("%.1f%%", F.abs(F.col("return_3d") * 100))))
+    e = {k: F.lit(v) for k, v in EVENT.items()}
+    move = F.when(F.col("return_3d").isNull(), e["no_move"]).otherwise(F.concat(e["move"], F.when(F.col("return_3d") > 0, e["rise"]).otherwise(e["fall"]), F.format_string("%.1f%%", F.abs(F.col("return_3d") * 100))))
 
     def cross(n: int) -> Column:
         day = F.col(f"ma{n}_breakout_day")
-        return F.when(day == 0, f"事件當天突破MA{n}。").when(day.isNotNull(), F.concat(F.lit("事件後第"), day.cast("string"), F.lit(f"日突破MA{n}。"))).when(F.col(f"ma{n}").isNotNull(), f"事件後已突破MA{n}。").otherwise(f"事件後未出現 MA{n} 突破訊號。")
+        say = lambda k: F.lit(EVENT[k].format(n=n))
+        return F.when(day == 0, say("same_day")).when(day.isNotNull(), F.concat(e["after"], day.cast("string"), say("crossed"))).when(F.col(f"ma{n}").isNotNull(), say("above")).otherwise(say("never"))
 
-    return performance.withColumn("text", F.concat(F.col("keyword"), F.lit("事件於"), F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("未知日期")), F.lit("發生。"), move, F.lit("。"), cross(20), cross(60)))
+    return performance.withColumn("text", F.concat(F.col("keyword"), e["at"], F.coalesce(F.date_format("date", "yyyy-MM-dd"), e["unknown"]), e["happened"], move, e["stop"], cross(20), cross(60)))
 
 
 def excess_table(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,33 +131,54 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def heat_price(heat: DataFrame, returns: DataFrame, least: int = 5) -> DataFrame:
-    """Same-day correlation of heat (keyword, date, heat) and returns (stock_id, date, r)."""
-    met = heat.join(returns, "date").where("heat is not null and r is not null")
+def heat_price(heat: DataFrame, returns: DataFrame, pairs: DataFrame | None = None, least: int = 5) -> DataFrame:
+    """Same-day correlation of heat (keyword, date, heat) and returns (stock_id, date, r), of the given pairs (stock_id, keyword) or of all."""
+    own = returns.join(pairs, "stock_id").join(heat, ["keyword", "date"]) if pairs is not None else returns.join(heat, "date")
+    met = own.where("heat is not null and r is not null")
     return met.groupBy("stock_id", "keyword").agg(F.count("*").alias("n"), correlation("heat", "r").alias("r")).where(F.col("n") >= least)
 
 
-def cross_correlation(heat: DataFrame, returns: DataFrame, least: int = 30, lags: int = 10) -> DataFrame:
-    """For each pair the lag in -lags..lags of greatest |r|, ties to the nearer and then the smaller lag.
+def _best_lags(heat: DataFrame, returns: DataFrame, pairs: DataFrame, least: int, lags: int) -> DataFrame:
+    """(stock_id, keyword, best_lag, r, n, same_day) of pairs that have a lag with ``least`` days.
 
-    Pairs are aligned on common days first; heat of a row meets the return
-    ``lag`` rows later.
+    Lags are trading rows of the stock, whether or not there was heat on them:
+    the returns around a row are windows over the stock's rows, taken before
+    heat is joined by date.
+    """
+    by = Window.partitionBy("stock_id").orderBy("date")
+    at = lambda k: F.lead("r", k).over(by) if k > 0 else F.lag("r", -k).over(by) if k < 0 else F.col("r")
+    around = returns.select("stock_id", "date", "r", *[at(k).alias(f"_r{k + lags}") for k in range(-lags, lags + 1)])
+    around = around.select("stock_id", "date", F.array(*[f"_r{k}" for k in range(2 * lags + 1)]).alias("_r"))
+    met = around.join(pairs.select("stock_id", "keyword").distinct(), "stock_id").join(heat.where("heat is not null"), ["keyword", "date"])
+    each = met.select("stock_id", "keyword", "heat", F.posexplode("_r").alias("lag", "r")).where("r is not null")
+    each = each.groupBy("stock_id", "keyword", "lag").agg(F.count("*").alias("n"), correlation("heat", "r").alias("c"))
+    each = each.where((F.col("n") >= least) & F.col("c").isNotNull()).withColumn("lag", F.col("lag") - lags)
+    best = each.groupBy("stock_id", "keyword").agg(F.min_by(F.struct("lag", "c", "n"), F.struct(-F.abs("c"), F.abs("lag"), F.col("lag"))).alias("b"), F.max(F.when(F.col("lag") == 0, F.col("c"))).alias("same_day"))
+    return best.select("stock_id", "keyword", F.col("b.lag").alias("best_lag"), F.col("b.c").alias("r"), F.col("b.n").alias("n"), "same_day")
+
+
+def cross_correlation(heat: DataFrame, returns: DataFrame, pairs: DataFrame, least: int = 30, lags: int = 10) -> DataFrame:
+    """For each pair (stock_id, keyword) the lag in -lags..lags of greatest |r|, ties to the nearer and then the smaller lag.
+
+    ``returns`` (stock_id, date, r) has a row for every trading row of a stock.
+    Heat of a row meets the return ``lag`` rows later. A pair without a lag
+    of ``least`` days and a coefficient has a null lag and n = 0.
     """
-    met = heat.join(returns, "date").where("heat is not null and r is not null")
-    met = met.withColumn("ordinal", F.row_number().over(Window.partitionBy("stock_id", "keyword").orderBy("date")))
-    left = met.select("stock_id", "keyword", "heat", F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), "ordinal").withColumn("at", F.col("ordinal") + F.col("lag"))
-    right = met.select("stock_id", "keyword", F.col("ordinal").alias("at"), "r")
-    each = left.join(right, ["stock_id", "keyword", "at"]).groupBy("stock_id", "keyword", "lag").agg(F.count("*").alias("n"), correlation("heat", "r").alias("c")).where(F.col("n") >= least).where("c is not null")
-    each = each.withColumn("c", F.floor(F.col("c") * 1e6 + 0.5) / 1e6)
-    best = each.groupBy("stock_id", "keyword").agg(F.min_by(F.struct("lag", "c", "n"), F.struct(-F.abs("c"), F.abs("lag"), F.col("lag"))).alias("b"))
-    return best.select("stock_id", "keyword", F.col("b.lag").alias("best_lag"), F.col("b.c").alias("r"), F.col("b.n").alias("n"))
+    best = _best_lags(heat, returns, pairs, least, lags).drop("same_day")
+    return pairs.select("stock_id", "keyword").distinct().join(best, ["stock_id", "keyword"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def theme_cross(heat: DataFrame, returns: DataFrame) -> DataFrame:
-    """G11 with the same-day correlation and a grade of confidence."""
-    lagged = cross_correlation(heat, returns)
-    same = heat_price(heat, returns).select("stock_id", "keyword", F.col("r").alias("same_day"))
-    return lagged.join(same, ["stock_id", "keyword"], "left").withColumn("grade", correlation_grade(F.col("r"), F.col("n")))
+def theme_cross(daily_heat: DataFrame, returns: DataFrame, mapping: DataFrame, least: int = 30, lags: int = 10) -> DataFrame:
+    """G11 of sub-themes and their stocks, with the same-day coefficient and a grade of confidence.
+
+    ``daily_heat`` (keyword, date, heat) becomes the sub-themes' mean heat
+    (E2); ``mapping`` (sub_theme, keyword, stock_id, active) names keywords and
+    the pairs. Pairs without a lag of ``least`` days are left out.
+    """
+    heat = subtheme_heat(daily_heat, mapping).select(F.col("sub_theme").alias("keyword"), "date", "heat")
+    pairs = mapping.where("active = 1 and trim(stock_id) <> '' and sub_theme is not null").select("stock_id", F.col("sub_theme").alias("keyword")).distinct()
+    out = _best_lags(heat, returns, pairs, least, lags).withColumnRenamed("keyword", "sub_theme")
+    return out.withColumn("grade", correlation_grade(F.col("r"), F.col("n")))
 
 
 def sentiment_shares(news: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -172,7 +208,8 @@ def signal_scores(events: DataFrame) -> DataFrame:
     rows = events.withColumn("_t", traffic_number(F.col("approx_traffic")))
     counts = rows.groupBy("_t").agg(F.count("*").alias("_c"))
     ranks = _percent_ranks(counts)
-    heat = rows.join(ranks, "_t").withColumn("_heat", F.col("_rank") * 100)
+    # traffic takes few values: a broadcast behind a check of their number spares a popular value from being one task
+    heat = rows.join(small(ranks), "_t").withColumn("_heat", F.col("_rank") * 100)
     volume = (F.greatest(F.lit(-1.0), F.least(F.lit(3.0), F.coalesce("volume_change", F.lit(0.0)))) + 1) / 4 * 100
     tone = F.when(F.col("news_sentiment") == "Positive", 100.0).when(F.col("news_sentiment") == "Negative", 0.0).otherwise(50.0)
     before = Window.partitionBy("stock_id").orderBy("date", "event_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -183,20 +220,37 @@ def signal_scores(events: DataFrame) -> DataFrame:
     return out.withColumn("signal", F.when(F.col("signal_score") < 40, "🟢 可觀察").when(F.col("signal_score") < 70, "🟡 已反應").otherwise("🔴 過熱")).withColumn("historical_win_rate", F.col("_win")).drop("_t", "_c", "_rank", "_heat", "_win")
 
 
-def _percent_ranks(counts: DataFrame) -> DataFrame:
-    """(_t, _c) to (_t, _rank), average ranks over all rows; summed in value ranges, then within a range."""
-    ranged = counts.withColumn("_band", F.floor(F.log2(F.col("_t") + 1) * 8))
+def _placed(counts: DataFrame) -> DataFrame:
+    """(_t, _c) with _before, the rows of lesser values, and _all; summed in value ranges, then within a range."""
+    size = F.log2(F.abs("_t") + F.lit(2.0**-20)) + 20
+    ranged = counts.withColumn("_band", F.floor(F.signum("_t") * size * 32))
     bands = ranged.groupBy("_band").agg(F.sum("_c").alias("_m"))
     line = Window.orderBy("_band")
     bands = bands.withColumn("_less", F.coalesce(F.sum("_m").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_m").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     inside = Window.partitionBy("_band").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(F.broadcast(bands.select("_band", "_less", "_all")), "_band")
-    return joined.select("_t", ((F.col("_less") + F.coalesce(F.sum("_c").over(inside), F.lit(0)) + (F.col("_c") + 1) / 2) / F.col("_all")).alias("_rank"))
+    return joined.select("_t", "_c", (F.col("_less") + F.coalesce(F.sum("_c").over(inside), F.lit(0))).alias("_before"), "_all")
+
+
+def _percent_ranks(counts: DataFrame) -> DataFrame:
+    """(_t, _c) to (_t, _rank), average ranks over all rows."""
+    return _placed(counts).select("_t", ((F.col("_before") + (F.col("_c") + 1) / 2) / F.col("_all")).alias("_rank"))
 
 
 def decile_edges(rows: DataFrame, column: str) -> DataFrame:
-    """Distinct exact decile edges of a column, one row (edges)."""
-    return rows.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(k / 10) for k in range(11)]))).alias("edges"))
+    """Distinct exact decile edges of a column, one row (edges).
+
+    The values on both sides of each decile come from counts of the values
+    and their running sums in value ranges; no task holds all values.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_t")).agg(F.count("*").alias("_c"))
+    place = lambda k: (F.col("_all") - 1) * k / 10
+    holds = lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_c"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), f(place(k)).alias("at"), (place(k) - F.floor(place(k))).alias("share")) for k in range(11) for side, f in ((0, F.floor), (1, F.ceil))])
+    found = _placed(counts).select("_t", F.explode(F.filter(wanted, lambda w: holds(w["at"]))).alias("w"))
+    edge = found.groupBy("w.k").agg(F.max(F.when(F.col("w.side") == 0, F.col("_t"))).alias("lo"), F.max(F.when(F.col("w.side") == 1, F.col("_t"))).alias("hi"), F.max("w.share").alias("share"))
+    edge = edge.select((F.col("lo") * (1 - F.col("share")) + F.col("hi") * F.col("share")).alias("e"))
+    return edge.agg(F.sort_array(F.collect_set("e")).alias("edges"))
 
 
 def deciles(rows: DataFrame, column: str) -> DataFrame:
@@ -218,24 +272,27 @@ def matched(panel: DataFrame, flag: str, columns: tuple[str, ...] = ("future5",
 def clustered_ols(rows: DataFrame, y: str, x: list[str], cluster: str) -> DataFrame:
     """Least squares with a constant and standard errors clustered by ``cluster``.
 
-    Two passes of aggregation over the rows; only k x k sums come to the
+    One pass over the rows sums XtX and Xty by cluster; totals and the
+    clusters' scores come from that table, and only k x k sums reach the
     driver, k being the number of columns.
     """
     names = ["const", *x]
     k = len(names)
     clean = rows.select(F.col(cluster).alias("_g"), F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("x0"), *[F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(x)]).dropna()
-    sums = clean.agg(F.count("*").alias("n"), F.count_distinct("_g").alias("g"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(F.col(f"x{i}") * F.col("_y")).alias(f"b{i}") for i in range(k)]).first()
-    a = np.array([[sums[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    inverse = np.linalg.inv(a)
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    by = stage(clean.groupBy("_g").agg(F.count("*").alias("n"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i, j in cells], *[F.sum(F.col(f"x{i}") * F.col("_y")).alias(f"b{i}") for i in range(k)]), "clusters")
+    sums = by.agg(F.sum("n").alias("n"), F.count("*").alias("g"), *[F.sum(f"a{i}_{j}").alias(f"a{i}_{j}") for i, j in cells], *[F.sum(f"b{i}").alias(f"b{i}") for i in range(k)]).first()
+    if not sums["g"]:
+        return rows.sparkSession.createDataFrame([], "term string, beta double, se double, t double, n long, clusters long")
+    square = lambda row, name: np.array([[row[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    inverse = np.linalg.inv(square(sums, "a"))
     beta = inverse @ np.array([sums[f"b{i}"] for i in range(k)])
-    residual = F.col("_y") - sum((F.col(f"x{i}") * float(beta[i]) for i in range(1, k)), F.lit(float(beta[0])))
-    scores = clean.withColumn("_e", residual).groupBy("_g").agg(*[F.sum(F.col(f"x{i}") * F.col("_e")).alias(f"s{i}") for i in range(k)])
-    meat_row = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    meat = np.array([[meat_row[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    score = lambda i: F.col(f"b{i}") - sum((F.col(f"a{min(i, j)}_{max(i, j)}") * float(beta[j]) for j in range(1, k)), F.col(f"a0_{i}") * float(beta[0]))
+    scores = by.select(*[score(i).alias(f"s{i}") for i in range(k)])
+    meat = square(scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in cells]).first(), "m")
     n, g = sums["n"], sums["g"]
     se = np.sqrt(np.diag(inverse @ meat @ inverse) * (g / (g - 1) * (n - 1) / (n - k)))
-    spark = rows.sparkSession
-    return spark.createDataFrame([(names[i], float(beta[i]), float(se[i]), float(beta[i] / se[i]), n, g) for i in range(k)], "term string, beta double, se double, t double, n long, clusters long")
+    return rows.sparkSession.createDataFrame([(names[i], float(beta[i]), float(se[i]), float(beta[i] / se[i]), n, g) for i in range(k)], "term string, beta double, se double, t double, n long, clusters long")
 
 
 def event_profile(panel: DataFrame, flag: str, sample: Column, most: int = 400, before: int = 5, after: int = 20) -> DataFrame:

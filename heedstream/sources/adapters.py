@@ -35,24 +35,37 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("date", "stock_id").agg(F.min_by("unit", "seq").alias("open"), F.max("unit").alias("high"), F.min("unit").alias("low"), F.max_by("unit", "seq").alias("close"), F.max_by("adj", "seq").alias("adj_close"), F.sum("q").cast("long").alias("volume"))
 
 
-def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     joined = o.join(c, o.o_custkey == c.c_custkey)
-    return joined.select(F.col("o_orderkey").alias("trend_id"), F.col("c_name").alias("keyword"), F.col("o_orderdate").alias("published_at"), F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit("K+")).alias("approx_traffic"))
+    return joined.select(F.col("o_orderkey").alias("burst_id"), F.col("c_name").alias("keyword"), F.col("o_orderdate").alias("published_at"), F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit("K+")).alias("approx_traffic"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct links of every keyword, and its segment's basket of five themes."""
+    """Direct links of every keyword, and its theme's basket.
+
+    A theme is a part of a market segment; themes are as many as it takes
+    that each has about five stocks, so baskets hold all stocks, every keyword
+    has one, and links grow with the keywords.
+    """
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    n = s.agg(F.count("*").alias("n"))
+    n = s.agg(F.count("*").alias("n")).withColumn("g", F.greatest(F.lit(1).cast("long"), F.expr("n div 25")))
     rows = c.crossJoin(F.broadcast(n))
     direct = rows.select(F.col("c_name").alias("keyword"), stock_code(F.col("c_custkey") % F.col("n")).alias("stock_id"), F.lit("direct").alias("link_type"), F.col("c_mktsegment").alias("theme_name"), F.lit(1).alias("active"))
-    segments = c.select(F.col("c_mktsegment").alias("theme_name")).distinct()
-    order = segments.select(F.sort_array(F.collect_list("theme_name")).alias("all"))
-    baskets = order.select(F.posexplode("all").alias("k", "theme_name")).join(s.where("s_suppkey < 25").select("s_suppkey"), F.col("s_suppkey") % 5 == F.col("k"))
-    baskets = baskets.select("theme_name", stock_code(F.col("s_suppkey")).alias("stock_id"))
-    theme = c.where("c_custkey % 10 = 0").select(F.col("c_name").alias("keyword"), F.col("c_mktsegment").alias("theme_name")).join(F.broadcast(baskets), "theme_name")
-    return direct.unionByName(theme.select("keyword", "stock_id", F.lit("theme").alias("link_type"), "theme_name", F.lit(1).alias("active")))
+    segments = c.select("c_mktsegment").distinct().select(F.sort_array(F.collect_list("c_mktsegment")).alias("all"))
+    segments = segments.select(F.posexplode("all").alias("k", "c_mktsegment"))
+    baskets = s.crossJoin(F.broadcast(n)).select(stock_code(F.col("s_suppkey")).alias("stock_id"), (F.col("s_suppkey") % 5).alias("k"), F.expr("(s_suppkey div 5) % g").alias("j"))
+    baskets = baskets.join(F.broadcast(segments), "k")
+    theme = rows.select(F.col("c_name").alias("keyword"), "c_mktsegment", (F.col("c_custkey") % F.col("g")).alias("j")).join(baskets, ["c_mktsegment", "j"])
+    theme = theme.select("keyword", "stock_id", F.lit("theme").alias("link_type"), F.concat("c_mktsegment", F.lit(" "), F.col("j").cast("string")).alias("theme_name"), F.lit(1).alias("active"))
+    return direct.unionByName(theme)
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword classes: a fifth of the keywords has none, a quarter of the rest is a fallback, a third has a canonical name."""
+    k = F.col("c_custkey")
+    other = k % 4 == 0
+    return table(spark, sf_dir, "customer").where(k % 5 != 0).select(F.col("c_name").alias("keyword"), F.when(other, "其他").otherwise(F.col("c_mktsegment")).alias("theme_name"), F.when(other, "fallback").otherwise("rule").alias("source"), (k % 7 == 0).cast("int").alias("need_review"), (F.col("c_acctbal") / 10000).alias("confidence_score"), F.when(k % 3 == 0, F.upper("c_name")).alias("canonical_keyword"))
 
 
 def news_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +73,16 @@ def news_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
     news_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     tone = F.when(news_id % 5 == 0, None).when(F.col("l_returnflag") == "A", "Positive").when(F.col("l_returnflag") == "R", "Negative").otherwise("Neutral")
-    return rows.select(news_id.alias("news_id"), F.col("l_orderkey").alias("trend_id"), F.col("p_name").alias("news_title"), F.col("s_name").alias("news_source"), tone.alias("news_sentiment"), F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity").alias("seq"))
+    return rows.select(news_id.alias("news_id"), F.col("l_orderkey").alias("burst_id"), F.col("p_name").alias("news_title"), F.col("s_name").alias("news_source"), tone.alias("news_sentiment"), F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity").alias("seq"))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return news_raw(spark, sf_dir).groupBy("news_id").agg(F.min_by(F.struct("trend_id", "news_title", "news_source", "news_sentiment"), "seq").alias("r")).select("news_id", "r.*")
+    return news_raw(spark, sf_dir).groupBy("news_id").agg(F.min_by(F.struct("burst_id", "news_title", "news_source", "news_sentiment"), "seq").alias("r")).select("news_id", "r.*")
 
 
 def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Taipei"))
-    return table(spark, sf_dir, "events").groupBy(day.alias("date"), F.col("user_id").cast("string").alias("keyword")).agg(F.least(F.lit(100), 20 * F.count("*")).cast("long").alias("trend_score")).withColumn("theme_name", (F.col("keyword").cast("long") % 7).cast("string"))
+    return table(spark, sf_dir, "events").groupBy(day.alias("date"), F.col("user_id").cast("string").alias("keyword")).agg(F.least(F.lit(100), 20 * F.count("*")).cast("long").alias("burst_score")).withColumn("theme_name", (F.col("keyword").cast("long") % 7).cast("string"))
 
 
 def heat_px(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,31 +91,35 @@ def heat_px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("trend_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.floor("value").cast("long").alias("traffic"), "event_type", "event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("burst_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.floor("value").cast("long").alias("traffic"), "event_type", "event_id")
 
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("keyword"), F.to_date("ts").alias("date")).distinct()
 
 
+#: ``classes`` for the oracles.
+CLASS = "cl AS (SELECT c_name AS keyword, CASE WHEN c_custkey % 4 = 0 THEN '其他' ELSE c_mktsegment END AS theme_name, CASE WHEN c_custkey % 4 = 0 THEN 'fallback' ELSE 'rule' END AS source, CAST(c_custkey % 7 = 0 AS INTEGER) AS need_review, c_acctbal / 10000 AS confidence_score, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) END AS canonical_keyword FROM customer WHERE c_custkey % 5 <> 0)"
+
 #: The same adapters for the oracles.
 SQL = {
     "prices": """base AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey + 1000 AS VARCHAR) AS stock_id, l_extendedprice / l_quantity AS unit, (l_extendedprice / l_quantity) * (1 - l_discount) AS adj,
           l_quantity AS q, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS seq FROM lineitem),
         prices AS (SELECT date, stock_id, arg_min(unit, seq) AS open, max(unit) AS high, min(unit) AS low, arg_max(unit, seq) AS close, arg_max(adj, seq) AS adj_close, CAST(sum(q) AS BIGINT) AS volume
           FROM (SELECT * FROM base UNION ALL SELECT date, '0050', unit, adj, q, seq FROM base) GROUP BY date, stock_id)""",
-    "trends": "trends AS (SELECT o_orderkey AS trend_id, c_name AS keyword, o_orderdate AS published_at, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) || 'K+' AS approx_traffic FROM orders JOIN customer ON o_custkey = c_custkey)",
-    "links": """seg AS (SELECT c_mktsegment AS theme_name, row_number() OVER (ORDER BY c_mktsegment) - 1 AS k FROM (SELECT DISTINCT c_mktsegment FROM customer)),
-        links AS (SELECT c_name AS keyword, CAST(c_custkey % (SELECT count(*) FROM supplier) + 1000 AS VARCHAR) AS stock_id, 'direct' AS link_type, c_mktsegment AS theme_name, 1 AS active FROM customer
-          UNION ALL SELECT c_name, CAST(s_suppkey + 1000 AS VARCHAR), 'theme', theme_name, 1 FROM customer JOIN seg ON c_mktsegment = theme_name JOIN supplier ON s_suppkey < 25 AND s_suppkey % 5 = k WHERE c_custkey % 10 = 0)""",
-    "news": """news_raw AS (SELECT l_orderkey * 10 + l_linenumber AS news_id, l_orderkey AS trend_id, p_name AS news_title, s_name AS news_source,
+    "bursts": "bursts AS (SELECT o_orderkey AS burst_id, c_name AS keyword, o_orderdate AS published_at, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) || 'K+' AS approx_traffic FROM orders JOIN customer ON o_custkey = c_custkey)",
+    "links": """seg AS (SELECT c_mktsegment AS segment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS k FROM (SELECT DISTINCT c_mktsegment FROM customer)), lk_n AS (SELECT count(*) AS n, greatest(1, count(*) // 25) AS g FROM supplier),
+        lk_b AS (SELECT CAST(s_suppkey + 1000 AS VARCHAR) AS stock_id, segment, (s_suppkey // 5) % g AS j FROM supplier, lk_n, seg WHERE s_suppkey % 5 = k), lk_c AS (SELECT c_name, c_custkey, c_mktsegment AS segment, c_custkey % n AS own, c_custkey % g AS j FROM customer, lk_n),
+        links AS (SELECT c_name AS keyword, CAST(own + 1000 AS VARCHAR) AS stock_id, 'direct' AS link_type, segment AS theme_name, 1 AS active FROM lk_c
+          UNION ALL SELECT c_name, stock_id, 'theme', c.segment || ' ' || CAST(c.j AS VARCHAR), 1 FROM lk_c c JOIN lk_b b ON c.segment = b.segment AND c.j = b.j)""",
+    "news": """news_raw AS (SELECT l_orderkey * 10 + l_linenumber AS news_id, l_orderkey AS burst_id, p_name AS news_title, s_name AS news_source,
           CASE WHEN (l_orderkey * 10 + l_linenumber) % 5 = 0 THEN NULL WHEN l_returnflag = 'A' THEN 'Positive' WHEN l_returnflag = 'R' THEN 'Negative' ELSE 'Neutral' END AS news_sentiment,
           row(l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS seq FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
-        news AS (SELECT news_id, r.trend_id AS trend_id, r.news_title AS news_title, r.news_source AS news_source, r.news_sentiment AS news_sentiment
-          FROM (SELECT news_id, arg_min({'trend_id': trend_id, 'news_title': news_title, 'news_source': news_source, 'news_sentiment': news_sentiment}, seq) AS r FROM news_raw GROUP BY news_id))""",
-    "heat": "heat AS (SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS date, CAST(user_id AS VARCHAR) AS keyword, least(100, 20 * count(*)) AS trend_score, CAST(any_value(user_id) % 7 AS VARCHAR) AS theme_name FROM events GROUP BY 1, 2)",
+        news AS (SELECT news_id, r.burst_id AS burst_id, r.news_title AS news_title, r.news_source AS news_source, r.news_sentiment AS news_sentiment
+          FROM (SELECT news_id, arg_min({'burst_id': burst_id, 'news_title': news_title, 'news_source': news_source, 'news_sentiment': news_sentiment}, seq) AS r FROM news_raw GROUP BY news_id))""",
+    "heat": "heat AS (SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS date, CAST(user_id AS VARCHAR) AS keyword, least(100, 20 * count(*)) AS burst_score, CAST(any_value(user_id) % 7 AS VARCHAR) AS theme_name FROM events GROUP BY 1, 2)",
     "heat_px": "heat_px AS (SELECT CAST(o_orderdate AS DATE) AS date, c_mktsegment AS keyword, CAST(count(*) AS DOUBLE) AS heat FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)",
-    "observations": "observations AS (SELECT user_id AS trend_id, ts AS observed_at, CAST(floor(value) AS BIGINT) AS traffic, event_type, event_id FROM events)",
+    "observations": "observations AS (SELECT user_id AS burst_id, ts AS observed_at, CAST(floor(value) AS BIGINT) AS traffic, event_type, event_id FROM events)",
     "listed": "listed AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS keyword, CAST(ts AS DATE) AS date FROM events WHERE event_type = 'signup')",
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from heedstream.functions.exprs import OTHER_THEME, push_score, theme_form
+from heedstream.functions.exprs import OTHER_THEME, day_start_utc, push_score, theme_form
 
 FEED = "struct<item:array<struct<title:string,approx_traffic:string,pubDate:string,news_item:array<struct<news_item_title:string,news_item_url:string,news_item_source:string>>>>>"
 
@@ -104,3 +104,26 @@ def social_posts(raw: DataFrame) -> DataFrame:
 def star_prices(prices: DataFrame) -> DataFrame:
     """Facts with their calendar features; a missing volume is 0."""
     return prices.select(F.col("stock_id").alias("ticker"), "date", "close", F.coalesce("volume", F.lit(0)).cast("long").alias("volume"), F.month("date").alias("month"), F.quarter("date").alias("quarter"))
+
+
+def prices_of(prices: DataFrame, stocks: DataFrame | None = None, start: Column | None = None) -> DataFrame:
+    """Prices of some stocks from a day on."""
+    rows = prices if start is None else prices.where(F.col("date") >= start)
+    return rows if stocks is None else rows.join(stocks.select("stock_id").distinct(), "stock_id", "left_semi")
+
+
+def heat_of(heat: DataFrame, keywords: DataFrame, start: Column, days: int = 30) -> DataFrame:
+    """Heat of some keywords from ``days`` before a day on."""
+    return heat.where(F.col("date") >= F.date_sub(start, days)).join(keywords.select("keyword").distinct(), "keyword", "left_semi")
+
+
+def active_links(links: DataFrame) -> DataFrame:
+    """S23."""
+    return links.where("active = 1")
+
+
+def observations(bursts: DataFrame, news: DataFrame, classified: DataFrame, start: Column) -> DataFrame:
+    """Bursts from a Taipei midnight on, each with its news and its keyword's class where there are any."""
+    rows = bursts.where(F.coalesce("published_at", "fetched_at") >= day_start_utc(start).cast("timestamp_ntz"))
+    c = classified.select("keyword", "canonical_keyword", F.col("theme_name").alias("classification_theme"))
+    return rows.join(news, "burst_id", "left").join(c, "keyword", "left")
