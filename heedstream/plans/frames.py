@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heedstream.functions.exprs import traffic_digits
+from heedstream.functions.exprs import taipei_day, traffic_digits
 from heedstream.operators import events as ev
+from heedstream.operators import resolve as rs
 from heedstream.operators import returns as rt
 from heedstream.sources import adapters as ad
 
@@ -18,16 +19,16 @@ def tone_score(c: str = "news_sentiment"):  # noqa: ANN201
 
 
 def quiet(spark: SparkSession, d: str) -> DataFrame:
-    """Quiet-period events (keyword, date, traffic, tone)."""
-    t = ad.trends(spark, d).select("trend_id", "keyword", F.to_date("published_at").alias("date"), traffic_digits(F.col("approx_traffic")).alias("traffic"))
-    tone = ad.news(spark, d).groupBy("trend_id").agg(F.sum(tone_score()).alias("tone"))
-    toned = t.join(tone, "trend_id").select("keyword", "date", "tone")
+    """Quiet-period events (keyword, date, traffic, tone) of canonical keywords (J22) on Taipei days."""
+    t = rs.canonical(ad.bursts(spark, d), ad.classes(spark, d)).select("burst_id", "keyword", taipei_day(F.col("published_at")).alias("date"), traffic_digits(F.col("approx_traffic")).alias("traffic"))
+    tone = ad.news(spark, d).groupBy("burst_id").agg(F.sum(tone_score()).alias("tone"))
+    toned = t.join(tone, "burst_id").select("keyword", "date", "tone")
     return ev.quiet_events(t, toned)
 
 
 def linked(spark: SparkSession, d: str, kind: str | None = "direct") -> DataFrame:
-    """Quiet events of linked stocks."""
-    links = ad.links(spark, d)
+    """Quiet events of linked stocks; links are those of canonical keywords."""
+    links = rs.canonical(ad.links(spark, d), ad.classes(spark, d))
     return quiet(spark, d).join(links.where(F.col("link_type") == kind) if kind else links, "keyword").select("keyword", "stock_id", "link_type", "theme_name", "date", "traffic", "tone")
 
 
@@ -42,10 +43,13 @@ def performance(spark: SparkSession, d: str, kind: str | None = "direct") -> Dat
     return met.join(normal, "stock_id", "left").withColumn("news_sentiment", tone)
 
 
-#: The same for the oracles; needs the adapters trends, news, links and prices.
-QUIET_SQL = """tn AS (SELECT trend_id, sum(CASE news_sentiment WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END) AS tone FROM news GROUP BY 1),
-kd AS (SELECT t.keyword, CAST(t.published_at AS DATE) AS date, max(CAST(regexp_extract(t.approx_traffic, '(\\d+)', 1) AS DOUBLE)) AS traffic, CAST(coalesce(sum(tn.tone), 0) AS BIGINT) AS tone FROM trends t LEFT JOIN tn USING (trend_id) GROUP BY 1, 2),
+#: The same for the oracles; needs the adapters bursts, news, links and prices.
+QUIET_SQL = f"""{ad.CLASS}, tn AS (SELECT burst_id, sum(CASE news_sentiment WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END) AS tone FROM news GROUP BY 1),
+kd AS (SELECT coalesce(cl.canonical_keyword, t.keyword) AS keyword, CAST(t.published_at + INTERVAL 8 HOUR AS DATE) AS date, max(CAST(regexp_extract(t.approx_traffic, '(\\d+)', 1) AS DOUBLE)) AS traffic, CAST(coalesce(sum(tn.tone), 0) AS BIGINT) AS tone FROM bursts t LEFT JOIN cl ON cl.keyword = t.keyword LEFT JOIN tn USING (burst_id) GROUP BY 1, 2),
 quiet AS (SELECT keyword, date, traffic, tone FROM (SELECT *, lag(date) OVER (PARTITION BY keyword ORDER BY date) AS prev FROM kd) WHERE prev IS NULL OR date - prev > 3)"""
+#: Links of canonical keywords; needs QUIET_SQL and the adapter links.
+KLINKS = "klinks AS (SELECT coalesce(cl.canonical_keyword, l.keyword) AS keyword, l.* EXCLUDE (keyword) FROM links l LEFT JOIN cl ON cl.keyword = l.keyword)"
+LINKED_SQL = f"{QUIET_SQL}, {KLINKS}"
 
 ROWS_SQL = """nb AS (SELECT *, row_number() OVER w AS ordinal, lead(close, 1) OVER w / close - 1 AS return_1d, lead(close, 3) OVER w / close - 1 AS return_3d, lead(close, 5) OVER w / close - 1 AS return_5d, lead(close, 10) OVER w / close - 1 AS return_10d,
   lead(date, 5) OVER w AS to_5, lead(date, 10) OVER w AS to_10,
@@ -60,10 +64,10 @@ perf AS (SELECT k.*, reaction_days, k.return_5d - (b5.close / b0.close - 1) AS e
   LEFT JOIN bm b0 ON k.date = b0.date LEFT JOIN bm b5 ON k.to_5 = b5.date LEFT JOIN bm b10 ON k.to_10 = b10.date),
 normal AS (SELECT stock_id, avg(excess_5d) AS normal_5d, avg(excess_10d) AS normal_10d, count(*) AS days FROM perf GROUP BY 1)"""
 
-EVENTS_SQL = """le AS (SELECT q.*, l.stock_id, l.link_type, l.theme_name FROM quiet q JOIN links l USING (keyword)),
+EVENTS_SQL = """le AS (SELECT q.*, l.stock_id, l.link_type, l.theme_name FROM quiet q JOIN klinks l USING (keyword)),
 events_perf AS (SELECT le.keyword, le.stock_id, le.link_type, le.theme_name, le.traffic, le.tone, le.date, p.date AS day0_date, p.* EXCLUDE (stock_id, date, open, high, low, adj_close, volume), n.normal_5d, n.normal_10d,
   CASE WHEN le.tone > 0 THEN 'Positive' WHEN le.tone < 0 THEN 'Negative' ELSE 'Neutral' END AS news_sentiment
   FROM le ASOF JOIN perf p ON le.stock_id = p.stock_id AND le.date <= p.date LEFT JOIN normal n ON n.stock_id = le.stock_id)"""
 
-ALL = "trends news links prices"
-BASE_SQL = ",\n".join((QUIET_SQL, ROWS_SQL, EVENTS_SQL))
+ALL = "bursts news links prices"
+BASE_SQL = ",\n".join((LINKED_SQL, ROWS_SQL, EVENTS_SQL))

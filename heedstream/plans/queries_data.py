@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heedstream.functions import exprs as ex
+from heedstream.operators import events as ev
 from heedstream.operators import logs as lg
 from heedstream.operators import repair as rp
 from heedstream.operators import resolve as rs
@@ -23,24 +24,24 @@ NTZ = "timestamp_ntz"
 
 def snapshots(s: SparkSession, d: str) -> DataFrame:
     """Orders as feed snapshots, one a month, with their lines' parts as news; every eleventh item has no date, every thirteenth no keyword."""
-    o = ad.trends(s, d)
-    n = ad.news(s, d).groupBy("trend_id").agg(F.sort_array(F.collect_list(F.struct("news_id", "news_title"))).alias("n"))
+    o = ad.bursts(s, d)
+    n = ad.news(s, d).groupBy("burst_id").agg(F.sort_array(F.collect_list(F.struct("news_id", "news_title"))).alias("n"))
     day = F.date_format("published_at", "d MMM yyyy HH:mm:ss")
     tag = lambda t, c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))
     news = F.array_join(F.transform(F.coalesce("n", F.array().cast("array<struct<news_id:bigint,news_title:string>>")), lambda x: tag("news_item", F.concat(tag("news_item_title", x["news_title"]), tag("news_item_url", F.concat(F.lit("http://n/"), x["news_id"].cast("string")))))), "")
-    item = tag("item", F.concat(tag("title", F.when(F.col("trend_id") % 13 == 0, F.lit("")).otherwise(F.col("keyword"))), tag("approx_traffic", F.col("approx_traffic")), F.when(F.col("trend_id") % 11 == 0, F.lit("")).otherwise(tag("pubDate", F.concat(F.lit("Mon, "), day, F.lit(" -0800")))), news))
-    rows = o.join(n, "trend_id", "left").select(F.date_format("published_at", "yyyyMM").alias("batch"), item.alias("item"))
+    item = tag("item", F.concat(tag("title", F.when(F.col("burst_id") % 13 == 0, F.lit("")).otherwise(F.col("keyword"))), tag("approx_traffic", F.col("approx_traffic")), F.when(F.col("burst_id") % 11 == 0, F.lit("")).otherwise(tag("pubDate", F.concat(F.lit("Mon, "), day, F.lit(" -0800")))), news))
+    rows = o.join(n, "burst_id", "left").select(F.date_format("published_at", "yyyyMM").alias("batch"), item.alias("item"))
     return rows.groupBy("batch").agg(F.concat(F.lit("<channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel>")).alias("xml")).withColumn("fetched_at", F.to_timestamp("batch", "yyyyMM"))
 
 
-@book.add(ad.sql("trends", "SELECT strftime(published_at, '%Y%m') AS batch, count(*) AS items, count(*) FILTER (trend_id % 13 = 0 OR trend_id % 11 = 0) AS skipped, count(DISTINCT CASE WHEN trend_id % 13 <> 0 AND trend_id % 11 <> 0 THEN keyword END) AS keywords, min(CASE WHEN trend_id % 13 <> 0 AND trend_id % 11 <> 0 THEN published_at + INTERVAL 8 HOUR END) AS first_published FROM trends GROUP BY 1"))
+@book.add(ad.sql("bursts", "SELECT strftime(published_at, '%Y%m') AS batch, count(*) AS items, count(*) FILTER (burst_id % 13 = 0 OR burst_id % 11 = 0) AS skipped, count(DISTINCT CASE WHEN burst_id % 13 <> 0 AND burst_id % 11 <> 0 THEN keyword END) AS keywords, min(CASE WHEN burst_id % 13 <> 0 AND burst_id % 11 <> 0 THEN published_at + INTERVAL 8 HOUR END) AS first_published FROM bursts GROUP BY 1"))
 def s1_feed_items(s: SparkSession, d: str) -> DataFrame:
     items = fd.parse_feed(snapshots(s, d))
     ok = lambda c: F.when(F.col("usable"), F.col(c))
     return items.groupBy("batch").agg(F.count("*").alias("items"), F.count_if(~F.col("usable")).alias("skipped"), F.count_distinct(ok("keyword")).alias("keywords"), F.min(ok("published_at")).cast(NTZ).alias("first_published"))
 
 
-@book.add(ad.sql("trends news", "SELECT strftime(t.published_at, '%Y%m') AS batch, count(*) AS news, count(DISTINCT n.news_title) AS titles FROM news n JOIN trends t USING (trend_id) WHERE trend_id % 13 <> 0 AND trend_id % 11 <> 0 GROUP BY 1"))
+@book.add(ad.sql("bursts news", "SELECT strftime(t.published_at, '%Y%m') AS batch, count(*) AS news, count(DISTINCT n.news_title) AS titles FROM news n JOIN bursts t USING (burst_id) WHERE burst_id % 13 <> 0 AND burst_id % 11 <> 0 GROUP BY 1"))
 def s1_feed_news(s: SparkSession, d: str) -> DataFrame:
     return fd.feed_news(fd.parse_feed(snapshots(s, d))).groupBy("batch").agg(F.count("*").alias("news"), F.count_distinct("news_title").alias("titles"))
 
@@ -56,22 +57,22 @@ POLLS = "e AS (SELECT CAST(user_id AS VARCHAR) AS keyword, date_trunc('day', ts)
 
 @book.add(f"WITH {POLLS} SELECT keyword, published_at, min(fetched_at) AS fetched_at, arg_max(approx_traffic, row(fetched_at, approx_traffic)) AS approx_traffic FROM (SELECT * FROM o UNION ALL SELECT * FROM n) GROUP BY 1, 2")
 def s2_trend_upsert(s: SparkSession, d: str) -> DataFrame:
-    out = up.upsert_trends(*polls(s, d))
+    out = up.upsert_bursts(*polls(s, d))
     return out.select("keyword", F.col("published_at").cast(NTZ).alias("published_at"), F.col("fetched_at").cast(NTZ).alias("fetched_at"), "approx_traffic")
 
 
-@book.add(ad.sql("news", """x AS (SELECT *, row_number() OVER (PARTITION BY trend_id, news_title ORDER BY news_id) AS k FROM news_raw WHERE news_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM news o WHERE o.news_id % 2 = 0 AND o.trend_id = news_raw.trend_id AND o.news_title = news_raw.news_title))
-SELECT trend_id, news_title, news_id FROM news WHERE news_id % 2 = 0 UNION ALL SELECT trend_id, news_title, news_id FROM x WHERE k = 1"""))
+@book.add(ad.sql("news", """x AS (SELECT *, row_number() OVER (PARTITION BY burst_id, news_title ORDER BY news_id) AS k FROM news_raw WHERE news_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM news o WHERE o.news_id % 2 = 0 AND o.burst_id = news_raw.burst_id AND o.news_title = news_raw.news_title))
+SELECT burst_id, news_title, news_id FROM news WHERE news_id % 2 = 0 UNION ALL SELECT burst_id, news_title, news_id FROM x WHERE k = 1"""))
 def s3_news_insert(s: SparkSession, d: str) -> DataFrame:
-    old = ad.news(s, d).where("news_id % 2 = 0").select("trend_id", "news_title", "news_id")
-    new = ad.news_raw(s, d).where("news_id % 2 = 1").select("trend_id", "news_title", "news_id")
-    return up.insert_or_ignore(old, new, ["trend_id", "news_title"], [F.col("news_id")])
+    old = ad.news(s, d).where("news_id % 2 = 0").select("burst_id", "news_title", "news_id")
+    new = ad.news_raw(s, d).where("news_id % 2 = 1").select("burst_id", "news_title", "news_id")
+    return up.insert_or_ignore(old, new, ["burst_id", "news_title"], [F.col("news_id")])
 
 
-@book.add(ad.sql("observations", "SELECT DISTINCT trend_id, date_trunc('hour', observed_at) AS observed_at FROM observations"))
+@book.add(ad.sql("observations", "SELECT DISTINCT burst_id, date_trunc('hour', observed_at) AS observed_at FROM observations"))
 def s4_observation_log(s: SparkSession, d: str) -> DataFrame:
-    rows = ad.observations(s, d).select("trend_id", F.date_trunc("hour", "observed_at").cast(NTZ).alias("observed_at"))
-    return up.insert_or_ignore(rows.limit(0), rows, ["trend_id", "observed_at"], [F.col("observed_at")])
+    rows = ad.observations(s, d).select("burst_id", F.date_trunc("hour", "observed_at").cast(NTZ).alias("observed_at"))
+    return up.insert_or_ignore(rows.limit(0), rows, ["burst_id", "observed_at"], [F.col("observed_at")])
 
 
 @book.add(f"WITH {POLLS}, b AS (SELECT DISTINCT strftime(fetched_at, '%Y%m%d') AS batch, keyword, published_at FROM n), f AS (SELECT b.*, o.keyword IS NULL AND row_number() OVER (PARTITION BY b.keyword, b.published_at ORDER BY batch) = 1 AS fresh FROM b LEFT JOIN (SELECT DISTINCT keyword, published_at FROM o) o ON o.keyword = b.keyword AND o.published_at = b.published_at) SELECT batch, count(*) FILTER (fresh) AS new, count(*) FILTER (NOT fresh) AS updated FROM f GROUP BY 1")
@@ -108,17 +109,17 @@ def s9_stock_pool(s: SparkSession, d: str) -> DataFrame:
     return up.stock_pool(csv, ad.links(s, d)).select("stock_id", ex.ticker(F.col("stock_id")).alias("ticker"))
 
 
-@book.add(ad.sql("heat", "SELECT keyword, theme_name, date AS trend_date, CASE WHEN trend_score = 40 THEN 0 ELSE trend_score END AS trend_score FROM heat WHERE day(date) <> 5"))
+@book.add(ad.sql("heat", "SELECT keyword, theme_name, date AS burst_date, CASE WHEN burst_score = 40 THEN 0 ELSE burst_score END AS burst_score FROM heat WHERE day(date) <> 5"))
 def s11_heat_rows(s: SparkSession, d: str) -> DataFrame:
-    h = ad.heat(s, d).select("keyword", "theme_name", F.col("date").alias("trend_date"), F.when(F.col("trend_score") == 40, "bad").otherwise(F.col("trend_score").cast("string")).alias("trend_score"), (F.day("date") == 5).alias("is_partial"))
+    h = ad.heat(s, d).select("keyword", "theme_name", F.col("date").alias("burst_date"), F.when(F.col("burst_score") == 40, "bad").otherwise(F.col("burst_score").cast("string")).alias("burst_score"), (F.day("date") == 5).alias("is_partial"))
     rows = up.heat_rows(h)
-    return up.upsert(rows, rows, ["keyword", "theme_name", "trend_date"])
+    return up.upsert(rows, rows, ["keyword", "theme_name", "burst_date"])
 
 
-@book.add(ad.sql("links trends", "p AS (SELECT theme_name, keyword, max(CASE WHEN link_type = 'direct' THEN 2 ELSE 1 END) AS rank FROM links GROUP BY 1, 2), l AS (SELECT keyword, max(CAST(published_at AS DATE)) AS last FROM trends GROUP BY 1) SELECT theme_name, keyword, rank, last FROM p LEFT JOIN l USING (keyword) WHERE last IS NULL OR last < DATE '1998-06-14'"))
+@book.add(ad.sql("links bursts", "p AS (SELECT theme_name, keyword, max(CASE WHEN link_type = 'direct' THEN 2 ELSE 1 END) AS rank FROM links GROUP BY 1, 2), l AS (SELECT keyword, max(CAST(published_at AS DATE)) AS last FROM bursts GROUP BY 1) SELECT theme_name, keyword, rank, last FROM p LEFT JOIN l USING (keyword) WHERE last IS NULL OR last < DATE '1998-06-14'"))
 def s12_heat_queue(s: SparkSession, d: str) -> DataFrame:
     links = ad.links(s, d)
-    history = ad.trends(s, d).join(links.select("keyword", "theme_name").distinct(), "keyword").select("theme_name", "keyword", F.to_date("published_at").alias("trend_date"))
+    history = ad.bursts(s, d).join(links.select("keyword", "theme_name").distinct(), "keyword").select("theme_name", "keyword", F.to_date("published_at").alias("burst_date"))
     return up.heat_queue(links, history, F.lit("1998-06-15").cast("date"))
 
 
@@ -153,11 +154,12 @@ def s16_sync_themes(s: SparkSession, d: str) -> DataFrame:
     return up.sync_themes(old, csv)
 
 
-@book.add(ad.sql("links", "SELECT keyword, stock_id, theme_name, CASE WHEN n THEN 'theme' ELSE link_type END AS link_type, CASE WHEN n OR keyword >= 'Customer#000000050' THEN 1 ELSE 0 END AS active FROM (SELECT *, keyword LIKE '%7' AS n FROM (SELECT DISTINCT keyword, stock_id, theme_name, link_type FROM links WHERE link_type = 'direct'))"))
+@book.add(ad.sql("links", "o AS (SELECT keyword, stock_id, theme_name, theme_name AS category, link_type, 'old' AS sub_theme, CASE WHEN keyword >= 'Customer#000000050' THEN 1 ELSE 0 END AS active FROM links WHERE link_type = 'direct'), n AS (SELECT keyword, stock_id, theme_name, CASE WHEN keyword LIKE '%07' THEN 'other' ELSE theme_name END AS category, keyword LIKE '%07' AS fresh FROM o WHERE keyword LIKE '%7') SELECT o.keyword, o.stock_id, o.theme_name, o.category, CASE WHEN n.keyword IS NULL THEN o.link_type ELSE 'theme' END AS link_type, CASE WHEN n.keyword IS NULL THEN o.sub_theme ELSE 'new' END AS sub_theme, 'kept' AS note, CASE WHEN n.keyword IS NULL THEN o.active ELSE 1 END AS active FROM o LEFT JOIN n ON n.keyword = o.keyword AND n.stock_id = o.stock_id AND NOT n.fresh UNION ALL SELECT keyword, stock_id, theme_name, category, 'theme', 'new', 'lost', 1 FROM n WHERE fresh"))
 def s17_reactivate(s: SparkSession, d: str) -> DataFrame:
-    l = ad.links(s, d).where("link_type = 'direct'").select("keyword", "stock_id", "theme_name", "link_type", (F.col("keyword") >= "Customer#000000050").cast("int").alias("active"))
-    new = l.where("keyword like '%7'").withColumn("link_type", F.lit("theme")).withColumn("active", F.lit(1))
-    return up.upsert(l, new, ["keyword", "stock_id", "theme_name"])
+    """By theme, keyword, stock and category; of a known link only activity, type and sub-theme are set."""
+    l = ad.links(s, d).where("link_type = 'direct'").select("keyword", "stock_id", "theme_name", F.col("theme_name").alias("category"), "link_type", F.lit("old").alias("sub_theme"), F.lit("kept").alias("note"), (F.col("keyword") >= "Customer#000000050").cast("int").alias("active"))
+    new = l.where("keyword like '%7'").withColumns({"link_type": F.lit("theme"), "active": F.lit(1), "sub_theme": F.lit("new"), "note": F.lit("lost"), "category": F.when(F.col("keyword").like("%07"), "other").otherwise(F.col("category"))})
+    return up.upsert_columns(l, new, ["theme_name", "keyword", "stock_id", "category"], ["active", "link_type", "sub_theme"])
 
 
 @book.add(f"WITH {CLASS}, n AS (SELECT c_name AS keyword, 'new' AS theme_name, 'model' AS source FROM customer WHERE c_custkey % 2 = 0) SELECT keyword, CASE WHEN c.keyword IS NULL OR (c.source = 'fallback' AND n.keyword IS NOT NULL) THEN n.theme_name ELSE c.theme_name END AS theme_name, CASE WHEN c.keyword IS NULL OR (c.source = 'fallback' AND n.keyword IS NOT NULL) THEN n.source ELSE c.source END AS source FROM cl c FULL JOIN n USING (keyword)")
@@ -171,7 +173,7 @@ def s19_classification_log(s: SparkSession, d: str) -> DataFrame:
     return up.classification_log(ad.table(s, d, "customer").select(F.col("c_name").alias("keyword"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")))
 
 
-@book.add(ad.sql("news", "SELECT news_id, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN 'Neutral' ELSE news_sentiment END AS news_sentiment, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN 0.25 WHEN news_sentiment IS NOT NULL THEN 0.5 END AS sentiment_score, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN 'model' WHEN news_sentiment IS NOT NULL THEN 'kept' END AS event_type FROM news"))
+@book.add(ad.sql("news", "SELECT news_id, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN 'Neutral' ELSE news_sentiment END AS news_sentiment, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN CAST(0.25 AS DOUBLE) WHEN news_sentiment IS NOT NULL THEN CAST(0.5 AS DOUBLE) END AS sentiment_score, CASE WHEN news_sentiment IS NULL AND news_id % 3 = 0 THEN 'model' WHEN news_sentiment IS NOT NULL THEN 'kept' END AS event_type FROM news"))
 def s20_enrich_news(s: SparkSession, d: str) -> DataFrame:
     n = ad.news(s, d).select("news_id", "news_sentiment", F.when(F.col("news_sentiment").isNotNull(), 0.5).alias("sentiment_score"), F.when(F.col("news_sentiment").isNotNull(), "kept").alias("event_type"))
     p = n.where("news_id % 3 = 0").select("news_id", F.lit("Neutral").alias("news_sentiment"), F.lit(0.25).alias("sentiment_score"), F.lit("model").alias("event_type"))
@@ -181,7 +183,7 @@ def s20_enrich_news(s: SparkSession, d: str) -> DataFrame:
 @book.add(ad.sql("prices", f"k AS (SELECT DISTINCT CAST(s_suppkey + 1000 AS VARCHAR) AS stock_id FROM supplier WHERE s_nationkey < 5) SELECT stock_id, date, {r6('close')} FROM prices JOIN k USING (stock_id) WHERE date >= DATE '1997-06-01'"))
 def s23_filtered_prices(s: SparkSession, d: str) -> DataFrame:
     wanted = ad.table(s, d, "supplier").where("s_nationkey < 5").select(ad.stock_code(F.col("s_suppkey")).alias("stock_id"))
-    return rounded(ad.prices(s, d).where("date >= date '1997-06-01'").join(wanted, "stock_id", "left_semi").select("stock_id", "date", "close"), "close")
+    return rounded(fd.prices_of(ad.prices(s, d), wanted, F.lit("1997-06-01").cast("date")).select("stock_id", "date", "close"), "close")
 
 
 @book.add("""SELECT 'M.' || CAST(epoch(o_orderdate)::BIGINT + o_orderkey % 1000 AS VARCHAR) || '.A.X' || CAST(o_orderkey AS VARCHAR) AS post_id, CASE WHEN o_orderkey % 3 = 0 THEN '標的' END AS category, CASE o_orderkey % 4 WHEN 0 THEN 100 WHEN 1 THEN -30 WHEN 2 THEN 17 ELSE 0 END AS push_score, (o_orderdate + to_seconds(CAST(o_orderkey % 1000 AS BIGINT))) AS posted_at FROM orders WHERE o_orderkey % 7 <> 0""")
@@ -201,11 +203,27 @@ def s24_comments(s: SparkSession, d: str) -> DataFrame:
     return fd.comments(rows).select("post_id", "seq", F.col("commented_at").cast(NTZ).alias("commented_at"), F.length("text").alias("chars"))
 
 
-@book.add("SELECT conv_id AS post_id, turn AS seq, CASE WHEN conv_id % 2 = 0 THEN role || '!' ELSE role END AS label, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS score FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role) = 1")
+POSTS = "p AS (SELECT conv_id AS post_id, min(role) AS title, count(*) AS turns FROM conversations GROUP BY 1)"
+
+
+@book.add(f"WITH {POSTS} SELECT post_id, title, CASE WHEN post_id % 2 = 0 THEN '爆' ELSE '' END AS label, CASE WHEN post_id % 2 = 0 THEN 100 ELSE 0 END AS score FROM p UNION ALL SELECT -1 - post_id, 'new', '爆', 100 FROM p WHERE post_id % 4 = 0")
 def s25_post_upsert(s: SparkSession, d: str) -> DataFrame:
-    c = ad.table(s, d, "conversations").select(F.col("conv_id").alias("post_id"), F.col("turn").alias("seq"), F.col("role").alias("label"), F.lit(0).alias("score")).distinct()
-    new = c.where("post_id % 2 = 0").withColumn("label", F.concat("label", F.lit("!"))).withColumn("score", F.lit(1))
-    return up.upsert(c, new, ["post_id", "seq"], [F.col("label")])
+    """Known posts take only label and score, unknown ones come in whole."""
+    c = ad.table(s, d, "conversations").groupBy(F.col("conv_id").alias("post_id")).agg(F.min("role").alias("title")).select("post_id", "title", F.lit("").alias("label"), F.lit(0).alias("score"))
+    new = c.where("post_id % 2 = 0").select("post_id", F.lit("changed").alias("title"), F.lit("爆").alias("label"), F.lit(100).alias("score"))
+    new = new.union(c.where("post_id % 4 = 0").select(-1 - F.col("post_id"), F.lit("new"), F.lit("爆"), F.lit(100)))
+    return up.upsert_columns(c, new, ["post_id"], ["label", "score"])
+
+
+@book.add("SELECT conv_id AS post_id, turn AS seq, length(text) + CASE WHEN conv_id % 3 = 0 OR turn % 2 = 0 THEN 0 ELSE 1 END AS chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(text) DESC) = 1")
+def s25_comment_replace(s: SparkSession, d: str) -> DataFrame:
+    """Threads that have comments are left out; comments of the others replace those of their post and place."""
+    c = ad.table(s, d, "conversations").groupBy(F.col("conv_id").alias("post_id"), F.col("turn").alias("seq")).agg(F.max(F.length("text")).alias("chars"))
+    loaded = c.where("post_id % 3 = 0")
+    waiting = up.unloaded(c.select("post_id").distinct(), loaded)
+    read = c.withColumn("chars", F.col("chars") + F.when(F.col("seq") % 2 == 0, 0).otherwise(1)).join(waiting, "post_id", "left_semi")
+    before = read.withColumn("chars", F.lit(0))
+    return up.upsert(loaded.union(before.where("seq = 0")), read, ["post_id", "seq"])
 
 
 @book.add("""WITH a AS (SELECT p_partkey AS article_id, p_name AS title, CASE p_size % 4 WHEN 0 THEN 100 WHEN 1 THEN -10 WHEN 2 THEN p_size ELSE 0 END AS engagement FROM part WHERE p_size % 6 <> 0), k AS (SELECT DISTINCT 'k' || CAST(l_suppkey AS VARCHAR) AS keyword, l_partkey FROM lineitem) SELECT keyword, article_id, title, engagement FROM k JOIN a ON article_id = l_partkey""")
@@ -326,7 +344,7 @@ def j7_resolution_cascade(s: SparkSession, d: str) -> DataFrame:
     return rs.resolve(asked(s, d), known, official, industries).select("keyword", "canonical", "entity_type", "stock_id", "source")
 
 
-@book.add("""SELECT s_name AS keyword, 'Official' AS canonical, CASE WHEN s_suppkey % 4 = 3 THEN '產業' ELSE '上市公司' END AS entity_type, CASE WHEN s_suppkey % 4 = 3 THEN '' ELSE CAST(s_suppkey + 1000 AS VARCHAR) END AS stock_id, CASE WHEN s_suppkey % 4 = 3 THEN '金融類' ELSE '科技類' END AS theme_name, 0.75 AS confidence_score FROM supplier WHERE s_suppkey % 4 IN (0, 3)""")
+@book.add("""SELECT s_name AS keyword, 'Official' AS canonical, CASE WHEN s_suppkey % 4 = 3 THEN '產業' ELSE '上市公司' END AS entity_type, CASE WHEN s_suppkey % 4 = 3 THEN '' ELSE CAST(s_suppkey + 1000 AS VARCHAR) END AS stock_id, CASE WHEN s_suppkey % 4 = 3 THEN '金融類' ELSE '科技類' END AS theme_name, CAST(0.75 AS DOUBLE) AS confidence_score FROM supplier WHERE s_suppkey % 4 IN (0, 3)""")
 def j8_prediction_gate(s: SparkSession, d: str) -> DataFrame:
     """Predictions with low confidence, without a code, or with another company's code are refused."""
     k = F.col("s_suppkey")
@@ -349,6 +367,17 @@ def j10_rule_classify(s: SparkSession, d: str) -> DataFrame:
     return rs.rule_classify(words, themes, dictionary(s, d))
 
 
+@book.add(f"""WITH t AS (SELECT p_brand AS kw, {FORM.format(x='p_brand')} AS form, min(p_partkey) AS o FROM part GROUP BY 1, 2), w AS (SELECT DISTINCT x AS keyword, {FORM.format(x='x')} AS whole FROM (SELECT 'best ' || p_brand || ' parts' AS x FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT 'offer ' || p_name FROM part)),
+e AS (SELECT w.keyword, t.kw FROM w JOIN t ON t.form = w.whole), i AS (SELECT w.keyword, arg_max(t.kw, row(length(t.form), -t.o)) AS kw FROM w JOIN t ON contains(w.whole, t.form) GROUP BY 1)
+SELECT w.keyword, coalesce(e.kw, i.kw, w.keyword) AS canonical_keyword, CASE WHEN e.kw IS NOT NULL THEN 'theme_mapping' WHEN i.kw IS NOT NULL THEN 'mapping_normalizer' ELSE 'fallback' END AS classification_source, CASE WHEN i.kw IS NOT NULL THEN 'industry' ELSE 'none' END AS link_type FROM w LEFT JOIN e USING (keyword) LEFT JOIN i USING (keyword)""")
+def j10_theme_words(s: SparkSession, d: str) -> DataFrame:
+    """J10 without a company dictionary: exact theme words, the longest theme word inside, fallback."""
+    p = ad.table(s, d, "part")
+    themes = p.groupBy(F.col("p_brand").alias("keyword")).agg(F.min("p_partkey").alias("ordinal"), F.first(F.lit("科技類")).alias("theme_name"), F.first(F.lit("零件")).alias("sub_theme"), F.first(F.lit("1001")).alias("stock_id"))
+    words = p.select(F.concat(F.lit("best "), "p_brand", F.lit(" parts")).alias("keyword")).union(p.select("p_brand")).union(p.select(F.concat(F.lit("offer "), "p_name")))
+    return rs.rule_classify(words, themes, dictionary(s, d).where("type = 'none'")).select("keyword", "canonical_keyword", "classification_source", "link_type")
+
+
 @book.add("""SELECT c_name AS keyword, CASE WHEN c_custkey % 3 = 0 THEN '科技類' ELSE '其他' END AS theme_name, CASE WHEN c_custkey % 5 = 0 THEN 'company' WHEN c_custkey % 3 = 0 THEN 'industry' ELSE 'none' END AS link_type, CAST(c_custkey % 5 = 0 OR c_custkey % 3 = 0 AS INTEGER) AS stock_related FROM customer""")
 def j11_validate(s: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -356,15 +385,25 @@ def j11_validate(s: SparkSession, d: str) -> DataFrame:
     return up.classification_rows(p, ["科技類"]).select("keyword", "theme_name", "link_type", "stock_related")
 
 
-@book.add(ad.sql("links", """b AS (SELECT DISTINCT theme_name, stock_id FROM links WHERE link_type = 'theme'), c AS (SELECT c_custkey AS k, c_name AS keyword, c_mktsegment AS theme_name FROM customer)
+@book.add(ad.sql("links", """b AS (SELECT DISTINCT theme_name, stock_id FROM links WHERE link_type = 'theme'), tn AS (SELECT DISTINCT keyword, theme_name FROM links WHERE link_type = 'theme'), c AS (SELECT c_custkey AS k, c_name AS keyword, theme_name FROM customer JOIN tn ON keyword = c_name)
 SELECT keyword, theme_name, CAST((k + 1000) AS VARCHAR) AS stock_id, 'direct' AS link_type FROM c WHERE k % 3 = 0 UNION ALL SELECT c.keyword, c.theme_name, b.stock_id, 'theme' FROM c JOIN b USING (theme_name) WHERE k % 3 = 1 UNION ALL SELECT keyword, theme_name, NULL, NULL FROM c WHERE k % 3 = 2"""))
 def j12_generate_links(s: SparkSession, d: str) -> DataFrame:
     """J12, J13."""
     k = F.col("c_custkey")
-    c = ad.table(s, d, "customer").select(k.alias("k"), F.col("c_name").alias("keyword"), F.col("c_mktsegment").alias("theme_name"), F.element_at(F.array(F.lit("company"), F.lit("industry"), F.lit("none")), (k % 3 + 1).cast("int")).alias("link_type"))
+    themes = ad.links(s, d).where("link_type = 'theme'")
+    c = ad.table(s, d, "customer").select(k.alias("k"), F.col("c_name").alias("keyword"), F.element_at(F.array(F.lit("company"), F.lit("industry"), F.lit("none")), (k % 3 + 1).cast("int")).alias("link_type"))
+    c = c.join(themes.select("keyword", "theme_name").distinct(), "keyword")
     own = c.select("keyword", F.array((F.col("k") + 1000).cast("string")).alias("stock_ids"))
-    themes = ad.links(s, d).where("link_type = 'theme'").select("theme_name", "stock_id", "active", F.col("stock_id").cast("long").alias("ordinal"))
-    return rs.generate_links(c.drop("k"), own, rs.basket(themes)).drop("active")
+    return rs.generate_links(c.drop("k"), own, rs.basket(themes.select("theme_name", "stock_id", "active", F.col("stock_id").cast("long").alias("ordinal")))).drop("active")
+
+
+@book.add(f"WITH {CLASS} SELECT coalesce(c.canonical_keyword, c.keyword) AS keyword, '其他' AS theme_name, '1' AS stock_id, CASE WHEN c.source = 'fallback' AND c_custkey % 2 = 0 THEN 0 ELSE 1 END AS active FROM cl c JOIN customer ON c_name = c.keyword")
+def j12_retire_fallbacks(s: SparkSession, d: str) -> DataFrame:
+    """Links of fallback classes go off once their keyword has a class."""
+    c = classes(s, d)
+    links = c.select(F.coalesce("canonical_keyword", "keyword").alias("keyword"), F.lit("其他").alias("theme_name"), F.lit("1").alias("stock_id"), F.lit(1).alias("active"))
+    now = ad.table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("keyword"))
+    return rs.retire_fallbacks(links, c, now)
 
 
 @book.add(ad.sql("links", "t AS (SELECT theme_name, list_sort(list(DISTINCT keyword)) AS k, list_sort(list(DISTINCT stock_id)) AS s FROM links WHERE link_type = 'theme' GROUP BY 1) SELECT theme_name, len(list_distinct(list_concat(k, ['legacy']))) AS keywords, array_to_string(list_sort(list_distinct(list_concat(s, ['9999']))), ',') AS stock_ids FROM t"))
@@ -374,31 +413,65 @@ def j14_definitions(s: SparkSession, d: str) -> DataFrame:
     return rs.definitions(themes, legacy).select("theme_name", F.size("keywords").alias("keywords"), F.array_join("stock_ids", ",").alias("stock_ids"))
 
 
-@book.add(ad.sql("trends news", f"{CLASS} SELECT n.news_id, t.keyword, coalesce(theme_name, '其他') AS theme_name, coalesce(news_sentiment, 'Neutral') AS sentiment, greatest(0, least(1, coalesce(confidence_score, 0))) AS confidence FROM news n JOIN trends t USING (trend_id) LEFT JOIN cl USING (keyword) WHERE n.news_id % 4 <> 0"))
+@book.add(ad.sql("bursts news", f"{CLASS} SELECT n.news_id, t.keyword, coalesce(theme_name, '其他') AS theme_name, coalesce(news_sentiment, 'Neutral') AS sentiment, greatest(0, least(1, coalesce(confidence_score, 0))) AS confidence FROM news n JOIN bursts t USING (burst_id) LEFT JOIN cl USING (keyword) WHERE n.news_id % 4 <> 0"))
 def j16_news_rolldown(s: SparkSession, d: str) -> DataFrame:
     n = ad.news(s, d)
-    return rs.news_rolldown(n, ad.trends(s, d), classes(s, d), n.where("news_id % 4 = 0"))
+    return rs.news_rolldown(n, ad.bursts(s, d), classes(s, d), n.where("news_id % 4 = 0"))
 
 
-@book.add(ad.sql("trends", f"{CLASS}, o AS (SELECT t.trend_id, t.keyword, coalesce(c.canonical_keyword, t.keyword) AS canonical FROM trends t LEFT JOIN cl c USING (keyword)), nm AS (SELECT DISTINCT c_name AS k FROM customer WHERE c_custkey % 2 = 0 UNION SELECT upper(c_name) FROM customer WHERE c_custkey % 4 = 1) SELECT trend_id, keyword, canonical, CASE WHEN canonical IN (SELECT k FROM nm) THEN canonical ELSE keyword END AS matched FROM o WHERE canonical IN (SELECT k FROM nm) OR keyword IN (SELECT k FROM nm)"))
+@book.add(ad.sql("bursts", f"{CLASS}, o AS (SELECT t.burst_id, t.keyword, coalesce(c.canonical_keyword, t.keyword) AS canonical FROM bursts t LEFT JOIN cl c USING (keyword)), nm AS (SELECT DISTINCT c_name AS k FROM customer WHERE c_custkey % 2 = 0 UNION SELECT upper(c_name) FROM customer WHERE c_custkey % 4 = 1) SELECT burst_id, keyword, canonical, CASE WHEN canonical IN (SELECT k FROM nm) THEN canonical ELSE keyword END AS matched FROM o WHERE canonical IN (SELECT k FROM nm) OR keyword IN (SELECT k FROM nm)"))
 def j17_match_canonical(s: SparkSession, d: str) -> DataFrame:
     """J2, J17, J22."""
-    t = ad.trends(s, d).select("trend_id", "keyword")
+    t = ad.bursts(s, d).select("burst_id", "keyword")
     c = rs.canonical(t, classes(s, d)).withColumnRenamed("keyword", "canonical")
     c0 = ad.table(s, d, "customer")
     names = c0.where("c_custkey % 2 = 0").select(F.col("c_name").alias("keyword")).union(c0.where("c_custkey % 4 = 1").select(F.upper("c_name"))).distinct()
-    return rs.match_canonical(t.join(c, "trend_id"), names).select("trend_id", "keyword", "canonical", "matched")
+    return rs.match_canonical(t.join(c, "burst_id"), names).select("burst_id", "keyword", "canonical", "matched")
 
 
-ALIASES = ("tion", "ent", "stand", "ung")
+WORDS = "pw AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), al AS (SELECT w AS alias, 'W' || w AS stock_id FROM pw UNION ALL SELECT CAST(s_suppkey + 1000 AS VARCHAR), CAST(s_suppkey + 1000 AS VARCHAR) FROM supplier)"
 
 
-@book.add(" UNION ALL ".join(f"SELECT doc_id AS id, '{w}' AS stock_id FROM documents WHERE text IS NOT NULL AND list_contains(regexp_extract_all(text, '(stand|tion|ent|ung)', 1), '{w}')" for w in ALIASES))
+@book.add(f"""WITH {WORDS}, pt AS (SELECT '(' || string_agg(w, '|' ORDER BY length(w) DESC, w) || ')' AS p FROM pw), f AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, p, 1)) AS alias FROM documents, pt WHERE text IS NOT NULL UNION SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT id, stock_id FROM f JOIN al USING (alias)""")
 def j18_mentions(s: SparkSession, d: str) -> DataFrame:
-    aliases = s.createDataFrame([(w, w) for w in ALIASES], "alias string, stock_id string")
+    """The words of part names, and stock codes between non-digits."""
+    words = ad.table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("alias")).distinct().withColumn("stock_id", F.concat(F.lit("W"), "alias"))
+    code = ad.stock_code(F.col("s_suppkey"))
+    aliases = words.union(ad.table(s, d, "supplier").select(code.alias("alias"), code.alias("stock_id")))
     return rs.mentions(ad.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), aliases)
 
 
+@book.add("SELECT event_type, count(*) AS mentions, " + ", ".join(f"avg(CASE WHEN s = '{k}' THEN 1.0 ELSE 0.0 END) AS {k}_share" for k in ("pre", "in", "after", "weekend")) + " FROM (SELECT event_type, CASE WHEN isodow(ts) > 5 THEN 'weekend' WHEN hour(ts) * 60 + minute(ts) < 540 THEN 'pre' WHEN hour(ts) * 60 + minute(ts) < 810 THEN 'in' ELSE 'after' END AS s FROM events) GROUP BY 1")
+def g31_session_shares(s: SparkSession, d: str) -> DataFrame:
+    return ev.session_shares(ad.table(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("when")), ["event_type"])
+
+
+@book.add("SELECT CAST(user_id % 200 AS VARCHAR) AS stock_id, count(*) AS mentions FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
+def g31_most_mentioned(s: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    return ev.most_mentioned(ad.table(s, d, "events").select((F.col("user_id") % 200).cast("string").alias("stock_id")))
+
+
+@book.add(ad.sql("heat", "SELECT keyword, theme_name, date, trend_score FROM (SELECT keyword, theme_name, date, burst_score AS trend_score FROM heat) WHERE CAST(keyword AS BIGINT) % 3 = 0 AND date >= DATE '2024-01-10'").replace("trend_score", "burst_score"))
+def s23_filtered_heat(s: SparkSession, d: str) -> DataFrame:
+    wanted = ad.table(s, d, "events").where("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("keyword")).distinct()
+    return fd.heat_of(ad.heat(s, d), wanted, F.lit("2024-02-09").cast("date"))
+
+
+@book.add(ad.sql("bursts news", f"{CLASS} SELECT t.burst_id, t.keyword, n.news_id, cl.canonical_keyword, cl.theme_name AS classification_theme FROM bursts t LEFT JOIN news n USING (burst_id) LEFT JOIN cl ON cl.keyword = t.keyword WHERE t.published_at >= TIMESTAMP '1997-06-30 16:00:00'"))
+def s23_observations(s: SparkSession, d: str) -> DataFrame:
+    """Bursts since a Taipei midnight with their news and class."""
+    out = fd.observations(ad.bursts(s, d).withColumn("fetched_at", F.col("published_at")), ad.news(s, d), classes(s, d), F.lit("1997-07-01").cast("date"))
+    return out.select("burst_id", "keyword", "news_id", "canonical_keyword", "classification_theme")
+
+
+@book.add(ad.sql("links", "SELECT keyword, stock_id, theme_name FROM links WHERE link_type = 'direct' AND keyword NOT LIKE '%3'"))
+def s23_active_links(s: SparkSession, d: str) -> DataFrame:
+    l = ad.links(s, d).where("link_type = 'direct'").withColumn("active", (~F.col("keyword").like("%3")).cast("int"))
+    return fd.active_links(l).select("keyword", "stock_id", "theme_name")
+
+
 @book.add(ad.sql("links", "l AS (SELECT DISTINCT keyword, stock_id FROM links), c AS (SELECT DISTINCT keyword, stock_id FROM links WHERE link_type = 'theme'), e AS (SELECT DISTINCT keyword, stock_id FROM links WHERE link_type = 'direct' AND keyword NOT LIKE '%3') SELECT l.keyword, l.stock_id, CASE WHEN c.keyword IS NOT NULL THEN 'theme' WHEN e.keyword IS NOT NULL THEN 'direct' END AS link_type, CASE WHEN c.keyword IS NULL AND e.keyword IS NULL THEN 0 ELSE 1 END AS active FROM l LEFT JOIN c ON c.keyword = l.keyword AND c.stock_id = l.stock_id LEFT JOIN e ON e.keyword = l.keyword AND e.stock_id = l.stock_id"))
 def j19_type_links(s: SparkSession, d: str) -> DataFrame:
     l = ad.links(s, d)
@@ -431,36 +504,36 @@ def j23_display_names(s: SparkSession, d: str) -> DataFrame:
 
 # ---- repair ----
 
-DUP = "tr AS (SELECT event_id AS trend_id, CAST(user_id % 100 AS VARCHAR) AS keyword, CAST(ts AS DATE) AS published_at, ts AS fetched_at, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS approx_traffic FROM events)"
+DUP = "tr AS (SELECT event_id AS burst_id, CAST(user_id % 100 AS VARCHAR) AS keyword, CAST(ts AS DATE) AS published_at, ts AS fetched_at, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS approx_traffic FROM events)"
 
 
 def repeated(s: SparkSession, d: str) -> DataFrame:
-    return ad.table(s, d, "events").select(F.col("event_id").alias("trend_id"), (F.col("user_id") % 100).cast("string").alias("keyword"), F.to_date("ts").alias("published_at"), F.col("ts").alias("fetched_at"), F.floor("value").cast("string").alias("approx_traffic"))
+    return ad.table(s, d, "events").select(F.col("event_id").alias("burst_id"), (F.col("user_id") % 100).cast("string").alias("keyword"), F.to_date("ts").alias("published_at"), F.col("ts").alias("fetched_at"), F.floor("value").cast("string").alias("approx_traffic"))
 
 
-@book.add(f"WITH {DUP} SELECT keyword, published_at, min(trend_id) AS trend_id, arg_max(approx_traffic, trend_id) AS approx_traffic, count(*) AS rows, min(fetched_at) = arg_min(fetched_at, trend_id) AS earliest FROM tr GROUP BY 1, 2")
-def d1_dedupe_trends(s: SparkSession, d: str) -> DataFrame:
-    return rp.dedupe_trends(repeated(s, d)).drop("fetched_at")
+@book.add(f"WITH {DUP} SELECT keyword, published_at, min(burst_id) AS burst_id, arg_max(approx_traffic, burst_id) AS approx_traffic, count(*) AS rows, min(fetched_at) = arg_min(fetched_at, burst_id) AS earliest FROM tr GROUP BY 1, 2")
+def d1_dedupe_bursts(s: SparkSession, d: str) -> DataFrame:
+    return rp.dedupe_bursts(repeated(s, d)).drop("fetched_at")
 
 
-NEWS_DUP = f"{DUP}, sv AS (SELECT trend_id, min(trend_id) OVER (PARTITION BY keyword, published_at) AS survivor FROM tr), nw AS (SELECT event_id AS news_id, event_id AS trend_id, event_type AS news_url, CASE event_id % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' END AS news_sentiment FROM events), mv AS (SELECT nw.news_id, survivor AS trend_id, news_url, news_sentiment FROM nw JOIN sv USING (trend_id)), dd AS (SELECT min(news_id) AS news_id, trend_id, news_url, arg_min(news_sentiment, news_id) AS news_sentiment, count(*) AS rows, count(DISTINCT news_sentiment) > 1 AS conflict FROM mv GROUP BY 2, 3)"
+NEWS_DUP = f"{DUP}, sv AS (SELECT burst_id, min(burst_id) OVER (PARTITION BY keyword, published_at) AS survivor FROM tr), nw AS (SELECT event_id AS news_id, event_id AS burst_id, event_type AS news_url, CASE event_id % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' END AS news_sentiment FROM events), mv AS (SELECT nw.news_id, survivor AS burst_id, news_url, news_sentiment FROM nw JOIN sv USING (burst_id)), dd AS (SELECT min(news_id) AS news_id, burst_id, news_url, arg_min(news_sentiment, news_id) AS news_sentiment, count(*) AS rows, count(DISTINCT news_sentiment) > 1 AS conflict FROM mv GROUP BY 2, 3)"
 
 
 def repeated_news(s: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
-    return ad.table(s, d, "events").select(k.alias("news_id"), k.alias("trend_id"), F.col("event_type").alias("news_url"), F.when(k % 4 == 0, "Positive").when(k % 4 == 1, "Negative").alias("news_sentiment"), F.lit(1.0).alias("sentiment_score"), F.lit("x").alias("event_type"))
+    return ad.table(s, d, "events").select(k.alias("news_id"), k.alias("burst_id"), F.col("event_type").alias("news_url"), F.when(k % 4 == 0, "Positive").when(k % 4 == 1, "Negative").alias("news_sentiment"), F.lit(1.0).alias("sentiment_score"), F.lit("x").alias("event_type"))
 
 
-@book.add(f"WITH {NEWS_DUP} SELECT news_id, trend_id, news_url, news_sentiment, rows, conflict FROM dd")
+@book.add(f"WITH {NEWS_DUP} SELECT news_id, burst_id, news_url, news_sentiment, rows, conflict FROM dd")
 def d2_dedupe_news(s: SparkSession, d: str) -> DataFrame:
     out = rp.dedupe_news(repeated_news(s, d), rp.survivor_map(repeated(s, d)))
     return out.drop("sentiment_score", "event_type")
 
 
-@book.add(f"WITH {NEWS_DUP} SELECT 'trends_before' AS \"check\", count(*) AS value FROM tr UNION ALL SELECT 'trends_after', count(DISTINCT survivor) FROM sv UNION ALL SELECT 'news_before', count(*) FROM nw UNION ALL SELECT 'news_after', count(*) FROM dd UNION ALL SELECT 'repeating_keys', 0 UNION ALL SELECT 'orphans', 0")
+@book.add(f"WITH {NEWS_DUP} SELECT 'bursts_before' AS \"check\", count(*) AS value FROM tr UNION ALL SELECT 'bursts_after', count(DISTINCT survivor) FROM sv UNION ALL SELECT 'news_before', count(*) FROM nw UNION ALL SELECT 'news_after', count(*) FROM dd UNION ALL SELECT 'repeating_keys', 0 UNION ALL SELECT 'orphans', 0")
 def d3_dedupe_report(s: SparkSession, d: str) -> DataFrame:
     t, n = repeated(s, d), repeated_news(s, d)
-    return rp.dedupe_report(t, rp.dedupe_trends(t), n, rp.dedupe_news(n, rp.survivor_map(t)))
+    return rp.dedupe_report(t, rp.dedupe_bursts(t), n, rp.dedupe_news(n, rp.survivor_map(t)))
 
 
 @book.add("""WITH e AS (SELECT event_id, event_id % 2 = 0 AS old, event_id % 5 = 0 AS bad, ts FROM events), x AS (SELECT event_id, CASE WHEN bad THEN NULL WHEN old THEN 'local' ELSE 'utc' END AS era, CASE WHEN NOT bad THEN date_trunc('second', ts) END AS fetched_utc FROM e) SELECT event_id, era, fetched_utc, CASE WHEN era IS NULL THEN 'layout' END AS problem FROM x""")
@@ -495,7 +568,7 @@ def log_lines(s: SparkSession, d: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyy/MM/dd")
     job = F.concat(F.lit("job"), (k % 5).cast("string"))
     lines = F.array(
-        F.concat(F.lit("["), day, F.lit("  8:00:00.12] "), job, F.lit(" start")), F.lit("Gemini Stats"), F.concat(F.lit("Requests: "), (k % 9).cast("string")), F.concat(F.lit("Processed: "), (k % 4).cast("string"), F.lit(" items")),
+        F.concat(F.lit("["), day, F.lit("  8:00:00.12] "), job, F.lit(" start")), F.lit("Stats"), F.concat(F.lit("Requests: "), (k % 9).cast("string")), F.concat(F.lit("Processed: "), (k % 4).cast("string"), F.lit(" items")),
         F.when(k % 7 == 0, F.concat(F.lit("ERROR code "), (k % 21).cast("string"))).otherwise("fine"), F.concat(F.lit("Theme ETL completed: {'rows': "), (k % 13).cast("string"), F.lit(", 'themes': 3}")),
         F.when(k % 3 != 0, F.concat(F.lit("["), day, F.lit("  9:00:00.00] "), job, F.lit(" exit "), (k % 2).cast("string"))))
     each = ad.table(s, d, "orders").select(job.alias("job"), k.alias("k"), F.posexplode(lines).alias("p", "value")).where("value is not null")
@@ -510,7 +583,7 @@ def l1_runs(s: SparkSession, d: str) -> DataFrame:
     return lg.runs(log_lines(s, d)).withColumn("started_at", F.col("started_at").cast(NTZ))
 
 
-@book.add(f"WITH {RUNS} SELECT job, run, 'gemini' AS block, 'Requests' AS key, CAST(k % 9 AS VARCHAR) AS value, CAST(k % 9 AS DOUBLE) AS number FROM rn UNION ALL SELECT job, run, 'gemini', 'Processed', CAST(k % 4 AS VARCHAR) || ' items', CAST(k % 4 AS DOUBLE) FROM rn")
+@book.add(f"WITH {RUNS} SELECT job, run, 'stats' AS block, 'Requests' AS key, CAST(k % 9 AS VARCHAR) AS value, CAST(k % 9 AS DOUBLE) AS number FROM rn UNION ALL SELECT job, run, 'stats', 'Processed', CAST(k % 4 AS VARCHAR) || ' items', CAST(k % 4 AS DOUBLE) FROM rn")
 def l2_blocks(s: SparkSession, d: str) -> DataFrame:
     out = lg.blocks(log_lines(s, d))
     return out.withColumn("number", lg.leading_number(F.col("value")))

@@ -11,6 +11,7 @@ from heedstream.operators import stats as st
 from heedstream.plans import frames as fr
 from heedstream.plans._book import Book, r6, rounded
 from heedstream.sources import adapters as ad
+from heedstream.sources.shared import stage
 
 book = Book()
 W = "WINDOW w AS (PARTITION BY stock_id ORDER BY date)"
@@ -33,22 +34,22 @@ def w1_price_features(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("stock_id", "date", *names), *names)
 
 
-@book.add(ad.sql("trends news links prices", f"""fe AS (SELECT *, close / lag(close, 5) OVER w - 1 AS return_5d, lead(close, 5) OVER w / close - 1 AS future_return_5d FROM prices {W}),
-ev AS (SELECT n.news_id, t.trend_id, t.keyword, l.stock_id, n.news_sentiment, CAST(t.published_at AS DATE) AS date FROM trends t JOIN news n USING (trend_id) JOIN links l USING (keyword) WHERE l.link_type = 'direct' AND t.published_at >= TIMESTAMP '1997-01-01')
+@book.add(ad.sql("bursts news links prices", f"""fe AS (SELECT *, close / lag(close, 5) OVER w - 1 AS return_5d, lead(close, 5) OVER w / close - 1 AS future_return_5d FROM prices {W}),
+ev AS (SELECT n.news_id, t.burst_id, t.keyword, l.stock_id, n.news_sentiment, CAST(t.published_at AS DATE) AS date FROM bursts t JOIN news n USING (burst_id) JOIN links l USING (keyword) WHERE l.link_type = 'direct' AND t.published_at >= TIMESTAMP '1997-01-01')
 SELECT ev.*, f.date AS event_date, {r6('f.return_5d', 'return_5d')}, {r6('f.future_return_5d', 'future_return_5d')} FROM ev ASOF JOIN fe f ON ev.stock_id = f.stock_id AND ev.date <= f.date"""))
 def w2_event_frame(s: SparkSession, d: str) -> DataFrame:
-    """W2 with J1: trends and their news, the keyword's stocks, the aligned trading day and its features."""
-    t = ad.trends(s, d).where(F.col("published_at") >= F.lit("1997-01-01").cast("timestamp_ntz"))
-    rows = t.join(ad.news(s, d), "trend_id").join(ad.links(s, d).where("link_type = 'direct'"), "keyword")
-    rows = rows.select("news_id", "trend_id", "keyword", "stock_id", "news_sentiment", F.to_date("published_at").alias("date"))
+    """W2 with J1: bursts and their news, the keyword's stocks, the aligned trading day and its features."""
+    t = ad.bursts(s, d).where(F.col("published_at") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    rows = t.join(ad.news(s, d), "burst_id").join(ad.links(s, d).where("link_type = 'direct'"), "keyword")
+    rows = rows.select("news_id", "burst_id", "keyword", "stock_id", "news_sentiment", F.to_date("published_at").alias("date"))
     features = rt.price_features(ad.prices(s, d)).select("stock_id", "date", "return_5d", "future_return_5d")
     met = rt.align(rows, features).where("day0 is not null")
     return rounded(met.select(*rows.columns, F.col("day0.date").alias("event_date"), "day0.return_5d", "day0.future_return_5d"), "return_5d", "future_return_5d")
 
 
-@book.add(ad.sql(fr.ALL, f"""{fr.QUIET_SQL},
+@book.add(ad.sql(fr.ALL, f"""{fr.LINKED_SQL},
 b AS (SELECT theme_name, stock_id FROM (SELECT DISTINCT theme_name, stock_id FROM links WHERE link_type = 'theme')),
-c AS (SELECT DISTINCT l.theme_name AS cluster, q.date FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'theme'),
+c AS (SELECT DISTINCT l.theme_name AS cluster, q.date FROM quiet q JOIN klinks l USING (keyword) WHERE l.link_type = 'theme'),
 e AS (SELECT c.cluster, c.date, b.stock_id FROM c JOIN b ON c.cluster = b.theme_name),
 p AS (SELECT stock_id, date, close, lead(close, 1) OVER w AS c1, lead(close, 3) OVER w AS c3, lead(close, 5) OVER w AS c5, lead(close, 10) OVER w AS c10 FROM prices {W})
 SELECT e.cluster, e.date, e.stock_id, {r6('p.c1 / p.close - 1', 'day1')}, {r6('p.c3 / p.close - 1', 'day3')}, {r6('p.c5 / p.close - 1', 'day5')}, {r6('p.c10 / p.close - 1', 'day10')} FROM e ASOF JOIN p ON e.stock_id = p.stock_id AND e.date <= p.date"""))
@@ -91,21 +92,21 @@ def w12_technicals(s: SparkSession, d: str) -> DataFrame:
     return rounded(rt.technicals(ad.prices(s, d)).select("stock_id", "date", *names), *names)
 
 
-@book.add(ad.sql("trends news links prices", f"""p AS (SELECT stock_id, date, close, lead(close, 5) OVER w AS e5 FROM prices {W}),
-a AS (SELECT n.news_id, l.stock_id, CAST(t.published_at AS DATE) AS date FROM news n JOIN trends t USING (trend_id) JOIN links l USING (keyword))
+@book.add(ad.sql("bursts news links prices", f"""p AS (SELECT stock_id, date, close, lead(close, 5) OVER w AS e5 FROM prices {W}),
+a AS (SELECT n.news_id, l.stock_id, CAST(t.published_at AS DATE) AS date FROM news n JOIN bursts t USING (burst_id) JOIN links l USING (keyword))
 SELECT a.news_id, {r6('avg(p.e5 / p.close - 1)', 'return_after')}, count(*) AS stocks FROM a ASOF JOIN p ON a.stock_id = p.stock_id AND a.date < p.date WHERE p.e5 IS NOT NULL GROUP BY 1"""))
 def w13_post_news(s: SparkSession, d: str) -> DataFrame:
-    rows = ad.news(s, d).join(ad.trends(s, d), "trend_id").join(ad.links(s, d), "keyword").select("news_id", "stock_id", F.to_date("published_at").alias("date"))
+    rows = ad.news(s, d).join(ad.bursts(s, d), "burst_id").join(ad.links(s, d), "keyword").select("news_id", "stock_id", F.to_date("published_at").alias("date"))
     return rounded(rt.post_news(rows, ad.prices(s, d)), "return_after")
 
 
 AR = """cal AS (SELECT date, {p} AS b, row_number() OVER (ORDER BY date) AS day, {p} / lag({p}) OVER (ORDER BY date) - 1 AS br FROM prices WHERE stock_id = '0050'),
 sp AS (SELECT st.stock_id, c.date, c.day, c.br, p.{p} AS price FROM (SELECT DISTINCT stock_id FROM prices WHERE stock_id <> '0050') st CROSS JOIN cal c LEFT JOIN prices p ON p.stock_id = st.stock_id AND p.date = c.date),
 ar AS (SELECT *, price / lag(price) OVER (PARTITION BY stock_id ORDER BY date) - 1 - br AS ar FROM sp)"""
-AR_CLOSE, AR_ADJ = AR.format(p="close"), AR.format(p="adj_close")
+AR_ADJ = AR.format(p="adj_close")
 
 
-@book.add(ad.sql("prices", f"{AR_CLOSE} SELECT stock_id, date, day, {r6('ar')} FROM ar WHERE ar IS NOT NULL"))
+@book.add(ad.sql("prices", f"{AR_ADJ} SELECT stock_id, date, day, {r6('ar')} FROM ar WHERE ar IS NOT NULL"))
 def w16_daily_abnormal(s: SparkSession, d: str) -> DataFrame:
     return rounded(rt.daily_abnormal(ad.prices(s, d), ad.BENCHMARK).where("ar is not null").select("stock_id", "date", "day", "ar"), "ar")
 
@@ -123,7 +124,7 @@ def dense(s: SparkSession, d: str) -> DataFrame:
     return rows.drop("ordinal")
 
 
-DENSE = "raw AS (SELECT * FROM prices), dense AS (SELECT * EXCLUDE (date), DATE '2000-01-03' + CAST(row_number() OVER (PARTITION BY stock_id ORDER BY date) AS INTEGER) AS date FROM raw)"
+DENSE = "raw AS (SELECT * FROM prices), dn AS (SELECT stock_id, date, row_number() OVER (PARTITION BY stock_id ORDER BY date) AS o FROM raw), dense AS (SELECT * EXCLUDE (date), DATE '2000-01-03' + CAST(row_number() OVER (PARTITION BY stock_id ORDER BY date) AS INTEGER) AS date FROM raw)"
 AR_DENSE = AR_ADJ.replace("FROM prices", "FROM dense").replace("JOIN prices", "JOIN dense")
 VOL = f"""{DENSE}, {AR_DENSE}, mv AS (SELECT *, abs(ar) AS move FROM ar),
 v AS (SELECT *, CASE WHEN count(move) OVER r >= 15 THEN avg(move) OVER r END AS recent, CASE WHEN count(move) OVER u >= 25 THEN avg(move) OVER u END AS usual, CASE WHEN count(move) OVER a >= 5 THEN avg(move) OVER a END AS five FROM mv
@@ -132,18 +133,17 @@ vt AS (SELECT *, recent / usual AS ratio, lag(recent / usual) OVER w AS before,
 book.oracles["w14_volatility"] = ad.sql("prices", f"{VOL} SELECT stock_id, date, {r6('ratio')}, {r6('before')}, {r6('after5')} FROM vt WHERE ratio IS NOT NULL")
 
 
-@book.add(ad.sql("prices", f"""{DENSE}, {AR_DENSE.replace('adj_close', 'close')}, bb AS (SELECT date, close AS bench FROM dense WHERE stock_id = '0050'),
+@book.add(ad.sql("prices", f"""{DENSE}, {AR_DENSE}, bb AS (SELECT date, adj_close AS bench FROM dense WHERE stock_id = '0050'),
 f AS (SELECT a.stock_id, a.date, lead(price, 5) OVER w / price - lead(bench, 5) OVER w / bench AS x5, lead(price, 4) OVER w / lag(price) OVER w - lead(bench, 4) OVER w / lag(bench) OVER w AS y5 FROM ar a JOIN bb USING (date) {W})
 SELECT stock_id, date, {r6('x5', 'after_5')}, {r6('y5', 'same_5')} FROM f WHERE x5 IS NOT NULL AND y5 IS NOT NULL"""))
 def w17_forward_abnormal(s: SparkSession, d: str) -> DataFrame:
-    p = dense(s, d)
-    a = rt.forward_abnormal(p, ad.BENCHMARK, 5).select("stock_id", "date", F.col("forward_ar").alias("after_5"))
-    b = rt.forward_abnormal(p, ad.BENCHMARK, 5, "same").select("stock_id", "date", F.col("forward_ar").alias("same_5"))
-    return rounded(a.join(b, ["stock_id", "date"]).where("after_5 is not null and same_5 is not null"), "after_5", "same_5")
+    calendar = rt.daily_abnormal(dense(s, d), ad.BENCHMARK)
+    out = rt.forward_abnormal(rt.forward_abnormal(calendar, 5, "after", "after_5"), 5, "same", "same_5")
+    return rounded(out.where("after_5 is not null and same_5 is not null").select("stock_id", "date", "after_5", "same_5"), "after_5", "same_5")
 
 
-UNITS = f"""{fr.QUIET_SQL}, cal AS (SELECT date, row_number() OVER (ORDER BY date) AS day FROM prices WHERE stock_id = '0050'),
-le AS (SELECT q.*, l.stock_id, l.link_type, l.theme_name FROM quiet q JOIN links l USING (keyword)),
+UNITS = f"""{fr.LINKED_SQL}, cal AS (SELECT date, row_number() OVER (ORDER BY date) AS day FROM prices WHERE stock_id = '0050'),
+le AS (SELECT q.*, l.stock_id, l.link_type, l.theme_name FROM quiet q JOIN klinks l USING (keyword) WHERE regexp_full_match(l.stock_id, '[0-9]{{4,6}}[A-Z]?') AND NOT starts_with(l.stock_id, '00') AND l.stock_id IN (SELECT stock_id FROM prices)),
 mk AS (SELECT le.* EXCLUDE (date), c.date AS day0, c.day FROM le ASOF JOIN cal c ON le.date <= c.date),
 dtone AS (SELECT theme_name, day0, sum(tone) AS tone FROM (SELECT DISTINCT theme_name, day0, keyword, tone, traffic FROM mk WHERE link_type = 'theme') GROUP BY 1, 2)"""
 
@@ -161,11 +161,12 @@ def w18_event_units(s: SparkSession, d: str) -> DataFrame:
 def _units(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    days = ad.prices(s, d).where(F.col("stock_id") == ad.BENCHMARK).select("date", F.row_number().over(Window.orderBy("date")).alias("day"))
-    return rt.event_units(fr.linked(s, d, None), days)
+    p = ad.prices(s, d)
+    days = p.where(F.col("stock_id") == ad.BENCHMARK).select("date", F.row_number().over(Window.orderBy("date")).alias("day"))
+    return rt.event_units(fr.linked(s, d, None), days, p)
 
 
-PATHS = f"""{UNITS}, {AR_CLOSE.replace('cal AS', 'cal2 AS').replace('CROSS JOIN cal c', 'CROSS JOIN cal2 c')}, nm AS (SELECT stock_id, avg(ar) AS normal FROM ar GROUP BY 1),
+PATHS = f"""{UNITS}, {AR_ADJ.replace('cal AS', 'cal2 AS').replace('CROSS JOIN cal c', 'CROSS JOIN cal2 c')}, nm AS (SELECT stock_id, avg(ar) AS normal FROM ar GROUP BY 1),
 un AS (SELECT DISTINCT 'd' || stock_id || day0 AS unit, stock_id, day FROM mk WHERE link_type = 'direct' UNION SELECT DISTINCT 't' || theme_name || day0, stock_id, day FROM mk WHERE link_type = 'theme'),
 uf AS (SELECT * FROM un WHERE day - 6 >= 1 AND day + 10 <= (SELECT max(day) FROM cal)),
 lv AS (SELECT unit, avg(normal) AS normal FROM uf JOIN nm USING (stock_id) GROUP BY 1),
@@ -193,18 +194,21 @@ def w24_path_band(s: SparkSession, d: str) -> DataFrame:
     return rounded(rt.path_band(paths(s, d)).select("offset", "low", "high", "t"), "low", "high", "t")
 
 
-COMP = f"""{fr.QUIET_SQL}, {DENSE}, {AR_DENSE.replace('adj_close', 'close')}, nm AS (SELECT stock_id, avg(ar) AS normal FROM ar GROUP BY 1),
+#: Direct events on the consecutive days of ``dense``; needs LINKED_SQL and DENSE.
+DENSE_EVENTS = """ed AS (SELECT e.keyword, e.stock_id, e.tone, DATE '2000-01-03' + CAST(dn.o AS INTEGER) AS date FROM (SELECT q.*, l.stock_id FROM quiet q JOIN klinks l USING (keyword) WHERE l.link_type = 'direct') e ASOF JOIN dn ON e.stock_id = dn.stock_id AND e.date <= dn.date)"""
+COMP = f"""{fr.LINKED_SQL}, {DENSE}, {AR_DENSE}, nm AS (SELECT stock_id, avg(ar) AS normal FROM ar GROUP BY 1),
 mx AS (SELECT max(day) AS last_day FROM cal), xs AS (SELECT a.stock_id, a.date, a.day, a.ar - n.normal AS x FROM ar a JOIN nm n USING (stock_id)),
 cs AS (SELECT *, coalesce(sum(x) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS pre, x AS day0_ar, coalesce(sum(x) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) AS post5,
   coalesce(sum(x) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), 0) AS post10 FROM xs),
-ed AS (SELECT q.keyword, l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 + 1 AS INTEGER) AS date, q.tone FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct'),
+{DENSE_EVENTS},
 cp AS (SELECT ed.keyword, ed.stock_id, c.date AS day0, ed.tone, c.pre, c.day0_ar, c.post5, c.post10 FROM ed JOIN cal k ON k.date = ed.date JOIN cs c ON c.stock_id = ed.stock_id AND c.date = ed.date WHERE c.day > 5 AND c.day + 10 <= (SELECT last_day FROM mx))"""
 
 
 def dense_events(s: SparkSession, d: str) -> DataFrame:
-    """Direct quiet events, their days folded onto the consecutive days of ``dense``."""
-    day = F.expr("date_add(date '2000-01-03', cast(datediff(date, date '1994-12-31') % 400 + 1 as int))")
-    return fr.linked(s, d).select("keyword", "stock_id", "tone", day.alias("date"))
+    """Direct quiet events on the consecutive days of ``dense``: that of their stock's first trading row on or after their day."""
+    rows = rt.numbered(ad.prices(s, d)).select("stock_id", "date", "ordinal")
+    met = rt.align(fr.linked(s, d).select("keyword", "stock_id", "tone", "date"), rows).where("day0 is not null")
+    return met.select("keyword", "stock_id", "tone", F.expr("date_add(date '2000-01-03', day0.ordinal)").alias("date"))
 
 
 def components(s: SparkSession, d: str) -> DataFrame:
@@ -268,39 +272,39 @@ def w22_volatility_panel(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("stock_id", "day", "today", "future5", "future10", "past20", "big5"), "today", "future5", "future10", "past20")
 
 
-@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, sg AS (SELECT e.keyword, e.stock_id, e.date, CASE WHEN coalesce(e.excess_10d, e.excess_5d) > 0 THEN 'up' WHEN coalesce(e.excess_10d, e.excess_5d) < 0 THEN 'down' ELSE 'neutral' END AS outcome, e.ordinal FROM events_perf e WHERE link_type = 'direct' AND year(e.date) = 1997)
-SELECT keyword, sg.stock_id, sg.date, outcome, n.ordinal - sg.ordinal AS step, n.date AS date_at, {r6('n.close', 'close')} FROM sg JOIN nb n ON n.stock_id = sg.stock_id AND n.ordinal BETWEEN sg.ordinal AND sg.ordinal + 10"""))
+@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, sg AS (SELECT e.keyword, e.stock_id, e.date, CASE WHEN coalesce(e.excess_10d, e.excess_5d) > 0 THEN 'up' WHEN coalesce(e.excess_10d, e.excess_5d) < 0 THEN 'down' ELSE 'neutral' END AS outcome, e.ordinal, unnest(range(0, 11)) AS step FROM events_perf e WHERE link_type = 'direct')
+SELECT keyword, sg.stock_id, sg.date, outcome, sg.step, n.date AS date_at, {r6('n.close', 'close')} FROM sg JOIN nb n ON n.stock_id = sg.stock_id AND n.ordinal = sg.ordinal + sg.step"""))
 def w23_path_segments(s: SparkSession, d: str) -> DataFrame:
-    events = fr.performance(s, d).where("year(date) = 1997").select("keyword", "stock_id", "date", "excess_5d", "excess_10d")
+    events = fr.performance(s, d).select("keyword", "stock_id", "date", "excess_5d", "excess_10d")
     out = rt.path_segments(events, ad.prices(s, d)).drop("excess_5d", "excess_10d")
     return rounded(out, "close")
 
 
 # ---- event detection ----
 
-@book.add(ad.sql("trends news", f"{fr.QUIET_SQL} SELECT keyword, date, traffic, tone FROM quiet"))
+@book.add(ad.sql("bursts news", f"{fr.QUIET_SQL} SELECT keyword, date, traffic, tone FROM quiet"))
 def e8_quiet_events(s: SparkSession, d: str) -> DataFrame:
     return fr.quiet(s, d).select("keyword", "date", "traffic", "tone")
 
 
-@book.add(ad.sql("heat", "SELECT date, keyword, CAST(max(trend_score) AS BIGINT) AS heat FROM heat GROUP BY 1, 2"))
+@book.add(ad.sql("heat", "SELECT date, keyword, CAST(max(burst_score) AS BIGINT) AS heat FROM heat GROUP BY 1, 2"))
 def e1_keyword_heat(s: SparkSession, d: str) -> DataFrame:
     h = ad.heat(s, d)
-    return ev.keyword_heat(h, h.select("keyword").distinct(), F.col("trend_score"))
+    return ev.keyword_heat(h, h.select("keyword").distinct(), F.col("burst_score"))
 
 
-@book.add(ad.sql("heat", f"SELECT date, 'sub' || theme_name AS sub_theme, {r6('avg(trend_score)', 'heat')}, count(DISTINCT keyword) AS keywords FROM heat WHERE theme_name <> '3' GROUP BY 1, 2"))
+@book.add(ad.sql("heat", f"SELECT date, 'sub' || theme_name AS sub_theme, {r6('avg(burst_score)', 'heat')}, count(DISTINCT keyword) AS keywords FROM heat WHERE theme_name <> '3' GROUP BY 1, 2"))
 def e2_subtheme_heat(s: SparkSession, d: str) -> DataFrame:
     h = ad.heat(s, d)
     mapping = h.select(F.concat(F.lit("sub"), "theme_name").alias("sub_theme"), "keyword", (F.col("theme_name") != "3").cast("int").alias("active")).distinct()
-    return rounded(ev.subtheme_heat(h.select("date", "keyword", F.col("trend_score").alias("heat")), mapping), "heat")
+    return rounded(ev.subtheme_heat(h.select("date", "keyword", F.col("burst_score").alias("heat")), mapping), "heat")
 
 
 @book.add(ad.sql("heat listed", f"""nw AS (SELECT CAST(user_id AS VARCHAR) AS keyword, CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_type <> 'signup' GROUP BY 1, 2),
 ls AS (SELECT keyword, date, max(traffic) AS traffic FROM (SELECT CAST(user_id AS VARCHAR) AS keyword, CAST(ts AS DATE) AS date, floor(value) * 1000 AS traffic FROM events WHERE event_type = 'signup') GROUP BY 1, 2),
 al AS (SELECT keyword, date FROM heat UNION SELECT keyword, date FROM nw UNION SELECT keyword, date FROM ls),
 sp AS (SELECT keyword, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM (SELECT keyword, min(date) AS a, max(date) AS b FROM al GROUP BY 1)),
-f AS (SELECT sp.keyword, sp.date, h.trend_score AS heat, coalesce(n, 0) AS news_count, traffic FROM sp LEFT JOIN heat h ON h.keyword = sp.keyword AND h.date = sp.date LEFT JOIN nw ON nw.keyword = sp.keyword AND nw.date = sp.date LEFT JOIN ls ON ls.keyword = sp.keyword AND ls.date = sp.date),
+f AS (SELECT sp.keyword, sp.date, h.burst_score AS heat, coalesce(n, 0) AS news_count, traffic FROM sp LEFT JOIN heat h ON h.keyword = sp.keyword AND h.date = sp.date LEFT JOIN nw ON nw.keyword = sp.keyword AND nw.date = sp.date LEFT JOIN ls ON ls.keyword = sp.keyword AND ls.date = sp.date),
 g AS (SELECT *, CASE WHEN count(heat) OVER s >= 3 THEN avg(heat) OVER s END AS hb, CASE WHEN count(*) OVER s >= 3 THEN avg(news_count) OVER s END AS nb, coalesce(bool_or(traffic IS NOT NULL) OVER t, false) AS rec FROM f
   WINDOW s AS (PARTITION BY keyword ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), t AS (PARTITION BY keyword ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
 k AS (SELECT *, CASE WHEN hb > 0 THEN heat / hb - 1 END AS heat_change FROM g),
@@ -311,15 +315,15 @@ def e7_research_events(s: SparkSession, d: str) -> DataFrame:
     e = ad.table(s, d, "events").select(F.col("user_id").cast("string").alias("keyword"), F.to_date("ts").alias("date"), "event_type", "event_id", "value")
     news = e.where("event_type <> 'signup'").select("keyword", "date", F.col("event_id").alias("news_id"))
     rss = e.where("event_type = 'signup'").select("keyword", "date", F.concat(F.floor("value").cast("string"), F.lit("K+")).alias("approx_traffic"))
-    return rounded(ev.detect(ad.heat(s, d).select("keyword", "date", F.col("trend_score").alias("heat")), news, rss), "heat_change")
+    return rounded(ev.detect(ad.heat(s, d).select("keyword", "date", F.col("burst_score").alias("heat")), news, rss), "heat_change")
 
 
-@book.add(ad.sql("heat", """x AS (SELECT keyword, CAST(CAST(keyword AS BIGINT) % 20 + 1000 AS VARCHAR) AS stock_id, date, trend_score AS score FROM heat),
+@book.add(ad.sql("heat", """x AS (SELECT keyword, CAST(CAST(keyword AS BIGINT) % 20 + 1000 AS VARCHAR) AS stock_id, date, burst_score AS score FROM heat),
 b AS (SELECT *, CASE WHEN count(score) OVER p >= 3 THEN avg(score) OVER p END AS base FROM x WINDOW p AS (PARTITION BY keyword, stock_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
 h AS (SELECT *, lag(date) OVER (PARTITION BY keyword, stock_id ORDER BY date) AS prev FROM b WHERE base > 0 AND score >= 1.5 * base)
 SELECT keyword, stock_id, date, CAST(score AS BIGINT) AS score FROM h WHERE prev IS NULL OR date - prev > 3"""))
 def e10_heat_rises(s: SparkSession, d: str) -> DataFrame:
-    h = ad.heat(s, d).select("keyword", (F.col("keyword").cast("long") % 20 + 1000).cast("string").alias("stock_id"), "date", F.col("trend_score").alias("score"))
+    h = ad.heat(s, d).select("keyword", (F.col("keyword").cast("long") % 20 + 1000).cast("string").alias("stock_id"), "date", F.col("burst_score").alias("score"))
     return ev.heat_rises(h)
 
 
@@ -340,16 +344,14 @@ def e11_merge_days(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("stock_id", "date", text("keywords"), text("link_types"), text("triggers", "、"), "traffic", "return_10d", "positive", "neutral", "negative", text("headlines"), "number"), "return_10d")
 
 
-FLAGS = f"{PANEL}, {fr.QUIET_SQL}, ed AS (SELECT DISTINCT l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 + 1 AS INTEGER) AS date FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct' AND hash_key(q.keyword)), ud AS (SELECT DISTINCT ed.stock_id, c.day + 1 AS day FROM ed JOIN cal c ON c.date = ed.date), pf AS (SELECT p.*, ud.day IS NOT NULL AS flag FROM pn0 p LEFT JOIN ud ON p.stock_id = ud.stock_id AND p.day = ud.day), pnl AS (SELECT *, max(flag) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_event FROM pf)".replace("hash_key(q.keyword)", "q.date < DATE '1996-06-01'")
+FLAGS = f"{PANEL}, {fr.LINKED_SQL}, {DENSE_EVENTS}, ud AS (SELECT DISTINCT ed.stock_id, c.day + 1 AS day FROM ed JOIN cal c ON c.date = ed.date), pf AS (SELECT p.*, ud.day IS NOT NULL AS flag FROM pn0 p LEFT JOIN ud ON p.stock_id = ud.stock_id AND p.day = ud.day), pnl AS (SELECT *, max(flag) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_event FROM pf)"
 
 
 def flagged_panel(s: SparkSession, d: str) -> DataFrame:
-    """The volatility panel with usable event days and their surroundings."""
+    """The volatility panel with usable event days and their surroundings, written once for all that read it."""
     panel = rt.volatility_panel(dense(s, d), ad.BENCHMARK)
-    events = fr.linked(s, d).where("date < date '1996-06-01'")
-    day = F.expr("date_add(date '2000-01-03', cast(datediff(date, date '1994-12-31') % 400 + 1 as int))")
-    usable = ev.usable_days(events.select("stock_id", day.alias("date")).distinct(), panel.select("stock_id", "date", "day"), lag=1)
-    return ev.near(ev.flag_days(panel, usable, "flag"), "flag")
+    usable = ev.usable_days(dense_events(s, d).select("stock_id", "date").distinct(), panel.select("stock_id", "date", "day"), lag=1)
+    return stage(ev.near(ev.flag_days(panel, usable, "flag"), "flag"), "panel")
 
 
 @book.add(ad.sql(fr.ALL, f"{FLAGS} SELECT stock_id, day, flag, near_event FROM pnl WHERE near_event"))

@@ -52,12 +52,20 @@ def g4_reaction_by_theme(s: SparkSession, d: str) -> DataFrame:
     return rounded(st.reaction_by_theme(fr.performance(s, d)), "days")
 
 
-@book.add()
+PCT = "CASE WHEN {c} IS NULL THEN '資料不足' ELSE printf('%.1f', {c}) || '{s}' END"
+MEANS = " || chr(10) || ".join(f"'平均{n}日報酬：' || " + PCT.format(c=f"avg_return_{n}d_pct", s="%") for n in (1, 3, 5, 10))
+
+
+@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, {SUMMARY} SELECT theme_name, theme_name || '事件研究' || chr(10) || '研究期間：1995-01-01 ~ 1998-08-02' || chr(10) || '事件數量：' || event_count || chr(10) || '正報酬事件：' || {PCT.format(c='positive_pct', s='%')} || chr(10) || '負報酬事件：' || {PCT.format(c='negative_pct', s='%')} || chr(10) || '平均首次反應天數：' || {PCT.format(c='avg_reaction_days', s=' 天')} || chr(10) || {MEANS} || chr(10) || chr(10) || 'AI結論：' ||
+CASE WHEN avg_return_10d_pct IS NULL THEN '目前資料不足，無法穩定判斷事件與股價後續關聯。' WHEN avg_return_10d_pct > 0 THEN theme_name || '熱門事件與股價存在輕度正向關聯，事件後 10 日平均表現呈現正值。' WHEN avg_return_10d_pct < 0 THEN theme_name || '熱門事件在本期間內未呈現明顯正向關聯，後續股價反應偏弱或負向。' ELSE theme_name || '熱門事件在本期間內的價格反應接近中性，表示事件影響較弱。' END AS overview FROM sm"""))
 def g5_overview_text(s: SparkSession, d: str) -> DataFrame:
     return st.overview_text(st.research_summary(fr.performance(s, d), ["theme_name"]), "theme_name", F.lit("1995-01-01"), F.lit("1998-08-02"))
 
 
-@book.add()
+CROSSING = " || ".join(f"CASE WHEN ma{n}_breakout_day = 0 THEN '事件當天突破MA{n}。' WHEN ma{n}_breakout_day IS NOT NULL THEN '事件後第' || ma{n}_breakout_day || '日突破MA{n}。' WHEN ma{n} IS NOT NULL THEN '事件後已突破MA{n}。' ELSE '事件後未出現 MA{n} 突破訊號。' END" for n in (20, 60))
+
+
+@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL} SELECT keyword, stock_id, date, keyword || '事件於' || strftime(date, '%Y-%m-%d') || '發生。' || CASE WHEN return_3d IS NULL THEN '事件後3日股價變化資料尚不足。' ELSE '事件後3日股價累積' || CASE WHEN return_3d > 0 THEN '上漲' ELSE '下跌' END || printf('%.1f', abs(return_3d * 100)) || '%' END || '。' || {CROSSING} AS text FROM events_perf WHERE link_type = 'direct'"""))
 def g5_event_text(s: SparkSession, d: str) -> DataFrame:
     return st.event_text(fr.performance(s, d)).select("keyword", "stock_id", "date", "text")
 
@@ -90,7 +98,7 @@ def g7_basket_baseline(s: SparkSession, d: str) -> DataFrame:
     """Mean over days of the day's mean over the basket."""
     rows = rt.with_performance(ad.prices(s, d), ad.BENCHMARK).where("excess_10d is not null")
     b = ad.links(s, d).where("link_type = 'theme'").select("theme_name", "stock_id").distinct()
-    out = rows.join(F.broadcast(b), "stock_id").groupBy("theme_name", "date").agg(F.avg("excess_10d").alias("x")).groupBy("theme_name").agg(F.avg("x").alias("baseline"), F.count("*").alias("days"))
+    out = rows.join(b, "stock_id").groupBy("theme_name", "date").agg(F.avg("excess_10d").alias("x")).groupBy("theme_name").agg(F.avg("x").alias("baseline"), F.count("*").alias("days"))
     return rounded(out, "baseline")
 
 
@@ -109,92 +117,122 @@ def g9_tone_split(s: SparkSession, d: str) -> DataFrame:
     return rounded(out, "mean_5", "t_5", "mean_10", "t_10")
 
 
-HP = """rr AS (SELECT stock_id, date, close / lag(close) OVER (PARTITION BY stock_id ORDER BY date) - 1 AS r FROM prices), hp AS (SELECT stock_id, keyword, date, heat, r FROM heat_px JOIN rr USING (date) WHERE r IS NOT NULL AND length(stock_id) = 4 AND stock_id < '1050' AND stock_id <> '0050')"""
+RR = "rr AS (SELECT stock_id, date, close / lag(close) OVER w - 1 AS r, row_number() OVER w AS k FROM prices WHERE stock_id <> '0050' WINDOW w AS (PARTITION BY stock_id ORDER BY date))"
+
 
+def _returns(s: SparkSession, d: str) -> DataFrame:
+    """The day's return on every trading row of every stock but the benchmark."""
+    rows = rt.price_features(ad.prices(s, d).where(F.col("stock_id") != ad.BENCHMARK))
+    return rows.select("stock_id", "date", F.col("return_1d").alias("r"))
 
-def _heat_returns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Heat, and returns of every stock; ``HP`` says the same for stocks below 1050 only."""
-    p = rt.price_features(ad.prices(s, d)).select("stock_id", "date", F.col("return_1d").alias("r")).where(F.col("stock_id") != ad.BENCHMARK)
-    return ad.heat_px(s, d), p
+
+def _every_pair(s: SparkSession, d: str) -> DataFrame:
+    """All stocks with all segments, of which there are few."""
+    stocks = ad.prices(s, d).where(F.col("stock_id") != ad.BENCHMARK).select("stock_id").distinct()
+    return stocks.crossJoin(F.broadcast(ad.heat_px(s, d).select("keyword").distinct()))
 
 
 COR = "covar_samp(heat, r) / nullif(stddev_samp(heat) * stddev_samp(r), 0)"
 
 
-@book.add(ad.sql("heat_px prices", f"{HP} SELECT stock_id, keyword, count(*) AS n, {r6(COR, 'r')} FROM hp GROUP BY 1, 2 HAVING count(*) >= 5"))
+@book.add(ad.sql("heat_px prices", f"{RR}, hp AS (SELECT stock_id, keyword, heat, r FROM heat_px JOIN rr USING (date) WHERE r IS NOT NULL) SELECT stock_id, keyword, count(*) AS n, {r6(COR, 'r')} FROM hp GROUP BY 1, 2 HAVING count(*) >= 5"))
 def g10_heat_price(s: SparkSession, d: str) -> DataFrame:
-    return rounded(st.heat_price(*_heat_returns(s, d)), "r")
+    return rounded(st.heat_price(ad.heat_px(s, d), _returns(s, d)), "r")
 
 
-CROSS = f"""{HP}, od AS (SELECT *, row_number() OVER (PARTITION BY stock_id, keyword ORDER BY date) AS k FROM hp), lg AS (SELECT a.stock_id, a.keyword, l.l AS lag, count(*) AS n, {r6(COR.replace('heat', 'a.heat').replace(', r)', ', b.r)').replace('(r)', '(b.r)'), 'c')} FROM od a CROSS JOIN (SELECT unnest(range(-10, 11)) AS l) l JOIN od b ON a.stock_id = b.stock_id AND a.keyword = b.keyword AND b.k = a.k + l.l GROUP BY 1, 2, 3),
-bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id, keyword ORDER BY -abs(c), abs(lag), lag) AS q FROM lg WHERE n >= 30 AND c IS NOT NULL) WHERE q = 1)"""
+#: Needs rr, hh (keyword, date, heat) and pr (stock_id, keyword): lags count the stock's own trading rows.
+LAGS = """hr AS (SELECT pr.stock_id, pr.keyword, hh.heat, rr.k FROM pr JOIN rr ON rr.stock_id = pr.stock_id JOIN hh ON hh.keyword = pr.keyword AND hh.date = rr.date),
+lg AS (SELECT hr.stock_id, hr.keyword, l.l AS lag, count(*) AS n, covar_samp(hr.heat, rr.r) / nullif(stddev_samp(hr.heat) * stddev_samp(rr.r), 0) AS c FROM hr CROSS JOIN (SELECT unnest(range(-10, 11)) AS l) l JOIN rr ON rr.stock_id = hr.stock_id AND rr.k = hr.k + l.l WHERE rr.r IS NOT NULL GROUP BY 1, 2, 3),
+gd AS (SELECT * FROM lg WHERE n >= 30 AND c IS NOT NULL), bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id, keyword ORDER BY -abs(c), abs(lag), lag) AS q FROM gd) WHERE q = 1)"""
 
 
-@book.add(ad.sql("heat_px prices", f"{CROSS} SELECT stock_id, keyword, lag AS best_lag, c AS r, n FROM bst"))
+@book.add(ad.sql("heat_px prices", f"""{RR}, hh AS (SELECT * FROM heat_px), pr AS (SELECT stock_id, keyword FROM (SELECT DISTINCT stock_id FROM rr) CROSS JOIN (SELECT DISTINCT keyword FROM heat_px)), {LAGS}
+SELECT pr.stock_id, pr.keyword, lag AS best_lag, {r6('c', 'r')}, coalesce(n, 0) AS n FROM pr LEFT JOIN bst ON bst.stock_id = pr.stock_id AND bst.keyword = pr.keyword"""))
 def g11_cross_correlation(s: SparkSession, d: str) -> DataFrame:
-    return st.cross_correlation(*_heat_returns(s, d))
+    return rounded(st.cross_correlation(ad.heat_px(s, d), _returns(s, d), _every_pair(s, d)), "r")
+
 
+GROUP = "c_mktsegment || '-' || CAST(c_custkey % 4 AS VARCHAR)"
 
-@book.add(ad.sql("heat_px prices", f"""{CROSS}, sd AS (SELECT stock_id, keyword, {r6(COR, 'same_day')} FROM hp GROUP BY 1, 2 HAVING count(*) >= 5)
-SELECT b.stock_id, b.keyword, lag AS best_lag, c AS r, n, same_day, CASE WHEN n >= 90 AND abs(c) >= .6 THEN 'A' WHEN n >= 60 AND abs(c) >= .4 THEN 'B' WHEN n >= 30 AND abs(c) >= .3 THEN 'C' END AS grade FROM bst b LEFT JOIN sd USING (stock_id, keyword)"""))
+
+@book.add(ad.sql("prices", f"""{RR}, mp AS (SELECT DISTINCT c_mktsegment AS sub_theme, {GROUP} AS name, CAST(c_custkey % (SELECT count(*) FROM supplier) + 1000 AS VARCHAR) AS stock_id FROM customer),
+dh AS (SELECT {GROUP} AS name, CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS heat FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+hh AS (SELECT sub_theme AS keyword, date, avg(heat) AS heat FROM dh JOIN (SELECT DISTINCT sub_theme, name FROM mp) USING (name) GROUP BY 1, 2), pr AS (SELECT DISTINCT stock_id, sub_theme AS keyword FROM mp), {LAGS},
+sd AS (SELECT stock_id, keyword, c AS same_day FROM gd WHERE lag = 0)
+SELECT b.stock_id, b.keyword AS sub_theme, b.lag AS best_lag, {r6('b.c', 'r')}, b.n, {r6('same_day')}, CASE WHEN b.n >= 90 AND abs(b.c) >= .6 THEN 'A' WHEN b.n >= 60 AND abs(b.c) >= .4 THEN 'B' WHEN b.n >= 30 AND abs(b.c) >= .3 THEN 'C' END AS grade FROM bst b LEFT JOIN sd ON sd.stock_id = b.stock_id AND sd.keyword = b.keyword"""))
 def g12_theme_cross(s: SparkSession, d: str) -> DataFrame:
-    return rounded(st.theme_cross(*_heat_returns(s, d)), "same_day")
+    """Segments as sub-themes of four keyword groups each, with the stocks that their keywords are linked to."""
+    c = ad.table(s, d, "customer")
+    name = F.concat("c_mktsegment", F.lit("-"), (F.col("c_custkey") % 4).cast("string"))
+    n = ad.table(s, d, "supplier").agg(F.count("*").alias("n"))
+    mapping = c.crossJoin(F.broadcast(n)).select(F.col("c_mktsegment").alias("sub_theme"), name.alias("keyword"), ad.stock_code(F.col("c_custkey") % F.col("n")).alias("stock_id"), F.lit(1).alias("active"))
+    heat = ad.table(s, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(name.alias("keyword"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").cast("double").alias("heat"))
+    return rounded(st.theme_cross(heat, _returns(s, d), mapping), "r", "same_day")
 
 
-DAYS = "td AS (SELECT t.*, CAST(published_at AS DATE) AS date, l.theme_name FROM trends t JOIN (SELECT DISTINCT keyword, theme_name FROM links WHERE link_type = 'direct') l USING (keyword)), nd AS (SELECT n.*, td.date, td.theme_name, td.keyword FROM news n JOIN td USING (trend_id))"
+DAYS = "td AS (SELECT t.*, CAST(published_at AS DATE) AS date, l.theme_name FROM bursts t JOIN (SELECT DISTINCT keyword, theme_name FROM links WHERE link_type = 'direct') l USING (keyword)), nd AS (SELECT n.*, td.date, td.theme_name, td.keyword FROM news n JOIN td USING (burst_id))"
 
 
 def themed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Trends and news with their day and theme, and links."""
+    """Bursts and news with their day and theme, and links."""
     links = ad.links(s, d)
-    t = ad.trends(s, d).join(links.where("link_type = 'direct'").select("keyword", "theme_name").distinct(), "keyword").withColumn("date", F.to_date("published_at"))
-    return t, ad.news(s, d).join(t.select("trend_id", "keyword", "date", "theme_name"), "trend_id"), links
+    t = ad.bursts(s, d).join(links.where("link_type = 'direct'").select("keyword", "theme_name").distinct(), "keyword").withColumn("date", F.to_date("published_at"))
+    return t, ad.news(s, d).join(t.select("burst_id", "keyword", "date", "theme_name"), "burst_id"), links
 
 
-@book.add(ad.sql("trends links news heat_px", f"""{DAYS}, a AS (SELECT date, theme_name, count(DISTINCT keyword) AS keywords, count(DISTINCT trend_id) AS trends FROM td GROUP BY 1, 2), b AS (SELECT date, theme_name, count(DISTINCT news_id) AS news FROM nd GROUP BY 1, 2),
+@book.add(ad.sql("bursts links news heat_px", f"""{DAYS}, a AS (SELECT date, theme_name, count(DISTINCT keyword) AS keywords, count(DISTINCT burst_id) AS bursts FROM td GROUP BY 1, 2), b AS (SELECT date, theme_name, count(DISTINCT news_id) AS news FROM nd GROUP BY 1, 2),
 c AS (SELECT date, keyword AS theme_name, avg(heat) AS avg_score, max(heat) AS max_score FROM heat_px GROUP BY 1, 2), s AS (SELECT theme_name, count(DISTINCT stock_id) AS stocks FROM links GROUP BY 1), k AS (SELECT date, theme_name FROM a UNION SELECT date, theme_name FROM b UNION SELECT date, theme_name FROM c)
-SELECT k.date, k.theme_name, coalesce(keywords, 0) AS keywords, coalesce(trends, 0) AS trends, coalesce(news, 0) AS news, coalesce(stocks, 0) AS stocks, coalesce({r6('avg_score').split(' AS ')[0]}, 0) AS avg_score, coalesce(max_score, 0) AS max_score
+SELECT k.date, k.theme_name, coalesce(keywords, 0) AS keywords, coalesce(bursts, 0) AS bursts, coalesce(news, 0) AS news, coalesce(stocks, 0) AS stocks, coalesce({r6('avg_score').split(' AS ')[0]}, 0) AS avg_score, coalesce(max_score, 0) AS max_score
 FROM k LEFT JOIN a ON a.date = k.date AND a.theme_name = k.theme_name LEFT JOIN b ON b.date = k.date AND b.theme_name = k.theme_name LEFT JOIN c ON c.date = k.date AND c.theme_name = k.theme_name LEFT JOIN s ON s.theme_name = k.theme_name"""))
 def g13_theme_daily_stats(s: SparkSession, d: str) -> DataFrame:
     t, n, links = themed(s, d)
-    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("trend_score"))
+    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("burst_score"))
     return rounded(cv.theme_daily_stats(t, n, heat, links), "avg_score")
 
 
-@book.add(ad.sql("trends links news", f"""{DAYS}, th AS (SELECT DISTINCT theme_name FROM links UNION SELECT 'none') SELECT th.theme_name, (SELECT count(DISTINCT trend_id) FROM td WHERE td.theme_name = th.theme_name) AS trends, (SELECT count(DISTINCT news_id) FROM nd WHERE nd.theme_name = th.theme_name) AS news FROM th"""))
+@book.add(ad.sql("bursts links news", f"""{DAYS}, th AS (SELECT DISTINCT theme_name FROM links UNION SELECT 'none') SELECT th.theme_name, (SELECT count(DISTINCT burst_id) FROM td WHERE td.theme_name = th.theme_name) AS bursts, (SELECT count(DISTINCT news_id) FROM nd WHERE nd.theme_name = th.theme_name) AS news FROM th"""))
 def g14_theme_coverage(s: SparkSession, d: str) -> DataFrame:
     t, n, links = themed(s, d)
     themes = links.select("theme_name").union(s.range(1).select(F.lit("none")))
     return cv.theme_coverage(themes, t, n)
 
 
-CLASS = "cl AS (SELECT c_name AS keyword, CASE WHEN c_custkey % 4 = 0 THEN '其他' ELSE c_mktsegment END AS theme_name, CASE WHEN c_custkey % 4 = 0 THEN 'fallback' ELSE 'rule' END AS source, CAST(c_custkey % 7 = 0 AS INTEGER) AS need_review, c_acctbal / 10000 AS confidence_score, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) END AS canonical_keyword FROM customer WHERE c_custkey % 5 <> 0)"
-
-
-def classes(s: SparkSession, d: str) -> DataFrame:
-    """Keyword classes: a fifth of the keywords has none, a quarter of the rest is a fallback."""
-    k = F.col("c_custkey")
-    other = k % 4 == 0
-    return ad.table(s, d, "customer").where(k % 5 != 0).select(F.col("c_name").alias("keyword"), F.when(other, "其他").otherwise(F.col("c_mktsegment")).alias("theme_name"), F.when(other, "fallback").otherwise("rule").alias("source"), (k % 7 == 0).cast("int").alias("need_review"), (F.col("c_acctbal") / 10000).alias("confidence_score"), F.when(k % 3 == 0, F.upper("c_name")).alias("canonical_keyword"))
+CLASS, classes = ad.CLASS, ad.classes
 
 
-@book.add(ad.sql("trends", f"{CLASS} SELECT t.keyword, count(DISTINCT trend_id) AS trends FROM trends t WHERE t.keyword NOT IN (SELECT keyword FROM cl WHERE theme_name <> '其他') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"))
+@book.add(ad.sql("bursts", f"{CLASS} SELECT t.keyword, count(DISTINCT burst_id) AS bursts FROM bursts t WHERE t.keyword NOT IN (SELECT keyword FROM cl WHERE theme_name <> '其他') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"))
 def g15_top_unclassified(s: SparkSession, d: str) -> DataFrame:
     """A top-k report."""
     from heedstream.operators.resolve import pending
 
-    return pending(ad.trends(s, d), classes(s, d), 50)
+    return pending(ad.bursts(s, d), classes(s, d), 50)
+
+
+@book.add(ad.sql("bursts news", f"""{CLASS}, k AS (SELECT DISTINCT keyword FROM bursts), an AS (SELECT c_name AS keyword FROM customer WHERE c_custkey % 11 = 0), kn AS (SELECT c_name AS keyword FROM customer WHERE c_custkey % 10 = 5)
+SELECT 'entity' AS kind, k.keyword AS item FROM k LEFT JOIN cl USING (keyword) WHERE coalesce(theme_name, '其他') = '其他' AND keyword NOT IN (SELECT keyword FROM an) AND keyword NOT IN (SELECT keyword FROM kn)
+UNION ALL SELECT 'fallback', k.keyword FROM k LEFT JOIN cl USING (keyword) WHERE (source IS NULL OR (source = 'fallback' AND theme_name = '其他')) AND keyword NOT IN (SELECT keyword FROM an)
+UNION ALL SELECT 'news', CAST(news_id AS VARCHAR) FROM news WHERE news_sentiment IS NULL"""))
+def j15_pending(s: SparkSession, d: str) -> DataFrame:
+    """What waits for entity resolution, for a class, and for a sentiment, less what has been answered."""
+    from heedstream.operators import resolve as rs
 
+    t, c = ad.bursts(s, d), ad.table(s, d, "customer")
+    named = lambda when: c.where(when).select(F.col("c_name").alias("keyword"))
+    n = ad.news(s, d).withColumn("sentiment_score", F.when(F.col("news_sentiment").isNotNull(), 0.5)).withColumn("event_type", F.lit("x"))
+    sets = {"entity": rs.pending_entities(t, classes(s, d), named("c_custkey % 10 = 5"), named("c_custkey % 11 = 0")), "fallback": rs.pending_fallbacks(t, classes(s, d), named("c_custkey % 11 = 0")), "news": rs.pending_news(n).select(F.col("news_id").cast("string"))}
+    out = [df.toDF("item").select(F.lit(k).alias("kind"), "item") for k, df in sets.items()]
+    return out[0].union(out[1]).union(out[2])
 
-@book.add(ad.sql("trends", f"{CLASS}, en AS (SELECT DISTINCT keyword FROM cl WHERE need_review = 0), k AS (SELECT DISTINCT keyword FROM trends) SELECT count(*) AS keywords, count(en.keyword) AS resolved, count(*) - count(en.keyword) AS unresolved FROM k LEFT JOIN en USING (keyword)"))
+
+@book.add(ad.sql("bursts", f"{CLASS}, en AS (SELECT DISTINCT keyword FROM cl WHERE need_review = 0), k AS (SELECT DISTINCT keyword FROM bursts) SELECT count(*) AS keywords, count(en.keyword) AS resolved, count(*) - count(en.keyword) AS unresolved FROM k LEFT JOIN en USING (keyword)"))
 def g16_entity_coverage(s: SparkSession, d: str) -> DataFrame:
     e = classes(s, d).select(F.col("keyword").alias("entity_name"), F.when(F.col("need_review") == 0, "上市公司").otherwise("其他").alias("entity_type"))
-    return cv.entity_coverage(ad.trends(s, d), e)
+    return cv.entity_coverage(ad.bursts(s, d), e)
 
 
-@book.add(ad.sql("trends", f"{CLASS}, k AS (SELECT DISTINCT keyword FROM trends) SELECT count(*) AS total, count(*) FILTER (theme_name <> '其他') AS classified, {r6('count(*) FILTER (theme_name <> $$其他$$) * 100.0 / count(*)', 'coverage_pct')}, count(*) FILTER (need_review = 1) AS need_review FROM k LEFT JOIN cl USING (keyword)"))
+@book.add(ad.sql("bursts", f"{CLASS}, k AS (SELECT DISTINCT keyword FROM bursts) SELECT count(*) AS total, count(*) FILTER (theme_name <> '其他') AS classified, {r6('count(*) FILTER (theme_name <> $$其他$$) * 100.0 / count(*)', 'coverage_pct')}, count(*) FILTER (need_review = 1) AS need_review FROM k LEFT JOIN cl USING (keyword)"))
 def g17_quality_summary(s: SparkSession, d: str) -> DataFrame:
-    return rounded(cv.quality_summary(ad.trends(s, d), classes(s, d)), "coverage_pct")
+    return rounded(cv.quality_summary(ad.bursts(s, d), classes(s, d)), "coverage_pct")
 
 
 SHARES = ", ".join(f"count(*) FILTER (news_sentiment = '{t}') AS {t.lower()}_n, {r6(f'count(*) FILTER (news_sentiment = $${t}$$) * 100.0 / nullif(count(news_sentiment), 0)', f'{t.lower()}_pct')}" for t in ex.SENTIMENTS)
@@ -222,7 +260,7 @@ def g20_verification_sample(s: SparkSession, d: str) -> DataFrame:
     return cv.verification_sample(ad.news(s, d))
 
 
-@book.add(ad.sql("trends links news", f"{DAYS} SELECT theme_name, date, {', '.join(f'count(*) FILTER (news_sentiment = $${t}$$) AS {t.lower()}' for t in ex.SENTIMENTS)}, count(*) FILTER (news_sentiment IS NULL) AS unanalyzed FROM nd GROUP BY 1, 2"))
+@book.add(ad.sql("bursts links news", f"{DAYS} SELECT theme_name, date, {', '.join(f'count(*) FILTER (news_sentiment = $${t}$$) AS {t.lower()}' for t in ex.SENTIMENTS)}, count(*) FILTER (news_sentiment IS NULL) AS unanalyzed FROM nd GROUP BY 1, 2"))
 def g21_daily_tone(s: SparkSession, d: str) -> DataFrame:
     return cv.daily_tone(themed(s, d)[1], ["theme_name", "date"])
 
@@ -232,43 +270,43 @@ def g22_stock_options(s: SparkSession, d: str) -> DataFrame:
     return cv.stock_options(ad.links(s, d), ad.prices(s, d), ad.BENCHMARK)
 
 
-@book.add(ad.sql("trends links news heat_px prices", f"""{DAYS}, hd AS (SELECT max(date) AS x FROM heat_px), h AS (SELECT keyword AS theme_name, avg(heat) FILTER (x - date < 7) AS a, avg(heat) FILTER (x - date BETWEEN 7 AND 13) AS b FROM heat_px, hd GROUP BY 1),
+@book.add(ad.sql("bursts links news heat_px prices", f"""{DAYS}, hd AS (SELECT max(date) AS x FROM heat_px), h AS (SELECT keyword AS theme_name, avg(heat) FILTER (x - date < 7) AS a, avg(heat) FILTER (x - date BETWEEN 7 AND 13) AS b FROM heat_px, hd GROUP BY 1),
 nx AS (SELECT max(date) AS x FROM nd), n AS (SELECT theme_name, sum(CASE news_sentiment WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END) AS tone FROM nd, nx WHERE x - date < 7 GROUP BY 1),
 l AS (SELECT stock_id, max(close) FILTER (k = 1) / max(close) FILTER (k = 11) - 1 AS mv FROM (SELECT stock_id, close, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS k FROM prices) GROUP BY 1), b AS (SELECT theme_name, avg(mv) AS basket FROM (SELECT DISTINCT theme_name, stock_id FROM links WHERE link_type = 'theme') JOIN l USING (stock_id) WHERE mv IS NOT NULL GROUP BY 1)
 SELECT theme_name, {r6('a', 'heat_now')}, {r6('h.b', 'heat_before')}, CAST(coalesce(tone, 0) AS BIGINT) AS tone, {r6('basket', 'basket_10d')} FROM h FULL JOIN n USING (theme_name) FULL JOIN b USING (theme_name)"""))
 def g23_market_radar(s: SparkSession, d: str) -> DataFrame:
     _, n, links = themed(s, d)
     baskets = links.where("link_type = 'theme'").groupBy("theme_name").agg(F.collect_set("stock_id").alias("stock_ids"))
-    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("trend_score"))
+    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("burst_score"))
     return rounded(cv.market_radar(heat, n, ad.prices(s, d), baskets), "heat_now", "heat_before", "basket_10d")
 
 
-@book.add(ad.sql("trends links news", f"{DAYS} SELECT date, theme_name, keyword, news_id, news_title, coalesce(news_source, 'unknown') AS news_source, coalesce(news_sentiment, 'Unanalyzed') AS news_sentiment FROM nd WHERE trim(news_title) <> ''"))
+@book.add(ad.sql("bursts links news", f"{DAYS} SELECT date, theme_name, keyword, news_id, news_title, coalesce(news_source, 'unknown') AS news_source, coalesce(news_sentiment, 'Unanalyzed') AS news_sentiment FROM nd WHERE trim(news_title) <> ''"))
 def g24_timeline(s: SparkSession, d: str) -> DataFrame:
     _, n, links = themed(s, d)
     return cv.timeline(n.drop("theme_name"), links.where("link_type = 'direct'").select("keyword", "theme_name").distinct())
 
 
-@book.add(ad.sql("trends links news prices", f"""fe AS (SELECT stock_id, date, CAST(volume AS DOUBLE) / lag(volume) OVER w - 1 AS vc, lead(close, 5) OVER w / close - 1 AS fr FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)), tn AS (SELECT trend_id, arg_min(news_sentiment, news_id) AS sentiment FROM news GROUP BY 1),
-ev AS (SELECT t.trend_id AS event_id, l.stock_id, CAST(t.published_at AS DATE) AS date, t.approx_traffic, tn.sentiment FROM trends t JOIN links l USING (keyword) LEFT JOIN tn USING (trend_id) WHERE l.link_type = 'direct'),
+@book.add(ad.sql("bursts links news prices", f"""fe AS (SELECT stock_id, date, CAST(volume AS DOUBLE) / lag(volume) OVER w - 1 AS vc, lead(close, 5) OVER w / close - 1 AS fr FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)), tn AS (SELECT burst_id, arg_min(news_sentiment, news_id) AS sentiment FROM news GROUP BY 1),
+ev AS (SELECT t.burst_id AS event_id, l.stock_id, CAST(t.published_at AS DATE) AS date, t.approx_traffic, tn.sentiment FROM bursts t JOIN links l USING (keyword) LEFT JOIN tn USING (burst_id) WHERE l.link_type = 'direct'),
 al AS (SELECT ev.*, f.vc, f.fr, CAST(regexp_extract(approx_traffic, '([\\d.]+)', 1) AS DOUBLE) * 1000 AS tr FROM ev ASOF JOIN fe f ON ev.stock_id = f.stock_id AND ev.date <= f.date),
 rk AS (SELECT *, (rank() OVER (ORDER BY tr) + (count(*) OVER (PARTITION BY tr) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100 AS heat, coalesce(avg(CASE WHEN fr IS NOT NULL THEN CAST(fr > 0 AS DOUBLE) END) OVER (PARTITION BY stock_id ORDER BY date, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) * 100 AS win FROM al),
 sc AS (SELECT *, heat * 0.35::DOUBLE + (greatest(-1, least(3, coalesce(vc, 0))) + 1) / 4 * 100 * 0.25::DOUBLE + CASE sentiment WHEN 'Positive' THEN 100.0::DOUBLE WHEN 'Negative' THEN 0 ELSE 50 END * 0.15::DOUBLE + win * 0.25::DOUBLE AS x FROM rk)
 SELECT event_id, stock_id, {r6('win', 'historical_win_rate')}, round_even(x, 1) AS signal_score FROM sc"""))
 def g25_signal_scores(s: SparkSession, d: str) -> DataFrame:
-    t = ad.trends(s, d).join(ad.links(s, d).where("link_type = 'direct'"), "keyword")
-    tone = ad.news(s, d).where("news_sentiment is not null").groupBy("trend_id").agg(F.min_by("news_sentiment", "news_id").alias("news_sentiment"))
-    e = t.join(tone, "trend_id", "left").select(F.col("trend_id").alias("event_id"), "stock_id", F.to_date("published_at").alias("date"), "approx_traffic", "news_sentiment")
+    t = ad.bursts(s, d).join(ad.links(s, d).where("link_type = 'direct'"), "keyword")
+    tone = ad.news(s, d).where("news_sentiment is not null").groupBy("burst_id").agg(F.min_by("news_sentiment", "news_id").alias("news_sentiment"))
+    e = t.join(tone, "burst_id", "left").select(F.col("burst_id").alias("event_id"), "stock_id", F.to_date("published_at").alias("date"), "approx_traffic", "news_sentiment")
     features = rt.price_features(ad.prices(s, d)).select("stock_id", "date", "volume_change", "future_return_5d")
     met = rt.align(e, features).where("day0 is not null").select(*e.columns, "day0.volume_change", "day0.future_return_5d")
     return rounded(st.signal_scores(met).select("event_id", "stock_id", "historical_win_rate", "signal_score"), "historical_win_rate")
 
 
-@book.add(ad.sql("trends links news prices", f"""{CLASS}, k AS (SELECT DISTINCT t.keyword, source, theme_name FROM trends t LEFT JOIN cl USING (keyword)), r AS (SELECT (SELECT count(*) FROM k) AS total_keywords, (SELECT count(source) FROM k) AS classified_keywords, (SELECT count(*) FROM k WHERE source IS NULL OR source = 'fallback') AS unclassified_keywords, (SELECT count(*) FROM trends) AS event_count,
-(SELECT max(published_at) FROM trends) AS latest_trend_at, (SELECT min(published_at) FROM trends) AS earliest_trend_at, (SELECT count(*) FROM news) AS total_news, (SELECT count(news_sentiment) FROM news) AS analyzed_news, (SELECT count(*) FROM prices) AS stock_rows, (SELECT max(date) FROM prices) AS latest_stock_date, (SELECT count(DISTINCT theme_name) FROM links) AS theme_count, (SELECT count(DISTINCT stock_id) FROM links) AS tracked_stock_count)
-SELECT *, CASE WHEN latest_trend_at < {NOW} - INTERVAL 24 HOUR THEN 'stale' ELSE 'pending' END AS health FROM r"""))
+@book.add(ad.sql("bursts links news prices", f"""{CLASS}, k AS (SELECT DISTINCT t.keyword, source, theme_name FROM bursts t LEFT JOIN cl USING (keyword)), r AS (SELECT (SELECT count(*) FROM k) AS total_keywords, (SELECT count(source) FROM k) AS classified_keywords, (SELECT count(*) FROM k WHERE source IS NULL OR source = 'fallback') AS unclassified_keywords, (SELECT count(*) FROM bursts) AS event_count,
+(SELECT max(published_at) FROM bursts) AS latest_burst_at, (SELECT min(published_at) FROM bursts) AS earliest_burst_at, (SELECT count(*) FROM news) AS total_news, (SELECT count(news_sentiment) FROM news) AS analyzed_news, (SELECT count(*) FROM prices) AS stock_rows, (SELECT max(date) FROM prices) AS latest_stock_date, (SELECT count(DISTINCT theme_name) FROM links) AS theme_count, (SELECT count(DISTINCT stock_id) FROM links) AS tracked_stock_count)
+SELECT *, CASE WHEN latest_burst_at < {NOW} - INTERVAL 24 HOUR THEN 'stale' ELSE 'pending' END AS health FROM r"""))
 def g32_system_status(s: SparkSession, d: str) -> DataFrame:
-    t = ad.trends(s, d).withColumn("fetched_at", F.col("published_at"))
+    t = ad.bursts(s, d).withColumn("fetched_at", F.col("published_at"))
     return cv.system_status(t, ad.news(s, d), classes(s, d), ad.prices(s, d), ad.links(s, d), now())
 
 
@@ -288,33 +326,40 @@ def g33_table_counts(s: SparkSession, d: str) -> DataFrame:
     return counts.join(ages, "table_name").select("table_name", "rows", cv.live_light(F.col("age") / 60, 60, 24 * 60).alias("light"))
 
 
-@book.add(ad.sql("trends", """SELECT 'trends' AS table_name, count(*) AS rows FROM trends WHERE published_at >= TIMESTAMP '1997-03-04 16:00:00' AND published_at < TIMESTAMP '1997-03-05 16:00:00' UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-04 16:00:00' AND l_shipdate < TIMESTAMP '1997-03-05 16:00:00'"""))
+@book.add(ad.sql("bursts", """SELECT 'bursts' AS table_name, count(*) AS rows FROM bursts WHERE published_at >= TIMESTAMP '1997-03-04 16:00:00' AND published_at < TIMESTAMP '1997-03-05 16:00:00' UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-04 16:00:00' AND l_shipdate < TIMESTAMP '1997-03-05 16:00:00'"""))
 def g34_new_rows(s: SparkSession, d: str) -> DataFrame:
     """Rows of one Taipei day by pushable UTC ranges."""
     start = ex.day_start_utc(F.lit("1997-03-05").cast("date")).cast("timestamp_ntz")
     end = ex.day_start_utc(F.lit("1997-03-06").cast("date")).cast("timestamp_ntz")
-    return cv.new_rows({"trends": (ad.trends(s, d), "published_at"), "lines": (ad.table(s, d, "lineitem"), "l_shipdate")}, start, end)
+    return cv.new_rows({"bursts": (ad.bursts(s, d), "published_at"), "lines": (ad.table(s, d, "lineitem"), "l_shipdate")}, start, end)
 
 
 @book.add(ad.sql("links heat_px", """p AS (SELECT theme_name, keyword, max(CAST(link_type = 'direct' AS INTEGER)) AS direct FROM links GROUP BY 1, 2), f AS (SELECT DISTINCT o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-07-28'), g AS (SELECT DISTINCT c_name AS keyword FROM f JOIN customer ON c_custkey = o_custkey)
 SELECT count(*) AS active, count(g.keyword) AS fresh, count(*) FILTER (direct = 1) AS direct, count(g.keyword) FILTER (direct = 1) AS direct_fresh FROM p LEFT JOIN g USING (keyword)"""))
 def g34_heat_coverage(s: SparkSession, d: str) -> DataFrame:
-    heat = ad.trends(s, d).select("keyword", F.to_date("published_at").alias("date"))
+    heat = ad.bursts(s, d).select("keyword", F.to_date("published_at").alias("date"))
     return cv.heat_coverage(ad.links(s, d), heat, F.lit("1998-07-31").cast("date"))
 
 
-@book.add()
+STOCK_AGE = "CASE WHEN stock_day >= expected THEN 'OK' WHEN stock_day >= expected - (CASE isodow(expected) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END) THEN 'WARN' ELSE 'FAIL' END"
+
+
+@book.add(ad.sql("bursts links prices", f"""pq AS (SELECT theme_name, keyword FROM links GROUP BY 1, 2), fq AS (SELECT DISTINCT keyword FROM bursts WHERE CAST(published_at AS DATE) >= DATE '1998-07-28'), cv AS (SELECT count(*) AS active, count(fq.keyword) AS fresh FROM pq LEFT JOIN fq USING (keyword)),
+nw AS (SELECT (SELECT max(published_at) FROM bursts) AS t, (SELECT max(date) FROM prices) AS stock_day, unnest([10, 90, 600, 3000]) AS m), x AS (SELECT t + to_minutes(m) AS now, m, stock_day, CAST(t AS DATE) AS heat_day, fresh / active AS ratio FROM nw, cv),
+y AS (SELECT *, CAST(now AS DATE) - CASE WHEN hour(now) * 60 + minute(now) >= 1110 THEN 0 ELSE 1 END AS e FROM x), z AS (SELECT *, e - greatest(CAST(isodow(e) AS INTEGER) - 5, 0) AS expected FROM y),
+g AS (SELECT now, CASE WHEN m <= 30 THEN 'OK' WHEN m <= 120 THEN 'WARN' ELSE 'FAIL' END AS rss, {STOCK_AGE} AS stocks, CASE WHEN heat_day < CAST(now AS DATE) - 3 OR ratio < 0.2 THEN 'FAIL' WHEN heat_day >= CAST(now AS DATE) - 1 AND ratio >= 0.8 THEN 'OK' ELSE 'WARN' END AS heat, CASE WHEN m / 60.0 > 26 THEN 'FAIL' ELSE 'OK' END AS etl FROM z)
+SELECT now, rss, stocks, heat AS bursts, etl, {' + '.join(f"CASE {c} WHEN 'OK' THEN 25 WHEN 'WARN' THEN 15 ELSE 0 END" for c in ('rss', 'stocks', 'heat', 'etl'))} AS score FROM g"""))
 def g35_component_health(s: SparkSession, d: str) -> DataFrame:
     """G35 at several moments of the data's last days."""
-    newest = ad.trends(s, d).agg(F.max("published_at").cast("timestamp").alias("t"))
+    newest = ad.bursts(s, d).agg(F.max("published_at").cast("timestamp").alias("t"))
     stock = ad.prices(s, d).agg(F.max("date").alias("stock_day"))
     cover = g34_heat_coverage(s, d).select("fresh", "active")
     facts = newest.crossJoin(stock).crossJoin(cover).select(F.explode(F.array(*[F.col("t") + F.make_interval(mins=F.lit(m)) for m in (10, 90, 600, 3000)])).alias("now"), "t", "stock_day", "fresh", "active")
     facts = facts.select("now", ((F.unix_timestamp("now") - F.unix_timestamp("t")) / 60).alias("rss_minutes"), F.lit(0).alias("warnings"), "stock_day", F.to_date("t").alias("heat_day"), "fresh", "active", ((F.unix_timestamp("now") - F.unix_timestamp("t")) / 3600).alias("etl_hours"), F.lit(0).alias("etl_exit"))
-    return cv.component_health(facts).select("now", "rss", "stocks", "trends", "etl", "score")
+    return cv.component_health(facts).select(F.col("now").cast("timestamp_ntz").alias("now"), "rss", "stocks", "bursts", "etl", "score")
 
 
-@book.add(ad.sql(fr.ALL, f"{qr.VOL}, {fr.QUIET_SQL}, ed AS (SELECT q.keyword, l.stock_id, DATE '2000-01-03' + CAST(date_diff('day', DATE '1994-12-31', q.date) % 400 + 1 AS INTEGER) AS date FROM quiet q JOIN links l USING (keyword) WHERE l.link_type = 'direct') SELECT ed.keyword, ed.stock_id, ed.date, {r6('before')}, {r6('after5')} FROM ed LEFT JOIN vt ON vt.stock_id = ed.stock_id AND vt.date = ed.date"))
+@book.add(ad.sql(fr.ALL, f"{qr.VOL}, {fr.LINKED_SQL}, {qr.DENSE_EVENTS} SELECT ed.keyword, ed.stock_id, ed.date, {r6('before')}, {r6('after5')} FROM ed LEFT JOIN vt ON vt.stock_id = ed.stock_id AND vt.date = ed.date"))
 def g36_volatility_at_events(s: SparkSession, d: str) -> DataFrame:
     v = rt.volatility(qr.dense(s, d), ad.BENCHMARK)
     return rounded(cv.volatility_at(qr.dense_events(s, d).drop("tone"), v).select("keyword", "stock_id", "date", "before", "after5"), "before", "after5")
@@ -343,9 +388,9 @@ def g43_stock_headlines(s: SparkSession, d: str) -> DataFrame:
     return rounded(out, "mean_excess", "normal", "difference", "mean_return")
 
 
-@book.add(ad.sql("trends news", "n AS (SELECT n.*, t.published_at FROM news n JOIN trends t USING (trend_id)) SELECT 'news' AS measure, 'total' AS label, count(*) AS value FROM n UNION ALL SELECT 'news', 'last_day', count(*) FROM n WHERE published_at >= TIMESTAMP '1998-07-01 12:00:00' UNION ALL SELECT 'sentiment', coalesce(news_sentiment, 'Unanalyzed'), count(*) FROM n GROUP BY 2"))
+@book.add(ad.sql("bursts news", "n AS (SELECT n.*, t.published_at FROM news n JOIN bursts t USING (burst_id)) SELECT 'news' AS measure, 'total' AS label, count(*) AS value FROM n UNION ALL SELECT 'news', 'last_day', count(*) FROM n WHERE published_at >= TIMESTAMP '1998-07-01 12:00:00' UNION ALL SELECT 'sentiment', coalesce(news_sentiment, 'Unanalyzed'), count(*) FROM n GROUP BY 2"))
 def l5_snapshot(s: SparkSession, d: str) -> DataFrame:
-    n = ad.news(s, d).join(ad.trends(s, d).select("trend_id", "published_at"), "trend_id")
+    n = ad.news(s, d).join(ad.bursts(s, d).select("burst_id", "published_at"), "burst_id")
     return cv.snapshot(n, F.expr("timestamp '1998-07-02 12:00:00'"))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heedstream.operators import coverage as cv
 from heedstream.operators import stats as st
 from heedstream.plans import frames as fr
 from heedstream.plans import jobs
 from heedstream.plans import queries_returns as qr
 from heedstream.plans._book import Book, r6, rounded
-from heedstream.plans.queries_stats import classes
 from heedstream.sources import adapters as ad
 from heedstream.streaming import streams as sm
 
@@ -22,31 +22,31 @@ def observed(s: SparkSession, d: str) -> DataFrame:
     """The events table as a stream."""
     path = f"{d}/events.parquet"
     rows = sm.read_files(s, f"{d}/events.parque[t]", s.read.parquet(path).schema)  # a pattern: the source takes a folder or a single file
-    return rows.select(F.col("user_id").alias("trend_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.floor("value").cast("long").alias("traffic"), "event_type", "event_id")
+    return rows.select(F.col("user_id").alias("burst_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.floor("value").cast("long").alias("traffic"), "event_type", "event_id")
 
 
 @book.add("SELECT CAST(user_id AS VARCHAR) AS keyword, CAST(ts AS DATE) AS day, min(ts) AS fetched_at, arg_max(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '+', row(ts, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '+')) AS approx_traffic FROM events GROUP BY 1, 2")
 def t1_collect(s: SparkSession, d: str) -> DataFrame:
-    polls = observed(s, d).select(F.col("trend_id").cast("string").alias("keyword"), F.date_trunc("day", "observed_at").alias("published_at"), F.col("observed_at").alias("fetched_at"), F.concat(F.col("traffic").cast("string"), F.lit("+")).alias("approx_traffic"))
-    trends, _ = sm.collect(polls, sm.work_folder(s))
-    return trends.select("keyword", F.to_date("published_at").alias("day"), F.col("fetched_at").cast(NTZ).alias("fetched_at"), "approx_traffic")
+    polls = observed(s, d).select(F.col("burst_id").cast("string").alias("keyword"), F.date_trunc("day", "observed_at").alias("published_at"), F.col("observed_at").alias("fetched_at"), F.concat(F.col("traffic").cast("string"), F.lit("+")).alias("approx_traffic"))
+    bursts, _ = sm.collect(polls, sm.work_folder(s))
+    return bursts.select("keyword", F.to_date("published_at").alias("day"), F.col("fetched_at").cast(NTZ).alias("fetched_at"), "approx_traffic")
 
 
-@book.add("SELECT user_id AS trend_id, event_type FROM events GROUP BY 1, 2")
+@book.add("SELECT user_id AS burst_id, event_type FROM events GROUP BY 1, 2")
 def t2_dedupe(s: SparkSession, d: str) -> DataFrame:
-    return sm.drain(sm.dedupe(observed(s, d), ["trend_id", "event_type"], "observed_at"), sm.work_folder(s)).select("trend_id", "event_type")
+    return sm.drain(sm.dedupe(observed(s, d), ["burst_id", "event_type"], "observed_at"), sm.work_folder(s)).select("burst_id", "event_type")
 
 
-CLOSED = "WITH x AS (SELECT user_id, ts, floor(value) AS v, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 60 MINUTE AS gap FROM events), g AS (SELECT *, sum(CAST(coalesce(gap, true) AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x) SELECT user_id AS trend_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS polls FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+CLOSED = "WITH x AS (SELECT user_id, ts, floor(value) AS v, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 60 MINUTE AS gap FROM events), g AS (SELECT *, sum(CAST(coalesce(gap, true) AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x) SELECT user_id AS burst_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS polls FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
 
 
 @book.add(CLOSED)
 def t3_list_sessions(s: SparkSession, d: str) -> DataFrame:
     out = sm.drain(sm.list_sessions(observed(s, d)), sm.work_folder(s))
-    return out.select("trend_id", F.col("first_seen").cast(NTZ).alias("first_seen"), F.col("last_seen").cast(NTZ).alias("last_seen"), "polls")
+    return out.select("burst_id", F.col("first_seen").cast(NTZ).alias("first_seen"), F.col("last_seen").cast(NTZ).alias("last_seen"), "polls")
 
 
-@book.add("SELECT user_id AS trend_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, count(*) AS polls FROM events GROUP BY 1, 2 HAVING CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) + 1 AS TIMESTAMP) - INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR")
+@book.add("SELECT user_id AS burst_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, count(*) AS polls FROM events GROUP BY 1, 2 HAVING CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) + 1 AS TIMESTAMP) - INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR")
 def t4_daily_counts(s: SparkSession, d: str) -> DataFrame:
     return sm.drain(sm.daily_counts(observed(s, d)), sm.work_folder(s))
 
@@ -59,19 +59,31 @@ def t5_freshness(s: SparkSession, d: str) -> DataFrame:
 
 @book.add("WITH l AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS keyword, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'signup'), q AS (SELECT *, lag(day) OVER (PARTITION BY keyword ORDER BY day) AS prev FROM l) SELECT keyword, day FROM q WHERE prev IS NULL OR day - prev > 3")
 def t6_new_listings(s: SparkSession, d: str) -> DataFrame:
-    rows = observed(s, d).where("event_type = 'signup'").select(F.col("trend_id").cast("string").alias("keyword"), "observed_at")
+    rows = observed(s, d).where("event_type = 'signup'").select(F.col("burst_id").cast("string").alias("keyword"), "observed_at")
     return sm.drain(sm.new_listings(rows), sm.work_folder(s))
 
 
 # ---- composed jobs ----
 
-@book.add(ad.sql(fr.ALL, f"{fr.BASE_SQL} SELECT stock_id, count(*) AS events, {r6('avg(return_5d)', 'mean_5d')}, {r6('avg(excess_10d)', 'mean_excess')}, {r6('any_value(normal_10d)', 'normal_10d')}, count(DISTINCT day0_date) AS days FROM events_perf GROUP BY 1"))
+@book.add()
 def g37_stock_dataset(s: SparkSession, d: str) -> DataFrame:
     """The pieces of every stock's dataset in one job, summed up by stock."""
     data = jobs.stock_datasets(ad.prices(s, d), fr.linked(s, d, None), ad.BENCHMARK)
     out = data["performance"].groupBy("stock_id").agg(F.count("*").alias("events"), F.avg("return_5d").alias("mean_5d"), F.avg("excess_10d").alias("mean_excess"))
     days = data["event_days"].groupBy("stock_id").agg(F.count("*").alias("days"))
-    return rounded(out.join(data["normal"].select("stock_id", "normal_10d"), "stock_id").join(days, "stock_id"), "mean_5d", "mean_excess", "normal_10d")
+    moves = data["volatility"].groupBy("stock_id").agg(F.count("move").alias("moves"), F.avg("move").alias("mean_move"))
+    lines = data["technicals"].groupBy("stock_id").agg(F.max_by("macd", "date").alias("last_macd"), F.count("rsi14").alias("rsi_days"))
+    for more in (data["normal"].select("stock_id", "normal_10d"), days, moves, lines):
+        out = out.join(more, "stock_id")
+    return rounded(out, "mean_5d", "mean_excess", "normal_10d", "mean_move", "last_macd")
+
+
+book.oracles["g37_stock_dataset"] = "WITH RECURSIVE " + ad.sql(fr.ALL, f"""{fr.BASE_SQL}, {qr.AR_ADJ}, mo AS (SELECT stock_id, count(ar) AS moves, avg(abs(ar)) AS mean_move FROM ar GROUP BY 1),
+px AS (SELECT stock_id, adj_close AS price, adj_close - lag(adj_close) OVER w AS ch, row_number() OVER w AS k FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
+em AS (SELECT stock_id, k, price AS e12, price AS e26 FROM px WHERE k = 1 UNION ALL SELECT px.stock_id, px.k, e.e12 * (1 - 2.0::DOUBLE / 13) + px.price * (2.0::DOUBLE / 13), e.e26 * (1 - 2.0::DOUBLE / 27) + px.price * (2.0::DOUBLE / 27) FROM em e JOIN px ON px.stock_id = e.stock_id AND px.k = e.k + 1),
+rs AS (SELECT stock_id, count(*) FILTER (k >= 15 AND (up > 0 OR down > 0)) AS rsi_days FROM (SELECT *, avg(greatest(ch, 0)) OVER g AS up, avg(greatest(-ch, 0)) OVER g AS down FROM px WINDOW g AS (PARTITION BY stock_id ORDER BY k ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) GROUP BY 1),
+lm AS (SELECT stock_id, arg_max(e12 - e26, k) AS last_macd FROM em GROUP BY 1), ep AS (SELECT stock_id, count(*) AS events, avg(return_5d) AS mean_5d, avg(excess_10d) AS mean_excess, any_value(normal_10d) AS normal_10d, count(DISTINCT day0_date) AS days FROM events_perf GROUP BY 1)
+SELECT stock_id, events, {r6('mean_5d')}, {r6('mean_excess')}, {r6('normal_10d')}, days, moves, {r6('mean_move')}, {r6('last_macd')}, rsi_days FROM ep JOIN mo USING (stock_id) JOIN lm USING (stock_id) JOIN rs USING (stock_id)""").removeprefix("WITH ")
 
 
 @book.add(ad.sql(fr.ALL, f"{qr.PATHS} SELECT 'paths' AS part, CAST(off AS VARCHAR) AS label, {r6('ap', 'value')}, n FROM ag UNION ALL SELECT 'events', 'quiet', NULL, count(*) FROM quiet"))
@@ -82,31 +94,61 @@ def g38_study(s: SparkSession, d: str) -> DataFrame:
     return rounded(p.union(e), "value")
 
 
-@book.add(ad.sql("trends news links prices", f"""fe AS (SELECT stock_id, date, lead(close, 1) OVER w / close - 1 AS r1, lead(close, 3) OVER w / close - 1 AS r3, lead(close, 5) OVER w / close - 1 AS r5, lead(close, 10) OVER w / close - 1 AS r10 FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
-ev AS (SELECT DISTINCT t.trend_id, n.news_id, l.stock_id, CAST(t.published_at AS DATE) AS date FROM trends t JOIN news n USING (trend_id) JOIN links l USING (keyword) WHERE l.link_type = 'direct'), al AS (SELECT f.* FROM ev ASOF JOIN fe f ON ev.stock_id = f.stock_id AND ev.date <= f.date),
+@book.add(ad.sql("bursts news links prices", f"""fe AS (SELECT stock_id, date, lead(close, 1) OVER w / close - 1 AS r1, lead(close, 3) OVER w / close - 1 AS r3, lead(close, 5) OVER w / close - 1 AS r5, lead(close, 10) OVER w / close - 1 AS r10 FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
+ev AS (SELECT DISTINCT t.burst_id, n.news_id, l.stock_id, CAST(t.published_at AS DATE) AS date FROM bursts t JOIN news n USING (burst_id) JOIN links l USING (keyword) WHERE l.link_type = 'direct'), al AS (SELECT f.* FROM ev ASOF JOIN fe f ON ev.stock_id = f.stock_id AND ev.date <= f.date),
 long AS (SELECT unnest([{{'h': 1, 'r': r1}}, {{'h': 3, 'r': r3}}, {{'h': 5, 'r': r5}}, {{'h': 10, 'r': r10}}]) AS x FROM al)
 SELECT x.h AS holding_days, count(*) AS events, {r6('avg(x.r) * 100', 'mean_pct')}, {r6('avg(CASE WHEN x.r > 0 THEN 1.0 ELSE 0.0 END) * 100', 'win_rate_pct')}, {r6('max(x.r) * 100', 'max_gain_pct')}, {r6('min(x.r) * 100', 'max_loss_pct')} FROM long WHERE x.r IS NOT NULL GROUP BY 1"""))
 def g40_event_study(s: SparkSession, d: str) -> DataFrame:
     """The event frame written as the analysis table (S21), read back and summarised (G1)."""
-    rows = ad.trends(s, d).join(ad.news(s, d), "trend_id").join(ad.links(s, d).where("link_type = 'direct'"), "keyword").select("trend_id", "news_id", "keyword", "stock_id", F.to_date("published_at").alias("date"), "news_sentiment")
+    rows = ad.bursts(s, d).join(ad.news(s, d), "burst_id").join(ad.links(s, d).where("link_type = 'direct'"), "keyword").select("burst_id", "news_id", "keyword", "stock_id", F.to_date("published_at").alias("date"), "news_sentiment")
     table = jobs.event_analysis(rows, ad.prices(s, d), f"{sm.work_folder(s)}/event_analysis")
     return rounded(st.holding_summary(table, "future_return"), "mean_pct", "win_rate_pct", "max_gain_pct", "max_loss_pct")
 
 
-@book.add()
+NOBODY = "k % 5 = 0 OR k % 4 = 0"
+UPDATE = f"""kb AS (SELECT DISTINCT c_custkey AS k, c_name AS keyword, c_mktsegment AS segment FROM customer JOIN bursts ON keyword = c_name),
+rs AS (SELECT k, keyword, segment, CASE WHEN k % 3 = 0 THEN '科技類' ELSE segment END AS theme_name FROM kb WHERE ({NOBODY}) AND k % 3 < 2), ru AS (SELECT k, keyword, segment, CASE WHEN k % 2 = 0 THEN segment ELSE '其他' END AS theme_name FROM kb WHERE ({NOBODY}) AND k % 3 = 2),
+cz AS (SELECT keyword, theme_name, source FROM cl WHERE keyword NOT IN (SELECT keyword FROM rs) AND keyword NOT IN (SELECT keyword FROM ru) UNION ALL SELECT keyword, theme_name, 'found' FROM rs UNION ALL SELECT keyword, theme_name, CASE WHEN k % 2 = 0 THEN 'theme_mapping' ELSE 'fallback' END FROM ru),
+td AS (SELECT burst_id, CAST(published_at AS DATE) AS date, theme_name FROM bursts JOIN cz USING (keyword)), ke AS (SELECT date, theme_name FROM td UNION SELECT td.date, coalesce(cz.theme_name, '其他') FROM news JOIN td USING (burst_id) JOIN bursts b USING (burst_id) LEFT JOIN cz ON cz.keyword = b.keyword UNION SELECT date, keyword FROM heat_px)"""
+
+
+@book.add(ad.sql("bursts news heat_px", f"""{ad.CLASS}, {UPDATE}
+SELECT 'mapping' AS step, (SELECT count(*) FROM (SELECT DISTINCT p_brand FROM part)) AS rows UNION ALL SELECT 'resolved', (SELECT count(*) FROM rs) UNION ALL SELECT 'entities', (SELECT count(*) FROM rs) UNION ALL SELECT 'rules', (SELECT count(*) FROM ru) UNION ALL SELECT 'classified', (SELECT count(*) FROM cz)
+UNION ALL SELECT 'enriched', (SELECT count(*) FROM news WHERE news_sentiment IS NULL AND news_id % 3 = 0) UNION ALL SELECT 'rolled', (SELECT count(*) FROM news JOIN bursts USING (burst_id)) UNION ALL SELECT 'daily_stats', (SELECT count(*) FROM ke)
+UNION ALL SELECT 'retired', (SELECT count(*) FROM cl JOIN customer ON c_name = keyword WHERE source = 'fallback' AND keyword IN (SELECT keyword FROM ru))
+UNION ALL SELECT 'unclassified', (SELECT count(*) FROM (SELECT DISTINCT keyword FROM bursts) LEFT JOIN cz USING (keyword) WHERE source IS NULL OR source = 'fallback')"""))
 def g41_daily_update(s: SparkSession, d: str) -> DataFrame:
-    """The daily update's data part in order, with row counts by step and the daily statistics written by day."""
-    links = ad.links(s, d)
-    t = ad.trends(s, d)
-    known = ad.table(s, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_name").alias("keyword"), F.col("c_mktsegment").alias("theme_name"))
-    return jobs.daily_update(t, ad.news(s, d), links, classes(s, d), known, ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("trend_score")), f"{sm.work_folder(s)}/theme_daily_stats")
+    """The whole daily update over planted tables, and how many rows each step made."""
+    c, k = ad.table(s, d, "customer"), F.col("c_custkey")
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    none = lambda kind: F.lit(None).cast(kind)
+    csv = ad.table(s, d, "part").select(F.lit("科技類").alias("theme_name"), F.col("p_brand").alias("keyword"), F.lit("1001").alias("stock_id"), F.lit("科技類").alias("category")).distinct()
+    news = ad.news(s, d).withColumns({"sentiment_score": F.when(F.col("news_sentiment").isNotNull(), 0.5), "event_type": F.when(F.col("news_sentiment").isNotNull(), "kept")})
+    suppliers = ad.table(s, d, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("keyword"), F.lit("company").alias("type"), ad.stock_code(F.col("s_suppkey")).alias("stock_id"))
+    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("burst_score"))
+    tables = {
+        "mapping": csv.where("keyword like '%1'").select("theme_name", "keyword", "stock_id", "category", F.lit("theme").alias("link_type")), "csv": csv, "bursts": ad.bursts(s, d), "news": news, "classified": ad.classes(s, d).select("keyword", "theme_name", "source"), "aliases": suppliers,
+        "seeds": c.where("c_custkey % 3 = 0").select(k.alias("ordinal"), name.alias("alias"), name.alias("entity_name"), F.lit("產業").alias("entity_type"), F.lit("").alias("stock_id"), F.lit("半導體").alias("industry"), none("string").alias("theme_name")),
+        "official": suppliers.select("stock_id", F.col("keyword").alias("name")), "industries": ad.table(s, d, "nation").select(F.col("n_name").alias("keyword")),
+        "predictions": c.where("c_custkey % 3 = 1").select(name.alias("keyword"), name.alias("canonical_entity"), F.lit("產業").alias("entity_type"), F.lit("").alias("stock_id"), F.lit("").alias("industry"), segment.alias("theme_name"), F.lit("0.9").alias("confidence_score")),
+        "themes": c.where("c_custkey % 3 = 2 and c_custkey % 2 = 0").select(k.alias("ordinal"), name.alias("keyword"), segment.alias("theme_name"), F.lit("x").alias("sub_theme"), F.lit("1001").alias("stock_id")),
+        "links": ad.classes(s, d).where("source = 'fallback'").select(F.lit("其他").alias("theme_name"), "keyword", none("string").alias("stock_id"), none("string").alias("link_type"), F.lit(1).alias("active")),
+        "news_predictions": news.where("news_id % 3 = 0").select("news_id", F.lit("Neutral").alias("news_sentiment"), F.lit(0.25).alias("sentiment_score"), F.lit("model").alias("event_type")), "heat": heat, "prices": ad.prices(s, d),
+    }
+    segments = [r[0] for r in c.select("c_mktsegment").distinct().collect()]
+    out = jobs.daily_update(tables, ["產業"], segments, F.expr("timestamp '1998-08-03 20:00:00'"), f"{sm.work_folder(s)}/theme_daily_stats")
+    counted = {n: out[n] for n in ("mapping", "resolved", "entities", "rules", "classified", "rolled", "daily_stats")}
+    counted["enriched"] = out["news"].where("event_type = 'model'")
+    counted["retired"] = out["links"].where("active = 0")
+    rows = cv.table_counts(counted).withColumnRenamed("table_name", "step")
+    return rows.union(out["status"].select(F.lit("unclassified"), "unclassified_keywords"))
 
 
 @book.add()
 def s22_daily_stats_table(s: SparkSession, d: str) -> DataFrame:
     """Daily statistics written by partition twice; the second writing replaces only its own days."""
-    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("trend_score"))
-    rows = heat.groupBy("date", "theme_name").agg(F.avg("trend_score").alias("avg_score"))
+    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("burst_score"))
+    rows = heat.groupBy("date", "theme_name").agg(F.avg("burst_score").alias("avg_score"))
     path = f"{sm.work_folder(s)}/stats"
     jobs.write_months(rows, path)
     jobs.write_months(rows.where("month(date) = 3").withColumn("avg_score", F.col("avg_score") + 1), path)

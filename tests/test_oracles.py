@@ -1,5 +1,6 @@
 """Every registered query of the library proper against its SQL in DuckDB, on the smallest tables."""
 
+import decimal
 import os
 
 import duckdb
@@ -11,7 +12,7 @@ from heedstream import registry
 def plain(x):
     if x is None or isinstance(x, float) and x != x:
         return None
-    if isinstance(x, (bool, int, float)):
+    if isinstance(x, (bool, int, float, decimal.Decimal)):
         return round(float(x), 9) + 0.0
     return str(x)[:26].replace(" 00:00:00", "")
 
