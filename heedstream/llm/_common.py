@@ -5,9 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder
-    of this machine becomes the checkpoint folder.
+    Where a session of one process (master ``local``, as in tests) names none,
+    a temporary folder becomes the checkpoint folder; a cluster must name one.
     """
     own = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if own is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(own)
@@ -34,16 +37,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The table cuts the lineage: a lost executor never has to repeat what
-    led to it.
+    led to it. ``spent`` are staged tables that were needed for this one
+    only; their files are deleted once it is written.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for table in spent:
+        drop_table(spark, table.staged_at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -108,15 +116,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+#: Longer tables of powers are made anew for the text that needs them and not kept.
+_KEPT_POWERS = 1 << 20
 
 
 def _table(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        out = np.full(size, base, dtype=np.uint64)
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
-        have = _powers[name] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out, out=out)
+        if len(have) <= _KEPT_POWERS:
+            _powers[name] = have
     return have[:n]
 
 
@@ -133,6 +144,9 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * down[start])
 
 
+ROUNDS = 60
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", name: str = "component") -> DataFrame:
     """Connected components of an edge list: rows (id, ``name``).
 
@@ -142,26 +156,31 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", name: str =
     once) and by another hash in each odd round (so that chains shrink too),
     contracts the edges and writes them to the shared folder. No node's
     neighbours are gathered: every step is an aggregation or an equi-join
-    with a unique right side. Null ids and loops are left out.
+    with a unique right side. Null ids and loops are left out. The number of
+    rounds grows with the logarithm of the longest path; work that isn't
+    finished after ``ROUNDS`` of them raises an error.
     """
     spark = edges.sparkSession
     clean = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).where("a <> b")
     nodes = None
     current = stage_table(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    for step in range(60):
+    for step in range(ROUNDS + 1):
         if current.isEmpty():
             break
+        if step == ROUNDS:
+            raise RuntimeError(f"components aren't settled after {ROUNDS} rounds")
         both = current.union(current.select("b", "a"))
         order = lambda c: F.struct((F.xxhash64(c, F.lit(step)) if step % 2 else c).alias("h"), c.alias("v"))  # noqa: B023, E731
         hook = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
         hook = hook.select(F.col("a").alias("id"), F.least(F.col("m"), order(F.col("a"))).getField("v").alias("up"))
         hook = stage_table(_jump(hook), "hooks")
-        nodes = hook if nodes is None else stage_table(
-            nodes.join(hook.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up")), "nodes")
+        first = nodes is None
+        nodes = hook if first else stage_table(
+            nodes.join(hook.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up")), "nodes", [nodes])
         up_a = hook.select(F.col("id").alias("a"), F.col("up").alias("x"))
         up_b = hook.select(F.col("id").alias("b"), F.col("up").alias("y"))
         moved = current.join(up_a, "a").join(up_b, "b").where("x <> y")
-        current = stage_table(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        current = stage_table(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", [current] if first else [current, hook])
     if nodes is None:
         return current.select(F.col("a").alias("id"), F.col("b").alias(name)).limit(0)
     least = nodes.groupBy("up").agg(F.min("id").alias(name))
