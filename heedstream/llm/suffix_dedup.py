@@ -14,7 +14,8 @@ follow each other and share an anchor make one segment.
 1. Segments are range-partitioned (Spark samples the splitters) and sorted
    by anchor gram and content digest. A gram that occurs once ends here:
    none of its windows repeats. Of segments with equal content all but the
-   earliest repeat whole.
+   earliest repeat whole; content is equal where the 64-bit hash of the gram
+   and a 64-bit digest of the bytes, their number and the anchor's place agree.
 2. The earliest segments of grams with several contents are the suffixes
    that remain. They are range-partitioned by the leading tokens of the
    suffix at their anchor, again with sampled splitters; a gram of more than
@@ -28,8 +29,9 @@ Null and empty texts have no bytes and lose none. Rows that repeat an id
 with another text are ordered by a hash of the text; rows equal in both are
 one document and have the same result. Rows without an id are documents of
 their own, even where their texts are equal, and come after all others in the
-order of a number that they are given. Long texts are taken whole. An empty
-table gives no rows.
+order of a number that they are given. Long texts are taken whole, their
+windows in stretches of ``STRETCH`` starts; a segment that a stretch cuts is
+two segments. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,8 +49,10 @@ from heedstream.llm._common import lean, mix, prefix_sums, range_hash, stage_tab
 WIDTH, GRAM = 100, 32
 #: Rows, and windows, that a task works on at a time.
 SCAN_ROWS, SORT_WINDOWS = 200_000, 100_000
-#: Segments of one gram from which on it is split.
-HOT_GRAM = 20_000
+#: Segments of one gram from which on it is split; up to so many such grams are broadcast, more are joined.
+HOT_GRAM, HOT_LIST = 20_000, 100_000
+#: Starts of windows that are anchored at a time, and the bits that hold a place among them.
+STRETCH, PLACE_BITS = 1 << 19, 21
 #: Stands for the id of rows that have none; their ``tx`` tells them from a row of this id.
 LAST = (1 << 63) - 1
 
@@ -65,6 +69,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Cuts a chunk that is one long text into (first byte, bytes, offsets) that overlap by all but one byte of a window."""
+    if len(offsets) > 2 or len(data) < STRETCH + width:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data) - width + 1, STRETCH):
+        own = data[at : at + STRETCH + width - 1]
+        yield at, own, np.array([0, len(own)])
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Segments of a chunk: (text, start in the text, windows, anchor's distance, gram hash, content digest)."""
     none = np.zeros(0, np.int64)
@@ -73,8 +87,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tu
     sums = prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
     hashes = range_hash(sums, at, at + gram)
-    bits = np.uint64(max(20, int(len(data)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     anchor = (sliding_min((hashes & ~low) | at.astype(np.uint64), width - gram + 1) & low).astype(np.int64)
     size = np.diff(offsets)
     # windows that reach over the end of their text
@@ -94,7 +107,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tu
     own = anchor[start]
     text = np.searchsorted(offsets, start, side="right") - 1
     digest = range_hash(sums, start, start + count + (width - 1)) + mix((count * 4096 + own - start).astype(np.uint64))
-    return text, start - offsets[text], count, own - start, hashes[own].view(np.int64), mix(digest).astype(np.uint32).view(np.int32)
+    return text, start - offsets[text], count, own - start, hashes[own].view(np.int64), mix(digest).view(np.int64)
 
 
 def multikey_sort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +196,9 @@ def _runs(doc: np.ndarray, tx: np.ndarray, p: np.ndarray, width: int) -> tuple[n
 
 
 def _sort_windows(width: int):  # noqa: ANN202
-    """Buckets of segments sorted by leading tokens to repeating ranges (w null) and windows to be compared across boundaries."""
-    names = ["doc_id", "tx", "lo", "hi", "w"]
+    """Buckets of segments sorted by leading tokens to the repeating ranges of a text (w null) and windows to be compared across boundaries."""
+    names = ["doc_id", "tx", "ranges", "lo", "w"]
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, open_first, open_last in _sorted_chunks(batches, ["t0", "t1", "h", "part"], SORT_WINDOWS, lambda t: int(np.sum(t.column("n").to_numpy())), edges=False):
@@ -211,12 +225,17 @@ def _sort_windows(width: int):  # noqa: ANN202
             order, same = multikey_sort(np.ascontiguousarray(grid).view(">u8").astype(np.uint64))
             repeats = order[same]
             d, t, lo, hi = _runs(doc[repeats], tx[repeats], p[repeats], width)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(lo), pa.array(hi), pa.nulls(len(d), pa.binary())], names)
+            # one row for each text of the chunk
+            new = np.ones(len(d), dtype=bool)
+            new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+            at = np.flatnonzero(new)
+            ranges = pa.ListArray.from_arrays(pa.array(np.append(at, len(d)), pa.int32()), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"]))
+            yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(t[at]), ranges.cast(kind), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], names)
             left = order[~same]
             left = left[opened[row[left]]]
             if len(left):
                 w = pa.array([x.tobytes() for x in grid[left, :width]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(doc[left]), pa.array(tx[left]), pa.array(p[left]), pa.array(p[left] + width), w], names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[left]), pa.array(tx[left]), pa.nulls(len(left), kind), pa.array(p[left]), w], names)
 
     return run
 
@@ -244,23 +263,24 @@ def _cut_segments(width: int):  # noqa: ANN202
 
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """Rows (doc_id, tx, lo, hi): byte ranges of repeating windows; they may overlap. ``docs`` has doc_id, tx, text."""
+    """Rows (doc_id, tx, ranges): byte ranges (lo, hi) of repeating windows; they may overlap, and a text may have several rows. ``docs`` has doc_id, tx, text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, txs = batch.column("doc_id"), batch.column("tx")
-            for first, _, data, offsets in text_chunks(batch, "text"):
-                text, s, n, o, h, g = segments(data, offsets, width, gram)
-                rows = pa.array(text + first)
+            for first, at, text, s, n, o, h, g in ((first, at, *segments(part, ends, width, gram)) for first, _, data, offsets in text_chunks(batch, "text") for at, part, ends in stretches(data, offsets, width)):
+                rows, s = pa.array(text + first), s + at
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), ids.take(rows), txs.take(rows), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(o.astype(np.int16))], ["h", "g", "doc_id", "tx", "s", "n", "o"])
 
-    anchored = stage_table(docs.mapInArrow(lean(cut), "h long, g int, doc_id long, tx long, s int, n short, o short"), "segments")
+    anchored = stage_table(docs.mapInArrow(lean(cut), "h long, g long, doc_id long, tx long, s int, n short, o short"), "segments")
     ordered = anchored.repartitionByRange("h", "g", "doc_id", "tx", "s").sortWithinPartitions("h", "g", "doc_id", "tx", "s")
-    decided = stage_table(ordered.mapInArrow(lean(_collapse), "doc_id long, tx long, s int, n short, o short, h long, kind int"), "decided")
-    whole = decided.where("kind = 0").select("doc_id", "tx", F.col("s").cast("long").alias("lo"), (F.col("s") + F.col("n") + (width - 1)).cast("long").alias("hi"))
+    decided = stage_table(ordered.mapInArrow(lean(_collapse), "doc_id long, tx long, s int, n short, o short, h long, kind int"), "decided", [anchored])
+    span = lambda lo, hi: F.array(F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))).alias("ranges")
+    whole = decided.where("kind = 0").select("doc_id", "tx", span(F.col("s"), F.col("s") + F.col("n") + (width - 1)))
 
     left = decided.where("kind = 1")
-    hot = left.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT_GRAM)
+    hot = stage_table(left.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT_GRAM), "hot")
+    hot = F.broadcast(hot) if hot.count() <= HOT_LIST else hot
     # -1: the gram is whole in one bucket
     part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / HOT_GRAM)), F.lit(-1)).cast("int").alias("part")
     left = left.join(hot, "h", "left").select("doc_id", "tx", "s", "n", "o", "h", part)
@@ -268,11 +288,11 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     rest = stage_table(docs.join(places, ["doc_id", "tx"]).select("doc_id", "tx", "text", "places").mapInArrow(lean(_cut_segments(width)), "t0 long, t1 long, h long, part int, doc_id long, tx long, s int, n int, segment binary"), "suffixes")
     key = ["t0", "t1", "h", "part"]
     ordered = rest.repartitionByRange(*key).sortWithinPartitions(*key, "doc_id", "tx", "s")
-    compared = stage_table(ordered.mapInArrow(lean(_sort_windows(width)), "doc_id long, tx long, lo long, hi long, w binary"), "compared")
-    inside = compared.where("w is null").drop("w")
+    compared = stage_table(ordered.mapInArrow(lean(_sort_windows(width)), "doc_id long, tx long, ranges array<struct<lo:bigint,hi:bigint>>, lo long, w binary"), "compared", [rest])
+    inside = compared.where("w is null").select("doc_id", "tx", "ranges")
     across = compared.where("w is not null")
     first = across.groupBy("w").agg(F.min(F.struct("doc_id", "tx", "lo")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    over = across.join(first.select("w", "first"), "w").where(F.struct("doc_id", "tx", "lo") != F.col("first")).select("doc_id", "tx", "lo", "hi")
+    over = across.join(first.select("w", "first"), "w").where(F.struct("doc_id", "tx", "lo") != F.col("first")).select("doc_id", "tx", span(F.col("lo"), F.col("lo") + width))
     return whole.unionByName(inside).unionByName(over)
 
 
@@ -325,7 +345,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         # written once, so that the numbers stay
         parts.append(stage_table(full.where("doc_id is null").select(F.lit(LAST).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tx"), "text", "carried"), "nameless"))
         own = own.unionByName(parts[1].select("doc_id", "tx", "text").where("text is not null"))
-    ranges = repeated_ranges(own, width, gram).groupBy("doc_id", "tx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_ranges(own, width, gram).groupBy("doc_id", "tx").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     schema = f"doc_id long, tx long, carried {full.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:bigint,hi:bigint>>, kept_text string"
     out = [part.join(ranges, ["doc_id", "tx"], "left").select("doc_id", "tx", "text", "ranges", "carried").mapInArrow(lean(_apply), schema) for part in parts]
     return out[0].unionByName(out[1].withColumn("doc_id", F.lit(None).cast("long"))) if nameless else out[0]
