@@ -9,9 +9,13 @@ is the only one). Texts link when 100 * |A & B| >= percent * |A | B|.
    hashes; the met pair is compared exactly. Links join classes, so that a
    group of copies that all resemble its first member is settled in a number
    of comparisons that grows with its size and not with its square.
-3. Nothing may be missed: two sets that link share one of the least
-   n - ceil(percent * n / 100) + 1 hashes of each. Tiles of these prefixes
-   that hold classes not yet joined are ordered by set size, which bands
+3. Nothing may be missed: two sets that link share one of the first
+   n - ceil(percent * n / 100) + 1 shingles of each, in any order that all
+   sets have in common. The order puts shingles that very many documents have
+   last: a table of fixed size holds, by the hash's place, how common its
+   shingles are (``PLACES`` levels, counted over all documents). It needn't be
+   exact, since any common order is right, and keeps the lines and passages
+   that a corpus repeats out of the tiles. Tiles of these prefixes that hold classes not yet joined are ordered by set size, which bands
    them: a class meets only classes of a size that can link. A signature
    has a bit for each of its places, flipped by every shingle hashed there;
    the bits in which two signatures differ are at most the shingles of one
@@ -44,10 +48,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heedstream.llm._common import components, lean, mix, stage_table, text_chunks
-from heedstream.llm.shingles import shingle_sets
+from heedstream.llm.shingles import shingle_hashes, shingle_sets, words
 
 #: Words of a shingle, least similarity in percent, bits of a tile's signature, hashes of the first meeting.
 WIDTH, PERCENT, BITS, HEAD = 5, 80, 1024, 8
+#: Places of the table of common shingles; its size is fixed, one byte for each.
+PLACES = 1 << 22
 #: Rows of a tile that are compared in one task; larger tiles are cut into blocks, and block meets block.
 TILE_ROWS = 16_384
 
@@ -56,8 +62,8 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def describe(data: np.ndarray, offsets: np.ndarray, width: int, percent: int) -> tuple:
-    """For each text: set size, two set keys, prefix hashes (values, offsets), signature bytes, longer signature or None."""
+def describe(data: np.ndarray, offsets: np.ndarray, width: int, percent: int, levels: np.ndarray) -> tuple:
+    """For each text: set size, two set keys, least hashes and prefix (values, offsets each), signature bytes, longer signature or None."""
     value, ends = shingle_sets(data, offsets, width)
     n = np.diff(ends)
     some = np.flatnonzero(n)
@@ -70,10 +76,40 @@ def describe(data: np.ndarray, offsets: np.ndarray, width: int, percent: int) ->
     small = _parities(value, owner, np.full(len(n), BITS))
     bits = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) >> 1)
     large = _parities(value, owner, bits)
-    take = np.where(n > 0, prefix_length(n, percent), 0)
+    ranked = value[np.argsort(owner * 256 + levels[(value & np.uint64(PLACES - 1)).astype(np.int64)], kind="stable")]
+    head, prefix = _firsts(value, ends, np.minimum(n, HEAD)), _firsts(ranked, ends, np.where(n > 0, prefix_length(n, percent), 0))
+    return n, keys, head, prefix, small, [x if b > BITS else None for x, b in zip(large, bits.tolist(), strict=True)]
+
+
+def _firsts(value: np.ndarray, ends: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``take`` values of each owner: (values, offsets)."""
     upto = np.concatenate([[0], np.cumsum(take)])
-    at = np.arange(upto[-1]) - np.repeat(upto[:-1] - ends[:-1], take)
-    return n, keys, value[at], upto, small, [x if b > BITS else None for x, b in zip(large, bits.tolist(), strict=True)]
+    return value[np.arange(upto[-1]) - np.repeat(upto[:-1] - ends[:-1], take)], upto
+
+
+def _common(docs: DataFrame, width: int) -> np.ndarray:
+    """How common the shingles of each place are: 0, or the binary order of their number over all documents.
+
+    A task hands on the places at which it meets clearly more shingles than
+    chance puts there; sums by place, at most ``PLACES`` of them, reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(PLACES, dtype=np.int64)
+        total = 0
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch, "text"):
+                every = shingle_hashes(words(data, offsets)[0], width)
+                np.add.at(counts, (every & np.uint64(PLACES - 1)).astype(np.int64), 1)
+                total += len(every)
+        mean = total / PLACES
+        at = np.flatnonzero(counts > 8 + mean + 8 * mean**0.5)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["place", "n"])
+
+    found = docs.select("text").mapInArrow(lean(run), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    levels = np.zeros(PLACES, dtype=np.uint8)
+    levels[found["place"].to_numpy(np.int64)] = np.ceil(np.log2(found["n"].to_numpy(np.float64)))
+    return levels
 
 
 def _parities(value: np.ndarray, owner: np.ndarray, bits: np.ndarray) -> list[bytes]:
@@ -95,17 +131,20 @@ def differing_bits(a: bytes, b: bytes) -> int:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    levels = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
+    hashes = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch, "text"):
-                n, keys, value, upto, small, large = describe(data, offsets, width, percent)
+                n, keys, head, prefix, small, large = describe(data, offsets, width, percent, levels.value)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id")[first:end], pa.array(n, pa.int32()), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(value.view(np.int64))), pa.array(small, pa.binary()), pa.array(large, pa.binary()),
-                ], ["doc_id", "n", "k1", "k2", "prefix", "signature", "long_signature"])
+                    hashes(*head), hashes(*prefix), pa.array(small, pa.binary()), pa.array(large, pa.binary()),
+                ], ["doc_id", "n", "k1", "k2", "head", "prefix", "signature", "long_signature"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(lean(run), "doc_id long, n int, k1 long, k2 long, prefix array<long>, signature binary, long_signature binary")
+    return source.mapInArrow(lean(run), "doc_id long, n int, k1 long, k2 long, head array<long>, prefix array<long>, signature binary, long_signature binary")
 
 
 def _ends(pairs: DataFrame, name: str) -> DataFrame:
@@ -139,8 +178,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 sides = []
-                for c in ("x", "y"):
-                    sides.append([value[ends[k] : ends[k + 1]] for _, _, data, offsets in text_chunks(batch, c) for value, ends in [shingle_sets(data, offsets, width)] for k in range(len(ends) - 1)])
+                for c, i in (("x", "a"), ("y", "b")):
+                    # a first member meets many others: its set is made once for each slice
+                    ids, place = np.unique(batch.column(i).to_numpy(), return_index=True)
+                    part = batch.take(pa.array(place))
+                    sets = [value[ends[k] : ends[k + 1]] for _, _, data, offsets in text_chunks(part, c) for value, ends in [shingle_sets(data, offsets, width)] for k in range(len(ends) - 1)]
+                    sides.append([sets[k] for k in np.searchsorted(ids, batch.column(i).to_numpy())])
                 keep = []
                 for p, q in zip(*sides, strict=True):
                     place = np.searchsorted(q, p)
@@ -184,22 +227,38 @@ def _tile_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
+class _Recent:
+    """Pairs of a task without most of the repeats: two arrays of fixed size hold those met last, by a hash's place."""
+
+    def __init__(self, places: int = 1 << 19) -> None:
+        self.a, self.b = np.full(places, -1, np.int64), np.full(places, -1, np.int64)
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((b, a))
+        a, b = a[order].astype(np.int64), b[order].astype(np.int64)
+        first = np.ones(len(a), dtype=bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        place = (mix(a.view(np.uint64) * np.uint64(31) + b.view(np.uint64)) & np.uint64(len(self.a) - 1)).astype(np.int64)
+        first &= (self.a[place] != a) | (self.b[place] != b)
+        a, b, place = a[first], b[first], place[first]
+        # of pairs that share a place the last one stays there, both halves of it
+        last = len(place) - 1 - np.unique(place[::-1], return_index=True)[1]
+        self.a[place[last]], self.b[place[last]] = a[last], b[last]
+        return a, b
+
+
 def _candidates(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the sizes, ranks and signatures allow, from rows sorted by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        seen: set[tuple[int, int]] = set()
+        recent = _Recent()
 
         def pairs(part: pa.Table) -> pa.RecordBatch:
             a, b = _tile_pairs(part, percent)
             rep = part.column("rep").to_numpy()
-            x = np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], axis=1) if len(a) else np.zeros((0, 2), np.int64)
-            x = np.unique(x, axis=0)
-            new = [p for p in map(tuple, x.tolist()) if p not in seen]
-            if len(seen) < 1_000_000:  # what is forgotten is made distinct later
-                seen.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+            a, b = recent.new(np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             part = pa.table(batch) if not isinstance(batch, pa.RecordBatch) else pa.Table.from_batches([batch])
@@ -269,22 +328,25 @@ def _components(docs: DataFrame, width: int, percent: int, rounds: int) -> DataF
 
     for _ in range(rounds):
         own = labels()
-        heads = sets.select(F.col("doc_id").alias("rep"), F.slice("prefix", 1, HEAD).alias("head")).join(own, "rep").select("rep", "label", F.explode("head").alias("tok"))
+        heads = sets.select(F.col("doc_id").alias("rep"), "head").join(own, "rep").select("rep", "label", F.explode("head").alias("tok"))
         met = stage_table(_may_link(_first_meeting(heads), sets, percent), "met")
-        new = stage_table(_linked(met, docs, width, percent), "links")
+        new = stage_table(_linked(met, docs, width, percent), "links", [met])
         links = new if links is None else links.union(new)
 
     own = labels()
     each = sets.select(F.col("doc_id").alias("rep"), "n", "prefix").join(own, "rep").select("rep", "label", "n", F.posexplode("prefix").alias("rank", "tok"))
     open_tiles = each.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    rows = each.join(open_tiles.select("tok", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks")), "tok")
+    # a table of its own, so that the join may split the rows of a token that very many classes have
+    open_tiles = stage_table(open_tiles.select("tok", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks")), "open")
+    rows = each.join(open_tiles, "tok")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("tok", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "n", "rank")
-    rows = stage_table(rows, "tiles")
-    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "signature"), "rep")
-    tiles = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n")
-    near = stage_table(_may_link(stage_table(_candidates(tiles, percent), "candidates"), sets, percent), "met")
-    last = stage_table(_linked(near, docs, width, percent), "links")
+    rows = stage_table(rows, "tiles", [open_tiles])
+    tiles = rows.join(sets.select(F.col("doc_id").alias("rep"), "signature"), "rep")
+    tiles = tiles.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n")
+    candidates = stage_table(_candidates(tiles, percent), "candidates", [rows])
+    near = stage_table(_may_link(candidates, sets, percent), "met", [candidates, sets])
+    last = stage_table(_linked(near, docs, width, percent), "links", [near])
     found = components(links.union(last), name="component").withColumnRenamed("id", "rep")
     return member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
