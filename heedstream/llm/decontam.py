@@ -11,9 +11,12 @@ most j - 1 edits always have a half of which the same holds, so a hit whose
 surroundings fail on the way up belongs to no match. The whole item's
 distance decides.
 
-Null and empty texts match nothing, as do items without letters or digits.
-Items with equal ids are separate rows that are reported under their id
-with the least distance. Repeated documents are reported once each id.
+Null and empty texts match nothing, as do items without letters or digits
+and items without an id. An item of fewer than ten characters has no budget
+and is found inside other words too; ``least_chars`` leaves out items of
+fewer characters (none by default). Items with equal ids are reported under
+their id with the least distance, documents with equal ids (or none) once
+under their id; the size of the blocks changes nothing.
 """
 
 from __future__ import annotations
@@ -172,23 +175,23 @@ class Matcher:
         return out
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_chars`` characters; one block is on the driver at a time."""
+def _blocks(benchmark: DataFrame, block_chars: int, least_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_chars`` characters; each block travels with the tasks of its own pass."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
     for block in range(blocks):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect() if len(normalise(r[1])) >= least_chars]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (doc_id, item_id, distance, budget) of texts that hold an item within its budget."""
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, least_chars: int = 1) -> DataFrame:
+    """Rows (doc_id, item_id, distance, budget) of texts that hold an item within its budget, one for each pair of ids."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     out = None
-    for own in _blocks(benchmark, block_chars):
+    for own in _blocks(benchmark, block_chars, least_chars):
         part = source.mapInArrow(lean(_scan(own, rate)), "doc_id long, item_id long, distance int, budget int")
         out = part if out is None else out.union(part)
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "budget")).alias("m")).select("doc_id", "item_id", "m.*")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
@@ -208,10 +211,10 @@ def _scan(items: list[tuple[int, str]], rate: float):  # noqa: ANN202
     return run
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, least_chars: int = 1) -> DataFrame:
     """The documents that hold no item within its budget, whole and with all their columns; nothing is shuffled."""
     out = docs
-    for own in _blocks(benchmark, block_chars):
+    for own in _blocks(benchmark, block_chars, least_chars):
         out = out.mapInArrow(lean(_clean(own, rate)), docs.schema)
     return out
 

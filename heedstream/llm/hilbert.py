@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heedstream.llm._common import stage_table
+
 #: Hash slices of one curve cell, and the most curve bits: at most SLICES * 2**MOST_BITS counts.
 SLICES, MOST_BITS = 256, 12
 
@@ -69,15 +71,19 @@ def _interleave(g: Column, n: int, bits: int) -> Column:
 def shard(rows: DataFrame, dims: list[Column], bits: int, shards: int, order: list[str]) -> DataFrame:
     """``rows`` with curve_index, shard and slot (gapless from 0 in each shard).
 
-    ``order`` names columns that settle the order inside a cell.
+    ``order`` names columns that settle the order inside a cell. Columns of
+    ``rows`` that are called curve_index, shard or slot are replaced, those
+    that begin with an underscore are the operator's own and not allowed.
     """
+    if own := [c for c in rows.columns if c.startswith("_")]:
+        raise ValueError(f"columns {own} begin with an underscore")
+    rows = rows.drop("curve_index", "shard", "slot")
     if bits * len(dims) > MOST_BITS:
         raise ValueError(f"at most {MOST_BITS} curve bits")
-    at = rows.withColumn("curve_index", hilbert_index(dims, bits))
-    at = at.withColumns({
-        "_cell": F.col("curve_index"),
-        "_rank": F.xxhash64(*order),
-    }).withColumn("_slice", F.shiftright("_rank", 56).cast("int") + SLICES // 2)
+    at = rows.withColumns({"curve_index": hilbert_index(dims, bits), "_rank": F.xxhash64(*order)})
+    # written once: the curve is computed once for each row, though counts and rows both read it
+    at = stage_table(at.withColumn("_slice", F.shiftright("_rank", 56).cast("int") + SLICES // 2), "curve")
+    at = at.withColumn("_cell", F.col("curve_index"))
     counts = at.groupBy("_cell", "_slice").agg(F.count("*").alias("n"))
     cells = counts.groupBy("_cell").agg(F.sum("n").alias("m"))
     line = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -92,6 +98,13 @@ def shard(rows: DataFrame, dims: list[Column], bits: int, shards: int, order: li
     return put.withColumn("slot", slot).drop("_cell", "_slice", "_rank", "_first", "_n", "_at", "total")
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in curve order inside every file."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
+    """One folder for each shard with files of about ``rows_a_file`` rows, each a stretch of the curve.
+
+    Splitters are sampled over (shard, slot), so a large shard is written by
+    several tasks; the value ranges in the files' footers let a filter on any
+    dimension skip files.
+    """
+    files = -(-sharded.count() // rows_a_file)
+    ranged = sharded.repartitionByRange(max(1, files), "shard", "slot").sortWithinPartitions("shard", "slot")
+    ranged.write.partitionBy("shard").option("maxRecordsPerFile", rows_a_file).parquet(path)

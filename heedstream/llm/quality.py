@@ -10,7 +10,7 @@ of the top grade decide the selection.
 The fit uses a documented bounded sample: ``SAMPLE`` rated documents by the
 hash of their id, their texts whole. Scoring reads all documents whole.
 
-Null and empty texts score the average text's features of nothing: they
+Null and empty texts have no features: they
 have score 0 and are judged by the thresholds alone. Ratings with null
 parts are left out, of several ratings of an id the lowest grade counts.
 Where no two grades are rated there is nothing to fit: all are kept and
@@ -153,12 +153,16 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, grades: int =
 
 
 def classify(docs: DataFrame, model: Ordinal | None, select: float = 0.5) -> DataFrame:
-    """All columns of docs with score, expected_grade, p_above_0.., tail_probability and selected."""
+    """Rows (carried, score, expected_grade, tail_probability, selected), one for each row of docs.
+
+    ``carried`` is a struct of all columns of docs, whatever their names.
+    """
     names = ["score", "expected_grade", "tail_probability"]
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    carried = F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]).alias("carried")
     if model is None:
-        none = F.lit(None).cast("double")
-        return docs.withColumns(dict.fromkeys(names, none) | {"selected": F.lit(True)})
-    own = docs.drop(*names, "selected")
+        return own.select(carried, *[F.lit(None).cast("double").alias(n) for n in names], F.lit(True).alias("selected"))
+    text = f"c{docs.columns.index('text')}"
     added = [StructField(n, DoubleType()) for n in names] + [StructField("selected", BooleanType())]
     schema = StructType([*own.schema.fields, *added])
     weights, thresholds = model.weights, model.thresholds
@@ -166,10 +170,10 @@ def classify(docs: DataFrame, model: Ordinal | None, select: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [scores(data, offsets, shared.value) for _, _, data, offsets in text_chunks(batch, "text")]
+            parts = [scores(data, offsets, shared.value) for _, _, data, offsets in text_chunks(batch, text)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             tails = Ordinal(shared.value, thresholds).tails(score)
             more = [pa.array(score), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= select)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names, "selected"])
 
-    return own.mapInArrow(lean(run), schema)
+    return own.mapInArrow(lean(run), schema).select(carried, *names, "selected")

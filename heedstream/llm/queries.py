@@ -27,7 +27,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
-    return quality.classify(docs.select("doc_id", "text"), model).select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_probability", 6).alias("tail_probability"), "selected")
+    return quality.classify(docs.select("doc_id", "text"), model).select(F.col("carried.doc_id").alias("doc_id"), F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_probability", 6).alias("tail_probability"), "selected")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ of each other: a task keeps the pieces of words it has met, in two
 generations so that frequent words stay, and leaves the first ones, which
 tend to be the frequent ones, to the worker's next task. Short words keep their agenda as a
 list of pair scores, long ones as a heap. In every Arrow batch the words new
-to the worker are also given to the sentencepiece library, and a difference
-raises an error.
+to the worker are also given to the sentencepiece library, and so is one whole
+text of every 256, encoded and decoded; a difference raises an error and ends
+the job, since a result that the library would not give is of no use.
 
 Nulls are empty texts; an empty text has no pieces and decodes to nothing.
 Texts are taken whole. Rows repeat in the output as in the input, other
@@ -180,6 +181,12 @@ class Model:
                 back = " " + text.replace(MARK, " ") if text else ""
             yield ",".join(map(pick, own)), back[1:] if back[:1] == " " else back
 
+    def hold(self, text: str, ids: str, decoded: str) -> None:
+        """Hold a whole text's ids and decoded form against the library's."""
+        want = self.library.encode(text)
+        if ids != ",".join(map(str, want)) or decoded != self.library.decode(want):
+            raise ValueError(f"ids or decoded text of a text of {len(text)} characters differ from the library's")
+
     def encode(self, text: str) -> list[int]:
         ids = next(iter(self.batch([text])))[0]
         return [int(x) for x in ids.split(",")] if ids else []
@@ -210,7 +217,10 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
                 count, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
-                for ids, text in own.batch(part.column("text").to_pylist()):
+                texts = part.column("text").to_pylist()
+                done = list(own.batch(texts))
+                own.hold(texts[0], *done[0])
+                for ids, text in done:
                     count.append(ids.count(",") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(text.encode()).hexdigest())

@@ -4,8 +4,10 @@ Each archive starts with a skippable frame (magic 0x184D2A5D) that holds a
 Zstandard dictionary built from the archive's own records; every record
 follows as one frame of its own, compressed with that dictionary, so that
 any record can be read alone from its offset. Archives go to a folder that
-all machines share, under a temporary name first: a task that is run again
-after the loss of an executor replaces its archive as a whole.
+all machines share, under names that hold the task's attempt; a manifest, a
+table beside them that only successful tasks add to, lists the archives of
+which the collection consists. What a lost or a superfluous attempt left
+behind isn't in the manifest and is never read.
 
 A record's payload is the page's html in UTF-8; null is empty. Among equal
 payloads of at least ``min_bytes`` bytes the smallest page id is the
@@ -25,12 +27,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heedstream.llm._common import fresh_path
+from heedstream.llm._common import fresh_path, stage_table
 
 SKIPPABLE, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 #: Raw bytes of records in one archive, and of the dictionary.
 ARCHIVE_BYTES, DICT_BYTES = 8 << 20, 16 << 10
 LEVEL = 3
+#: The table of archives in a collection's folder, and how many archives a task reads.
+MANIFEST, ARCHIVES_A_TASK = "manifest", 4
 FIXED_DATE = "2020-01-01T00:00:00Z"
 
 
@@ -128,7 +132,9 @@ def first_of_payloads(pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("_sha", F.sha1("payload"))
     seen = rows.where(F.length("payload") >= min_bytes).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-    return rows.join(seen.where("_n > 1").select("_sha", "_first"), "_sha", "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    # a table of its own, so that Spark may split a payload that many pages share
+    again = stage_table(seen.where("_n > 1").select("_sha", "_first"), "payloads")
+    return rows.join(again, "_sha", "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
@@ -146,11 +152,9 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0, archive
 
         def flush() -> None:
             nonlocal held, size, part
-            name = f"{root}/part-{task.partitionId():06d}-{part:05d}.warc.zst"
-            own = f"{root}/_tmp-{task.partitionId()}-{part}-{task.taskAttemptId()}"
-            with store.open_output_stream(own) as out:
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId():09d}-{part:05d}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(archive(held))
-            store.move(own, name)
             done.append((name, len(held)))
             held, size, part = [], 0, part + 1
 
@@ -165,32 +169,34 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0, archive
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["name", "records"])
 
-    written = first_of_payloads(pages, min_bytes).mapInArrow(run, "name string, records long")
-    written.agg(F.sum("records")).collect()
+    first_of_payloads(pages, min_bytes).mapInArrow(run, "name string, records long").write.parquet(f"{path}/{MANIFEST}")
     return path
 
 
 def read(spark, path: str) -> DataFrame:  # noqa: ANN001
-    """Rows of all archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    """Rows of all archives of the manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     number = lambda x: int(x[10:-1]) if x[10:-1] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content"):
-                rows = []
-                for raw in read_archive(data.as_py()):
-                    r = parse(raw)
-                    body = r["block"].partition(b"\r\n\r\n")[2]
-                    kind = r["warc-type"]
-                    if kind == "response" and digest(body) != r["warc-payload-digest"][5:]:
-                        raise ValueError(f"a payload of {r['warc-record-id']} doesn't have its digest")
-                    rows.append((number(r["warc-record-id"]), r["warc-target-uri"], int(r["x-payload-length"]), r["warc-payload-digest"][5:], kind, number(r["warc-refers-to"]) if kind == "revisit" else None, body if kind == "response" else None))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    store, root = pafs.FileSystem.from_uri(path)
-    if not any(f.base_name.endswith(".warc.zst") for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True))):
-        return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content").mapInArrow(run, schema)
+        store, root = pafs.FileSystem.from_uri(path)
+        for name, records in (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("name", "records")), strict=True)):
+            with store.open_input_file(f"{root}/{name}") as file:
+                data = file.read()
+            rows = []
+            for raw in read_archive(data):
+                r = parse(raw)
+                body = r["block"].partition(b"\r\n\r\n")[2]
+                kind = r["warc-type"]
+                if kind == "response" and digest(body) != r["warc-payload-digest"][5:]:
+                    raise ValueError(f"a payload of {r['warc-record-id']} doesn't have its digest")
+                rows.append((number(r["warc-record-id"]), r["warc-target-uri"], int(r["x-payload-length"]), r["warc-payload-digest"][5:], kind, number(r["warc-refers-to"]) if kind == "revisit" else None, body if kind == "response" else None))
+            if len(rows) != records:
+                raise ValueError(f"{name} holds {len(rows)} records, the manifest says {records}")
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    manifest = spark.read.schema("name string, records long").parquet(f"{path}/{MANIFEST}")
+    tasks = -(-manifest.count() // ARCHIVES_A_TASK)
+    return manifest.repartition(max(1, tasks), "name").mapInArrow(run, schema)

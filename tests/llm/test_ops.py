@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -70,6 +72,24 @@ def test_warc(spark, least):
         assert r["payload"] is None or bytes(r["payload"]) == body
 
 
+def test_warc_attempts(spark):
+    """Archives of attempts that didn't count are never read; repeated and null ids are records of their own."""
+    rows = [(i if i % 5 else None, "u", f"page {i % 7}", "", 0) for i in range(60)] + [(3, "u", "page 3", "", 0), (3, "u", "other", "", 0)]
+    path = warc.write(spark.createDataFrame(rows, PAGES), archive_bytes=2000)
+    folder = pathlib.Path(path.removeprefix("file:"))
+    want = sorted(map(str, warc.read(spark, path).collect()))
+    assert len(want) == 62
+    archives = sorted(folder.glob("*.warc.zst"))
+    assert len(archives) > 2
+    # what a lost attempt leaves: the same records cut in another way, and half an archive
+    records = [r for a in archives[:2] for r in warc.read_archive(a.read_bytes())]
+    (folder / "part-000000-000999999-00000.warc.zst").write_bytes(warc.archive(records[:3]))
+    (folder / "part-000001-000999999-00000.warc.zst").write_bytes(archives[0].read_bytes()[:100])
+    assert sorted(map(str, warc.read(spark, path).collect())) == want
+    got = [r for r in warc.read(spark, path).collect() if r["page_id"] == 3]
+    assert sorted((r["record_type"], r["refers_to"]) for r in got) == [("response", None)] * 3
+
+
 def test_warc_frames(spark):
     records = [warc.record(i, "u", f"payload {i} ".encode() * 30, warc.digest(b""), None) for i in range(200)]
     data = warc.archive(records)
@@ -98,14 +118,48 @@ def test_quality(spark):
     rated = quality.graded(spark.createDataFrame([*labels, (1, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     model = quality.fit(table, rated)
     assert model.thresholds[0] < model.thresholds[1]
-    out = [r for r in quality.classify(table, model).collect() if 400 <= r["doc_id"] < 600]
-    right = sum((r["expected_grade"] > 1.5) == (r["grade"] == 2) for r in out)
+    every = quality.classify(table, model).collect()
+    assert all(r["carried"]["score"] == "clash" and isinstance(r["score"], float) for r in every) and len(every) == 602
+    assert [r["score"] for r in every if not r["carried"]["text"]] == [0.0, 0.0]
+    out = [r for r in every if 400 <= r["carried"]["doc_id"] < 600]
+    right = sum((r["expected_grade"] > 1.5) == (r["carried"]["grade"] == 2) for r in out)
     assert right >= 0.95 * len(out)
     assert all(r["selected"] == (r["tail_probability"] >= 0.5) for r in out)
     assert quality.fit(table, rated.limit(0)) is None
     assert all(r["selected"] and r["score"] is None for r in quality.classify(table, None).collect())
 
 
+def test_quality_fit_against_gradient(spark):
+    """The fitted thresholds, tails and grades against plain gradient descent on the same likelihood."""
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2, (400, 3)).astype(float)
+    score = x @ [2.0, -1.5, 0.5] + rng.logistic(size=400)
+    grade = np.digitize(score, [-0.5, 1.0])
+    rows = [(np.flatnonzero(r).astype(np.int32), np.ones(int(r.sum()), np.float32)) for r in x]
+    model = quality.Ordinal.fit(rows, grade, 3, passes=300, rate=0.05, decay=0.0)
+    count = np.bincount(grade)
+    weight = (400 / count / 3)[grade] ** 0.5
+    w, t = np.zeros(3), np.array([-0.5, 0.5])
+    s = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(20000):
+        z = x @ w
+        a = np.where(grade < 2, s(np.append(t, 50)[grade] - z), 1)
+        b = np.where(grade > 0, s(np.append(-50, t)[grade] - z), 0)
+        da, db, p = a * (1 - a), b * (1 - b), a - b
+        w -= 0.5 * ((weight * (da - db) / p) @ x) / 400
+        t -= 0.5 * np.array([(weight * (np.where(grade == j + 1, db, 0) - np.where(grade == j, da, 0)) / p).sum() for j in range(2)]) / 400
+    assert np.allclose(model.thresholds, t, atol=0.12) and np.allclose(model.weights[:3], w, atol=0.12)
+    z = x @ w
+    tails = s(z[:, None] - t)
+    assert np.allclose(model.tails(x @ model.weights[:3].astype(float)), tails, atol=0.03)
+    text = "a text of the table"
+    d = np.frombuffer(text.encode(), np.uint8)
+    out = quality.classify(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"), model).collect()
+    mine = quality.scores(d, np.array([0, len(d)]), model.weights)[0]
+    assert [r["expected_grade"] for r in out] == pytest.approx([s(mine - model.thresholds).sum()] * 2)
+    assert quality.classify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
 # 3
 
 def brute_repeats(texts, width):
@@ -158,6 +212,20 @@ def test_suffix_dedup_null_ids(spark, monkeypatch, named):
     assert all(r["carried"]["tx"] == 2 for r in got)
 
 
+def test_suffix_dedup_long_texts(spark, monkeypatch):
+    """A text of several stretches and chunks gives the same as one that is anchored at once."""
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 300)
+    rng = random.Random(3)
+    passage = words(rng, 60, 1000)
+    texts = {1: words(rng, 400, 5000) + passage + words(rng, 90, 5000), 2: passage[3:] + words(rng, 700, 5000) + passage, 3: "é" * 900, 4: passage}
+    got = suffix_dedup.remove_repeats(docs(spark, list(texts.values()), list(texts)), 40, 12).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(texts, 40)
+    monkeypatch.undo()
+    long = {7: words(rng, 150_000, 90_000) + passage, 8: passage + " end", 9: ""}
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, list(long.values()), list(long))).collect()}
+    assert (got[8]["n_removed"], got[7]["n_removed"]) == (len(passage), 0) and len(long[7]) > suffix_dedup.STRETCH
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(1)
     t = rng.integers(0, 3, (500, 4)).astype(np.uint64)
@@ -197,6 +265,26 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.jaccard_components(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_common_shingles_come_last(spark):
+    """A line that all documents have isn't in their prefixes, and the result is that of all pairs."""
+    rng = random.Random(4)
+    line = words(rng, 30, 10**6)
+    texts = [words(rng, 60, 10**6) + " " + line for _ in range(150)]
+    texts += [t.replace("w", "v", 3) for t in texts[:30]]
+    df = docs(spark, texts).coalesce(2)
+    levels = ngram_join._common(df, 5)
+    own = np.array([t.encode() for t in [line]])[0]
+    hashes, _ = ngram_join.shingle_sets(np.frombuffer(own, np.uint8), np.array([0, len(own)]))
+    assert (levels[(hashes & np.uint64(ngram_join.PLACES - 1)).astype(int)] >= 7).all() and (levels > 0).sum() < 200
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    prefix = ngram_join.describe(data, np.array([0, len(data)]), 5, 80, levels)[3][0]
+    assert not set(prefix.tolist()) & set(hashes.tolist()) and len(prefix) > 10
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()}
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert got == union_find(sets, links) and len(links) == 30
+
+
 def test_ngram_join_null_and_repeated_ids(spark):
     rng = random.Random(6)
     a, b, c, d = (words(rng, 60, 5000) for _ in range(4))
@@ -237,10 +325,37 @@ def test_embedding_dedup(spark, monkeypatch):
     links = [(a, b) for a, b in combinations(fine, 2) if fine[a][1] == fine[b][1] and len(fine[a][0]) == len(fine[b][0]) and fine[a][0] @ fine[b][0] >= 0.98]
     top = union_find([i for i, *_ in table], links)
     assert got == {i: (sum(i in e for e in links), top[i], top[i] == i) for i, *_ in table}
-    assert embed_dedup.collision_probability(0.2, embed_dedup.WIDTH, embed_dedup.HASHES) > 0.2
+    assert embed_dedup.collision_probability(0.2, embed_dedup.WIDTH, 10) > 0.2
     assert embed_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_scales_and_ids(spark, monkeypatch):
+    """Very small and very large vectors keep their direction; repeated and null ids are rows of their own."""
+    rng = np.random.default_rng(8)
+    base, other = rng.normal(size=8), rng.normal(size=8)
+    rows = [(1, (base * 1e-200).tolist(), "x"), (2, (base * 1e200).tolist(), "x"), (3, other.tolist(), "x"), (3, base.tolist(), "x"), (None, other.tolist(), "x"), (9, base.tolist(), "y"), (None, None, "x")]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (3, 2, 1, False), (None, 1, 3, None), (9, 0, 9, True), (None, 0, None, None)], key=str)
+
+
+def test_embedding_recall(spark):
+    """Pairs right at the threshold: at least nine of ten must be found, and nearly all are."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(400):
+        a = rng.normal(size=24)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=24)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [a.tolist(), (0.9805 * a + math.sqrt(1 - 0.9805**2) * b).tolist()]
+    out = embed_dedup.dedup(spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r["n_links"] for r in out) >= 2 * 396
+    tables, hashes = embed_dedup.plan(800, 0.98)
+    assert (1 - embed_dedup.collision_probability(0.2, embed_dedup.WIDTH, hashes)) ** tables <= embed_dedup.MISS
+    assert embed_dedup.plan(10**6, 0.98)[1] > hashes
+
+
 # 6
 
 def test_sentencepiece(spark):
@@ -255,6 +370,12 @@ def test_sentencepiece(spark):
         r = got[i]
         assert r["token_ids"] == ids == own.encode(t) and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded"] == own.library.decode(ids) == own.decode(ids)
+    path = tokenizers.path("piece_bpe_32k.model")
+    again = sentencepiece_bpe.encode(docs(spark, ["one text", "one text", "é " * 300_000], [1, 1, None]), path, keep_text=False).collect()
+    assert len(again) == 3 and again[0]["ids_sha256"] == again[1]["ids_sha256"] and again[2]["n_tokens"] == len(own.library.encode("é " * 300_000))
+    assert sentencepiece_bpe.encode(docs(spark, ["x"]).limit(0), path).count() == 0
+    with pytest.raises(ValueError, match="differ"):
+        own.hold("one text", "1", "one text")
 
 
 # 7
@@ -297,6 +418,25 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_decontamination_repeats(spark):
+    """Repeated documents and items of one id: one row each pair of ids, whatever the size of the blocks."""
+    rng = random.Random(2)
+    a, b = words(rng, 20, 300), words(rng, 20, 300)
+    rows = [(1, "x " + a), (1, "x " + a), (1, b + " y"), (2, a[:-2] + "qq " + words(rng, 9)), (None, a), (None, b), (3, words(rng, 120_000, 300) + " " + b)]
+    table = spark.createDataFrame([(7, a), (7, b), (7, None), (8, a), (None, a), (9, "w1")], "item_id long, text string")
+    source = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    want = None
+    for block in (10**6, 60, 7):
+        got = sorted(map(str, decontam.matches(source, table, block_chars=block, least_chars=3).collect()))
+        assert want in (None, got)
+        want = got
+    assert len(want) == 7 and sum("doc_id=None" in r for r in want) == 2
+    assert any("item_id=9" in str(r) for r in decontam.matches(source, table).collect())
+    assert decontam.matches(source.limit(0), table).count() == 0 and decontam.matches(source, table.limit(0)).count() == 0
+    assert decontam.remove_contaminated(source, table.limit(0)).count() == len(rows)
+    assert decontam.remove_contaminated(source, table).columns == source.columns
+
+
 # 8
 
 def test_hilbert_curve(spark):
@@ -321,6 +461,76 @@ def test_hilbert_shards(spark, n):
     assert order == sorted(order)
 
 
+def brute_hilbert(point, bits):
+    """Index on the curve by turning and reflecting the cube level by level."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                x[0], x[i] = (x[0] ^ ((x[0] ^ x[i]) & (q - 1)), x[i] ^ ((x[0] ^ x[i]) & (q - 1))) if i else (x[0], x[0])
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    flip = 0
+    q = 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            flip ^= q - 1
+        q >>= 1
+    out = 0
+    for k in reversed(range(bits)):
+        for v in x:
+            out = out << 1 | ((v ^ flip) >> k & 1)
+    return out
+
+
+def test_hilbert_query(spark, sf_dir):
+    """The registered query: size and checksum of whole texts, the law, gapless slots, and the order of the curve."""
+    from heedstream.llm import queries
+
+    out = {r["doc_id"]: r for r in queries.op8_hilbert_shards(spark, sf_dir).collect()}
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cells = source.select("doc_id", "text", hilbert.quantise_log(F.col("n_chars") / 64, 4).alias("a"), hilbert.quantise_name(F.col("source"), 4).alias("b"), hilbert.quantise_name(F.col("lang"), 4).alias("c")).collect()
+    assert len(out) == len(cells)
+    for r in cells:
+        body, got = (r["text"] or "").encode(), out[r["doc_id"]]
+        assert (got["size"], got["text_crc32"], got["law"], got["grown_shard"]) == (len(body) + 1, zlib.crc32(body), "rows", None)
+        assert got["curve_index"] == brute_hilbert((r["a"], r["b"], r["c"]), 4)
+    by = {}
+    for r in out.values():
+        by.setdefault(r["shard"], []).append((r["slot"], r["curve_index"]))
+    assert sorted(by) == list(range(8)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in by.values())
+    order = [h for k in range(8) for _, h in sorted(by[k])]
+    assert order == sorted(order)
+
+
+def test_hilbert_files_are_pruned(spark, tmp_path):
+    """Files written by run: a filter on either dimension leaves most files out by their footers."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(4096).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("x"), F.pmod(F.xxhash64(F.col("id") + 1), F.lit(16)).alias("y"))
+    out = hilbert.shard(rows, [F.col("x"), F.col("y")], 4, 8, ["doc_id"])
+    hilbert.write_shards(out, f"{tmp_path}/t", 128)
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert back.count() == 4096 and sorted(r["shard"] for r in back.select("shard").distinct().collect()) == list(range(8))
+    files = list(pathlib.Path(f"{tmp_path}/t").rglob("*.parquet"))
+    assert len(files) >= 32
+    for c in ("x", "y"):
+        hit = 0
+        for f in files:
+            meta = pq.ParquetFile(f).metadata
+            stats = [meta.row_group(g).column(k).statistics for g in range(meta.num_row_groups) for k in range(meta.num_columns) if meta.row_group(g).column(k).path_in_schema == c]
+            hit += min(s.min for s in stats) <= 3 <= max(s.max for s in stats)
+        assert hit <= len(files) * 0.45
+    with pytest.raises(ValueError, match="underscore"):
+        hilbert.shard(rows.withColumn("_cell", F.lit(1)), [F.col("x")], 4, 8, ["doc_id"])
+    assert hilbert.shard(rows.withColumn("shard", F.lit("clash")), [F.col("x"), F.col("y")], 4, 8, ["doc_id"]).where("shard between 0 and 7").count() == 4096
+
+
 # 9
 
 def test_chat(spark):
@@ -418,6 +628,26 @@ def test_license_texts(spark, tmp_path):
 
 # pipeline
 
+def test_pipeline_columns(spark, sf_dir):
+    """Columns whose names clash with the operators' own come through every stage as they were; empty tables do too."""
+    import corpus_pipeline as cp
+    from heedstream.llm._common import stage_table
+
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    for c in ("score", "selected", "rep", "tx", "row", "carried", "spans", "component_id"):
+        source = source.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    df = source
+    for _, stage in cp.STAGES[:-1]:
+        df = stage_table(stage(spark, df, sf_dir), "t")
+        assert df.columns == source.columns
+    rows = df.collect()
+    assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in ("score", "selected", "rep", "tx", "row", "carried", "spans", "component_id"))
+    df = source.limit(0)
+    for _, stage in cp.STAGES:
+        df = stage_table(stage(spark, df, sf_dir), "t")
+        assert df.count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
     from heedstream.llm._common import stage_table
