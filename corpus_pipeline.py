@@ -19,7 +19,7 @@ from heedstream.llm.queries import piece_model, table
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade is at least one half."""
     model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
-    return quality.classify(docs, model).where("selected").select(*docs.columns)
+    return quality.classify(docs, model).where("selected").select("carried.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
