@@ -250,8 +250,11 @@ def cumulative_paths(units: DataFrame, daily: DataFrame, normal: DataFrame, befo
     full = units.crossJoin(F.broadcast(last)).where((F.col("day") - before - 1 >= 1) & (F.col("day") + after <= F.col("last_day"))).drop("last_day")
     each = full.select("unit", "day", F.explode("stock_ids").alias("stock_id"))
     level = each.join(normal, "stock_id").groupBy("unit").agg(F.avg("normal").alias("normal"))
-    spread = each.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("at", F.col("day") + F.col("offset"))
-    met = spread.join(daily.select("stock_id", F.col("day").alias("at"), "ar"), ["stock_id", "at"])
+    # the days around each day are gathered by windows over the calendar, so a unit's stock is joined once and spread afterwards
+    shift = lambda o: F.lead("ar", o).over(by_stock()) if o > 0 else F.lag("ar", -o).over(by_stock()) if o < 0 else F.col("ar")
+    around = daily.select("stock_id", "day", *[shift(o).alias(f"_a{o + before}") for o in range(-before, after + 1)])
+    around = around.select("stock_id", "day", F.array(*[f"_a{k}" for k in range(before + after + 1)]).alias("_ar"))
+    met = each.join(around, ["stock_id", "day"]).select("unit", F.posexplode("_ar").alias("_k", "ar")).withColumn("offset", F.col("_k") - before)
     line = met.groupBy("unit", "offset").agg(F.avg("ar").alias("ar")).join(level, "unit")
     by = Window.partitionBy("unit").orderBy("offset")
     upto = F.sum(F.coalesce("ar", F.lit(0.0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
