@@ -12,7 +12,9 @@ Nulls: a null text or role is empty, a null conversation id is a
 conversation of its own, null turn numbers come first. Rows with equal turn
 numbers follow each other by role and text; repeated rows stay. Output text
 grows with the square of one conversation's turns, as the method has it;
-conversations are handled apart from each other.
+conversations are handled apart from each other. A conversation is gathered
+as one row with all its turns, and reading back gathers its examples: a task
+must hold the longest conversation's text, and its examples together, once.
 """
 
 from __future__ import annotations
