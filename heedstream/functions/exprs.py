@@ -42,9 +42,20 @@ def traffic_digits(c: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(c, ",", ""), r"(\d+)", 1).try_cast("double")
 
 
+def casefold(c: Column) -> Column:
+    """Unicode case folding (Cherokee letters become small): ß as ss, every sigma as σ, ligatures and letter-like signs as letters.
+
+    Upper case undoes what lower case leaves apart (and the other way round). The dotless i, whose upper
+    case is I, waits as a private character; sigma is folded by itself, for
+    lower case has another one for the end of words.
+    """
+    upper = F.translate(F.upper(F.translate(F.lower(c), "ı", "\ue000")), "Σ", "σ")
+    return F.translate(F.lower(upper), "\ue000", "ı")
+
+
 def keyword_form(c: Column) -> Column:
-    """lower case (ß as ss), letters and digits only."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "ß", "ss"), r"[^\p{L}\p{N}\p{M}]+", "")
+    """case folded, letters and digits only (no combining marks)."""
+    return F.regexp_replace(casefold(c), r"[^\p{L}\p{N}]+", "")
 
 
 def entity_form(c: Column) -> Column:

@@ -49,8 +49,8 @@ def align(events: DataFrame, trading: DataFrame, side: str = "left", date: str =
     """The first trading row of the event's stock on or after (``left``) or after (``right``) its date.
 
     ``trading`` has stock_id, date and any columns, which arrive in the
-    struct ``day0`` (null where no trading day follows). Rows and events
-    are united and the next trading row is carried back over descending
+    struct ``day0`` (null where no trading day follows or the event has no
+    date). Rows and events are united and the next trading row is carried back over descending
     dates: one exchange by stock, no range join.
     """
     struct = F.struct(*trading.columns)
@@ -59,7 +59,7 @@ def align(events: DataFrame, trading: DataFrame, side: str = "left", date: str =
     marks = events.select("stock_id", F.col(date).alias("_d"), F.lit(1 - first).alias("_k"), F.lit(None).cast(rows.schema["day0"].dataType).alias("day0"), F.struct(*events.columns).alias("_e"))
     back = Window.partitionBy("stock_id").orderBy(F.col("_d").desc(), F.col("_k").asc()).rowsBetween(Window.unboundedPreceding, 0)
     # of equal dates the row that is read first is the one that may be carried on
-    found = rows.unionByName(marks).withColumn("day0", F.last("day0", ignorenulls=True).over(back))
+    found = rows.unionByName(marks).withColumn("day0", F.when(F.col("_d").isNotNull(), F.last("day0", ignorenulls=True).over(back)))
     return found.where("_e is not null").select("_e.*", "day0")
 
 

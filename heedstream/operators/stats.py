@@ -274,7 +274,8 @@ def clustered_ols(rows: DataFrame, y: str, x: list[str], cluster: str) -> DataFr
 
     One pass over the rows sums XtX and Xty by cluster; totals and the
     clusters' scores come from that table, and only k x k sums reach the
-    driver, k being the number of columns.
+    driver, k being the number of columns. Errors and t are null where there
+    is only one cluster, or no more rows than columns.
     """
     names = ["const", *x]
     k = len(names)
@@ -291,8 +292,9 @@ def clustered_ols(rows: DataFrame, y: str, x: list[str], cluster: str) -> DataFr
     scores = by.select(*[score(i).alias(f"s{i}") for i in range(k)])
     meat = square(scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in cells]).first(), "m")
     n, g = sums["n"], sums["g"]
-    se = np.sqrt(np.diag(inverse @ meat @ inverse) * (g / (g - 1) * (n - 1) / (n - k)))
-    return rows.sparkSession.createDataFrame([(names[i], float(beta[i]), float(se[i]), float(beta[i] / se[i]), n, g) for i in range(k)], "term string, beta double, se double, t double, n long, clusters long")
+    enough = g > 1 and n > k
+    se = np.sqrt(np.diag(inverse @ meat @ inverse) * (g / (g - 1) * (n - 1) / (n - k))) if enough else [None] * k
+    return rows.sparkSession.createDataFrame([(names[i], float(beta[i]), float(se[i]) if enough else None, float(beta[i] / se[i]) if enough and se[i] else None, n, g) for i in range(k)], "term string, beta double, se double, t double, n long, clusters long")
 
 
 def event_profile(panel: DataFrame, flag: str, sample: Column, most: int = 400, before: int = 5, after: int = 20) -> DataFrame:

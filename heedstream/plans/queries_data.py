@@ -266,7 +266,7 @@ def f1_traffic(s: SparkSession, d: str) -> DataFrame:
 
 
 @book.add(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2330 ' || p_name || '股價' WHEN 1 THEN '飆股' || upper(p_name) || '股票走勢' ELSE p_brand || '_' || p_type END AS x, CASE WHEN p_size % 2 = 0 THEN p_type || ' 電子' ELSE p_type || '銀行' END AS ind FROM part)
-SELECT p_partkey, regexp_replace(lower(x), '[^\pL\pN\pM]+', '', 'g') AS f3, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(x, '^\d{4,6}\s*', ''), '^飆股', ''), '(股價分析|股票走勢|股價|股票|股市)$', '')), '[^\pL\pN\pM]+', '', 'g') AS f4, CASE WHEN ind LIKE '%銀行' THEN '金融類' ELSE '科技類' END AS f6 FROM t""")
+SELECT p_partkey, regexp_replace(lower(x), '[^\pL\pN]+', '', 'g') AS f3, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(x, '^\d{4,6}\s*', ''), '^飆股', ''), '(股價分析|股票走勢|股價|股票|股市)$', '')), '[^\pL\pN]+', '', 'g') AS f4, CASE WHEN ind LIKE '%銀行' THEN '金融類' ELSE '科技類' END AS f6 FROM t""")
 def f3_forms(s: SparkSession, d: str) -> DataFrame:
     """F3-F6."""
     k = F.col("p_partkey")

@@ -35,11 +35,18 @@ def test_names(spark, a, b, want):
     assert one(spark, ex.names_match(F.col("a"), F.col("b")), a=a, b=b) is want
 
 
-@pytest.mark.parametrize(("text", "want"), [("2330 台積電股價", "台積電"), ("妖股ABC_股票走勢", "abc"), ("Straße!", "strasse")])
+@pytest.mark.parametrize(("text", "want"), [("2330 台積電股價", "台積電"), ("妖股ABC_股票走勢", "abc"), ("Straße!", "strasse"), ("ΟΔΟΣ", "οδοσ"), ("ﬁn ſo µ", "finsoμ"), ("ıI", "ıi"), ("Cafe\u0301", "cafe")])
 def test_entity_form(spark, text, want):
     assert one(spark, ex.entity_form(F.col("t")), t=text) == want
 
 
+def test_casefold_of_latin_greek_cyrillic(spark):
+    """As Python folds them, letter by letter."""
+    text = [chr(i) for i in [*range(0x20, 0x870), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB18)]]
+    df = spark.createDataFrame([(c, c.casefold()) for c in text], "t string, want string")
+    assert df.where(ex.casefold(F.col("t")) != F.col("want")).collect() == []
+
+
 def test_local_times(spark):
     zone = "America/Los_Angeles"
     got = [one(spark, ex.local_to_utc(F.col("t"), zone), t=t) for t in (dt.datetime(2026, 3, 8, 2, 30), dt.datetime(2026, 11, 1, 1, 30), dt.datetime(2026, 7, 1, 0, 0))]
@@ -73,10 +80,10 @@ def test_performance(spark):
 def test_align_sides(spark):
     d = days(5)
     p = spark.createDataFrame([(d[0], "1"), (d[2], "1"), (d[4], "1")], "date date, stock_id string")
-    e = spark.createDataFrame([(d[1], "1"), (d[2], "1"), (d[4], "1"), (d[0], "2")], "date date, stock_id string")
+    e = spark.createDataFrame([(d[1], "1"), (d[2], "1"), (d[4], "1"), (d[0], "2"), (None, "1")], "date date, stock_id string")
     at = lambda side: {(r["date"], r["stock_id"]): r["day0"]["date"] if r["day0"] else None for r in rt.align(e, p, side).collect()}
-    assert at("left") == {(d[1], "1"): d[2], (d[2], "1"): d[2], (d[4], "1"): d[4], (d[0], "2"): None}
-    assert at("right") == {(d[1], "1"): d[2], (d[2], "1"): d[4], (d[4], "1"): None, (d[0], "2"): None}
+    assert at("left") == {(d[1], "1"): d[2], (d[2], "1"): d[2], (d[4], "1"): d[4], (d[0], "2"): None, (None, "1"): None}
+    assert at("right") == {(d[1], "1"): d[2], (d[2], "1"): d[4], (d[4], "1"): None, (d[0], "2"): None, (None, "1"): None}
 
 
 def test_rising_stock_is_no_success(spark):
@@ -158,6 +165,8 @@ def test_clustered_ols(spark):
     s = np.array([full[g == k].T @ e[g == k] for k in np.unique(g)])
     se = np.sqrt(np.diag(inv @ (s.T @ s) @ inv) * (20 / 19 * 199 / 197))
     assert np.allclose([r["beta"] for r in got], beta) and np.allclose([r["se"] for r in got], se)
+    single = spark.createDataFrame([(1.0, 1.0, 1), (2.0, 2.0, 1), (2.0, 3.0, 1)], "y double, a double, g int")
+    assert [(r["se"], r["t"], r["clusters"]) for r in st.clustered_ols(single, "y", ["a"], "g").collect()] == [(None, None, 1)] * 2
 
 
 def test_likeness():
