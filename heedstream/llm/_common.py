@@ -60,6 +60,18 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Hadoop's names of stores that pyarrow knows under another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def open_store(path: str):  # noqa: ANN201
+    """(file system, root) of a folder for Python tasks, by pyarrow under the scheme that Hadoop names."""
+    from pyarrow import fs
+
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}")
+
+
 def lean(run):  # noqa: ANN001, ANN201
     """A task's generator that gives freed memory back to the system at its end, as its worker goes on to other tasks."""
 

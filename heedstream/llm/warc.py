@@ -23,11 +23,10 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heedstream.llm._common import fresh_path, stage_table
+from heedstream.llm._common import fresh_path, open_store, stage_table
 
 SKIPPABLE, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 #: Raw bytes of records in one archive, and of the dictionary.
@@ -146,7 +145,7 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0, archive
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, root = pafs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         store.create_dir(root, recursive=True)
         held, size, part, done = [], 0, 0, []
 
@@ -179,7 +178,7 @@ def read(spark, path: str) -> DataFrame:  # noqa: ANN001
     number = lambda x: int(x[10:-1]) if x[10:-1] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         for name, records in (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("name", "records")), strict=True)):
             with store.open_input_file(f"{root}/{name}") as file:
                 data = file.read()
