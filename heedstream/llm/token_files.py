@@ -1,7 +1,7 @@
 """Token ids as files of fixed-width bit fields.
 
-Texts are encoded once into a staged table of packed ids, dealt by range of
-their ids into files and read back. A file (``.tok``) is, little-endian:
+Texts are dealt by range of their ids into tasks, which encode them and write
+files. A file (``.tok``) is, little-endian:
 
 - the head: magic, version, bits an id, documents, ids, ids a block, blocks
 - the documents: ids (int64), which of them are null (uint8), first id after each (uint64)
@@ -11,7 +11,7 @@ their ids into files and read back. A file (``.tok``) is, little-endian:
   alone from its offset and be unpacked by array operations
 
 The files are in ascending order of document ids, null ones first, and so are the
-documents of a file; equal ids are ordered by their ids' count and CRC. A
+documents of a file; equal ids are ordered by hashes of their texts. A
 manifest that only successful tasks add to names the files of a collection.
 Null and empty texts hold the end id alone. Rows with equal ids are separate
 documents, many of them are dealt over several files. A document of any length is written whole, in
@@ -20,17 +20,16 @@ blocks. An empty table writes no files. Other columns are left out.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heedstream.llm._common import fresh_path, lean, open_store, stage_table
+from heedstream.llm._common import fresh_path, lean, open_store, prefix_sums, range_hash, stage_table, text_chunks
 
 MAGIC, VERSION = b"HSTOKENS", 1
 HEAD = struct.Struct("<8sIIQQII")
@@ -38,10 +37,12 @@ HEAD = struct.Struct("<8sIIQQII")
 BLOCK_IDS, FILE_BYTES, GROUP, FILES_A_TASK = 1 << 16, 16 << 20, 1024, 2
 #: Ids that are unpacked at once when files are read.
 WINDOW = 1 << 21
-#: Words a task keeps the ids of, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 300_000, 48
-#: Where parts of a text begin; white space besides blanks and line ends; bytes of which such white space has one at least.
-CUT, OTHER, ODD = re.compile(r"(?=[ \n])"), re.compile(r"[^\S \n]"), b"\t\r\v\f\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
+#: Bytes of texts that are dealt to a task, and that are encoded at once.
+TASK_BYTES, CHUNK = 32 << 20, 2 << 20
+#: Words a task keeps the ids of; words of more ids go first.
+KEPT_WORDS, KEPT_IDS = 1_500_000, 24
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 def width(vocabulary: int) -> int:
@@ -70,12 +71,13 @@ def unpack(data: bytes, bits: int, count: int, first: int = 0) -> np.ndarray:
 class Words:
     """Ids of texts from the tokenizers library, which sees a word once while it is kept.
 
-    A text is cut before every blank or line end that follows another
-    character than white space. The vocabulary's pre-tokenizer never joins what
-    stands on both sides of such a place, as blanks and line ends only begin its pieces, so ids of
-    the parts are the ids of the whole. Texts that hold a special token's string
-    go to the library whole, as does the first of every batch, to be compared.
-    Words are kept in two generations, of which the older one goes first.
+    A text is cut before every blank or line end that doesn't follow white
+    space. The vocabulary's pre-tokenizer never joins what stands on both sides
+    of such a place, as blanks and line ends only begin its pieces, so the ids of
+    the parts are the ids of the whole. Words are told apart by 64-bit hashes of their bytes; a
+    sorted table holds the ids of those seen so far, of which the older half
+    goes when there are more than ``KEPT_WORDS``. Texts that hold a special
+    token's string go to the library whole, as does the first of every chunk, to be compared.
     """
 
     def __init__(self, path: str) -> None:
@@ -83,76 +85,96 @@ class Words:
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
         table = {v: k for k, v in self.library.get_vocab().items()}
         # in a byte-level vocabulary each character of a piece stands for one byte
         self.bytes_of = np.array([len(table.get(i, "")) for i in range(max(table) + 1)], dtype=np.int64)
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def parts(self, text: str) -> list[str]:
-        """The text's parts in order; all but the first begin with a blank or a line end."""
-        if "\0" in text:
-            out = CUT.split(text)
-        else:
-            out = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        raw = text.encode()
-        plain = len(raw.translate(None, ODD)) == len(raw) or not OTHER.search(text)
-        if plain and not any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
-            return out
-        glued = out[:1]
-        for x in out[1:]:
-            if not glued[-1] or glued[-1][-1].isspace():
-                glued[-1] += x
-            else:
-                glued.append(x)
-        return glued
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words that begin with a blank or a line end: encoded as one text, which is cut by its pieces' bytes."""
-        # a word that ends in white space could be drawn together with the next one
-        alone = [w for w in new if w[-1].isspace()]
-        out = dict(zip(alone, self.whole(alone), strict=True))
-        new = [w for w in new if w not in out] if alone else new
-        if not new:
-            return out
-        ids = np.array(self.library.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.cumsum(self.bytes_of[ids])
-        sizes = np.cumsum(list(map(len, map(str.encode, new))))
-        cuts = np.searchsorted(ends, sizes)
-        if ends[-1] != sizes[-1] or (ends[cuts] != sizes).any():
-            raise ValueError("a piece goes over the end of a word")
-        raw, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
-        out.update(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-        return out
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.kept) > KEPT_WORDS:
-            self.older, self.kept = self.kept, {}
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [self.parts(t) if t and i not in odd else [] for i, t in enumerate(texts)]
-        starts = self.whole([p.pop(0) if p else "" for p in split])
-        new = set().union(*split).difference(self.kept)
-        if self.older:
-            again = self.older.keys() & new
-            self.kept.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            new -= again
-        long = [w for w in new if len(w) > KEPT_CHARS]
-        self.kept.update(self.learn(list(new)))
-        get = self.kept.__getitem__
-        out = [start + b"".join(map(get, p)) for p, start in zip(split, starts, strict=True)]
-        for w in long:
-            del self.kept[w]
-        for i, x in zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)]), strict=True):
-            out[i] = x
-        if texts and self.whole(texts[:1])[0] != out[0]:
-            raise ValueError(f"ids of a text of {len(texts[0])} characters differ from the library's")
-        return out
+        self.chunk = 0
+        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _keep(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, used: np.ndarray, ids: np.ndarray) -> None:
+        self.hashes, self.first, self.count, self.used, self.ids = hashes, first, count, used, ids
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many are each word's) of words: those that begin with a blank or a line end are encoded as one text and cut by their pieces' bytes."""
+        # a word that ends in white space could be drawn together with the next one, one without a blank with the last
+        joined = [w[:1] in (b" ", b"\n") and not w[-3:].decode("utf-8", "replace")[-1:].isspace() for w in new]
+        alone = iter(self.whole([w.decode("utf-8", "replace") for w, j in zip(new, joined, strict=True) if not j]))
+        some = [w for w, j in zip(new, joined, strict=True) if j]
+        pieces, cuts = np.zeros(0, np.uint32), []
+        if some:
+            pieces = self.whole([b"".join(some).decode("utf-8", "replace")])[0]
+            ends, sizes = np.cumsum(self.bytes_of[pieces]), np.cumsum(list(map(len, some)))
+            at = np.searchsorted(ends, sizes)
+            if ends[-1] != sizes[-1] or (ends[at] != sizes).any():
+                raise ValueError("a piece goes over the end of a word")
+            cuts = np.concatenate([[0], at + 1])
+        if len(some) == len(new):
+            return pieces, np.diff(cuts) if some else np.zeros(0, np.int64)
+        parts = iter(np.split(pieces, cuts[1:-1])) if some else iter(())
+        out = [next(parts) if j else next(alone) for j in joined]
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where words begin: at texts and at blanks and line ends that follow anything but white space (or what could end a longer code for it)."""
+        before = np.zeros(len(data), bool)
+        before[1:] = _SPACE[data[:-1]]
+        before[2:] |= (data[:-2] == 0xC2) & ((data[1:-1] == 0x85) | (data[1:-1] == 0xA0))
+        before[3:] |= (data[:-3] >= 0xE1) & (data[:-3] <= 0xE3) & (data[2:-1] >= 0x80) & (data[2:-1] <= 0xAF)
+        begin = ((data == 32) | (data == 10)) & ~before
+        begin[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(begin)
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a chunk, how many are each one's); texts are byte ranges of ``data``."""
+        self.chunk += 1
+        raw = data.tobytes()
+        odd = {k for s in self.special if s in raw for k in range(len(offsets) - 1) if s in raw[offsets[k] : offsets[k + 1]]}
+        start = self.cut(data, offsets) if len(data) else np.zeros(0, np.int64)
+        end = np.append(start[1:], len(data))
+        text = np.searchsorted(offsets, start, side="right") - 1
+        hashes = range_hash(prefix_sums(data), start, end)
+        unique, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), bool)
+        inside = spot < len(self.hashes)
+        known[inside] = self.hashes[spot[inside]] == unique[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            ids, count = self.learn([raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+            first = len(self.ids) + np.cumsum(count) - count
+            add = lambda old, values: np.insert(old, spot[new], values)
+            self._keep(add(self.hashes, unique[new]), add(self.first, first), add(self.count, count), add(self.used, self.chunk), np.concatenate([self.ids, ids]))
+            spot = np.searchsorted(self.hashes, unique)
+        self.used[spot] = self.chunk
+        count = self.count[spot][which]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        out = self.ids[np.repeat(self.first[spot][which] - (upto - count), count) + np.arange(total)]
+        each = np.bincount(text, count, minlength=len(offsets) - 1).astype(np.int64) if len(text) else np.zeros(len(offsets) - 1, np.int64)
+        if len(self.hashes) > KEPT_WORDS:
+            self._forget()
+        if odd:
+            parts = np.split(out, np.cumsum(each)[:-1])
+            for k in odd:
+                parts[k] = self.whole([raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace")])[0]
+            out, each = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        if len(each) and not np.array_equal(self.whole([raw[: offsets[1]].decode("utf-8", "replace")])[0], out[: each[0]]):
+            raise ValueError(f"ids of a text of {offsets[1]} bytes differ from the library's")
+        return out, each
+
+    def _forget(self) -> None:
+        """Drop the half of the words that were used least recently, and long ones first of all."""
+        keep = np.zeros(len(self.hashes), bool)
+        keep[np.argsort(-self.used + (self.count > KEPT_IDS) * self.chunk, kind="stable")[: KEPT_WORDS // 2]] = True
+        count, first = self.count[keep], self.first[keep]
+        begin = np.cumsum(count) - count
+        ids = self.ids[np.repeat(first - begin, count) + np.arange(int(count.sum()))]
+        self._keep(self.hashes[keep], begin, count, self.used[keep], ids)
 
 
 _words: dict[str, Words] = {}
@@ -167,27 +189,16 @@ def words(path: str) -> Words:
     return _words[path]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, bits: int) -> DataFrame:
-    """documents to (doc_id, n_tokens, crc, packed): the ids of each whole text and the end id."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = words(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
-                raw = [x + end for x in own.batch(part.column("text").to_pylist())]
-                packed = [pack(np.frombuffer(x, "<u4"), bits) for x in raw]
-                columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "crc", "packed"])
-
-    return source.mapInArrow(lean(run), "doc_id long, n_tokens long, crc long, packed binary")
+def with_end(ids: np.ndarray, each: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts with the end id after each text."""
+    if end_id is None:
+        return ids, each
+    return np.insert(ids, np.cumsum(each), end_id), each + 1
 
 
-def file_bytes(doc_ids: list[int | None], counts: list[int], packed: Iterable[bytes], bits: int, block: int = BLOCK_IDS) -> Iterator[bytes]:
-    """A file's bytes in parts; ``packed`` has each document's ids by themselves."""
-    n, total = len(doc_ids), sum(counts)
+def file_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: list[np.ndarray], bits: int, block: int = BLOCK_IDS) -> Iterator[bytes]:
+    """A file's bytes in parts; ``ids`` has the ids of all its documents, in runs of any length."""
+    n, total = len(doc_ids), int(np.sum(counts))
     blocks = -(-total // block)
     sizes = np.full(blocks, -(-block * bits // 8), dtype="<u8")
     if total % block:
@@ -195,20 +206,17 @@ def file_bytes(doc_ids: list[int | None], counts: list[int], packed: Iterable[by
     yield HEAD.pack(MAGIC, VERSION, bits, n, total, block, blocks)
     yield np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes()
     yield np.array([d is None for d in doc_ids], dtype=np.uint8).tobytes()
-    yield np.cumsum(np.array(counts, dtype="<u8"), dtype="<u8").tobytes()
+    yield np.cumsum(np.asarray(counts, dtype="<u8"), dtype="<u8").tobytes()
     yield np.concatenate([np.zeros(1, "<u8"), np.cumsum(sizes, dtype="<u8")]).tobytes()
-    held, have = [], 0
-    for data, count in zip(packed, counts, strict=True):
-        for first in range(0, count, block):
-            held.append(unpack(data, bits, min(block, count - first), first))
-            have += len(held[-1])
-        if have >= block:
-            flat = np.concatenate(held)
-            for first in range(0, have - have % block, block):
-                yield pack(flat[first : first + block], bits)
-            held, have = [flat[have - have % block :]], have % block
-    if have:
-        yield pack(np.concatenate(held), bits)
+    rest = np.zeros(0, np.uint32)
+    for run in ids:
+        flat = np.concatenate([rest, run]) if len(rest) else run
+        whole = len(flat) - len(flat) % block
+        for first in range(0, whole, block):
+            yield pack(flat[first : first + block], bits)
+        rest = flat[whole:]
+    if len(rest):
+        yield pack(rest, bits)
 
 
 class TokenFile:
@@ -249,46 +257,55 @@ class TokenFile:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: str | None = None, size: int = FILE_BYTES, block: int = BLOCK_IDS) -> str:
-    """Encode whole texts and write files under ``path`` (a fresh folder in the shared one if None); returns the folder."""
+def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: str | None = None, size: int = FILE_BYTES, block: int = BLOCK_IDS, task_bytes: int = TASK_BYTES) -> str:
+    """Encode whole texts and write files under ``path`` (a fresh folder in the shared one if None); returns the folder.
+
+    Texts are dealt by range of their ids into tasks of about ``task_bytes``
+    each; equal ids are told apart by their texts' hashes and their places in the input, so that
+    many of them are dealt over several tasks too.
+    """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
     bits = width(max(words(tokenizer_path).size, (end_id or 0) + 1))
-    rows = stage_table(encode(docs, tokenizer_path, end_id, bits).withColumn("_row", F.monotonically_increasing_id()), "ids")
-    total = rows.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
-    order = [F.col(c) for c in ("doc_id", "n_tokens", "crc", "_row")]
-    dealt = rows.repartitionByRange(max(1, -(-total * bits // 8 // size)), *order).sortWithinPartitions(*order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    order = [F.col(c) for c in ("doc_id", "_hash", "_row")]
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    dealt = rows.repartitionByRange(max(1, -(-total // task_bytes)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get()
+        task, own = TaskContext.get(), words(tokenizer_path)
         store, root = open_store(path)
         store.create_dir(root, recursive=True)
-        held, have, part, done = ([], [], []), 0, 0, []
+        names, counts, ids, have, done = [], [], [], 0, []
 
         def flush() -> None:
-            nonlocal held, have, part
-            name = f"ids-{task.partitionId():06d}-{part:05d}-{task.taskAttemptId():09d}.tok"
+            nonlocal names, counts, ids, have
+            name = f"ids-{task.partitionId():06d}-{len(done):05d}-{task.taskAttemptId():09d}.tok"
             with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-                for data in file_bytes(*held, bits, block):
+                for data in file_bytes(names, np.concatenate(counts), ids, bits, block):
                     out.write(data)
-            done.append((task.partitionId(), part, name, len(held[0]), sum(held[1])))
-            held, have, part = ([], [], []), 0, part + 1
+            done.append((task.partitionId(), len(done), name, len(names), have))
+            names, counts, ids, have = [], [], [], 0
 
         for batch in batches:
-            for doc_id, count, packed in zip(*(batch.column(c) for c in ("doc_id", "n_tokens", "packed")), strict=True):
-                for to, x in zip(held, (doc_id.as_py(), count.as_py(), packed.as_py()), strict=True):
-                    to.append(x)
-                have += len(held[2][-1])
-                if have >= 2 * size:
+            numbers = batch.column("doc_id").to_pylist()
+            for first, end, data, offsets in text_chunks(batch, "text", CHUNK):
+                flat, each = with_end(*own.texts(data, offsets), end_id)
+                names += numbers[first:end]
+                counts.append(each)
+                ids.append(flat)
+                have += len(flat)
+                if have * bits >= 8 * size:
                     flush()
-        if held[0]:
+        if names:
             flush()
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate(kinds)], ["partition", "part", "name", "docs", "ids"])
 
-    dealt.select("doc_id", "n_tokens", "packed").mapInArrow(lean(run), MANIFEST).write.parquet(f"{path}/manifest")
+    dealt.select("doc_id", "text").mapInArrow(lean(run), MANIFEST).write.parquet(f"{path}/manifest")
     return path
 
 
