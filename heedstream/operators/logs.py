@@ -106,8 +106,11 @@ def acceptance(summary: DataFrame, least_items: float, most_unavailable: float,
 
 
 def last_finished(lines: DataFrame) -> DataFrame:
-    """Start of the last run of each job that has exited with 0."""
-    return runs(lines).where("exit_code = 0").groupBy("job").agg(F.max("started_at").alias("last_run"))
+    """The time of each job's last exit line, whatever its code."""
+    text = F.trim("value")
+    stamp = F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(text, RUN, 1), F.lpad(F.regexp_extract(text, RUN, 2), 8, "0")), F.lit("yyyy/MM/dd HH:mm:ss"))
+    ends = lines.where(F.regexp_extract(text, RUN, 4) == "exit").select("job", "line", stamp.alias("at"))
+    return ends.groupBy("job").agg(F.max_by("at", "line").alias("last_run"))
 
 
 def next_slot(now: Column, hours: list[int]) -> Column:

@@ -2,38 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heedstream.functions.exprs import local_to_utc, strict_time
 
 
+def has_value(c: str) -> Column:
+    """Neither null nor blank."""
+    return F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+
+
+def _alone(known: Column, row_id: str) -> Column:
+    """A part of a grouping key that leaves rows without a key by themselves."""
+    return F.when(~known, F.col(row_id))
+
+
 def dedupe_bursts(bursts: DataFrame) -> DataFrame:
-    """One row for each (keyword, published_at): the smallest id, the traffic of the largest, and whether the survivor was fetched first."""
-    out = bursts.groupBy("keyword", "published_at").agg(
+    """One row for each (keyword, published_at): the smallest id, the traffic of the largest, and whether the survivor was fetched first.
+
+    Rows without keyword or time belong to no group and come through singly.
+    """
+    out = bursts.groupBy("keyword", "published_at", _alone(has_value("keyword") & has_value("published_at"), "burst_id").alias("_alone")).agg(
         F.min("burst_id").alias("burst_id"), F.max_by("approx_traffic", "burst_id").alias("approx_traffic"), F.count("*").alias("rows"),
         F.min("fetched_at").alias("first_fetch"), F.min_by("fetched_at", "burst_id").alias("fetched_at"))
-    return out.withColumn("earliest", F.col("first_fetch") == F.col("fetched_at")).drop("first_fetch")
+    return out.withColumn("earliest", F.col("first_fetch").eqNullSafe(F.col("fetched_at"))).drop("first_fetch", "_alone")
 
 
 def survivor_map(bursts: DataFrame) -> DataFrame:
-    """(burst_id, survivor) for every burst."""
-    first = bursts.groupBy("keyword", "published_at").agg(F.min("burst_id").alias("survivor"))
-    return bursts.join(first, ["keyword", "published_at"]).select("burst_id", "survivor")
+    """(burst_id, survivor) for every burst; one without keyword or time survives itself."""
+    grouped = bursts.where(has_value("keyword") & has_value("published_at"))
+    first = grouped.groupBy("keyword", "published_at").agg(F.min("burst_id").alias("survivor"))
+    return bursts.join(first, ["keyword", "published_at"], "left").select("burst_id", F.coalesce("survivor", "burst_id").alias("survivor"))
 
 
 def dedupe_news(news: DataFrame, survivors: DataFrame) -> DataFrame:
-    """News under surviving bursts; of each (burst, url) the smallest id stays, takes the first known sentiment, and conflicts are marked."""
+    """News under surviving bursts; of each (burst, url) the smallest id stays.
+
+    A survivor keeps its own sentiment, score and type; only where it has no
+    sentiment it takes all three from the first row that has one. Where
+    sentiments of a group differ nothing is taken and ``conflict`` is set. News without a
+    URL belong to no group and come through singly.
+    """
     moved = news.join(survivors, "burst_id", "left").withColumn("burst_id", F.coalesce("survivor", "burst_id"))
-    known = F.col("news_sentiment").isNotNull()
+    known = has_value("news_sentiment")
     triple = F.struct("news_sentiment", "sentiment_score", "event_type")
-    out = moved.groupBy("burst_id", "news_url").agg(F.min("news_id").alias("news_id"), F.min_by(F.when(known, triple), F.when(known, F.col("news_id"))).alias("t"), F.count("*").alias("rows"), (F.count_distinct("news_sentiment") > 1).alias("conflict"))
-    return out.select("news_id", "burst_id", "news_url", "t.*", "rows", "conflict")
+    out = moved.groupBy("burst_id", "news_url", _alone(has_value("news_url"), "news_id").alias("_alone")).agg(
+        F.min("news_id").alias("news_id"), F.min_by(F.struct(triple.alias("t"), known.alias("known")), "news_id").alias("own"), F.min_by(triple, F.when(known, F.col("news_id"))).alias("donor"),
+        F.count("*").alias("rows"), (F.count_distinct(F.when(known, F.col("news_sentiment"))) > 1).alias("conflict"))
+    take = ~F.col("own.known") & ~F.col("conflict") & F.col("donor").isNotNull()
+    return out.withColumn("t", F.when(take, F.col("donor")).otherwise(F.col("own.t"))).select("news_id", "burst_id", "news_url", "t.*", "rows", "conflict")
+
+
+def quarantine(bursts: DataFrame, news: DataFrame) -> DataFrame:
+    """Rows (table, id, reason) that must not be grouped, and groups that a repair must not settle by itself."""
+    b, n = dedupe_bursts(bursts), dedupe_news(news, survivor_map(bursts))
+    row = lambda df, table, id_, reason: df.select(F.lit(table).alias("table"), F.col(id_).cast("long").alias("id"), F.lit(reason).alias("reason"))
+    out = row(bursts.where(~(has_value("keyword") & has_value("published_at"))), "bursts", "burst_id", "no key")
+    out = out.union(row(news.where(~has_value("news_url")), "news", "news_id", "no url"))
+    return out.union(row(b.where("not earliest"), "bursts", "burst_id", "survivor not fetched first")).union(row(n.where("conflict"), "news", "news_id", "sentiments differ"))
+
+
+def settled(deduped: DataFrame, flag: Column, what: str) -> DataFrame:
+    """``deduped`` as it is, in a plan that fails on the first row for which ``flag`` does not hold."""
+    return deduped.where(F.when(F.coalesce(flag, F.lit(False)), True).otherwise(F.raise_error(F.lit(what)).cast("boolean")))
 
 
 def dedupe_report(before_bursts: DataFrame, after_bursts: DataFrame, before_news: DataFrame, after_news: DataFrame) -> DataFrame:
     """D3: row counts before and after, keys that still repeat, and news without a burst."""
-    again = after_bursts.groupBy("keyword", "published_at").agg(F.count("*").alias("n")).where("n > 1")
+    again = after_bursts.where(has_value("keyword") & has_value("published_at")).groupBy("keyword", "published_at").agg(F.count("*").alias("n")).where("n > 1")
     orphans = after_news.join(after_bursts.select("burst_id"), "burst_id", "left_anti")
     counts = [("bursts_before", before_bursts), ("bursts_after", after_bursts), ("news_before", before_news), ("news_after", after_news), ("repeating_keys", again), ("orphans", orphans)]
     out = None

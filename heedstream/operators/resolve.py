@@ -21,6 +21,9 @@ THRESHOLD = 88
 #: Dictionary terms that one pass holds in a task.
 DICTIONARY_BLOCK = 50_000
 
+#: The theme of companies that a rule recognises as technology.
+TECH_THEME = "科技類"
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
@@ -83,14 +86,15 @@ def fuzzy_match(keywords: DataFrame, dictionary: DataFrame, threshold: int = THR
     The first exact normal form scores 100. Others of three letters or more
     take the best of whole and window likeness, ties to the longer term and
     then the earlier row. Unmatched keywords come back trimmed with a null type
-    and score 0: likeness under the threshold isn't worked out.
+    and score 0: likeness under the threshold isn't worked out. An empty normal
+    form is like none. Stocks stand in the dictionary's order.
 
     Only candidates are compared. At the threshold the shorter of two forms and
     what it is like in the longer one differ by fewer inserted or deleted
     characters than the shorter one has pieces, so one piece stands unchanged
     in the longer form: an equi-join of pieces with stretches of text.
     """
-    terms = dictionary.groupBy(F.col("keyword").alias("term"), "type").agg(F.min("ordinal").alias("ordinal")).withColumn("term_form", keyword_form(F.col("term")))
+    terms = dictionary.groupBy(F.col("keyword").alias("term"), "type").agg(F.min("ordinal").alias("ordinal")).withColumn("term_form", keyword_form(F.col("term"))).where("term_form <> ''")
     asked = keywords.select("keyword").distinct().withColumn("form", keyword_form(F.col("keyword")))
     first = terms.groupBy("term_form").agg(F.min_by(F.struct("term", "type"), "ordinal").alias("hit"))
     exact = asked.join(first.withColumnRenamed("term_form", "form"), "form", "left").select("keyword", "form", "hit.term", "hit.type", F.when(F.col("hit").isNotNull(), 100).alias("score"))
@@ -111,7 +115,8 @@ def fuzzy_match(keywords: DataFrame, dictionary: DataFrame, threshold: int = THR
     scored = near.mapInPandas(run, "keyword string, form string, term string, type string, ordinal long, term_form string, exact double")
     best = scored.groupBy("keyword").agg(F.max_by(F.struct("term", "type", F.col("exact").cast("int").alias("score")), F.struct("exact", F.length("term_form"), (-F.col("ordinal")).alias("o"))).alias("n"))
     out = exact.join(best, "keyword", "left").select("keyword", F.coalesce("term", "n.term").alias("term"), F.coalesce("type", "n.type").alias("type"), F.coalesce("score", "n.score", F.lit(0)).cast("int").alias("score"))
-    stocks = dictionary.where("stock_id <> ''").groupBy(F.col("keyword").alias("term"), "type").agg(F.sort_array(F.collect_set("stock_id")).alias("stock_ids"))
+    stocks = dictionary.where("stock_id <> ''").groupBy(F.col("keyword").alias("term"), "type", "stock_id").agg(F.min("ordinal").alias("o"))
+    stocks = stocks.groupBy("term", "type").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "stock_id"))), lambda x: x["stock_id"]).alias("stock_ids"))
     out = out.join(stocks, ["term", "type"], "left")
     return out.select("keyword", F.coalesce("term", F.trim("keyword")).alias("canonical"), "type", F.coalesce("stock_ids", F.array().cast("array<string>")).alias("stock_ids"), "score")
 
@@ -140,17 +145,17 @@ def known_companies(aliases: DataFrame, seeds: DataFrame) -> DataFrame:
 def resolve(keywords: DataFrame, known: DataFrame, official: DataFrame, industries: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
     """Seed and alias, then the official code, then the industry, then a gated prediction; source null is unresolved."""
     asked = keywords.select("keyword").distinct().withColumn("form", entity_form(F.col("keyword"))).withColumn("code", F.upper(F.trim("keyword")))
-    struct = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("canonical", "entity_type", "stock_id", "industry", "theme_name", "source"), strict=True)])
-    k = known.select("form", struct(*[F.col(c) for c in ("canonical", "entity_type", "stock_id", "industry", "theme_name", "source")]).alias("a"))
+    struct = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("canonical", "entity_type", "stock_id", "industry", "theme_name", "source", "confidence_score"), strict=True)])
+    k = known.select("form", struct(*[F.col(c) for c in ("canonical", "entity_type", "stock_id", "industry", "theme_name", "source")], F.lit(1.0)).alias("a"))
     etf = F.col("code").startswith("00")
     o = official.select(F.col("stock_id").alias("code"), "name")
     i = industries.select(entity_form(F.col("keyword")).alias("form"), F.col("keyword").alias("industry")).groupBy("form").agg(F.min("industry").alias("industry"))
     out = asked.join(k, "form", "left").join(o, "code", "left").join(i, "form", "left")
-    by_code = F.when(is_bare_code(F.col("code")) & F.col("name").isNotNull(), struct(F.col("name"), F.when(etf, "ETF").otherwise("上市公司"), F.col("code"), F.when(etf, "ETF").otherwise(""), F.when(etf, "金融類").otherwise(OTHER_THEME), F.lit("code")))
-    by_industry = F.when(F.col("industry").isNotNull(), struct(F.col("industry"), F.lit("產業"), F.lit(""), F.col("industry"), industry_theme(F.col("industry")), F.lit("industry")))
+    by_code = F.when(is_bare_code(F.col("code")) & F.col("name").isNotNull(), struct(F.col("name"), F.when(etf, "ETF").otherwise("上市公司"), F.col("code"), F.when(etf, "ETF").otherwise(""), F.when(etf, "金融類").otherwise(OTHER_THEME), F.lit("code"), F.lit(1.0)))
+    by_industry = F.when(F.col("industry").isNotNull(), struct(F.col("industry"), F.lit("產業"), F.lit(""), F.col("industry"), industry_theme(F.col("industry")), F.lit("industry"), F.lit(0.95)))
     found = [F.col("a"), by_code, by_industry]
     if predictions is not None:
-        p = predictions.select("keyword", struct(*[F.col(c) for c in ("canonical", "entity_type", "stock_id", "industry", "theme_name")], F.lit("prediction")).alias("p"))
+        p = predictions.select("keyword", struct(*[F.col(c) for c in ("canonical", "entity_type", "stock_id", "industry", "theme_name")], F.lit("prediction"), F.col("confidence_score")).alias("p"))
         out = out.join(p, "keyword", "left")
         found.append(F.col("p"))
     return out.select("keyword", F.coalesce(*found).alias("r")).select("keyword", "r.*")
@@ -168,33 +173,56 @@ def gate_predictions(predictions: DataFrame, official: DataFrame, kinds: list[st
         F.when(kind == "ETF", "金融類").when(coded, industry_theme(industry)).when(proposed.isin(*themes), proposed).otherwise(OTHER_THEME).alias("theme_name"), clamp_confidence(F.col("confidence_score")).alias("confidence_score"),
     )
     rows = rows.where(F.col("entity_type").isin(*kinds) & (F.col("canonical") != "") & (F.col("confidence_score") >= least) & (~F.col("entity_type").isin(*ENTITY_KINDS_WITH_CODE) | F.col("stock_id").rlike(r"^\d{4,6}[A-Z]?$")))
-    rows = rows.where(~(F.col("keyword").isin(*AMBIGUOUS_WORDS) & F.col("entity_type").isin(*ENTITY_KINDS_WITH_CODE)))
+    rows = rows.where(~(entity_form(F.col("keyword")).isin(*AMBIGUOUS_WORDS) & F.col("entity_type").isin(*ENTITY_KINDS_WITH_CODE)))
     met = rows.join(official.select("stock_id", F.col("name").alias("_official")), "stock_id", "left")
     return met.where(F.col("_official").isNull() | names_match(F.col("canonical"), F.col("_official"))).drop("_official").select("keyword", "canonical", "entity_type", "stock_id", "industry", "theme_name", "confidence_score")
 
 
-def entity_save(resolved: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entity rows, classification rows and links after direct links of resolved companies come in and old other-theme links go."""
-    entities = resolved.where("source is not null").groupBy(F.col("canonical").alias("entity_name")).agg(F.min_by(F.struct("entity_type", "stock_id", "industry", "theme_name", "source"), "keyword").alias("r")).select("entity_name", "r.*")
-    classes = resolved.where("source is not null").select("keyword", F.col("canonical").alias("canonical_keyword"), "theme_name", "source")
-    direct = resolved.where("source is not null and stock_id <> ''").select("theme_name", "keyword", "stock_id", F.lit("direct").alias("link_type"), F.lit(1).alias("active"))
-    names = direct.select("keyword").distinct().withColumn("_hit", F.lit(True))
-    kept = links.join(names, "keyword", "left").withColumn("active", F.when(F.col("_hit") & (F.col("theme_name") == OTHER_THEME), 0).otherwise(F.col("active"))).drop("_hit")
+def entity_save(resolved: DataFrame, links: DataFrame, classified: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resolved keywords to entity rows, classification rows, and links as they stand afterwards.
+
+    A company (or fund) becomes a direct link of its canonical name to its
+    stock; links under the other theme of the keyword, and of the canonical names
+    that ``classified`` has for it so far, are switched off first. Keywords that aren't
+    companies stay under the other theme as fallbacks. Of several keywords of one entity the last one's values count.
+    """
+    rows = resolved.where("source is not null").withColumn("_company", F.col("entity_type").isin(*ENTITY_KINDS_WITH_CODE))
+    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    entities = rows.groupBy(F.col("canonical").alias("entity_name")).agg(F.max_by(F.struct("entity_type", blank("stock_id"), blank("industry"), blank("theme_name"), "confidence_score", "source"), "keyword").alias("r")).select("entity_name", "r.*")
+    industry = F.nullif(F.col("industry"), F.lit(""))
+    classes = rows.select(
+        "keyword", F.col("canonical").alias("canonical_keyword"), "entity_type", F.when(F.col("_company"), F.col("theme_name")).otherwise(OTHER_THEME).alias("theme_name"), F.coalesce(industry, F.lit("未分類")).alias("sub_theme"),
+        F.col("_company").cast("int").alias("stock_related"), "confidence_score", F.when(F.col("_company"), "entity_resolution").otherwise("fallback").alias("source"), (F.col("confidence_score") < 0.85).cast("int").alias("need_review"))
+    company = rows.where("_company")
+    direct = company.select("theme_name", F.col("canonical").alias("keyword"), "stock_id", F.coalesce(industry, F.lit("公司與股票")).alias("sub_theme"), F.lit("direct").alias("link_type"), F.lit(1).alias("active"))
+    earlier = classified.join(company.select("keyword").distinct(), "keyword", "left_semi").select(F.col("canonical_keyword").alias("keyword"))
+    gone = company.select("keyword").union(earlier).where("keyword is not null").distinct().withColumn("_gone", F.lit(True))
+    off = F.col("_gone") & (F.col("theme_name") == OTHER_THEME)
+    kept = links.join(gone, "keyword", "left").withColumn("active", F.when(off, 0).otherwise(F.col("active"))).select(*links.columns)
     key = ["theme_name", "keyword", "stock_id"]
-    after = kept.join(direct.select(*key), key, "left_anti").unionByName(direct.dropDuplicates(key), allowMissingColumns=True)
+    made = direct.groupBy(*key).agg(F.max(F.struct("sub_theme", "link_type", "active")).alias("r")).select(*key, "r.*")
+    after = kept.join(made.select(*key), key, "left_anti").unionByName(made.select(*[c for c in made.columns if c in links.columns]), allowMissingColumns=True)
     return entities, classes, after
 
 
-def rule_classify(keywords: DataFrame, themes: DataFrame, companies: DataFrame) -> DataFrame:
+def rule_classify(keywords: DataFrame, themes: DataFrame, companies: DataFrame, members: DataFrame) -> DataFrame:
     """Exact theme keyword, else a fuzzy company, else the longest theme keyword inside, else fallback.
 
-    ``themes`` has (ordinal, keyword, theme_name, sub_theme, stock_id), ``companies`` a dictionary as in ``fuzzy_match``.
+    ``themes`` has (ordinal, keyword, theme_name, sub_theme, stock_id), ``companies`` is a dictionary as in ``fuzzy_match``.
+    A company goes by the shortest name with other than ASCII characters among all names of
+    its stocks (the shortest of all where there is none, the earlier of equals),
+    and is of the technology theme if its first stock is one of ``members`` (stock_id).
     """
     asked = keywords.select("keyword").distinct().withColumn("form", keyword_form(F.col("keyword")))
     terms = themes.withColumn("form", keyword_form(F.col("keyword")))
     first = terms.groupBy("form").agg(F.min_by(F.struct(F.col("keyword").alias("term"), "theme_name", "sub_theme", "stock_id"), "ordinal").alias("e"))
     step = asked.join(first, "form", "left")
-    company = fuzzy_match(step.where("e is null").select("keyword"), companies).where("type = 'company' and size(stock_ids) > 0").select("keyword", F.struct("canonical", "stock_ids").alias("c"))
+    company = fuzzy_match(step.where("e is null").select("keyword"), companies).where("type = 'company' and size(stock_ids) > 0").select("keyword", "stock_ids")
+    names = companies.where("type = 'company'").groupBy("stock_id", F.col("keyword").alias("name")).agg(F.min("ordinal").alias("o"))
+    tech = members.select("stock_id", F.lit(True).alias("_tech")).distinct()
+    each = company.select("keyword", "stock_ids", F.posexplode("stock_ids").alias("_k", "stock_id")).join(names, "stock_id").join(tech, "stock_id", "left")
+    order = F.struct((~F.col("name").rlike(r"[^\x00-\x7F]")).alias("ascii"), F.length("name"), "o")
+    company = each.groupBy("keyword").agg(F.struct(F.min_by("name", order).alias("canonical"), F.first("stock_ids").alias("stock_ids"), F.coalesce(F.bool_or((F.col("_k") == 0) & F.col("_tech")), F.lit(False)).alias("tech")).alias("c"))
     step = step.join(company, "keyword", "left")
     # what stands inside a keyword is one of its stretches of a term's length: an equi-join, whose lengths are few
     sizes = sorted(r["n"] for r in first.select(F.length("form").alias("n")).where("n > 1").distinct().collect())
@@ -204,9 +232,10 @@ def rule_classify(keywords: DataFrame, themes: DataFrame, companies: DataFrame)
     source = F.when(F.col("e").isNotNull(), "theme_mapping").when(F.col("c").isNotNull() | F.col("i").isNotNull(), "mapping_normalizer").otherwise("fallback")
     link = F.when(F.col("e").isNotNull(), F.when(F.col("e.stock_id") != "", "industry").otherwise("none")).when(F.col("c").isNotNull(), "company").when(F.col("i").isNotNull(), "industry").otherwise("none")
     return step.select(
-        "keyword", F.coalesce("e.term", "c.canonical", "i.term", F.trim("keyword")).alias("canonical_keyword"), F.coalesce("e.theme_name", F.when(F.col("c").isNotNull(), OTHER_THEME), "i.theme_name", F.lit(OTHER_THEME)).alias("theme_name"),
+        "keyword", F.coalesce("e.term", "c.canonical", "i.term", F.trim("keyword")).alias("canonical_keyword"), F.coalesce("e.theme_name", F.when(F.col("c").isNotNull(), F.when(F.col("c.tech"), TECH_THEME).otherwise(OTHER_THEME)), "i.theme_name", F.lit(OTHER_THEME)).alias("theme_name"),
         F.coalesce("e.sub_theme", F.when(F.col("c").isNotNull(), "公司與股票"), "i.sub_theme", F.lit("未分類")).alias("sub_theme"), link.alias("link_type"),
         F.when(F.col("e").isNotNull(), 1.0).when(F.col("c").isNotNull(), 0.7).when(F.col("i").isNotNull(), 0.5).otherwise(0.0).alias("confidence_score"), source.alias("classification_source"),
+        F.coalesce("c.stock_ids", F.array().cast("array<string>")).alias("stock_ids"),
     )
 
 
@@ -341,13 +370,57 @@ def _alias_places(names: list[str]):  # noqa: ANN202
     return run
 
 
-def type_links(links: DataFrame, curated: DataFrame, entities: DataFrame) -> DataFrame:
-    """Curated pairs are theme links, pairs of unretired entities direct ones, all others are switched off."""
-    c = curated.select("keyword", "stock_id").distinct().withColumn("_c", F.lit(True))
-    e = entities.where("not retired").select(F.col("entity_name").alias("keyword"), "stock_id").distinct().withColumn("_e", F.lit(True))
-    met = links.drop("link_type", "active").join(c, ["keyword", "stock_id"], "left").join(e, ["keyword", "stock_id"], "left")
-    kind = F.when(F.col("_c"), "theme").when(F.col("_e"), "direct")
-    return met.withColumn("link_type", kind).withColumn("active", F.when(kind.isNull(), 0).otherwise(1)).drop("_c", "_e")
+def plan_link_types(links: DataFrame, curated: DataFrame, entities: DataFrame, retired: DataFrame, classified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is to change: link rows (id, action) and the keywords to classify anew.
+
+    Active links (id, theme_name, keyword, stock_id, active) with a stock are
+    typed ``theme`` where their (theme, keyword, stock) is curated, else ``direct`` where (keyword, stock) is an
+    entity's and the keyword isn't ``retired``, and are deactivated otherwise. Other links stay as they are.
+    Keywords that lose their last link are requeued, by their own or their canonical name.
+    """
+    rows = links.where("active = 1 and coalesce(stock_id, '') <> ''").select("id", "theme_name", "keyword", "stock_id")
+    c = curated.where("coalesce(stock_id, '') <> ''").select("theme_name", "keyword", "stock_id", F.lit(True).alias("_c")).distinct()
+    e = entities.where("coalesce(stock_id, '') <> ''").select(F.col("entity_name").alias("keyword"), "stock_id").distinct().join(retired.select("keyword"), "keyword", "left_anti").withColumn("_e", F.lit(True))
+    met = rows.join(c, ["theme_name", "keyword", "stock_id"], "left").join(e, ["keyword", "stock_id"], "left")
+    actions = met.select("id", "keyword", F.when(F.col("_c"), "theme").when(F.col("_e"), "direct").otherwise("deactivate").alias("action"))
+    lost = actions.groupBy("keyword").agg(F.bool_and(F.col("action") == "deactivate").alias("lost")).where("lost").select(F.col("keyword").alias("_k"))
+    either = F.explode(F.array_distinct(F.array("keyword", F.coalesce("canonical_keyword", "keyword"))))
+    requeue = classified.select("keyword", either.alias("_k")).join(lost, "_k", "left_semi").select("keyword").distinct()
+    return actions, requeue
+
+
+def link_type_summary(actions: DataFrame, requeue: DataFrame, sample: int = 20) -> DataFrame:
+    """The plan's counts in one row, with the first keywords that lose their links."""
+    by = actions.groupBy("keyword").agg(F.bool_or(F.col("action") != "deactivate").alias("kept"))
+    least = by.where("not kept").select("keyword").orderBy("keyword").limit(sample).agg(F.array_sort(F.collect_list("keyword")).alias("unlinked_sample"))
+    count = lambda name: F.count_if(F.col("action") == name)
+    rows = actions.agg(F.count("*").alias("active_stock_rows"), count("theme").alias("theme_rows"), count("direct").alias("direct_rows"), count("deactivate").alias("deactivated_rows"))
+    names = by.agg(F.count("*").alias("keywords_linked_before"), F.count_if("kept").alias("keywords_linked_after"), F.count_if(~F.col("kept")).alias("keywords_unlinked"))
+    return rows.crossJoin(names).crossJoin(requeue.agg(F.count("*").alias("classifications_requeued"))).crossJoin(least)
+
+
+def apply_link_types(links: DataFrame, actions: DataFrame) -> DataFrame:
+    """Links with the plan's types; what is deactivated keeps its type."""
+    met = links.join(actions.select("id", "action"), "id", "left")
+    typed = F.when(F.col("action").isin("theme", "direct"), F.col("action")).otherwise(F.col("link_type"))
+    return met.withColumn("link_type", typed).withColumn("active", F.when(F.col("action") == "deactivate", 0).otherwise(F.col("active"))).select(*links.columns)
+
+
+def apply_requeue(classified: DataFrame, requeue: DataFrame) -> DataFrame:
+    """Requeued keywords become fallbacks under the other theme; other columns stay."""
+    hit = F.col("_q")
+    new = {"theme_name": F.lit(OTHER_THEME), "sub_theme": F.lit("未分類"), "stock_related": F.lit(0), "source": F.lit("fallback"), "confidence_score": F.lit(0.0)}
+    met = classified.join(requeue.select("keyword", F.lit(True).alias("_q")), "keyword", "left")
+    return met.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in classified.columns])
+
+
+def verify_link_types(after: DataFrame, actions: DataFrame) -> DataFrame:
+    """What the applied plan failed to do (check, expected, found); no rows are success."""
+    live = after.where("active = 1")
+    untyped = live.where("coalesce(stock_id, '') <> '' and link_type is null").agg(F.lit("untyped").alias("check"), F.lit(0).cast("long").alias("expected"), F.count("*").alias("found"))
+    want = actions.agg(F.count_if(F.col("action") != "deactivate").alias("expected"))
+    typed = live.where("link_type in ('theme', 'direct')").agg(F.count("*").alias("found")).crossJoin(want).select(F.lit("typed"), "expected", "found")
+    return untyped.union(typed).where("expected <> found")
 
 
 def nearest_pairs(events: DataFrame, others: DataFrame, days: int = 7) -> DataFrame:
@@ -361,6 +434,13 @@ def nearest_pairs(events: DataFrame, others: DataFrame, days: int = 7) -> DataFr
     return e.join(o, ["stock_id", "_b"]).where(F.abs(lag) <= days).groupBy("stock_id", "event").agg(F.min_by(lag, F.struct(F.abs(lag), F.col("other"))).alias("lag"))
 
 
+def lead_lag(pairs: DataFrame) -> DataFrame:
+    """How many pairs, the shares of other signals before, on and after the event's day, and the median lag in days."""
+    share = lambda when: F.avg(when.cast("double"))
+    lag = F.col("lag")
+    return pairs.agg(F.count("*").alias("pairs"), share(lag < 0).alias("earlier"), share(lag == 0).alias("same_day"), share(lag > 0).alias("later"), F.median("lag").alias("median_lag"))
+
+
 def display_names(links: DataFrame, official: DataFrame) -> DataFrame:
     """The shortest direct keyword of a stock; the official name goes before it."""
     short = links.where("link_type = 'direct'").groupBy("stock_id").agg(F.min_by("keyword", F.struct(F.length("keyword"), "keyword")).alias("short"))

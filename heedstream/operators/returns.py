@@ -64,7 +64,7 @@ def align(events: DataFrame, trading: DataFrame, side: str = "left", date: str =
 
 
 def with_performance(prices: DataFrame, benchmark: str) -> DataFrame:
-    """W5-W9 for every trading row: forward and excess returns, gain and loss, breakouts, first reaction.
+    """W5-W10 for every trading row: forward, excess and normal excess returns, gain and loss, breakouts, first reaction.
 
     The benchmark's close of a row's day is joined once, from a broadcast
     calendar (one row a day); that of a later row is carried back with the row,
@@ -81,11 +81,11 @@ def with_performance(prices: DataFrame, benchmark: str) -> DataFrame:
         cross = (F.col("close") > F.col(f"ma{n}")) & (F.lag("close").over(by_stock()) <= F.lag(f"ma{n}").over(by_stock()))
         out = out.withColumn(f"_x{n}", F.when(cross, F.col("ordinal")))
         out = out.withColumn(f"ma{n}_breakout_day", F.min(f"_x{n}").over(_rows(0, 30)) - F.col("ordinal"))
-    after = F.collect_list(F.struct("ordinal", "close")).over(_rows(1, 30))
-    hit = F.filter(after, lambda x: F.abs(F.try_divide(x["close"], F.col("close")) - 1) >= 0.01)
-    out = out.withColumn("reaction_days", F.when(F.size(hit) > 0, hit[0]["ordinal"] - F.col("ordinal")))
-    for n in (5, 10):
+    moved = lambda n: F.abs(F.try_divide(F.lead("close", n).over(by_stock()), F.col("close")) - 1) >= 0.01
+    out = out.withColumn("reaction_days", F.coalesce(*[F.when(moved(n), n) for n in range(1, 31)]))
+    for n in HORIZONS:
         out = out.withColumn(f"excess_{n}d", F.col(f"return_{n}d") - F.when(F.col("_b") != 0, ratio(F.lead("_b", n).over(by_stock()), F.col("_b"))))
+    out = out.withColumns({f"normal_{n}d": F.avg(f"excess_{n}d").over(Window.partitionBy("stock_id")) for n in HORIZONS})
     return out.drop("_b", "_x20", "_x60")
 
 
@@ -96,7 +96,7 @@ def normal_excess(performance: DataFrame, start: str | None = None, end: str | N
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-    return rows.groupBy("stock_id").agg(*[F.avg(f"excess_{n}d").alias(f"normal_{n}d") for n in (5, 10)], F.count("*").alias("days"))
+    return rows.groupBy("stock_id").agg(*[F.avg(f"excess_{n}d").alias(f"normal_{n}d") for n in HORIZONS], F.count("*").alias("days"))
 
 
 def aligned_returns(clusters: DataFrame, prices: DataFrame, offsets: tuple[int, ...] = (0, 1, 3, 5, 10)) -> DataFrame:
@@ -116,20 +116,20 @@ def return_comparison(aligned: DataFrame, keys: list[str]) -> DataFrame:
     return wide.select(*keys, *[F.col(str(n)).alias(f"day{n}") for n in HORIZONS]).orderBy(F.col("day1").desc_nulls_last(), *keys)
 
 
-def relative(prices: DataFrame) -> DataFrame:
-    """Adjusted close (else close) with the stock's first value as 100."""
-    price = F.coalesce("adj_close", "close")
+def relative(prices: DataFrame, adjusted: bool = True) -> DataFrame:
+    """Adjusted close (else close), or the close itself, with the stock's first value as 100."""
+    price = F.coalesce("adj_close", "close") if adjusted else F.col("close")
     return prices.dropDuplicates(["stock_id", "date"]).withColumn("price", price).where("price is not null").withColumn("base_100", F.col("price") / F.first("price").over(by_stock()) * 100)
 
 
 def technicals(prices: DataFrame) -> DataFrame:
-    """Base 100, moving averages, RSI over 14 changes by simple means, MACD 12/26 and its signal over 9.
+    """Base 100, moving averages, RSI over 14 changes by simple means, MACD 12/26 and its signal over 9, and the volume, all on closes.
 
     The recursive averages run once over each stock's ordered closes, in the
     partitioning of the windows before them; a stock's history is bounded by
     its trading days.
     """
-    out = relative(prices).select("stock_id", "date", "price", "base_100")
+    out = relative(prices, adjusted=False).select("stock_id", "date", "price", "base_100", "volume")
     first = F.first("price").over(by_stock())
     for n in (5, 20, 60):
         frame = _rows(1 - n, 0)
@@ -213,61 +213,106 @@ def forward_abnormal(calendar: DataFrame, rows: int, mode: str = "after", name:
     return calendar.withColumn(name, ratio(later("price"), own) - ratio(later("bench"), base))
 
 
-def next_trading_days(dates: DataFrame, trading_days: DataFrame) -> DataFrame:
-    """(date, day0, day): the first trading day on or after each distinct date; one row a calendar day."""
-    days = trading_days.select(F.lit("x").alias("stock_id"), "date", "day")
-    found = align(dates.select("date").distinct().withColumn("stock_id", F.lit("x")), days).where("day0 is not null")
-    return found.select("date", F.col("day0.date").alias("day0"), F.col("day0.day").alias("day"))
+def trading_day_map(trading_days: DataFrame) -> DataFrame:
+    """(date, day0, day): the first trading day on or after each calendar day between the first and the last; one row a calendar day."""
+    before = F.lag("date").over(Window.orderBy("date"))
+    spans = trading_days.select(F.col("date").alias("day0"), "day", F.coalesce(F.date_add(before, 1), F.col("date")).alias("_from"))
+    return spans.select(F.explode(F.sequence("_from", "day0")).alias("date"), "day0", "day")
 
 
-def event_units(events: DataFrame, trading_days: DataFrame, priced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Events (keyword, stock_id, link_type, theme_name, date, traffic, tone) to direct and theme units by day 0.
+def event_pairs(events: DataFrame, trading_days: DataFrame, priced: DataFrame | None = None) -> DataFrame:
+    """Events (keyword, stock_id, link_type, theme_name, date, tone, traffic) to what units are made of.
 
-    Only company codes of the home market count (F7), and of these only the
-    stocks of ``priced``. Events meet a broadcast map from calendar days to trading days.
+    One row for each (stock, day 0) of kind direct and each (theme, day 0,
+    stock) of kind theme; where several events meet there, that of the first
+    keyword and day counts. Only company codes of the home market take part (F7), and of these
+    only the stocks of ``priced``. ``trading_days`` (date, day) are broadcast as a map of calendar days; an
+    event before the first belongs to the first, one after the last to none.
     """
-    own = events.where(is_company_code(F.col("stock_id")))
+    own = events.where(is_company_code(F.col("stock_id")) & F.col("link_type").isin("direct", "theme"))
     if priced is not None:
         own = own.join(priced.select("stock_id").distinct(), "stock_id", "left_semi")
-    marked = own.join(F.broadcast(next_trading_days(own, trading_days)), "date")
-    marked = marked.select("keyword", "stock_id", "link_type", "theme_name", "day0", "day", "traffic", "tone")
-    direct = marked.where("link_type = 'direct'").select("stock_id", "day0", "day").distinct()
-    theme = marked.where("link_type = 'theme'")
-    tone = theme.select("theme_name", "day0", "keyword", "tone", "traffic").distinct().groupBy("theme_name", "day0").agg(F.sum("tone").alias("tone"))
-    units = theme.groupBy("theme_name", "day0", "day").agg(F.sort_array(F.collect_set("stock_id")).alias("stock_ids"), F.sort_array(F.collect_set("keyword")).alias("keywords"), F.max("traffic").alias("traffic"))
-    return direct, units.join(tone, ["theme_name", "day0"])
-
-
-def cumulative_paths(units: DataFrame, daily: DataFrame, normal: DataFrame, before: int = 5, after: int = 10) -> DataFrame:
-    """Mean cumulative abnormal path of units (unit, day, stock_ids) at offsets -before..after.
-
-    A unit's AR of a day is the mean of its stocks' non-null ARs; units
-    without a full window and a row before it are dropped. The adjusted path
-    takes the units' normal level off, o + 1 days of it at offset o; the
-    path at -1 is 0, before that it is minus what is still to come.
+    first = trading_days.agg(F.min("date").alias("_first"))
+    own = own.crossJoin(F.broadcast(first)).withColumn("_d", F.greatest("date", "_first"))
+    met = own.join(F.broadcast(trading_day_map(trading_days).withColumnRenamed("date", "_d")), "_d")
+    theme = F.when(F.col("link_type") == "theme", F.col("theme_name"))
+    rows = met.groupBy(F.col("link_type").alias("kind"), theme.alias("theme_name"), "stock_id", "day0", "day").agg(F.min_by(F.struct("keyword", "tone", "traffic"), F.struct("keyword", "date")).alias("e"))
+    return rows.select("kind", F.coalesce("theme_name", "stock_id").alias("unit"), "stock_id", "day0", "day", "e.*")
+
+
+def event_units(pairs: DataFrame) -> DataFrame:
+    """Units (kind, unit, day0, day) with their stocks, keywords, summed tone and greatest traffic."""
+    return pairs.groupBy("kind", "unit", "day0", "day").agg(F.sort_array(F.collect_set("stock_id")).alias("stock_ids"), F.sort_array(F.collect_set("keyword")).alias("keywords"), F.sum("tone").alias("tone"), F.max("traffic").alias("traffic"))
+
+
+def path_windows(daily: DataFrame, start: str, before: int = 5, after: int = 10) -> DataFrame:
+    """Each stock's days with the abnormal returns around them in an array and the stock's normal level from ``start`` on.
+
+    Days without a full window and a row before it are left out. Everything
+    comes from windows over the stock, in the partitioning of ``daily``.
     """
-    last = daily.agg(F.max("day").alias("last_day"))
-    full = units.crossJoin(F.broadcast(last)).where((F.col("day") - before - 1 >= 1) & (F.col("day") + after <= F.col("last_day"))).drop("last_day")
-    each = full.select("unit", "day", F.explode("stock_ids").alias("stock_id"))
-    level = each.join(normal, "stock_id").groupBy("unit").agg(F.avg("normal").alias("normal"))
-    # the days around each day are gathered by windows over the calendar, so a unit's stock is joined once and spread afterwards
     shift = lambda o: F.lead("ar", o).over(by_stock()) if o > 0 else F.lag("ar", -o).over(by_stock()) if o < 0 else F.col("ar")
-    around = daily.select("stock_id", "day", *[shift(o).alias(f"_a{o + before}") for o in range(-before, after + 1)])
-    around = around.select("stock_id", "day", F.array(*[f"_a{k}" for k in range(before + after + 1)]).alias("_ar"))
-    met = each.join(around, ["stock_id", "day"]).select("unit", F.posexplode("_ar").alias("_k", "ar")).withColumn("offset", F.col("_k") - before)
-    line = met.groupBy("unit", "offset").agg(F.avg("ar").alias("ar")).join(level, "unit")
-    by = Window.partitionBy("unit").orderBy("offset")
-    upto = F.sum(F.coalesce("ar", F.lit(0.0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    base = F.sum(F.when(F.col("offset") <= -1, F.coalesce("ar", F.lit(0.0))).otherwise(0.0)).over(Window.partitionBy("unit"))
-    path = line.withColumn("path", upto - base).withColumn("adjusted", F.col("path") - F.col("normal") * (F.col("offset") + 1))
-    return path.groupBy("offset").agg(F.avg("path").alias("mean_path"), F.avg("adjusted").alias("adjusted_path"), F.try_divide(F.stddev_samp("adjusted"), F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
+    stock = Window.partitionBy("stock_id")
+    out = daily.select(
+        "stock_id", "day", F.array(*[shift(o) for o in range(-before, after + 1)]).alias("around"),
+        F.avg(F.when(F.col("date") >= F.lit(start).cast("date"), F.col("ar"))).over(stock).alias("normal"), F.max("day").over(stock).alias("_last"))
+    return out.where((F.col("day") - before - 1 >= 1) & (F.col("day") + after <= F.col("_last"))).drop("_last")
+
+
+def cumulative_paths(pairs: DataFrame, windows: DataFrame, before: int = 5, after: int = 10) -> DataFrame:
+    """For each kind of unit the mean cumulative abnormal path at offsets -before..after.
+
+    A unit's AR of a day is the mean of its stocks' non-null ARs; ``windows``
+    are those of ``path_windows``. The adjusted path takes the units' normal
+    level off, o + 1 days of it at offset o; the path at -1 is 0, before that
+    it is minus what is still to come. All offsets of a unit are sums of one aggregation.
+    """
+    met = pairs.select("kind", "unit", "day", "stock_id").join(windows, ["stock_id", "day"])
+    size = before + after + 1
+    unit = met.groupBy("kind", "unit", "day").agg(*[F.avg(F.col("around")[k]).alias(f"_a{k}") for k in range(size)], F.avg("normal").alias("normal"))
+    add = lambda first, last: sum((F.coalesce(f"_a{k}", F.lit(0.0)) for k in range(first, last)), F.lit(0.0))
+    path = lambda o: add(before, before + o + 1) if o >= 0 else -add(before + o + 1, before)
+    points = F.array(*[F.struct(F.lit(o).alias("offset"), path(o).alias("path"), (path(o) - F.col("normal") * (o + 1)).alias("adjusted")) for o in range(-before, after + 1)])
+    each = unit.select("kind", F.explode(points).alias("p")).select("kind", "p.*")
+    return each.groupBy("kind", "offset").agg(F.avg("path").alias("mean_path"), F.avg("adjusted").alias("adjusted_path"), F.try_divide(F.stddev_samp("adjusted"), F.sqrt(F.count("adjusted"))).alias("se"), F.count("*").alias("n"))
+
+
+def study_returns(daily: DataFrame, start: str) -> DataFrame:
+    """Forward abnormal returns (W17) of every stock and calendar day over 1, 3, 5 and 10 days, and each stock's mean of them from ``start`` on."""
+    out = daily
+    for n in HORIZONS:
+        out = forward_abnormal(out, n, "after", f"ar{n}")
+    period = F.col("date") >= F.lit(start).cast("date")
+    return out.select("stock_id", "date", "day", *[f"ar{n}" for n in HORIZONS], *[F.avg(F.when(period, F.col(f"ar{n}"))).over(Window.partitionBy("stock_id")).alias(f"base{n}") for n in HORIZONS])
+
+
+def study_units(pairs: DataFrame, ahead: DataFrame, start: str) -> DataFrame:
+    """Units (kind, unit, day0, tone) with excess and normal level for each of the four horizons, as the array ``q`` of (n, excess, normal).
+
+    A stock's normal level is its own mean over the period, a basket's the
+    mean over days of the day's mean over all stocks that the theme ever had.
+    """
+    names = [f"ar{n}" for n in HORIZONS]
+    met = pairs.join(ahead.drop("date"), ["stock_id", "day"])
+    direct = met.where("kind = 'direct'").select("kind", "unit", "day0", "tone", *names, *[f"base{n}" for n in HORIZONS])
+    theme = met.where("kind = 'theme'").groupBy("kind", "unit", "day0").agg(F.sum("tone").alias("tone"), *[F.avg(c).alias(c) for c in names])
+    baskets = pairs.where("kind = 'theme'").select("unit", "stock_id").distinct()
+    period = ahead.where(F.col("date") >= F.lit(start).cast("date")).select("stock_id", "day", *names)
+    usual = period.join(baskets, "stock_id").groupBy("unit", "day").agg(*[F.avg(c).alias(c) for c in names]).groupBy("unit").agg(*[F.avg(f"ar{n}").alias(f"base{n}") for n in HORIZONS])
+    both = direct.unionByName(theme.join(usual, "unit", "left"))
+    return both.select("kind", "unit", "day0", "tone", F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"ar{n}").alias("excess"), F.col(f"base{n}").alias("normal")) for n in HORIZONS]).alias("q"))
 
 
 def path_band(paths: DataFrame) -> DataFrame:
-    """The 95 % band of the adjusted path and its t value."""
+    """The 95 % band of the adjusted path and its t value, for each kind and offset."""
     return paths.withColumn("low", F.col("adjusted_path") - 1.96 * F.col("se")).withColumn("high", F.col("adjusted_path") + 1.96 * F.col("se")).withColumn("t", F.try_divide("adjusted_path", "se"))
 
 
+def end_table(paths: DataFrame, last: int = 10) -> DataFrame:
+    """Where the paths of each kind end."""
+    return paths.where(F.col("offset") == last).select("kind", F.col("n").alias("events"), F.col("mean_path").alias("car"), F.col("adjusted_path").alias("car_adjusted"), F.try_divide("adjusted_path", "se").alias("t"))
+
+
 def event_components(events: DataFrame, daily: DataFrame, normal: DataFrame) -> DataFrame:
     """Sums of AR minus the stock's normal level before, on and after day 0; needs 5 days before and 10 after."""
     off = daily.join(normal, "stock_id").withColumn("x", F.col("ar") - F.col("normal"))

@@ -120,12 +120,21 @@ def event_text(performance: DataFrame) -> DataFrame:
 
 
 def excess_table(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Units (keys, n, excess, normal): mean, normal, difference, t, p and share up."""
-    out = units.withColumn("d", F.col("excess") - F.col("normal")).where("d is not null").groupBy(*keys).agg(
-        F.avg("excess").alias("event_mean"), F.avg("normal").alias("normal_mean"), F.avg("d").alias("excess_over_normal"), t_stat("d", 3).alias("t"), F.avg((F.col("d") > 0).cast("double")).alias("share_up"), F.count("*").alias("units"))
+    """Units (keys, n, excess, normal), one for each stock or basket and day 0: means of what is known, difference, t, p, share up and number of differences."""
+    out = units.withColumn("d", F.col("excess") - F.col("normal")).groupBy(*keys).agg(
+        F.avg("excess").alias("event_mean"), F.avg("normal").alias("normal_mean"), F.avg("d").alias("excess_over_normal"), t_stat("d", 3).alias("t"),
+        F.avg(F.when(F.col("excess").isNotNull(), (F.col("excess") > 0).cast("double"))).alias("share_up"), F.count("d").alias("units"))
     return out.withColumn("p", normal_p(F.col("t")))
 
 
+def tone_split(units: DataFrame, least: int = 3) -> DataFrame:
+    """Units (kind, tone, q as in ``study_units``): mean excess over normal after 5 and 10 days by kind and sign of the tone, and its t."""
+    d = lambda n: F.filter("q", lambda x: x["n"] == n)[0]
+    rows = units.select("kind", F.signum("tone").cast("int").alias("tone"), *[(d(n)["excess"] - d(n)["normal"]).alias(f"d{n}") for n in (5, 10)])
+    out = rows.groupBy("kind", "tone").agg(F.count("*").alias("n"), *[x for n in (5, 10) for x in (F.avg(f"d{n}").alias(f"mean_{n}"), t_stat(f"d{n}", 3).alias(f"t_{n}"))])
+    return out.where(F.col("n") >= least)
+
+
 def correlation(x: str, y: str) -> Column:
     """Pearson's r; null without spread."""
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))

@@ -110,12 +110,18 @@ def sync_themes(table: DataFrame, csv: DataFrame) -> DataFrame:
     return renamed.unionByName(fresh, allowMissingColumns=True)
 
 
-def guarded_classification(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A known keyword's row is replaced only where it was a fallback; unknown keywords come in."""
-    o = old.select("keyword", F.struct("theme_name", "source").alias("o"))
-    n = new.select("keyword", F.struct("theme_name", "source").alias("n"))
-    pick = F.when(F.col("o").isNull() | ((F.col("o.source") == "fallback") & F.col("n").isNotNull()), F.col("n")).otherwise(F.col("o"))
-    return o.join(n, "keyword", "full").select("keyword", pick.alias("r")).select("keyword", "r.*")
+def guarded_classification(old: DataFrame, new: DataFrame, entity: bool = False) -> DataFrame:
+    """Unknown keywords come in; a known one's row takes the columns that ``new`` has only where it was a fallback.
+
+    Rows of entity resolution (``entity``) also replace what stands under the other theme or under none.
+    """
+    guard = F.coalesce(F.col("o.source") == "fallback", F.lit(False))
+    if entity:
+        guard = guard | F.coalesce(F.col("o.theme_name") == OTHER_THEME, F.lit(True))
+    take = F.col("n.keyword").isNotNull() & (F.col("o.keyword").isNull() | guard)
+    met = old.alias("o").join(new.alias("n"), F.col("o.keyword") == F.col("n.keyword"), "full")
+    put = lambda c: F.when(take, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in new.columns else F.col(f"o.{c}")
+    return met.select(F.coalesce("o.keyword", "n.keyword").alias("keyword"), *[put(c).alias(c) for c in old.columns if c != "keyword"])
 
 
 def classification_log(rows: DataFrame) -> DataFrame:

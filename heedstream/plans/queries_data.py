@@ -15,6 +15,7 @@ from heedstream.plans._book import Book, r6, rounded
 from heedstream.plans.queries_stats import CLASS, classes
 from heedstream.sources import adapters as ad
 from heedstream.sources import feeds as fd
+from heedstream.sources.shared import stage
 
 book = Book()
 NTZ = "timestamp_ntz"
@@ -165,7 +166,19 @@ def s17_reactivate(s: SparkSession, d: str) -> DataFrame:
 @book.add(f"WITH {CLASS}, n AS (SELECT c_name AS keyword, 'new' AS theme_name, 'model' AS source FROM customer WHERE c_custkey % 2 = 0) SELECT keyword, CASE WHEN c.keyword IS NULL OR (c.source = 'fallback' AND n.keyword IS NOT NULL) THEN n.theme_name ELSE c.theme_name END AS theme_name, CASE WHEN c.keyword IS NULL OR (c.source = 'fallback' AND n.keyword IS NOT NULL) THEN n.source ELSE c.source END AS source FROM cl c FULL JOIN n USING (keyword)")
 def s18_guarded_upsert(s: SparkSession, d: str) -> DataFrame:
     new = ad.table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("keyword"), F.lit("new").alias("theme_name"), F.lit("model").alias("source"))
-    return up.guarded_classification(classes(s, d), new)
+    return up.guarded_classification(classes(s, d).select("keyword", "theme_name", "source"), new)
+
+
+@book.add(f"""WITH {CLASS}, o AS (SELECT keyword, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE theme_name END AS theme_name, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 8 = 0 THEN 'rule' ELSE source END AS source, canonical_keyword FROM cl JOIN customer ON c_name = keyword),
+n AS (SELECT c_name AS keyword, 'Entity ' || c_name AS canonical_keyword FROM customer WHERE c_custkey % 2 = 0), m AS (SELECT coalesce(o.keyword, n.keyword) AS keyword, n.keyword IS NOT NULL AND (o.keyword IS NULL OR o.source = 'fallback' OR coalesce(o.theme_name, '其他') = '其他') AS take, n.canonical_keyword AS nc, o.* EXCLUDE (keyword) FROM o FULL JOIN n ON n.keyword = o.keyword)
+SELECT keyword, CASE WHEN take THEN '新' ELSE theme_name END AS theme_name, CASE WHEN take THEN 'entity_resolution' ELSE source END AS source, CASE WHEN take THEN nc ELSE canonical_keyword END AS canonical_keyword FROM m""")
+def s18_entity_upsert(s: SparkSession, d: str) -> DataFrame:
+    """S18 with the entity guard: rows under the other theme or under none give way too, whatever their source."""
+    k = F.col("c_custkey")
+    old = classes(s, d).join(ad.table(s, d, "customer").select(k, F.col("c_name").alias("keyword")), "keyword")
+    old = old.select("keyword", F.when(k % 11 != 0, F.col("theme_name")).alias("theme_name"), F.when(k % 8 == 0, "rule").otherwise(F.col("source")).alias("source"), "canonical_keyword")
+    new = ad.table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("keyword"), F.concat(F.lit("Entity "), "c_name").alias("canonical_keyword"), F.lit("新").alias("theme_name"), F.lit("entity_resolution").alias("source"))
+    return up.guarded_classification(old, new, entity=True)
 
 
 @book.add("""SELECT c_name AS keyword, '{"nation":' || CAST(c_nationkey AS VARCHAR) || ',"segment":"' || c_mktsegment || '"}' AS result FROM customer""")
@@ -352,19 +365,61 @@ def j8_prediction_gate(s: SparkSession, d: str) -> DataFrame:
     return rs.gate_predictions(p, _entity(s, d)[1], ["上市公司", "ETF", "產業"], ["金融類", "科技類"]).drop("industry")
 
 
-@book.add(f"WITH {ENT}, l AS (SELECT DISTINCT '其他' AS theme_name, kw AS keyword, 'old' AS stock_id FROM ak), e AS (SELECT '其他' AS theme_name, keyword, stock_id FROM r WHERE source IS NOT NULL AND stock_id <> '') SELECT l.theme_name, l.keyword, l.stock_id, CAST(NULL AS VARCHAR) AS link_type, CASE WHEN e.keyword IS NOT NULL THEN 0 ELSE 1 END AS active FROM l LEFT JOIN e USING (keyword) UNION ALL SELECT theme_name, keyword, stock_id, 'direct', 1 FROM e")
-def j9_entity_save(s: SparkSession, d: str) -> DataFrame:
+#: What entity resolution saves: companies by their canonical names, everything else as fallbacks; needs ENT.
+SAVE = """sv AS (SELECT r.*, entity_type IN ('上市公司', 'ETF') AS company, CASE WHEN source = 'seed' THEN '科技類' ELSE '其他' END AS theme_name, CASE source WHEN 'seed' THEN '半導體' WHEN 'alias' THEN ind.industry WHEN 'industry' THEN canonical ELSE '' END AS industry, CASE WHEN source = 'industry' THEN 0.95 ELSE 1.0 END AS confidence_score FROM r LEFT JOIN ind ON CAST(ind.k + 1000 AS VARCHAR) = r.stock_id WHERE source IS NOT NULL),
+old_names AS (SELECT keyword, CASE WHEN length(keyword) % 2 = 0 THEN 'Old ' || keyword END AS name FROM r),
+lk AS (SELECT '其他' AS theme_name, keyword, 'old' AS stock_id FROM r UNION ALL SELECT '其他', 'Old ' || keyword, 'older' FROM r UNION ALL SELECT 'kept', keyword, 'old' FROM r),
+gone AS (SELECT keyword AS k FROM sv WHERE company UNION SELECT name FROM sv JOIN old_names USING (keyword) WHERE company AND name IS NOT NULL)"""
+
+
+def _saved(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """J9 over resolved keywords, their earlier canonical names, and links under both old names, of which one kind is of another theme."""
     known, official, industries = _entity(s, d)
-    resolved = rs.resolve(asked(s, d), known, official, industries).withColumn("theme_name", F.lit("其他"))
-    links = asked(s, d).select(F.lit("其他").alias("theme_name"), "keyword", F.lit("old").alias("stock_id"), F.lit(None).cast("string").alias("link_type"), F.lit(1).alias("active"))
-    return rs.entity_save(resolved, links)[2]
+    resolved = stage(rs.resolve(asked(s, d), known, official, industries), "resolved")
+    before = asked(s, d).select("keyword", F.when(F.length("keyword") % 2 == 0, F.concat(F.lit("Old "), "keyword")).alias("canonical_keyword"))
+    link = lambda theme, name, stock: asked(s, d).select(F.lit(theme).alias("theme_name"), name.alias("keyword"), F.lit(stock).alias("stock_id"), F.lit(None).cast("string").alias("link_type"), F.lit(1).alias("active"))
+    links = link("其他", F.col("keyword"), "old").union(link("其他", F.concat(F.lit("Old "), "keyword"), "older")).union(link("kept", F.col("keyword"), "old"))
+    return rs.entity_save(resolved, links, before)
 
 
-@book.add()
+@book.add(f"WITH {ENT}, {SAVE} SELECT theme_name, keyword, stock_id, CAST(NULL AS VARCHAR) AS link_type, CASE WHEN theme_name = '其他' AND keyword IN (SELECT k FROM gone) THEN 0 ELSE 1 END AS active FROM lk UNION ALL SELECT DISTINCT theme_name, canonical, stock_id, 'direct', 1 FROM sv WHERE company")
+def j9_entity_save(s: SparkSession, d: str) -> DataFrame:
+    """Links after companies came in under their canonical names."""
+    return _saved(s, d)[2]
+
+
+@book.add(f"WITH {ENT}, {SAVE} SELECT keyword, canonical AS canonical_keyword, entity_type, CASE WHEN company THEN theme_name ELSE '其他' END AS theme_name, coalesce(nullif(industry, ''), '未分類') AS sub_theme, CAST(company AS INTEGER) AS stock_related, confidence_score, CASE WHEN company THEN 'entity_resolution' ELSE 'fallback' END AS source, CAST(confidence_score < 0.85 AS INTEGER) AS need_review FROM sv")
+def j9_classifications(s: SparkSession, d: str) -> DataFrame:
+    return _saved(s, d)[1]
+
+
+@book.add(f"WITH {ENT}, {SAVE} SELECT canonical AS entity_name, arg_max(entity_type, keyword) AS entity_type, arg_max(stock_id, keyword) FILTER (stock_id <> '') AS stock_id, arg_max(industry, keyword) FILTER (industry <> '') AS industry, arg_max(CASE WHEN source = 'industry' THEN '其他' ELSE theme_name END, keyword) AS theme_name, arg_max(confidence_score, keyword) AS confidence_score, arg_max(source, keyword) AS source FROM sv GROUP BY 1")
+def j9_entities(s: SparkSession, d: str) -> DataFrame:
+    return _saved(s, d)[0]
+
+
+#: Companies with names in two scripts, theme words, and words that hold one; for exact company hits only, as likeness isn't SQL's.
+RULES = rf"""cn AS (SELECT s_suppkey AS k, s_suppkey * 10 + o AS ordinal, CASE o WHEN 0 THEN s_name WHEN 1 THEN '公司' || s_suppkey || '長名' WHEN 2 THEN '公司' || s_suppkey ELSE 'S' || s_suppkey END AS name FROM supplier, (SELECT unnest(range(0, 4)) AS o) WHERE o = 0 OR s_suppkey % 4 > 4 - o - 1),
+t AS (SELECT p_brand AS kw, {FORM.format(x='p_brand')} AS form, min(p_partkey) AS o FROM part GROUP BY 1, 2),
+w AS (SELECT DISTINCT x AS keyword, {FORM.format(x='x')} AS whole FROM (SELECT upper(s_name) AS x FROM supplier UNION ALL SELECT p_brand FROM part UNION ALL SELECT 'best ' || p_brand || ' parts' FROM part UNION ALL SELECT 'offer ' || p_name FROM part UNION ALL SELECT '!!!')),
+e AS (SELECT w.keyword, t.kw FROM w JOIN t ON t.form = w.whole), h AS (SELECT w.keyword, cn.k FROM w JOIN cn ON {FORM.format(x='cn.name')} = w.whole WHERE w.keyword NOT IN (SELECT keyword FROM e)),
+c AS (SELECT h.keyword, h.k, arg_min(cn.name, row(CASE WHEN regexp_full_match(cn.name, '[\x00-\x7F]*') THEN 1 ELSE 0 END, length(cn.name), cn.ordinal)) AS name FROM h JOIN cn USING (k) GROUP BY 1, 2),
+i AS (SELECT w.keyword, arg_max(t.kw, row(length(t.form), -t.o)) AS kw FROM w JOIN t ON contains(w.whole, t.form) WHERE length(t.form) > 1 GROUP BY 1)"""
+
+
+@book.add(f"""WITH {RULES} SELECT w.keyword, coalesce(e.kw, c.name, i.kw, trim(w.keyword)) AS canonical_keyword, CASE WHEN e.kw IS NOT NULL THEN '科技類' WHEN c.k IS NOT NULL THEN CASE WHEN c.k % 2 = 0 THEN '科技類' ELSE '其他' END WHEN i.kw IS NOT NULL THEN '科技類' ELSE '其他' END AS theme_name, CASE WHEN e.kw IS NOT NULL THEN '零件' WHEN c.k IS NOT NULL THEN '公司與股票' WHEN i.kw IS NOT NULL THEN '零件' ELSE '未分類' END AS sub_theme,
+CASE WHEN e.kw IS NOT NULL THEN 'industry' WHEN c.k IS NOT NULL THEN 'company' WHEN i.kw IS NOT NULL THEN 'industry' ELSE 'none' END AS link_type, CASE WHEN e.kw IS NOT NULL THEN 1.0 WHEN c.k IS NOT NULL THEN 0.7 WHEN i.kw IS NOT NULL THEN 0.5 ELSE 0.0 END AS confidence_score,
+CASE WHEN e.kw IS NOT NULL THEN 'theme_mapping' WHEN c.k IS NOT NULL OR i.kw IS NOT NULL THEN 'mapping_normalizer' ELSE 'fallback' END AS classification_source, CASE WHEN e.kw IS NULL AND c.k IS NOT NULL THEN CAST(c.k + 1000 AS VARCHAR) ELSE '' END AS stocks FROM w LEFT JOIN e USING (keyword) LEFT JOIN c USING (keyword) LEFT JOIN i USING (keyword)""")
 def j10_rule_classify(s: SparkSession, d: str) -> DataFrame:
-    themes = ad.table(s, d, "part").groupBy(F.col("p_brand").alias("keyword")).agg(F.min("p_partkey").alias("ordinal"), F.first(F.lit("科技類")).alias("theme_name"), F.first(F.lit("零件")).alias("sub_theme"), F.first(F.lit("1001")).alias("stock_id"))
-    words = asked(s, d).union(ad.table(s, d, "part").select(F.concat(F.lit("best "), "p_brand", F.lit(" parts"))).distinct())
-    return rs.rule_classify(words, themes, dictionary(s, d))
+    """The whole cascade; every second company is of the technology theme."""
+    p, sup, k = ad.table(s, d, "part"), ad.table(s, d, "supplier"), F.col("s_suppkey")
+    themes = p.groupBy(F.col("p_brand").alias("keyword")).agg(F.min("p_partkey").alias("ordinal"), F.first(F.lit("科技類")).alias("theme_name"), F.first(F.lit("零件")).alias("sub_theme"), F.first(F.lit("1001")).alias("stock_id"))
+    text = k.cast("string")
+    names = F.array(F.col("s_name"), F.concat(F.lit("公司"), text, F.lit("長名")), F.concat(F.lit("公司"), text), F.concat(F.lit("S"), text))
+    companies = sup.select(k, F.posexplode(names).alias("o", "keyword")).where("o = 0 or s_suppkey % 4 > 4 - o - 1").select((k * 10 + F.col("o")).alias("ordinal"), "keyword", F.lit("company").alias("type"), ad.stock_code(k).alias("stock_id"))
+    words = sup.select(F.upper("s_name").alias("keyword")).union(p.select("p_brand")).union(p.select(F.concat(F.lit("best "), "p_brand", F.lit(" parts")))).union(p.select(F.concat(F.lit("offer "), "p_name"))).union(s.range(1).select(F.lit("!!!")))
+    out = rs.rule_classify(words, themes, companies, sup.where("s_suppkey % 2 = 0").select(ad.stock_code(k).alias("stock_id")))
+    return out.withColumn("stocks", F.array_join("stock_ids", ",")).drop("stock_ids")
 
 
 @book.add(f"""WITH t AS (SELECT p_brand AS kw, {FORM.format(x='p_brand')} AS form, min(p_partkey) AS o FROM part GROUP BY 1, 2), w AS (SELECT DISTINCT x AS keyword, {FORM.format(x='x')} AS whole FROM (SELECT 'best ' || p_brand || ' parts' AS x FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT 'offer ' || p_name FROM part)),
@@ -375,7 +430,7 @@ def j10_theme_words(s: SparkSession, d: str) -> DataFrame:
     p = ad.table(s, d, "part")
     themes = p.groupBy(F.col("p_brand").alias("keyword")).agg(F.min("p_partkey").alias("ordinal"), F.first(F.lit("科技類")).alias("theme_name"), F.first(F.lit("零件")).alias("sub_theme"), F.first(F.lit("1001")).alias("stock_id"))
     words = p.select(F.concat(F.lit("best "), "p_brand", F.lit(" parts")).alias("keyword")).union(p.select("p_brand")).union(p.select(F.concat(F.lit("offer "), "p_name")))
-    return rs.rule_classify(words, themes, dictionary(s, d).where("type = 'none'")).select("keyword", "canonical_keyword", "classification_source", "link_type")
+    return rs.rule_classify(words, themes, dictionary(s, d).where("type = 'none'"), s.createDataFrame([], "stock_id string")).select("keyword", "canonical_keyword", "classification_source", "link_type")
 
 
 @book.add("""SELECT c_name AS keyword, CASE WHEN c_custkey % 3 = 0 THEN '科技類' ELSE '其他' END AS theme_name, CASE WHEN c_custkey % 5 = 0 THEN 'company' WHEN c_custkey % 3 = 0 THEN 'industry' ELSE 'none' END AS link_type, CAST(c_custkey % 5 = 0 OR c_custkey % 3 = 0 AS INTEGER) AS stock_related FROM customer""")
@@ -472,12 +527,44 @@ def s23_active_links(s: SparkSession, d: str) -> DataFrame:
     return fd.active_links(l).select("keyword", "stock_id", "theme_name")
 
 
-@book.add(ad.sql("links", "l AS (SELECT DISTINCT keyword, stock_id FROM links), c AS (SELECT DISTINCT keyword, stock_id FROM links WHERE link_type = 'theme'), e AS (SELECT DISTINCT keyword, stock_id FROM links WHERE link_type = 'direct' AND keyword NOT LIKE '%3') SELECT l.keyword, l.stock_id, CASE WHEN c.keyword IS NOT NULL THEN 'theme' WHEN e.keyword IS NOT NULL THEN 'direct' END AS link_type, CASE WHEN c.keyword IS NULL AND e.keyword IS NULL THEN 0 ELSE 1 END AS active FROM l LEFT JOIN c ON c.keyword = l.keyword AND c.stock_id = l.stock_id LEFT JOIN e ON e.keyword = l.keyword AND e.stock_id = l.stock_id"))
+#: Untyped links, a curated list of other themes for some keywords, entities with retired aliases, and classes.
+TYPING = f"""{CLASS}, ln AS (SELECT keyword || '/' || coalesce(stock_id, '') || '/' || theme_name AS id, theme_name, keyword, CASE WHEN keyword NOT LIKE '%5' THEN stock_id END AS stock_id, CASE WHEN keyword LIKE '%7' THEN 0 ELSE 1 END AS active, link_type AS was FROM links),
+cu AS (SELECT DISTINCT CASE WHEN keyword LIKE '%4' THEN 'another' ELSE theme_name END AS theme_name, keyword, stock_id FROM links WHERE link_type = 'theme' AND keyword NOT LIKE '%2' AND keyword NOT LIKE '%8'), en AS (SELECT DISTINCT keyword, stock_id FROM links WHERE link_type = 'direct' AND keyword NOT LIKE '%8'),
+ac AS (SELECT ln.id, ln.keyword, CASE WHEN cu.keyword IS NOT NULL THEN 'theme' WHEN en.keyword IS NOT NULL AND ln.keyword NOT LIKE '%3' AND ln.keyword NOT LIKE '%4' THEN 'direct' ELSE 'deactivate' END AS action FROM ln LEFT JOIN cu ON cu.theme_name = ln.theme_name AND cu.keyword = ln.keyword AND cu.stock_id = ln.stock_id LEFT JOIN en ON en.keyword = ln.keyword AND en.stock_id = ln.stock_id WHERE ln.active = 1 AND ln.stock_id IS NOT NULL),
+lost AS (SELECT keyword FROM ac GROUP BY 1 HAVING bool_and(action = 'deactivate')), rq AS (SELECT DISTINCT keyword FROM cl WHERE keyword IN (SELECT keyword FROM lost) OR canonical_keyword IN (SELECT keyword FROM lost))"""
+
+
+def _typing(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, and what J19 plans for them: (links, actions, requeue)."""
+    l, ends = ad.links(s, d), lambda x: F.col("keyword").like(f"%{x}")
+    links = l.select(F.concat("keyword", F.lit("/"), "stock_id", F.lit("/"), "theme_name").alias("id"), "theme_name", "keyword", F.when(~ends(5), F.col("stock_id")).alias("stock_id"), F.lit(None).cast("string").alias("link_type"), F.when(ends(7), 0).otherwise(1).alias("active"))
+    curated = l.where((F.col("link_type") == "theme") & ~ends(2) & ~ends(8)).select(F.when(ends(4), "another").otherwise(F.col("theme_name")).alias("theme_name"), "keyword", "stock_id")
+    entities = l.where((F.col("link_type") == "direct") & ~ends(8)).select(F.col("keyword").alias("entity_name"), "stock_id")
+    retired = ad.table(s, d, "customer").select(F.col("c_name").alias("keyword")).where(ends(3) | ends(4))
+    actions, requeue = rs.plan_link_types(links, curated, entities, retired, classes(s, d))
+    return links, stage(actions, "actions"), requeue
+
+
+@book.add(ad.sql("links", f"{TYPING} SELECT ln.id, ln.theme_name, ln.keyword, ln.stock_id, CASE WHEN action <> 'deactivate' THEN action END AS link_type, CASE WHEN action = 'deactivate' THEN 0 ELSE active END AS active FROM ln LEFT JOIN ac USING (id)"))
 def j19_type_links(s: SparkSession, d: str) -> DataFrame:
-    l = ad.links(s, d)
-    e = l.where("link_type = 'direct'").select(F.col("keyword").alias("entity_name"), "stock_id", F.col("keyword").like("%3").alias("retired"))
-    pairs = l.select("keyword", "stock_id").distinct().withColumn("link_type", F.lit(None).cast("string")).withColumn("active", F.lit(1))
-    return rs.type_links(pairs, l.where("link_type = 'theme'"), e)
+    """The plan applied: curated triples, entities' pairs, and what is switched off; inactive links and those without a stock stay."""
+    links, actions, _ = _typing(s, d)
+    return rs.apply_link_types(links, actions)
+
+
+@book.add(ad.sql("links", f"{TYPING} SELECT keyword, CASE WHEN q THEN '其他' ELSE theme_name END AS theme_name, CASE WHEN q THEN 'fallback' ELSE source END AS source, CASE WHEN q THEN 0 ELSE confidence_score END AS confidence_score FROM (SELECT *, keyword IN (SELECT keyword FROM rq) AS q FROM cl)"))
+def j19_requeue(s: SparkSession, d: str) -> DataFrame:
+    """Classes of keywords that lost all their links become fallbacks."""
+    return rs.apply_requeue(classes(s, d), _typing(s, d)[2]).select("keyword", "theme_name", "source", "confidence_score")
+
+
+@book.add(ad.sql("links", f"""{TYPING} SELECT (SELECT count(*) FROM ac) AS active_stock_rows, (SELECT count(*) FROM ac WHERE action = 'theme') AS theme_rows, (SELECT count(*) FROM ac WHERE action = 'direct') AS direct_rows, (SELECT count(*) FROM ac WHERE action = 'deactivate') AS deactivated_rows, (SELECT count(DISTINCT keyword) FROM ac) AS keywords_linked_before,
+(SELECT count(DISTINCT keyword) FROM ac WHERE action <> 'deactivate') AS keywords_linked_after, (SELECT count(*) FROM lost) AS keywords_unlinked, (SELECT count(*) FROM rq) AS classifications_requeued, (SELECT string_agg(keyword, ',' ORDER BY keyword) FROM (SELECT keyword FROM lost ORDER BY 1 LIMIT 20)) AS unlinked_sample, 0 AS failures"""))
+def j19_summary(s: SparkSession, d: str) -> DataFrame:
+    """The plan's counts, and how many checks fail after it is applied."""
+    links, actions, requeue = _typing(s, d)
+    failed = rs.verify_link_types(rs.apply_link_types(links, actions), actions).agg(F.count("*").alias("failures"))
+    return rs.link_type_summary(actions, requeue).withColumn("unlinked_sample", F.array_join("unlinked_sample", ",")).crossJoin(failed)
 
 
 @book.add("""WITH a AS (SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS stock_id, CAST(ts AS DATE) AS event FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS stock_id, CAST(ts AS DATE) AS other FROM events WHERE event_type = 'purchase'),
@@ -487,6 +574,15 @@ def j20_nearest_pairs(s: SparkSession, d: str) -> DataFrame:
     return rs.nearest_pairs(e.where("event_type = 'signup'").drop("event_type").distinct(), e.where("event_type = 'purchase'").drop("event_type").distinct())
 
 
+@book.add("""WITH a AS (SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS stock_id, CAST(ts AS DATE) AS event FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS stock_id, CAST(ts AS DATE) AS other FROM events WHERE event_type = 'purchase'),
+p AS (SELECT other - event AS lag, row_number() OVER (PARTITION BY a.stock_id, event ORDER BY abs(other - event), other) AS k FROM a JOIN b ON a.stock_id = b.stock_id AND abs(other - event) <= 7)
+SELECT count(*) AS pairs, round(avg(CAST(lag < 0 AS INTEGER)), 6) AS earlier, round(avg(CAST(lag = 0 AS INTEGER)), 6) AS same_day, round(avg(CAST(lag > 0 AS INTEGER)), 6) AS later, median(lag) AS median_lag FROM p WHERE k = 1""")
+def j20_lead_lag(s: SparkSession, d: str) -> DataFrame:
+    """Shares of leading and lagging signals and the median lag."""
+    out = rs.lead_lag(j20_nearest_pairs(s, d))
+    return out.select("pairs", *[F.round(c, 6).alias(c) for c in ("earlier", "same_day", "later")], "median_lag")
+
+
 @book.add(ad.sql("listed prices", "e AS (SELECT keyword, CAST(CAST(keyword AS BIGINT) % (SELECT count(*) FROM supplier) + 1000 AS VARCHAR) AS stock_id, date - 9862 AS date FROM listed) SELECT e.keyword, e.stock_id, e.date, p.date AS day0 FROM e ASOF LEFT JOIN prices p ON e.stock_id = p.stock_id AND e.date <= p.date"))
 def j21_align(s: SparkSession, d: str) -> DataFrame:
     from heedstream.operators.returns import align
@@ -504,30 +600,47 @@ def j23_display_names(s: SparkSession, d: str) -> DataFrame:
 
 # ---- repair ----
 
-DUP = "tr AS (SELECT event_id AS burst_id, CAST(user_id % 100 AS VARCHAR) AS keyword, CAST(ts AS DATE) AS published_at, ts AS fetched_at, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS approx_traffic FROM events)"
+#: Bursts that were polled again and again; some have no keyword, a blank one or no time.
+DUP = "tr AS (SELECT event_id AS burst_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN ' ' ELSE CAST(user_id % 100 AS VARCHAR) END AS keyword, CASE WHEN event_id % 17 <> 0 THEN CAST(ts AS DATE) END AS published_at, ts AS fetched_at, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS approx_traffic FROM events), tk AS (SELECT *, trim(coalesce(keyword, '')) <> '' AND published_at IS NOT NULL AS keyed FROM tr)"
 
 
 def repeated(s: SparkSession, d: str) -> DataFrame:
-    return ad.table(s, d, "events").select(F.col("event_id").alias("burst_id"), (F.col("user_id") % 100).cast("string").alias("keyword"), F.to_date("ts").alias("published_at"), F.col("ts").alias("fetched_at"), F.floor("value").cast("string").alias("approx_traffic"))
+    k = F.col("event_id")
+    keyword = F.when(k % 13 == 1, " ").when(k % 13 != 0, (F.col("user_id") % 100).cast("string"))
+    return ad.table(s, d, "events").select(k.alias("burst_id"), keyword.alias("keyword"), F.when(k % 17 != 0, F.to_date("ts")).alias("published_at"), F.col("ts").alias("fetched_at"), F.floor("value").cast("string").alias("approx_traffic"))
 
 
-@book.add(f"WITH {DUP} SELECT keyword, published_at, min(burst_id) AS burst_id, arg_max(approx_traffic, burst_id) AS approx_traffic, count(*) AS rows, min(fetched_at) = arg_min(fetched_at, burst_id) AS earliest FROM tr GROUP BY 1, 2")
+@book.add(f"WITH {DUP} SELECT keyword, published_at, min(burst_id) AS burst_id, arg_max(approx_traffic, burst_id) AS approx_traffic, count(*) AS rows, min(fetched_at) = arg_min(fetched_at, burst_id) AS earliest FROM tk WHERE keyed GROUP BY 1, 2 UNION ALL SELECT keyword, published_at, burst_id, approx_traffic, 1, true FROM tk WHERE NOT keyed")
 def d1_dedupe_bursts(s: SparkSession, d: str) -> DataFrame:
     return rp.dedupe_bursts(repeated(s, d)).drop("fetched_at")
 
 
-NEWS_DUP = f"{DUP}, sv AS (SELECT burst_id, min(burst_id) OVER (PARTITION BY keyword, published_at) AS survivor FROM tr), nw AS (SELECT event_id AS news_id, event_id AS burst_id, event_type AS news_url, CASE event_id % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' END AS news_sentiment FROM events), mv AS (SELECT nw.news_id, survivor AS burst_id, news_url, news_sentiment FROM nw JOIN sv USING (burst_id)), dd AS (SELECT min(news_id) AS news_id, burst_id, news_url, arg_min(news_sentiment, news_id) AS news_sentiment, count(*) AS rows, count(DISTINCT news_sentiment) > 1 AS conflict FROM mv GROUP BY 2, 3)"
+NEWS_DUP = f"""{DUP}, sv AS (SELECT burst_id, CASE WHEN keyed THEN min(burst_id) OVER (PARTITION BY keyed, keyword, published_at) ELSE burst_id END AS survivor FROM tk),
+nw AS (SELECT event_id AS news_id, event_id AS burst_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN '' ELSE event_type END AS news_url, CASE WHEN event_id % 4 = 0 THEN 'Positive' WHEN event_id % 4 = 1 AND user_id % 2 = 0 THEN 'Negative' END AS news_sentiment, event_id % 10 / 10.0::DOUBLE AS sentiment_score, CASE WHEN event_id % 3 > 0 THEN 'type' || CAST(event_id % 3 AS VARCHAR) END AS event_type FROM events),
+mv AS (SELECT nw.* EXCLUDE (burst_id), survivor AS burst_id, coalesce(news_url, '') <> '' AS linked FROM nw JOIN sv USING (burst_id)),
+rk AS (SELECT *, CASE WHEN linked THEN row_number() OVER g ELSE 1 END AS k, CASE WHEN linked THEN count(*) OVER p ELSE 1 END AS rows, linked AND coalesce(max(news_sentiment) OVER p <> min(news_sentiment) OVER p, false) AS conflict, CASE WHEN linked THEN min(CASE WHEN news_sentiment IS NOT NULL THEN news_id END) OVER p END AS donor FROM mv WINDOW g AS (PARTITION BY linked, burst_id, news_url ORDER BY news_id), p AS (PARTITION BY linked, burst_id, news_url)),
+dd AS (SELECT a.news_id, a.burst_id, a.news_url, CASE WHEN take THEN b.news_sentiment ELSE a.news_sentiment END AS news_sentiment, CASE WHEN take THEN b.sentiment_score ELSE a.sentiment_score END AS sentiment_score, CASE WHEN take THEN b.event_type ELSE a.event_type END AS event_type, rows, conflict
+  FROM (SELECT *, news_sentiment IS NULL AND NOT conflict AND donor IS NOT NULL AS take FROM rk WHERE k = 1) a LEFT JOIN nw b ON b.news_id = a.donor)"""
 
 
 def repeated_news(s: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
-    return ad.table(s, d, "events").select(k.alias("news_id"), k.alias("burst_id"), F.col("event_type").alias("news_url"), F.when(k % 4 == 0, "Positive").when(k % 4 == 1, "Negative").alias("news_sentiment"), F.lit(1.0).alias("sentiment_score"), F.lit("x").alias("event_type"))
+    url = F.when(k % 7 == 1, "").when(k % 7 != 0, F.col("event_type"))
+    tone = F.when(k % 4 == 0, "Positive").when((k % 4 == 1) & (F.col("user_id") % 2 == 0), "Negative")
+    return ad.table(s, d, "events").select(k.alias("news_id"), k.alias("burst_id"), url.alias("news_url"), tone.alias("news_sentiment"), ((k % 10).cast("double") / 10).alias("sentiment_score"), F.when(k % 3 > 0, F.concat(F.lit("type"), (k % 3).cast("string"))).alias("event_type"))
 
 
-@book.add(f"WITH {NEWS_DUP} SELECT news_id, burst_id, news_url, news_sentiment, rows, conflict FROM dd")
+@book.add(f"WITH {NEWS_DUP} SELECT * FROM dd")
 def d2_dedupe_news(s: SparkSession, d: str) -> DataFrame:
-    out = rp.dedupe_news(repeated_news(s, d), rp.survivor_map(repeated(s, d)))
-    return out.drop("sentiment_score", "event_type")
+    """Survivors with their own score and type, or all three values of the first row that has a sentiment."""
+    return rp.dedupe_news(repeated_news(s, d), rp.survivor_map(repeated(s, d)))
+
+
+@book.add(f"""WITH {NEWS_DUP} SELECT 'bursts' AS "table", burst_id AS id, 'no key' AS reason FROM tk WHERE NOT keyed UNION ALL SELECT 'news', news_id, 'no url' FROM mv WHERE NOT linked UNION ALL SELECT 'news', news_id, 'sentiments differ' FROM dd WHERE conflict
+UNION ALL SELECT 'bursts', min(burst_id), 'survivor not fetched first' FROM tk WHERE keyed GROUP BY keyword, published_at HAVING min(fetched_at) <> arg_min(fetched_at, burst_id)""")
+def d2_quarantine(s: SparkSession, d: str) -> DataFrame:
+    """Rows that must not be grouped and groups that a repair must not settle."""
+    return rp.quarantine(repeated(s, d), repeated_news(s, d))
 
 
 @book.add(f"WITH {NEWS_DUP} SELECT 'bursts_before' AS \"check\", count(*) AS value FROM tr UNION ALL SELECT 'bursts_after', count(DISTINCT survivor) FROM sv UNION ALL SELECT 'news_before', count(*) FROM nw UNION ALL SELECT 'news_after', count(*) FROM dd UNION ALL SELECT 'repeating_keys', 0 UNION ALL SELECT 'orphans', 0")
@@ -625,7 +738,7 @@ def l7_acceptance(s: SparkSession, d: str) -> DataFrame:
     return rounded(lg.acceptance(lg.cutover_summary(attempts(s, d), F.lit("2024-01-15").cast("date")), 0.1, 0.2, 5), "items_per_request", "unavailable_share")
 
 
-@book.add(f"WITH {RUNS} SELECT job, max(started_at) AS last_run, CASE WHEN hour(max(started_at)) < 12 THEN date_trunc('day', max(started_at)) + INTERVAL 12 HOUR END AS next_run FROM rn WHERE exit_code = 0 GROUP BY 1")
+@book.add(f"WITH {RUNS}, x AS (SELECT job, arg_max(started_at + INTERVAL 1 HOUR, k) AS last_run FROM rn WHERE exit_code IS NOT NULL GROUP BY 1) SELECT job, last_run, date_trunc('day', last_run) + INTERVAL 12 HOUR AS next_run FROM x")
 def l6_last_finished(s: SparkSession, d: str) -> DataFrame:
     out = lg.last_finished(log_lines(s, d))
     return out.select("job", F.col("last_run").cast(NTZ).alias("last_run"), lg.next_slot(F.col("last_run"), [0, 6, 12, 18]).cast(NTZ).alias("next_run"))

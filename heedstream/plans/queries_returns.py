@@ -15,7 +15,7 @@ from heedstream.sources.shared import stage
 
 book = Book()
 W = "WINDOW w AS (PARTITION BY stock_id ORDER BY date)"
-PERF = ["return_1d", "return_3d", "return_5d", "return_10d", "excess_5d", "excess_10d", "max_gain_10d", "max_loss_10d"]
+PERF = ["return_1d", "return_3d", "return_5d", "return_10d", "excess_1d", "excess_3d", "excess_5d", "excess_10d", "max_gain_10d", "max_loss_10d"]
 
 
 @book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL},
@@ -69,9 +69,12 @@ def w5_event_performance(s: SparkSession, d: str) -> DataFrame:
     return rounded(out, *PERF)
 
 
-@book.add(ad.sql("prices", f"{fr.ROWS_SQL} SELECT stock_id, {r6('normal_5d')}, {r6('normal_10d')}, days FROM normal"))
+NORMAL = [f"normal_{n}d" for n in rt.HORIZONS]
+
+
+@book.add(ad.sql("prices", f"{fr.ROWS_SQL} SELECT stock_id, {', '.join(map(r6, NORMAL))}, days FROM normal"))
 def w10_normal_excess(s: SparkSession, d: str) -> DataFrame:
-    return rounded(rt.normal_excess(rt.with_performance(ad.prices(s, d), ad.BENCHMARK)), "normal_5d", "normal_10d")
+    return rounded(rt.normal_excess(rt.with_performance(ad.prices(s, d), ad.BENCHMARK)), *NORMAL)
 
 
 @book.add(ad.sql("prices", f"SELECT stock_id, date, {r6('coalesce(adj_close, close) / first_value(coalesce(adj_close, close)) OVER w * 100', 'base_100')} FROM prices {W}"))
@@ -79,17 +82,17 @@ def w11_relative(s: SparkSession, d: str) -> DataFrame:
     return rounded(rt.relative(ad.prices(s, d)).select("stock_id", "date", "base_100"), "base_100")
 
 
-@book.add("WITH RECURSIVE " + ad.sql("prices", f"""n AS (SELECT stock_id, date, adj_close AS price, first_value(adj_close) OVER w AS f, adj_close - lag(adj_close) OVER w AS ch, row_number() OVER w AS k FROM prices {W}),
+@book.add("WITH RECURSIVE " + ad.sql("prices", f"""n AS (SELECT stock_id, date, close AS price, volume, first_value(close) OVER w AS f, close - lag(close) OVER w AS ch, row_number() OVER w AS k FROM prices {W}),
 e AS (SELECT stock_id, k, price AS e12, price AS e26, CAST(0 AS DOUBLE) AS sig FROM n WHERE k = 1
   UNION ALL SELECT n.stock_id, n.k, e.e12 * (1 - 2.0::DOUBLE / 13) + n.price * (2.0::DOUBLE / 13), e.e26 * (1 - 2.0::DOUBLE / 27) + n.price * (2.0::DOUBLE / 27),
     e.sig * (1 - 0.2::DOUBLE) + ((e.e12 * (1 - 2.0::DOUBLE / 13) + n.price * (2.0::DOUBLE / 13)) - (e.e26 * (1 - 2.0::DOUBLE / 27) + n.price * (2.0::DOUBLE / 27))) * 0.2::DOUBLE FROM e JOIN n ON n.stock_id = e.stock_id AND n.k = e.k + 1),
 m AS (SELECT *, {', '.join(f'CASE WHEN k >= {n} THEN avg(price) OVER (PARTITION BY stock_id ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) / f * 100 END AS ma{n}' for n in (5, 20, 60))},
   avg(greatest(ch, 0)) OVER g AS up, avg(greatest(-ch, 0)) OVER g AS down FROM n WINDOW g AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
-SELECT m.stock_id, m.date, {r6('price / f * 100', 'base_100')}, {r6('ma5')}, {r6('ma20')}, {r6('ma60')}, {r6('CASE WHEN m.k >= 15 THEN CASE WHEN down = 0 AND up > 0 THEN 100.0 WHEN down > 0 THEN 100 - 100 / (1 + up / down) END END', 'rsi14')}, {r6('e12 - e26', 'macd')}, {r6('sig', 'macd_signal')}
+SELECT m.stock_id, m.date, {r6('price / f * 100', 'base_100')}, {r6('ma5')}, {r6('ma20')}, {r6('ma60')}, {r6('CASE WHEN m.k >= 15 THEN CASE WHEN down = 0 AND up > 0 THEN 100.0 WHEN down > 0 THEN 100 - 100 / (1 + up / down) END END', 'rsi14')}, {r6('e12 - e26', 'macd')}, {r6('sig', 'macd_signal')}, m.volume
 FROM m JOIN e ON m.stock_id = e.stock_id AND m.k = e.k""").removeprefix("WITH "))
 def w12_technicals(s: SparkSession, d: str) -> DataFrame:
     names = ["base_100", "ma5", "ma20", "ma60", "rsi14", "macd", "macd_signal"]
-    return rounded(rt.technicals(ad.prices(s, d)).select("stock_id", "date", *names), *names)
+    return rounded(rt.technicals(ad.prices(s, d)).select("stock_id", "date", *names, "volume"), *names)
 
 
 @book.add(ad.sql("bursts news links prices", f"""p AS (SELECT stock_id, date, close, lead(close, 5) OVER w AS e5 FROM prices {W}),
@@ -142,56 +145,48 @@ def w17_forward_abnormal(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.where("after_5 is not null and same_5 is not null").select("stock_id", "date", "after_5", "same_5"), "after_5", "same_5")
 
 
-UNITS = f"""{fr.LINKED_SQL}, cal AS (SELECT date, row_number() OVER (ORDER BY date) AS day FROM prices WHERE stock_id = '0050'),
-le AS (SELECT q.*, l.stock_id, l.link_type, l.theme_name FROM quiet q JOIN klinks l USING (keyword) WHERE regexp_full_match(l.stock_id, '[0-9]{{4,6}}[A-Z]?') AND NOT starts_with(l.stock_id, '00') AND l.stock_id IN (SELECT stock_id FROM prices)),
-mk AS (SELECT le.* EXCLUDE (date), c.date AS day0, c.day FROM le ASOF JOIN cal c ON le.date <= c.date),
-dtone AS (SELECT theme_name, day0, sum(tone) AS tone FROM (SELECT DISTINCT theme_name, day0, keyword, tone, traffic FROM mk WHERE link_type = 'theme') GROUP BY 1, 2)"""
+UNITS = f"""{fr.STUDY_SQL}, cal AS (SELECT date, adj_close AS b, row_number() OVER (ORDER BY date) AS day FROM prices WHERE stock_id = '0050'),
+le AS (SELECT q.*, l.stock_id, l.link_type, CASE WHEN l.link_type = 'theme' THEN l.theme_name ELSE l.stock_id END AS unit FROM quiet q JOIN klinks l USING (keyword) WHERE regexp_full_match(l.stock_id, '[0-9]{{4,6}}[A-Z]?') AND NOT starts_with(l.stock_id, '00') AND l.stock_id IN (SELECT stock_id FROM prices)),
+mk AS (SELECT le.*, c.date AS day0, c.day FROM le ASOF JOIN cal c ON le.date <= c.date),
+fp AS (SELECT link_type AS kind, unit, stock_id, day0, day, keyword, tone, traffic FROM mk QUALIFY row_number() OVER (PARTITION BY link_type, unit, day0, stock_id ORDER BY keyword, date) = 1)"""
 
 
-@book.add(ad.sql(fr.ALL, f"""{UNITS}
-SELECT 'direct' AS kind, stock_id AS unit, day0, 1 AS stocks, CAST(NULL AS VARCHAR) AS keywords, CAST(NULL AS BIGINT) AS tone, CAST(NULL AS DOUBLE) AS traffic FROM (SELECT DISTINCT stock_id, day0 FROM mk WHERE link_type = 'direct')
-UNION ALL SELECT 'theme', m.theme_name, m.day0, count(DISTINCT stock_id), string_agg(DISTINCT keyword, ',' ORDER BY keyword), CAST(any_value(dtone.tone) AS BIGINT), max(traffic) FROM mk m JOIN dtone ON m.theme_name = dtone.theme_name AND m.day0 = dtone.day0 WHERE link_type = 'theme' GROUP BY 2, 3"""))
+@book.add(ad.sql(fr.ALL, f"""{UNITS} SELECT kind, unit, day0, count(DISTINCT stock_id) AS stocks, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords, CAST(sum(tone) AS BIGINT) AS tone, max(traffic) AS traffic FROM fp GROUP BY 1, 2, 3"""))
 def w18_event_units(s: SparkSession, d: str) -> DataFrame:
-    direct, theme = _units(s, d)
-    none = lambda k: F.lit(None).cast(k)
-    a = direct.select(F.lit("direct").alias("kind"), F.col("stock_id").alias("unit"), "day0", F.lit(1).cast("long").alias("stocks"), none("string").alias("keywords"), none("long").alias("tone"), none("double").alias("traffic"))
-    return a.union(theme.select(F.lit("theme"), "theme_name", "day0", F.size("stock_ids").cast("long"), F.array_join("keywords", ","), F.col("tone").cast("long"), "traffic"))
-
-
-def _units(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
+    units = rt.event_units(fr.study(s, d)[0])
+    return units.select("kind", "unit", "day0", F.size("stock_ids").cast("long").alias("stocks"), F.array_join("keywords", ",").alias("keywords"), F.col("tone").cast("long").alias("tone"), "traffic")
 
-    p = ad.prices(s, d)
-    days = p.where(F.col("stock_id") == ad.BENCHMARK).select("date", F.row_number().over(Window.orderBy("date")).alias("day"))
-    return rt.event_units(fr.linked(s, d, None), days, p)
 
-
-PATHS = f"""{UNITS}, {AR_ADJ.replace('cal AS', 'cal2 AS').replace('CROSS JOIN cal c', 'CROSS JOIN cal2 c')}, nm AS (SELECT stock_id, avg(ar) AS normal FROM ar GROUP BY 1),
-un AS (SELECT DISTINCT 'd' || stock_id || day0 AS unit, stock_id, day FROM mk WHERE link_type = 'direct' UNION SELECT DISTINCT 't' || theme_name || day0, stock_id, day FROM mk WHERE link_type = 'theme'),
-uf AS (SELECT * FROM un WHERE day - 6 >= 1 AND day + 10 <= (SELECT max(day) FROM cal)),
-lv AS (SELECT unit, avg(normal) AS normal FROM uf JOIN nm USING (stock_id) GROUP BY 1),
-ln AS (SELECT uf.unit, o.o AS off, avg(ar.ar) AS ar FROM uf CROSS JOIN (SELECT unnest(range(-5, 11)) AS o) o JOIN ar ON ar.stock_id = uf.stock_id AND ar.day = uf.day + o.o GROUP BY 1, 2),
-pt AS (SELECT ln.unit, off, sum(coalesce(ar, 0)) OVER (PARTITION BY ln.unit ORDER BY off) - sum(CASE WHEN off <= -1 THEN coalesce(ar, 0) ELSE 0 END) OVER (PARTITION BY ln.unit) AS path, normal FROM ln JOIN lv ON ln.unit = lv.unit),
-ag AS (SELECT off, avg(path) AS mp, avg(path - normal * (off + 1)) AS ap, stddev_samp(path - normal * (off + 1)) / sqrt(count(*)) AS se, count(*) AS n FROM pt GROUP BY 1)"""
+#: Closes of every stock on every trading day of the benchmark, with the day's abnormal return; needs UNITS.
+SPINE = """sp AS (SELECT st.stock_id, c.date, c.day, c.b, p.adj_close AS price FROM (SELECT DISTINCT stock_id FROM prices WHERE stock_id <> '0050') st CROSS JOIN cal c LEFT JOIN prices p ON p.stock_id = st.stock_id AND p.date = c.date),
+ar AS (SELECT stock_id, date, day, (price / lag(price) OVER w - 1) - (b / lag(b) OVER w - 1) AS ar FROM sp WINDOW w AS (PARTITION BY stock_id ORDER BY day))"""
+PATHS = f"""{UNITS}, {SPINE}, nm AS (SELECT stock_id, avg(ar) AS normal FROM ar WHERE date >= DATE '{fr.STUDY_START}' GROUP BY 1),
+uf AS (SELECT * FROM fp WHERE day - 6 >= 1 AND day + 10 <= (SELECT max(day) FROM cal)),
+lv AS (SELECT kind, unit, day, avg(normal) AS normal FROM uf LEFT JOIN nm USING (stock_id) GROUP BY 1, 2, 3),
+ln AS (SELECT uf.kind, uf.unit, uf.day, o.o AS off, avg(ar.ar) AS ar FROM uf CROSS JOIN (SELECT unnest(range(-5, 11)) AS o) o JOIN ar ON ar.stock_id = uf.stock_id AND ar.day = uf.day + o.o GROUP BY 1, 2, 3, 4),
+pt AS (SELECT ln.kind, off, CASE WHEN off >= 0 THEN sum(CASE WHEN off >= 0 THEN coalesce(ar, 0) END) OVER u ELSE -coalesce(sum(CASE WHEN off < 0 THEN coalesce(ar, 0) END) OVER v, 0) END AS path, normal FROM ln JOIN lv ON ln.kind = lv.kind AND ln.unit = lv.unit AND ln.day = lv.day
+  WINDOW u AS (PARTITION BY ln.kind, ln.unit, ln.day ORDER BY off), v AS (PARTITION BY ln.kind, ln.unit, ln.day ORDER BY off ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+ag AS (SELECT kind, off, avg(path) AS mp, avg(path - normal * (off + 1)) AS ap, stddev_samp(path - normal * (off + 1)) / sqrt(count(normal)) AS se, count(*) AS n FROM pt GROUP BY 1, 2)"""
 
 
 def paths(s: SparkSession, d: str) -> DataFrame:
-    direct, theme = _units(s, d)
-    daily = rt.daily_abnormal(ad.prices(s, d), ad.BENCHMARK)
-    normal = daily.groupBy("stock_id").agg(F.avg("ar").alias("normal"))
-    units = direct.select(F.concat(F.lit("d"), "stock_id", F.col("day0").cast("string")).alias("unit"), "day", F.array("stock_id").alias("stock_ids"))
-    units = units.union(theme.select(F.concat(F.lit("t"), "theme_name", F.col("day0").cast("string")), "day", "stock_ids"))
-    return rt.cumulative_paths(units, daily, normal)
+    pairs, daily = fr.study(s, d)
+    return rt.cumulative_paths(pairs, rt.path_windows(daily, fr.STUDY_START))
 
 
-@book.add(ad.sql(fr.ALL, f"{PATHS} SELECT off AS \"offset\", {r6('mp', 'mean_path')}, {r6('ap', 'adjusted_path')}, {r6('se')}, n FROM ag"))
+@book.add(ad.sql(fr.ALL, f"{PATHS} SELECT kind, off AS \"offset\", {r6('mp', 'mean_path')}, {r6('ap', 'adjusted_path')}, {r6('se')}, n FROM ag"))
 def w19_cumulative_paths(s: SparkSession, d: str) -> DataFrame:
     return rounded(paths(s, d), "mean_path", "adjusted_path", "se")
 
 
-@book.add(ad.sql(fr.ALL, f"{PATHS} SELECT off AS \"offset\", {r6('ap - 1.96 * se', 'low')}, {r6('ap + 1.96 * se', 'high')}, {r6('ap / nullif(se, 0)', 't')} FROM ag"))
+@book.add(ad.sql(fr.ALL, f"{PATHS} SELECT kind, off AS \"offset\", {r6('ap - 1.96 * se', 'low')}, {r6('ap + 1.96 * se', 'high')}, {r6('ap / nullif(se, 0)', 't')} FROM ag"))
 def w24_path_band(s: SparkSession, d: str) -> DataFrame:
-    return rounded(rt.path_band(paths(s, d)).select("offset", "low", "high", "t"), "low", "high", "t")
+    return rounded(rt.path_band(paths(s, d)).select("kind", "offset", "low", "high", "t"), "low", "high", "t")
+
+
+@book.add(ad.sql(fr.ALL, f"{PATHS} SELECT kind, n AS events, {r6('mp', 'car')}, {r6('ap', 'car_adjusted')}, {r6('ap / nullif(se, 0)', 't')} FROM ag WHERE off = 10"))
+def w24_end_table(s: SparkSession, d: str) -> DataFrame:
+    return rounded(rt.end_table(paths(s, d)), "car", "car_adjusted", "t")
 
 
 #: Direct events on the consecutive days of ``dense``; needs LINKED_SQL and DENSE.
@@ -272,8 +267,11 @@ def w22_volatility_panel(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("stock_id", "day", "today", "future5", "future10", "past20", "big5"), "today", "future5", "future10", "past20")
 
 
-@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, sg AS (SELECT e.keyword, e.stock_id, e.date, CASE WHEN coalesce(e.excess_10d, e.excess_5d) > 0 THEN 'up' WHEN coalesce(e.excess_10d, e.excess_5d) < 0 THEN 'down' ELSE 'neutral' END AS outcome, e.ordinal, unnest(range(0, 11)) AS step FROM events_perf e WHERE link_type = 'direct')
-SELECT keyword, sg.stock_id, sg.date, outcome, sg.step, n.date AS date_at, {r6('n.close', 'close')} FROM sg JOIN nb n ON n.stock_id = sg.stock_id AND n.ordinal = sg.ordinal + sg.step"""))
+@book.add(ad.sql(fr.ALL, f"""{fr.LINKED_SQL}, pr AS (SELECT stock_id, date, close, lead(date, 5) OVER w AS d5, lead(close, 5) OVER w AS c5, lead(date, 10) OVER w AS d10, lead(close, 10) OVER w AS c10, list({{'d': date, 'c': close}}) OVER (PARTITION BY stock_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS path FROM prices {W}),
+le AS (SELECT q.keyword, q.date AS event, l.stock_id FROM quiet q JOIN klinks l USING (keyword) WHERE l.link_type = 'direct'), bm AS (SELECT date, close FROM prices WHERE stock_id = '0050'), met AS (SELECT le.keyword, le.event, p.* FROM le ASOF JOIN pr p ON le.stock_id = p.stock_id AND le.event <= p.date),
+x AS (SELECT m.*, coalesce(c10 / m.close - b10.close / b0.close, c5 / m.close - b5.close / b0.close) AS x FROM met m LEFT JOIN bm b0 ON b0.date = m.date LEFT JOIN bm b5 ON b5.date = d5 LEFT JOIN bm b10 ON b10.date = d10),
+u AS (SELECT keyword, stock_id, event AS date, CASE WHEN x > 0 THEN 'up' WHEN x < 0 THEN 'down' ELSE 'neutral' END AS outcome, unnest(range(0, len(path))) AS step, unnest(path) AS p FROM x)
+SELECT keyword, stock_id, date, outcome, step, p.d AS date_at, {r6('p.c', 'close')} FROM u"""))
 def w23_path_segments(s: SparkSession, d: str) -> DataFrame:
     events = fr.performance(s, d).select("keyword", "stock_id", "date", "excess_5d", "excess_10d")
     out = rt.path_segments(events, ad.prices(s, d)).drop("excess_5d", "excess_10d")

@@ -13,6 +13,7 @@ from heedstream.plans import frames as fr
 from heedstream.plans import queries_returns as qr
 from heedstream.plans._book import Book, r6, rounded
 from heedstream.sources import adapters as ad
+from heedstream.sources.shared import stage
 
 book = Book()
 NOW = "timestamp '1998-08-03 20:00:00'"
@@ -73,17 +74,30 @@ def g5_event_text(s: SparkSession, d: str) -> DataFrame:
 XT = "CASE WHEN count({c}) >= 3 AND stddev_samp({c}) >= 1e-12 THEN avg({c}) / (stddev_samp({c}) / sqrt(count({c}))) END"
 
 
-@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, u AS (SELECT link_type, unnest([{{'n': 5, 'x': excess_5d, 'm': normal_5d}}, {{'n': 10, 'x': excess_10d, 'm': normal_10d}}]) AS q FROM events_perf),
-v AS (SELECT link_type AS kind, q.n AS n, q.x AS excess, q.m AS normal, q.x - q.m AS dd FROM u WHERE q.x - q.m IS NOT NULL)
-SELECT kind, n, {r6('avg(excess)', 'event_mean')}, {r6('avg(normal)', 'normal_mean')}, {r6('avg(dd)', 'excess_over_normal')}, {r6(XT.format(c='dd'), 't')}, {r6('avg(CASE WHEN dd > 0 THEN 1.0 ELSE 0.0 END)', 'share_up')}, count(*) AS units FROM v GROUP BY 1, 2"""))
+#: Forward abnormal returns and normal levels of units; needs UNITS.
+STUDY = f"""{qr.UNITS}, {qr.SPINE}, fa AS (SELECT stock_id, date, day, {', '.join(f"lead(price, {n}) OVER w / price - lead(b, {n}) OVER w / b AS ar{n}" for n in (1, 3, 5, 10))} FROM sp WINDOW w AS (PARTITION BY stock_id ORDER BY day)),
+per AS (SELECT * FROM fa WHERE date >= DATE '{fr.STUDY_START}'), sb AS (SELECT stock_id, {', '.join(f"avg(ar{n}) AS base{n}" for n in (1, 3, 5, 10))} FROM per GROUP BY 1),
+bk AS (SELECT DISTINCT unit, stock_id FROM fp WHERE kind = 'theme'), bd AS (SELECT unit, day, {', '.join(f"avg(ar{n}) AS ar{n}" for n in (1, 3, 5, 10))} FROM bk JOIN per USING (stock_id) GROUP BY 1, 2), tb AS (SELECT unit, {', '.join(f"avg(ar{n}) AS base{n}" for n in (1, 3, 5, 10))} FROM bd GROUP BY 1),
+su AS (SELECT kind, unit, tone, ar1, ar3, ar5, ar10, base1, base3, base5, base10 FROM fp JOIN fa USING (stock_id, day) JOIN sb USING (stock_id) WHERE kind = 'direct'
+  UNION ALL SELECT 'theme', t.*, base1, base3, base5, base10 FROM (SELECT unit, tone, ar1, ar3, ar5, ar10 FROM (SELECT unit, day, sum(tone) AS tone, avg(ar1) AS ar1, avg(ar3) AS ar3, avg(ar5) AS ar5, avg(ar10) AS ar10 FROM fp JOIN fa USING (stock_id, day) WHERE kind = 'theme' GROUP BY 1, 2)) t JOIN tb USING (unit))"""
+
+
+@book.add(ad.sql(fr.ALL, f"""{STUDY}, v AS ({' UNION ALL '.join(f"SELECT kind, {n} AS n, ar{n} AS x, base{n} AS m, ar{n} - base{n} AS dd FROM su" for n in (1, 3, 5, 10))})
+SELECT kind, n, {r6('avg(x)', 'event_mean')}, {r6('avg(m)', 'normal_mean')}, {r6('avg(dd)', 'excess_over_normal')}, {r6(XT.format(c='dd'), 't')}, {r6('avg(CASE WHEN x > 0 THEN 1.0 WHEN x IS NOT NULL THEN 0.0 END)', 'share_up')}, count(dd) AS units FROM v GROUP BY 1, 2"""))
 def g6_excess_table(s: SparkSession, d: str) -> DataFrame:
-    """By link type and window; p values are covered by tests (DuckDB has no erfc)."""
+    """By kind and window, one observation a stock or basket and day 0; p values are covered by tests (DuckDB has no erfc)."""
     return rounded(st.excess_table(_units(s, d), ["kind", "n"]).drop("p"), "event_mean", "normal_mean", "excess_over_normal", "t", "share_up")
 
 
+def _studied(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Units of the study with their returns, and the forward returns of all days."""
+    pairs, daily = fr.study(s, d)
+    ahead = stage(rt.study_returns(daily, fr.STUDY_START), "ahead")
+    return rt.study_units(pairs, ahead, fr.STUDY_START), ahead
+
+
 def _units(s: SparkSession, d: str) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"excess_{n}d").alias("excess"), F.col(f"normal_{n}d").alias("normal")) for n in (5, 10)]))
-    return fr.performance(s, d, None).select(F.col("link_type").alias("kind"), each.alias("q")).select("kind", "q.*")
+    return _studied(s, d)[0].select("kind", F.explode("q").alias("q")).select("kind", "q.*")
 
 
 @book.add()
@@ -102,19 +116,20 @@ def g7_basket_baseline(s: SparkSession, d: str) -> DataFrame:
     return rounded(out, "baseline")
 
 
-@book.add(ad.sql(fr.ALL, f"""{qr.FLAGS} SELECT {r6('avg(abs(ar)) FILTER (flag)', 'event_move')}, {r6('avg(abs(ar))', 'usual_move')}, count(ar) FILTER (flag) AS n FROM pnl"""))
+@book.add(ad.sql(fr.ALL, f"""{STUDY}, ds AS (SELECT DISTINCT unit FROM fp WHERE kind = 'direct') SELECT (SELECT floor(avg(abs(ar1)) * 1e6 + 0.5) / 1e6 FROM su WHERE kind = 'direct') AS event_move, (SELECT floor(avg(abs(ar1)) * 1e6 + 0.5) / 1e6 FROM per WHERE stock_id IN (SELECT unit FROM ds)) AS usual_move, (SELECT count(ar1) FROM su WHERE kind = 'direct') AS n"""))
 def g8_attention_size(s: SparkSession, d: str) -> DataFrame:
-    """Mean absolute abnormal return of event days against all days."""
-    out = qr.flagged_panel(s, d).agg(F.avg(F.when(F.col("flag"), F.abs("ar"))).alias("event_move"), F.avg(F.abs("ar")).alias("usual_move"), F.count(F.when(F.col("flag"), F.col("ar"))).alias("n"))
-    return rounded(out, "event_move", "usual_move")
+    """Mean absolute one-day abnormal return of direct events against all days of the period of the same stocks."""
+    units, ahead = _studied(s, d)
+    units = stage(units.where("kind = 'direct'").select("unit", F.abs(F.filter("q", lambda x: x["n"] == 1)[0]["excess"]).alias("x")), "direct")
+    usual = ahead.where(F.col("date") >= F.lit(fr.STUDY_START).cast("date")).join(units.select(F.col("unit").alias("stock_id")).distinct(), "stock_id", "left_semi").agg(F.avg(F.abs("ar1")).alias("usual_move"))
+    out = units.agg(F.avg("x").alias("event_move"), F.count("x").alias("n")).crossJoin(usual)
+    return rounded(out.select("event_move", "usual_move", "n"), "event_move", "usual_move")
 
 
-@book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, g AS (SELECT sign(tone) AS tone, excess_5d AS a, excess_10d AS b FROM events_perf WHERE link_type = 'direct')
-SELECT CAST(tone AS INTEGER) AS tone, count(*) AS n, {r6('avg(a)', 'mean_5')}, {r6(XT.format(c='a'), 't_5')}, {r6('avg(b)', 'mean_10')}, {r6(XT.format(c='b'), 't_10')} FROM g GROUP BY 1 HAVING count(*) >= 3"""))
+@book.add(ad.sql(fr.ALL, f"""{STUDY}, g AS (SELECT kind, CAST(sign(tone) AS INTEGER) AS tone, ar5 - base5 AS a, ar10 - base10 AS b FROM su)
+SELECT kind, tone, count(*) AS n, {r6('avg(a)', 'mean_5')}, {r6(XT.format(c='a'), 't_5')}, {r6('avg(b)', 'mean_10')}, {r6(XT.format(c='b'), 't_10')} FROM g GROUP BY 1, 2 HAVING count(*) >= 3"""))
 def g9_tone_split(s: SparkSession, d: str) -> DataFrame:
-    p = fr.performance(s, d).withColumn("tone", F.signum("tone").cast("int"))
-    out = p.groupBy("tone").agg(F.count("*").alias("n"), F.avg("excess_5d").alias("mean_5"), st.t_stat("excess_5d", 3).alias("t_5"), F.avg("excess_10d").alias("mean_10"), st.t_stat("excess_10d", 3).alias("t_10")).where("n >= 3")
-    return rounded(out, "mean_5", "t_5", "mean_10", "t_10")
+    return rounded(st.tone_split(_studied(s, d)[0]), "mean_5", "t_5", "mean_10", "t_10")
 
 
 RR = "rr AS (SELECT stock_id, date, close / lag(close) OVER w - 1 AS r, row_number() OVER w AS k FROM prices WHERE stock_id <> '0050' WINDOW w AS (PARTITION BY stock_id ORDER BY date))"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heedstream.operators import coverage as cv
+from heedstream.operators import returns as rt
 from heedstream.operators import stats as st
 from heedstream.plans import frames as fr
 from heedstream.plans import jobs
@@ -79,19 +80,25 @@ def g37_stock_dataset(s: SparkSession, d: str) -> DataFrame:
 
 
 book.oracles["g37_stock_dataset"] = "WITH RECURSIVE " + ad.sql(fr.ALL, f"""{fr.BASE_SQL}, {qr.AR_ADJ}, mo AS (SELECT stock_id, count(ar) AS moves, avg(abs(ar)) AS mean_move FROM ar GROUP BY 1),
-px AS (SELECT stock_id, adj_close AS price, adj_close - lag(adj_close) OVER w AS ch, row_number() OVER w AS k FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
+px AS (SELECT stock_id, close AS price, close - lag(close) OVER w AS ch, row_number() OVER w AS k FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
 em AS (SELECT stock_id, k, price AS e12, price AS e26 FROM px WHERE k = 1 UNION ALL SELECT px.stock_id, px.k, e.e12 * (1 - 2.0::DOUBLE / 13) + px.price * (2.0::DOUBLE / 13), e.e26 * (1 - 2.0::DOUBLE / 27) + px.price * (2.0::DOUBLE / 27) FROM em e JOIN px ON px.stock_id = e.stock_id AND px.k = e.k + 1),
 rs AS (SELECT stock_id, count(*) FILTER (k >= 15 AND (up > 0 OR down > 0)) AS rsi_days FROM (SELECT *, avg(greatest(ch, 0)) OVER g AS up, avg(greatest(-ch, 0)) OVER g AS down FROM px WINDOW g AS (PARTITION BY stock_id ORDER BY k ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) GROUP BY 1),
 lm AS (SELECT stock_id, arg_max(e12 - e26, k) AS last_macd FROM em GROUP BY 1), ep AS (SELECT stock_id, count(*) AS events, avg(return_5d) AS mean_5d, avg(excess_10d) AS mean_excess, any_value(normal_10d) AS normal_10d, count(DISTINCT day0_date) AS days FROM events_perf GROUP BY 1)
 SELECT stock_id, events, {r6('mean_5d')}, {r6('mean_excess')}, {r6('normal_10d')}, days, moves, {r6('mean_move')}, {r6('last_macd')}, rsi_days FROM ep JOIN mo USING (stock_id) JOIN lm USING (stock_id) JOIN rs USING (stock_id)""").removeprefix("WITH ")
 
 
-@book.add(ad.sql(fr.ALL, f"{qr.PATHS} SELECT 'paths' AS part, CAST(off AS VARCHAR) AS label, {r6('ap', 'value')}, n FROM ag UNION ALL SELECT 'events', 'quiet', NULL, count(*) FROM quiet"))
+@book.add(ad.sql(fr.ALL, f"""{qr.PATHS} SELECT 'paths' AS part, kind, CAST(off AS VARCHAR) AS label, {r6('ap', 'value')}, n FROM ag UNION ALL SELECT 'events', NULL, 'quiet', NULL, count(*) FROM quiet
+UNION ALL SELECT 'units', kind, 'units', NULL, count(*) FROM (SELECT DISTINCT kind, unit, day0 FROM fp) GROUP BY 2 UNION ALL SELECT 'period', NULL, '{fr.STUDY_START}/' || CAST(max(date) AS VARCHAR), NULL, count(*) FILTER (date >= DATE '{fr.STUDY_START}') FROM cal"""))
 def g38_study(s: SparkSession, d: str) -> DataFrame:
-    """Events, units and paths of the whole study."""
-    p = qr.paths(s, d).select(F.lit("paths").alias("part"), F.col("offset").cast("string").alias("label"), F.col("adjusted_path").alias("value"), "n")
-    e = fr.quiet(s, d).agg(F.lit("events").alias("part"), F.lit("quiet").alias("label"), F.lit(None).cast("double").alias("value"), F.count("*").alias("n"))
-    return rounded(p.union(e), "value")
+    """Events, units and paths by kind, and the period with its trading days, of the whole study."""
+    pairs, daily = fr.study(s, d)
+    none = lambda k: F.lit(None).cast(k)
+    p = rt.cumulative_paths(pairs, rt.path_windows(daily, fr.STUDY_START)).select(F.lit("paths").alias("part"), "kind", F.col("offset").cast("string").alias("label"), F.col("adjusted_path").alias("value"), "n")
+    e = fr.quiet(s, d, fr.STUDY_START).agg(F.lit("events"), none("string"), F.lit("quiet"), none("double"), F.count("*"))
+    u = rt.event_units(pairs).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("units"), "kind", F.lit("units"), none("double"), "n")
+    days = ad.prices(s, d).where(F.col("stock_id") == ad.BENCHMARK).agg(F.max("date").alias("last"), F.count_if(F.col("date") >= F.lit(fr.STUDY_START).cast("date")).alias("n"))
+    t = days.select(F.lit("period"), none("string"), F.concat(F.lit(f"{fr.STUDY_START}/"), F.col("last").cast("string")), none("double"), "n")
+    return rounded(p.union(e).union(u).union(t), "value")
 
 
 @book.add(ad.sql("bursts news links prices", f"""fe AS (SELECT stock_id, date, lead(close, 1) OVER w / close - 1 AS r1, lead(close, 3) OVER w / close - 1 AS r3, lead(close, 5) OVER w / close - 1 AS r5, lead(close, 10) OVER w / close - 1 AS r10 FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
@@ -127,7 +134,7 @@ def g41_daily_update(s: SparkSession, d: str) -> DataFrame:
     suppliers = ad.table(s, d, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("keyword"), F.lit("company").alias("type"), ad.stock_code(F.col("s_suppkey")).alias("stock_id"))
     heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("burst_score"))
     tables = {
-        "mapping": csv.where("keyword like '%1'").select("theme_name", "keyword", "stock_id", "category", F.lit("theme").alias("link_type")), "csv": csv, "bursts": ad.bursts(s, d), "news": news, "classified": ad.classes(s, d).select("keyword", "theme_name", "source"), "aliases": suppliers,
+        "mapping": csv.where("keyword like '%1'").select("theme_name", "keyword", "stock_id", "category", F.lit("theme").alias("link_type")), "csv": csv, "bursts": ad.bursts(s, d), "news": news, "classified": ad.classes(s, d).select("keyword", "canonical_keyword", "theme_name", "source"), "aliases": suppliers,
         "seeds": c.where("c_custkey % 3 = 0").select(k.alias("ordinal"), name.alias("alias"), name.alias("entity_name"), F.lit("產業").alias("entity_type"), F.lit("").alias("stock_id"), F.lit("半導體").alias("industry"), none("string").alias("theme_name")),
         "official": suppliers.select("stock_id", F.col("keyword").alias("name")), "industries": ad.table(s, d, "nation").select(F.col("n_name").alias("keyword")),
         "predictions": c.where("c_custkey % 3 = 1").select(name.alias("keyword"), name.alias("canonical_entity"), F.lit("產業").alias("entity_type"), F.lit("").alias("stock_id"), F.lit("").alias("industry"), segment.alias("theme_name"), F.lit("0.9").alias("confidence_score")),
