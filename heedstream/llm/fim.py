@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
-#: Bytes of a piece, and partitions of the sort for each one of the input.
-CHUNK, SPREAD = 32 << 10, 2
+#: Bytes of a piece, and of the texts whose pieces meet in one partition of the sort.
+CHUNK, PARTITION_BYTES = 32 << 10, 16 << 20
 _SEQ = 40
 #: Parts of a text by their place in it, and each form's parts with their sentinels in output order.
 FORMS = {"psm": ((PREFIX, 0), (SUFFIX, 2), (MIDDLE, 1)), "spm": ((SUFFIX, 2), (PREFIX, 0), (MIDDLE, 1)), "plain": ((None, 0),)}
@@ -186,9 +186,10 @@ def transform(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 50, ch
     ``rate`` percent of the documents become examples, of these ``spm``
     percent with the suffix first; the others, and texts that hold a sentinel, stay plain.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).rdd
-    parts = max(1, SPREAD * rows.getNumPartitions())
-    pieces = rows.mapPartitionsWithIndex(_cut(seed, rate, spm, chunk)).repartitionAndSortWithinPartitions(parts, _home)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = -(-total // PARTITION_BYTES) or 1
+    pieces = rows.rdd.mapPartitionsWithIndex(_cut(seed, rate, spm, chunk)).repartitionAndSortWithinPartitions(parts, _home)
     again = pieces.mapPartitions(_assemble(keep_text), preservesPartitioning=True).repartitionAndSortWithinPartitions(pieces.getNumPartitions(), _home)
     schema = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string" + ", output string" * keep_text
     return docs.sparkSession.createDataFrame(again.mapPartitions(_restore(keep_text)), schema, verifySchema=False)
