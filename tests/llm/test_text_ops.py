@@ -247,11 +247,12 @@ def test_trie(depth):
     rng = random.Random(depth)
     words = [f"x{k}" for k in range(200)]
     langs, phrases = zip(*{(rng.choice("ab"), tuple(rng.choices(words, weights=[1 / (k + 1) for k in range(200)], k=depth))) for _ in range(3000)}, strict=True)
-    trie = collocations.Trie(list(langs), list(phrases))
+    code = {"a": -7, "b": 5, "c": 6}
+    trie = collocations.Trie(np.arange(len(phrases)) * 3 - 100, np.array([code[x] for x in langs]), collocations.hashes_of([w for p in phrases for w in p]).reshape(len(phrases), depth))
     text = rng.choices([*words, "unknown"], k=5000)
     follows = np.array([rng.random() < 0.9 for _ in text[:-1]] + [False])
     for lang in "abc":
-        found, after = trie.walk(np.full(len(text), trie.langs.get(lang, -1)), collocations.hashes_of(text), follows)
+        found, after = trie.walk(np.full(len(text), code[lang]), collocations.hashes_of(text), follows)
         number = {x: k for k, x in enumerate(zip(langs, phrases, strict=True))}
         want = [number.get((lang, tuple(text[i : i + depth])), -1) if follows[i : i + depth - 1].all() and i + depth <= len(text) else -1 for i in range(len(text))]
         assert found.tolist() == want
