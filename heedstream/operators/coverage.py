@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heedstream.functions.exprs import OTHER_THEME, SENTIMENTS, UNANALYZED, expected_trading_day, previous_weekday, sentiment_form
+from heedstream.functions.exprs import OTHER_THEME, SENTIMENTS, UNANALYZED, expected_trading_day, previous_weekday, sentiment_form, taipei_day
+from heedstream.operators import logs as lg
 
 
-def theme_daily_stats(bursts: DataFrame, news: DataFrame, heat: DataFrame, links: DataFrame) -> DataFrame:
-    """By day and theme: distinct keywords, bursts and news, scores, and the theme's active stocks; a theme of any input has a row."""
+def theme_daily_stats(heat: DataFrame, bursts: DataFrame, news: DataFrame, mapping: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """By day and theme: keywords and scores of the heat rows, news and bursts, and the theme's active stocks.
+
+    Every theme with an active row of ``mapping`` has a row on each of ``days``
+    (if None on all days of heat and bursts), and so has a theme that only heat or bursts
+    know on their days. Counts without rows are 0, scores without a known value null.
+    """
     key = ["date", "theme_name"]
-    t = bursts.groupBy(*key).agg(F.count_distinct("keyword").alias("keywords"), F.count_distinct("burst_id").alias("bursts"))
-    n = news.groupBy(*key).agg(F.count_distinct("news_id").alias("news"))
-    h = heat.groupBy(*key).agg(F.avg("burst_score").alias("avg_score"), F.max("burst_score").alias("max_score"))
-    s = links.where("active = 1 and stock_id is not null").groupBy("theme_name").agg(F.count_distinct("stock_id").alias("stocks"))
-    out = t.join(n, key, "full").join(h, key, "full").join(s, "theme_name", "left")
-    return out.select(*key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keywords", "bursts", "news", "stocks")], F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"), F.coalesce(F.col("max_score").cast("double"), F.lit(0.0)).alias("max_score"))
+    known = lambda df: df.where("date is not null and theme_name is not null")
+    h = known(heat).groupBy(*key).agg(F.count_distinct("keyword").alias("keywords"), F.avg("trend_score").alias("avg_score"), F.max(F.col("trend_score").cast("double")).alias("max_score"))
+    t = known(bursts).groupBy(*key).agg(F.count_distinct("burst_id").alias("bursts"))
+    n = known(news).groupBy(*key).agg(F.count_distinct("news_id").alias("news"))
+    active = mapping.where("active = 1 and theme_name is not null")
+    s = active.groupBy("theme_name").agg(F.count_distinct("stock_id").alias("stocks"))
+    seen = h.select(*key).union(t.select(*key)).union(n.select(*key))
+    spine = (seen.select("date") if days is None else days).distinct().crossJoin(F.broadcast(s.select("theme_name")))
+    rows = spine.select(*key).union(seen if days is None else seen.join(days.distinct(), "date", "left_semi")).distinct()
+    out = rows.join(h, key, "left").join(t, key, "left").join(n, key, "left").join(s, "theme_name", "left")
+    return out.select(*key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keywords", "bursts", "news", "stocks")], "avg_score", "max_score")
 
 
 def theme_coverage(themes: DataFrame, bursts: DataFrame, news: DataFrame) -> DataFrame:
@@ -80,19 +91,30 @@ def timeline(news: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("date", "theme_name", "keyword", "news_id", "news_title", F.coalesce("news_source", F.lit("unknown")).alias("news_source"), sentiment_form(F.col("news_sentiment")).alias("news_sentiment")).orderBy(F.col("date").desc(), "news_id")
 
 
-def system_status(bursts: DataFrame, news: DataFrame, classified: DataFrame, prices: DataFrame, links: DataFrame, now: Column) -> DataFrame:
-    """One row of counts and extrema with the rule of stale, pending or healthy."""
-    keywords = bursts.where("trim(keyword) <> ''").select("keyword").distinct().join(classified.select("keyword", "theme_name", "source"), "keyword", "left")
-    k = keywords.agg(F.count("*").alias("total_keywords"), F.count("source").alias("classified_keywords"), F.count_if(F.col("source").isNull() | ((F.col("source") == "fallback") & (F.col("theme_name") == OTHER_THEME))).alias("unclassified_keywords"))
+def system_status(bursts: DataFrame, news: DataFrame, classified: DataFrame, prices: DataFrame, links: DataFrame, stats: DataFrame, now: Column) -> DataFrame:
+    """One row of counts and extrema with the rule of stale, pending or healthy.
+
+    ``now`` and burst times are UTC; days are Taipei's. Stale is without bursts of the last day; pending
+    is with unclassified keywords, keywords without an entity, titled news
+    that lack one of three values, prices of more than three days or statistics of more than one day ago.
+    """
+    named = bursts.where("trim(keyword) <> ''").select("keyword").distinct()
+    k = named.join(classified.select("keyword", "theme_name", "source", "entity_name", "entity_type", F.lit(True).alias("_c")), "keyword", "left")
+    fallback = (F.col("source") == "fallback") & (F.col("theme_name") == OTHER_THEME)
+    k = k.agg(F.count("*").alias("total_keywords"), F.count("_c").alias("classified_keywords"), F.count_if(F.col("_c").isNull() | fallback).alias("unclassified_keywords"),
+              F.count_if(F.col("entity_name").isNull() | F.col("entity_type").isNull() | (F.col("entity_type") == OTHER_THEME)).alias("pending_entities"))
     t = bursts.agg(F.count("*").alias("event_count"), F.max(F.coalesce("fetched_at", "published_at")).alias("latest_burst_at"), F.min(F.coalesce("published_at", "fetched_at")).alias("earliest_burst_at"))
-    n = news.agg(F.count("*").alias("total_news"), F.count("news_sentiment").alias("analyzed_news"))
+    lacks = F.col("news_sentiment").isNull() | F.col("sentiment_score").isNull() | F.col("event_type").isNull()
+    n = news.agg(F.count("*").alias("total_news"), F.count_if(~lacks).alias("analyzed_news"), F.count_if(lacks & F.col("news_title").isNotNull()).alias("unanalyzed_news"))
     p = prices.agg(F.count("*").alias("stock_rows"), F.max("date").alias("latest_stock_date"))
     x = links.where("active = 1").agg(F.count_distinct("theme_name").alias("theme_count"), F.count_distinct("stock_id").alias("tracked_stock_count"))
-    row = k.crossJoin(t).crossJoin(n).crossJoin(p).crossJoin(x)
-    old = F.col("latest_burst_at").isNull() | (F.col("latest_burst_at").cast("timestamp") < now - F.expr("interval 24 hours"))
-    behind = F.col("latest_stock_date").isNull() | (F.datediff(F.to_date(now), "latest_stock_date") > 3)
-    open_ = (F.col("unclassified_keywords") > 0) | (F.col("analyzed_news") < F.col("total_news")) | behind
-    return row.withColumn("health", F.when(old, "stale").when(open_, "pending").otherwise("healthy"))
+    row = k.crossJoin(t).crossJoin(n).crossJoin(p).crossJoin(x).crossJoin(stats.agg(F.max("date").alias("latest_stats_date")))
+    today = taipei_day(now)
+    row = row.withColumns({"history_start": taipei_day(F.col("earliest_burst_at")), "history_end": taipei_day(F.col("latest_burst_at"))})
+    stale = F.coalesce(now - F.col("latest_burst_at").cast("timestamp") > F.expr("interval 24 hours"), F.lit(True))
+    older = lambda c, days: F.coalesce(F.datediff(today, c) > days, F.lit(True))
+    open_ = (F.col("unclassified_keywords") > 0) | (F.col("unanalyzed_news") > 0) | (F.col("pending_entities") > 0) | older("latest_stock_date", 3) | older("latest_stats_date", 1)
+    return row.withColumn("health", F.when(stale, "stale").when(open_, "pending").otherwise("healthy"))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -109,6 +131,12 @@ def live_light(minutes: Column, green: int, red: int) -> Column:
     return F.when(minutes.isNull() | (minutes > red), "red").when(minutes <= green, "green").otherwise("yellow")
 
 
+def live_status(rss_minutes: Column, etl_hours: Column) -> Column:
+    """Red without new rows for a day, green within an hour and with an update job that ended within seven, else yellow."""
+    late = (rss_minutes > 60) | etl_hours.isNull() | (etl_hours > 7)
+    return F.when(rss_minutes.isNull() | (rss_minutes > 24 * 60), "red").when(late, "yellow").otherwise("green")
+
+
 def new_rows(tables: dict[str, tuple[DataFrame, str]], start: Column, end: Column) -> DataFrame:
     """Rows of one Taipei day by table; the day is a half-open UTC range, so that it reaches the scan."""
     out = None
@@ -125,19 +153,49 @@ def heat_coverage(links: DataFrame, heat: DataFrame, today: Column, days: int =
     return pairs.join(fresh, "keyword", "left").agg(F.count("*").alias("active"), F.count_if("_f").alias("fresh"), F.count_if(F.col("direct") == 1).alias("direct"), F.count_if((F.col("direct") == 1) & F.col("_f")).alias("direct_fresh"))
 
 
+#: What a status is worth.
+POINTS = {"OK": 20, "WARN": 10, "FAIL": 0, "UNKNOWN": 10}
+COMPONENTS = ("rss", "stocks", "bursts", "models", "etl")
+
+
+def log_facts(lines: DataFrame, etl: str = "etl", stocks: str = "stock_collector") -> DataFrame:
+    """One row of what the logs of both jobs say: last runs, their ends, and the blocks of the last update run."""
+    e, k = lg.job_runs(lines.where(F.col("job") == etl), "Theme ETL completed", (0, 3)), lg.job_runs(lines.where(F.col("job") == stocks), "筆行情")
+    le, lk = lg.last_runs(e), lg.last_runs(k)
+    blocks = lg.blocks(lines.where(F.col("job") == etl))
+    of = lambda block, key: F.max(F.when((F.col("block") == block) & (F.col("key") == key), F.col("value")))
+    by = blocks.groupBy("run").agg(of("history", "status").alias("history_status"), of("history", "Success").alias("_s"), F.bool_or(F.col("block") == "gemini").alias("models_seen"), of("gemini", "Processed").alias("_p"), of("gemini", "Stopped").alias("models_stopped"))
+    by = by.withColumns({"models_processed": lg.leading_number(F.col("_p")), "_ok_h": lg.leading_number(F.col("_s")) > 0})
+    started = by.join(e.select("run", "started_at"), "run")
+    success = started.agg(F.max_by("started_at", F.when(F.col("_ok_h"), F.col("run"))).alias("heat_success"), F.max_by("started_at", F.when(F.col("models_processed") > 0, F.col("run"))).alias("models_success"))
+    one = F.lit(True)
+    out = success.join(le.select(F.col("run").alias("_run"), F.col("started_at").alias("etl_started"), F.col("exit_code").alias("etl_exit"), F.col("success").alias("etl_ok"), F.col("last_success").alias("etl_success")), one, "left")
+    out = out.join(lk.select(F.col("exit_code").alias("stock_exit"), F.col("last_success").alias("stock_success")), one, "left")
+    return out.join(by.select(F.col("run").alias("_run"), "history_status", "models_seen", "models_processed", "models_stopped"), "_run", "left").drop("_run")
+
+
 def component_health(facts: DataFrame) -> DataFrame:
-    """Facts of one row (now, rss_minutes, warnings, stock_day, heat_day, fresh, active, etl_hours, etl_exit) to statuses and a score of 100."""
+    """One row of facts to the status of five components, a score of 100 and its grade.
+
+    Facts are those of ``log_facts`` and: now, rss_minutes, warnings, stock_day,
+    heat_day, fresh, active, analyzed, total_news, stats_day. Times are local.
+    """
     now = F.col("now")
     expected = expected_trading_day(now)
     day = F.to_date(now)
     ratio = F.coalesce(F.try_divide("fresh", "active"), F.lit(0.0))
     rss = F.when(F.col("rss_minutes").isNull(), "FAIL").when(F.col("rss_minutes") <= 30, F.when(F.col("warnings") > 0, "WARN").otherwise("OK")).when(F.col("rss_minutes") <= 120, "WARN").otherwise("FAIL")
-    stock = F.when(F.col("stock_day").isNull(), "FAIL").when(F.col("stock_day") >= expected, "OK").when(F.col("stock_day") >= previous_weekday(expected), "WARN").otherwise("FAIL")
-    heat = F.when(F.col("heat_day").isNull() | (F.col("heat_day") < F.date_sub(day, 3)) | (ratio < 0.2), "FAIL").when((F.col("heat_day") >= F.date_sub(day, 1)) & (ratio >= 0.8), "OK").otherwise("WARN")
-    etl = F.when(F.col("etl_hours").isNull() | (F.col("etl_hours") > 26), "FAIL").when(F.col("etl_exit").isin(0, 3), "OK").when(F.col("etl_exit").isNull(), "WARN").otherwise("FAIL")
-    out = facts.withColumns({"rss": rss, "stocks": stock, "bursts": heat, "etl": etl})
-    points = lambda c: F.when(F.col(c) == "OK", 25).when(F.col(c) == "WARN", 15).otherwise(0)
-    return out.withColumn("score", points("rss") + points("stocks") + points("bursts") + points("etl"))
+    stock = F.when(F.col("stock_day").isNull() | (F.col("stock_exit") != 0), "FAIL").when(F.col("stock_day") >= expected, "OK").when(F.col("stock_day") >= previous_weekday(expected), "WARN").otherwise("FAIL")
+    stopped = F.coalesce(F.col("history_status").startswith("Stopped"), F.lit(False))
+    heat = F.when(F.col("heat_day").isNull() | (F.col("heat_day") < F.date_sub(day, 3)) | (ratio < 0.2), "FAIL").when((F.col("heat_day") >= F.date_sub(day, 1)) & (ratio >= 0.8) & ~stopped, "OK").otherwise("WARN")
+    few = F.coalesce((F.col("total_news") > 0) & (F.col("analyzed") / F.col("total_news") < 0.5), F.lit(False))
+    models = F.when(~F.coalesce("models_seen", F.lit(False)), "UNKNOWN").when(F.coalesce("models_stopped", F.lit("no")) == "no", F.when(few, "WARN").otherwise("OK")).when(F.col("models_processed") > 0, "WARN").otherwise("FAIL")
+    old_stats = F.coalesce(F.col("stats_day") < F.date_sub(day, 1), F.lit(True))
+    etl = F.when(F.col("etl_started").isNull() | (now - F.col("etl_started") > F.expr("interval 26 hours")), "FAIL").when(F.col("etl_ok"), F.when(old_stats, "WARN").otherwise("OK")).when(F.col("etl_exit").isNull(), "WARN").otherwise("FAIL")
+    out = facts.withColumns(dict(zip(COMPONENTS, (rss, stock, heat, models, etl), strict=True)))
+    worth = F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair])
+    out = out.withColumn("score", sum((worth[F.col(c)] for c in COMPONENTS), F.lit(0)))
+    return out.withColumn("grade", F.when(F.col("score") >= 90, "healthy").when(F.col("score") >= 60, "attention").otherwise("failing")).withColumn("failing", F.array_contains(F.array(*COMPONENTS), "FAIL"))
 
 
 def volatility_at(events: DataFrame, table: DataFrame) -> DataFrame:
@@ -154,11 +212,3 @@ def top_keywords(heat: DataFrame, most: int = 5) -> DataFrame:
     peak = heat.groupBy("stock_id", "keyword").agg(F.max("heat").alias("peak"))
     order = Window.partitionBy("stock_id").orderBy(F.col("peak").desc(), "keyword")
     return peak.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-
-
-def snapshot(news: DataFrame, now: Column) -> DataFrame:
-    """Totals, rows of the last day, and the histogram of sentiment as rows (measure, label, value)."""
-    tone = sentiment_form(F.col("news_sentiment"))
-    total = news.agg(F.lit("news").alias("measure"), F.lit("total").alias("label"), F.count("*").alias("value"))
-    day = news.where(F.col("published_at").cast("timestamp") >= now - F.expr("interval 24 hours")).agg(F.lit("news").alias("measure"), F.lit("last_day").alias("label"), F.count("*").alias("value"))
-    return total.union(day).union(news.groupBy(tone.alias("label")).agg(F.count("*").alias("value")).select(F.lit("sentiment").alias("measure"), "label", "value"))

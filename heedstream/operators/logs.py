@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 RUN = r"^\[(\d{4}/\d{2}/\d{2})\s+(\d{1,2}:\d{2}:\d{2})[^\]]*\]\s+(\S+)\s+(start|exit)(?:\s+(-?\d+))?"
 KEY_VALUE = r"^([A-Za-z0-9][A-Za-z0-9 ]*):\s*(.*)$"
 #: Heads of blocks: (name, whole lines, beginnings of lines).
-HEADS = (("stats", ("Stats",), ()), ("history", ("Completed",), ("Stopped",)))
+HEADS = (("gemini", ("Gemini Stats",), ()), ("history", ("Completed",), ("Stopped: Google Trends",)))
 BLOCK = 4096
 ERROR = r"(?i)\berror\b|exception|traceback|failed"
 
 
 def sessions(lines: DataFrame) -> DataFrame:
-    """L1: lines with the run they belong to, the run's start and its exit code; lines before a start have run 0."""
+    """L1: lines with the run they belong to, the run's start, its exit code and the line of its first exit; lines before a start have run 0."""
     text = F.trim("value")
     parts = [F.regexp_extract(text, RUN, k) for k in range(1, 6)]
     kind = parts[3]
@@ -33,9 +33,9 @@ def sessions(lines: DataFrame) -> DataFrame:
     out = out.join(blocks_.select("job", "_block", F.coalesce(before, F.lit(0)).alias("_before")), ["job", "_block"])
     by = Window.partitionBy("job", "_block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("run", (F.col("_before") + F.sum((F.col("mark") == "start").cast("int")).over(by)).cast("long"))
-    run = Window.partitionBy("job", "run")
-    out = out.withColumn("started_at", F.max("_start").over(run)).withColumn("exit_code", F.max("_code").over(run))
-    return out.drop("_code", "_start", "_block", "_before")
+    # what a run's marks say is summed and joined back, so that a run of any length needs no window of its own
+    marks = out.where("mark <> '' and run > 0").groupBy("job", "run").agg(F.max("_start").alias("started_at"), F.max_by("_code", F.when(F.col("mark") == "exit", F.col("line"))).alias("exit_code"), F.min(F.when(F.col("mark") == "exit", F.col("line"))).alias("exit_line"))
+    return out.drop("_code", "_start", "_block", "_before").join(marks, ["job", "run"], "left")
 
 
 def runs(lines: DataFrame) -> DataFrame:
@@ -90,19 +90,21 @@ def recent_counts(lines: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return rows.groupBy("job").agg(F.count_if(level.isin("ERROR", "WARNING")).alias("warnings"), F.count_if(F.col("value").contains("collected:")).alias("runs"), F.sum(failed).alias("failed_items"))
 
 
-def cutover_summary(attempts: DataFrame, cutover: Column) -> DataFrame:
-    """L4: requests before and after a day: items per request, shares of unavailable and of empty runs, backlog a day by its ends."""
-    rows = attempts.withColumn("period", F.when(F.col("at") < cutover, "before").otherwise("after"))
-    days = F.datediff(F.max("at"), F.min("at"))
-    return rows.groupBy("period").agg(
-        F.count("*").alias("runs"), F.try_divide(F.sum("items"), F.sum("requests")).alias("items_per_request"), F.try_divide(F.sum("unavailable"), F.sum("requests")).alias("unavailable_share"),
-        F.avg((F.col("items") == 0).cast("double")).alias("empty_share"), F.try_divide(F.max_by("backlog", "at") - F.min_by("backlog", "at"), days).alias("backlog_per_day"))
+def completed(exit_code: Column, marked: Column, traced: Column, codes: tuple[int, ...] = (0,)) -> Column:
+    """Whether a run succeeded: it ended with one of the codes, or, without an exit line, printed its marker and no traceback."""
+    return F.when(exit_code.isNotNull(), exit_code.isin(*codes)).otherwise(F.coalesce(marked & ~traced, F.lit(False)))
 
 
-def acceptance(summary: DataFrame, least_items: float, most_unavailable: float, least_runs: int) -> DataFrame:
-    """Pass, fail or too early for the period after."""
-    after = summary.where("period = 'after'")
-    return after.select(F.when(F.col("runs") < least_runs, "too early").when((F.col("items_per_request") >= least_items) & (F.col("unavailable_share") <= most_unavailable), "pass").when(F.col("items_per_request") >= least_items, "short of target").otherwise("fail").alias("verdict"), "runs", "items_per_request", "unavailable_share")
+def job_runs(lines: DataFrame, marker: str, codes: tuple[int, ...] = (0,)) -> DataFrame:
+    """One row for each run with whether it succeeded; ``marker`` is what it prints at its end."""
+    text = F.col("value")
+    own = sessions(lines).where("run > 0").groupBy("job", "run").agg(F.max("started_at").alias("started_at"), F.max("exit_code").alias("exit_code"), F.bool_or(text.contains(marker)).alias("_m"), F.bool_or(text.contains("Traceback")).alias("_t"))
+    return own.withColumn("success", completed(F.col("exit_code"), F.col("_m"), F.col("_t"), codes)).drop("_m", "_t")
+
+
+def last_runs(runs_: DataFrame) -> DataFrame:
+    """By job: the last run, its start, exit code and success, and the start of the last successful one."""
+    return runs_.groupBy("job").agg(F.max("run").alias("run"), F.max_by("started_at", "run").alias("started_at"), F.max_by(F.struct("exit_code"), "run")["exit_code"].alias("exit_code"), F.max_by("success", "run").alias("success"), F.max_by("started_at", F.when(F.col("success"), F.col("run"))).alias("last_success"))
 
 
 def last_finished(lines: DataFrame) -> DataFrame:

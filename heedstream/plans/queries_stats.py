@@ -16,6 +16,7 @@ from heedstream.sources import adapters as ad
 from heedstream.sources.shared import stage
 
 book = Book()
+CLASS, classes = ad.CLASS, ad.classes
 NOW = "timestamp '1998-08-03 20:00:00'"
 
 
@@ -195,14 +196,25 @@ def themed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return t, ad.news(s, d).join(t.select("burst_id", "keyword", "date", "theme_name"), "burst_id"), links
 
 
-@book.add(ad.sql("bursts links news heat_px", f"""{DAYS}, a AS (SELECT date, theme_name, count(DISTINCT keyword) AS keywords, count(DISTINCT burst_id) AS bursts FROM td GROUP BY 1, 2), b AS (SELECT date, theme_name, count(DISTINCT news_id) AS news FROM nd GROUP BY 1, 2),
-c AS (SELECT date, keyword AS theme_name, avg(heat) AS avg_score, max(heat) AS max_score FROM heat_px GROUP BY 1, 2), s AS (SELECT theme_name, count(DISTINCT stock_id) AS stocks FROM links GROUP BY 1), k AS (SELECT date, theme_name FROM a UNION SELECT date, theme_name FROM b UNION SELECT date, theme_name FROM c)
-SELECT k.date, k.theme_name, coalesce(keywords, 0) AS keywords, coalesce(bursts, 0) AS bursts, coalesce(news, 0) AS news, coalesce(stocks, 0) AS stocks, coalesce({r6('avg_score').split(' AS ')[0]}, 0) AS avg_score, coalesce(max_score, 0) AS max_score
-FROM k LEFT JOIN a ON a.date = k.date AND a.theme_name = k.theme_name LEFT JOIN b ON b.date = k.date AND b.theme_name = k.theme_name LEFT JOIN c ON c.date = k.date AND c.theme_name = k.theme_name LEFT JOIN s ON s.theme_name = k.theme_name"""))
+#: Heat rows of two keywords a segment and day, of which one has no score; classes give bursts and news their themes.
+STAT_HEAT = "ht AS (SELECT CAST(o_orderdate AS DATE) AS date, c_mktsegment AS theme_name, o_orderpriority AS keyword, CASE WHEN o_orderpriority NOT LIKE '5%' THEN CAST(count(*) AS DOUBLE) END AS trend_score FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, o_orderpriority)"
+
+
+def stat_heat(s: SparkSession, d: str) -> DataFrame:
+    o, c = ad.table(s, d, "orders"), ad.table(s, d, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.to_date("o_orderdate").alias("date"), F.col("c_mktsegment").alias("theme_name"), F.col("o_orderpriority").alias("keyword")).agg(F.count("*").cast("double").alias("n"))
+    return rows.select("date", "theme_name", "keyword", F.when(~F.col("keyword").startswith("5"), F.col("n")).alias("trend_score"))
+
+
+@book.add(ad.sql("bursts links news", f"""{ad.CLASS}, {STAT_HEAT}, rs AS (SELECT t.burst_id, n.news_id, CAST(t.published_at + INTERVAL 8 HOUR AS DATE) AS date, cl.theme_name FROM bursts t JOIN cl USING (keyword) LEFT JOIN news n USING (burst_id)),
+mp AS (SELECT theme_name, count(DISTINCT stock_id) AS stocks FROM links WHERE active = 1 GROUP BY 1), dy AS (SELECT date FROM ht UNION SELECT date FROM rs), k AS (SELECT date, theme_name FROM dy, mp UNION SELECT date, theme_name FROM ht UNION SELECT date, theme_name FROM rs),
+a AS (SELECT date, theme_name, count(DISTINCT keyword) AS keywords, avg(trend_score) AS avg_score, max(trend_score) AS max_score FROM ht GROUP BY 1, 2), b AS (SELECT date, theme_name, count(DISTINCT news_id) AS news, count(DISTINCT burst_id) AS bursts FROM rs GROUP BY 1, 2)
+SELECT k.date, k.theme_name, coalesce(keywords, 0) AS keywords, coalesce(bursts, 0) AS bursts, coalesce(news, 0) AS news, coalesce(stocks, 0) AS stocks, {r6('avg_score')}, max_score FROM k LEFT JOIN a USING (date, theme_name) LEFT JOIN b USING (date, theme_name) LEFT JOIN mp USING (theme_name)"""))
 def g13_theme_daily_stats(s: SparkSession, d: str) -> DataFrame:
-    t, n, links = themed(s, d)
-    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("burst_score"))
-    return rounded(cv.theme_daily_stats(t, n, heat, links), "avg_score")
+    """Every mapped theme on every day that has heat or bursts."""
+    t = ad.bursts(s, d).join(classes(s, d).select("keyword", "theme_name"), "keyword").withColumn("date", ex.taipei_day(F.col("published_at")))
+    n = ad.news(s, d).select("news_id", "burst_id").join(t.select("burst_id", "date", "theme_name"), "burst_id")
+    return rounded(cv.theme_daily_stats(stat_heat(s, d), t, n, ad.links(s, d)), "avg_score")
 
 
 @book.add(ad.sql("bursts links news", f"""{DAYS}, th AS (SELECT DISTINCT theme_name FROM links UNION SELECT 'none') SELECT th.theme_name, (SELECT count(DISTINCT burst_id) FROM td WHERE td.theme_name = th.theme_name) AS bursts, (SELECT count(DISTINCT news_id) FROM nd WHERE nd.theme_name = th.theme_name) AS news FROM th"""))
@@ -212,7 +224,6 @@ def g14_theme_coverage(s: SparkSession, d: str) -> DataFrame:
     return cv.theme_coverage(themes, t, n)
 
 
-CLASS, classes = ad.CLASS, ad.classes
 
 
 @book.add(ad.sql("bursts", f"{CLASS} SELECT t.keyword, count(DISTINCT burst_id) AS bursts FROM bursts t WHERE t.keyword NOT IN (SELECT keyword FROM cl WHERE theme_name <> '其他') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"))
@@ -317,14 +328,6 @@ def g25_signal_scores(s: SparkSession, d: str) -> DataFrame:
     return rounded(st.signal_scores(met).select("event_id", "stock_id", "historical_win_rate", "signal_score"), "historical_win_rate")
 
 
-@book.add(ad.sql("bursts links news prices", f"""{CLASS}, k AS (SELECT DISTINCT t.keyword, source, theme_name FROM bursts t LEFT JOIN cl USING (keyword)), r AS (SELECT (SELECT count(*) FROM k) AS total_keywords, (SELECT count(source) FROM k) AS classified_keywords, (SELECT count(*) FROM k WHERE source IS NULL OR source = 'fallback') AS unclassified_keywords, (SELECT count(*) FROM bursts) AS event_count,
-(SELECT max(published_at) FROM bursts) AS latest_burst_at, (SELECT min(published_at) FROM bursts) AS earliest_burst_at, (SELECT count(*) FROM news) AS total_news, (SELECT count(news_sentiment) FROM news) AS analyzed_news, (SELECT count(*) FROM prices) AS stock_rows, (SELECT max(date) FROM prices) AS latest_stock_date, (SELECT count(DISTINCT theme_name) FROM links) AS theme_count, (SELECT count(DISTINCT stock_id) FROM links) AS tracked_stock_count)
-SELECT *, CASE WHEN latest_burst_at < {NOW} - INTERVAL 24 HOUR THEN 'stale' ELSE 'pending' END AS health FROM r"""))
-def g32_system_status(s: SparkSession, d: str) -> DataFrame:
-    t = ad.bursts(s, d).withColumn("fetched_at", F.col("published_at"))
-    return cv.system_status(t, ad.news(s, d), classes(s, d), ad.prices(s, d), ad.links(s, d), now())
-
-
 LIGHT = "CASE WHEN max({c}) < TIMESTAMP '1999-06-01' - INTERVAL 24 HOUR THEN 'red' WHEN max({c}) >= TIMESTAMP '1999-06-01' - INTERVAL 1 HOUR THEN 'green' ELSE 'yellow' END AS light"
 
 
@@ -356,24 +359,6 @@ def g34_heat_coverage(s: SparkSession, d: str) -> DataFrame:
     return cv.heat_coverage(ad.links(s, d), heat, F.lit("1998-07-31").cast("date"))
 
 
-STOCK_AGE = "CASE WHEN stock_day >= expected THEN 'OK' WHEN stock_day >= expected - (CASE isodow(expected) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END) THEN 'WARN' ELSE 'FAIL' END"
-
-
-@book.add(ad.sql("bursts links prices", f"""pq AS (SELECT theme_name, keyword FROM links GROUP BY 1, 2), fq AS (SELECT DISTINCT keyword FROM bursts WHERE CAST(published_at AS DATE) >= DATE '1998-07-28'), cv AS (SELECT count(*) AS active, count(fq.keyword) AS fresh FROM pq LEFT JOIN fq USING (keyword)),
-nw AS (SELECT (SELECT max(published_at) FROM bursts) AS t, (SELECT max(date) FROM prices) AS stock_day, unnest([10, 90, 600, 3000]) AS m), x AS (SELECT t + to_minutes(m) AS now, m, stock_day, CAST(t AS DATE) AS heat_day, fresh / active AS ratio FROM nw, cv),
-y AS (SELECT *, CAST(now AS DATE) - CASE WHEN hour(now) * 60 + minute(now) >= 1110 THEN 0 ELSE 1 END AS e FROM x), z AS (SELECT *, e - greatest(CAST(isodow(e) AS INTEGER) - 5, 0) AS expected FROM y),
-g AS (SELECT now, CASE WHEN m <= 30 THEN 'OK' WHEN m <= 120 THEN 'WARN' ELSE 'FAIL' END AS rss, {STOCK_AGE} AS stocks, CASE WHEN heat_day < CAST(now AS DATE) - 3 OR ratio < 0.2 THEN 'FAIL' WHEN heat_day >= CAST(now AS DATE) - 1 AND ratio >= 0.8 THEN 'OK' ELSE 'WARN' END AS heat, CASE WHEN m / 60.0 > 26 THEN 'FAIL' ELSE 'OK' END AS etl FROM z)
-SELECT now, rss, stocks, heat AS bursts, etl, {' + '.join(f"CASE {c} WHEN 'OK' THEN 25 WHEN 'WARN' THEN 15 ELSE 0 END" for c in ('rss', 'stocks', 'heat', 'etl'))} AS score FROM g"""))
-def g35_component_health(s: SparkSession, d: str) -> DataFrame:
-    """G35 at several moments of the data's last days."""
-    newest = ad.bursts(s, d).agg(F.max("published_at").cast("timestamp").alias("t"))
-    stock = ad.prices(s, d).agg(F.max("date").alias("stock_day"))
-    cover = g34_heat_coverage(s, d).select("fresh", "active")
-    facts = newest.crossJoin(stock).crossJoin(cover).select(F.explode(F.array(*[F.col("t") + F.make_interval(mins=F.lit(m)) for m in (10, 90, 600, 3000)])).alias("now"), "t", "stock_day", "fresh", "active")
-    facts = facts.select("now", ((F.unix_timestamp("now") - F.unix_timestamp("t")) / 60).alias("rss_minutes"), F.lit(0).alias("warnings"), "stock_day", F.to_date("t").alias("heat_day"), "fresh", "active", ((F.unix_timestamp("now") - F.unix_timestamp("t")) / 3600).alias("etl_hours"), F.lit(0).alias("etl_exit"))
-    return cv.component_health(facts).select(F.col("now").cast("timestamp_ntz").alias("now"), "rss", "stocks", "bursts", "etl", "score")
-
-
 @book.add(ad.sql(fr.ALL, f"{qr.VOL}, {fr.LINKED_SQL}, {qr.DENSE_EVENTS} SELECT ed.keyword, ed.stock_id, ed.date, {r6('before')}, {r6('after5')} FROM ed LEFT JOIN vt ON vt.stock_id = ed.stock_id AND vt.date = ed.date"))
 def g36_volatility_at_events(s: SparkSession, d: str) -> DataFrame:
     v = rt.volatility(qr.dense(s, d), ad.BENCHMARK)
@@ -403,10 +388,4 @@ def g43_stock_headlines(s: SparkSession, d: str) -> DataFrame:
     return rounded(out, "mean_excess", "normal", "difference", "mean_return")
 
 
-@book.add(ad.sql("bursts news", "n AS (SELECT n.*, t.published_at FROM news n JOIN bursts t USING (burst_id)) SELECT 'news' AS measure, 'total' AS label, count(*) AS value FROM n UNION ALL SELECT 'news', 'last_day', count(*) FROM n WHERE published_at >= TIMESTAMP '1998-07-01 12:00:00' UNION ALL SELECT 'sentiment', coalesce(news_sentiment, 'Unanalyzed'), count(*) FROM n GROUP BY 2"))
-def l5_snapshot(s: SparkSession, d: str) -> DataFrame:
-    n = ad.news(s, d).join(ad.bursts(s, d).select("burst_id", "published_at"), "burst_id")
-    return cv.snapshot(n, F.expr("timestamp '1998-07-02 12:00:00'"))
-
-
 QUERIES, ORACLES = book.queries, book.oracles

@@ -113,10 +113,11 @@ def g40_event_study(s: SparkSession, d: str) -> DataFrame:
 
 
 NOBODY = "k % 5 = 0 OR k % 4 = 0"
-UPDATE = f"""kb AS (SELECT DISTINCT c_custkey AS k, c_name AS keyword, c_mktsegment AS segment FROM customer JOIN bursts ON keyword = c_name),
-rs AS (SELECT k, keyword, segment, CASE WHEN k % 3 = 0 THEN '科技類' ELSE segment END AS theme_name FROM kb WHERE ({NOBODY}) AND k % 3 < 2), ru AS (SELECT k, keyword, segment, CASE WHEN k % 2 = 0 THEN segment ELSE '其他' END AS theme_name FROM kb WHERE ({NOBODY}) AND k % 3 = 2),
-cz AS (SELECT keyword, theme_name, source FROM cl WHERE keyword NOT IN (SELECT keyword FROM rs) AND keyword NOT IN (SELECT keyword FROM ru) UNION ALL SELECT keyword, theme_name, 'found' FROM rs UNION ALL SELECT keyword, theme_name, CASE WHEN k % 2 = 0 THEN 'theme_mapping' ELSE 'fallback' END FROM ru),
-td AS (SELECT burst_id, CAST(published_at AS DATE) AS date, theme_name FROM bursts JOIN cz USING (keyword)), ke AS (SELECT date, theme_name FROM td UNION SELECT td.date, coalesce(cz.theme_name, '其他') FROM news JOIN td USING (burst_id) JOIN bursts b USING (burst_id) LEFT JOIN cz ON cz.keyword = b.keyword UNION SELECT date, keyword FROM heat_px)"""
+#: Keywords that nobody has settled: those of three rests resolve to entities that are no companies, the others to none; rules then settle the even ones of the last rest.
+UPDATE = f"""kb AS (SELECT DISTINCT c_custkey AS k, c_name AS keyword, c_mktsegment AS segment FROM customer JOIN bursts ON keyword = c_name WHERE {NOBODY}), rs AS (SELECT * FROM kb WHERE k % 3 < 2), ru AS (SELECT *, k % 6 = 2 AS hit FROM kb),
+cz AS (SELECT keyword, theme_name, source FROM cl WHERE keyword NOT IN (SELECT keyword FROM ru) UNION ALL SELECT keyword, CASE WHEN hit THEN segment ELSE '其他' END, CASE WHEN hit THEN 'theme_mapping' ELSE 'fallback' END FROM ru),
+td AS (SELECT CAST(published_at + INTERVAL 8 HOUR AS DATE) AS date, theme_name FROM bursts JOIN cz USING (keyword)), mapped AS (SELECT '其他' AS theme_name UNION SELECT segment FROM ru WHERE hit), dy AS (SELECT date FROM heat_px UNION SELECT date FROM td),
+ke AS (SELECT date, theme_name FROM dy, mapped UNION SELECT date, theme_name FROM td UNION SELECT date, keyword FROM heat_px)"""
 
 
 @book.add(ad.sql("bursts news heat_px", f"""{ad.CLASS}, {UPDATE}
@@ -132,7 +133,7 @@ def g41_daily_update(s: SparkSession, d: str) -> DataFrame:
     csv = ad.table(s, d, "part").select(F.lit("科技類").alias("theme_name"), F.col("p_brand").alias("keyword"), F.lit("1001").alias("stock_id"), F.lit("科技類").alias("category")).distinct()
     news = ad.news(s, d).withColumns({"sentiment_score": F.when(F.col("news_sentiment").isNotNull(), 0.5), "event_type": F.when(F.col("news_sentiment").isNotNull(), "kept")})
     suppliers = ad.table(s, d, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("keyword"), F.lit("company").alias("type"), ad.stock_code(F.col("s_suppkey")).alias("stock_id"))
-    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("burst_score"))
+    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), "keyword", F.col("heat").alias("trend_score"))
     tables = {
         "mapping": csv.where("keyword like '%1'").select("theme_name", "keyword", "stock_id", "category", F.lit("theme").alias("link_type")), "csv": csv, "bursts": ad.bursts(s, d), "news": news, "classified": ad.classes(s, d).select("keyword", "canonical_keyword", "theme_name", "source"), "aliases": suppliers,
         "seeds": c.where("c_custkey % 3 = 0").select(k.alias("ordinal"), name.alias("alias"), name.alias("entity_name"), F.lit("產業").alias("entity_type"), F.lit("").alias("stock_id"), F.lit("半導體").alias("industry"), none("string").alias("theme_name")),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from heedstream.plans import queries_data, queries_returns, queries_stats, queries_streams
+from heedstream.plans import queries_data, queries_logs, queries_returns, queries_stats, queries_streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (queries_returns, queries_stats, queries_data, queries_streams):
+for _m in (queries_returns, queries_stats, queries_data, queries_logs, queries_streams):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)
