@@ -70,19 +70,30 @@ def stock_options(links: DataFrame, prices: DataFrame, benchmark: str) -> DataFr
     return out.withColumn("total", F.col("direct") + F.col("theme")).orderBy(F.col("total").desc(), "stock_id")
 
 
-def market_radar(heat: DataFrame, news: DataFrame, prices: DataFrame, baskets: DataFrame) -> DataFrame:
-    """By theme the mean heat of the last seven days and of the seven before, the news tone, and the basket's mean return over ten rows."""
-    day = heat.agg(F.max("date").alias("_d"))
-    back = F.datediff("_d", "date")
-    h = heat.crossJoin(F.broadcast(day)).groupBy("theme_name").agg(F.avg(F.when(back < 7, F.col("burst_score"))).alias("heat_now"), F.avg(F.when(back.between(7, 13), F.col("burst_score"))).alias("heat_before"))
-    news_day = news.agg(F.max("date").alias("_d"))
-    tone = F.when(F.col("news_sentiment") == "Positive", 1).when(F.col("news_sentiment") == "Negative", -1).otherwise(0)
-    n = news.crossJoin(F.broadcast(news_day)).where(F.datediff("_d", "date") < 7).groupBy("theme_name").agg(F.sum(tone).alias("tone"))
+def market_radar(members: DataFrame, stocks: DataFrame, heat: DataFrame, observations: DataFrame, prices: DataFrame, today: Column) -> DataFrame:
+    """By theme the change of heat (last seven days over the seven before), the last seven days' news by tone, and the basket's mean return over ten rows.
+
+    ``members`` (theme_name, keyword) and ``stocks`` (theme_name, stock_id) define the themes; the other theme is left out. News of
+    ``observations`` (news_id, keyword, canonical, date, news_sentiment) belong to a theme by either name, once each.
+    """
+    members = members.where(F.col("theme_name") != OTHER_THEME).distinct()
+    stocks = stocks.where((F.col("theme_name") != OTHER_THEME) & (F.coalesce("stock_id", F.lit("")) != "")).distinct()
+    back = F.datediff(today, "date")
+    mean = lambda a, b: F.avg(F.when(back.between(a, b), F.col("trend_score")))
+    h = heat.where(back <= 13).join(members, "keyword").groupBy("theme_name").agg(F.avg(F.when(back <= 6, F.col("trend_score"))).alias("heat_recent"), mean(7, 13).alias("_before"))
+    recent = observations.where(F.col("news_id").isNotNull() & (back <= 6))
+    either = recent.select("news_id", "news_sentiment", F.explode(F.array_distinct(F.array("keyword", "canonical"))).alias("keyword"))
+    n = either.join(members, "keyword").groupBy("theme_name", "news_id").agg(F.max(sentiment_form(F.col("news_sentiment"))).alias("tone"))
+    tone = lambda t: F.count_if(F.col("tone") == t).alias(t.lower())
+    n = n.groupBy("theme_name").agg(F.count("*").alias("news"), *[tone(t) for t in SENTIMENTS])
     newest = Window.partitionBy("stock_id").orderBy(F.col("date").desc())
-    last = prices.withColumn("_n", F.row_number().over(newest)).where("_n in (1, 11)").groupBy("stock_id").agg(F.max(F.when(F.col("_n") == 1, F.col("close"))).alias("a"), F.max(F.when(F.col("_n") == 11, F.col("close"))).alias("b"))
+    last = prices.where("close is not null").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= 11).groupBy("stock_id").agg(F.max(F.when(F.col("_n") == 1, F.col("close"))).alias("a"), F.max(F.when(F.col("_n") == 11, F.col("close"))).alias("b"))
     move = last.where("b <> 0").select("stock_id", (F.col("a") / F.col("b") - 1).alias("move"))
-    b = baskets.select("theme_name", F.explode("stock_ids").alias("stock_id")).join(move, "stock_id").groupBy("theme_name").agg(F.avg("move").alias("basket_10d"))
-    return h.join(n, "theme_name", "full").join(b, "theme_name", "full").select("theme_name", "heat_now", "heat_before", F.coalesce("tone", F.lit(0)).alias("tone"), "basket_10d")
+    b = stocks.join(move, "stock_id", "left").groupBy("theme_name").agg(F.avg("move").alias("return_10d"), F.count("*").alias("stocks"))
+    themes = members.select("theme_name").union(stocks.select("theme_name")).distinct()
+    out = themes.join(h, "theme_name", "left").join(n, "theme_name", "left").join(b, "theme_name", "left")
+    change = F.when(F.col("_before") > 0, F.col("heat_recent") / F.col("_before") - 1)
+    return out.select("theme_name", change.alias("heat_change"), "heat_recent", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("news", "positive", "neutral", "negative")], "return_10d", F.coalesce("stocks", F.lit(0)).alias("stocks"))
 
 
 def timeline(news: DataFrame, names: DataFrame) -> DataFrame:

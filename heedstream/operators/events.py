@@ -91,24 +91,36 @@ def heat_rises(heat: DataFrame, times: float = 1.5) -> DataFrame:
     return quiet_starts(hits, ["keyword", "stock_id"])
 
 
-def merge_days(events: DataFrame) -> DataFrame:
-    """Events of a stock on one day as one row.
+#: What the first event of a day stands for.
+RETURNS = ("return_1d", "return_5d", "return_10d", "excess_1d", "excess_5d", "excess_10d")
 
-    ``events`` has stock_id, date, keyword, link_type, triggers, traffic,
-    return_10d, positive, neutral, negative, event_type and headline; of
-    event types the three most frequent count, of headlines the first five.
+
+def merge_days(events: DataFrame, news: DataFrame, headlines: int = 5, kinds: int = 3) -> DataFrame:
+    """Events of a stock on one day as one numbered row with that day's news.
+
+    ``events`` has stock_id, date, market_date, keyword, link_type, triggers,
+    traffic and the six returns, ``news`` news_id, keyword, date,
+    news_title, news_source, news_url, news_sentiment and event_type. A news
+    counts once for a day, however many of its keywords it matches. Returns and market day are the first
+    keyword's; of event types the most frequent count (the other type left out, ties by name), of
+    headlines the first by id. Only those few of a day are gathered.
     """
     key = ["stock_id", "date"]
+    first = lambda c: F.min_by(F.struct(c), "keyword")[c].alias(c)  # noqa: E731  also where the value is null
     out = events.groupBy(*key).agg(
-        F.sort_array(F.collect_set("keyword")).alias("keywords"), F.sort_array(F.collect_set("link_type")).alias("link_types"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.split("triggers", "、"))))).alias("triggers"), F.max("traffic").alias("traffic"),
-        F.min_by("return_10d", "keyword").alias("return_10d"), F.sum("positive").alias("positive"), F.sum("neutral").alias("neutral"), F.sum("negative").alias("negative"),
-        F.slice(F.array_sort(F.collect_set("headline")), 1, 5).alias("headlines"),
-    )
-    kinds = events.where("event_type is not null and event_type <> '其他'").groupBy(*key, "event_type").agg(F.count("*").alias("n"))
-    kinds = kinds.groupBy(*key).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "event_type"))), 1, 3), lambda x: x["event_type"]).alias("event_types"))
-    number = F.row_number().over(Window.partitionBy("stock_id").orderBy("date"))
-    return out.join(kinds, key, "left").withColumn("number", number)
+        first("market_date"), F.sort_array(F.collect_set("keyword")).alias("keywords"), F.sort_array(F.collect_set("link_type")).alias("link_types"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.split("triggers", "、"))))).alias("triggers"), F.max("traffic").alias("traffic"), *[first(c) for c in RETURNS])
+    met = events.select(*key, "keyword").distinct().join(news, ["keyword", "date"])
+    met = met.groupBy(*key, "news_id").agg(F.min(F.struct("keyword", "news_title", "news_source", "news_url", "news_sentiment", "event_type")).alias("n")).select(*key, "news_id", "n.*")
+    tone = lambda t: F.count_if(F.col("news_sentiment") == t)
+    counts = met.groupBy(*key).agg(F.count("*").alias("news_count"), tone("Positive").alias("positive"), tone("Neutral").alias("neutral"), tone("Negative").alias("negative"))
+    top = met.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("news_id"))).where(F.col("_n") <= headlines)
+    top = top.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.struct("news_title", "news_source", "news_url", "news_sentiment").alias("h")))), lambda x: x["h"]).alias("headlines"))
+    types = met.where("event_type is not null and event_type <> '其他'").groupBy(*key, "event_type").agg(F.count("*").alias("n"))
+    types = types.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("n").desc(), "event_type"))).where(F.col("_n") <= kinds)
+    types = types.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "event_type"))), lambda x: x["event_type"]).alias("event_types"))
+    out = out.join(counts, key, "left").join(top, key, "left").join(types, key, "left").fillna(0, ["news_count", "positive", "neutral", "negative"])
+    return out.withColumn("number", F.row_number().over(Window.partitionBy("stock_id").orderBy("date")))
 
 
 def usable_days(events: DataFrame, daily: DataFrame, lag: int = 0) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heedstream.functions.exprs import taipei_day
 from heedstream.operators import events as ev
+from heedstream.operators import resolve as rs
 from heedstream.operators import returns as rt
 from heedstream.operators import stats as st
 from heedstream.plans import frames as fr
@@ -325,21 +327,38 @@ def e10_heat_rises(s: SparkSession, d: str) -> DataFrame:
     return ev.heat_rises(h)
 
 
-MERGE = f"""{fr.BASE_SQL}, m AS (SELECT stock_id, day0_date AS date, keyword, link_type, CASE WHEN tone > 0 THEN 'news、listing' ELSE 'listing' END AS triggers, traffic, return_10d, CAST(tone > 0 AS INTEGER) AS positive, CAST(tone = 0 AS INTEGER) AS neutral, CAST(tone < 0 AS INTEGER) AS negative, 'type' || (ordinal % 5) AS event_type, keyword || ' news' AS headline FROM events_perf),
-tr AS (SELECT stock_id, date, string_agg(DISTINCT t, '、' ORDER BY t) AS triggers FROM (SELECT stock_id, date, unnest(string_split(triggers, '、')) AS t FROM m) GROUP BY 1, 2)"""
+#: News under canonical keywords on Taipei days, with made-up addresses and types; some also under the name of the next customer. Needs QUIET_SQL.
+DAY_NEWS = """dn0 AS (SELECT n.news_id, coalesce(cl.canonical_keyword, t.keyword) AS keyword, CAST(t.published_at + INTERVAL 8 HOUR AS DATE) AS date, n.news_title, n.news_source, 'http://n/' || n.news_id AS news_url, coalesce(n.news_sentiment, 'Unanalyzed') AS news_sentiment, CASE WHEN n.news_id % 7 > 0 THEN CASE n.news_id % 4 WHEN 0 THEN '其他' ELSE 'type' || (n.news_id % 4) END END AS event_type FROM news n JOIN bursts t USING (burst_id) LEFT JOIN cl ON cl.keyword = t.keyword),
+dn AS (SELECT * FROM dn0 UNION SELECT dn0.* REPLACE (o.keyword AS keyword) FROM dn0 JOIN (SELECT DISTINCT a.keyword AS own, b.keyword, a.date FROM quiet a JOIN quiet b ON a.date = b.date AND a.keyword <> b.keyword) o ON o.own = dn0.keyword AND o.date = dn0.date WHERE news_id % 3 = 0)"""
+MERGE = f"""{fr.BASE_SQL}, {DAY_NEWS}, m AS (SELECT stock_id, date, day0_date AS market_date, keyword, link_type, CASE WHEN tone > 0 THEN 'news、listing' ELSE 'listing' END AS triggers, traffic, {', '.join(ev.RETURNS)} FROM events_perf),
+tr AS (SELECT stock_id, date, string_agg(DISTINCT t, '、' ORDER BY t) AS triggers FROM (SELECT stock_id, date, unnest(string_split(triggers, '、')) AS t FROM m) GROUP BY 1, 2),
+mn AS (SELECT DISTINCT e.stock_id, e.date, dn.news_id, news_title, news_source, news_url, news_sentiment, event_type FROM (SELECT DISTINCT stock_id, date, keyword FROM m) e JOIN dn ON dn.keyword = e.keyword AND dn.date = e.date),
+ct AS (SELECT stock_id, date, count(*) AS news_count, count(*) FILTER (news_sentiment = 'Positive') AS positive, count(*) FILTER (news_sentiment = 'Neutral') AS neutral, count(*) FILTER (news_sentiment = 'Negative') AS negative, array_to_string(list_slice(list(news_title || '|' || news_source || '|' || news_url || '|' || news_sentiment ORDER BY news_id), 1, 5), ';') AS headlines FROM mn GROUP BY 1, 2),
+ty AS (SELECT stock_id, date, array_to_string(list_slice(list(event_type ORDER BY n DESC, event_type), 1, 3), ',') AS event_types FROM (SELECT stock_id, date, event_type, count(*) AS n FROM mn WHERE event_type <> '其他' GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+def day_news(s: SparkSession, d: str) -> DataFrame:
+    """News by canonical keyword and Taipei day; every third is also told under all other keywords that have an event that day."""
+    i = F.col("news_id")
+    t = rs.canonical(ad.bursts(s, d), ad.classes(s, d)).select("burst_id", "keyword", taipei_day(F.col("published_at")).alias("date"))
+    n = ad.news(s, d).join(t, "burst_id").select("news_id", "keyword", "date", "news_title", "news_source", F.concat(F.lit("http://n/"), i.cast("string")).alias("news_url"), F.coalesce("news_sentiment", F.lit("Unanalyzed")).alias("news_sentiment"), F.when(i % 7 > 0, F.when(i % 4 == 0, "其他").otherwise(F.concat(F.lit("type"), (i % 4).cast("string")))).alias("event_type"))
+    q = fr.quiet(s, d).select("keyword", "date")
+    others = q.withColumnRenamed("keyword", "own").join(q, "date").where("own <> keyword")
+    more = n.where(i % 3 == 0).withColumnRenamed("keyword", "own").join(others, ["own", "date"]).select(*n.columns)
+    return n.union(more).distinct()
 
 
 @book.add(ad.sql(fr.ALL, f"""{MERGE}
-SELECT m.stock_id, m.date, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords, string_agg(DISTINCT link_type, ',' ORDER BY link_type) AS link_types, any_value(tr.triggers) AS triggers, max(traffic) AS traffic, {r6('arg_min(return_10d, keyword)', 'return_10d')},
-  CAST(sum(positive) AS BIGINT) AS positive, CAST(sum(neutral) AS BIGINT) AS neutral, CAST(sum(negative) AS BIGINT) AS negative, array_to_string(list_slice(list_sort(list_distinct(list(headline))), 1, 5), ',') AS headlines, row_number() OVER (PARTITION BY m.stock_id ORDER BY m.date) AS number
-FROM m JOIN tr ON m.stock_id = tr.stock_id AND m.date = tr.date GROUP BY m.stock_id, m.date"""))
+SELECT m.stock_id, m.date, arg_min(market_date, keyword) AS market_date, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords, string_agg(DISTINCT link_type, ',' ORDER BY link_type) AS link_types, any_value(tr.triggers) AS triggers, max(traffic) AS traffic, {', '.join(r6(f"(min({{'k': keyword, 'v': {c}}})).v", c) for c in ev.RETURNS)},
+  coalesce(any_value(ct.news_count), 0) AS news_count, coalesce(any_value(ct.positive), 0) AS positive, coalesce(any_value(ct.neutral), 0) AS neutral, coalesce(any_value(ct.negative), 0) AS negative, any_value(ty.event_types) AS event_types, any_value(ct.headlines) AS headlines, row_number() OVER (PARTITION BY m.stock_id ORDER BY m.date) AS number
+FROM m JOIN tr ON m.stock_id = tr.stock_id AND m.date = tr.date LEFT JOIN ct ON m.stock_id = ct.stock_id AND m.date = ct.date LEFT JOIN ty ON m.stock_id = ty.stock_id AND m.date = ty.date GROUP BY m.stock_id, m.date"""))
 def e11_merge_days(s: SparkSession, d: str) -> DataFrame:
     p = fr.performance(s, d, None)
-    flag = lambda c: c.cast("int")
-    e = p.select("stock_id", F.col("day0_date").alias("date"), "keyword", "link_type", F.when(F.col("tone") > 0, "news、listing").otherwise("listing").alias("triggers"), "traffic", "return_10d", flag(F.col("tone") > 0).alias("positive"), flag(F.col("tone") == 0).alias("neutral"), flag(F.col("tone") < 0).alias("negative"), F.concat(F.lit("type"), (F.col("ordinal") % 5).cast("string")).alias("event_type"), F.concat("keyword", F.lit(" news")).alias("headline"))
-    out = ev.merge_days(e)
+    e = stage(p.select("stock_id", "date", F.col("day0_date").alias("market_date"), "keyword", "link_type", F.when(F.col("tone") > 0, "news、listing").otherwise("listing").alias("triggers"), "traffic", *ev.RETURNS), "events")
+    out = ev.merge_days(e, stage(day_news(s, d), "news"))
     text = lambda c, by=",": F.array_join(c, by).alias(c)
-    return rounded(out.select("stock_id", "date", text("keywords"), text("link_types"), text("triggers", "、"), "traffic", "return_10d", "positive", "neutral", "negative", text("headlines"), "number"), "return_10d")
+    lines = F.array_join(F.transform("headlines", lambda h: F.concat_ws("|", h["news_title"], h["news_source"], h["news_url"], h["news_sentiment"])), ";").alias("headlines")
+    return rounded(out.select("stock_id", "date", "market_date", text("keywords"), text("link_types"), text("triggers", "、"), "traffic", *ev.RETURNS, "news_count", "positive", "neutral", "negative", text("event_types"), lines, "number"), *ev.RETURNS)
 
 
 FLAGS = f"{PANEL}, {fr.LINKED_SQL}, {DENSE_EVENTS}, ud AS (SELECT DISTINCT ed.stock_id, c.day + 1 AS day FROM ed JOIN cal c ON c.date = ed.date), pf AS (SELECT p.*, ud.day IS NOT NULL AS flag FROM pn0 p LEFT JOIN ud ON p.stock_id = ud.stock_id AND p.day = ud.day), pnl AS (SELECT *, max(flag) OVER (PARTITION BY stock_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_event FROM pf)"

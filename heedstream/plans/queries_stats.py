@@ -296,15 +296,29 @@ def g22_stock_options(s: SparkSession, d: str) -> DataFrame:
     return cv.stock_options(ad.links(s, d), ad.prices(s, d), ad.BENCHMARK)
 
 
-@book.add(ad.sql("bursts links news heat_px prices", f"""{DAYS}, hd AS (SELECT max(date) AS x FROM heat_px), h AS (SELECT keyword AS theme_name, avg(heat) FILTER (x - date < 7) AS a, avg(heat) FILTER (x - date BETWEEN 7 AND 13) AS b FROM heat_px, hd GROUP BY 1),
-nx AS (SELECT max(date) AS x FROM nd), n AS (SELECT theme_name, sum(CASE news_sentiment WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END) AS tone FROM nd, nx WHERE x - date < 7 GROUP BY 1),
-l AS (SELECT stock_id, max(close) FILTER (k = 1) / max(close) FILTER (k = 11) - 1 AS mv FROM (SELECT stock_id, close, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS k FROM prices) GROUP BY 1), b AS (SELECT theme_name, avg(mv) AS basket FROM (SELECT DISTINCT theme_name, stock_id FROM links WHERE link_type = 'theme') JOIN l USING (stock_id) WHERE mv IS NOT NULL GROUP BY 1)
-SELECT theme_name, {r6('a', 'heat_now')}, {r6('h.b', 'heat_before')}, CAST(coalesce(tone, 0) AS BIGINT) AS tone, {r6('basket', 'basket_10d')} FROM h FULL JOIN n USING (theme_name) FULL JOIN b USING (theme_name)"""))
+#: Heat of every keyword on the days of its bursts.
+BURST_HEAT = "kh AS (SELECT keyword, CAST(published_at + INTERVAL 8 HOUR AS DATE) AS date, max(CAST(regexp_extract(approx_traffic, '(\\d+)', 1) AS DOUBLE)) AS trend_score FROM bursts GROUP BY 1, 2)"
+
+
+def burst_heat(s: SparkSession, d: str) -> DataFrame:
+    return ad.bursts(s, d).groupBy("keyword", ex.taipei_day(F.col("published_at")).alias("date")).agg(F.max(ex.traffic_digits(F.col("approx_traffic")).cast("double")).alias("trend_score"))
+
+
+@book.add(ad.sql("bursts links news prices", f"""{CLASS}, {BURST_HEAT}, td AS (SELECT max(date) AS today FROM kh), mb AS (SELECT DISTINCT theme_name, CASE WHEN keyword LIKE '%0' THEN upper(keyword) ELSE keyword END AS keyword FROM links WHERE theme_name <> '其他'), sk AS (SELECT DISTINCT theme_name, stock_id FROM links WHERE theme_name <> '其他'),
+h AS (SELECT theme_name, avg(trend_score) FILTER (today - date <= 6) AS a, avg(trend_score) FILTER (today - date BETWEEN 7 AND 13) AS b FROM kh JOIN mb USING (keyword), td GROUP BY 1),
+ob AS (SELECT n.news_id, n.news_sentiment, t.keyword, coalesce(cl.canonical_keyword, t.keyword) AS canonical, CAST(t.published_at + INTERVAL 8 HOUR AS DATE) AS date FROM news n JOIN bursts t USING (burst_id) LEFT JOIN cl ON cl.keyword = t.keyword), nw AS (SELECT DISTINCT theme_name, news_id, news_sentiment FROM ob JOIN mb ON mb.keyword IN (ob.keyword, ob.canonical), td WHERE today - date <= 6),
+n AS (SELECT theme_name, count(*) AS news, count(*) FILTER (news_sentiment = 'Positive') AS positive, count(*) FILTER (news_sentiment = 'Neutral') AS neutral, count(*) FILTER (news_sentiment = 'Negative') AS negative FROM nw GROUP BY 1),
+l AS (SELECT stock_id, max(close) FILTER (k = 1) / max(close) FILTER (k = 11) - 1 AS mv FROM (SELECT stock_id, close, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS k FROM prices) GROUP BY 1), b AS (SELECT theme_name, avg(mv) AS r, count(*) AS stocks FROM sk LEFT JOIN l USING (stock_id) GROUP BY 1)
+SELECT theme_name, {r6('CASE WHEN h.b > 0 THEN a / h.b - 1 END', 'heat_change')}, {r6('a', 'heat_recent')}, coalesce(news, 0) AS news, coalesce(positive, 0) AS positive, coalesce(neutral, 0) AS neutral, coalesce(negative, 0) AS negative, {r6('r', 'return_10d')}, coalesce(stocks, 0) AS stocks FROM (SELECT DISTINCT theme_name FROM mb) LEFT JOIN h USING (theme_name) LEFT JOIN n USING (theme_name) LEFT JOIN b USING (theme_name)"""))
 def g23_market_radar(s: SparkSession, d: str) -> DataFrame:
-    _, n, links = themed(s, d)
-    baskets = links.where("link_type = 'theme'").groupBy("theme_name").agg(F.collect_set("stock_id").alias("stock_ids"))
-    heat = ad.heat_px(s, d).select("date", F.col("keyword").alias("theme_name"), F.col("heat").alias("burst_score"))
-    return rounded(cv.market_radar(heat, n, ad.prices(s, d), baskets), "heat_now", "heat_before", "basket_10d")
+    links = ad.links(s, d)
+    members = links.select("theme_name", F.when(F.col("keyword").endswith("0"), F.upper("keyword")).otherwise(F.col("keyword")).alias("keyword"))
+    heat = stage(burst_heat(s, d), "heat")
+    today = heat.agg(F.max("date").alias("t")).first()["t"]
+    t = ad.bursts(s, d).select("burst_id", "keyword", ex.taipei_day(F.col("published_at")).alias("date"))
+    seen = ad.news(s, d).join(t, "burst_id").join(classes(s, d).select("keyword", "canonical_keyword"), "keyword", "left").select("news_id", "news_sentiment", "keyword", F.coalesce("canonical_keyword", "keyword").alias("canonical"), "date")
+    out = cv.market_radar(members, links.select("theme_name", "stock_id"), heat, seen, ad.prices(s, d), F.lit(today))
+    return rounded(out, "heat_change", "heat_recent", "return_10d")
 
 
 @book.add(ad.sql("bursts links news", f"{DAYS} SELECT date, theme_name, keyword, news_id, news_title, coalesce(news_source, 'unknown') AS news_source, coalesce(news_sentiment, 'Unanalyzed') AS news_sentiment FROM nd WHERE trim(news_title) <> ''"))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heedstream.functions.exprs import taipei_day
 from heedstream.operators import coverage as cv
 from heedstream.operators import returns as rt
 from heedstream.operators import stats as st
 from heedstream.plans import frames as fr
 from heedstream.plans import jobs
 from heedstream.plans import queries_returns as qr
+from heedstream.plans import queries_stats as qs
 from heedstream.plans._book import Book, r6, rounded
 from heedstream.sources import adapters as ad
+from heedstream.sources.shared import stage
 from heedstream.streaming import streams as sm
 
 book = Book()
@@ -69,22 +72,39 @@ def t6_new_listings(s: SparkSession, d: str) -> DataFrame:
 @book.add()
 def g37_stock_dataset(s: SparkSession, d: str) -> DataFrame:
     """The pieces of every stock's dataset in one job, summed up by stock."""
-    data = jobs.stock_datasets(ad.prices(s, d), fr.linked(s, d, None), ad.BENCHMARK)
+    i = F.col("news_id")
+    t = ad.bursts(s, d).select("burst_id", "keyword", taipei_day(F.col("published_at")).alias("date"), "approx_traffic")
+    seen = t.join(ad.classes(s, d).select("keyword", "canonical_keyword"), "keyword", "left").select("burst_id", "keyword", F.coalesce("canonical_keyword", "keyword").alias("canonical"), "date", "approx_traffic")
+    news = ad.news(s, d).select("news_id", "burst_id", "news_title", "news_source", F.lit("u").alias("news_url"), "news_sentiment", F.when(i % 4 > 0, F.concat(F.lit("type"), (i % 4).cast("string"))).alias("event_type"))
+    links = ad.links(s, d).select(F.when(F.col("keyword").endswith("2"), F.upper("keyword")).otherwise(F.col("keyword")).alias("keyword"), "stock_id", "link_type")
+    heat = qs.burst_heat(s, d).withColumnRenamed("trend_score", "heat")
+    data = jobs.stock_datasets(stage(ad.prices(s, d), "prices"), links, seen, news, heat, ad.BENCHMARK, fr.STUDY_START)
     out = data["performance"].groupBy("stock_id").agg(F.count("*").alias("events"), F.avg("return_5d").alias("mean_5d"), F.avg("excess_10d").alias("mean_excess"))
-    days = data["event_days"].groupBy("stock_id").agg(F.count("*").alias("days"))
+    days = data["event_days"].groupBy("stock_id").agg(F.count("*").alias("days"), F.sum("news_count").alias("day_news"), F.sum("positive").alias("positive"), F.max("number").alias("last_number"), F.sum(F.size("headlines")).cast("long").alias("headlines"), F.count("vol_before").alias("with_volatility"))
+    tones = data["news_daily"].groupBy("stock_id").agg(F.count("*").alias("news_days"), F.sum(F.expr("positive + neutral + negative + unanalyzed")).alias("news"), F.sum("negative").alias("negative"))
     moves = data["volatility"].groupBy("stock_id").agg(F.count("move").alias("moves"), F.avg("move").alias("mean_move"))
     lines = data["technicals"].groupBy("stock_id").agg(F.max_by("macd", "date").alias("last_macd"), F.count("rsi14").alias("rsi_days"))
-    for more in (data["normal"].select("stock_id", "normal_10d"), days, moves, lines):
+    for more in (data["normal"].select("stock_id", "normal_10d"), days, tones, moves, lines):
         out = out.join(more, "stock_id")
     return rounded(out, "mean_5d", "mean_excess", "normal_10d", "mean_move", "last_macd")
 
 
-book.oracles["g37_stock_dataset"] = "WITH RECURSIVE " + ad.sql(fr.ALL, f"""{fr.BASE_SQL}, {qr.AR_ADJ}, mo AS (SELECT stock_id, count(ar) AS moves, avg(abs(ar)) AS mean_move FROM ar GROUP BY 1),
+book.oracles["g37_stock_dataset"] = "WITH RECURSIVE " + ad.sql(fr.ALL, f"""{ad.CLASS}, {qs.BURST_HEAT}, {fr.ROWS_SQL}, {qr.AR_ADJ}, lk AS (SELECT CASE WHEN keyword LIKE '%2' THEN upper(keyword) ELSE keyword END AS keyword, stock_id, min(link_type) AS link_type FROM links GROUP BY 1, 2), nms AS (SELECT DISTINCT keyword FROM lk),
+ob AS (SELECT t.burst_id, CASE WHEN cl.canonical_keyword IN (SELECT keyword FROM nms) OR cl.canonical_keyword IS NULL THEN coalesce(cl.canonical_keyword, t.keyword) ELSE t.keyword END AS keyword, CAST(t.published_at + INTERVAL 8 HOUR AS DATE) AS date, CAST(regexp_extract(approx_traffic, '(\\d+)', 1) AS DOUBLE) * 1000 AS traffic FROM bursts t LEFT JOIN cl ON cl.keyword = t.keyword WHERE coalesce(cl.canonical_keyword, t.keyword) IN (SELECT keyword FROM nms) OR t.keyword IN (SELECT keyword FROM nms)),
+tn AS (SELECT n.news_id, o.keyword, o.date, coalesce(n.news_sentiment, 'Unanalyzed') AS tone FROM news n JOIN ob o USING (burst_id)), hh AS (SELECT keyword, date, trend_score AS heat FROM kh WHERE keyword IN (SELECT keyword FROM nms)), nn AS (SELECT keyword, date, count(*) AS n FROM tn GROUP BY 1, 2), ls AS (SELECT keyword, date, max(traffic) AS traffic FROM ob GROUP BY 1, 2),
+al AS (SELECT keyword, date FROM hh UNION SELECT keyword, date FROM nn UNION SELECT keyword, date FROM ls), dys AS (SELECT keyword, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM (SELECT keyword, min(date) AS a, max(date) AS b FROM al GROUP BY 1)),
+f AS (SELECT y.keyword, y.date, hh.heat, coalesce(n, 0) AS news_count, traffic FROM dys y LEFT JOIN hh ON hh.keyword = y.keyword AND hh.date = y.date LEFT JOIN nn ON nn.keyword = y.keyword AND nn.date = y.date LEFT JOIN ls ON ls.keyword = y.keyword AND ls.date = y.date),
+g AS (SELECT *, CASE WHEN count(heat) OVER s >= 3 THEN avg(heat) OVER s END AS hb, CASE WHEN count(*) OVER s >= 3 THEN avg(news_count) OVER s END AS nb, coalesce(bool_or(traffic IS NOT NULL) OVER t, false) AS rec FROM f WINDOW s AS (PARTITION BY keyword ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), t AS (PARTITION BY keyword ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+tg AS (SELECT keyword, date FROM g WHERE date >= DATE '{fr.STUDY_START}' AND (coalesce(hb > 0 AND heat / hb - 1 >= 0.5, false) OR coalesce(news_count >= 3 AND news_count >= 2 * nb, false) OR (traffic IS NOT NULL AND NOT rec))),
+ee AS (SELECT tg.keyword, tg.date, lk.stock_id FROM tg JOIN lk USING (keyword)), pf AS (SELECT e.keyword, e.stock_id, e.date AS event_date, p.date AS market_date, p.return_5d, p.excess_10d FROM ee e ASOF JOIN perf p ON e.stock_id = p.stock_id AND e.date <= p.date),
+ed AS (SELECT stock_id, event_date, arg_min(market_date, keyword) AS market_date FROM pf GROUP BY 1, 2), dn AS (SELECT DISTINCT pf.stock_id, pf.event_date, tn.news_id, tn.tone FROM pf JOIN tn ON tn.keyword = pf.keyword AND tn.date = pf.event_date), dc AS (SELECT stock_id, event_date, count(*) AS n, count(*) FILTER (tone = 'Positive') AS pos FROM dn GROUP BY 1, 2),
+mv AS (SELECT *, abs(ar) AS move FROM ar), vv AS (SELECT *, CASE WHEN count(move) OVER r >= 15 THEN avg(move) OVER r END AS recent, CASE WHEN count(move) OVER u >= 25 THEN avg(move) OVER u END AS usual FROM mv WINDOW r AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), u AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 59 PRECEDING AND 20 PRECEDING)), vb AS (SELECT stock_id, date, lag(recent / usual) OVER (PARTITION BY stock_id ORDER BY date) AS before FROM vv),
 px AS (SELECT stock_id, close AS price, close - lag(close) OVER w AS ch, row_number() OVER w AS k FROM prices WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
 em AS (SELECT stock_id, k, price AS e12, price AS e26 FROM px WHERE k = 1 UNION ALL SELECT px.stock_id, px.k, e.e12 * (1 - 2.0::DOUBLE / 13) + px.price * (2.0::DOUBLE / 13), e.e26 * (1 - 2.0::DOUBLE / 27) + px.price * (2.0::DOUBLE / 27) FROM em e JOIN px ON px.stock_id = e.stock_id AND px.k = e.k + 1),
-rs AS (SELECT stock_id, count(*) FILTER (k >= 15 AND (up > 0 OR down > 0)) AS rsi_days FROM (SELECT *, avg(greatest(ch, 0)) OVER g AS up, avg(greatest(-ch, 0)) OVER g AS down FROM px WINDOW g AS (PARTITION BY stock_id ORDER BY k ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) GROUP BY 1),
-lm AS (SELECT stock_id, arg_max(e12 - e26, k) AS last_macd FROM em GROUP BY 1), ep AS (SELECT stock_id, count(*) AS events, avg(return_5d) AS mean_5d, avg(excess_10d) AS mean_excess, any_value(normal_10d) AS normal_10d, count(DISTINCT day0_date) AS days FROM events_perf GROUP BY 1)
-SELECT stock_id, events, {r6('mean_5d')}, {r6('mean_excess')}, {r6('normal_10d')}, days, moves, {r6('mean_move')}, {r6('last_macd')}, rsi_days FROM ep JOIN mo USING (stock_id) JOIN lm USING (stock_id) JOIN rs USING (stock_id)""").removeprefix("WITH ")
+rs AS (SELECT stock_id, count(*) FILTER (k >= 15 AND (up > 0 OR down > 0)) AS rsi_days FROM (SELECT *, avg(greatest(ch, 0)) OVER g AS up, avg(greatest(-ch, 0)) OVER g AS down FROM px WINDOW g AS (PARTITION BY stock_id ORDER BY k ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) GROUP BY 1), lm AS (SELECT stock_id, arg_max(e12 - e26, k) AS last_macd FROM em GROUP BY 1),
+a AS (SELECT stock_id, count(*) AS events, avg(return_5d) AS mean_5d, avg(excess_10d) AS mean_excess FROM pf GROUP BY 1), b AS (SELECT ed.stock_id, count(*) AS days, CAST(coalesce(sum(n), 0) AS BIGINT) AS day_news, CAST(coalesce(sum(pos), 0) AS BIGINT) AS positive, count(*) AS last_number, CAST(sum(least(coalesce(n, 0), 5)) AS BIGINT) AS headlines, count(before) AS with_volatility FROM ed LEFT JOIN dc ON dc.stock_id = ed.stock_id AND dc.event_date = ed.event_date LEFT JOIN vb ON vb.stock_id = ed.stock_id AND vb.date = ed.market_date GROUP BY 1),
+c AS (SELECT stock_id, count(DISTINCT date) AS news_days, count(*) AS news, count(*) FILTER (tone = 'Negative') AS negative FROM (SELECT DISTINCT lk.stock_id, tn.* FROM tn JOIN lk USING (keyword)) GROUP BY 1), m AS (SELECT stock_id, count(ar) AS moves, avg(abs(ar)) AS mean_move FROM ar GROUP BY 1), nr AS (SELECT stock_id, avg(excess_10d) AS normal_10d FROM perf WHERE date >= DATE '{fr.STUDY_START}' GROUP BY 1)
+SELECT stock_id, events, {r6('mean_5d')}, {r6('mean_excess')}, {r6('normal_10d')}, days, day_news, positive, last_number, headlines, with_volatility, news_days, news, negative, moves, {r6('mean_move')}, {r6('last_macd')}, rsi_days FROM a JOIN b USING (stock_id) JOIN c USING (stock_id) JOIN m USING (stock_id) JOIN nr USING (stock_id) JOIN lm USING (stock_id) JOIN rs USING (stock_id)""").removeprefix("WITH ")
 
 
 @book.add(ad.sql(fr.ALL, f"""{qr.PATHS} SELECT 'paths' AS part, kind, CAST(off AS VARCHAR) AS label, {r6('ap', 'value')}, n FROM ag UNION ALL SELECT 'events', NULL, 'quiet', NULL, count(*) FROM quiet
