@@ -57,13 +57,24 @@ def fold_bursts(rows: DataFrame) -> DataFrame:
         F.min("fetched_at").alias("fetched_at"), F.max("last_fetched_at").alias("last_fetched_at"), F.max_by("approx_traffic", F.struct("last_fetched_at", "approx_traffic")).alias("approx_traffic"))
 
 
-def collect_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Per batch how many keys are new and how many refresh known ones."""
-    known = old.select(*keys).distinct().withColumn("_known", F.lit(True))
-    rows = new.select("batch", *keys).distinct().join(known, keys, "left")
-    first = Window.partitionBy(*keys).orderBy("batch")
-    rows = rows.withColumn("_new", F.col("_known").isNull() & (F.row_number().over(first) == 1))
-    return rows.groupBy("batch").agg(F.count_if("_new").alias("new"), F.count_if(~F.col("_new")).alias("updated"))
+def collect_counts(old: DataFrame, old_news: DataFrame, items: DataFrame) -> DataFrame:
+    """Six counters of each batch of feed items (batch, fetched_at, keyword, published_at, usable, broken, news).
+
+    ``items`` are the usable ones; an item is new if neither the table nor an
+    earlier item has its key, else it updates; a news is new if its burst has no such address yet. Items that aren't usable are
+    skipped, usable ones that are ``broken`` (can't be stored) failed.
+    """
+    key = ["keyword", "published_at"]
+    good = items.where("usable and not broken")
+    known = old.select(*key).distinct().withColumn("_known", F.lit(True))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("batch", "fetched_at")) == 1
+    rows = good.join(known, key, "left").withColumn("_new", F.col("_known").isNull() & first)
+    stored = rows.groupBy("batch").agg(F.count_if("_new").alias("new_trends"), F.count_if(~F.col("_new")).alias("updated_trends"))
+    urls = good.select("batch", *key, F.explode(F.transform("news", lambda n: n["news_item_url"])).alias("news_url"))
+    fresh = urls.groupBy(*key, "news_url").agg(F.min("batch").alias("batch")).join(old_news.select(*key, "news_url"), [*key, "news_url"], "left_anti").groupBy("batch").agg(F.count("*").alias("new_news"))
+    seen = items.groupBy("batch").agg(F.count_if("usable").alias("items"), F.count_if(~F.col("usable")).alias("skipped_items"), F.count_if(F.col("usable") & F.col("broken")).alias("failed_items"))
+    out = seen.join(stored, "batch", "left").join(fresh, "batch", "left")
+    return out.select("batch", "items", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("new_trends", "updated_trends", "new_news")], "skipped_items", "failed_items")
 
 
 def normalise_prices(raw: DataFrame) -> DataFrame:

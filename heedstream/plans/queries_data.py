@@ -76,10 +76,27 @@ def s4_observation_log(s: SparkSession, d: str) -> DataFrame:
     return up.insert_or_ignore(rows.limit(0), rows, ["burst_id", "observed_at"], [F.col("observed_at")])
 
 
-@book.add(f"WITH {POLLS}, b AS (SELECT DISTINCT strftime(fetched_at, '%Y%m%d') AS batch, keyword, published_at FROM n), f AS (SELECT b.*, o.keyword IS NULL AND row_number() OVER (PARTITION BY b.keyword, b.published_at ORDER BY batch) = 1 AS fresh FROM b LEFT JOIN (SELECT DISTINCT keyword, published_at FROM o) o ON o.keyword = b.keyword AND o.published_at = b.published_at) SELECT batch, count(*) FILTER (fresh) AS new, count(*) FILTER (NOT fresh) AS updated FROM f GROUP BY 1")
+def feed_items(s: SparkSession, d: str) -> DataFrame:
+    """Events as feed items, a batch a day: some keys come again on other days, some items have no keyword or can't be stored, news differ by kind and day."""
+    e, k = ad.table(s, d, "events"), F.col("event_id")
+    url = F.concat(F.lit("http://"), "event_type", F.lit("/"), (k % 3).cast("string"))
+    item = lambda u: F.struct(F.lit("title").alias("news_item_title"), u.alias("news_item_url"), F.lit("source").alias("news_item_source"))
+    news = F.when(k % 4 == 0, F.array().cast("array<struct<news_item_title:string,news_item_url:string,news_item_source:string>>")).otherwise(F.array(item(url), item(F.concat(url, F.lit("#")))))
+    return e.select(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("batch"), F.col("ts").cast("timestamp").alias("fetched_at"), (F.col("user_id") % 40).cast("string").alias("keyword"), F.date_trunc("month", F.col("ts").cast("timestamp")).alias("published_at"),
+                    F.lit("1+").alias("approx_traffic"), (k % 11 != 0).alias("usable"), (k % 13 == 0).alias("broken"), news.alias("news"))
+
+
+FEED_COUNTS = """it AS (SELECT CAST(ts AS DATE) - DATE '2024-01-01' AS batch, ts, user_id % 40 AS kw, date_trunc('month', ts) AS pub, event_id % 11 <> 0 AS usable, event_id % 13 = 0 AS broken, CASE WHEN event_id % 4 = 0 THEN [] ELSE ['http://' || event_type || '/' || (event_id % 3), 'http://' || event_type || '/' || (event_id % 3) || '#'] END AS urls FROM events),
+gd AS (SELECT *, row_number() OVER (PARTITION BY kw, pub ORDER BY ts) = 1 AS fresh FROM it WHERE usable AND NOT broken), nb AS (SELECT batch, count(*) AS new_news FROM (SELECT kw, pub, u, min(batch) AS batch FROM (SELECT batch, kw, pub, unnest(urls) AS u FROM gd) GROUP BY 1, 2, 3) GROUP BY 1),
+fc AS (SELECT batch, count(*) FILTER (usable) AS items, count(*) FILTER (NOT usable) AS skipped_items, count(*) FILTER (usable AND broken) AS failed_items FROM it GROUP BY 1), fs AS (SELECT batch, count(*) FILTER (fresh) AS new_trends, count(*) FILTER (NOT fresh) AS updated_trends FROM gd GROUP BY 1)"""
+
+
+@book.add(f"WITH {FEED_COUNTS} SELECT fc.batch, items, coalesce(new_trends, 0) AS new_trends, coalesce(updated_trends, 0) AS updated_trends, coalesce(new_news, 0) AS new_news, skipped_items, failed_items FROM fc LEFT JOIN fs ON fs.batch = fc.batch LEFT JOIN nb ON nb.batch = fc.batch")
 def s5_collect_counts(s: SparkSession, d: str) -> DataFrame:
-    old, new = polls(s, d)
-    return up.collect_counts(old, new.withColumn("batch", F.date_format("fetched_at", "yyyyMMdd")), ["keyword", "published_at"])
+    """Six counters a batch, nothing known before."""
+    items = feed_items(s, d)
+    none = items.select("keyword", "published_at").limit(0)
+    return up.collect_counts(none, none.withColumn("news_url", F.lit("")), items)
 
 
 @book.add(ad.sql("prices", f"SELECT date, stock_id || 'A' AS stock_id, {r6('open')}, {r6('high')}, {r6('low')}, {r6('close')}, {r6('CASE WHEN day(date) % 2 = 0 THEN adj_close ELSE close END', 'adj_close')}, volume FROM prices"))

@@ -11,6 +11,7 @@ from heedstream.operators import returns as rt
 from heedstream.operators import stats as st
 from heedstream.plans import frames as fr
 from heedstream.plans import jobs
+from heedstream.plans import queries_data as qd
 from heedstream.plans import queries_returns as qr
 from heedstream.plans import queries_stats as qs
 from heedstream.plans._book import Book, r6, rounded
@@ -36,6 +37,17 @@ def t1_collect(s: SparkSession, d: str) -> DataFrame:
     return bursts.select("keyword", F.to_date("published_at").alias("day"), F.col("fetched_at").cast(NTZ).alias("fetched_at"), "approx_traffic")
 
 
+@book.add(f"WITH {qd.FEED_COUNTS} SELECT CAST(sum(items) AS BIGINT) AS items, CAST(sum(new_trends) AS BIGINT) AS new_trends, CAST(sum(updated_trends) AS BIGINT) AS updated_trends, (SELECT CAST(sum(new_news) AS BIGINT) FROM nb) AS new_news, CAST(sum(skipped_items) AS BIGINT) AS skipped_items, CAST(sum(failed_items) AS BIGINT) AS failed_items, (SELECT count(*) FROM (SELECT DISTINCT kw, pub FROM gd)) AS bursts, (SELECT CAST(sum(new_news) AS BIGINT) FROM nb) AS news FROM fc LEFT JOIN fs USING (batch)")
+def t1_collect_items(s: SparkSession, d: str) -> DataFrame:
+    """The items of the feed as a stream of a file a batch of days, and the sums of the counters that it observed."""
+    folder = sm.work_folder(s)
+    qd.feed_items(s, d).withColumn("part", F.expr("batch div 7")).repartition(8, "part").write.partitionBy("part").parquet(f"{folder}/landed")
+    landed = s.read.parquet(f"{folder}/landed")
+    out = sm.collect_items(sm.read_files(s, f"{folder}/landed", landed.schema, per_trigger=2), f"{folder}/job", every=3)
+    sums = out["counts"].agg(*[F.sum(c).alias(c) for c in sm.COUNTER_NAMES])
+    return sums.crossJoin(out["bursts"].agg(F.count("*").alias("bursts"))).crossJoin(out["news"].agg(F.count("*").alias("news")))
+
+
 @book.add("SELECT user_id AS burst_id, event_type FROM events GROUP BY 1, 2")
 def t2_dedupe(s: SparkSession, d: str) -> DataFrame:
     return sm.drain(sm.dedupe(observed(s, d), ["burst_id", "event_type"], "observed_at"), sm.work_folder(s)).select("burst_id", "event_type")

@@ -90,7 +90,7 @@ def test_rising_stock_is_no_success(spark):
     rows = [(x, s, v) for i, x in enumerate(days(80)) for s, v in (("1", 1.01**i), ("0050", 100.0))]
     p = spark.createDataFrame([(x, s, v, v, v) for x, s, v in rows], "date date, stock_id string, close double, high double, low double")
     perf = rt.with_performance(p, "0050").where(F.col("stock_id") == "1")
-    h = st.hypotheses(perf.join(rt.normal_excess(perf), "stock_id").withColumn("news_sentiment", F.lit("Positive")), ["stock_id"]).first()
+    h = st.hypotheses(perf.withColumn("news_sentiment", F.lit("Positive")), ["stock_id"]).first()
     assert h["h1"] == "不成立" and abs(h["mean"]) < 1e-9
 
 
@@ -116,12 +116,14 @@ def test_volatility(spark):
 
 
 def test_macd_and_rsi(spark):
-    p = spark.createDataFrame([(x, "1", float(10 + i), float(10 + i)) for i, x in enumerate(days(20))], "date date, stock_id string, close double, adj_close double")
+    p = spark.createDataFrame([(x, "1", float(10 + i), 99.0, 7) for i, x in enumerate(days(20))], "date date, stock_id string, close double, adj_close double, volume long")
     rows = rt.technicals(p).orderBy("date").collect()
     e12 = e26 = 10.0
     for i in range(1, 20):
         e12, e26 = e12 + (10 + i - e12) * 2 / 13, e26 + (10 + i - e26) * 2 / 27
     assert abs(rows[-1]["macd"] - (e12 - e26)) < 1e-9 and rows[-1]["rsi14"] == 100.0 and rows[13]["rsi14"] is None
+    # technicals run on closes, whatever the adjusted ones
+    assert rows[1]["base_100"] == pytest.approx(110) and rows[1]["volume"] == 7
 
 
 def test_planted_lag(spark):
@@ -196,7 +198,7 @@ def test_repair(spark):
 
 
 def test_log_runs(spark):
-    lines = ["noise", "[2026/09/01  8:00:00.10] etl start", "Stats", "Requests: 5", "Processed: 3 items", "other", "Requests: 9", "[2026/09/01  8:10:00.10] etl exit 3", "[2026/09/01  9:00:00.10] etl start"]
+    lines = ["noise", "[2026/09/01  8:00:00.10] etl start", "Gemini Stats", "Requests: 5", "Processed: 3 items", "other", "Requests: 9", "[2026/09/01  8:10:00.10] etl exit 3", "[2026/09/01  9:00:00.10] etl start"]
     df = spark.createDataFrame([("etl", i, v) for i, v in enumerate(lines)], "job string, line int, value string")
     runs = lg.runs(df).orderBy("run").collect()
     assert [(r["run"], r["exit_code"]) for r in runs] == [(1, 3), (2, None)]
@@ -277,7 +279,7 @@ def test_rules_and_mentions(spark):
     themes = spark.createDataFrame([(1, "chip", "T", "s", "1"), (2, "chipset", "U", "s", ""), (3, "x", "V", "s", "2")], "ordinal long, keyword string, theme_name string, sub_theme string, stock_id string")
     companies = spark.createDataFrame([(1, "Acme Corporation", "company", "9")], "ordinal long, keyword string, type string, stock_id string")
     asked = spark.createDataFrame([("Chip",), ("new chipset maker",), ("acme corporatio",), ("x y z",), ("nothing",)], "keyword string")
-    got = {r["keyword"]: (r["canonical_keyword"], r["theme_name"], r["link_type"], r["confidence_score"], r["classification_source"]) for r in rs.rule_classify(asked, themes, companies).collect()}
+    got = {r["keyword"]: (r["canonical_keyword"], r["theme_name"], r["link_type"], r["confidence_score"], r["classification_source"]) for r in rs.rule_classify(asked, themes, companies, spark.createDataFrame([], "stock_id string")).collect()}
     assert got == {
         "Chip": ("chip", "T", "industry", 1.0, "theme_mapping"), "new chipset maker": ("chipset", "U", "industry", 0.5, "mapping_normalizer"), "acme corporatio": ("Acme Corporation", "其他", "company", 0.7, "mapping_normalizer"),
         "x y z": ("x y z", "其他", "none", 0.0, "fallback"), "nothing": ("nothing", "其他", "none", 0.0, "fallback"),
@@ -297,12 +299,197 @@ def test_decile_edges(spark):
         assert np.allclose(edges, np.unique(np.quantile(values, np.arange(11) / 10)), atol=1e-12)
 
 
+HEALTH = "now string, rss_minutes double, warnings int, stock_day string, stock_exit int, heat_day string, fresh int, active int, history_status string, models_seen boolean, models_processed double, models_stopped string, analyzed int, total_news int, etl_started string, etl_exit int, etl_ok boolean, stats_day string"
+
+
 def test_components_of_health(spark):
-    row = ("2026-11-06 19:00:00", 20.0, 0, "2026-11-05", "2026-11-05", 9, 10, 3.0, 3)
-    facts = spark.createDataFrame([row, (row[0], 20.0, 1, "2026-11-04", "2026-11-04", 5, 10, 30.0, 0), (row[0], None, 0, None, None, 0, 0, None, None)], "now string, rss_minutes double, warnings int, stock_day string, heat_day string, fresh int, active int, etl_hours double, etl_exit int")
-    facts = facts.withColumns({"now": F.col("now").cast("timestamp"), "stock_day": F.col("stock_day").cast("date"), "heat_day": F.col("heat_day").cast("date")})
-    got = sorted((r["score"], r["rss"], r["stocks"], r["bursts"], r["etl"]) for r in cv.component_health(facts).collect())
-    assert got == [(0, "FAIL", "FAIL", "FAIL", "FAIL"), (30, "WARN", "FAIL", "WARN", "FAIL"), (90, "OK", "WARN", "OK", "OK")]
+    """Every status of the five components, by rules that shift one fact each."""
+    good = {"now": "2026-11-06 19:00:00", "rss_minutes": 20.0, "warnings": 0, "stock_day": "2026-11-06", "stock_exit": 0, "heat_day": "2026-11-05", "fresh": 9, "active": 10, "history_status": "Completed", "models_seen": True, "models_processed": 5.0,
+            "models_stopped": "no", "analyzed": 8, "total_news": 10, "etl_started": "2026-11-06 12:00:00", "etl_exit": 3, "etl_ok": True, "stats_day": "2026-11-06"}
+    cases = [
+        ({}, ("OK", "OK", "OK", "OK", "OK"), 100, "healthy"), ({"warnings": 1}, ("WARN", "OK", "OK", "OK", "OK"), 90, "healthy"), ({"rss_minutes": 121.0, "stock_exit": 1}, ("FAIL", "FAIL", "OK", "OK", "OK"), 60, "attention"),
+        ({"stock_day": "2026-11-05", "stock_exit": None}, ("OK", "WARN", "OK", "OK", "OK"), 90, "healthy"), ({"history_status": "Stopped: Google Trends rate limit"}, ("OK", "OK", "WARN", "OK", "OK"), 90, "healthy"), ({"fresh": 1}, ("OK", "OK", "FAIL", "OK", "OK"), 80, "attention"),
+        ({"models_seen": None}, ("OK", "OK", "OK", "UNKNOWN", "OK"), 90, "healthy"), ({"models_stopped": "quota", "models_processed": 0.0}, ("OK", "OK", "OK", "FAIL", "OK"), 80, "attention"), ({"models_stopped": "quota"}, ("OK", "OK", "OK", "WARN", "OK"), 90, "healthy"), ({"analyzed": 4}, ("OK", "OK", "OK", "WARN", "OK"), 90, "healthy"),
+        ({"stats_day": "2026-11-04"}, ("OK", "OK", "OK", "OK", "WARN"), 90, "healthy"), ({"etl_ok": False, "etl_exit": None}, ("OK", "OK", "OK", "OK", "WARN"), 90, "healthy"), ({"etl_ok": False, "etl_exit": 1}, ("OK", "OK", "OK", "OK", "FAIL"), 80, "attention"), ({"etl_started": "2026-11-05 16:00:00"}, ("OK", "OK", "OK", "OK", "FAIL"), 80, "attention"),
+        ({"rss_minutes": None, "stock_day": None, "heat_day": None, "models_stopped": "x", "models_processed": None, "etl_started": None}, ("FAIL", "FAIL", "FAIL", "FAIL", "FAIL"), 0, "failing"),
+    ]
+    facts = spark.createDataFrame([tuple((good | change)[c.split()[0]] for c in HEALTH.split(", ")) + (i,) for i, (change, *_) in enumerate(cases)], HEALTH + ", i int")
+    facts = facts.withColumns({c: F.col(c).cast("timestamp" if c in ("now", "etl_started") else "date") for c in ("now", "stock_day", "heat_day", "etl_started", "stats_day")})
+    for r in cv.component_health(facts).collect():
+        change, statuses, score, grade = cases[r["i"]]
+        assert (tuple(r[c] for c in cv.COMPONENTS), r["score"], r["grade"], r["failing"]) == (statuses, score, grade, "FAIL" in statuses), change
+
+
+def test_status(spark):
+    """Healthy only while nothing is open; each open thing alone makes it pending, old bursts stale."""
+    now = F.expr("timestamp '2026-11-06 12:00:00'")
+    at, day = dt.datetime(2026, 11, 6, 3), dt.date(2026, 11, 6)
+    base = {"bursts": [(1, "a", at, at)], "news": [(1, "t", "Positive", 0.5, "x")], "classes": [("a", "T", "rule", "A", "上市公司")], "prices": [(dt.date(2026, 11, 3),)], "links": [("T", "1", 1)], "stats": [(dt.date(2026, 11, 5),)]}
+    schemas = {"bursts": "burst_id int, keyword string, published_at timestamp, fetched_at timestamp", "news": "news_id int, news_title string, news_sentiment string, sentiment_score double, event_type string", "classes": "keyword string, theme_name string, source string, entity_name string, entity_type string", "prices": "date date", "links": "theme_name string, stock_id string, active int", "stats": "date date"}
+    old = dt.datetime(2026, 11, 5, 11)
+    for change, want in (({}, "healthy"), ({"bursts": [(1, "a", old, old)]}, "stale"), ({"bursts": []}, "stale"), ({"bursts": [*base["bursts"], (2, "b", at, at)]}, "pending"), ({"bursts": [*base["bursts"], (2, " ", at, at)]}, "healthy"), ({"classes": [("a", "其他", "fallback", "A", "上市公司")]}, "pending"),
+                         ({"classes": [("a", "T", "rule", None, "上市公司")]}, "pending"), ({"classes": [("a", "T", "rule", "A", "其他")]}, "pending"), ({"news": [(1, "t", "Positive", None, "x")]}, "pending"), ({"news": [(1, None, "Positive", None, "x")]}, "healthy"), ({"prices": [(dt.date(2026, 11, 2),)]}, "pending"), ({"prices": []}, "pending"), ({"stats": [(dt.date(2026, 11, 4),)]}, "pending")):
+        t = {k: spark.createDataFrame((base | change)[k], schemas[k]) for k in schemas}
+        r = cv.system_status(t["bursts"], t["news"], t["classes"], t["prices"], t["links"], t["stats"], now).first()
+        assert r["health"] == want, change
+    assert r["history_start"] == day and r["tracked_stock_count"] == 1
+
+
+def test_live_status(spark):
+    rows = spark.createDataFrame([(10.0, 1.0, "green"), (61.0, 1.0, "yellow"), (10.0, 7.5, "yellow"), (10.0, None, "yellow"), (1441.0, 1.0, "red"), (None, 1.0, "red")], "m double, h double, want string")
+    assert rows.where(cv.live_status(F.col("m"), F.col("h")) != F.col("want")).collect() == []
+
+
+def test_empty_forms_match_nothing(spark):
+    dictionary = spark.createDataFrame([(1, "---", "company", "9"), (2, "acme", "company", "1"), (3, "acme", "company", "0")], "ordinal long, keyword string, type string, stock_id string")
+    got = {r["keyword"]: (r["canonical"], r["type"], r["stock_ids"], r["score"]) for r in rs.fuzzy_match(spark.createDataFrame([("!!!",), ("ACME",), (" ",)], "keyword string"), dictionary).collect()}
+    assert got == {"!!!": ("!!!", None, [], 0), "ACME": ("acme", "company", ["1", "0"], 100), " ": ("", None, [], 0)}
+
+
+def test_repair_with_nulls(spark):
+    """Rows without a key come through singly, a survivor keeps its own score and type, conflicts are settled by nobody."""
+    at = lambda h: dt.datetime(2026, 9, 1, h)
+    bursts = spark.createDataFrame([(1, "a", at(0), "1", at(1)), (2, "a", at(0), "2", at(2)), (3, None, at(0), "3", at(1)), (4, None, at(0), "4", at(1)), (5, "a", None, "5", at(1)), (6, "a", None, "6", at(1)), (7, "", at(0), "7", at(1)), (8, "b", at(0), "8", at(9)), (9, "b", at(0), "9", at(1))], "burst_id long, keyword string, published_at timestamp, approx_traffic string, fetched_at timestamp")
+    got = sorted((r["burst_id"], r["approx_traffic"], r["rows"], r["earliest"]) for r in rp.dedupe_bursts(bursts).collect())
+    assert got == [(1, "2", 2, True), (3, "3", 1, True), (4, "4", 1, True), (5, "5", 1, True), (6, "6", 1, True), (7, "7", 1, True), (8, "9", 2, False)]
+    n = [(1, 1, "u", None, 0.7, "kept"), (2, 2, "u", None, None, None), (3, 1, None, "Positive", 1.0, "x"), (4, 1, None, "Negative", 1.0, "x"), (5, 1, " ", None, None, None), (6, 2, "v", "", 0.1, "own"), (7, 1, "v", "Neutral", 0.2, "donor"), (8, 1, "w", "Positive", 0.3, "p"), (9, 2, "w", "Negative", 0.4, "n"), (10, None, "u", None, None, None)]
+    news = spark.createDataFrame(n, "news_id long, burst_id long, news_url string, news_sentiment string, sentiment_score double, event_type string")
+    out = {r["news_id"]: tuple(r)[1:] for r in rp.dedupe_news(news, rp.survivor_map(bursts)).collect()}
+    assert out == {1: (1, "u", None, 0.7, "kept", 2, False), 3: (1, None, "Positive", 1.0, "x", 1, False), 4: (1, None, "Negative", 1.0, "x", 1, False), 5: (1, " ", None, None, None, 1, False), 6: (1, "v", "Neutral", 0.2, "donor", 2, False), 8: (1, "w", "Positive", 0.3, "p", 2, True), 10: (None, "u", None, None, None, 1, False)}
+    odd = sorted(map(tuple, rp.quarantine(bursts, news).collect()))
+    assert odd == [("bursts", i, "no key") for i in (3, 4, 5, 6, 7)] + [("bursts", 8, "survivor not fetched first")] + [("news", 3, "no url"), ("news", 4, "no url"), ("news", 5, "no url"), ("news", 8, "sentiments differ")]
+    deduped = rp.dedupe_bursts(bursts)
+    assert rp.settled(deduped.where("keyword = 'a'"), F.col("earliest"), "late").count() == 3
+    with pytest.raises(Exception, match="late"):
+        rp.settled(deduped, F.col("earliest"), "late").collect()
+
+
+def test_link_types(spark):
+    """Curated triples, entities' pairs, retired aliases; what is off or has no stock is left alone."""
+    links = spark.createDataFrame([(1, "T", "chip", "1", 1, None), (2, "U", "chip", "1", 1, None), (3, "T", "acme", "2", 1, None), (4, "T", "acme", "3", 1, None), (5, "T", "old", "2", 1, "direct"), (6, "T", "chip", "9", 0, None), (7, "T", "none", None, 1, None), (8, "T", "none", "", 1, None)], "id int, theme_name string, keyword string, stock_id string, active int, link_type string")
+    curated = spark.createDataFrame([("T", "chip", "1"), ("T", "chip", "9"), ("T", "none", "")], "theme_name string, keyword string, stock_id string")
+    entities = spark.createDataFrame([("acme", "2"), ("old", "2"), ("chip", None)], "entity_name string, stock_id string")
+    classes = spark.createDataFrame([("old", None, "T", "s", 1, "rule", 0.9), ("older", "old", "T", "s", 1, "rule", 0.9), ("acme", "acme", "T", "s", 1, "rule", 0.9)], "keyword string, canonical_keyword string, theme_name string, sub_theme string, stock_related int, source string, confidence_score double")
+    actions, requeue = rs.plan_link_types(links, curated, entities, spark.createDataFrame([("old",)], "keyword string"), classes)
+    assert {r["id"]: r["action"] for r in actions.collect()} == {1: "theme", 2: "deactivate", 3: "direct", 4: "deactivate", 5: "deactivate"}
+    s = rs.link_type_summary(actions, requeue).first()
+    assert tuple(s) == (5, 1, 1, 3, 3, 2, 1, 2, ["old"])
+    after = rs.apply_link_types(links, actions)
+    assert {r["id"]: (r["link_type"], r["active"]) for r in after.collect()} == {1: ("theme", 1), 2: (None, 0), 3: ("direct", 1), 4: (None, 0), 5: ("direct", 0), 6: (None, 0), 7: (None, 1), 8: (None, 1)}
+    assert rs.verify_link_types(after, actions).collect() == []
+    assert {tuple(r) for r in rs.verify_link_types(links, actions).collect()} == {("untyped", 0, 4), ("typed", 2, 1)}
+    new = {r["keyword"]: tuple(r)[2:] for r in rs.apply_requeue(classes, requeue).collect()}
+    assert new["old"] == new["older"] == ("其他", "未分類", 0, "fallback", 0.0) and new["acme"][0] == "T"
+
+
+def test_paths_by_kind(spark):
+    """One path for direct stocks and one for baskets, normal levels from the start on, windows that are cut off left out."""
+    d = days(40)
+    rng = np.random.default_rng(3)
+    ar = {s: rng.normal(size=40) / 100 for s in ("1101", "1102", "1103")}
+    ar["1103"][20] = np.nan
+    rows = [(x, s, k + 1, None if np.isnan(v[k]) else float(v[k])) for s, v in ar.items() for k, x in enumerate(d)]
+    daily = spark.createDataFrame(rows, "date date, stock_id string, day int, ar double")
+    calendar = spark.createDataFrame([(x, k + 1) for k, x in enumerate(d)], "date date, day int")
+    e = [("k1", "1101", "direct", "X", d[19], 1, 5.0), ("k0", "1101", "direct", "Y", d[19], -3, 2.0), ("k1", "1101", "direct", "X", d[2], 1, 1.0), ("k1", "1102", "theme", "T", d[19], 2, 5.0), ("k2", "1102", "theme", "T", d[19], 7, 9.0), ("k2", "1103", "theme", "T", d[19], 7, 9.0), ("k1", "0050", "direct", "X", d[19], 1, 1.0), ("k9", "1102", "theme", "T", dt.date(2030, 1, 1), 1, 1.0), ("k1", "1101", "direct", "X", dt.date(1990, 1, 1), 1, 1.0)]
+    pairs = rt.event_pairs(spark.createDataFrame(e, "keyword string, stock_id string, link_type string, theme_name string, date date, tone int, traffic double"), calendar, daily)
+    units = {(r["kind"], r["unit"], r["day"]): (r["stock_ids"], r["keywords"], r["tone"], r["traffic"]) for r in rt.event_units(pairs).collect()}
+    assert units == {("direct", "1101", 20): (["1101"], ["k0"], -3, 2.0), ("direct", "1101", 3): (["1101"], ["k1"], 1, 1.0), ("direct", "1101", 1): (["1101"], ["k1"], 1, 1.0), ("theme", "T", 20): (["1102", "1103"], ["k1", "k2"], 9, 9.0)}
+    start = d[10]
+    got = {(r["kind"], r["offset"]): r for r in rt.cumulative_paths(pairs, rt.path_windows(daily, str(start))).collect()}
+    assert len(got) == 32
+    for kind, stocks in (("direct", ["1101"]), ("theme", ["1102", "1103"])):
+        window = np.nanmean([ar[s][14:30] for s in stocks], axis=0)
+        level = np.mean([np.nanmean(ar[s][10:]) for s in stocks])
+        for i, o in enumerate(range(-5, 11)):
+            car = window[5 : i + 1].sum() if o >= 0 else -window[i + 1 : 5].sum()
+            r = got[kind, o]
+            assert r["n"] == 1 and r["se"] is None and r["mean_path"] == pytest.approx(car, abs=1e-12) and r["adjusted_path"] == pytest.approx(car - level * (o + 1), abs=1e-12)
+    ends = {r["kind"]: r["car"] for r in rt.end_table(rt.cumulative_paths(pairs, rt.path_windows(daily, str(start)))).collect()}
+    assert set(ends) == {"direct", "theme"}
+
+
+def test_event_days_count_news_once(spark):
+    """A news of two keywords of the day counts once, the first keyword's returns stand, even where they are null."""
+    day = dt.date(2026, 9, 1)
+    e = spark.createDataFrame([("1", day, day, "b", "theme", "news、listing", 5.0, 0.2, 0.2, 0.2, 0.2, 0.2, 0.2), ("1", day, day, "a", "direct", "heat", 9.0, None, 0.1, 0.1, 0.1, 0.1, 0.1), ("1", dt.date(2026, 9, 2), day, "a", "direct", "heat", None, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1)],
+                              "stock_id string, date date, market_date date, keyword string, link_type string, triggers string, traffic double, " + ", ".join(f"{c} double" for c in ev.RETURNS))
+    n = [(i, k, day, f"t{i}", "s", f"u{i}", tone, kind) for i, k, tone, kind in ((1, "a", "Positive", "x"), (1, "b", "Positive", "x"), (2, "b", "Negative", "y"), (3, "a", "Neutral", "y"), (4, "c", "Positive", "z"), (5, "a", "Unanalyzed", "其他"), (6, "a", "Positive", None), (7, "a", "Positive", "w"), (8, "a", "Positive", "v"))]
+    news = spark.createDataFrame(n, "news_id int, keyword string, date date, news_title string, news_source string, news_url string, news_sentiment string, event_type string")
+    a, b = ev.merge_days(e, news).orderBy("number").collect()
+    assert (a["keywords"], a["link_types"], a["triggers"], a["traffic"], a["return_1d"], a["return_5d"]) == (["a", "b"], ["direct", "theme"], ["heat", "listing", "news"], 9.0, None, 0.1)
+    assert (a["news_count"], a["positive"], a["neutral"], a["negative"], a["event_types"]) == (7, 4, 1, 1, ["y", "v", "w"])
+    assert [h["news_title"] for h in a["headlines"]] == ["t1", "t2", "t3", "t5", "t6"] and a["headlines"][1]["news_sentiment"] == "Negative"
+    assert (b["number"], b["news_count"], b["headlines"], b["traffic"]) == (2, 0, None, None)
+
+
+def test_last_exit_counts(spark):
+    lines = ["[2026/09/01  8:00:00.10] etl start", "[2026/09/01  8:10:00.10] etl exit 0", "[2026/09/01  9:00:00.10] etl start", "[2026/09/01  9:30:00.10] etl exit 3", "[2026/09/01 10:00:00.10] etl start"]
+    df = spark.createDataFrame([("etl", i, v) for i, v in enumerate(lines)], "job string, line int, value string")
+    assert lg.last_finished(df).first()["last_run"] == dt.datetime(2026, 9, 1, 9, 30)
+
+
+def test_acceptance(spark):
+    """What stands after the exit line doesn't count; every verdict is reached."""
+    from heedstream.operators import acceptance as ac
+
+    lines, n = [], 0
+    for day, requests, items, backlog in ((1, 10, 100, 9000), (2, 10, 0, 9500), (11, 20, 4000, 8000), (12, 20, 4000, 6000), (13, 20, 4000, 5000), (14, 20, 4000, 3000)):
+        lines += [f"[2026/10/{day:02d}  8:00:00.10] etl start", f"Requests: {requests}", f"Processed: {items} (news {items})", f"Skipped: keywords {backlog // 10}, news {backlog}", f"503 Count: {requests // (2 if day < 10 else 5)}", "Stopped: no" if day < 14 else "Stopped: all models unavailable now"]
+        lines += ["News AI batch failed (20 items): timeout"] * (day == 14) + [f"[2026/10/{day:02d}  8:30:00.10] etl exit 0", "Requests: 777"]
+    df = spark.createDataFrame([("etl", i, v) for i, v in enumerate(lines)], "job string, line int, value string")
+    stats = ac.periods(ac.run_stats(df), F.expr("timestamp '2026-10-02 00:00:00'"), F.expr("timestamp '2026-10-10 00:00:00'"))
+    r = {x["period"]: x for x in ac.cutover_summary(stats, 15).collect()}
+    assert (r["before"]["runs"], r["before"]["news_backlog_per_day"], r["before"]["zero_runs_share"]) == (1, 0.0, 100.0)
+    a = r["after"]
+    assert (a["runs"], a["quota_days"], a["requests"], a["items_per_request"], a["s503_share"], a["all_models_out"], a["batch_failures"], a["news_backlog_first"], a["news_backlog_last"]) == (4, 4, 80, 200.0, 20.0, 1, 1, 8000, 3000)
+    assert a["news_backlog_per_day"] == pytest.approx(-5000 / 3)
+    snap = spark.createDataFrame([(25.0, {"Positive": 450, "Negative": 50})], "coverage double, sentiments map<string,bigint>")
+    judged = lambda summary, hours: {x["check"]: x["verdict"] for x in ac.acceptance(summary, snap, hours).collect()}
+    got = judged(ac.cutover_summary(stats, 15), 80.0)
+    assert got == {"news backlog": "pass", "keyword backlog": "pass", "share of 503": "pass", "runs without items": "pass", "items per request": "pass", "items per quota day": "pass", "all models out": "pass", "coverage": "short", "whole answers": "short", "one sentiment": "fail"}
+    assert set(judged(ac.cutover_summary(stats.where("period = 'before'"), 15), 10.0).values()) == {"watching", "fail"}
+    assert [x["message"] for x in ac.latest_failures(df, stats).collect()] == ["timeout"]
+
+
+def test_folded_tables_stay_small(spark, tmp_path):
+    """Files stay few, a batch may run again at any time, and readers see whole batches."""
+    from heedstream.streaming.streams import Folded
+
+    schema = spark.createDataFrame([], "k int, n long").schema
+    table = Folded(spark, str(tmp_path), schema, lambda df: df.groupBy("k").agg(F.sum("n").alias("n")), every=3, buckets=1)
+    want = {}
+    for batch in range(14):
+        for again in range(1 + (batch % 4 == 1)):
+            table.write(spark.createDataFrame([(batch % 5, 1), (9, batch)], schema), batch)
+        for k, n in ((batch % 5, 1), (9, batch)):
+            want[k] = want.get(k, 0) + n
+        if batch % 5 == 3:
+            assert {r["k"]: r["n"] for r in table.read().collect()} == want
+    assert {r["k"]: r["n"] for r in table.read().collect()} == want
+    assert sum(r["n"] for r in table.before(13).collect()) == sum(want.values()) - 14
+    names = sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("run-"))
+    assert len(names) <= 10 and len(table.runs()) <= 6 and len(table.manifests()) <= 2
+
+
+def test_counters_of_the_stream(spark, tmp_path):
+    """The counters that the stream observes are those of the batch form, batch by batch, and again after a restart."""
+    from heedstream.streaming import streams as sm
+
+    at = lambda h: dt.datetime(2026, 9, 1, h)
+    schema = "batch long, fetched_at timestamp, keyword string, published_at timestamp, approx_traffic string, usable boolean, broken boolean, news array<struct<news_item_title:string,news_item_url:string,news_item_source:string>>"
+    item = lambda b, h, k, news, usable=True, broken=False: (b, at(h), k, at(0), f"{h}+", usable, broken, [(u, u, "s") for u in news])
+    polls = [[item(0, 1, "a", "xy"), item(0, 1, "b", "x"), item(0, 1, None, "z", False)], [item(1, 2, "a", "xz"), item(1, 2, "c", "", True, True), item(1, 2, "d", "x"), item(1, 3, "d", "xx")], [item(2, 4, "a", "x")]]
+    folder = f"{tmp_path}/in"
+    for rows in polls:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        out = sm.collect_items(sm.read_files(spark, folder, spark.createDataFrame([], schema).schema), f"{tmp_path}/job", every=2)
+    every = spark.createDataFrame([x for rows in polls for x in rows], schema)
+    none = every.select("keyword", "published_at").limit(0)
+    want = sorted(map(tuple, up.collect_counts(none, none.withColumn("news_url", F.lit("")), every).collect()))
+    assert sorted(map(tuple, out["counts"].collect())) == want == [(0, 2, 2, 0, 3, 1, 0), (1, 4, 2 - 1, 2, 2, 0, 1), (2, 1, 0, 1, 0, 0, 0)]
+    assert sorted((r["keyword"], r["approx_traffic"]) for r in out["bursts"].collect()) == [("a", "4+"), ("b", "1+"), ("d", "3+")]
+    assert out["news"].count() == 5
 
 
 def test_set_columns(spark):
