@@ -57,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, spent = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name.split()[0])
+        docs = stage_table(stage(spark, docs, sf_dir), name.split()[0], spent)
+        spent = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

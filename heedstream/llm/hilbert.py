@@ -10,7 +10,8 @@ No row order is ever built in one task: rows are counted by (curve index,
 hash slice), the small table of counts gives every slice its first
 position, and rows are numbered inside their slice only, in the same
 partitioning that brings the first positions to them. A cell that holds
-a third of all rows is spread over ``SLICES`` hash slices.
+a third of all rows is spread over ``SLICES`` hash slices, or more in a table
+of more than ``SLICE_ROWS`` rows for each.
 
 Null dimensions take cell 0. Repeated rows and ties are ordered by hash,
 key and size; equal rows are interchangeable. An empty table gives no rows.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from heedstream.llm._common import stage_table
 
-#: Hash slices of one curve cell, and the most curve bits: at most SLICES * 2**MOST_BITS counts.
-SLICES, MOST_BITS = 256, 12
+#: Least hash slices of one curve cell, rows of a table for each slice, and the most curve bits.
+SLICES, SLICE_ROWS, MOST_BITS = 256, 1_000_000, 18
 
 
 def quantise_log(c: Column, bits: int) -> Column:
@@ -82,8 +83,10 @@ def shard(rows: DataFrame, dims: list[Column], bits: int, shards: int, order: li
         raise ValueError(f"at most {MOST_BITS} curve bits")
     at = rows.withColumns({"curve_index": hilbert_index(dims, bits), "_rank": F.xxhash64(*order)})
     # written once: the curve is computed once for each row, though counts and rows both read it
-    at = stage_table(at.withColumn("_slice", F.shiftright("_rank", 56).cast("int") + SLICES // 2), "curve")
-    at = at.withColumn("_cell", F.col("curve_index"))
+    at = stage_table(at, "curve")
+    # slices follow the rows, so that a cell that holds most of a large table still comes apart
+    slices = max(SLICES, 1 << max(0, -(-at.count() // SLICE_ROWS) - 1).bit_length())
+    at = at.withColumns({"_slice": F.shiftright("_rank", 65 - slices.bit_length()).cast("int") + slices // 2, "_cell": F.col("curve_index")})
     counts = at.groupBy("_cell", "_slice").agg(F.count("*").alias("n"))
     cells = counts.groupBy("_cell").agg(F.sum("n").alias("m"))
     line = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -35,23 +35,29 @@ SAMPLE, BITS, PASSES = 6000, 17, 12
 GRADES = ("toxic", "junk", "good")
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(feature indices, end of each text) of the words, then of the trigrams."""
+def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(feature indices, where each text's begin and end) of the words, then of the trigrams that lie within one text."""
     word, _, _, first = words(data, offsets)
     half = 1 << (BITS - 1)
-    yield (word & np.uint64(half - 1)).astype(np.int32), first
+    yield (word & np.uint64(half - 1)).astype(np.int32), first[:-1], first[1:]
     d = data.astype(np.uint32)
     if len(d) >= 3:
         tri = (d[:-2] << 16 | d[1:-1] << 8 | d[2:]) * np.uint32(2654435761)
         tri = (tri >> np.uint32(33 - BITS)).astype(np.int32) + half
     else:
         tri = np.zeros(0, np.int32)
-    yield tri, np.minimum(offsets, len(tri))
+    begin = np.minimum(offsets[:-1], len(tri))
+    yield tri, begin, np.maximum(begin, offsets[1:] - 2)
 
 
-def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-    return total[ends[1:]] - total[ends[:-1]]
+def _sums(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of x over [begin, end), each from its own values alone, so that a text's score doesn't hang on its neighbours."""
+    out = np.zeros(len(begin))
+    some = np.flatnonzero(end > begin)
+    if len(some):
+        edges = np.column_stack([begin[some], end[some]]).ravel()
+        out[some] = np.add.reduceat(np.append(x, x.dtype.type(0)), edges, dtype=np.float64)[::2]
+    return out
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -59,8 +65,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     parts = list(_features(data, offsets))
     for k in range(len(offsets) - 1):
         index, value = [], []
-        for x, ends in parts:
-            own = x[ends[k] : ends[k + 1]]
+        for x, begin, end in parts:
+            own = x[begin[k] : end[k]]
             if len(own):
                 i, n = np.unique(own, return_counts=True)
                 index.append(i)
@@ -70,9 +76,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 
 def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offsets) - 1)
-    for x, ends in _features(data, offsets):
-        n = np.diff(ends)
-        out += _sums(weights[x], ends) / np.sqrt(np.maximum(n, 1))
+    for x, begin, end in _features(data, offsets):
+        out += _sums(weights[x], begin, end) / np.sqrt(np.maximum(end - begin, 1))
     return out
 
 
@@ -135,7 +140,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, grades: int = len(GRADES)) -> Ordinal | None:
-    """Fit on at most ``sample`` rated documents; only their sparse features reach the driver."""
+    """Fit on at most ``sample`` rated documents; only their sparse features reach the driver.
+
+    Ids are chosen by their hashes; where documents repeat a chosen id, the
+    rows themselves are cut to ``sample`` in the same order, by task first.
+    """
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
@@ -145,7 +154,8 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, grades: int =
                 pairs = list(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:end], batch.column("grade")[first:end], pa.array([i.tobytes() for i, _ in pairs], pa.binary()), pa.array([v.tobytes() for _, v in pairs], pa.binary())], ["doc_id", "grade", "i", "v"])
 
-    found = sorted(texts.mapInArrow(lean(run), "doc_id long, grade int, i binary, v binary").toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["i"])))
+    made = texts.mapInArrow(lean(run), "doc_id long, grade int, i binary, v binary")
+    found = sorted(made.orderBy(F.xxhash64("doc_id"), "doc_id", "i").limit(sample).collect(), key=lambda r: (r["doc_id"], bytes(r["i"])))
     grade = np.array([r["grade"] for r in found], dtype=np.int64)
     if len(np.unique(grade)) < 2:
         return None

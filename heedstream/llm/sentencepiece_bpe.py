@@ -35,6 +35,8 @@ from heedstream.llm._common import lean
 MARK = "▁"
 #: Words of a generation that a task keeps, and of those left to the next task; they bound memory only.
 KEPT_WORDS, CORE_WORDS = 250_000, 60_000
+#: Characters of the longest word that is kept; with them the count of words bounds their bytes.
+LONGEST_KEPT = 64
 #: Symbols up to which the agenda is a list.
 SHORT = 24
 
@@ -180,6 +182,10 @@ class Model:
             else:  # every word decodes to itself
                 back = " " + text.replace(MARK, " ") if text else ""
             yield ",".join(map(pick, own)), back[1:] if back[:1] == " " else back
+        for s in new:
+            if len(s) > LONGEST_KEPT:
+                self.kept.pop(s, None)
+                self.odd.pop(s, None)
 
     def hold(self, text: str, ids: str, decoded: str) -> None:
         """Hold a whole text's ids and decoded form against the library's."""

@@ -585,7 +585,6 @@ def test_license_scan(spark):
                 if len(s & set(held[at : at + 2 * size])) >= 0.8 * len(s):
                     want.add((d, name))
     assert got == want
-    assert (1 - 0.8 / 2) ** license_scan.bands_for(0.8, 1e-5) <= 1e-5
     assert license_scan.scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -679,3 +678,37 @@ def test_pipeline(spark, sf_dir):
         assert any(least_distance(t, decontam.normalise(three[i])) <= 0.1 * len(t) for _, t in items)
     assert not any(t in decontam.normalise(three[i]) for i in ids[4] for _, t in items)
     assert cp.run(spark, sf_dir).count() == len(ids[-1])
+
+
+def test_quality_sample_and_neighbours(spark, monkeypatch):
+    """Repeated ids don't pass the sample's bound; a text scores the same whatever stands beside it, and texts of more than a chunk come whole."""
+    seen = []
+    monkeypatch.setattr(quality.Ordinal, "fit", staticmethod(lambda rows, grade, grades: seen.append(len(rows))))
+    table = docs(spark, ["good words here", "bad words there"] * 50, [1, 2] * 50)
+    quality.fit(table, spark.createDataFrame([(1, 2), (2, 0)], "doc_id long, grade int"), sample=60)
+    assert seen == [60]
+    weights = np.random.default_rng(1).standard_normal(1 << quality.BITS).astype(np.float32)
+    texts = [b"", b"a", b"ab", b"abc", b"some words and more", b"x" * (1 << 20), "é中".encode() * 9]
+    alone = [quality.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]), weights)[0] for t in texts]
+    for order in ([0, 1, 2, 3, 4, 5, 6], [6, 3, 5, 0, 2, 1, 4], [4, 4, 1, 0, 0, 6, 3]):
+        data = b"".join(texts[k] for k in order)
+        together = quality.scores(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(texts[k]) for k in order)]), weights)
+        assert together.tolist() == [alone[k] for k in order]
+
+
+def test_long_words_are_not_kept():
+    import public_tokenizers
+
+    own = sentencepiece_bpe.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "short " + "q" * 5000 + " words"
+    first, again = list(own.batch([text])), list(own.batch([text]))
+    assert first == again and all(len(s) <= sentencepiece_bpe.LONGEST_KEPT for s in own.kept)
+
+
+def test_more_slices(spark, monkeypatch):
+    """Shards are the same whatever the number of hash slices in a cell."""
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("c"))
+    cut = lambda: sorted(map(tuple, hilbert.shard(rows, [F.col("c"), F.lit(0)], 2, 8, ["doc_id"]).select("doc_id", "shard", "slot").collect()))
+    one = cut()
+    monkeypatch.setattr(hilbert, "SLICE_ROWS", 1)
+    assert cut() == one
