@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heedstream.functions.exprs import OTHER_THEME, SENTIMENTS, UNANALYZED, expected_trading_day, previous_weekday, sentiment_form, taipei_day
+from heedstream.functions.exprs import OTHER_THEME, SENTIMENTS, UNANALYZED, expected_trading_day, keyword_form, previous_weekday, sentiment_form, taipei_day
 from heedstream.operators import logs as lg
 
 
@@ -38,10 +38,29 @@ def theme_coverage(themes: DataFrame, bursts: DataFrame, news: DataFrame) -> Dat
     return themes.select("theme_name").distinct().join(t, "theme_name", "left").join(n, "theme_name", "left").select("theme_name", zero("bursts"), zero("news"))
 
 
-def entity_coverage(bursts: DataFrame, entities: DataFrame) -> DataFrame:
-    """How many keywords have an entity."""
-    hit = entities.where(F.coalesce("entity_type", F.lit(OTHER_THEME)) != OTHER_THEME).select(F.col("entity_name").alias("keyword"), F.lit(True).alias("_e")).distinct()
-    return bursts.select("keyword").distinct().join(hit, "keyword", "left").agg(F.count("*").alias("keywords"), F.count_if("_e").alias("resolved"), (F.count("*") - F.count_if("_e")).alias("unresolved"))
+def keyword_themes(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows (keyword, ...) under every theme whose keywords have the same normal form, for tables without classes."""
+    themes = mapping.select("theme_name", keyword_form(F.col("keyword")).alias("_form")).distinct()
+    return rows.drop("theme_name").withColumn("_form", keyword_form(F.col("keyword"))).join(themes, "_form").drop("_form")
+
+
+def _with_entity(bursts: DataFrame, classified: DataFrame) -> DataFrame:
+    known = F.col("entity_name").isNotNull() & F.col("entity_type").isNotNull() & (F.col("entity_type") != OTHER_THEME)
+    rows = bursts.where("trim(keyword) <> ''").join(classified.select("keyword", "entity_name", "entity_type"), "keyword", "left")
+    return rows.withColumn("_known", F.coalesce(known, F.lit(False)))
+
+
+def entity_coverage(bursts: DataFrame, classified: DataFrame) -> DataFrame:
+    """How many keywords have an entity, and their share; blank keywords don't count."""
+    rows = _with_entity(bursts, classified).select("keyword", "_known").distinct()
+    hits = F.count_if("_known")
+    return rows.agg(F.count("*").alias("keywords"), hits.alias("resolved"), (F.count("*") - hits).alias("unresolved"), F.coalesce(F.try_divide(hits, F.count("*")), F.lit(0.0)).alias("rate"))
+
+
+def unresolved_keywords(bursts: DataFrame, classified: DataFrame, most: int = 100) -> DataFrame:
+    """Keywords without an entity by the number of their bursts; a top-k report (all of them if ``most`` is 0)."""
+    rows = _with_entity(bursts, classified).where("not _known").groupBy("keyword").agg(F.count("burst_id").alias("bursts")).orderBy(F.col("bursts").desc(), "keyword")
+    return rows.limit(most) if most else rows
 
 
 def quality_summary(bursts: DataFrame, classified: DataFrame) -> DataFrame:

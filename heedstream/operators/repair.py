@@ -81,23 +81,54 @@ def dedupe_report(before_bursts: DataFrame, after_bursts: DataFrame, before_news
 
 
 def repair_times(rows: DataFrame, fetch_zone: str = "Asia/Taipei", publish_zone: str = "America/Los_Angeles") -> DataFrame:
-    """Text times to UTC by era: 26 characters were fetched in local time and published in the feed's zone, 19 characters are UTC."""
+    """Text times to UTC: published ones are in the feed's zone; fetched ones of 26 characters are in local time, of 19 in UTC already.
+
+    Adds era, both UTC times, the problem that keeps a row from repair, the
+    lag before and after it, and by how many hours publishing was moved.
+    """
     old = F.length("fetched_at") == 26
     fetched, published = strict_time(F.col("fetched_at")), strict_time(F.col("published_at"))
     out = rows.withColumn("era", F.when(old, "local").when(F.length("fetched_at") == 19, "utc"))
     out = out.withColumn("_f", local_to_utc(fetched, fetch_zone)).withColumn("_p", local_to_utc(published, publish_zone))
-    out = out.withColumn("fetched_utc", F.when(old, F.col("_f.utc")).otherwise(fetched)).withColumn("published_utc", F.when(old, F.col("_p.utc")).otherwise(published))
-    out = out.withColumn("problem", F.when(F.col("era").isNull(), "layout").when(old, F.coalesce("_f.problem", "_p.problem"))).drop("_f", "_p")
-    return out.withColumn("lag_seconds", F.unix_timestamp("fetched_utc") - F.unix_timestamp("published_utc"))
-
-
-def lag_stats(repaired: DataFrame) -> DataFrame:
-    """Rows, extremes and upper median (element n div 2) of the lag of each era, by rank within the era."""
-    good = repaired.where("lag_seconds is not null")
-    return good.groupBy("era").agg(F.count("*").alias("rows"), F.min("lag_seconds").alias("least"), F.max("lag_seconds").alias("most"), F.expr("percentile_disc(0.5) within group (order by -lag_seconds)").alias("_m")).select("era", "rows", "least", "most", (-F.col("_m")).cast("long").alias("median"))
-
-
-def precondition_counts(rows: DataFrame) -> DataFrame:
-    """Layouts, rows of which both columns disagree, and (after repair) negative lags."""
-    a, b = F.length("fetched_at"), F.length("published_at")
-    return rows.agg(F.count("*").alias("rows"), F.count_if(a == 26).alias("long_layout"), F.count_if(a == 19).alias("short_layout"), F.count_if(~a.isin(19, 26)).alias("other_layout"), F.count_if(a != b).alias("disagree"))
+    layout = F.col("era").isNull() | fetched.isNull() | published.isNull()
+    out = out.withColumn("problem", F.when(layout, "layout").when(old, F.coalesce("_f.problem", "_p.problem")).otherwise(F.col("_p.problem")))
+    good = F.col("problem").isNull()
+    out = out.withColumn("fetched_utc", F.when(old, F.col("_f.utc")).otherwise(fetched)).withColumn("published_utc", F.col("_p.utc"))
+    seconds = lambda a, b: F.when(good, F.unix_timestamp(a) - F.unix_timestamp(b))
+    out = out.withColumns({"lag_before": seconds(fetched, published), "lag_seconds": seconds(F.col("fetched_utc"), F.col("published_utc")), "offset_hours": seconds(F.col("published_utc"), published) / 3600})
+    return out.drop("_f", "_p")
+
+
+def lag_stats(repaired: DataFrame, column: str = "lag_seconds") -> DataFrame:
+    """Rows, extremes, mean and upper median (element n div 2) of a lag (``lag_before`` or after) by era, by rank within the era."""
+    # nulls are left to the aggregates: a filter would repeat the whole repair in the scan
+    median = F.expr(f"percentile_disc(0.5) within group (order by -{column})")
+    out = repaired.groupBy("era").agg(F.count(column).alias("rows"), F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean"), median.alias("_m")).where("rows > 0")
+    return out.select("era", "rows", "least", "most", "mean", (-F.col("_m")).cast("long").alias("median"))
+
+
+def offset_counts(repaired: DataFrame) -> DataFrame:
+    """Rows by the hours that their time of publishing was moved."""
+    label = F.format_string("%+.0fh", "offset_hours")
+    return repaired.groupBy(label.alias("offset")).agg(F.count("offset_hours").alias("rows")).where("rows > 0")
+
+
+def precondition_counts(bursts: DataFrame, news: DataFrame) -> DataFrame:
+    """What keeps the times of bursts (burst_id, published_at, fetched_at) and news (burst_id, fetched_at) from repair (check, rows); all of it 0 is fit."""
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    odd = lambda c: ~size(c).isin(19, 26)
+    part = lambda c: (F.length(c) == 26) & (F.substr(c, F.lit(20)) != ".000000")
+    null = F.col("published_at").isNull() | F.col("fetched_at").isNull()
+    b = bursts.agg(F.count_if(null).alias("null times"), F.count_if(~null & (odd("published_at") | odd("fetched_at"))).alias("unknown layout"), F.count_if(F.length("published_at") != F.length("fetched_at")).alias("layouts differ"), F.count_if(part("published_at") | part("fetched_at")).alias("_f"))
+    n = news.agg(F.count_if(odd("fetched_at")).alias("unknown news layout"), F.count_if(part("fetched_at")).alias("_g"))
+    met = news.select("burst_id", F.length("fetched_at").alias("_n")).join(bursts.select("burst_id", F.length("fetched_at").alias("_b")), "burst_id").agg(F.count_if(F.col("_n") != F.col("_b")).alias("news of another era"))
+    row = b.crossJoin(n).crossJoin(met).withColumn("fractions of seconds", F.col("_f") + F.col("_g"))
+    names = ["null times", "unknown layout", "layouts differ", "unknown news layout", "news of another era", "fractions of seconds"]
+    return row.select(F.explode(F.array(*[F.struct(F.lit(x).alias("check"), F.col(x).alias("rows")) for x in names])).alias("r")).select("r.*")
+
+
+def verify_times(before: DataFrame, repaired: DataFrame, least_hours: float = 0.0) -> DataFrame:
+    """After the repair (check, rows): rows lost or made, rows that weren't repaired, and lags under the least one, which say that a zone is wrong."""
+    counts = repaired.agg(F.count("*").alias("_n"), F.count_if(F.col("problem").isNotNull()).alias("not repaired"), F.count_if(F.col("lag_seconds") < F.lit(least_hours * 3600 - 0.0036)).alias("negative lags"))
+    row = counts.crossJoin(before.agg(F.count("*").alias("_b"))).withColumn("rows changed", F.abs(F.col("_n") - F.col("_b")))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(x).alias("check"), F.col(x).alias("rows")) for x in ("rows changed", "not repaired", "negative lags")])).alias("r")).select("r.*")

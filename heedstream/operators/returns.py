@@ -154,10 +154,11 @@ def technicals(prices: DataFrame) -> DataFrame:
 
 
 def post_news(articles: DataFrame, prices: DataFrame, rows: int = 5) -> DataFrame:
-    """Articles (news_id, stock_id, date): mean return from the first day after to ``rows`` rows on."""
-    ahead = prices.select("stock_id", "date", "close", F.lead("close", rows).over(by_stock()).alias("exit"))
-    met = align(articles, ahead, "right").where("day0.close <> 0 and day0.exit is not null")
-    return met.groupBy("news_id").agg(F.avg(ratio(F.col("day0.exit"), F.col("day0.close"))).alias("return_after"), F.count("*").alias("stocks"))
+    """Articles (news_id, stock_id, date): mean return from the first day after to ``rows`` rows on, and of how many stocks; an article without any has a null and 0."""
+    ahead = prices.where("close is not null").select("stock_id", "date", "close", F.lead("close", rows).over(by_stock()).alias("exit"))
+    met = align(articles, ahead, "right")
+    gain = F.when((F.col("day0.close") != 0) & F.col("day0.exit").isNotNull(), ratio(F.col("day0.exit"), F.col("day0.close")))
+    return met.groupBy("news_id").agg(F.avg(gain).alias("return_after"), F.count(gain).alias("stocks"))
 
 
 def daily_abnormal(prices: DataFrame, benchmark: str, price: str = "adj_close") -> DataFrame:
@@ -182,8 +183,10 @@ def daily_abnormal(prices: DataFrame, benchmark: str, price: str = "adj_close")
 
 
 def volatility(prices: DataFrame, benchmark: str) -> DataFrame:
-    """Recent 20 days against the 40 before, the ratio a day earlier, and the five days after."""
-    out = daily_abnormal(prices, benchmark, "adj_close").withColumn("move", F.abs("ar"))
+    """Recent 20 days against the 40 before, the ratio a day earlier, and the five days after; a stock without any adjusted close goes by its closes."""
+    adjusted = F.count("adj_close").over(Window.partitionBy("stock_id")) > 0
+    closes = prices.select("stock_id", "date", F.when(adjusted, F.col("adj_close")).otherwise(F.col("close")).alias("price"))
+    out = daily_abnormal(closes, benchmark, "price").withColumn("move", F.abs("ar"))
     recent, usual, after = _rows(-19, 0), _rows(-59, -20), _rows(1, 5)
     out = out.withColumn("recent", F.when(F.count("move").over(recent) >= 15, F.avg("move").over(recent)))
     out = out.withColumn("usual", F.when(F.count("move").over(usual) >= 25, F.avg("move").over(usual)))

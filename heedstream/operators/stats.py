@@ -140,9 +140,9 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def heat_price(heat: DataFrame, returns: DataFrame, pairs: DataFrame | None = None, least: int = 5) -> DataFrame:
-    """Same-day correlation of heat (keyword, date, heat) and returns (stock_id, date, r), of the given pairs (stock_id, keyword) or of all."""
-    own = returns.join(pairs, "stock_id").join(heat, ["keyword", "date"]) if pairs is not None else returns.join(heat, "date")
+def heat_price(heat: DataFrame, returns: DataFrame, pairs: DataFrame, least: int = 5) -> DataFrame:
+    """Same-day correlation of heat (keyword, date, heat) and returns (stock_id, date, r), of the given pairs (stock_id, keyword)."""
+    own = returns.join(pairs, "stock_id").join(heat, ["keyword", "date"])
     met = own.where("heat is not null and r is not null")
     return met.groupBy("stock_id", "keyword").agg(F.count("*").alias("n"), correlation("heat", "r").alias("r")).where(F.col("n") >= least)
 
@@ -159,9 +159,12 @@ def _best_lags(heat: DataFrame, returns: DataFrame, pairs: DataFrame, least: int
     around = returns.select("stock_id", "date", "r", *[at(k).alias(f"_r{k + lags}") for k in range(-lags, lags + 1)])
     around = around.select("stock_id", "date", F.array(*[f"_r{k}" for k in range(2 * lags + 1)]).alias("_r"))
     met = around.join(pairs.select("stock_id", "keyword").distinct(), "stock_id").join(heat.where("heat is not null"), ["keyword", "date"])
-    each = met.select("stock_id", "keyword", "heat", F.posexplode("_r").alias("lag", "r")).where("r is not null")
-    each = each.groupBy("stock_id", "keyword", "lag").agg(F.count("*").alias("n"), correlation("heat", "r").alias("c"))
-    each = each.where((F.col("n") >= least) & F.col("c").isNotNull()).withColumn("lag", F.col("lag") - lags)
+    # the sums of all lags are one aggregation
+    size = 2 * lags + 1
+    r, h = [F.col("_r")[k] for k in range(size)], [F.when(F.col("_r")[k].isNotNull(), F.col("heat")) for k in range(size)]
+    sums = met.groupBy("stock_id", "keyword").agg(*[x for k in range(size) for x in (F.count(r[k]).alias(f"n{k}"), F.try_divide(F.covar_samp(h[k], r[k]), F.stddev_samp(h[k]) * F.stddev_samp(r[k])).alias(f"c{k}"))])
+    each = sums.select("stock_id", "keyword", F.explode(F.array(*[F.struct(F.lit(k - lags).alias("lag"), F.col(f"n{k}").alias("n"), F.col(f"c{k}").alias("c")) for k in range(size)])).alias("e")).select("stock_id", "keyword", "e.*")
+    each = each.where((F.col("n") >= least) & F.col("c").isNotNull())
     best = each.groupBy("stock_id", "keyword").agg(F.min_by(F.struct("lag", "c", "n"), F.struct(-F.abs("c"), F.abs("lag"), F.col("lag"))).alias("b"), F.max(F.when(F.col("lag") == 0, F.col("c"))).alias("same_day"))
     return best.select("stock_id", "keyword", F.col("b.lag").alias("best_lag"), F.col("b.c").alias("r"), F.col("b.n").alias("n"), "same_day")
 
@@ -208,6 +211,18 @@ def modal_share(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg((F.max("n") / F.sum("n")).alias(f"{column}_modal_share"))
 
 
+def quality_check(performance: DataFrame, news: DataFrame, keys: list[str]) -> DataFrame:
+    """Shares of sentiments and their coverage, valid reaction days, and warnings: one breakout day of more than 35 %, more than 80 % neutral news. Without rows there is nothing to warn of."""
+    out = sentiment_shares(news, keys)
+    valid = performance.groupBy(*keys).agg((F.avg(F.when(F.col("reaction_days").isNotNull(), F.col("reaction_days").between(0, 30).cast("double"))) * 100).alias("reaction_days_valid_pct"))
+    out = out.join(valid, keys, "full")
+    for n in (20, 60):
+        out = out.join(modal_share(performance, f"ma{n}_breakout_day", keys).withColumnRenamed(f"ma{n}_breakout_day_modal_share", f"ma{n}_share"), keys, "left")
+        out = out.withColumn(f"ma{n}_warning", F.coalesce(F.col(f"ma{n}_share") > 0.35, F.lit(False)))
+    warned = F.coalesce((F.col("analyzed") > 0) & (F.col("neutral_pct") > 80), F.lit(False))
+    return out.withColumns({"reaction_days_valid_pct": F.coalesce("reaction_days_valid_pct", F.lit(100.0)), "sentiment_warning": warned})
+
+
 def signal_scores(events: DataFrame) -> DataFrame:
     """Events (event_id, stock_id, date, approx_traffic, volume_change, news_sentiment, future_return_5d).
 
@@ -271,11 +286,11 @@ def deciles(rows: DataFrame, column: str) -> DataFrame:
 
 def matched(panel: DataFrame, flag: str, columns: tuple[str, ...] = ("future5", "future10")) -> DataFrame:
     """Event rows against the mean of event-free rows in the same bucket."""
-    controls = panel.where("not near_event").groupBy("bucket").agg(*[F.avg(c).alias(f"{c}_control") for c in columns], F.avg(F.col("big5").cast("double")).alias("big5_control"))
+    controls = panel.where("not near_event").groupBy("bucket").agg(*[F.avg(c).alias(f"{c}_control") for c in ("today", *columns)], F.avg(F.col("big5").cast("double")).alias("big5_control"))
     hits = panel.where(flag).join(F.broadcast(controls), "bucket")
     for c in columns:
         hits = hits.withColumn(f"{c}_diff", F.col(c) - F.col(f"{c}_control"))
-    return hits.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.avg(f"{c}_control").alias(f"{c}_control_mean") for c in columns], *[F.avg(f"{c}_diff").alias(f"{c}_diff_mean") for c in columns], *[t_stat(f"{c}_diff").alias(f"{c}_t") for c in columns], F.avg(F.col("big5").cast("double")).alias("big5_share"), F.avg("big5_control").alias("big5_control_share"))
+    return hits.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in ("today", *columns)], *[F.avg(f"{c}_control").alias(f"{c}_control_mean") for c in ("today", *columns)], *[F.avg(f"{c}_diff").alias(f"{c}_diff_mean") for c in columns], *[t_stat(f"{c}_diff").alias(f"{c}_t") for c in columns], F.avg(F.col("big5").cast("double")).alias("big5_share"), F.avg("big5_control").alias("big5_control_share"))
 
 
 def clustered_ols(rows: DataFrame, y: str, x: list[str], cluster: str) -> DataFrame:
@@ -306,20 +321,29 @@ def clustered_ols(rows: DataFrame, y: str, x: list[str], cluster: str) -> DataFr
     return rows.sparkSession.createDataFrame([(names[i], float(beta[i]), float(se[i]) if enough else None, float(beta[i] / se[i]) if enough and se[i] else None, n, g) for i in range(k)], "term string, beta double, se double, t double, n long, clusters long")
 
 
-def event_profile(panel: DataFrame, flag: str, sample: Column, most: int = 400, before: int = 5, after: int = 20) -> DataFrame:
-    """Mean path of event rows and of a bounded number of event-free rows of each bucket, weighted by the events' buckets."""
-    hits = panel.where(flag)
-    weights = hits.groupBy("bucket").agg(F.count("*").alias("w"))
-    pool = panel.where("not near_event").withColumn("_k", F.row_number().over(Window.partitionBy("bucket").orderBy(sample, "stock_id", "day"))).where(F.col("_k") <= most)
-
-    def path(rows: DataFrame) -> DataFrame:
-        spread = rows.select("stock_id", "day", "bucket", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")).withColumn("at", F.col("day") + F.col("offset"))
-        return spread.join(panel.select("stock_id", F.col("day").alias("at"), F.col("today").alias("v")), ["stock_id", "at"])
+def event_profile(panel: DataFrame, every: DataFrame, flag: str, sample: Column, most: int = 400, before: int = 5, after: int = 20) -> DataFrame:
+    """Mean path of event rows and of a bounded number of event-free rows of each bucket, weighted by the events' buckets.
 
-    own = path(hits).groupBy("offset").agg(F.avg("v").alias("event"), F.count("*").alias("n"))
-    control = path(pool).groupBy("bucket", "offset").agg(F.avg("v").alias("v")).join(F.broadcast(weights), "bucket")
-    control = control.groupBy("offset").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("control"))
-    return own.join(control, "offset", "left")
+    Rows are those of ``panel``; the values around them come from ``every``,
+    which has all calendar days of a stock. Windows that the calendar cuts off don't count, in the paths;
+    the weights count all events.
+    """
+    by = Window.partitionBy("stock_id").orderBy("day")
+    shift = lambda o: F.lead("today", o).over(by) if o > 0 else F.lag("today", -o).over(by) if o < 0 else F.col("today")
+    around = every.select("stock_id", "day", F.array(*[shift(o) for o in range(-before, after + 1)]).alias("_v"), F.max("day").over(Window.partitionBy("stock_id")).alias("_last"))
+    around = around.where((F.col("day") - before >= 1) & (F.col("day") + after <= F.col("_last"))).drop("_last")
+    hits = panel.where(flag).select("stock_id", "day", "bucket", F.lit(True).alias("_hit"))
+    pool = panel.where("not near_event").withColumn("_k", F.row_number().over(Window.partitionBy("bucket").orderBy(sample, "stock_id", "day"))).where(F.col("_k") <= most)
+    rows = stage(hits.union(pool.select("stock_id", "day", "bucket", F.lit(False))), "chosen")
+    weights = rows.where("_hit").groupBy("bucket").agg(F.count("*").alias("w"))
+    total = rows.where("_hit").agg(F.count("*").alias("_all"))
+    size = before + after + 1
+    paths = rows.join(around, ["stock_id", "day"])
+    sums = stage(paths.groupBy("_hit", "bucket").agg(F.count("*").alias("n"), F.array(*[F.struct(F.sum(F.col("_v")[k]).alias("s"), F.count(F.col("_v")[k]).alias("c")) for k in range(size)]).alias("v")).select("_hit", "bucket", "n", F.posexplode("v").alias("k", "v")), "profile")
+    own = sums.where("_hit").groupBy("k").agg(F.try_divide(F.sum("v.s"), F.sum("v.c")).alias("event"), F.sum("n").alias("n"))
+    control = sums.where("not _hit").join(F.broadcast(weights), "bucket").crossJoin(F.broadcast(total))
+    control = control.groupBy("k").agg(F.sum(F.try_divide("v.s", "v.c") * F.col("w") / F.col("_all")).alias("control"))
+    return own.join(control, "k", "left").select((F.col("k") - before).alias("offset"), "event", "n", "control")
 
 
 def component_report(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -666,28 +666,59 @@ def d3_dedupe_report(s: SparkSession, d: str) -> DataFrame:
     return rp.dedupe_report(t, rp.dedupe_bursts(t), n, rp.dedupe_news(n, rp.survivor_map(t)))
 
 
-@book.add("""WITH e AS (SELECT event_id, event_id % 2 = 0 AS old, event_id % 5 = 0 AS bad, ts FROM events), x AS (SELECT event_id, CASE WHEN bad THEN NULL WHEN old THEN 'local' ELSE 'utc' END AS era, CASE WHEN NOT bad THEN date_trunc('second', ts) END AS fetched_utc FROM e) SELECT event_id, era, fetched_utc, CASE WHEN era IS NULL THEN 'layout' END AS problem FROM x""")
+#: Texts of two eras: local ones of 26 characters, UTC ones of 19, and some that are neither; published five hours before in Tokyo's time.
+ERAS = """er AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'local' ELSE 'utc' END AS era, date_trunc('second', ts) AS ft FROM events), rp AS (SELECT *, CASE WHEN era IS NOT NULL THEN ft END AS fetched_utc, CASE WHEN era IS NOT NULL THEN ft - to_hours(CAST(5 + event_id % 3 AS INTEGER)) END AS published_utc,
+  CASE era WHEN 'local' THEN 8 WHEN 'utc' THEN 0 END AS fs, CASE WHEN era IS NOT NULL THEN 5 + event_id % 3 END AS lag FROM er)"""
+
+
+def eras(s: SparkSession, d: str) -> DataFrame:
+    t, k = F.date_trunc("second", F.col("ts").cast("timestamp")), F.col("event_id")
+    text = lambda x, long: F.concat(F.date_format(x, "yyyy-MM-dd HH:mm:ss"), F.when(long, ".000000").otherwise(""))
+    published = F.from_utc_timestamp(t - F.make_interval(hours=(5 + k % 3).cast("int")), "Asia/Tokyo")
+    fetched = F.when(k % 5 == 0, "2024-01-01").when(k % 2 == 0, text(F.from_utc_timestamp(t, "Asia/Taipei"), F.lit(True))).otherwise(text(t, F.lit(False)))
+    return ad.table(s, d, "events").select("event_id", k.alias("burst_id"), fetched.alias("fetched_at"), text(published, k % 2 == 0).alias("published_at"))
+
+
+@book.add(f"WITH {ERAS} SELECT event_id, era, fetched_utc, published_utc, CASE WHEN era IS NULL THEN 'layout' END AS problem, 3600 * lag AS lag_seconds, 3600 * (lag + fs - 9) AS lag_before FROM rp")
 def d4_repair_times(s: SparkSession, d: str) -> DataFrame:
-    t, k = F.col("ts").cast("timestamp"), F.col("event_id")
-    local = F.from_utc_timestamp(t, "Asia/Taipei")
-    text = F.when(k % 5 == 0, F.lit("2024-01-01")).when(k % 2 == 0, F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(".000000"))).otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
-    rows = ad.table(s, d, "events").select("event_id", text.alias("fetched_at"), text.alias("published_at"))
-    return rp.repair_times(rows, "Asia/Taipei", "Asia/Tokyo").select("event_id", "era", F.col("fetched_utc").cast(NTZ).alias("fetched_utc"), "problem")
+    """Published times are the feed's in both eras."""
+    out = rp.repair_times(eras(s, d), "Asia/Taipei", "Asia/Tokyo")
+    good = lambda c: F.when(F.col("problem").isNull(), F.col(c)).cast(NTZ).alias(c)
+    return out.select("event_id", "era", good("fetched_utc"), good("published_utc"), "problem", "lag_seconds", "lag_before")
 
 
-@book.add("WITH x AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'local' ELSE 'utc' END AS era, 3600 * (1 + event_id % 7) AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY era ORDER BY v) AS k, count(*) OVER (PARTITION BY era) AS n FROM x) SELECT era, count(*) AS rows, min(v) AS least, max(v) AS most, max(v) FILTER (k = n // 2 + 1) AS median FROM r GROUP BY 1")
+LAG_ROWS = "r AS (SELECT *, row_number() OVER (PARTITION BY era ORDER BY v) AS k, count(*) OVER (PARTITION BY era) AS n FROM x) SELECT era, count(*) AS rows, min(v) AS least, max(v) AS most, floor(avg(v) * 1e6 + 0.5) / 1e6 AS mean, max(v) FILTER (k = n // 2 + 1) AS median FROM r GROUP BY 1"
+
+
+@book.add(f"WITH {ERAS}, x AS (SELECT era, 3600 * lag AS v FROM rp WHERE era IS NOT NULL), {LAG_ROWS}")
 def d4_lag_stats(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id")
-    rows = ad.table(s, d, "events").select(F.when(k % 2 == 0, "local").otherwise("utc").alias("era"), (3600 * (1 + k % 7)).alias("lag_seconds"))
-    return rp.lag_stats(rows)
+    return rounded(rp.lag_stats(rp.repair_times(eras(s, d), "Asia/Taipei", "Asia/Tokyo")), "mean")
 
 
-@book.add("SELECT count(*) AS rows, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 = 0) AS long_layout, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 = 1) AS short_layout, count(*) FILTER (event_id % 5 = 0) AS other_layout, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 = 0) + count(*) FILTER (event_id % 5 = 0) AS disagree FROM events")
+@book.add(f"WITH {ERAS}, x AS (SELECT era, 3600 * (lag + fs - 9) AS v FROM rp WHERE era IS NOT NULL), {LAG_ROWS}")
+def d4_lags_before(s: SparkSession, d: str) -> DataFrame:
+    return rounded(rp.lag_stats(rp.repair_times(eras(s, d), "Asia/Taipei", "Asia/Tokyo"), "lag_before"), "mean")
+
+
+@book.add(f"""WITH {ERAS} SELECT '-9h' AS "offset", count(*) AS rows FROM rp WHERE era IS NOT NULL""")
+def d4_offsets(s: SparkSession, d: str) -> DataFrame:
+    return rp.offset_counts(rp.repair_times(eras(s, d), "Asia/Taipei", "Asia/Tokyo"))
+
+
+@book.add("""WITH x AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CASE WHEN event_id % 2 = 0 THEN 26 ELSE 19 END END AS p, CASE WHEN event_id % 5 = 0 THEN 10 WHEN event_id % 2 = 0 THEN 26 ELSE 19 END AS f, CASE WHEN event_id % 7 = 0 THEN 26 WHEN event_id % 5 = 0 THEN 10 WHEN event_id % 2 = 0 THEN 26 ELSE 19 END AS n FROM events)
+SELECT 'null times' AS "check", count(*) FILTER (p IS NULL) AS rows FROM x UNION ALL SELECT 'unknown layout', count(*) FILTER (p IS NOT NULL AND f = 10) FROM x UNION ALL SELECT 'layouts differ', count(*) FILTER (p <> f) FROM x UNION ALL SELECT 'unknown news layout', count(*) FILTER (n = 10) FROM x UNION ALL SELECT 'news of another era', count(*) FILTER (n <> f) FROM x UNION ALL SELECT 'fractions of seconds', count(*) FILTER (event_id % 7 = 0) FROM x""")
 def d5_preconditions(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id")
-    short = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    rows = ad.table(s, d, "events").select(F.when(k % 5 == 0, F.lit("2024-01-01")).when(k % 2 == 0, F.concat(short, F.lit(".000000"))).otherwise(short).alias("fetched_at"), short.alias("published_at"))
-    return rp.precondition_counts(rows)
+    k, e = F.col("event_id"), eras(s, d)
+    bursts = e.withColumn("published_at", F.when(k % 11 != 0, F.col("published_at")))
+    news = e.select("burst_id", F.when(k % 7 == 0, "2024-01-01 00:00:00.500000").otherwise(F.col("fetched_at")).alias("fetched_at"))
+    return rp.precondition_counts(bursts, news)
+
+
+@book.add(f"""WITH {ERAS} SELECT 'rows changed' AS "check", 0 AS rows UNION ALL SELECT 'not repaired', count(*) FILTER (era IS NULL) FROM rp UNION ALL SELECT 'negative lags', count(*) FILTER (lag - 16 - 9 < 0 AND era IS NOT NULL) FROM rp""")
+def d5_verify(s: SparkSession, d: str) -> DataFrame:
+    """A repair under the wrong zone for publishing shows in its lags."""
+    rows = eras(s, d)
+    return rp.verify_times(rows, rp.repair_times(rows, "Asia/Taipei", "America/Los_Angeles"))
 
 
 # ---- logs ----

@@ -99,7 +99,7 @@ def w12_technicals(s: SparkSession, d: str) -> DataFrame:
 
 @book.add(ad.sql("bursts news links prices", f"""p AS (SELECT stock_id, date, close, lead(close, 5) OVER w AS e5 FROM prices {W}),
 a AS (SELECT n.news_id, l.stock_id, CAST(t.published_at AS DATE) AS date FROM news n JOIN bursts t USING (burst_id) JOIN links l USING (keyword))
-SELECT a.news_id, {r6('avg(p.e5 / p.close - 1)', 'return_after')}, count(*) AS stocks FROM a ASOF JOIN p ON a.stock_id = p.stock_id AND a.date < p.date WHERE p.e5 IS NOT NULL GROUP BY 1"""))
+SELECT a.news_id, {r6('avg(p.e5 / p.close - 1)', 'return_after')}, count(p.e5) AS stocks FROM a ASOF LEFT JOIN p ON a.stock_id = p.stock_id AND a.date < p.date GROUP BY 1"""))
 def w13_post_news(s: SparkSession, d: str) -> DataFrame:
     rows = ad.news(s, d).join(ad.bursts(s, d), "burst_id").join(ad.links(s, d), "keyword").select("news_id", "stock_id", F.to_date("published_at").alias("date"))
     return rounded(rt.post_news(rows, ad.prices(s, d)), "return_after")
@@ -119,8 +119,10 @@ def w16_daily_abnormal(s: SparkSession, d: str) -> DataFrame:
 @book.add()
 def w14_volatility(s: SparkSession, d: str) -> DataFrame:
     """W14 on the stocks' own trading days: the driver's prices are too sparse for five days in a row of the benchmark's calendar."""
-    out = rt.volatility(dense(s, d), ad.BENCHMARK).where("ratio is not null")
-    return rounded(out.select("stock_id", "date", "ratio", "before", "after5"), "ratio", "before", "after5")
+    rows = dense(s, d).join(rt.numbered(ad.prices(s, d)).select("stock_id", F.expr("date_add(date '2000-01-03', ordinal)").alias("date"), F.day("date").alias("_day")), ["stock_id", "date"])
+    gap = F.col("stock_id").endswith("3") | (F.col("stock_id").endswith("4") & (F.col("_day") % 3 == 1))
+    v = rt.volatility(rows.withColumn("adj_close", F.when(~gap, F.col("adj_close"))), ad.BENCHMARK).where("ratio is not null")
+    return rounded(v.select("stock_id", "date", "ratio", "before", "after5"), "ratio", "before", "after5")
 
 
 def dense(s: SparkSession, d: str) -> DataFrame:
@@ -135,7 +137,9 @@ VOL = f"""{DENSE}, {AR_DENSE}, mv AS (SELECT *, abs(ar) AS move FROM ar),
 v AS (SELECT *, CASE WHEN count(move) OVER r >= 15 THEN avg(move) OVER r END AS recent, CASE WHEN count(move) OVER u >= 25 THEN avg(move) OVER u END AS usual, CASE WHEN count(move) OVER a >= 5 THEN avg(move) OVER a END AS five FROM mv
   WINDOW r AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), u AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 59 PRECEDING AND 20 PRECEDING), a AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
 vt AS (SELECT *, recent / usual AS ratio, lag(recent / usual) OVER w AS before, five / lag(usual) OVER w AS after5 FROM v {W})"""
-book.oracles["w14_volatility"] = ad.sql("prices", f"{VOL} SELECT stock_id, date, {r6('ratio')}, {r6('before')}, {r6('after5')} FROM vt WHERE ratio IS NOT NULL")
+#: Stocks of which some have no adjusted close at all and some lack it on single days.
+VOL_GAPS = VOL.replace("raw AS (SELECT * FROM prices)", "raw AS (SELECT * REPLACE (CASE WHEN stock_id LIKE '%3' THEN close WHEN stock_id LIKE '%4' AND day(date) % 3 = 1 THEN NULL ELSE adj_close END AS adj_close) FROM prices)")
+book.oracles["w14_volatility"] = ad.sql("prices", f"{VOL_GAPS} SELECT stock_id, date, {r6('ratio')}, {r6('before')}, {r6('after5')} FROM vt WHERE ratio IS NOT NULL")
 
 
 @book.add(ad.sql("prices", f"""{DENSE}, {AR_DENSE}, bb AS (SELECT date, adj_close AS bench FROM dense WHERE stock_id = '0050'),
@@ -381,9 +385,13 @@ CLEAN = "pc AS (SELECT * FROM pnl WHERE today IS NOT NULL AND past20 IS NOT NULL
 EDGES = "eg AS (SELECT list_distinct(quantile_cont(today, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS ed FROM pc), pb AS (SELECT pc.*, len(list_filter(list_slice(list_sort(ed), 2, 100), lambda e: e < today)) AS bucket FROM pc, eg)"
 
 
+def cleaned(panel: DataFrame) -> DataFrame:
+    """Rows of the panel with all values, in buckets by the day's move."""
+    return st.deciles(panel.where("today is not null and past20 is not null and future5 is not null and future10 is not null"), "today")
+
+
 def bucketed(s: SparkSession, d: str) -> DataFrame:
-    rows = flagged_panel(s, d).where("today is not null and past20 is not null and future5 is not null and future10 is not null")
-    return st.deciles(rows, "today")
+    return cleaned(flagged_panel(s, d))
 
 
 @book.add(ad.sql(fr.ALL, f"{FLAGS}, {CLEAN}, {EDGES} SELECT bucket, count(*) AS n, {r6('min(today)', 'low')}, {r6('max(today)', 'high')} FROM pb GROUP BY 1"))
@@ -391,8 +399,8 @@ def g26_deciles(s: SparkSession, d: str) -> DataFrame:
     return rounded(bucketed(s, d).groupBy("bucket").agg(F.count("*").alias("n"), F.min("today").alias("low"), F.max("today").alias("high")), "low", "high")
 
 
-@book.add(ad.sql(fr.ALL, f"""{FLAGS}, {CLEAN}, {EDGES}, ct AS (SELECT bucket, avg(future5) AS c5, avg(future10) AS c10, avg(CAST(big5 AS DOUBLE)) AS cb FROM pb WHERE NOT near_event GROUP BY 1), ht AS (SELECT pb.*, c5, c10, cb FROM pb JOIN ct USING (bucket) WHERE flag)
-SELECT count(*) AS n, {r6('avg(future5)', 'future5_mean')}, {r6('avg(future10)', 'future10_mean')}, {r6('avg(c5)', 'future5_control_mean')}, {r6('avg(c10)', 'future10_control_mean')}, {r6('avg(future5 - c5)', 'future5_diff_mean')}, {r6('avg(future10 - c10)', 'future10_diff_mean')},
+@book.add(ad.sql(fr.ALL, f"""{FLAGS}, {CLEAN}, {EDGES}, ct AS (SELECT bucket, avg(today) AS c0, avg(future5) AS c5, avg(future10) AS c10, avg(CAST(big5 AS DOUBLE)) AS cb FROM pb WHERE NOT near_event GROUP BY 1), ht AS (SELECT pb.*, c0, c5, c10, cb FROM pb JOIN ct USING (bucket) WHERE flag)
+SELECT count(*) AS n, {r6('avg(today)', 'today_mean')}, {r6('avg(c0)', 'today_control_mean')}, {r6('avg(future5)', 'future5_mean')}, {r6('avg(future10)', 'future10_mean')}, {r6('avg(c5)', 'future5_control_mean')}, {r6('avg(c10)', 'future10_control_mean')}, {r6('avg(future5 - c5)', 'future5_diff_mean')}, {r6('avg(future10 - c10)', 'future10_diff_mean')},
 {r6('avg(future5 - c5) / (stddev_samp(future5 - c5) / sqrt(count(*)))', 'future5_t')}, {r6('avg(future10 - c10) / (stddev_samp(future10 - c10) / sqrt(count(*)))', 'future10_t')}, {r6('avg(CAST(big5 AS DOUBLE))', 'big5_share')}, {r6('avg(cb)', 'big5_control_share')} FROM ht"""))
 def g27_matched(s: SparkSession, d: str) -> DataFrame:
     out = st.matched(bucketed(s, d), "flag")
@@ -405,14 +413,15 @@ def g28_clustered_ols(s: SparkSession, d: str) -> DataFrame:
     return rounded(st.clustered_ols(rows, "future5", ["today", "past20", "event"], "day"), "beta", "se", "t")
 
 
-@book.add(ad.sql(fr.ALL, f"""{FLAGS}, {CLEAN}, {EDGES}, wt AS (SELECT bucket, count(*) AS w FROM pb WHERE flag GROUP BY 1),
+@book.add(ad.sql(fr.ALL, f"""{FLAGS}, {CLEAN}, {EDGES}, wt AS (SELECT bucket, count(*) AS w FROM pb WHERE flag GROUP BY 1), ld AS (SELECT max(day) AS last_day FROM pnl),
 pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY (day * 7919 + CAST(stock_id AS BIGINT) * 104729) % 1000003, stock_id, day) AS k FROM pb WHERE NOT near_event) WHERE k <= 400),
-of AS (SELECT unnest(range(-5, 21)) AS o), ow AS (SELECT o, avg(b.today) AS event, count(*) AS n FROM pb a CROSS JOIN of JOIN pb b ON a.stock_id = b.stock_id AND b.day = a.day + o WHERE a.flag GROUP BY 1),
-cb AS (SELECT a.bucket, o, avg(b.today) AS v FROM pl a CROSS JOIN of JOIN pb b ON a.stock_id = b.stock_id AND b.day = a.day + o GROUP BY 1, 2), cc AS (SELECT o, sum(v * w) / sum(w) AS control FROM cb JOIN wt USING (bucket) GROUP BY 1)
+of AS (SELECT unnest(range(-5, 21)) AS o), ow AS (SELECT o, avg(b.today) AS event, count(*) AS n FROM (SELECT * FROM pb, ld WHERE flag AND day - 5 >= 1 AND day + 20 <= last_day) a CROSS JOIN of JOIN pnl b ON a.stock_id = b.stock_id AND b.day = a.day + o GROUP BY 1),
+cb AS (SELECT a.bucket, o, avg(b.today) AS v FROM (SELECT * FROM pl, ld WHERE day - 5 >= 1 AND day + 20 <= last_day) a CROSS JOIN of JOIN pnl b ON a.stock_id = b.stock_id AND b.day = a.day + o GROUP BY 1, 2), cc AS (SELECT o, sum(v * w / (SELECT sum(w) FROM wt)) AS control FROM cb JOIN wt USING (bucket) GROUP BY 1)
 SELECT ow.o AS "offset", {r6('event')}, n, {r6('control')} FROM ow LEFT JOIN cc ON ow.o = cc.o"""))
 def g29_event_profile(s: SparkSession, d: str) -> DataFrame:
     key = (F.col("day") * 7919 + F.col("stock_id").cast("long") * 104729) % 1000003
-    return rounded(st.event_profile(bucketed(s, d), "flag", key), "event", "control")
+    every = flagged_panel(s, d)
+    return rounded(st.event_profile(cleaned(every), every, "flag", key), "event", "control")
 
 
 QUERIES, ORACLES = book.queries, book.oracles

@@ -153,7 +153,7 @@ COR = "covar_samp(heat, r) / nullif(stddev_samp(heat) * stddev_samp(r), 0)"
 
 @book.add(ad.sql("heat_px prices", f"{RR}, hp AS (SELECT stock_id, keyword, heat, r FROM heat_px JOIN rr USING (date) WHERE r IS NOT NULL) SELECT stock_id, keyword, count(*) AS n, {r6(COR, 'r')} FROM hp GROUP BY 1, 2 HAVING count(*) >= 5"))
 def g10_heat_price(s: SparkSession, d: str) -> DataFrame:
-    return rounded(st.heat_price(ad.heat_px(s, d), _returns(s, d)), "r")
+    return rounded(st.heat_price(ad.heat_px(s, d), _returns(s, d), _every_pair(s, d)), "r")
 
 
 #: Needs rr, hh (keyword, date, heat) and pr (stock_id, keyword): lags count the stock's own trading rows.
@@ -226,6 +226,15 @@ def g14_theme_coverage(s: SparkSession, d: str) -> DataFrame:
 
 
 
+@book.add(ad.sql("bursts links news", f"""mp AS (SELECT DISTINCT theme_name, lower(replace(keyword, '#', '')) AS form FROM links WHERE keyword NOT LIKE '%4'), th AS (SELECT DISTINCT theme_name FROM links), t AS (SELECT b.burst_id, theme_name FROM bursts b JOIN mp ON lower(replace(b.keyword, '#', '')) = form)
+SELECT th.theme_name, (SELECT count(DISTINCT burst_id) FROM t WHERE t.theme_name = th.theme_name) AS bursts, (SELECT count(DISTINCT news_id) FROM news JOIN t USING (burst_id) WHERE t.theme_name = th.theme_name) AS news FROM th"""))
+def g14_by_keyword(s: SparkSession, d: str) -> DataFrame:
+    """G14 without classes: themes by the normal form of their keywords."""
+    links = ad.links(s, d)
+    t = cv.keyword_themes(ad.bursts(s, d).select("burst_id", "keyword"), links.where("keyword not like '%4'").select("theme_name", F.upper("keyword").alias("keyword")))
+    return cv.theme_coverage(links, t, ad.news(s, d).select("news_id", "burst_id").join(t, "burst_id"))
+
+
 @book.add(ad.sql("bursts", f"{CLASS} SELECT t.keyword, count(DISTINCT burst_id) AS bursts FROM bursts t WHERE t.keyword NOT IN (SELECT keyword FROM cl WHERE theme_name <> '其他') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"))
 def g15_top_unclassified(s: SparkSession, d: str) -> DataFrame:
     """A top-k report."""
@@ -250,10 +259,26 @@ def j15_pending(s: SparkSession, d: str) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
-@book.add(ad.sql("bursts", f"{CLASS}, en AS (SELECT DISTINCT keyword FROM cl WHERE need_review = 0), k AS (SELECT DISTINCT keyword FROM bursts) SELECT count(*) AS keywords, count(en.keyword) AS resolved, count(*) - count(en.keyword) AS unresolved FROM k LEFT JOIN en USING (keyword)"))
+ENTITIES = "ce AS (SELECT keyword, CASE WHEN c_custkey % 6 <> 1 THEN c_name END AS entity_name, CASE WHEN c_custkey % 6 = 2 THEN '其他' WHEN c_custkey % 6 <> 3 THEN '上市公司' END AS entity_type FROM cl JOIN customer ON c_name = keyword), bk AS (SELECT burst_id, CASE WHEN burst_id % 9 = 0 THEN ' ' WHEN burst_id % 10 > 0 THEN keyword END AS keyword FROM bursts)"
+
+
+def _entities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Bursts, some of them without a keyword, and classes, some of them without an entity."""
+    k, i = F.col("c_custkey"), F.col("burst_id")
+    c = classes(s, d).select("keyword").join(ad.table(s, d, "customer").select(k, F.col("c_name").alias("keyword")), "keyword")
+    t = ad.bursts(s, d).select(i, F.when(i % 9 == 0, " ").when(i % 10 > 0, F.col("keyword")).alias("keyword"))
+    return t, c.select("keyword", F.when(k % 6 != 1, F.col("keyword")).alias("entity_name"), F.when(k % 6 == 2, "其他").when(k % 6 != 3, "上市公司").alias("entity_type"))
+
+
+@book.add(ad.sql("bursts", f"{CLASS}, {ENTITIES}, k AS (SELECT DISTINCT bk.keyword, entity_name IS NOT NULL AND coalesce(entity_type, '其他') <> '其他' AS hit FROM bk LEFT JOIN ce USING (keyword) WHERE trim(bk.keyword) <> '') SELECT count(*) AS keywords, count(*) FILTER (hit) AS resolved, count(*) FILTER (NOT hit) AS unresolved, {r6('count(*) FILTER (hit) / count(*)', 'rate')} FROM k"))
 def g16_entity_coverage(s: SparkSession, d: str) -> DataFrame:
-    e = classes(s, d).select(F.col("keyword").alias("entity_name"), F.when(F.col("need_review") == 0, "上市公司").otherwise("其他").alias("entity_type"))
-    return cv.entity_coverage(ad.bursts(s, d), e)
+    return rounded(cv.entity_coverage(*_entities(s, d)), "rate")
+
+
+@book.add(ad.sql("bursts", f"{CLASS}, {ENTITIES} SELECT keyword, count(*) AS bursts FROM bk LEFT JOIN ce USING (keyword) WHERE trim(keyword) <> '' AND (entity_name IS NULL OR coalesce(entity_type, '其他') = '其他') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100"))
+def g16_unresolved(s: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    return cv.unresolved_keywords(*_entities(s, d))
 
 
 @book.add(ad.sql("bursts", f"{CLASS}, k AS (SELECT DISTINCT keyword FROM bursts) SELECT count(*) AS total, count(*) FILTER (theme_name <> '其他') AS classified, {r6('count(*) FILTER (theme_name <> $$其他$$) * 100.0 / count(*)', 'coverage_pct')}, count(*) FILTER (need_review = 1) AS need_review FROM k LEFT JOIN cl USING (keyword)"))
@@ -270,15 +295,15 @@ def g18_sentiment_shares(s: SparkSession, d: str) -> DataFrame:
 
 
 @book.add(ad.sql(fr.ALL, f"""{fr.BASE_SQL}, e AS (SELECT * FROM events_perf WHERE link_type = 'direct'), m20 AS (SELECT theme_name, max(n) / sum(n) AS x FROM (SELECT theme_name, ma20_breakout_day, count(*) AS n FROM e WHERE ma20_breakout_day IS NOT NULL GROUP BY 1, 2) GROUP BY 1), m60 AS (SELECT theme_name, max(n) / sum(n) AS x FROM (SELECT theme_name, ma60_breakout_day, count(*) AS n FROM e WHERE ma60_breakout_day IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
-v AS (SELECT theme_name, avg(CASE WHEN reaction_days BETWEEN 0 AND 30 THEN 1.0 ELSE 0.0 END) * 100 AS ok FROM e WHERE reaction_days IS NOT NULL GROUP BY 1)
-SELECT theme_name, {r6('ok', 'reaction_days_valid_pct')}, {r6('m20.x', 'ma20_share')}, m20.x > 0.35 AS ma20_warning, {r6('m60.x', 'ma60_share')}, m60.x > 0.35 AS ma60_warning FROM v JOIN m20 USING (theme_name) JOIN m60 USING (theme_name)"""))
+v AS (SELECT theme_name, avg(CASE WHEN reaction_days BETWEEN 0 AND 30 THEN 1.0 WHEN reaction_days IS NOT NULL THEN 0.0 END) * 100 AS ok FROM e GROUP BY 1), td AS (SELECT t.burst_id, l.theme_name FROM bursts t JOIN (SELECT DISTINCT keyword, theme_name FROM links WHERE link_type = 'direct') l USING (keyword)),
+s AS (SELECT theme_name, count(*) AS total, count(x) AS analyzed, count(*) FILTER (x = 'Neutral') AS nn FROM (SELECT theme_name, CASE WHEN theme_name LIKE 'B%' AND news_sentiment IS NOT NULL THEN 'Neutral' ELSE news_sentiment END AS x FROM news JOIN td USING (burst_id)) GROUP BY 1)
+SELECT theme_name, coalesce(total, 0) AS total, coalesce(analyzed, 0) AS analyzed, {r6('nn * 100.0 / nullif(analyzed, 0)', 'neutral_pct')}, floor(coalesce(ok, 100) * 1e6 + 0.5) / 1e6 AS reaction_days_valid_pct, {r6('m20.x', 'ma20_share')}, coalesce(m20.x > 0.35, false) AS ma20_warning, {r6('m60.x', 'ma60_share')}, coalesce(m60.x > 0.35, false) AS ma60_warning, coalesce(analyzed > 0 AND nn * 100.0 / analyzed > 80, false) AS sentiment_warning FROM v FULL JOIN s USING (theme_name) LEFT JOIN m20 USING (theme_name) LEFT JOIN m60 USING (theme_name)"""))
 def g19_quality_check(s: SparkSession, d: str) -> DataFrame:
-    p = fr.performance(s, d)
-    v = p.where("reaction_days is not null").groupBy("theme_name").agg((F.avg(F.col("reaction_days").between(0, 30).cast("double")) * 100).alias("reaction_days_valid_pct"))
-    for n in (20, 60):
-        m = st.modal_share(p, f"ma{n}_breakout_day", ["theme_name"]).withColumnRenamed(f"ma{n}_breakout_day_modal_share", f"ma{n}_share")
-        v = v.join(m, "theme_name").withColumn(f"ma{n}_warning", F.col(f"ma{n}_share") > 0.35)
-    return rounded(v, "reaction_days_valid_pct", "ma20_share", "ma60_share")
+    """G19 by theme; news of one segment are made neutral, so that it is warned of."""
+    n = themed(s, d)[1].withColumn("news_sentiment", F.when(F.col("theme_name").startswith("B") & F.col("news_sentiment").isNotNull(), "Neutral").otherwise(F.col("news_sentiment")))
+    out = st.quality_check(fr.performance(s, d), n, ["theme_name"])
+    kept = ["theme_name", "total", "analyzed", "neutral_pct", "reaction_days_valid_pct", "ma20_share", "ma20_warning", "ma60_share", "ma60_warning", "sentiment_warning"]
+    return rounded(out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "analyzed")}).select(*kept), "neutral_pct", "reaction_days_valid_pct", "ma20_share", "ma60_share")
 
 
 @book.add(ad.sql("news", "SELECT news_title AS title, news_title AS summary, news_source AS source, news_sentiment AS sentiment FROM news WHERE news_sentiment IS NOT NULL ORDER BY news_id LIMIT 20"))

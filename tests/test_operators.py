@@ -192,7 +192,7 @@ def test_upserts_are_idempotent(spark):
 
 
 def test_repair(spark):
-    rows = spark.createDataFrame([("2026-09-01 20:00:00.000000", "2026-09-01 04:00:00.000000"), ("2026-09-01 12:00:00", "2026-09-01 11:00:00"), ("2026-09-01", "2026-09-01"), ("2026-11-01 20:00:00.000000", "2026-11-01 01:30:00.000000")], "fetched_at string, published_at string")
+    rows = spark.createDataFrame([("2026-09-01 20:00:00.000000", "2026-09-01 04:00:00.000000"), ("2026-09-01 12:00:00", "2026-09-01 04:00:00"), ("2026-09-01", "2026-09-01"), ("2026-11-01 20:00:00.000000", "2026-11-01 01:30:00.000000")], "fetched_at string, published_at string")
     got = rp.repair_times(rows).collect()
     assert [r["problem"] for r in got] == [None, None, "layout", "ambiguous"] and [r["lag_seconds"] for r in got][:2] == [3600, 3600]
 
