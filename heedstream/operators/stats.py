@@ -159,12 +159,10 @@ def _best_lags(heat: DataFrame, returns: DataFrame, pairs: DataFrame, least: int
     around = returns.select("stock_id", "date", "r", *[at(k).alias(f"_r{k + lags}") for k in range(-lags, lags + 1)])
     around = around.select("stock_id", "date", F.array(*[f"_r{k}" for k in range(2 * lags + 1)]).alias("_r"))
     met = around.join(pairs.select("stock_id", "keyword").distinct(), "stock_id").join(heat.where("heat is not null"), ["keyword", "date"])
-    # the sums of all lags are one aggregation
-    size = 2 * lags + 1
-    r, h = [F.col("_r")[k] for k in range(size)], [F.when(F.col("_r")[k].isNotNull(), F.col("heat")) for k in range(size)]
-    sums = met.groupBy("stock_id", "keyword").agg(*[x for k in range(size) for x in (F.count(r[k]).alias(f"n{k}"), F.try_divide(F.covar_samp(h[k], r[k]), F.stddev_samp(h[k]) * F.stddev_samp(r[k])).alias(f"c{k}"))])
-    each = sums.select("stock_id", "keyword", F.explode(F.array(*[F.struct(F.lit(k - lags).alias("lag"), F.col(f"n{k}").alias("n"), F.col(f"c{k}").alias("c")) for k in range(size)])).alias("e")).select("stock_id", "keyword", "e.*")
-    each = each.where((F.col("n") >= least) & F.col("c").isNotNull())
+    # one row a lag meets the aggregation, which sums within each task first: 21 lags of sums in one row are too much code to compile
+    each = met.select("stock_id", "keyword", "heat", F.posexplode("_r").alias("lag", "r")).where("r is not null")
+    each = each.groupBy("stock_id", "keyword", "lag").agg(F.count("*").alias("n"), correlation("heat", "r").alias("c"))
+    each = each.where((F.col("n") >= least) & F.col("c").isNotNull()).withColumn("lag", F.col("lag") - lags)
     best = each.groupBy("stock_id", "keyword").agg(F.min_by(F.struct("lag", "c", "n"), F.struct(-F.abs("c"), F.abs("lag"), F.col("lag"))).alias("b"), F.max(F.when(F.col("lag") == 0, F.col("c"))).alias("same_day"))
     return best.select("stock_id", "keyword", F.col("b.lag").alias("best_lag"), F.col("b.c").alias("r"), F.col("b.n").alias("n"), "same_day")
 
