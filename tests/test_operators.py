@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -616,3 +617,16 @@ def test_terms_that_a_keyword_holds_whole_are_compared_with_nothing_else(spark):
         assert (canonical, score) == (best, int(each[best]))
     nodes = rs.fuzzy_match(asked, terms)._jdf.queryExecution().analyzed().toString()
     assert "LeftAnti" in nodes
+
+
+def test_numbered_names_are_compared_only_where_their_patterns_are_alike(spark):
+    # 4 million pairs share a piece of digits
+    names = spark.range(2000).select(F.format_string("Customer#%09d", "id").alias("keyword"))
+    firms = spark.range(2000).select((F.col("id") + 10).alias("ordinal"), F.format_string("Supplier#%09d", "id").alias("keyword"), F.lit("company").alias("type"), F.lit("1001").alias("stock_id"))
+    near = spark.createDataFrame([(1, "Customer#00000001x", "company", "1002")], firms.schema)
+    start = time.monotonic()
+    got = {r["keyword"]: (r["canonical"], r["score"]) for r in rs.fuzzy_match(names, firms.union(near)).where("type is not null").collect()}
+    form = "customer00000001x"
+    want = {k: int(max(rs.likeness(k.lower().replace("#", ""), form), rs.window_likeness(k.lower().replace("#", ""), form))) for k in (f"Customer#{k:09}" for k in range(100))}
+    assert {k: ("Customer#00000001x", v) for k, v in want.items() if v >= 88} == {k: v for k, v in got.items() if k in want}
+    assert time.monotonic() - start < 60
