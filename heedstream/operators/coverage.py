@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heedstream.functions.exprs import OTHER_THEME, SENTIMENTS, UNANALYZED, expected_trading_day, keyword_form, previous_weekday, sentiment_form, taipei_day
 from heedstream.operators import logs as lg
+from heedstream.sources.shared import stage
 
 
 def theme_daily_stats(heat: DataFrame, bursts: DataFrame, news: DataFrame, mapping: DataFrame, days: DataFrame | None = None) -> DataFrame:
@@ -23,10 +24,20 @@ def theme_daily_stats(heat: DataFrame, bursts: DataFrame, news: DataFrame, mappi
     n = known(news).groupBy(*key).agg(F.count_distinct("news_id").alias("news"))
     active = mapping.where("active = 1 and theme_name is not null")
     s = active.groupBy("theme_name").agg(F.count_distinct("stock_id").alias("stocks"))
-    seen = h.select(*key).union(t.select(*key)).union(n.select(*key))
-    spine = (seen.select("date") if days is None else days).distinct().crossJoin(F.broadcast(s.select("theme_name")))
-    rows = spine.select(*key).union(seen if days is None else seen.join(days.distinct(), "date", "left_semi")).distinct()
-    out = rows.join(h, key, "left").join(t, key, "left").join(n, key, "left").join(s, "theme_name", "left")
+    facts = stage(h.join(t, key, "full").join(n, key, "full"), "facts")
+    # a theme's rows stand for the days up to its next one, as of the benchmark's calendar: no day of a theme is shuffled or held by itself
+    calendar = (facts.select("date") if days is None else days).distinct().withColumn("day", F.row_number().over(Window.orderBy("date")))
+    calendar = stage(calendar, "calendar")
+    values = ["keywords", "bursts", "news", "avg_score", "max_score"]
+    own = facts.join(F.broadcast(calendar), "date").select("theme_name", "day", *values, F.lit(None).cast("long").alias("stocks"))
+    marks = s.select("theme_name", F.lit(0).alias("day"), *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in values], "stocks")
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows go in and many come out, so that small parts are not to be put together
+    by = Window.partitionBy("theme_name")
+    rows = own.union(marks).repartition(parts, "theme_name").crossJoin(F.broadcast(calendar.agg(F.coalesce(F.max("day"), F.lit(0)).alias("_end"))))
+    rows = rows.withColumn("stocks", F.max("stocks").over(by)).withColumn("_to", F.coalesce(F.lead("day").over(by.orderBy("day")) - 1, "_end"))
+    rows = rows.withColumn("_to", F.when(F.col("stocks").isNull(), F.col("day")).otherwise(F.col("_to"))).withColumn("_from", F.greatest("day", F.lit(1))).where("_from <= _to")
+    out = rows.withColumn("_d", F.explode(F.sequence("_from", "_to")))
+    out = out.select("theme_name", F.col("_d").alias("day"), "stocks", *[F.when(F.col("_d") == F.col("day"), F.col(c)).alias(c) for c in values]).join(F.broadcast(calendar), "day")
     return out.select(*key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keywords", "bursts", "news", "stocks")], "avg_score", "max_score")
 
 

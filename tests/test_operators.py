@@ -619,6 +619,20 @@ def test_terms_that_a_keyword_holds_whole_are_compared_with_nothing_else(spark):
     assert "LeftAnti" in nodes
 
 
+def test_theme_statistics_of_many_themes_are_not_made_in_one_task(spark):
+    day = dt.date(2024, 1, 1)
+    heat = spark.createDataFrame([(day, "t0", "k", 2.0), (day + dt.timedelta(2), "t0", "k", None), (day + dt.timedelta(1), "loose", "k", 1.0)], "date date, theme_name string, keyword string, trend_score double")
+    bursts = spark.createDataFrame([(1, day, "t0"), (2, day, "t0")], "burst_id long, date date, theme_name string")
+    news = spark.createDataFrame([(1, day + dt.timedelta(2), "t1")], "news_id long, date date, theme_name string")
+    mapping = spark.createDataFrame([(f"t{k}", "1001", 1) for k in range(50)] + [("off", "1001", 0)], "theme_name string, stock_id string, active int")
+    out = cv.theme_daily_stats(heat, bursts, news, mapping)
+    rows = {(r["theme_name"], (r["date"] - day).days): tuple(r)[2:] for r in out.collect()}
+    assert len(rows) == 50 * 3 + 1 and rows["loose", 1] == (1, 0, 0, 0, 1.0, 1.0)
+    assert rows["t0", 0] == (1, 2, 0, 1, 2.0, 2.0) and rows["t0", 1] == (0, 0, 0, 1, None, None) and rows["t0", 2] == (1, 0, 0, 1, None, None) and rows["t1", 2] == (0, 0, 1, 1, None, None)
+    parts = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) > 1
+
+
 def test_numbered_names_are_compared_only_where_their_patterns_are_alike(spark):
     # 4 million pairs share a piece of digits
     names = spark.range(2000).select(F.format_string("Customer#%09d", "id").alias("keyword"))
