@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heedstream import registry
 from heedstream.functions import exprs as ex
 from heedstream.operators import coverage as cv
 from heedstream.operators import events as ev
@@ -18,6 +19,8 @@ from heedstream.operators import resolve as rs
 from heedstream.operators import returns as rt
 from heedstream.operators import stats as st
 from heedstream.operators import upsert as up
+from heedstream.plans import frames as fr
+from heedstream.sources import adapters as ad
 
 
 def one(spark, column, **values):
@@ -644,3 +647,32 @@ def test_numbered_names_are_compared_only_where_their_patterns_are_alike(spark):
     want = {k: int(max(rs.likeness(k.lower().replace("#", ""), form), rs.window_likeness(k.lower().replace("#", ""), form))) for k in (f"Customer#{k:09}" for k in range(100))}
     assert {k: ("Customer#00000001x", v) for k, v in want.items() if v >= 88} == {k: v for k, v in got.items() if k in want}
     assert time.monotonic() - start < 60
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prices_are_dealt_by_stock_once(spark, sf_dir):
+    rows = rt.numbered(ad.prices(spark, sf_dir))
+    assert plan(rows).count("hashpartitioning(stock_id") == 1
+    assert {r["stock_id"] == ad.BENCHMARK for r in rows.select("stock_id").distinct().collect()} == {True, False}
+
+
+def test_news_are_dealt_with_what_a_reader_asks_for(spark, sf_dir):
+    assert "p_name" not in plan(fr.quiet(spark, sf_dir)) and "p_name" in plan(ad.news(spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["w20_components", "g30_component_report", "g36_volatility_at_events"])
+def test_days_of_a_stock_meet_events_by_stock(spark, sf_dir, name):
+    assert not re.search(r"hashpartitioning\(stock_id#\d+, (day0|date)#", plan(registry.QUERIES[name](spark, sf_dir)))
+
+
+def test_paths_are_cut_where_events_begin(spark, sf_dir):
+    text = plan(registry.QUERIES["w23_path_segments"](spark, sf_dir))
+    assert not re.search(r"Window \[collect_list", text) and "max_gain_10d" not in text
+
+
+def test_event_units_read_no_prices(spark, sf_dir):
+    text = plan(registry.QUERIES["w18_event_units"](spark, sf_dir))
+    assert "/prices-" not in text and "l_discount" not in text
