@@ -240,8 +240,10 @@ def component_health(facts: DataFrame) -> DataFrame:
 
 
 def volatility_at(events: DataFrame, table: DataFrame) -> DataFrame:
-    """The ratio before and the level after of each event's market day."""
-    return events.join(table.select("stock_id", "date", "before", "after5"), ["stock_id", "date"], "left")
+    """The ratio before and the level after of each event's market day; events meet their stock's days that have either as one map, by stock."""
+    days = table.where("before is not null or after5 is not null").groupBy("stock_id").agg(F.map_from_entries(F.collect_list(F.struct("date", F.struct("before", "after5")))).alias("_days"))
+    met = events.join(days, "stock_id", "left").withColumn("_v", F.try_element_at("_days", F.col("date")))
+    return met.select("stock_id", "date", *[c for c in events.columns if c not in ("stock_id", "date")], "_v.before", "_v.after5")
 
 
 def latest_ratio(table: DataFrame) -> DataFrame:
