@@ -139,7 +139,7 @@ long AS (SELECT unnest([{{'h': 1, 'r': r1}}, {{'h': 3, 'r': r3}}, {{'h': 5, 'r':
 SELECT x.h AS holding_days, count(*) AS events, {r6('avg(x.r) * 100', 'mean_pct')}, {r6('avg(CASE WHEN x.r > 0 THEN 1.0 ELSE 0.0 END) * 100', 'win_rate_pct')}, {r6('max(x.r) * 100', 'max_gain_pct')}, {r6('min(x.r) * 100', 'max_loss_pct')} FROM long WHERE x.r IS NOT NULL GROUP BY 1"""))
 def g40_event_study(s: SparkSession, d: str) -> DataFrame:
     """The event frame written as the analysis table (S21), read back and summarised (G1)."""
-    rows = ad.bursts(s, d).join(ad.news(s, d), "burst_id").join(ad.links(s, d).where("link_type = 'direct'"), "keyword").select("burst_id", "news_id", "keyword", "stock_id", F.to_date("published_at").alias("date"), "news_sentiment")
+    rows = ad.bursts(s, d).join(ad.news(s, d, "burst_id", "news_sentiment"), "burst_id").join(ad.links(s, d).where("link_type = 'direct'"), "keyword").select("burst_id", "news_id", "keyword", "stock_id", F.to_date("published_at").alias("date"), "news_sentiment")
     table = jobs.event_analysis(rows, ad.prices(s, d), f"{sm.work_folder(s)}/event_analysis")
     return rounded(st.holding_summary(table, "future_return"), "mean_pct", "win_rate_pct", "max_gain_pct", "max_loss_pct")
 
