@@ -676,3 +676,11 @@ def test_paths_are_cut_where_events_begin(spark, sf_dir):
 def test_event_units_read_no_prices(spark, sf_dir):
     text = plan(registry.QUERIES["w18_event_units"](spark, sf_dir))
     assert "/prices-" not in text and "l_discount" not in text
+
+
+def test_news_of_merged_days_are_dealt_by_stock_and_day_alone(spark):
+    events = spark.createDataFrame([], "stock_id string, date date, market_date date, keyword string, link_type string, triggers string, traffic double, " + ", ".join(f"{c} double" for c in ev.RETURNS))
+    news = spark.createDataFrame([], "news_id long, keyword string, date date, news_title string, news_source string, news_url string, news_sentiment string, event_type string")
+    rows = spark.createDataFrame([("1001", dt.date(2024, 1, 1))], "stock_id string, date date").join(events.drop("stock_id", "date"), how="left").select(*events.columns)
+    text = ev.merge_days(rows, news.union(spark.range(1).selectExpr("id", "'k'", "date '2024-01-01'", "'t'", "'s'", "'u'", "'Neutral'", "'x'")))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(stock_id#\d+, date#\d+, news_id", text)
