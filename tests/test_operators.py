@@ -684,3 +684,19 @@ def test_news_of_merged_days_are_dealt_by_stock_and_day_alone(spark):
     rows = spark.createDataFrame([("1001", dt.date(2024, 1, 1))], "stock_id string, date date").join(events.drop("stock_id", "date"), how="left").select(*events.columns)
     text = ev.merge_days(rows, news.union(spark.range(1).selectExpr("id", "'k'", "date '2024-01-01'", "'t'", "'s'", "'u'", "'Neutral'", "'x'")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(stock_id#\d+, date#\d+, news_id", text)
+
+
+def test_w4_events_meet_their_baskets_as_arrays(spark):
+    prices = spark.createDataFrame([(s, dt.date(2020, 1, 1 + 2 * k), c) for s, line in (("1101", (10.0, 11.0, 0.0, 22.0, 5.0)), ("1102", (4.0, 2.0, None, 8.0, 1.0))) for k, c in enumerate(line)], "stock_id string, date date, close double")
+    dates = spark.createDataFrame([("A", dt.date(2020, 1, d)) for d in (1, 2, 2, 4, 7, 9, 10)] + [("A", None), ("B", dt.date(2019, 12, 1)), ("C", dt.date(2020, 1, 1))], "cluster string, date date")
+    baskets = spark.createDataFrame([("A", "1101"), ("A", "1102"), ("A", "1102"), ("B", "1102"), ("B", "1103"), ("B", None)], "cluster string, stock_id string")
+    aligned = rt.aligned_returns(dates, baskets, prices, (0, 1, 3))
+    got = {(r["cluster"], r["stock_id"], r["date"].day): (r["day0_date"].day, r["returns"]) for r in aligned.collect()}
+    # the third close of one stock is zero, of the other unknown: events of its day have no base
+    assert got == {
+        ("A", "1101", 1): (1, [0.0, 11 / 10 - 1, 22 / 10 - 1]), ("A", "1101", 2): (3, [0.0, -1.0, 5 / 11 - 1]), ("A", "1101", 7): (7, [0.0, 5 / 22 - 1, None]), ("A", "1101", 9): (9, [0.0, None, None]),
+        ("A", "1102", 1): (1, [0.0, -0.5, 1.0]), ("A", "1102", 2): (3, [0.0, None, -0.5]), ("A", "1102", 7): (7, [0.0, 1 / 8 - 1, None]), ("A", "1102", 9): (9, [0.0, None, None]),
+        ("B", "1102", 1): (1, [0.0, -0.5, 1.0])}
+    lines = plan(aligned).splitlines()
+    first = next(k for k, x in enumerate(lines) if re.search(r"Exchange|Sort |Window", x))
+    assert any("Generate explode" in x for x in lines[:first])  # no row of an event and a stock is shuffled or sorted
