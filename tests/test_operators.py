@@ -700,3 +700,35 @@ def test_w4_events_meet_their_baskets_as_arrays(spark):
     lines = plan(aligned).splitlines()
     first = next(k for k, x in enumerate(lines) if re.search(r"Exchange|Sort |Window", x))
     assert any("Generate explode" in x for x in lines[:first])  # no row of an event and a stock is shuffled or sorted
+
+
+def test_forward_returns_of_the_study_are_those_of_all_calendar_days(spark):
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    rng = np.random.default_rng(5)
+    rows = [("0050", day(2 * k), None if k == 7 else 0.0 if k == 9 else 50.0 + k) for k in range(40)]
+    rows += [(str(1101 + i), day(k), p) for i in range(6) for k in range(-3, 85) if rng.random() < 0.1 + 0.18 * i for p in [None if k == 6 else 0.0 if k == 20 else float(rng.integers(5, 99))]]
+    rows += [("1109", day(1), 3.0), ("1109", day(3), 3.0), ("1108", None, 4.0), ("1108", day(0), 1.0), ("1108", day(2), 2.0)]  # two days that the calendar has not, and a price of no day
+    prices = spark.createDataFrame(rows, "stock_id string, date date, price double")
+    daily = rt.daily_abnormal(prices.where("date is not null"), "0050", "price")
+    for n in rt.HORIZONS:
+        daily = rt.forward_abnormal(daily, n, "after", f"ar{n}")
+    names = [f"ar{n}" for n in rt.HORIZONS]
+    want = {(r["stock_id"], r["day"]): tuple(r[c] for c in names) for r in daily.collect() if any(r[c] is not None for c in names)}
+    lines = rt.price_lines(prices)
+    found = rt.study_returns(lines, rt.line_calendar(lines, "0050"), "0050", "2020-02-10")
+    text = plan(found)
+    assert text.count("Generate") <= 2 and "sequence(" not in text  # of the benchmark's days alone
+    got = found.collect()
+    mine = {(r["stock_id"], x["day"]): tuple(x[c] for c in names) for r in got for x in r["line"]}
+    assert mine.keys() == want.keys() and len(want) > 100
+    assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, abs_tol=1e-12)) for k in want for a, b in zip(mine[k], want[k]))
+    assert {r["start"] for r in got} == {21}
+    for r in got:
+        for n in rt.HORIZONS:
+            known = [v[names.index(f"ar{n}")] for (s, d), v in want.items() if s == r["stock_id"] and d >= 21 and v[names.index(f"ar{n}")] is not None]
+            assert r[f"base{n}"] is None if not known else math.isclose(r[f"base{n}"], sum(known) / len(known), abs_tol=1e-12)
+
+
+def test_study_reads_no_news_and_deals_no_event_of_a_stock_by_itself(spark, sf_dir):
+    text = plan(registry.QUERIES["g6_excess_table"](spark, sf_dir))
+    assert "/days-" in text and "/lines-" not in text and not re.search(r"hashpartitioning\(stock_id#\d+, day#", text)
