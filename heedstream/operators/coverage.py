@@ -199,20 +199,66 @@ POINTS = {"OK": 20, "WARN": 10, "FAIL": 0, "UNKNOWN": 10}
 COMPONENTS = ("rss", "stocks", "bursts", "models", "etl")
 
 
+#: What the lines of a block say for ``log_facts``, and the line and value of the last that says so.
+_SAID = {"_status": ("history", "status"), "_s": ("history", "Success"), "_p": ("gemini", "Processed"), "_stopped": ("gemini", "Stopped")}
+
+
+def log_runs(lines: DataFrame, etl: str, stocks: str) -> DataFrame:
+    """One row for each run of both jobs: its start, exit code and success, and what the blocks of an update run say (see ``log_facts``).
+
+    The same as ``logs.job_runs`` and ``logs.blocks``, in one pass: lines are dealt once, without
+    their texts, by stretches of ``logs.BLOCK`` lines and summed there by run. What a stretch begins with may
+    belong to a run or block of the stretches before: it is counted with the first of their summaries, in their order.
+    """
+    text = F.trim("value")
+    parts = [F.regexp_extract(text, lg.RUN, k) for k in range(1, 6)]
+    head = F.lit(None).cast("string")
+    for name, whole, begins in lg.HEADS:
+        is_head = text.isin(*whole)
+        for x in begins:
+            is_head = is_head | text.startswith(x)
+        head = F.coalesce(head, F.when(is_head, name))
+    is_pair = text.rlike(lg.KEY_VALUE) & ~text.startswith("[") & head.isNull()
+    key = F.trim(F.regexp_extract(text, lg.KEY_VALUE, 1))
+    wanted = [k for _, k in _SAID.values() if k != "status"]
+    said = F.when(head.isNotNull(), text).when(is_pair & key.isin(*wanted), F.trim(F.regexp_extract(text, lg.KEY_VALUE, 2)))
+    stamp = F.try_to_timestamp(F.concat_ws(" ", parts[0], F.lpad(parts[1], 8, "0")), F.lit("yyyy/MM/dd HH:mm:ss"))
+    marked = F.col("value").contains(F.when(F.col("job") == etl, "Theme ETL completed").otherwise("筆行情"))
+    rows = lines.where(F.col("job").isin(etl, stocks) & F.col("value").isNotNull()).select(
+        "job", "line", F.nullif(parts[3], F.lit("")).alias("mark"), F.when(parts[3] == "start", stamp).alias("_start"), F.when(parts[3] == "exit", parts[4].try_cast("int")).alias("_code"),
+        F.when(is_pair, F.lit(None)).otherwise(F.coalesce(head, F.lit(""))).alias("_head"), is_pair.alias("_pair"), F.when(is_pair & key.isin(*wanted), key).alias("_key"), said.alias("_said"), marked.alias("_m"), F.col("value").contains("Traceback").alias("_t"))
+    by = ["job", "_block"]
+    up_to = Window.partitionBy(*by).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_block", F.floor(F.col("line") / lg.BLOCK))
+    rows = rows.withColumn("_local", F.count(F.when(F.col("mark") == "start", 1)).over(up_to)).withColumn("_in", F.last("_head", ignorenulls=True).over(up_to))
+    last = lambda when: F.max(F.when(when, F.struct("line", F.col("_said").alias("value"))))
+    own = lambda block, key: (F.col("_in") == block) & (F.col("_head").isNotNull() if key == "status" else F.col("_key") == key)
+    open_ = F.col("_in").isNull() & F.col("_pair")
+    cut = rows.groupBy(*by, "_local").agg(
+        F.max("_start").alias("started_at"), F.max(F.when(F.col("mark") == "exit", F.struct("line", F.col("_code").alias("value")))).alias("_exit"), F.bool_or("_m").alias("_m"), F.bool_or("_t").alias("_t"),
+        *[last(own(*x)).alias(c) for c, x in _SAID.items()], *[last(open_ & (F.col("_key") == x[1])).alias(f"{c}_open") for c, x in _SAID.items() if x[1] != "status"],
+        F.bool_or(F.col("_pair") & (F.col("_in") == "gemini")).alias("models_seen"), F.bool_or(open_).alias("_open"), F.max(F.when(F.col("_head").isNotNull(), F.struct("line", "_head")))["_head"].alias("_end"))
+    cut = stage(cut, "cut")
+    order = Window.partitionBy("job").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(*by).agg(F.max("_local").alias("_starts"), F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col("_local"))).alias("_end"))
+    ends = ends.select(*by, F.coalesce(F.sum("_starts").over(order), F.lit(0)).alias("_before"), F.last("_end", ignorenulls=True).over(order).alias("_enter"))
+    met = cut.drop("_end").join(ends, by).withColumn("run", (F.col("_before") + F.col("_local")).cast("long")).where("run > 0")
+    entered = lambda c, block: F.greatest(c, F.when(F.col("_enter") == block, F.col(f"{c}_open")))  # noqa: E731  the later line counts
+    met = met.withColumns({c: entered(c, block) for c, (block, k) in _SAID.items() if k != "status"} | {"models_seen": F.coalesce("models_seen", F.lit(False)) | F.coalesce(F.col("_open") & (F.col("_enter") == "gemini"), F.lit(False))})
+    out = met.groupBy("job", "run").agg(F.max("started_at").alias("started_at"), F.max("_exit")["value"].alias("exit_code"), F.bool_or("_m").alias("_m"), F.bool_or("_t").alias("_t"), *[F.max(c)["value"].alias(c) for c in _SAID], F.bool_or("models_seen").alias("models_seen"))
+    codes = F.when(F.col("job") == etl, F.col("exit_code").isin(0, 3)).otherwise(F.col("exit_code") == 0)
+    return out.withColumn("success", F.when(F.col("exit_code").isNotNull(), codes).otherwise(F.coalesce(F.col("_m") & ~F.col("_t"), F.lit(False)))).drop("_m", "_t")
+
+
 def log_facts(lines: DataFrame, etl: str = "etl", stocks: str = "stock_collector") -> DataFrame:
     """One row of what the logs of both jobs say: last runs, their ends, and the blocks of the last update run."""
-    e, k = lg.job_runs(lines.where(F.col("job") == etl), "Theme ETL completed", (0, 3)), lg.job_runs(lines.where(F.col("job") == stocks), "筆行情")
-    le, lk = lg.last_runs(e), lg.last_runs(k)
-    blocks = lg.blocks(lines.where(F.col("job") == etl))
-    of = lambda block, key: F.max(F.when((F.col("block") == block) & (F.col("key") == key), F.col("value")))
-    by = blocks.groupBy("run").agg(of("history", "status").alias("history_status"), of("history", "Success").alias("_s"), F.bool_or(F.col("block") == "gemini").alias("models_seen"), of("gemini", "Processed").alias("_p"), of("gemini", "Stopped").alias("models_stopped"))
-    by = by.withColumns({"models_processed": lg.leading_number(F.col("_p")), "_ok_h": lg.leading_number(F.col("_s")) > 0})
-    started = by.join(e.select("run", "started_at"), "run")
-    success = started.agg(F.max_by("started_at", F.when(F.col("_ok_h"), F.col("run"))).alias("heat_success"), F.max_by("started_at", F.when(F.col("models_processed") > 0, F.col("run"))).alias("models_success"))
-    one = F.lit(True)
-    out = success.join(le.select(F.col("run").alias("_run"), F.col("started_at").alias("etl_started"), F.col("exit_code").alias("etl_exit"), F.col("success").alias("etl_ok"), F.col("last_success").alias("etl_success")), one, "left")
-    out = out.join(lk.select(F.col("exit_code").alias("stock_exit"), F.col("last_success").alias("stock_success")), one, "left")
-    return out.join(by.select(F.col("run").alias("_run"), "history_status", "models_seen", "models_processed", "models_stopped"), "_run", "left").drop("_run")
+    runs = log_runs(lines, etl, stocks).withColumn("models_processed", lg.leading_number(F.col("_p")))
+    at = lambda job, *when: F.when(F.lit(True) if not when else when[0], F.when(F.col("job") == job, F.col("run")))
+    latest = lambda job, *when: F.max_by("started_at", at(job, *when))
+    one = runs.agg(
+        latest(etl, lg.leading_number(F.col("_s")) > 0).alias("heat_success"), latest(etl, F.col("models_processed") > 0).alias("models_success"), latest(etl, F.col("success")).alias("etl_success"), latest(stocks, F.col("success")).alias("stock_success"),
+        F.max_by(F.struct("started_at", "exit_code", "success", "_status", "models_seen", "models_processed", "_stopped"), at(etl)).alias("e"), F.max_by(F.struct("exit_code"), at(stocks)).alias("k"))
+    return one.select("heat_success", "models_success", F.col("e.started_at").alias("etl_started"), F.col("e.exit_code").alias("etl_exit"), F.col("e.success").alias("etl_ok"), "etl_success", F.col("k.exit_code").alias("stock_exit"), "stock_success", F.col("e._status").alias("history_status"), F.col("e.models_seen").alias("models_seen"), F.col("e.models_processed").alias("models_processed"), F.col("e._stopped").alias("models_stopped"))
 
 
 def component_health(facts: DataFrame) -> DataFrame:

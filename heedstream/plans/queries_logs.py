@@ -201,7 +201,7 @@ h AS (SELECT *, {' + '.join(f"CASE {c} WHEN 'OK' THEN 20 WHEN 'FAIL' THEN 0 ELSE
 SELECT *, CASE WHEN score >= 90 THEN 'healthy' WHEN score >= 60 THEN 'attention' ELSE 'failing' END AS grade, 'FAIL' IN ({', '.join(cv.COMPONENTS)}) AS failing FROM h"""))
 def g35_component_health(s: SparkSession, d: str) -> DataFrame:
     """G35 of four systems (orders by their rest by five) at three moments after the last run, each with older data than the one before."""
-    total = ad.news(s, d).agg(F.count("news_sentiment").alias("analyzed"), F.count("*").alias("total_news"))
+    total = ad.news(s, d, "news_sentiment").agg(F.count("news_sentiment").alias("analyzed"), F.count("*").alias("total_news"))
     facts = None
     for v in (0, 1, 2, 3):
         one = cv.log_facts(job_log(s, d, part=v)).withColumn("v", F.lit(v))
